@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import pii, token_counts
+from orderloom.llm import maxscore, pii, token_counts, warc
 from orderloom.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_top_k": lambda spark, d: maxscore.op2_top_k(table(spark, d, "embeddings")),
         "op6_pii": lambda spark, d: pii.op6_pii(table(spark, d, "documents")),
+        "op8_warc": lambda spark, d: warc.op8_warc(table(spark, d, "pages")),
         "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_top_k": maxscore.OP2_SQL, "op8_warc": warc.OP8_SQL}
