@@ -1,0 +1,48 @@
+import hashlib
+import random
+import re
+
+from orderloom.llm import pii
+
+BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute(s):
+    out = []
+    for kind, pattern in BASE:
+        for m in re.finditer(pattern, s or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if (kind != "ip" or all(int(v) <= 255 for v in m[0].split("."))) and (kind != "card" or (13 <= len(d) <= 19 and pii.luhn(d))) and (kind != "phone" or 9 <= len(d) <= 15):
+                out.append((kind, *m.span()))
+    return out
+
+
+def texts():
+    rnd = random.Random(1)
+    pool = "0123456789012345678901234567899...@@@+ab_c- ()%é"
+    return ["".join(rnd.choices(pool, k=rnd.randint(0, 70))) for _ in range(4000)] + ["", None, "a@b.c_d@e.f", "4111 1111 1111 1111 é 4111111111111111", "1" * 50000 + "a" * 50000 + "@" * 20000 + "+1" + "(" * 50000]
+
+
+def test_base_spans_against_plain_patterns(spark):
+    rows = [(i, t, "clash") for i, t in enumerate(texts())]
+    for r in pii.op6_pii(spark.createDataFrame(rows, "doc_id bigint, text string, spans string")).collect():
+        want = brute(rows[r.doc_id][1])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == w[0] for w in want) for k, _ in BASE]
+        said = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert r.spans.startswith(said)
+
+
+def test_added_kinds_need_checksum_or_context():
+    kinds = lambda s: [x.kind for x in pii.find_spans(s)]
+    assert kinds("IBAN GB82 WEST 1234 5698 7654 32.") == ["iban"]
+    assert kinds("IBAN GB82 WEST 1234 5698 7654 33.") == []
+    assert kinds("call 555-123-4567 now") == ["local_phone"] and kinds("part 555-123-4567 now") == []
+    assert kinds("ssn 123-45-6789") == ["national_id"] and kinds("id 123-45-6789") == []
+
+
+def test_redact_and_empty(spark):
+    rows = [(1, "mail a@b.co, visa 4111111111111111", 3), (2, None, 4)]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string, x int")).collect()
+    assert [r.text for r in got] == ["mail <email>, visa <card>", None] and [r.x for r in got] == [3, 4]
+    assert pii.op6_pii(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
