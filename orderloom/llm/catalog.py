@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import maxscore, packing, pii, token_counts, toxicity, warc
+from orderloom.llm import line_dedup, maxscore, packing, pii, token_counts, toxicity, warc
 from orderloom.llm.common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": lambda spark, d: packing.op1_packing(table(spark, d, "documents")),
         "op2_top_k": lambda spark, d: maxscore.op2_top_k(table(spark, d, "embeddings")),
         "op6_pii": lambda spark, d: pii.op6_pii(table(spark, d, "documents")),
+        "op7_line_dedup": lambda spark, d: line_dedup.op7_line_dedup(table(spark, d, "documents")),
         "op8_warc": lambda spark, d: warc.op8_warc(table(spark, d, "pages")),
         "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents")),
         "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
