@@ -13,7 +13,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def texts():
     rnd = random.Random(5)
-    words = ["the", "Idiot", "naïve,", "ÀB", "it's", "x1y2", "<|endoftext|>", "<|ENDOFTEXT|>", "日本", "\n", "\t"]
+    words = ["the", "Idiot", "naïve,", "ÀB", "à", "Åà\u00a0x", "it's", "x1y2", "<|endoftext|>", "<|ENDOFTEXT|>", "日本", "\n", "\t"]
     some = [" ".join(rnd.choices(words, k=rnd.randint(0, 900))) for _ in range(60)]
     return [*some, *some[:20], "", None, "   ", " ".join(["w"] * 5000), "a" * 20000, "\x0b\x0c"]
 
