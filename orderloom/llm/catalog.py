@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import line_dedup, maxscore, packing, pii, token_counts, toxicity, warc
+from orderloom.llm import (
+    decontamination,
+    line_dedup,
+    maxscore,
+    packing,
+    pii,
+    shingle_join,
+    token_counts,
+    toxicity,
+    warc,
+)
 from orderloom.llm.common import table
 
 
@@ -14,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": lambda spark, d: packing.op1_packing(table(spark, d, "documents")),
         "op2_top_k": lambda spark, d: maxscore.op2_top_k(table(spark, d, "embeddings")),
+        "op3_jaccard": lambda spark, d: shingle_join.op3_jaccard(table(spark, d, "documents")),
+        "op4_decontamination": lambda spark, d: decontamination.op4_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_pii": lambda spark, d: pii.op6_pii(table(spark, d, "documents")),
         "op7_line_dedup": lambda spark, d: line_dedup.op7_line_dedup(table(spark, d, "documents")),
         "op8_warc": lambda spark, d: warc.op8_warc(table(spark, d, "pages")),
