@@ -28,7 +28,7 @@ from orderloom.llm.common import hash_words, mix, slices, staged, words_of
 from orderloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
-BUCKET_HASHES, BLOCK_SETS, SHARD_SETS = 1 << 22, 256, 2048
+BUCKET_HASHES, BLOCK_SETS, SHARD_SETS = 1 << 21, 256, 2048
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -74,7 +74,7 @@ def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 24 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 starts, hashes = shingle_sets(part.column("text"))
                 sig, n = signatures(starts, hashes), np.diff(starts)
                 ids = part.column("doc_id")
