@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orderloom.llm import (
     decontamination,
     line_dedup,
+    lm_scoring,
     maxscore,
     packing,
     pii,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_top_k": lambda spark, d: maxscore.op2_top_k(table(spark, d, "embeddings")),
         "op3_jaccard": lambda spark, d: shingle_join.op3_jaccard(table(spark, d, "documents")),
         "op4_decontamination": lambda spark, d: decontamination.op4_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op5_lm_scoring": lambda spark, d: lm_scoring.op5_lm_scoring(table(spark, d, "documents")),
         "op6_pii": lambda spark, d: pii.op6_pii(table(spark, d, "documents")),
         "op7_line_dedup": lambda spark, d: line_dedup.op7_line_dedup(table(spark, d, "documents")),
         "op8_warc": lambda spark, d: warc.op8_warc(table(spark, d, "pages")),
