@@ -26,7 +26,7 @@ from orderloom.llm.common import hash_words, mix, slices, staged, words_of
 from orderloom.llm.ngram_trie import CODES, NgramTrie
 
 DISCOUNT = 0.75
-CHUNK_BYTES, SHARD_TOKENS, HOT_SHARE, HOT_PARTS = 16 << 20, 1 << 22, 1000, 64
+CHUNK_BYTES, SHARD_TOKENS, HOT_SHARE, HOT_PARTS = 8 << 20, 1 << 21, 1000, 64
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 
 CHUNKS = "chunk bigint, docs binary, train binary, sizes binary, tokens binary, words binary"
