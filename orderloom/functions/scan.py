@@ -19,11 +19,11 @@ def affine_scan(df: DataFrame, a: Column, b: Column, out: str, chunk: int = 128)
     steps = F.collect_list(F.struct("_a", "_b")).over(w)
     start = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("y"))
     fold = lambda s: F.aggregate(s, start, lambda acc, z: F.struct((acc["m"] * z["_a"]).alias("m"), (acc["y"] * z["_a"] + z["_b"]).alias("y")))
-    x = x.withColumn("_f", fold(steps))
-    heads = x.groupBy(KEY, "_c").agg(F.max_by("_f", "_i").alias("_g"))
+    x = x.withColumn("_fold", fold(steps))
+    heads = x.groupBy(KEY, "_c").agg(F.max_by("_fold", "_i").alias("_g"))
     past = F.collect_list(F.struct(F.col("_g.m").alias("_a"), F.col("_g.y").alias("_b"))).over(Window.partitionBy(KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
     carry = heads.select(KEY, "_c", fold(past)["y"].alias("_in"))
-    return x.join(carry, [KEY, "_c"]).withColumn(out, F.col("_f.m") * F.col("_in") + F.col("_f.y")).drop("_a", "_b", "_i", "_c", "_f", "_in")
+    return x.join(carry, [KEY, "_c"]).withColumn(out, F.col("_fold.m") * F.col("_in") + F.col("_fold.y")).drop("_a", "_b", "_i", "_c", "_fold", "_in")
 
 
 def ewm(df: DataFrame, column: str, alpha: float, out: str) -> DataFrame:

@@ -1,0 +1,233 @@
+"""Queries: window features of bars (section E) and tick features (section F) and book features (section G)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orderloom.operators import bars as B
+from orderloom.operators import book as K
+from orderloom.operators import ticks as X
+from orderloom.operators import windows as W
+from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, FLOW_BARS, SIGNED, TICKS_SQL, WINDOW, atr_bars, bars, flow_bars, frame, sql, stage
+from orderloom.plans.catalog import query
+from orderloom.plans.flow import SESSION
+from orderloom.sources import market
+from orderloom.spec import rounded
+
+ID = ["symbol", "ts_event"]
+DAY = "(PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event)"
+
+
+def feature(name, op, columns, ctes, select):
+    """A query of op over a starting table, its columns rounded, and its SQL."""
+    query(name, sql(*ctes, select=f"SELECT symbol, ts_event, {select}"))(lambda spark, d: rounded(op(spark, d).select(*ID, *columns)))
+
+
+A = (TICKS_SQL, BARS, ATR)
+AB = lambda s, d: stage(atr_bars(s, d))
+
+BREAK = "brk AS (SELECT *, coalesce(gap > 3 * median(gap) OVER (PARTITION BY symbol), false) AS session_break FROM (SELECT *, epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER (PARTITION BY symbol ORDER BY ts_event) AS gap FROM bars))"
+feature("e1_session_break_flag", lambda s, d: W.session_break_flag(bars(s, d), 1.5), ["session_break"], (TICKS_SQL, BARS, BREAK.replace("3 * median", "1.5 * median")), "session_break FROM brk")
+feature("e2_true_range_atr", lambda s, d: atr_bars(s, d), ["tr", "atr"], A, "round(tr, 6) AS tr, round(atr, 6) AS atr FROM atr")
+
+RECURSE = """n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) AS i FROM atr),
+r(symbol, i, y) AS (
+  SELECT symbol, i, {start} FROM n WHERE i = {first}
+  UNION ALL
+  SELECT n.symbol, n.i, {step} FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1)"""
+
+
+def recursive(*ctes: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
+
+
+query("e3_wilder_atr", recursive(*A, RECURSE.format(first=14, start="(SELECT avg(m.tr) FROM n m WHERE m.symbol = n.symbol AND m.i <= 14)", step="r.y * (1 - 1 / 14.0) + n.tr / 14"), select="SELECT n.symbol, ts_event, round(y, 6) AS wilder_atr FROM n LEFT JOIN r ON n.symbol = r.symbol AND n.i = r.i"))(lambda s, d: rounded(W.wilder_atr(AB(s, d)).select(*ID, "wilder_atr")))
+
+feature(
+    "e4_rolling_vwap_distance", lambda s, d: W.rolling_vwap_distance(AB(s, d)), ["vwap_anchor", "vwap_distance"], (*A, f"v AS (SELECT *, CASE WHEN count(*) OVER {frame(20, 1)} = 20 THEN sum((high + low + close) / 3 * volume) OVER {frame(20, 1)} / greatest(sum(volume) OVER {frame(20, 1)}, 1e-9) END AS a FROM atr)"),
+    "round(a, 6) AS vwap_anchor, round((close - a) / greatest(atr, 1e-9), 6) AS vwap_distance FROM v",
+)
+feature(
+    "e5_rsi", lambda s, d: W.rsi(AB(s, d)), ["rsi"], (*A, f"c AS (SELECT *, close - lag(close) OVER w AS x FROM atr {WINDOW})"),
+    f"round(CASE WHEN count(x) OVER {frame(14)} = 14 THEN 100 - 100 / (1 + avg(greatest(x, 0)) OVER {frame(14)} / (avg(greatest(-x, 0)) OVER {frame(14)} + 1e-9)) ELSE 50 END, 6) AS rsi FROM c",
+)
+query(
+    "e6_macd_histogram",
+    recursive(*A, """n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) AS i FROM atr),
+r(symbol, i, f, s, g) AS (
+  SELECT symbol, i, close, close, CAST(0 AS DOUBLE) FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.symbol, n.i, r.f * 11 / 13.0 + n.close * 2 / 13, r.s * 25 / 27.0 + n.close * 2 / 27,
+         r.g * 0.8 + 0.2 * ((r.f * 11 / 13.0 + n.close * 2 / 13) - (r.s * 25 / 27.0 + n.close * 2 / 27))
+  FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1)""", select="SELECT n.symbol, ts_event, round(f - s, 6) AS macd, round(f - s - g, 6) AS macd_hist FROM n JOIN r ON n.symbol = r.symbol AND n.i = r.i"),
+)(lambda s, d: rounded(W.macd_histogram(AB(s, d)).select(*ID, "macd", "macd_hist")))
+feature(
+    "e7_multi_horizon_returns", lambda s, d: W.multi_horizon_returns(AB(s, d)), ["ret_1", "ret_4", "ret_12", "vol_ratio_4"], A,
+    f"round(close / lag(close) OVER w - 1, 6) AS ret_1, round(close / lag(close, 4) OVER w - 1, 6) AS ret_4, round(close / lag(close, 12) OVER w - 1, 6) AS ret_12, round(volume / greatest(avg(volume) OVER {frame(4)}, 1e-9), 6) AS vol_ratio_4 FROM atr {WINDOW}",
+)
+feature(
+    "e8_candle_shape", lambda s, d: W.candle_shape(AB(s, d)), ["range_atr", "body_ratio", "wick_balance"], A,
+    "round((high - low) / greatest(atr, 1e-9), 6) AS range_atr, round(abs(close - open) / greatest(high - low, 1e-9), 6) AS body_ratio, round(((high - greatest(open, close)) - (least(open, close) - low)) / greatest(atr, 1e-9), 6) AS wick_balance FROM atr",
+)
+feature("e9_session_flags", lambda s, d: W.session_flags(bars(s, d)), ["is_london", "is_ny", "session"], (TICKS_SQL, BARS), f"CAST(hour(ts_event) BETWEEN 7 AND 15 AS INTEGER) AS is_london, CAST(hour(ts_event) BETWEEN 13 AND 21 AS INTEGER) AS is_ny, {SESSION} AS session FROM bars")
+feature(
+    "e10_session_running_levels", lambda s, d: W.session_running_levels(AB(s, d)), ["sess_high", "sess_low", "dist_sess_high"], (*A, f"l AS (SELECT *, coalesce(max(CASE WHEN hour(ts_event) BETWEEN 7 AND 11 THEN high END) OVER d, close) AS h, coalesce(min(CASE WHEN hour(ts_event) BETWEEN 7 AND 11 THEN low END) OVER d, close) AS g FROM atr WINDOW d AS {DAY})"),
+    "round(h, 6) AS sess_high, round(g, 6) AS sess_low, round((h - close) / greatest(atr, 1e-9), 6) AS dist_sess_high FROM l",
+)
+feature(
+    "e11_asia_distances", lambda s, d: W.asia_distances(AB(s, d)), ["dist_asia_high", "dist_asia_low", "vol_session_ratio"], A,
+    f"round((close - coalesce(max(CASE WHEN hour(ts_event) < 8 THEN high END) OVER d, close)) / greatest(atr, 1e-9), 6) AS dist_asia_high, round((close - coalesce(min(CASE WHEN hour(ts_event) < 8 THEN low END) OVER d, close)) / greatest(atr, 1e-9), 6) AS dist_asia_low, round(volume / greatest(avg(volume) OVER d, 1e-9), 6) AS vol_session_ratio FROM atr WINDOW d AS {DAY}",
+)
+PREV = f"""dd AS (SELECT symbol, CAST(ts_event AS DATE) AS p, max(high) AS h, min(low) AS l FROM bars GROUP BY ALL),
+dp AS (SELECT symbol, p, lag(h) OVER x AS ph, lag(l) OVER x AS pl FROM dd WINDOW x AS (PARTITION BY symbol ORDER BY p)),
+ww AS (SELECT symbol, date_trunc('week', ts_event) AS p, max(high) AS h, min(low) AS l FROM bars GROUP BY ALL),
+wp AS (SELECT symbol, p, lag(h) OVER x AS ph, lag(l) OVER x AS pl FROM ww WINDOW x AS (PARTITION BY symbol ORDER BY p)),
+prev AS (
+  SELECT b.*, coalesce(dp.ph, max(high) OVER d) AS prev_day_high, coalesce(dp.pl, min(low) OVER d) AS prev_day_low,
+         coalesce(wp.ph, max(high) OVER k) AS prev_week_high, coalesce(wp.pl, min(low) OVER k) AS prev_week_low
+  FROM bars b LEFT JOIN dp ON dp.symbol = b.symbol AND dp.p = CAST(b.ts_event AS DATE) LEFT JOIN wp ON wp.symbol = b.symbol AND wp.p = date_trunc('week', b.ts_event)
+  WINDOW d AS (PARTITION BY b.symbol, CAST(b.ts_event AS DATE) ORDER BY b.ts_event), k AS (PARTITION BY b.symbol, date_trunc('week', b.ts_event) ORDER BY b.ts_event))"""
+feature(
+    "e12_previous_period_levels", lambda s, d: W.previous_period_levels(bars(s, d)), ["prev_day_high", "prev_day_low", "prev_week_high", "prev_week_low", "range_position"], (TICKS_SQL, BARS, PREV),
+    "prev_day_high, prev_day_low, prev_week_high, prev_week_low, round(least(greatest((close - prev_day_low) / greatest(prev_day_high - prev_day_low, 1e-9), 0), 1), 6) AS range_position FROM prev",
+)
+BEFORE = DAY.replace("ORDER BY ts_event", "ORDER BY ts_event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+feature(
+    "e13_mid_levels", lambda s, d: W.mid_levels(W.previous_period_levels(bars(s, d))), ["prev_day_mid", "asia_high", "london_low", "ny_high"], (TICKS_SQL, BARS, PREV),
+    f"round((prev_day_high + prev_day_low) / 2, 6) AS prev_day_mid, max(CASE WHEN hour(ts_event) < 8 THEN high END) OVER b AS asia_high, min(CASE WHEN hour(ts_event) BETWEEN 7 AND 15 THEN low END) OVER b AS london_low, max(CASE WHEN hour(ts_event) BETWEEN 13 AND 21 THEN high END) OVER b AS ny_high FROM prev WINDOW b AS {BEFORE}",
+)
+feature(
+    "e14_zone_and_third", lambda s, d: W.zone_and_third(bars(s, d)), ["zone", "third"], (TICKS_SQL, BARS),
+    f"{SESSION} AS zone, CAST(CASE WHEN hour(ts_event) BETWEEN 13 AND 15 THEN floor((hour(ts_event) - 13) * 60 * 3 / 180) WHEN hour(ts_event) BETWEEN 13 AND 21 THEN floor((hour(ts_event) - 13) * 180 / 540) WHEN hour(ts_event) BETWEEN 7 AND 15 THEN floor((hour(ts_event) - 7) * 180 / 540) WHEN hour(ts_event) < 8 THEN floor(hour(ts_event) * 180 / 480) END AS INTEGER) AS third FROM bars",
+)
+LEVEL_ROWS = """lv AS (SELECT a.symbol, a.ts_event, a.close, a.high, a.low, a.atr, lag(a.close) OVER (PARTITION BY a.symbol ORDER BY a.ts_event) AS pc, p.prev_day_high, p.prev_day_low FROM atr a JOIN prev p ON a.symbol = p.symbol AND a.ts_event = p.ts_event),
+lg AS (SELECT *, 'prev_day_high' AS level, round(prev_day_high, 9) AS price FROM lv UNION ALL SELECT *, 'prev_day_low', round(prev_day_low, 9) FROM lv)"""
+query(
+    "e15_level_events",
+    sql(*A, PREV, LEVEL_ROWS, """ev AS (SELECT symbol, ts_event, level, CASE
+  WHEN ((pc < price AND high >= price AND close < price) OR (pc > price AND low <= price AND close > price)) AND abs(close - price) > 0.1 * greatest(atr, 1e-9) THEN 'failed_break'
+  WHEN (pc < price AND close > price) OR (pc > price AND close < price) THEN 'break'
+  WHEN high >= price AND low <= price AND abs(close - price) > 0.1 * greatest(atr, 1e-9) THEN 'reject'
+  WHEN abs(close - price) <= 0.1 * greatest(atr, 1e-9) THEN 'touch' WHEN abs(close - price) <= 0.5 * greatest(atr, 1e-9) THEN 'near' END AS event FROM lg)""", select="SELECT * FROM ev WHERE event IS NOT NULL"),
+)(lambda s, d: W.level_events(stage(W.previous_period_levels(atr_bars(s, d))), ["prev_day_high", "prev_day_low"]))
+feature(
+    "e16_atr_level_distances", lambda s, d: W.atr_level_distances(stage(W.previous_period_levels(atr_bars(s, d))), ["prev_day_high", "prev_week_low"]), ["dist_prev_day_high", "dist_prev_week_low"], (*A, PREV),
+    "round((a.close - p.prev_day_high) / greatest(a.atr, 1e-9), 6) AS dist_prev_day_high, round((a.close - p.prev_week_low) / greatest(a.atr, 1e-9), 6) AS dist_prev_week_low FROM atr a JOIN prev p USING (symbol, ts_event)",
+)
+feature("e17_session_interactions", lambda s, d: W.session_interactions(bars(s, d), ["volume"]), ["volume_x_london", "volume_x_ny"], (TICKS_SQL, BARS), "CASE WHEN hour(ts_event) BETWEEN 7 AND 15 THEN volume ELSE 0 END AS volume_x_london, CASE WHEN hour(ts_event) BETWEEN 13 AND 21 THEN volume ELSE 0 END AS volume_x_ny FROM bars")
+STREAK = f"""fs AS (SELECT *, CASE WHEN least(abs(cvd_delta) / greatest(volume, 1e-9), 1) >= 0.3 THEN sign(cvd_delta) ELSE 0 END AS s FROM flow_bars),
+fg AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) - row_number() OVER (PARTITION BY symbol, s ORDER BY ts_event) AS g FROM fs)"""
+feature(
+    "e18_flow_bar_features", lambda s, d: W.flow_bar_features(W.true_range_atr(flow_bars(s, d))).withColumn("flow_streak", F.col("flow_streak").cast("bigint")), ["flow_share", "flow_streak"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, STREAK),
+    "round(least(abs(cvd_delta) / greatest(volume, 1e-9), 1), 6) AS flow_share, CASE WHEN s <> 0 THEN row_number() OVER (PARTITION BY symbol, s, g ORDER BY ts_event) ELSE 0 END AS flow_streak FROM fg",
+)
+feature(
+    "e19_seasonal_calendar", lambda s, d: W.seasonal_calendar(bars(s, d)), ["weekday", "month_day", "week", "quarter", "month_start", "month_end", "weekday_sin", "minutes_since_london"], (TICKS_SQL, BARS),
+    "CAST(isodow(ts_event) - 1 AS INTEGER) AS weekday, CAST(day(ts_event) AS INTEGER) AS month_day, CAST(week(ts_event) AS INTEGER) AS week, CAST(quarter(ts_event) AS INTEGER) AS quarter, day(ts_event) <= 3 AS month_start, date_diff('day', CAST(ts_event AS DATE), last_day(ts_event)) < 3 AS month_end, round(sin(2 * pi() * (isodow(ts_event) - 1) / 7), 6) AS weekday_sin, CAST(greatest(0, (hour(ts_event) - 7) * 60 + minute(ts_event)) AS INTEGER) AS minutes_since_london FROM bars",
+)
+feature("e20_cyclic_time", lambda s, d: W.cyclic_time(bars(s, d)), ["hour_sin", "hour_cos", "minute_sin"], (TICKS_SQL, BARS), "round(sin(2 * pi() * hour(ts_event) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts_event) / 24), 6) AS hour_cos, round(sin(2 * pi() * minute(ts_event) / 60), 6) AS minute_sin FROM bars")
+feature("e21_rolling_zscore", lambda s, d: W.rolling_zscore(bars(s, d), "volume"), ["volume_z"], (TICKS_SQL, BARS), f"round(CASE WHEN count(*) OVER {frame(100)} >= 20 THEN (volume - avg(volume) OVER {frame(100)}) / (stddev_samp(volume) OVER {frame(100)} + 1e-9) ELSE 0 END, 6) AS volume_z FROM bars")
+feature(
+    "e22_rolling_rank", lambda s, d: W.rolling_rank(bars(s, d), "volume"), ["volume_rank"], (TICKS_SQL, BARS, f"n AS (SELECT *, list(volume) OVER {frame(50)} AS x FROM bars)"),
+    "CASE WHEN len(x) >= 20 THEN round(len(list_filter(x, lambda v: v <= volume)) / len(x), 6) END AS volume_rank FROM n",
+)
+feature(
+    "e23_diff_mean_z_bundle", lambda s, d: W.diff_mean_z_bundle(bars(s, d), ["volume", "close"]), ["volume_diff", "volume_mean", "volume_z", "close_diff"], (TICKS_SQL, BARS),
+    f"volume - lag(volume) OVER w AS volume_diff, round(avg(volume) OVER {frame(20)}, 6) AS volume_mean, round(CASE WHEN count(*) OVER {frame(20)} >= 20 THEN (volume - avg(volume) OVER {frame(20)}) / (stddev_samp(volume) OVER {frame(20)} + 1e-9) ELSE 0 END, 6) AS volume_z, round(close - lag(close) OVER w, 6) AS close_diff FROM bars {WINDOW}",
+)
+feature(
+    "e24_rolling_ols_slope", lambda s, d: W.rolling_ols_slope(bars(s, d), "close"), ["close_slope", "close_momentum"], (TICKS_SQL, BARS, f"n AS (SELECT *, row_number() OVER w AS i FROM bars {WINDOW})"),
+    f"round(CASE WHEN count(*) OVER {frame(10)} = 10 THEN regr_slope(close, i) OVER {frame(10)} END, 6) AS close_slope, round(close - lag(close, 10) OVER w, 6) AS close_momentum FROM n {WINDOW}",
+)
+feature(
+    "e25_consecutive_runs", lambda s, d: W.consecutive_runs(bars(s, d)).withColumns({c: F.col(c).cast("bigint") for c in ("up_run", "down_run")}), ["up_run", "down_run"],
+    (TICKS_SQL, BARS, f"x AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) AS s FROM bars {WINDOW})", "g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) - row_number() OVER (PARTITION BY symbol, s ORDER BY ts_event) AS k FROM x)", "m AS (SELECT *, row_number() OVER (PARTITION BY symbol, s, k ORDER BY ts_event) AS n FROM g)"),
+    "CASE WHEN s > 0 THEN n ELSE 0 END AS up_run, CASE WHEN s < 0 THEN n ELSE 0 END AS down_run FROM m",
+)
+query(
+    "e26_ewma_volatility",
+    recursive(*A, f"q AS (SELECT *, coalesce(ln(close / lag(close) OVER w), 0) AS x, row_number() OVER w AS i FROM atr {WINDOW})", """r(symbol, i, y) AS (SELECT symbol, i, x * x FROM q WHERE i = 1 UNION ALL SELECT q.symbol, q.i, r.y * 0.94 + 0.06 * q.x * q.x FROM r JOIN q ON q.symbol = r.symbol AND q.i = r.i + 1)""", select="SELECT q.symbol, ts_event, round(y * 1e6, 6) AS ewma_var FROM q JOIN r ON q.symbol = r.symbol AND q.i = r.i"),
+)(lambda s, d: rounded(W.ewma_volatility(AB(s, d)).select(*ID, (F.col("ewma_var") * 1e6).alias("ewma_var"))))
+
+
+def fd_weights(d=0.4, threshold=1e-3):
+    w, k = [1.0], 1
+    while abs(x := -w[-1] * (d - k + 1) / k) >= threshold:
+        w.append(x)
+        k += 1
+    return w
+
+
+FD = fd_weights()
+feature(
+    "e27_fractional_difference", lambda s, d: W.fractional_difference(bars(s, d), "close"), ["close_fd"], (TICKS_SQL, BARS, f"n AS (SELECT *, list(close ORDER BY ts_event DESC) OVER {frame(len(FD))} AS x FROM bars)"),
+    f"CASE WHEN len(x) = {len(FD)} THEN round(list_sum(list_transform(list_zip(x, {FD}), lambda z: z[1] * z[2])), 6) END AS close_fd FROM n",
+)
+feature(
+    "e28_daily_range_fuel", lambda s, d: W.daily_range_fuel(bars(s, d)), ["usual_range", "range_used"],
+    (TICKS_SQL, BARS, "dr AS (SELECT symbol, CAST(ts_event AS DATE) AS day, max(high) - min(low) AS r FROM bars GROUP BY ALL)", "du AS (SELECT symbol, day, CASE WHEN count(*) OVER x >= 5 THEN quantile_cont(r, 0.5) OVER x END AS u FROM dr WINDOW x AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"),
+    f"round(u, 6) AS usual_range, round((max(high) OVER d - min(low) OVER d) / CASE WHEN u IS NULL THEN 1e-9 ELSE greatest(u, 1e-9) END, 6) AS range_used FROM bars JOIN du USING (symbol) WHERE du.day = CAST(ts_event AS DATE) WINDOW d AS {DAY}",
+)
+query("e29_local_level_trend")(lambda s, d: rounded(W.local_level_trend(bars(s, d)).select(*ID, "level", "trend_sign")))
+feature(
+    "e30_causal_window_bundle", lambda s, d: W.causal_window_bundle(bars(s, d), "volume"), ["volume_lag_mean", "volume_lag_std", "volume_lag_min", "volume_lag_max"], (TICKS_SQL, BARS),
+    f"round(avg(volume) OVER {frame(10, 1)}, 6) AS volume_lag_mean, round(stddev_samp(volume) OVER {frame(10, 1)}, 6) AS volume_lag_std, min(volume) OVER {frame(10, 1)} AS volume_lag_min, max(volume) OVER {frame(10, 1)} AS volume_lag_max FROM bars",
+)
+feature(
+    "e31_fallback_fill", lambda s, d: W.fallback_fill(flow_bars(s, d).withColumn("signal", F.when(F.col("n_trades") > 2, F.col("ofi"))), {"signal": "buy_share"}, {"signal": (-0.5, 0.9)}), ["signal"], (TICKS_SQL, BARS, FLOW, FLOW_BARS),
+    "round(least(greatest(coalesce(CASE WHEN n_trades > 2 THEN ofi END, buy_share), -0.5), 0.9), 6) AS signal FROM flow_bars",
+)
+feature(
+    "e32_warmup_mask", lambda s, d: W.warmup_mask(W.session_break_flag(bars(s, d), 1.5), 5), ["warmup"], (TICKS_SQL, BARS, BREAK.replace("3 * median", "1.5 * median"), "g AS (SELECT *, sum(CAST(session_break AS INT)) OVER (PARTITION BY symbol ORDER BY ts_event) AS k FROM brk)"),
+    "row_number() OVER (PARTITION BY symbol, k ORDER BY ts_event) <= 5 AS warmup FROM g",
+)
+
+# Ticks
+TICK_FRAME = "(PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq ROWS BETWEEN {a} PRECEDING AND {b})"
+
+
+def tf(n: int, back: int = 0) -> str:
+    return TICK_FRAME.format(a=n - 1 + back, b=f"{back} PRECEDING" if back else "CURRENT ROW")
+
+
+TR = "tt AS (SELECT * FROM ticks WHERE action = 'T')"
+TW = "WINDOW w AS (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq)"
+
+
+def tick_feature(name, op, columns, ctes, select):
+    query(name, sql(*ctes, select=f"SELECT seq, {select}"))(lambda spark, d: rounded(op(market.ticks(spark, d)).select("seq", *columns)))
+
+
+tick_feature("f5_tape_speed", X.tape_speed_minutes, ["tape_speed"], (TICKS_SQL, TR), "count(*) OVER (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY epoch_us(ts_event) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS tape_speed FROM tt")
+tick_feature(
+    "f6_micro_range_burst_gap", X.micro_range_burst_gap, ["micro_range", "burst", "trade_gap_ms"], (TICKS_SQL, TR, f"x AS (SELECT *, abs(price - lag(price) OVER w) AS m, (epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER w) / 1000 AS g FROM tt {TW})"),
+    f"round(avg(m) OVER {tf(100)}, 6) AS micro_range, round(size / greatest(avg(size) OVER {tf(500, 1)}, 1e-9), 6) AS burst, round(avg(g) OVER {tf(50)}, 6) AS trade_gap_ms FROM x",
+)
+tick_feature(
+    "f2_absorption_intensity", X.absorption_intensity, ["absorption"], (TICKS_SQL, TR, f"x AS (SELECT *, sum({SIGNED}) OVER {tf(50)} AS fl, abs(price - lag(price, 49) OVER w) AS mv FROM tt {TW})", "y AS (SELECT *, abs(fl) / greatest(mv, 0.01) AS raw FROM x)"),
+    f"round(least(raw / greatest(quantile_cont(raw, 0.5) OVER {tf(200)}, 1e-9), 25), 6) AS absorption FROM y",
+)
+tick_feature(
+    "f9_net_signed_volume", X.net_signed_volume, ["net_signed"], (TICKS_SQL, TR, f"x AS (SELECT *, {SIGNED} AS s, CASE WHEN size > 2 * avg(size) OVER {tf(100)} THEN 2.0 ELSE 1.0 END AS k FROM tt)"),
+    f"round(sum(s * k) OVER {tf(100)} / greatest(sum(size * k) OVER {tf(100)}, 1e-9), 6) AS net_signed FROM x",
+)
+tick_feature(
+    "f10_session_vwap_z", X.session_vwap_z, ["session_vwap", "vwap_z"], (TICKS_SQL, TR, f"x AS (SELECT *, sum(price * size) OVER w / sum(size) OVER w AS v FROM tt {TW})", "y AS (SELECT *, price - v AS dv FROM x)"),
+    f"round(v, 6) AS session_vwap, round(CASE WHEN stddev_pop(dv) OVER {tf(500)} > 1e-6 THEN dv / stddev_pop(dv) OVER {tf(500)} ELSE 0 END, 4) AS vwap_z FROM y",
+)
+tick_feature(
+    "f12_liquidity_sweep", X.liquidity_sweep, ["sweep"], (TICKS_SQL, TR),
+    f"CASE WHEN max(price) OVER {tf(10)} > max(price) OVER {tf(40, 10)} AND price < max(price) OVER {tf(40, 10)} THEN -1 WHEN min(price) OVER {tf(10)} < min(price) OVER {tf(40, 10)} AND price > min(price) OVER {tf(40, 10)} THEN 1 ELSE 0 END AS sweep FROM tt",
+)
+query("f7_price_impact_lambda")(lambda s, d: rounded(X.price_impact_lambda(market.ticks(s, d)).select("seq", "impact")))
+query("f8_self_exciting_intensity")(lambda s, d: rounded(X.self_exciting_intensity(market.ticks(s, d)).select("seq", "intensity")))
+query("f13_fisher_turn_signal")(lambda s, d: rounded(X.fisher_turn_signal(market.ticks(s, d)).select("seq", "fisher")))
+
+# Book
+query("g1_book_imbalance", sql(BOOK_SQL, "s AS (SELECT *, list_sum(list_transform(list_zip(bid_sz, range(10)), lambda z: z[1] / (z[2] + 1))) AS wb, list_sum(list_transform(list_zip(ask_sz, range(10)), lambda z: z[1] / (z[2] + 1))) AS wa FROM book)", select="SELECT seq, round((wb - wa) / greatest(wb + wa, 1e-9), 6) AS imbalance, round(ask_px[1] - bid_px[1], 6) AS spread, list_sum(bid_sz) + list_sum(ask_sz) AS depth FROM s"))(lambda s, d: rounded(K.book_imbalance(market.book(s, d)).select("seq", "imbalance", "spread", "depth")))
+query("g2_top5_imbalance_microprice", sql(BOOK_SQL, "s AS (SELECT *, list_sum(bid_sz[1:5]) AS b5, list_sum(ask_sz[1:5]) AS a5 FROM book)", select="SELECT seq, round((b5 - a5) / greatest(b5 + a5, 1e-9), 6) AS imbalance5, round(CASE WHEN bid_sz[1] + ask_sz[1] > 0 THEN (bid_px[1] * ask_sz[1] + ask_px[1] * bid_sz[1]) / (bid_sz[1] + ask_sz[1]) ELSE (bid_px[1] + ask_px[1]) / 2 END, 6) AS microprice FROM s"))(lambda s, d: rounded(K.top5_imbalance_microprice(market.book(s, d)).select("seq", "imbalance5", "microprice")))
+query("g3_wall_scan", sql(BOOK_SQL, "m AS (SELECT *, avg((list_sum(bid_sz) + list_sum(ask_sz)) / 20) OVER (PARTITION BY symbol ORDER BY ts_event, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean_sz FROM book)", select="SELECT seq, round(mean_sz, 6) AS mean_size, CAST(coalesce(list_position(list_transform(bid_sz, lambda x: x >= 1.5 * mean_sz), true), 0) - 1 AS BIGINT) AS bid_wall, CAST(coalesce(list_position(list_transform(ask_sz, lambda x: x >= 1.5 * mean_sz), true), 0) - 1 AS BIGINT) AS ask_wall FROM m"))(lambda s, d: rounded(K.wall_scan(market.book(s, d), 1.5, 10).select("seq", "mean_size", "bid_wall", "ask_wall")))
+query("g5_withdrawal_detector", sql(BOOK_SQL, "x AS (SELECT *, list_sum(bid_sz[1:3]) + list_sum(ask_sz[1:3]) AS d3 FROM book)", "y AS (SELECT *, CASE WHEN action <> 'T' AND lag(d3) OVER v > d3 THEN lag(d3) OVER v - d3 ELSE 0 END AS dr, CASE WHEN action = 'T' THEN size ELSE 0 END AS tv FROM x WINDOW v AS (PARTITION BY symbol ORDER BY ts_event, seq))", select="SELECT seq, round(sum(dr) OVER f / greatest(sum(tv) OVER f, 1), 6) AS withdrawal FROM y WINDOW f AS (PARTITION BY symbol ORDER BY ts_event, seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"))(lambda s, d: rounded(K.withdrawal_detector(market.book(s, d)).select("seq", "withdrawal")))
+query("g4_gap_and_density", sql(BOOK_SQL, select="SELECT seq, CAST(len(list_filter(range(1, 10), lambda i: bid_sz[i] < 5 OR bid_sz[i + 1] < 5)) AS BIGINT) AS bid_gaps, round(list_sum(bid_sz) / greatest((bid_px[1] - bid_px[10]) / 0.01, 1), 6) AS bid_density FROM book"))(lambda s, d: rounded(K.gap_and_density(market.book(s, d)).select("seq", "bid_gaps", "bid_density")))
+query("g8_bar_book_snapshot", sql(BOOK_SQL, "i AS (SELECT symbol, date_trunc('hour', ts_event) AS b, seq, (list_sum(bid_sz) - list_sum(ask_sz)) / greatest(list_sum(bid_sz) + list_sum(ask_sz), 1e-9) AS im, bid_sz FROM book)", "k AS (SELECT *, row_number() OVER (PARTITION BY symbol, b ORDER BY abs(round(im, 9)) DESC, seq) AS n FROM i)", select="SELECT symbol, b AS ts_event, round(avg(im), 6) AS imbalance, round(avg(bid_sz[1]), 6) AS bid_size FROM k WHERE n <= 3 GROUP BY ALL"))(lambda s, d: rounded(K.bar_book_snapshot(market.book(s, d))))
+query("g9_trade_footprint", sql(TICKS_SQL, BARS, "f AS (SELECT t.symbol, b.ts_event, least(CAST(floor(abs(t.price - b.open) / 0.1) AS INT), 9) AS level, side, size FROM ticks t JOIN bars b ON t.symbol = b.symbol AND date_trunc('hour', t.ts_event) = b.ts_event WHERE action = 'T')", select="SELECT symbol, ts_event, level, sum(CASE WHEN side = 'A' THEN size ELSE 0 END) AS buy, sum(CASE WHEN side = 'B' THEN size ELSE 0 END) AS sell FROM f GROUP BY ALL"))(lambda s, d: K.trade_footprint(market.ticks(s, d), B.ohlcv_bars(market.ticks(s, d))))
