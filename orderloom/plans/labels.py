@@ -1,0 +1,129 @@
+"""Queries: regimes (H), event gates (I), labels (J), contract rolls (K), splits (L)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orderloom.operators import labels as L
+from orderloom.operators import rolls as R
+from orderloom.operators import splits as S
+from orderloom.operators import structure as H
+from orderloom.operators import windows as W
+from orderloom.plans.base import ATR, BARS, CONTRACTS_SQL, FLOW, FLOW_BARS, LABELS, TICKS_SQL, WINDOW, atr_bars, bars, flow_bars, frame, labelled, nxt, sql, stage
+from orderloom.plans.catalog import query
+from orderloom.plans.features import BREAK, ID, PREV, feature
+from orderloom.plans.flow import SESSION
+from orderloom.sources import market
+from orderloom.spec import rounded
+
+A = (TICKS_SQL, BARS, ATR)
+AL = (*A, LABELS)
+AB = lambda s, d: stage(atr_bars(s, d))
+MED = "quantile_cont({c}, 0.5) OVER {f}"
+REGIME = f"""rg AS (SELECT *, CASE WHEN volume < 0.3 * quantile_cont(volume, 0.5) OVER {frame(50, 1)} THEN 'low_liquidity'
+  WHEN atr > 1.4 * quantile_cont(atr, 0.5) OVER {frame(50, 1)} THEN 'volatile'
+  WHEN abs(close - lag(close, 10) OVER (PARTITION BY symbol ORDER BY ts_event)) / greatest(10 * atr, 1e-9) > 0.6 THEN 'trending' ELSE 'ranging' END AS regime FROM atr)"""
+regime = lambda s, d: L.regime_rule(AB(s, d))
+
+feature("h8_regime_rule", regime, ["regime"], (*A, REGIME), "regime FROM rg")
+query("h9_regime_group_rare", sql(*A, REGIME, select="SELECT CASE WHEN regime IN ('volatile', 'trending') THEN 'other' ELSE regime END AS regime, count(*) AS n FROM rg GROUP BY ALL"))(lambda s, d: L.regime_group_rare(regime(s, d), ("volatile", "trending")).groupBy("regime").agg(F.count(F.lit(1)).alias("n")))
+feature(
+    "h12_distribution_regime", lambda s, d: L.distribution_regime(bars(s, d)), ["ret_std", "ret_l1", "liquidity_ratio"], (TICKS_SQL, BARS, f"x AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM bars {WINDOW})"),
+    f"round(CASE WHEN count(ret) OVER {frame(50)} >= 20 THEN stddev_samp(ret) OVER {frame(50)} END, 6) AS ret_std, round(avg(abs(ret)) OVER {frame(50)}, 6) AS ret_l1, round(volume / greatest(avg(volume) OVER {frame(50)}, 1e-9), 6) AS liquidity_ratio FROM x",
+)
+query(
+    "h14_regime_session_label",
+    sql(*A, REGIME, f"z AS (SELECT regime || '|' || {SESSION} AS l FROM rg)", "c AS (SELECT l, count(*) AS n FROM z GROUP BY l)", "k AS (SELECT CASE WHEN n >= greatest(100.0, 0.005 * (SELECT count(*) FROM z)) THEN l ELSE 'other' END AS regime_session, n FROM c)", select="SELECT regime_session, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL"),
+)(lambda s, d: L.regime_session_label(regime(s, d).withColumn("session", W.session_name()), 100).groupBy("regime_session").agg(F.count(F.lit(1)).alias("n")))
+feature(
+    "h17_range_context_runs", lambda s, d: L.range_context_runs(flow_bars(s, d), "ofi").withColumn("range_run", F.col("range_run").cast("bigint")), ["range_like", "range_run"],
+    (TICKS_SQL, BARS, FLOW, FLOW_BARS, "x AS (SELECT *, abs(ofi) < 0.3 AS q FROM flow_bars)", "g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) - row_number() OVER (PARTITION BY symbol, q ORDER BY ts_event) AS k FROM x)"),
+    "q AS range_like, row_number() OVER (PARTITION BY symbol, q, k ORDER BY ts_event) AS range_run FROM g",
+)
+query("h1_zigzag_swings")(lambda s, d: H.zigzag_swings(AB(s, d)))
+query("h2_swing_class_score")(lambda s, d: rounded(H.swing_class_score(H.zigzag_swings(AB(s, d)))))
+query("h3_trend_maturity")(lambda s, d: H.trend_maturity(AB(s, d), H.zigzag_swings(AB(s, d))).select(*ID, "age", "maturity"))
+feature(
+    "h6_timeframe_alignment", lambda s, d: H.timeframe_alignment(bars(s, d)), ["alignment"], (TICKS_SQL, BARS, f"x AS (SELECT *, close - lag(close, 5) OVER w AS a, close - lag(close, 20) OVER w AS b, close - lag(close, 80) OVER w AS c FROM bars {WINDOW})"),
+    "CAST(sign(coalesce(sign(round(a, 9)), 0) + coalesce(sign(round(b, 9)), 0) + coalesce(sign(round(c, 9)), 0)) AS INTEGER) AS alignment FROM x",
+)
+query(
+    "h16_volatility_quartile",
+    sql(*A, "q AS (SELECT quantile_cont(atr / close, 0.25) AS a, quantile_cont(atr / close, 0.5) AS b, quantile_cont(atr / close, 0.75) AS c FROM atr)", select="SELECT CAST(CASE WHEN atr / close <= a THEN 1 WHEN atr / close <= b THEN 2 WHEN atr / close <= c THEN 3 ELSE 4 END AS INTEGER) AS quartile, count(*) AS n FROM atr, q GROUP BY ALL"),
+)(lambda s, d: H.volatility_quartile(AB(s, d)).groupBy("quartile").agg(F.count(F.lit(1)).alias("n")))
+
+# Events
+feature("i1_micro_event_gate", lambda s, d: L.micro_event_gate(flow_bars(s, d), {"ofi": 0.6, "buy_share": 0.4}, 0.5, 0.9, 0.02), ["event_score", "event_flag"], (TICKS_SQL, BARS, FLOW, FLOW_BARS), "round(ofi * 0.6 + buy_share * 0.4, 6) AS event_score, CAST(ofi * 0.6 + buy_share * 0.4 >= 0.47 AS INTEGER) AS event_flag FROM flow_bars")
+feature(
+    "i2_structure_event_gate", lambda s, d: L.structure_event_gate(stage(W.previous_period_levels(W.true_range_atr(flow_bars(s, d)))), "prev_day_high"), ["structure_event"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, ATR, PREV),
+    "CAST(hour(ts_event) BETWEEN 7 AND 21 AND abs(a.close - round(p.prev_day_high, 9)) / greatest(a.atr, 1e-9) <= 0.5 AND abs(round(f.ofi, 9)) >= 0.2 AS INTEGER) AS structure_event FROM atr a JOIN prev p USING (symbol, ts_event) JOIN flow_bars f USING (symbol, ts_event)",
+)
+feature(
+    "i3_event_direction_vote", lambda s, d: L.event_direction_vote(flow_bars(s, d).withColumn("move", F.round(F.col("close") - F.col("open"), 9)), ["ofi", "cvd_delta", "move"]), ["direction", "vote_kind"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, "v AS (SELECT *, sign(ofi) + sign(cvd_delta) + sign(round(close - open, 9)) AS q FROM flow_bars)"),
+    "CAST(sign(q) AS INTEGER) AS direction, CASE WHEN abs(q) >= 2 THEN 'strict' WHEN q <> 0 THEN 'weak' ELSE 'none' END AS vote_kind FROM v",
+)
+feature(
+    "i4_activity_event_filter", lambda s, d: L.activity_event_filter(flow_bars(s, d)).withColumn("activity_event", F.coalesce("activity_event", F.lit(0))), ["activity_event"], (TICKS_SQL, BARS, FLOW, FLOW_BARS),
+    f"coalesce(CAST(volume > 2.0 * avg(volume) OVER {frame(20, 1)} OR abs(ofi) > 0.5 AS INTEGER), 0) AS activity_event FROM flow_bars",
+)
+query(
+    "i6_sweep_events",
+    sql(*A, PREV, "g AS (SELECT a.*, round(p.prev_day_low, 9) AS lv FROM atr a JOIN prev p USING (symbol, ts_event))", select="SELECT symbol, ts_event, d AS depth, r AS reclaim FROM g, (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) x(d), (VALUES (true), (false)) y(r) WHERE low < lv - d * atr AND (NOT r OR close > lv)"),
+)(lambda s, d: L.sweep_events(stage(W.previous_period_levels(atr_bars(s, d))), "prev_day_low", (0.0, 0.5)))
+feature("i8_setup_class", lambda s, d: L.setup_class(W.candle_shape(stage(W.true_range_atr(flow_bars(s, d)))).withColumn("cancel_ratio", F.col("buy_share") / 3)), ["setup"], (*A, FLOW), "CASE WHEN round(buy_share, 9) / 3 > 0.25 THEN 'withdrawal' WHEN abs(round(ofi, 9)) > 0.5 THEN 'imbalance' WHEN (high - low) / greatest(atr, 1e-9) < 0.5 THEN 'absorption' ELSE 'mixed' END AS setup FROM atr JOIN cvd USING (symbol, ts_event)")
+feature("i9_liquidity_score", lambda s, d: L.liquidity_score(bars(s, d)), ["liquidity_score"], (TICKS_SQL, BARS), "round(least(greatest(20 * log10(1 + volume), 0), 100), 6) AS liquidity_score FROM bars")
+
+# Labels
+feature("j1_triple_barrier", labelled, ["label", "label_end"], AL, "label, label_end FROM labelled")
+CLOSES = f"c24 AS (SELECT *, list(close) OVER {nxt(24)} AS x FROM atr), f24 AS (SELECT *, list_filter(x, lambda v: v >= close + atr OR v <= close - atr)[1] AS f FROM c24)"
+feature("j2_close_barrier_labels", lambda s, d: L.close_barrier_labels(AB(s, d)), ["close_label", "close_valid"], (*A, CLOSES), "CASE WHEN f >= close + atr THEN 1 WHEN f <= close - atr THEN -1 ELSE 0 END AS close_label, f IS NOT NULL OR coalesce(len(x), 0) = 24 AS close_valid FROM f24")
+feature(
+    "j4_dual_side_scan", lambda s, d: L.dual_side_scan(AB(s, d)), ["long_win", "short_win"],
+    (*A, f"h AS (SELECT *, list({{'h': high, 'l': low}}) OVER {nxt(24)} AS x, greatest(atr, 1e-9) AS u FROM atr), e AS (SELECT *, list_filter(x, lambda b: b.h >= close + 1.5 * u OR b.l <= close - u)[1] AS lo, list_filter(x, lambda b: b.l <= close - 1.5 * u OR b.h >= close + u)[1] AS sh FROM h)"),
+    "CAST(lo IS NOT NULL AND NOT coalesce(lo.l <= close - u, false) AS INTEGER) AS long_win, CAST(sh IS NOT NULL AND NOT coalesce(sh.h >= close + u, false) AS INTEGER) AS short_win FROM e",
+)
+EXC = f"ex AS (SELECT *, (max(high) OVER {nxt(12)} - close) / greatest(atr, 1e-9) AS mfe, (close - min(low) OVER {nxt(12)}) / greatest(atr, 1e-9) AS mae FROM labelled)"
+feature("j5_excursion_labels", lambda s, d: L.excursion_labels(AB(s, d)), ["mfe", "mae", "excursion_dir"], (*AL, EXC), "round(mfe, 6) AS mfe, round(mae, 6) AS mae, CASE WHEN mfe > mae THEN 1 WHEN mfe < mae THEN -1 ELSE 0 END AS excursion_dir FROM ex")
+feature("j7_trend_veto", lambda s, d: L.trend_veto(labelled(s, d).withColumn("trend", F.coalesce(F.round(F.col("close") - F.lag("close", 4).over(L.by_time()), 9), F.lit(0.0)))), ["vetoed_label"], AL, f"CASE WHEN sign(t) * label < 0 AND abs(t) >= 0.5 THEN 0 ELSE label END AS vetoed_label FROM (SELECT *, coalesce(round(close - lag(close, 4) OVER w, 9), 0) AS t FROM labelled {WINDOW})")
+feature("j8_forward_return", lambda s, d: W.forward_return(bars(s, d), 5), ["fwd_ret_5"], (TICKS_SQL, BARS), f"round(lead(close, 5) OVER w / close - 1, 6) AS fwd_ret_5 FROM bars {WINDOW}")
+feature("j9_log_target", lambda s, d: L.log_target(bars(s, d), 4, 0.003), ["target_valid", "log_target"], (TICKS_SQL, BARS), f"lead(close, 4) OVER w IS NOT NULL AS target_valid, round(least(greatest(ln(lead(close, 4) OVER w / close), CASE WHEN lead(close, 4) OVER w IS NULL THEN NULL ELSE -0.003 END), 0.003 + 0 * lead(close, 4) OVER w), 6) AS log_target FROM bars {WINDOW}")
+feature("j11_soft_labels_rule", lambda s, d: L.soft_labels_rule(L.excursion_labels(labelled(s, d))), ["p_up", "confidence"], (*AL, EXC), "round(0.5 + 0.5 * label * least(CASE WHEN mfe IS NULL THEN NULL ELSE abs(mfe - mae) / 4 END, CASE WHEN mfe IS NULL THEN 1 ELSE 1 END), 6) AS p_up, round(abs(0.5 * label * least(abs(mfe - mae) / 4, 1)) * 2, 6) AS confidence FROM ex")
+NEAR = [f"{f}(label, {k}) OVER w" for k in (1, 3, 5) for f in ("lag", "lead")]
+feature("j15_label_stability", lambda s, d: L.label_stability(labelled(s, d)), ["label_stability"], AL, "round((" + " + ".join(f"coalesce(CAST({x} = label AS INT), 0)" for x in NEAR) + ") / greatest(" + " + ".join(f"CAST({x} IS NOT NULL AS INT)" for x in NEAR) + f", 1), 6) AS label_stability FROM labelled {WINDOW}")
+feature(
+    "j17_imbalance_flip_label", lambda s, d: L.imbalance_flip_label(rounded(flow_bars(s, d), 9), "ofi"), ["flip"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, f"x AS (SELECT *, list(round(ofi, 9)) OVER {nxt(6)} AS x FROM flow_bars)"),
+    "CAST(coalesce(len(list_filter(x, lambda v: sign(v) = -sign(ofi) AND abs(v) >= 0.1 AND v <> 0)), 0) > 0 AS INTEGER) AS flip FROM x",
+)
+feature("j18_r_multiple_labels", lambda s, d: L.r_multiple_labels(labelled(s, d).where("label is not null")).withColumn("r_class", F.col("r_class")), ["max_r", "r_class"], (*AL, f"q AS (SELECT *, CASE WHEN label >= 0 THEN max(high) OVER {nxt(12)} - close ELSE close - min(low) OVER {nxt(12)} END AS b FROM labelled WHERE label IS NOT NULL)", "m AS (SELECT *, least(greatest(b / greatest(atr, 1e-9), 0), 5) AS r FROM q)"), "round(r, 6) AS max_r, CASE WHEN r >= 2 THEN 3 WHEN r >= 1 THEN 2 WHEN r >= 0.5 THEN 1 ELSE 0 END AS r_class FROM m")
+feature("j19_sweep_volume_label", lambda s, d: L.sweep_volume_label(bars(s, d), 6, 2.0), ["volume_sweep"], (TICKS_SQL, BARS), f"CAST(coalesce(max(volume) OVER {nxt(6)} >= 2 * quantile_cont(volume, 0.5) OVER {frame(20)}, false) AS INTEGER) AS volume_sweep FROM bars")
+feature("j21_risk_tier_label", lambda s, d: L.risk_tier_label(AB(s, d), 100, 1.05, 1.2), ["risk_tier"], (*A, f"m AS (SELECT *, quantile_cont(atr, 0.5) OVER {frame(100, 1)} AS m FROM atr)"), "CASE WHEN atr / greatest(m, 1e-9) >= 1.2 THEN 2 WHEN atr / greatest(m, 1e-9) >= 1.05 THEN 1 ELSE 0 END AS risk_tier FROM m WHERE true")
+feature(
+    "j22_bars_to_flip", lambda s, d: L.bars_to_flip(flow_bars(s, d), "cvd_delta", 6).withColumn("bars_to_flip", F.col("bars_to_flip").cast("bigint")), ["bars_to_flip"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, f"x AS (SELECT *, list(cvd_delta) OVER {nxt(6)} AS x FROM flow_bars)"),
+    "CASE WHEN len(x) = 6 THEN coalesce(CAST(list_position(list_transform(x, lambda v: sign(v) * sign(cvd_delta) < 0), true) AS BIGINT), 7) END AS bars_to_flip FROM x",
+)
+feature("j23_clean_segment_mask", lambda s, d: L.clean_segment_mask(W.session_break_flag(bars(s, d), 1.5)), ["clean_segment"], (TICKS_SQL, BARS, BREAK.replace("3 * median", "1.5 * median")), "sum(CAST(session_break AS INT)) OVER (PARTITION BY symbol ORDER BY ts_event ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) = 0 AS clean_segment FROM brk")
+query(
+    "j24_sequence_windows",
+    sql(TICKS_SQL, BARS, f"x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) AS i, sum(volume) OVER {frame(16)} AS v, count(*) OVER {frame(16)} AS n FROM bars)", select="SELECT symbol, ts_event, n AS width, v AS volume FROM x WHERE n = 16 AND (i - 16) % 4 = 0"),
+)(lambda s, d: L.sequence_windows(bars(s, d), ["volume", "close"]).select(*ID, F.size("window_rows").cast("bigint").alias("width"), F.aggregate("window_rows", F.lit(0.0), lambda a, r: a + r["volume"]).alias("volume")))
+
+# Rolls and sets
+CT = market.contracts
+query("k1_parse_contract_code", "SELECT c AS code, 'ES' AS root, c[3] AS letter, position(c[3] IN 'FGHJKMNQUVXZ') AS month, CAST(c[4] AS INTEGER) AS year FROM (SELECT DISTINCT 'ES' || 'FGHJKMNQUVXZ'[month(l_shipdate)] || CAST(year(l_shipdate) % 10 AS VARCHAR) AS c FROM lineitem)")(lambda s, d: R.parse_contract_code(R.codes(CT(s, d)), "code"))
+DAILY = "daily AS (SELECT CAST(ts_event AS DATE) AS day, sum(CASE WHEN contract = 'near' THEN size ELSE 0 END) AS near, sum(CASE WHEN contract = 'far' THEN size ELSE 0 END) AS far FROM contracts GROUP BY ALL)"
+ROLL = "roll AS (SELECT min(day) AS roll_day FROM daily WHERE far > near)"
+query("k2_roll_day_by_volume", sql(CONTRACTS_SQL, DAILY, ROLL, select="SELECT roll_day FROM roll"))(lambda s, d: R.roll_day_by_volume(CT(s, d)))
+OFFSET = "offs AS (SELECT quantile_cont(price, 0.5) FILTER (contract = 'far') - quantile_cont(price, 0.5) FILTER (contract = 'near') AS add_to_old FROM contracts, roll WHERE CAST(ts_event AS DATE) >= roll_day - 30 AND CAST(ts_event AS DATE) < roll_day + 30)"
+query("k3_roll_offset", sql(CONTRACTS_SQL, DAILY, ROLL, OFFSET, select="SELECT round(add_to_old, 6) AS add_to_old FROM offs"))(lambda s, d: rounded(R.roll_offset(CT(s, d), R.roll_day_by_volume(CT(s, d)), 30).select("add_to_old")))
+query("k4_continuous_series", sql(CONTRACTS_SQL, DAILY, ROLL, OFFSET, select="SELECT seq, round(CASE WHEN contract = 'near' THEN price + add_to_old ELSE price END, 6) AS price, CAST(ts_event AS DATE) = roll_day AS is_roll FROM contracts, roll, offs WHERE (contract = 'near' AND CAST(ts_event AS DATE) < roll_day) OR (contract = 'far' AND CAST(ts_event AS DATE) >= roll_day)"))(lambda s, d: rounded(R.continuous_series(CT(s, d), R.roll_offset(CT(s, d), R.roll_day_by_volume(CT(s, d)), 30)).select("seq", "price", "is_roll")))
+query("k7_roll_continuity_check", sql(TICKS_SQL, BARS, select="SELECT symbol, count(*) AS jumps FROM (SELECT symbol, abs(open - lag(close) OVER (PARTITION BY symbol ORDER BY ts_event)) / 0.01 AS g FROM bars) WHERE g > 20.0001 GROUP BY ALL"))(lambda s, d: R.roll_continuity_check(bars(s, d), 0.01, 20.0001))
+query("k9_key_set_difference", sql(TICKS_SQL, BARS, "b2 AS (SELECT symbol, ts_event FROM bars WHERE volume > 50)", select="SELECT 'only_a' AS side, count(*) AS n FROM (SELECT symbol, ts_event FROM bars EXCEPT SELECT * FROM b2) UNION ALL SELECT 'only_b', 0 UNION ALL SELECT 'both', count(*) FROM b2"))(lambda s, d: R.key_set_difference(bars(s, d), bars(s, d).where("volume > 50")))
+
+# Splits
+NUM = "nn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) AS i, count(*) OVER (PARTITION BY symbol) AS m FROM labelled)"
+query("l1_purged_split", sql(*AL, NUM, "st AS (SELECT symbol, min(ts_event) AS t FROM nn WHERE i > floor(0.8 * m) GROUP BY ALL)", "sp AS (SELECT CASE WHEN i > floor(0.8 * m) THEN 'test' WHEN label_end >= t THEN 'purged' ELSE 'train' END AS part FROM nn LEFT JOIN st USING (symbol))", select="SELECT part, count(*) AS n FROM sp GROUP BY ALL"))(lambda s, d: S.purged_split(labelled(s, d)).groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+query("l2_three_way_split", sql(*AL, NUM, "p AS (SELECT CASE WHEN i <= floor(0.6 * m) - 5 THEN 'train' WHEN i > floor(0.6 * m) AND i <= floor(0.8 * m) - 5 THEN 'validation' WHEN i > floor(0.8 * m) THEN 'test' ELSE 'gap' END AS part FROM nn)", select="SELECT part, count(*) AS n FROM p GROUP BY ALL"))(lambda s, d: S.three_way_split(labelled(s, d), 0.6, 0.2, 5).groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+query("l3_expanding_walk_forward", sql(*AL, NUM, "f AS (SELECT *, k, floor(m * (k + 1) / 6) AS a, floor(m * (k + 2) / 6) AS b FROM nn, range(5) r(k))", "g AS (SELECT k AS fold, CASE WHEN i > a AND i <= b THEN 'test' WHEN i <= a - 10 THEN 'train' END AS part FROM f)", select="SELECT CAST(fold AS INTEGER) AS fold, part, count(*) AS n FROM g WHERE part IS NOT NULL GROUP BY ALL"))(lambda s, d: S.expanding_walk_forward(labelled(s, d), 5, 10).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n")))
+query("l4_combinatorial_purged_cv", sql(*AL, NUM, "g AS (SELECT CAST(least(floor((i - 1) * 5 / m), 4) AS INT) AS g FROM nn)", "c AS (SELECT a.range AS a, b.range AS b FROM range(5) a, range(5) b WHERE a.range < b.range)", select="SELECT CAST(a AS INTEGER) AS test_a, CAST(b AS INTEGER) AS test_b, count(*) FILTER (g IN (a, b)) AS n_test, count(*) FILTER (g NOT IN (a, b)) AS n_train FROM g, c GROUP BY ALL"))(lambda s, d: S.combinatorial_cv(labelled(s, d), 5))
+query("l5_month_folds", "SELECT CAST(k AS INTEGER) AS fold, DATE '1995-01-01' + to_months(CAST(12 + 6 * k AS INTEGER)) AS test_start, DATE '1995-01-01' + to_months(CAST(18 + 6 * k AS INTEGER)) AS test_end FROM range(20) r(k), (SELECT max(l_shipdate) AS m FROM lineitem) WHERE DATE '1995-01-01' + to_months(CAST(18 + 6 * k AS INTEGER)) <= m")(lambda s, d: S.month_folds(CT(s, d)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("test_start", "test_end")}))
+feature("l9_embargo_tail", lambda s, d: L.embargo_tail(labelled(s, d), 10), ["label"], (*AL, NUM), "CASE WHEN i <= m - 10 THEN label END AS label FROM nn")
