@@ -1,0 +1,81 @@
+"""Trades and execution analysis."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from orderloom.spec import KEY, TS, ahead
+
+
+def candidate_exits(bars: DataFrame, direction: str, tp: float = 1.5, sl: float = 1.0, horizon: int = 12, cost: float = 0.01) -> DataFrame:
+    """For each event bar (direction not 0): exit reason, exit time and result in price after costs. The stop wins inside one bar."""
+    d = F.signum(direction)
+    b = bars.withColumn("_w", F.collect_list(F.struct(F.col(TS).alias("t"), "high", "low", "close")).over(ahead(horizon))).where(F.coalesce(d, F.lit(0.0)) != 0)
+    up = d > 0
+    stop = lambda x: F.when(up, x["low"] <= F.col("close") - sl * F.col("atr")).otherwise(x["high"] >= F.col("close") + sl * F.col("atr"))
+    target = lambda x: F.when(up, x["high"] >= F.col("close") + tp * F.col("atr")).otherwise(x["low"] <= F.col("close") - tp * F.col("atr"))
+    b = b.where(F.size("_w") > 0).withColumn("_e", F.get(F.filter("_w", lambda x: stop(x) | target(x)), F.lit(0))).withColumn("_l", F.get("_w", F.size("_w") - 1))
+    reason = F.when(F.col("_e").isNull(), "timeout").when(stop(F.col("_e")), "stop").otherwise("target")
+    b = b.withColumn("exit_reason", reason).withColumn("ts_exit", F.coalesce("_e.t", "_l.t"))
+    gross = F.when(F.col("exit_reason") == "stop", -sl * F.col("atr")).when(F.col("exit_reason") == "target", tp * F.col("atr")).otherwise(d * (F.col("_l.close") - F.col("close")))
+    return b.select(KEY, TS, F.col("ts_exit"), d.cast("int").alias("side"), "exit_reason", (gross - cost).alias("pnl"))
+
+
+def one_at_a_time(candidates: DataFrame, cooldown_bars: int = 0) -> DataFrame:
+    """Of a symbol's candidate trades those taken when only one may be open: a sequential pick over event rows alone."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(TS, ignore_index=True)
+        free, keep = None, []
+        for a, b in zip(pdf[TS], pdf["ts_exit"], strict=True):
+            ok = free is None or a >= free
+            keep.append(ok)
+            free = b if ok else free
+        return pdf[keep]
+
+    return candidates.groupBy(KEY).applyInPandas(run, schema)
+
+
+def equity_drawdown(trades: DataFrame) -> DataFrame:
+    """Cumulative result, its maximum so far and the drawdown, by symbol in order of exit."""
+    w = Window.partitionBy(KEY).orderBy("ts_exit", TS).rowsBetween(Window.unboundedPreceding, 0)
+    e = trades.withColumn("equity", F.sum("pnl").over(w))
+    return e.withColumn("drawdown", F.greatest(F.max("equity").over(w), F.lit(0.0)) - F.col("equity"))
+
+
+def trade_metrics(trades: DataFrame, *by: str) -> DataFrame:
+    gain, loss = F.sum(F.greatest("pnl", F.lit(0.0))), -F.sum(F.least("pnl", F.lit(0.0)))
+    return trades.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.sum("pnl").alias("pnl"), (gain / F.greatest(loss, F.lit(1e-9))).alias("profit_factor"))
+
+
+def stress_grid(candidates: DataFrame, scenarios: dict[str, float]) -> DataFrame:
+    """The metrics under further costs a trade, one row a scenario."""
+    grid = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(c).alias("extra")) for n, c in scenarios.items()])
+    t = candidates.select("*", F.explode(grid).alias("g")).withColumn("pnl", F.col("pnl") - F.col("g.extra")).withColumn("scenario", F.col("g.scenario"))
+    return trade_metrics(t, "scenario")
+
+
+def depth_slippage(fills: DataFrame, base: float = 0.5, mid: float = 1.0, extra: float = 0.25) -> DataFrame:
+    """Ticks by size over first-level depth: flat below 1, a ramp to 3, then more for each further unit."""
+    r = F.col("size") / F.greatest("depth", F.lit(1.0))
+    return fills.withColumn("slippage_ticks", F.when(r <= 1, base).when(r <= 3, base + (mid - base) * (r - 1) / 2).otherwise(mid + extra * (r - 3)))
+
+
+def slippage_calibration(log: DataFrame) -> DataFrame:
+    """Slope through the origin of realised on model ticks, and mean of both, by region."""
+    return log.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.avg("model").alias("model"), F.avg("realised").alias("realised"), (F.sum(F.col("model") * F.col("realised")) / F.sum(F.col("model") * F.col("model"))).alias("slope"))
+
+
+def top_rules(rules: DataFrame, group: str, metric: str, least: int, k: int) -> DataFrame:
+    """The k best rules of each group with enough trades."""
+    n = F.row_number().over(Window.partitionBy(group).orderBy(F.col(metric).desc(), "rule"))
+    return rules.where(F.col("n") >= least).withColumn("place", n).where(F.col("place") <= k)
+
+
+def daily_loss_guard(trades: DataFrame, max_loss: float, max_trades: int) -> DataFrame:
+    """blocked: the day's result before the trade is at or below -max_loss, or its number of trades is at the limit."""
+    w = Window.partitionBy(KEY, F.to_date(TS)).orderBy(TS).rowsBetween(Window.unboundedPreceding, -1)
+    return trades.withColumn("blocked", F.coalesce(F.sum("pnl").over(w) <= -max_loss, F.lit(False)) | (F.count("pnl").over(w) >= max_trades))
