@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orderloom.llm.common import arrow_schema, hash_words, mix, slices, words_of
+from orderloom.llm.common import arrow_schema, hash_words, mix, slices, tidy, words_of
 
 MASKS = ("111011011011", "110111101101", "101110111011")
 SPAN = 12
@@ -157,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     cols += [pa.array([g[k] for g in got], pa.int64() if k == 1 else pa.int32()) for k in range(1, 6)]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "doc_word", "item_word", "words", "equal_words"])
 
-        found = rows.mapInArrow(run, FOUND)
+        found = rows.mapInArrow(tidy(run), FOUND)
         if len(index.same) > len(index.ids):  # items of equal words: no more rows than the part has items
             same = spark.createDataFrame(index.same, "item_id bigint, other bigint")
             found = found.join(F.broadcast(same), "item_id").select("doc_id", F.col("other").alias("item_id"), "doc_word", "item_word", "words", "equal_words")
@@ -180,7 +180,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                     keep = part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
                     yield pa.RecordBatch.from_arrays([c.cast(k.type) for c, k in zip(keep.columns, kinds, strict=True)], names=kinds.names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidy(run), schema)
     return out
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import hash_words, mix, slices, staged, words_of
+from orderloom.llm.common import hash_words, mix, release, slices, staged, tidy, words_of
 from orderloom.llm.ngram_trie import CODES, NgramTrie
 
 DISCOUNT = 0.75
@@ -74,7 +74,7 @@ def chunked(rows: DataFrame) -> DataFrame:
                 blobs = [docs.tobytes(), train.tobytes(), (n + 1).astype("<u4").tobytes(), pack(narrow(tokens)), words.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), *[pa.array([b], pa.binary()) for b in blobs]], ["chunk", "docs", "train", "sizes", "tokens", "words"])
 
-    return rows.mapInArrow(run, CHUNKS)
+    return rows.mapInArrow(tidy(run), CHUNKS)
 
 
 class Chunk:
@@ -138,7 +138,7 @@ def asked(chunks: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
                         out.append((int(s), 2, r["chunk"], c.hashes[c.v[heads]].tobytes(), pack(narrow(sizes)), prints[at].tobytes(), pack(narrow(learnt[at]))))
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "level", "chunk", "a", "b", "c", "d"])
 
-    return chunks.select("chunk", "train", "sizes", "tokens", "words").mapInArrow(run, ASKED)
+    return chunks.select("chunk", "train", "sizes", "tokens", "words").mapInArrow(tidy(run), ASKED)
 
 
 def answer(hot: np.ndarray):
@@ -171,6 +171,7 @@ def answer(hot: np.ndarray):
                 mine = hot[np.isin(hot, contexts[seen])]
                 fan = trie.query(mine, np.zeros(len(mine), np.int64), np.zeros(0, np.uint32))[1]
                 out.append((-1, shard, 0, mine.tobytes(), fan.astype(np.int64).tobytes()))
+        release()
         return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate((("level", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("x", pa.binary()), ("y", pa.binary())))})
 
     return run
@@ -188,7 +189,7 @@ def frequent(chunks: DataFrame) -> np.ndarray:
                 w = np.concatenate([c.words[at], [START, np.uint64(0)]]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.concatenate([counts[at], [len(c.sizes), len(c.tokens)]]))], ["w", "n"])
 
-    sums = chunks.select("train", "sizes", "tokens", "words").mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    sums = chunks.select("train", "sizes", "tokens", "words").mapInArrow(tidy(run), "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     total = sums.where("w = 0").agg(F.sum("n")).first()[0] or 0
     rows = sums.where((F.col("w") != 0) & (F.col("n") * HOT_SHARE > total)).select("w").collect()
     return np.sort(np.array([r.w for r in rows], np.int64).view(np.uint64))

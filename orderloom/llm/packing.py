@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import slices, staged, words_of
+from orderloom.llm.common import slices, staged, tidy, words_of
 from orderloom.llm.token_counts import vocabulary
 
 CAPACITY, OPEN_BINS, SHARD_TOKENS = 2048, 4096, 1 << 24
@@ -57,7 +57,7 @@ class OpenBins:
 
 
 class WordIds:
-    """The ids of words, kept between batches. Beyond KEPT distinct words it starts afresh."""
+    """The ids of words, kept between the batches of a partition. Beyond KEPT distinct words it starts afresh."""
 
     KEPT = 1_000_000
 
@@ -141,8 +141,9 @@ def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int, with_ids: bo
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(begin, offsets[-1]), pa.int32()), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        word_ids(path).clear()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -172,7 +173,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, s
             yield pa.RecordBatch.from_arrays(cols, [batch.schema.names[i] for i in keep] + ["sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint"
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(tidy(run), schema)
 
 
 def pack_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import hash_words, mix, slices, staged, words_of
+from orderloom.llm.common import hash_words, mix, release, slices, staged, tidy, words_of
 from orderloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -103,7 +103,7 @@ def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
                     rows.append((int(b), 1, sig[r[new]].tobytes(), np.diff(np.append(new, len(r))).astype(np.uint16).tobytes(), low.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "kind", "a", "b", "c"])
 
-    return docs.mapInArrow(run, PASS)
+    return docs.mapInArrow(tidy(run), PASS)
 
 
 def shared(table: pa.Table) -> pa.Table:
@@ -136,6 +136,8 @@ def shared(table: pa.Table) -> pa.Table:
     else:
         owner = token = df = np.zeros(0, np.int64)
     k, m = len(ids), len(owner)
+    del rows, docs, sets, raw, ranked, twice
+    release()
     zero = lambda x: np.zeros(x, np.int64)
     return pa.table({
         "kind": pa.array(np.repeat([0, 1], [k, m]).astype(np.int32)), "doc_id": pa.array(np.concatenate([ids, zero(m)])), "sig": pa.array(np.concatenate([sig, owner])),

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import slices
+from orderloom.llm.common import slices, tidy
 
-#: Distinct pre-tokens whose counts a worker keeps; beyond it starts afresh (a count is then worked out again).
+#: Distinct pre-tokens whose counts a worker keeps within a partition; beyond it starts afresh (a count is then worked out again).
 CACHE = 1_000_000
 NONE = np.int64(1 << 40)
 
@@ -144,8 +144,9 @@ def token_counts(docs: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str
                 texts = part.column("text").to_pylist()
                 n = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(m.totals(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        m.known.clear()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, n_tokens bigint")
 
 
 def op9_token_counts(docs: DataFrame, limit: int = 512) -> DataFrame:

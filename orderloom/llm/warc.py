@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import shared_folder, staged
+from orderloom.llm.common import shared_folder, staged, tidy
 
 MAGIC = "WARC/1.0\r\n"
 CLOSE = "\r\n\r\n"
@@ -140,7 +140,7 @@ def candidates(raw: DataFrame, keep: bool) -> DataFrame:
         if rows:
             yield close(key, rows)
 
-    return raw.mapInArrow(run, INDEX)
+    return raw.mapInArrow(tidy(run), INDEX)
 
 
 def reached(index: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                 idx.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(idx, pa.int32()), batch.column(2)], ["file", "block", "idx", "value"])
 
-    pieces = raw.mapInArrow(numbered, "file string, block bigint, idx int, value binary").join(parts, ["file", "block", "idx"])
+    pieces = raw.mapInArrow(tidy(numbered), "file string, block bigint, idx int, value binary").join(parts, ["file", "block", "idx"])
     sewn = pieces.groupBy("file", "off").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("p"))
     glue = F.aggregate(F.slice("p", 2, F.size("p")), F.element_at("p", 1)["value"], lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["value"]))
 
@@ -219,7 +219,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
             kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True)]], ["file", "off", *cols])
 
-    return whole.unionByName(sewn.select("file", "off", glue.alias("value")).mapInArrow(parse, f"file string, off bigint, {PARSED}"))
+    return whole.unionByName(sewn.select("file", "off", glue.alias("value")).mapInArrow(tidy(parse), f"file string, off bigint, {PARSED}"))
 
 
 def op8_warc(pages: DataFrame, path: str | None = None) -> DataFrame:
