@@ -1,0 +1,71 @@
+"""Queries: streaming operators (P), run over the events in order of time, in a few micro-batches."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from orderloom.plans.base import BARS, FLOW, TICKS_SQL, sql
+from orderloom.plans.catalog import query
+from orderloom.sources import market
+from orderloom.spec import rounded
+from orderloom.streaming import jobs
+
+PARTS = 3
+
+
+def folder(spark) -> str:
+    """A folder that executors share: the session's spark.checkpoint.dir, a temporary one where it names none."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}").rstrip("/")
+
+
+def in_parts(df):
+    """The rows in a few parts of ascending time."""
+    cuts = df.agg(F.percentile(F.unix_micros(F.col("ts_event").cast("timestamp")), F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])).alias("c")).first().c
+    at = F.unix_micros(F.col("ts_event").cast("timestamp"))
+    edges = [None, *cuts, None]
+    return [df.where(F.lit(True) if a is None else at > a).where(F.lit(True) if b is None else at <= b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def streamed(spark, d, job):
+    return jobs.replay(in_parts(market.ticks(spark, d)), job, f"{folder(spark)}/orderloom-{uuid.uuid4().hex}")
+
+
+def plain(df, *times):
+    """Zoned times back to plain ones (the session is in UTC)."""
+    for c in times:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+# A bar comes out once the watermark (latest time less ten minutes) has passed its end; the last micro-batch sees all of it.
+CLOSED = "WHERE ts_event + INTERVAL 1 HOUR <= (SELECT max(ts_event) - INTERVAL 10 MINUTE FROM ticks)"
+query("p1_streaming_bars", sql(TICKS_SQL, BARS, FLOW, select=f"SELECT symbol, ts_event, open, high, low, close, volume, cvd_delta FROM bars JOIN cvd USING (symbol, ts_event) {CLOSED}"))(lambda s, d: plain(streamed(s, d, jobs.streaming_bars), "ts_event"))
+query("p3_stateful_flow_features", sql(TICKS_SQL, "t AS (SELECT *, CASE WHEN side = 'A' THEN size ELSE -size END AS g FROM ticks WHERE action = 'T')", select="SELECT symbol, ts_event, seq, sum(g) OVER w AS session_cvd, round(sum(price * size) OVER w / sum(size) OVER w, 6) AS session_vwap FROM t WINDOW w AS (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq)"))(lambda s, d: rounded(plain(streamed(s, d, jobs.stateful_flow), "ts_event")))
+query("p8_late_and_duplicate_ticks", sql(TICKS_SQL, select="SELECT symbol, seq, ts_event, price FROM ticks"))(lambda s, d: plain(streamed(s, d, jobs.late_and_duplicate_ticks), "ts_event").select("symbol", "seq", "ts_event", "price"))
+query(
+    "p9_session_windows",
+    sql(TICKS_SQL, "g AS (SELECT *, CASE WHEN ts_event > lag(ts_event) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts_event, seq))", "k AS (SELECT *, sum(b) OVER (PARTITION BY symbol ORDER BY ts_event, seq) AS k FROM g)", "x AS (SELECT symbol, k, min(ts_event) AS session_start, max(ts_event) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_ticks, sum(size) AS size FROM k GROUP BY ALL)", select="SELECT symbol, session_start, session_end, n_ticks, size FROM x WHERE session_end <= (SELECT max(ts_event) - INTERVAL 10 MINUTE FROM ticks)"),
+)(lambda s, d: plain(streamed(s, d, jobs.session_windows), "session_start", "session_end"))
+
+
+@query(
+    "p7_drift_monitor_stream",
+    sql(TICKS_SQL, "b AS (SELECT symbol, avg(size) AS bm, stddev_samp(size) AS bs FROM ticks WHERE action = 'T' GROUP BY ALL)", "w AS (SELECT symbol, time_bucket(INTERVAL 3 HOUR, ts_event) - k * INTERVAL 3 HOUR AS s, size FROM ticks, (VALUES (0), (1)) v(k) WHERE action = 'T')", "m AS (SELECT symbol, s, avg(size) AS m FROM w GROUP BY ALL)", select="SELECT symbol, s AS ts_event, round(m, 6) AS mean_size, round(abs(m - bm) / greatest(bs, 1e-9), 6) AS drift FROM m JOIN b USING (symbol) WHERE s + INTERVAL 6 HOUR <= (SELECT max(ts_event) - INTERVAL 10 MINUTE FROM ticks)"),
+)
+def p7(spark, d):
+    base = market.ticks(spark, d).where("action = 'T'").groupBy("symbol").agg(F.avg("size").alias("base_mean"), F.stddev_samp("size").alias("base_std"))
+    return rounded(plain(streamed(spark, d, lambda t: jobs.drift_monitor(t, base)), "ts_event"))
+
+
+@query(
+    "p2_streaming_event_gate",
+    sql(TICKS_SQL, BARS, select="SELECT symbol, ts_event, volume, CAST(coalesce(volume > 2.0 * avg(volume) OVER (PARTITION BY symbol ORDER BY ts_event ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), false) AS INTEGER) AS activity_event FROM bars"),
+)
+def p2(spark, d):
+    from orderloom.operators.bars import ohlcv_bars
+
+    b = ohlcv_bars(market.ticks(spark, d)).select("symbol", "ts_event", "volume")
+    return plain(jobs.replay(in_parts(b), jobs.activity_gate, f"{folder(spark)}/orderloom-{uuid.uuid4().hex}"), "ts_event")
