@@ -11,15 +11,13 @@ from orderloom.operators.clean import micros
 from orderloom.spec import KEY, TS, is_trade, median, signed_size
 
 EPS = 1e-9
-DAY = Window.partitionBy(KEY, F.to_date(TS))
 
-
-def last(n: int, back: int = 0):
-    return DAY.orderBy(TS, "seq").rowsBetween(-(n - 1) - back, -back)
+def order():
+    return Window.partitionBy(KEY, F.to_date(TS)).orderBy(TS, "seq")
 
 
-def order():
-    return DAY.orderBy(TS, "seq")
+def last(n: int, back: int = 0):
+    return order().rowsBetween(-(n - 1) - back, -back)
 
 
 def trades(ticks: DataFrame) -> DataFrame:
@@ -35,7 +33,7 @@ def absorption_intensity(ticks: DataFrame, n: int = 50, floor: float = 0.01, win
 
 def tape_speed(ticks: DataFrame, seconds: float = 1.0) -> DataFrame:
     """Trades in the last seconds: a range frame over time."""
-    w = DAY.orderBy("_us").rangeBetween(-int(seconds * 1e6), 0)
+    w = Window.partitionBy(KEY, F.to_date(TS)).orderBy("_us").rangeBetween(-int(seconds * 1e6), 0)
     return trades(ticks).withColumn("_us", micros()).withColumn("tape_speed", F.count(F.lit(1)).over(w)).drop("_us")
 
 

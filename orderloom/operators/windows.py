@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from orderloom.functions.scan import affine_scan, ewm
 from orderloom.operators.clean import micros
 from orderloom.spec import KEY, SESSIONS, TS, ahead, by_time, median, so_far, trailing
 
 EPS = 1e-9
-DAY = Window.partitionBy(KEY, F.to_date(TS)).orderBy(TS)
-DAY_SO_FAR = DAY.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def day() -> WindowSpec:
+    return Window.partitionBy(KEY, F.to_date(TS)).orderBy(TS)
+
+
+def day_so_far() -> WindowSpec:
+    return day().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def session_break_flag(bars: DataFrame, factor: float = 3.0) -> DataFrame:
@@ -93,15 +100,15 @@ def session_flags(bars: DataFrame) -> DataFrame:
 def session_running_levels(bars: DataFrame, start: int = 7, end: int = 12) -> DataFrame:
     """Running high and low of the day's hours from start to end, frozen after; the close before."""
     inside = (F.hour(TS) >= start) & (F.hour(TS) < end)
-    hi, lo = F.max(F.when(inside, F.col("high"))).over(DAY_SO_FAR), F.min(F.when(inside, F.col("low"))).over(DAY_SO_FAR)
+    hi, lo = F.max(F.when(inside, F.col("high"))).over(day_so_far()), F.min(F.when(inside, F.col("low"))).over(day_so_far())
     bars = bars.withColumn("sess_high", F.coalesce(hi, F.col("close"))).withColumn("sess_low", F.coalesce(lo, F.col("close")))
     return bars.withColumn("dist_sess_high", (F.col("sess_high") - F.col("close")) / F.greatest("atr", F.lit(EPS))).withColumn("dist_sess_low", (F.col("close") - F.col("sess_low")) / F.greatest("atr", F.lit(EPS)))
 
 
 def asia_distances(bars: DataFrame) -> DataFrame:
     a = in_session("asia")
-    hi, lo = F.max(F.when(a, F.col("high"))).over(DAY_SO_FAR), F.min(F.when(a, F.col("low"))).over(DAY_SO_FAR)
-    return bars.withColumn("dist_asia_high", (F.col("close") - F.coalesce(hi, F.col("close"))) / F.greatest("atr", F.lit(EPS))).withColumn("dist_asia_low", (F.col("close") - F.coalesce(lo, F.col("close"))) / F.greatest("atr", F.lit(EPS))).withColumn("vol_session_ratio", F.col("volume") / F.greatest(F.avg("volume").over(DAY_SO_FAR), F.lit(EPS)))
+    hi, lo = F.max(F.when(a, F.col("high"))).over(day_so_far()), F.min(F.when(a, F.col("low"))).over(day_so_far())
+    return bars.withColumn("dist_asia_high", (F.col("close") - F.coalesce(hi, F.col("close"))) / F.greatest("atr", F.lit(EPS))).withColumn("dist_asia_low", (F.col("close") - F.coalesce(lo, F.col("close"))) / F.greatest("atr", F.lit(EPS))).withColumn("vol_session_ratio", F.col("volume") / F.greatest(F.avg("volume").over(day_so_far()), F.lit(EPS)))
 
 
 def previous_period_levels(bars: DataFrame) -> DataFrame:
@@ -120,7 +127,7 @@ def previous_period_levels(bars: DataFrame) -> DataFrame:
 def mid_levels(bars: DataFrame) -> DataFrame:
     """Previous day's midpoint, and each session's running high and low up to the previous bar of it."""
     bars = bars.withColumn("prev_day_mid", (F.col("prev_day_high") + F.col("prev_day_low")) / 2)
-    before = DAY.rowsBetween(Window.unboundedPreceding, -1)
+    before = day().rowsBetween(Window.unboundedPreceding, -1)
     for s in ("asia", "london", "ny"):
         bars = bars.withColumn(f"{s}_high", F.max(F.when(in_session(s), F.col("high"))).over(before)).withColumn(f"{s}_low", F.min(F.when(in_session(s), F.col("low"))).over(before))
     return bars
@@ -175,12 +182,12 @@ def consecutive_runs(bars: DataFrame) -> DataFrame:
 
 
 def seasonal_calendar(bars: DataFrame) -> DataFrame:
-    day = F.to_date(TS)
+    date = F.to_date(TS)
     turn = lambda x, n: (2 * 3.141592653589793 * x / n)
     return bars.select(
-        "*", F.weekday(day).alias("weekday"), F.dayofmonth(day).alias("month_day"), F.weekofyear(day).alias("week"), F.quarter(day).alias("quarter"),
-        (F.dayofmonth(day) <= 3).alias("month_start"), (F.datediff(F.last_day(day), day) < 3).alias("month_end"),
-        F.sin(turn(F.weekday(day), 7)).alias("weekday_sin"), F.cos(turn(F.weekday(day), 7)).alias("weekday_cos"),
+        "*", F.weekday(date).alias("weekday"), F.dayofmonth(date).alias("month_day"), F.weekofyear(date).alias("week"), F.quarter(date).alias("quarter"),
+        (F.dayofmonth(date) <= 3).alias("month_start"), (F.datediff(F.last_day(date), date) < 3).alias("month_end"),
+        F.sin(turn(F.weekday(date), 7)).alias("weekday_sin"), F.cos(turn(F.weekday(date), 7)).alias("weekday_cos"),
         F.greatest(F.lit(0), (F.hour(TS) - 7) * 60 + F.minute(TS)).alias("minutes_since_london"),
     )
 
@@ -239,10 +246,10 @@ def fractional_difference(df: DataFrame, column: str, d: float = 0.4, threshold:
 def daily_range_fuel(bars: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
     """The day's range so far over the median range of the last completed days."""
     bars = bars.withColumn("_d", F.to_date(TS))
-    day = bars.groupBy(KEY, "_d").agg((F.max("high") - F.min("low")).alias("_r"))
+    daily = bars.groupBy(KEY, "_d").agg((F.max("high") - F.min("low")).alias("_r"))
     w = Window.partitionBy(KEY).orderBy("_d").rowsBetween(-n, -1)
-    usual = day.select(KEY, "_d", F.when(F.count("_r").over(w) >= least, median("_r").over(w)).alias("usual_range"))
-    run = F.max("high").over(DAY_SO_FAR) - F.min("low").over(DAY_SO_FAR)
+    usual = daily.select(KEY, "_d", F.when(F.count("_r").over(w) >= least, median("_r").over(w)).alias("usual_range"))
+    run = F.max("high").over(day_so_far()) - F.min("low").over(day_so_far())
     return bars.join(usual, [KEY, "_d"], "left").withColumn("range_used", run / F.greatest("usual_range", F.lit(EPS))).drop("_d")
 
 
