@@ -59,7 +59,7 @@ class OpenBins:
 class WordIds:
     """The ids of words, kept between the batches of a partition. Beyond KEPT distinct words it starts afresh."""
 
-    KEPT = 1_000_000
+    KEPT, AT_ONCE = 400_000, 20_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -77,7 +77,7 @@ class WordIds:
             self.clear()
         new = [w for w in words if w not in self.known]
         if new:
-            got = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+            got = [e.ids for i in range(0, len(new), self.AT_ONCE) for e in self.library.encode_batch_fast(new[i : i + self.AT_ONCE], add_special_tokens=False)]
             size = np.array([len(g) for g in got], np.int64)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int, with_ids: bo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = vocab if vocab.startswith("/") else vocabulary(vocab)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 offsets, ids = encode(path, part.column("text"), end_id)
                 size = np.diff(offsets)
                 n = -(-size // capacity)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from orderloom.llm.common import slices, tidy
 
 #: Distinct pre-tokens whose counts a worker keeps within a partition; beyond it starts afresh (a count is then worked out again).
-CACHE = 1_000_000
+CACHE = 500_000
 NONE = np.int64(1 << 40)
 
 
@@ -140,7 +140,7 @@ def token_counts(docs: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(vocab if vocab.startswith("/") else vocabulary(vocab))
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 n = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(m.totals(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
