@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("flow", "features", "labels", "statistics", "state", "composed")
+MODULES = ("flow", "features", "labels", "statistics", "state", "composed", "rest")
 
 
 def query(name: str, sql: str | None = None):

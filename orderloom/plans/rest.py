@@ -1,0 +1,107 @@
+"""Queries: sinks and contracts that write, sequential gates, book windows, grids and trackers."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from orderloom.operators import joins as J
+from orderloom.operators import more as X
+from orderloom.operators import stats as M
+from orderloom.operators import structure as H
+from orderloom.operators import studies as S
+from orderloom.operators import ticks as K
+from orderloom.operators import windows as W
+from orderloom.plans.base import BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, SIGNED, TICKS_SQL, WINDOW, bars, flow_bars, frame, nxt, sql
+from orderloom.plans.catalog import query
+from orderloom.plans.composed import CELLS
+from orderloom.plans.features import ID, feature, tf
+from orderloom.plans.labels import AB, A
+from orderloom.plans.state import folder
+from orderloom.sources import market
+from orderloom.spec import rounded
+
+T, BK = market.ticks, market.book
+FA = (TICKS_SQL, BARS, FLOW, FLOW_BARS)
+new = lambda s: f"{folder(s)}/orderloom-{uuid.uuid4().hex}"
+
+
+@query("a3_csv_to_parquet_ingest", sql(TICKS_SQL, select="SELECT symbol, count(*) AS n, sum(size) AS size FROM ticks GROUP BY ALL"))
+def a3(spark, d):
+    t, path = T(spark, d), new(spark)
+    t.write.option("header", True).csv(f"{path}/csv")
+    market.csv_to_parquet(spark, f"{path}/csv", f"{path}/pq", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema))
+    return spark.read.parquet(f"{path}/pq").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+
+
+@query("a6_bar_checkpoint", sql(TICKS_SQL, BARS, select="SELECT * FROM bars"))
+def a6(spark, d):
+    path = new(spark)
+    X.write_checkpoint(bars(spark, d), path, "1 hour", "utc")
+    return X.read_checkpoint(spark, path, "1 hour", "utc")
+
+
+@query("a11_parquet_shards", sql(TICKS_SQL, select="SELECT seq, price FROM ticks"))
+def a11(spark, d):
+    path = new(spark)
+    market.parquet_shards(T(spark, d), path, 1000)
+    return spark.read.parquet(path).select("seq", "price")
+
+
+@query("a12_execution_log_sink", sql(TICKS_SQL, select="SELECT seq, size FROM ticks WHERE action = 'T'"))
+def a12(spark, d):
+    path = new(spark)
+    market.execution_log_sink(T(spark, d).where("action = 'T'").select("seq", "size"), path)
+    return spark.read.schema("seq bigint, size double").json(path)
+
+
+@query("c5_alignment_assert", sql(TICKS_SQL, BARS, select="SELECT symbol, ts_event FROM bars"))
+def c5(spark, d):
+    J.alignment_assert(bars(spark, d), flow_bars(spark, d), "bars and flow")
+    return bars(spark, d).select(*ID)
+
+
+@query("f1_tick_feature_job")
+def f1(spark, d):
+    t = T(spark, d)
+    out = K.absorption_intensity(t).select("seq", "absorption")
+    for f, c in ((K.tape_speed_minutes, "tape_speed"), (K.net_signed_volume, "net_signed"), (K.session_vwap_z, "vwap_z"), (K.self_exciting_intensity, "intensity")):
+        out = out.join(f(t).select("seq", c), "seq")
+    return rounded(out)
+
+
+query("f3_cancel_ratio", sql(TICKS_SQL, f"w AS (SELECT *, CASE WHEN action = 'A' THEN 0.0 WHEN action = 'C' AND size > 2 * avg(size) OVER {tf(100)} THEN 1.0 WHEN action = 'C' THEN 0.3 END AS w FROM ticks)", select=f"SELECT seq, round(CAST(coalesce(avg(w) OVER {tf(500)}, 0) AS DOUBLE), 6) AS cancel_ratio FROM w"))(lambda s, d: rounded(S.cancel_ratio(T(s, d)).select("seq", "cancel_ratio")))
+query("f18_order_feature_rows", sql(TICKS_SQL, "o AS (SELECT *, date_trunc('hour', ts_event) AS b FROM ticks)", "n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol, b) AS n, count(*) OVER (PARTITION BY symbol, b, order_id) AS repeats, first_value(price) OVER w AS p FROM o WINDOW w AS (PARTITION BY symbol, b ORDER BY ts_event, seq))", select="SELECT seq, round(ln(1 + size), 6) AS log_size, round(price - p, 6) AS distance, round(i / n, 6) AS place, repeats FROM n WHERE n <= 3 OR floor(i * 3 / n) <> floor((i - 1) * 3 / n)"))(lambda s, d: rounded(S.order_rows(T(s, d), most=3).select("seq", "log_size", "distance", "place", "repeats")))
+query("g6_liquidity_trap")(lambda s, d: rounded(S.liquidity_trap(BK(s, d)).select("seq", "trap")))
+query("g13_flow_only_book", sql(TICKS_SQL, select=f"SELECT symbol, date_trunc('hour', t.ts_event) AS ts_event, sum(greatest({SIGNED}, 0)) AS buy, sum(greatest(-({SIGNED}), 0)) AS sell, 0.0::DOUBLE AS depth, false AS has_book FROM ticks t WHERE action = 'T' GROUP BY ALL"))(lambda s, d: S.flow_only_book(T(s, d)))
+query("g12_rolling_book_window", sql(TICKS_SQL, BARS, f"n AS (SELECT *, row_number() OVER w AS i FROM bars {WINDOW})", select="SELECT a.symbol, a.ts_event, CAST(k AS INTEGER) AS lag, b.volume FROM n a, range(5) r(k), n b WHERE b.symbol = a.symbol AND b.i = a.i - k"))(lambda s, d: S.rolling_book_window(bars(s, d).select(*ID, "volume"), bars(s, d), 5).select(*ID, "lag", "volume"))
+query("g15_book_fidelity_check", sql(BOOK_SQL, CELLS, select="SELECT count(*) AS n, count(*) FILTER (bid_log IS NULL) AS missing, 0::BIGINT AS apart FROM cells"))(lambda s, d: S.book_fidelity(X.depth_channels(BK(s, d)), BK(s, d)))
+PH = f"ph AS (SELECT *, (close - min(low) OVER {frame(20)}) / greatest(max(high) OVER {frame(20)} - min(low) OVER {frame(20)}, 1e-9) AS pl, tanh((close - avg(close) OVER {frame(20)}) / greatest(atr, 1e-9)) AS sl FROM atr), pe AS (SELECT *, exp(1 - abs(sl) - pl) AS a, exp(sl + pl) AS b, exp(pl - abs(sl)) AS c, exp(-sl + 1 - pl) AS e FROM ph)"
+feature("h4_cycle_phase_probs", lambda s, d: S.cycle_phase(AB(s, d)), ["p_accumulation", "p_markup", "p_markdown"], (*A, PH), "round(a / (a + b + c + e), 6) AS p_accumulation, round(b / (a + b + c + e), 6) AS p_markup, round(e / (a + b + c + e), 6) AS p_markdown FROM pe")
+query("h5_rolling_hurst")(lambda s, d: rounded(S.rolling_hurst(bars(s, d)).select(*ID, "hurst")))
+query("h7_cycle_feature_pack")(lambda s, d: rounded(S.cycle_phase(AB(s, d)).join(S.rolling_hurst(bars(s, d)).select(*ID, "hurst"), ID).join(H.timeframe_alignment(bars(s, d)).select(*ID, "alignment"), ID).select(*ID, "p_markup", "hurst", "alignment")))
+query("h11_regime_mixture")(lambda s, d: S.regime_mixture(flow_bars(s, d), ["ofi", "volume"]).groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+query("i5_adaptive_rate_gate")(lambda s, d: S.adaptive_rate_gate(flow_bars(s, d).withColumn("score", F.abs("ofi")), "score"))
+SCEN = [(1.0, 1.0, 24), (0.8, 1.0, 12), (1.2, 1.0, 24)]
+query("j13_soft_labels_scenarios")(lambda s, d: rounded(S.scenario_soft_labels(AB(s, d), SCEN)))
+feature("j16_wall_break_label", lambda s, d: S.wall_break(AB(s, d).withColumn("wall_px", F.col("close") + F.col("atr") / 2)), ["wall_break"], A, f"CAST(coalesce(max(high) OVER {nxt(6)} > close + atr / 2, false) AS INTEGER) AS wall_break FROM atr")
+query("k6_combine_quarters", sql(TICKS_SQL, BARS, select="SELECT symbol, ts_event, close, CASE WHEN ts_event >= TIMESTAMP '2024-01-12' THEN volume END AS volume FROM bars"))(lambda s, d: S.combine_quarters([bars(s, d).where("ts_event < timestamp_ntz '2024-01-15'").select(*ID, "close"), bars(s, d).where("ts_event >= timestamp_ntz '2024-01-12'").select(*ID, "close", "volume")]).select(*ID, "close", "volume"))
+query("m17_edge_grid_scan")(lambda s, d: rounded(S.edge_grid(W.session_flags(bars(s, d)), ["session"], [1, 4]).select("name", "n", "m", "p", "p_adjusted", "rejected")))
+
+
+@query("m22_redundancy_filter_mrmr")
+def m22(spark, d):
+    kept = M.redundancy_filter(flow_bars(spark, d), ["ofi", "cvd_delta", "buy_share", "volume", "n_trades"], 0.8)
+    return M.column_profile(flow_bars(spark, d), kept).select("column")
+
+
+query("n11_label_grid_diagnostics", sql(*A, LABELS, select="SELECT 1.0::DOUBLE AS multiple, CAST(24 AS INTEGER) AS horizon, label, count(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY ALL"))(lambda s, d: S.label_grid(AB(s, d), [1.0], [24]))
+query("o6_non_overlapping_predictions")(lambda s, d: rounded(S.non_overlapping(flow_bars(s, d).withColumn("signal", F.when(F.abs("ofi") > 0.5, F.col("ofi")).otherwise(0.0)))))
+query("o9_signal_replay")(lambda s, d: rounded(S.signal_replay(T(s, d).where("action = 'T'"), BK(s, d))))
+feature("p4_virtual_trade_tracker", lambda s, d: S.tracked_trades(flow_bars(s, d), "cvd_delta"), ["favourable", "adverse"], (*FA, f"x AS (SELECT *, max(high) OVER {nxt(12)} - close AS u, close - min(low) OVER {nxt(12)} AS n FROM flow_bars)"), "round(CASE WHEN cvd_delta > 0 THEN u ELSE n END, 6) AS favourable, round(CASE WHEN cvd_delta > 0 THEN n ELSE u END, 6) AS adverse FROM x WHERE cvd_delta <> 0")
+query("p6_range_state_filter")(lambda s, d: S.range_state_filter(flow_bars(s, d)).select(*ID, "boundary", "passes"))
+query(
+    "g11_thirteen_channel_book",
+    sql(BOOK_SQL, CELLS, "z AS (SELECT *, round(exp(bid_log) - 1, 6) AS s, greatest(round(quantile_cont(exp(bid_log) - 1, 0.5) OVER (PARTITION BY symbol, seq), 6), 1.0) AS m FROM cells)", "y AS (SELECT *, CASE WHEN s < 5 THEN level END AS t FROM z)", "x AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY symbol, seq ORDER BY level) AS b, first_value(t IGNORE NULLS) OVER (PARTITION BY symbol, seq ORDER BY level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f, lag(bid_log, 5) OVER (PARTITION BY symbol, level ORDER BY ts_event, seq) AS g FROM y)", select="SELECT seq, level, CASE WHEN s >= 10 * m THEN 3 WHEN s >= 5 * m THEN 2 WHEN s >= 3 * m THEN 1 ELSE 0 END AS wall_tier, CAST(s < 5 AS INTEGER) AS thin, least(level - b, f - level) AS gap_distance, round((bid_log - g) / 5, 6) AS gradient FROM x"),
+)(lambda s, d: rounded(S.thirteen_channels(X.depth_channels(BK(s, d))).select("seq", "level", "wall_tier", "thin", "gap_distance", "gradient")))
