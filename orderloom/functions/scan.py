@@ -12,22 +12,35 @@ from pyspark.sql import functions as F
 from orderloom.spec import KEY, TS, by_time
 
 
-def affine_scan(df: DataFrame, a: Column, b: Column, out: str, chunk: int = 128) -> DataFrame:
-    """Adds `out`: y of each row, y before the first row being 0."""
-    x = df.withColumn("_a", a).withColumn("_b", b).withColumn("_i", F.row_number().over(by_time()) - 1).withColumn("_c", F.floor(F.col("_i") / chunk))
+def affine_scans(df: DataFrame, steps: dict[str, tuple[Column, Column]], chunk: int = 128) -> DataFrame:
+    """Adds for each name y of its (a, b), y before the first row being 0. All recurrences share the passes over the rows."""
+    names = list(steps)
+    x = df.withColumns({f"_a{i}": steps[n][0] for i, n in enumerate(names)} | {f"_b{i}": steps[n][1] for i, n in enumerate(names)})
+    x = x.withColumn("_i", F.row_number().over(by_time()) - 1).withColumn("_c", F.floor(F.col("_i") / chunk))
     w = Window.partitionBy(KEY, "_c").orderBy(TS).rowsBetween(Window.unboundedPreceding, 0)
-    steps = F.collect_list(F.struct("_a", "_b")).over(w)
     start = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("y"))
-    fold = lambda s: F.aggregate(s, start, lambda acc, z: F.struct((acc["m"] * z["_a"]).alias("m"), (acc["y"] * z["_a"] + z["_b"]).alias("y")))
-    x = x.withColumn("_fold", fold(steps))
-    heads = x.groupBy(KEY, "_c").agg(F.max_by("_fold", "_i").alias("_g"))
-    past = F.collect_list(F.struct(F.col("_g.m").alias("_a"), F.col("_g.y").alias("_b"))).over(Window.partitionBy(KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
-    carry = heads.select(KEY, "_c", fold(past)["y"].alias("_in"))
-    return x.join(carry, [KEY, "_c"]).withColumn(out, F.col("_fold.m") * F.col("_in") + F.col("_fold.y")).drop("_a", "_b", "_i", "_c", "_fold", "_in")
+    fold = lambda s: F.aggregate(s, start, lambda acc, z: F.struct((acc["m"] * z["a"]).alias("m"), (acc["y"] * z["a"] + z["b"]).alias("y")))
+    each = range(len(names))
+    x = x.withColumns({f"_fold{i}": fold(F.collect_list(F.struct(F.col(f"_a{i}").alias("a"), F.col(f"_b{i}").alias("b"))).over(w)) for i in each})
+    heads = x.groupBy(KEY, "_c").agg(*[F.max_by(f"_fold{i}", "_i").alias(f"_g{i}") for i in each])
+    before = Window.partitionBy(KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    carry = heads.select(KEY, "_c", *[fold(F.collect_list(F.struct(F.col(f"_g{i}.m").alias("a"), F.col(f"_g{i}.y").alias("b"))).over(before))["y"].alias(f"_in{i}") for i in each])
+    out = x.join(carry, [KEY, "_c"]).withColumns({n: F.col(f"_fold{i}.m") * F.col(f"_in{i}") + F.col(f"_fold{i}.y") for i, n in enumerate(names)})
+    return out.drop("_i", "_c", *[f"_{k}{i}" for i in each for k in ("a", "b", "fold", "in")])
+
+
+def affine_scan(df: DataFrame, a: Column, b: Column, out: str, chunk: int = 128) -> DataFrame:
+    """Adds `out`: y of each row, y before the first row being 0."""
+    return affine_scans(df, {out: (a, b)}, chunk)
+
+
+def ewms(df: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exponential means (column, alpha) that start at the first value."""
+    df = df.withColumn("_first", F.row_number().over(by_time()) == 1)
+    step = lambda c, alpha: (F.when(F.col("_first"), 0.0).otherwise(1 - alpha), F.when(F.col("_first"), F.col(c)).otherwise(alpha * F.col(c)))
+    return affine_scans(df, {out: step(c, alpha) for out, (c, alpha) in means.items()}).drop("_first")
 
 
 def ewm(df: DataFrame, column: str, alpha: float, out: str) -> DataFrame:
     """Exponential mean that starts at the first value."""
-    first = F.row_number().over(by_time()) == 1
-    df = df.withColumn("_first", first)
-    return affine_scan(df, F.when(F.col("_first"), 0.0).otherwise(1 - alpha), F.when(F.col("_first"), F.col(column)).otherwise(alpha * F.col(column)), out).drop("_first")
+    return ewms(df, {out: (column, alpha)})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from orderloom.functions.scan import affine_scan, ewm
+from orderloom.functions.scan import affine_scan, ewm, ewms
 from orderloom.operators.clean import micros
 from orderloom.spec import KEY, SESSIONS, TS, ahead, by_time, median, so_far, trailing
 
@@ -66,7 +66,7 @@ def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def macd_histogram(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewm(ewm(bars, "close", 2 / (fast + 1), "_f"), "close", 2 / (slow + 1), "_s").withColumn("macd", F.col("_f") - F.col("_s"))
+    df = ewms(bars, {"_f": ("close", 2 / (fast + 1)), "_s": ("close", 2 / (slow + 1))}).withColumn("macd", F.col("_f") - F.col("_s"))
     return ewm(df, "macd", 2 / (signal + 1), "_g").withColumn("macd_hist", F.col("macd") - F.col("_g")).drop("_f", "_s", "_g")
 
 
