@@ -57,32 +57,62 @@ class OpenBins:
 
 
 class WordIds:
-    """The ids of words, kept between the batches of a partition. Beyond KEPT distinct words it starts afresh."""
+    """The ids of words, kept between the batches of a partition. Beyond KEPT distinct words it starts afresh.
 
-    KEPT, AT_ONCE = 400_000, 20_000
+    The vocabulary lowers case and cuts words into letters, digits and runs of other characters before it merges. A word of letters with
+    plain marks behind it so has the ids of its letters, then those of its marks; only letters not met before go to the
+    library, many at once, told apart by the tokens that end words.
+    """
+
+    KEPT, AT_ONCE, MARKS = 150_000, 500, ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {"": []}
         self.first, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def alone(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def learn(self, letters: list[str]) -> None:
+        for i in range(0, len(letters), self.AT_ONCE):
+            some = letters[i : i + self.AT_ONCE]
+            ids = self.library.encode(" ".join(some), add_special_tokens=False).ids
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            one = [ids[x:y] for x, y in zip([0, *cut[:-1]], cut, strict=True)] if len(cut) == len(some) and cut[-1] == len(ids) else self.alone(some)
+            self.parts.update(zip(some, one, strict=True))
+
+    def split(self, word: str) -> tuple[str, str] | None:
+        """Letters and marks, or None for a word of another kind."""
+        stem = word.rstrip(self.MARKS)
+        return (stem.lower() if stem.isascii() else stem, word[len(stem) :]) if stem.isalpha() else None
+
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """first, size of each word's ids in the pool, and the pool."""
         if len(self.known) > self.KEPT:
             self.clear()
         new = [w for w in words if w not in self.known]
         if new:
-            got = [e.ids for i in range(0, len(new), self.AT_ONCE) for e in self.library.encode_batch_fast(new[i : i + self.AT_ONCE], add_special_tokens=False)]
+            cut = [self.split(w) for w in new]
+            self.learn(list({c[0]: None for c in cut if c and c[0] not in self.parts}))
+            marks = list({c[1]: None for c in cut if c and c[1] not in self.parts})
+            self.parts.update(zip(marks, self.alone(marks), strict=True))
+            other = iter(self.alone([w for w, c in zip(new, cut, strict=True) if c is None]))
+            got = [next(other) if c is None else self.parts[c[0]] + self.parts[c[1]] for c in cut]
             size = np.array([len(g) for g in got], np.int64)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, np.array([i for g in got for i in g], np.uint32)])
+            self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         return self.first[at], self.size[at], self.pool
 
@@ -124,7 +154,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int, with_ids: bo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = vocab if vocab.startswith("/") else vocabulary(vocab)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 offsets, ids = encode(path, part.column("text"), end_id)
                 size = np.diff(offsets)
                 n = -(-size // capacity)
