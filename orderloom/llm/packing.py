@@ -64,7 +64,7 @@ class WordIds:
     library, many at once, told apart by the tokens that end words.
     """
 
-    KEPT, AT_ONCE, MARKS = 150_000, 500, ".,;:!?"
+    KEPT, AT_ONCE, MARKS = 500_000, 500, ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
