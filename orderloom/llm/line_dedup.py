@@ -7,7 +7,9 @@
 3. In each band's bucket every line is compared with the bucket's pivot, its most frequent line; a bucket of any size
    costs one comparison a line. Lines in buckets are then banded once more, by each three of the four values: lines that
    met only by two common shingles part, and those that are still outside their new pivot's component are compared with
-   it. Comparisons are exact, on whole shingle sets.
+   it. What is then still outside of its bucket's pivot's component is compared with all lines of the bucket from other
+   components, in blocks, each pair once: no pair that banding proposes and that could join two components goes unseen.
+   Comparisons are exact, on whole shingle sets.
 4. Components by distributed union-find; of each the earliest line (by doc_id, then line number) stays.
 
 A one-word change touches about three shingles, so that 0.65 on these shingles is about 0.8 on five-character ones.
@@ -25,6 +27,8 @@ from orderloom.llm.components import components
 
 SHINGLE, SIMILARITY, SIGNATURE = 16, 0.65, 4
 ORDER_STEP = 1 << 31
+#: Lines of a bucket that one task compares with the whole bucket, about.
+BLOCK = 512
 
 
 def squeezed(line: Column) -> Column:
@@ -64,11 +68,15 @@ def distinct_lines(signed: DataFrame) -> DataFrame:
     return signed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first"), F.min("doc_id").alias("first_doc"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(SIGNATURE)])
 
 
+def band_keys(values: int) -> Column:
+    """The bands of a line: a key for each choice of so many of the signature's values, null where a value is missing."""
+    some = combinations([f"s{i}" for i in range(SIGNATURE)], values)
+    return F.array(*[F.when(F.col(names[-1]).isNotNull(), F.xxhash64(*names)) for names in some])
+
+
 def buckets(lines: DataFrame, values: int) -> DataFrame:
     """key, h1, pivot: the members of buckets of two lines or more. A key is made of so many of the signature's values."""
-    some = combinations([f"s{i}" for i in range(SIGNATURE)], values)
-    keys = F.array(*[F.when(F.col(names[-1]).isNotNull(), F.xxhash64(*names)) for names in some])
-    rows = lines.select("h1", "n", F.explode(keys).alias("key")).where("key is not null")
+    rows = lines.select("h1", "n", F.explode(band_keys(values)).alias("key")).where("key is not null")
     weight = F.col("n").cast("double") + F.pmod("h1", F.lit(1 << 20)) / F.lit(float(1 << 21))
     heads = rows.groupBy("key").agg(F.max_by("h1", weight).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     return rows.join(heads, "key").select("key", "h1", "pivot")
@@ -82,6 +90,27 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common >= SIMILARITY * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
 
+def rest_links(near: DataFrame, members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The similar pairs (a, b) that share a bucket and lie in different components of `labels` (node, component).
+
+    At least one line of such a pair is outside of the component of their bucket's pivot. These lines meet all others of
+    the bucket, in blocks of about BLOCK lines. A pair is compared where it is made, and only in the first of its buckets.
+    """
+    own = labels.select(F.col("node").alias("h1"), F.col("component").alias("c"))
+    head = labels.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
+    placed = members.join(own, "h1", "left").join(head, "pivot", "left").select("key", "h1", "pivot", F.coalesce("c", "h1").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
+    placed = staged(placed, "line-placed")
+    blocks = placed.groupBy("key").agg(F.count_if(F.col("c") != F.col("pc")).alias("outside")).where("outside > 0").select("key", F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks"))
+    lines = near.select("h1", F.array_compact(band_keys(2)).alias("keys")).join(sets, "h1")
+    rows = staged(placed.join(blocks, "key").join(lines, "h1"), "line-rest")
+    outside = rows.where("c <> pc").select("key", F.pmod(F.xxhash64("h1"), "blocks").cast("int").alias("block"), F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("s").alias("s_a"), F.col("keys").alias("keys_a"))
+    others = rows.where("h1 <> pivot").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("h1").alias("b"), F.col("c").alias("cb"), "pc", F.col("s").alias("s_b"), F.col("keys").alias("keys_b"))
+    size_a, size_b, common = F.size("s_a"), F.size("s_b"), F.size(F.array_intersect("s_a", "s_b"))
+    pairs = outside.join(others, ["key", "block"]).where("ca <> cb and (cb = pc or b < a)").where(F.least(size_a, size_b) >= SIMILARITY * F.greatest(size_a, size_b))
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    return pairs.where(F.when(first, common >= SIMILARITY * (size_a + size_b - common)).otherwise(F.lit(False))).select("a", "b")
+
+
 def decisions(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """h1, h2, class_id, keep: for each line that has copies or near copies, the place of the one line that stays.
 
@@ -103,7 +132,11 @@ def decisions(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_c
     apart = again.join(own, "b", "left").join(head, "a", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     more = staged(similar(apart, sets), "line-links")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        links = links.union(more)
+        labels = staged(components(links), "line-labels")
+    rest = staged(rest_links(near, members, sets, labels), "line-links")
+    if not rest.isEmpty():
+        labels = components(links.union(rest))
     nodes = labels.select(F.col("node").alias("h1"), "component")
     known = lines.join(nodes, "h1", "left").where("component is not null or n > 1").select("h1", "h2", "first", F.coalesce("component", "h1").alias("component"))
     heads = known.groupBy("component").agg(F.min("first").alias("keep"), F.min_by("h1", "first").alias("class_id"))

@@ -87,3 +87,44 @@ def test_components(spark, kind):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert found == {x: c for x, c in label.items() if sum(v == c for v in label.values()) > 1}
+
+
+def shingle_set(line):
+    return {line[m.start() : m.start() + 16] for m in re.finditer(r"(?:^|(?<= ))(?=.)", line)}
+
+
+def brute_banded(lines):
+    """Components of the distinct lines by all pairs that share two of their four smallest hashes and are similar."""
+    xxhash = pytest.importorskip("xxhash")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    sets = [{signed(xxhash.xxh64_intdigest(g.encode() if isinstance(g, str) else g, seed=42)) for g in shingle_set(x)} for x in lines]
+    low = [set(sorted(s)[:4]) for s in sets]
+    label = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            c = len(sets[i] & sets[j])
+            if len(low[i] & low[j]) >= 2 and c >= 0.65 * (len(sets[i]) + len(sets[j]) - c) and label[i] != label[j]:
+                label = [label[i] if x == label[j] else x for x in label]
+    classes = {}
+    for i, x in enumerate(label):
+        classes.setdefault(x, []).append((i, 0))
+    return sorted(classes.values())
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_copies_behind_a_common_template(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(3, 8)))
+    lines = []
+    for _ in range(6):
+        template = [word() for _ in range(16)]
+        lines.append(" ".join(template))
+        for _ in range(30):
+            tail = [word() for _ in range(rnd.choice([2, 11, 14]))]
+            lines.append(" ".join(template + tail))
+            lines.append(" ".join(template + tail[:-1] + [word()]))
+    often = [(1000 + i, "\n".join(lines[k * 61] for k in range(6)), 1, "", 1) for i in range(20)]
+    df = spark.createDataFrame([(i, x, 1, "", 1) for i, x in enumerate(lines)] + often, SCHEMA)
+    found = sorted(sorted(m for m in c if m[0] < 1000) for c in got(line_dedup.op7_line_dedup(df)))
+    assert found == brute_banded(lines)
