@@ -1,9 +1,10 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 1. Lines are lower-cased and their white space is squeezed; equal lines fall together by a 128-bit hash.
-2. A line's shingles are the 16 characters from each word start (shorter at the line's end). Its signature holds the four
-   smallest shingle hashes; each two of them are a band. Lines of Jaccard similarity s share a band with probability
-   1 - (1-s)^4 - 4s(1-s)^3 at least: 0.95 at 0.75, 0.996 at 0.9.
+2. A line's shingles are the 8 characters from each character on; a shorter line is one shingle. Its signature holds the
+   four smallest shingle hashes; each two of them are a band, and so is the only one of a line of one shingle. Lines of
+   Jaccard similarity s share a band with probability 1 - (1-s)^4 - 4s(1-s)^3 at least: 0.87 at 0.65, 0.95 at 0.75, 0.996
+   at 0.9.
 3. In each band's bucket every line is compared with the bucket's pivot, its most frequent line; a bucket of any size
    costs one comparison a line. Lines in buckets are then banded once more, by each three of the four values: lines that
    met only by two common shingles part, and those that are still outside their new pivot's component are compared with
@@ -12,7 +13,7 @@
    Comparisons are exact, on whole shingle sets.
 4. Components by distributed union-find; of each the earliest line (by doc_id, then line number) stays.
 
-A one-word change touches about three shingles, so that 0.65 on these shingles is about 0.8 on five-character ones.
+A changed word of k characters inside a line touches k + 7 shingles.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from orderloom.llm.common import staged
 from orderloom.llm.components import components
 
-SHINGLE, SIMILARITY, SIGNATURE = 16, 0.65, 4
+SHINGLE, SIMILARITY, SIGNATURE = 8, 0.65, 4
 ORDER_STEP = 1 << 31
 #: Lines of a bucket that one task compares with the whole bucket, about.
 BLOCK = 512
@@ -40,8 +41,8 @@ def squeezed(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """Hashes of the characters from each word start, distinct."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{1,{SHINGLE}}}))[^ ]+ ?"), F.lit(1))
+    """Hashes of the SHINGLE characters at each offset, distinct; of the whole line if it is shorter."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}$))."), F.lit(1))
     return F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))
 
 
@@ -69,9 +70,15 @@ def distinct_lines(signed: DataFrame) -> DataFrame:
 
 
 def band_keys(values: int) -> Column:
-    """The bands of a line: a key for each choice of so many of the signature's values, null where a value is missing."""
+    """The bands of a line: a key for each choice of so many of the signature's values, null where a value is missing.
+
+    The bands of two values include one of the single value of a line that has no second.
+    """
     some = combinations([f"s{i}" for i in range(SIGNATURE)], values)
-    return F.array(*[F.when(F.col(names[-1]).isNotNull(), F.xxhash64(*names)) for names in some])
+    keys = [F.when(F.col(names[-1]).isNotNull(), F.xxhash64(*names)) for names in some]
+    if values == 2:
+        keys[0] = F.coalesce(keys[0], F.when(F.col("s0").isNotNull(), F.xxhash64("s0", F.lit("single"))))
+    return F.array(*keys)
 
 
 def buckets(lines: DataFrame, values: int) -> DataFrame:
@@ -83,9 +90,9 @@ def buckets(lines: DataFrame, values: int) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity."""
-    one = lambda c: sets.select(F.col("h1").alias(c), F.col("s").alias(f"s_{c}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    """The pairs (a, b) whose shingle sets reach the similarity. Lines are shuffled and shingled after it: sets are larger."""
+    one = sets.select(F.col("h1").alias("a"), "line").repartition("a").select("a", shingles(F.col("line")).alias("s_a"))
+    both = pairs.join(sets.select(F.col("h1").alias("b"), "line"), "b").repartition("a").select("a", "b", shingles(F.col("line")).alias("s_b")).join(one, "a")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.where(common >= SIMILARITY * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
@@ -103,8 +110,10 @@ def rest_links(near: DataFrame, members: DataFrame, sets: DataFrame, labels: Dat
     blocks = placed.groupBy("key").agg(F.count_if(F.col("c") != F.col("pc")).alias("outside")).where("outside > 0").select("key", F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks"))
     lines = near.select("h1", F.array_compact(band_keys(2)).alias("keys")).join(sets, "h1")
     rows = staged(placed.join(blocks, "key").join(lines, "h1"), "line-rest")
-    outside = rows.where("c <> pc").select("key", F.pmod(F.xxhash64("h1"), "blocks").cast("int").alias("block"), F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("s").alias("s_a"), F.col("keys").alias("keys_a"))
-    others = rows.where("h1 <> pivot").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("h1").alias("b"), F.col("c").alias("cb"), "pc", F.col("s").alias("s_b"), F.col("keys").alias("keys_b"))
+    outside = rows.where("c <> pc").withColumn("block", F.pmod(F.xxhash64("h1"), "blocks").cast("int")).repartition("key", "block")
+    outside = outside.select("key", "block", F.col("h1").alias("a"), F.col("c").alias("ca"), shingles(F.col("line")).alias("s_a"), F.col("keys").alias("keys_a"))
+    others = rows.where("h1 <> pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition("key", "block")
+    others = others.select("key", "block", F.col("h1").alias("b"), F.col("c").alias("cb"), "pc", shingles(F.col("line")).alias("s_b"), F.col("keys").alias("keys_b"))
     size_a, size_b, common = F.size("s_a"), F.size("s_b"), F.size(F.array_intersect("s_a", "s_b"))
     pairs = outside.join(others, ["key", "block"]).where("ca <> cb and (cb = pc or b < a)").where(F.least(size_a, size_b) >= SIMILARITY * F.greatest(size_a, size_b))
     first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
@@ -123,7 +132,7 @@ def decisions(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_c
     needed = needed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "h1"))).alias("wanted"))
     whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(needed, "doc_id")
     picked = whole.select("wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(F.element_at("wanted", F.col("line_no")).alias("h1"), "line").where("h1 is not null")
-    sets = staged(picked.select("h1", shingles(squeezed(F.col("line"))).alias("s")).dropDuplicates(["h1"]), "line-sets")
+    sets = staged(picked.select("h1", squeezed(F.col("line")).alias("line")).dropDuplicates(["h1"]), "line-texts")
     links = staged(similar(members.where("h1 <> pivot").select(F.col("pivot").alias("a"), F.col("h1").alias("b")).distinct(), sets), "line-links")
     labels = staged(components(links), "line-labels")
     own = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))

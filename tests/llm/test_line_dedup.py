@@ -90,7 +90,7 @@ def test_components(spark, kind):
 
 
 def shingle_set(line):
-    return {line[m.start() : m.start() + 16] for m in re.finditer(r"(?:^|(?<= ))(?=.)", line)}
+    return {line[k : k + 8] for k in range(max(1, len(line) - 7))}
 
 
 def brute_banded(lines):
@@ -103,7 +103,7 @@ def brute_banded(lines):
     for i in range(len(lines)):
         for j in range(i):
             c = len(sets[i] & sets[j])
-            if len(low[i] & low[j]) >= 2 and c >= 0.65 * (len(sets[i]) + len(sets[j]) - c) and label[i] != label[j]:
+            if len(low[i] & low[j]) >= min(2, len(sets[i]), len(sets[j])) and c >= 0.65 * (len(sets[i]) + len(sets[j]) - c) and label[i] != label[j]:
                 label = [label[i] if x == label[j] else x for x in label]
     classes = {}
     for i, x in enumerate(label):
@@ -128,3 +128,16 @@ def test_copies_behind_a_common_template(spark, monkeypatch, block):
     df = spark.createDataFrame([(i, x, 1, "", 1) for i, x in enumerate(lines)] + often, SCHEMA)
     found = sorted(sorted(m for m in c if m[0] < 1000) for c in got(line_dedup.op7_line_dedup(df)))
     assert found == brute_banded(lines)
+
+
+def test_short_unspaced_and_long_token_lines(spark):
+    rnd = random.Random(5)
+    chinese = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(90))
+    address = "https://example.com/" + "".join(rnd.choices("abcdefghijklmnop/-", k=120))
+    lines = ["see https://example.com/news/2024/storm-hits-coast", "see https://example.com/recipes/apple-pie"]
+    lines += [chinese, chinese[:45] + chr(0x3042) + chinese[46:], chinese[:89], address, address[:70] + "#" + address[71:], address[::-1]]
+    lines += ["-" * 12, "-" * 40, "stauer bla", "stauer bla.", "ab", "abc", "a", "\U0001f600" * 9, "\U0001f600" * 30]
+    df = spark.createDataFrame([(i, x, 1, "", 1) for i, x in enumerate(lines)], SCHEMA)
+    found = got(line_dedup.op7_line_dedup(df))
+    assert found == brute_banded(lines)
+    assert [[i for i, _ in c] for c in found] == [[0], [1], [2, 3, 4], [5, 6], [7], [8, 9], [10, 11], [12], [13], [14], [15, 16]]
