@@ -1,10 +1,10 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds that no verified stretch lacks.
 
-Words are lower-cased and trimmed of punctuation. A seed is a fixed mask over a window of 12 words that ignores some
-positions, so a changed word there does not hide a hit; with several masks and all window positions, passages with changed
-words still give hits. Window hashes of the benchmark form a sorted index; every window of every document is looked up in
-it. Around each hit the two texts are laid along its diagonal, and the stretch with the best balance of equal and changed
-words decides.
+Words are lower-cased and trimmed of punctuation. A seed is three equal words in a row. A stretch that counts has at least 10
+equal words (an item of fewer words all of them) and at most a changed word for three equal ones, so that its longest run
+of equal words has three or more: every such stretch is seeded. Window hashes of the benchmark form a sorted index; every
+window of every document is looked up in it. Around each hit the two texts are laid along its diagonal, and, where it holds
+words enough that are equal, the stretch with the best balance of equal and changed words decides.
 
 The index of a benchmark is small beside the corpus and is sent to the tasks, in parts of at most INDEX_ROWS windows: a
 larger benchmark takes one pass over the documents for each part, never more memory.
@@ -23,8 +23,9 @@ from pyspark.sql.types import StructType
 
 from orderloom.llm.common import arrow_schema, hash_words, mix, slices, tidy, words_of
 
-MASKS = ("111011011011", "110111101101", "101110111011")
-SPAN = 12
+MASKS = ("111",)
+#: Diagonals whose words are counted at once.
+DIAGONALS = 1 << 14
 #: Fewest equal words of a stretch, least share of equal words in it, fewest words of an item.
 LEAST_WORDS, LEAST_SHARE, LEAST_ITEM = 10, 0.75, 5
 INDEX_ROWS = 1 << 20
@@ -77,7 +78,7 @@ class Index:
                 self.same.append((first[key], item))
         parts: dict[str, list] = {}
         for i, w in enumerate(self.words):
-            for mask in MASKS if len(w) >= SPAN else ("1" * len(w),):
+            for mask in MASKS:
                 got = windows(w, mask)
                 parts.setdefault(mask, []).append((got, np.full(len(got), i), np.arange(len(got))))
         self.masks = {}
@@ -104,8 +105,25 @@ class Index:
             seeds.append(np.stack([row, text[which], place - at[which]], 1)[inside])
         if not seeds:
             return []
+        found = np.concatenate(seeds)
+        order = np.lexsort(found.T[::-1])
+        found = found[order]
+        found = found[np.append(True, (found[1:] != found[:-1]).any(1))[: len(found)]]
+        length = np.array([len(w) for w in self.words], np.int64)
+        every, begin = np.concatenate([*self.words, np.zeros(0, np.uint64)]), np.cumsum(length) - length
+        enough = [np.zeros((0, 3), np.int64)]
+        for k in range(0, len(found), DIAGONALS):
+            part = found[k : k + DIAGONALS]
+            row, i, start = part.T
+            low, high = np.maximum(start, starts[row]), np.minimum(start + length[i], starts[row + 1])
+            n = high - low
+            ahead = np.cumsum(n) - n
+            step = np.arange(n.sum())
+            same = h[step + np.repeat(low - ahead, n)] == every[step + np.repeat(begin[i] + low - start - ahead, n)]
+            equal = np.add.reduceat(same, ahead, dtype=np.int64)
+            enough.append(part[equal >= np.minimum(LEAST_WORDS, length[i])])
         out = []
-        for row, i, start in np.unique(np.concatenate(seeds), axis=0).tolist():
+        for row, i, start in np.concatenate(enough).tolist():
             w, a, b = self.words[i], int(starts[row]), int(starts[row + 1])
             low, high = max(start, a), min(start + len(w), b)
             same = h[low:high] == w[low - start : high - start]
@@ -140,8 +158,8 @@ FOUND = "doc_id bigint, item_id bigint, doc_word int, item_word int, words int,
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, doc_word, item_word, words, equal_words of each stretch that a document shares with an item.
 
-    Null and empty texts and items have none; items of fewer than five words are too common to count; items shorter than
-    a seed must be met whole. Benchmark items of equal words are all reported; repeated documents each for itself.
+    Null and empty texts and items have none; items of fewer than five words are too common to count; items of up to
+    ten words must be met whole. Benchmark items of equal words are all reported; repeated documents each for itself.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

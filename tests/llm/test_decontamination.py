@@ -56,3 +56,21 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b c d e f", "")], DOCS)
     assert dc.op4_decontamination(none_d, none_b).collect() == [] and dc.op4_decontamination(one, none_b).collect() == []
     assert dc.clean(one, none_b).count() == 1
+
+
+@pytest.mark.parametrize("n", [5, 9, 10, 11, 12, 13, 16, 20, 25, 30, 45])
+def test_no_verified_stretch_lacks_a_seed(n):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(n)
+    for _ in range(150):
+        item = [f"i{k}" for k in range(n)]
+        index = dc.Index([(3, " ".join(item))])
+        changed = set(rnd.sample(range(n), rnd.randint(0, n // 4)))
+        text = ["before"] * 5 + [f"c{k}" if k in changed else w for k, w in enumerate(item)] + ["after"] * 5
+        same = np.array([k not in changed for k in range(n)])
+        lo, hi = dc.stretch(same)
+        equal = int(same[lo:hi].sum())
+        want = [(0, 3, 5 + lo, lo, hi - lo, equal)] if equal >= min(10, n) and equal >= 0.75 * (hi - lo) else []
+        assert index.matches(pa.array([" ".join(text)])) == want
