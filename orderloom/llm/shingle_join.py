@@ -100,7 +100,7 @@ def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
                     r = row[edges[b] : edges[b + 1]]
                     new = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
                     low = (h[edges[b] : edges[b + 1]] & LOW48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows.append((int(b), 1, sig[r[new]].tobytes(), np.diff(np.append(new, len(r))).astype(np.uint16).tobytes(), low.tobytes()))
+                    rows.append((int(b), 1, sig[r[new]].tobytes(), np.diff(np.append(new, len(r))).astype(np.uint32).tobytes(), low.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "kind", "a", "b", "c"])
 
     return docs.mapInArrow(tidy(run), PASS)
@@ -117,7 +117,7 @@ def shared(table: pa.Table) -> pa.Table:
     low = np.zeros((len(raw), 8), np.uint8)
     low[:, :6] = raw
     low = low.view("<u8").ravel()
-    owner = np.repeat(join(sets, 0, np.int64), join(sets, 1, np.uint16))
+    owner = np.repeat(join(sets, 0, np.int64), join(sets, 1, np.uint32))
     ranked = np.sort(low)
     twice = ranked[1:][ranked[1:] == ranked[:-1]]
     if len(twice):

@@ -58,6 +58,13 @@ def test_against_all_pairs(spark, monkeypatch, block, bucket, edits):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+def test_text_of_many_distinct_words(spark):
+    long = " ".join(f"w{i}" for i in range(200000))
+    rows = [(7, long, 0, "", 1), (3, "one two three four five six", 0, "", 1), (2, "One two three four five six", 0, "", 1), (9, long + " more", 0, "", 1)]
+    got = sj.op3_jaccard(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(2, 2, 2), (3, 2, 2), (7, 199996, 7), (9, 199997, 7)]
+
+
 def test_empty_table(spark):
     assert sj.op3_jaccard(spark.createDataFrame([], SCHEMA)).collect() == []
 
