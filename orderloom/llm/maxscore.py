@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, QUERY_ROWS = 16384, 512
+SHARD_ROWS, QUERY_ROWS = 8192, 2048
 
 
 class Shard:
@@ -80,11 +80,11 @@ class Shard:
         rough = np.zeros(len(self.ids), np.int64)
         for j in order[::-1][:12]:
             rough += q[j] * self.rows[j]
-        rough[~other] = np.iinfo(np.int64).min
-        n = min(4 * k, int(other.sum()))
-        if n < k:
+        at = np.flatnonzero(other)
+        if len(at) < k:
             return None
-        at = np.argpartition(-rough, n - 1)[:n] if n < len(rough) else np.flatnonzero(other)
+        if len(at) > 4 * k:
+            at = at[np.argpartition(rough[at], len(at) - 4 * k)[len(at) - 4 * k :]]
         return int(np.sort((q[:, None] * self.rows[:, at]).sum(0))[-k])
 
 

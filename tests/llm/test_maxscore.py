@@ -37,3 +37,19 @@ def test_empty_and_alone(spark):
     assert maxscore.op2_top_k(spark.createDataFrame([], SCHEMA)).collect() == []
     assert maxscore.op2_top_k(spark.createDataFrame([(0, [1.0], 0, "")], SCHEMA)).collect() == []
     assert len(maxscore.op2_top_k(spark.createDataFrame([(0, [1.0], 0, ""), (7, [], 0, "")], SCHEMA)).collect()) == 1
+
+
+@pytest.mark.parametrize("shards", [16384, 300])
+def test_every_row_as_a_query(spark, shards):
+    """A query is its own best candidate here as a rule: its own row must neither come out nor raise the threshold."""
+    rng = np.random.default_rng(5)
+    v = np.floor(256 * rng.normal(size=(2000, 64))).astype(np.int64)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "id bigint, v array<bigint>")
+    got = {}
+    for r in maxscore.top_k(rows, rows, 5, shards, 700).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    score = v @ v.T
+    for q in range(2000):
+        order = np.lexsort((np.arange(2000), -score[q]))
+        order = order[order != q][:5]
+        assert sorted(got[q]) == [(r + 1, int(i), int(score[q, i])) for r, i in enumerate(order)]
