@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import staged
+from orderloom.llm.common import dropped, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,16 @@ def components(edges: DataFrame) -> DataFrame:
         moved = left.join(to("a"), "a").join(to("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
         tails = jump.select(F.col("q").alias("p")).distinct().join(up, "p").select(F.col("p").alias("a"), F.col("q").alias("b"))
         moved = moved.union(tails).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        following = staged(moved, "cc-edges")
         if labels is None:
-            labels = jump.select(F.col("x").alias("node"), F.col("q").alias("component"))
+            labels, table = jump.select(F.col("x").alias("node"), F.col("q").alias("component")), jump
+            spent = [left, hook]
         else:
             step = jump.select(F.col("x").alias("component"), "q")
             labels = staged(labels.join(step, "component", "left").select("node", F.coalesce("q", "component").alias("component")), "cc-labels")
-        left = staged(moved, "cc-edges")
+            spent, table = [left, hook, jump, table], labels
+        dropped(*spent)
+        left = following
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels

@@ -1,19 +1,15 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 1. Lines are lower-cased and their white space is squeezed; equal lines fall together by a 128-bit hash.
-2. A line's shingles are the 8 characters from each character on; a shorter line is one shingle. Its signature holds the
-   four smallest shingle hashes; each two of them are a band, and so is the only one of a line of one shingle. Lines of
-   Jaccard similarity s share a band with probability 1 - (1-s)^4 - 4s(1-s)^3 at least: 0.87 at 0.65, 0.95 at 0.75, 0.996
-   at 0.9.
+2. A line's shingles are the 12 characters from each word's start, and from every character of longer words up to their
+   last 12 (so in text without spaces from every character). They leave no character out. The signature holds the four smallest shingle hashes; each two of them are a band, and so is the only
+   one of a line of one shingle. Lines of Jaccard similarity s share a band with probability 1 - (1-s)^4 - 4s(1-s)^3 at
+   least: 0.87 at 0.65, 0.95 at 0.75, 0.996 at 0.9.
 3. In each band's bucket every line is compared with the bucket's pivot, its most frequent line; a bucket of any size
-   costs one comparison a line. Lines in buckets are then banded once more, by each three of the four values: lines that
-   met only by two common shingles part, and those that are still outside their new pivot's component are compared with
-   it. What is then still outside of its bucket's pivot's component is compared with all lines of the bucket from other
-   components, in blocks, each pair once: no pair that banding proposes and that could join two components goes unseen.
-   Comparisons are exact, on whole shingle sets.
+   costs one comparison a line. What is then still outside of its bucket's pivot's component is compared with all lines of
+   the bucket from other components, in blocks, each pair once: no pair that banding proposes and that could join two
+   components goes unseen. Comparisons are exact, on whole shingle sets.
 4. Components by distributed union-find; of each the earliest line (by doc_id, then line number) stays.
-
-A changed word of k characters inside a line touches k + 7 shingles.
 """
 
 from __future__ import annotations
@@ -23,13 +19,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import staged
+from orderloom.llm.common import dropped, staged
 from orderloom.llm.components import components
 
-SHINGLE, SIMILARITY, SIGNATURE = 8, 0.65, 4
+SHINGLE, SIMILARITY, SIGNATURE = 12, 0.65, 4
 ORDER_STEP = 1 << 31
-#: Lines of a bucket that one task compares with the whole bucket, about.
-BLOCK = 512
+#: Lines of a bucket that one task compares with the whole bucket, about; a component over one of so many parts of the lines is large.
+BLOCK, LARGE_SHARE = 512, 10_000
 
 
 def squeezed(line: Column) -> Column:
@@ -40,10 +36,13 @@ def squeezed(line: Column) -> Column:
     return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
 
 
+#: Steps over a word, or over one character of a word longer than a shingle; group 1 is the shingle.
+STEP = f"(?s)(?=(.{{1,{SHINGLE}}}))(?:[^ ]{{1,{SHINGLE}}}+(?: |$)|[^ ])"
+
+
 def shingles(line: Column) -> Column:
-    """Hashes of the SHINGLE characters at each offset, distinct; of the whole line if it is shorter."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}$))."), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))
+    """Distinct hashes of a squeezed line's shingles."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(STEP), F.lit(1)), lambda g: F.xxhash64(g)))
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,45 +58,48 @@ def place() -> Column:
 
 
 def signed_rows(rows: DataFrame) -> DataFrame:
-    """h1, h2, doc_id, line_no and the signature s0 to s3 (null where the line has fewer shingles)."""
-    smallest = F.slice(F.sort_array(shingles(F.col("line"))), 1, SIGNATURE)
-    return rows.select("h1", "h2", "doc_id", "line_no", smallest.alias("s")).select("h1", "h2", "doc_id", "line_no", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(SIGNATURE)])
+    """h1, h2, doc_id, line_no, m (shingles) and the signature s0 to s3 (null where the line has fewer)."""
+    found = rows.select("h1", "h2", "doc_id", "line_no", F.sort_array(shingles(F.col("line"))).alias("s"))
+    return found.select("h1", "h2", "doc_id", "line_no", F.size("s").alias("m"), *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(SIGNATURE)])
 
 
 def distinct_lines(signed: DataFrame) -> DataFrame:
-    """A row for each distinct line: h1, h2, n, first, first_doc and the signature."""
-    return signed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first"), F.min("doc_id").alias("first_doc"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(SIGNATURE)])
+    """A row for each distinct line: h1, h2, n, first (its earliest place), m and the signature."""
+    return signed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first"), F.min("m").alias("m"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(SIGNATURE)])
 
 
-def band_keys(values: int) -> Column:
-    """The bands of a line: a key for each choice of so many of the signature's values, null where a value is missing.
+def band_keys() -> Column:
+    """The bands of a line: a key for each two of the signature's values, null where a value is missing.
 
-    The bands of two values include one of the single value of a line that has no second.
+    A line that has one shingle has a band of this one.
     """
-    some = combinations([f"s{i}" for i in range(SIGNATURE)], values)
-    keys = [F.when(F.col(names[-1]).isNotNull(), F.xxhash64(*names)) for names in some]
-    if values == 2:
-        keys[0] = F.coalesce(keys[0], F.when(F.col("s0").isNotNull(), F.xxhash64("s0", F.lit("single"))))
+    keys = [F.when(F.col(b).isNotNull(), F.xxhash64(a, b)) for a, b in combinations([f"s{i}" for i in range(SIGNATURE)], 2)]
+    keys[0] = F.coalesce(keys[0], F.when(F.col("s0").isNotNull(), F.xxhash64("s0", F.lit("single"))))
     return F.array(*keys)
 
 
-def buckets(lines: DataFrame, values: int) -> DataFrame:
-    """key, h1, pivot: the members of buckets of two lines or more. A key is made of so many of the signature's values."""
-    rows = lines.select("h1", "n", F.explode(band_keys(values)).alias("key")).where("key is not null")
+def buckets(lines: DataFrame) -> DataFrame:
+    """key, h1, m, pivot, pivot_m: the members of buckets of two lines or more, and their number of shingles."""
+    rows = lines.select("h1", "m", "n", F.explode(band_keys()).alias("key")).where("key is not null")
     weight = F.col("n").cast("double") + F.pmod("h1", F.lit(1 << 20)) / F.lit(float(1 << 21))
-    heads = rows.groupBy("key").agg(F.max_by("h1", weight).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    return rows.join(heads, "key").select("key", "h1", "pivot")
+    heads = rows.groupBy("key").agg(F.max_by("h1", weight).alias("pivot"), F.max_by("m", weight).alias("pivot_m"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return rows.join(heads, "key").select("key", "h1", "m", "pivot", "pivot_m")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def can_reach(m: str, other: str) -> Column:
+    """Sets of so many shingles can be as similar as asked."""
+    return F.least(m, other) >= SIMILARITY * F.greatest(m, other)
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the similarity. Lines are shuffled and shingled after it: sets are larger."""
-    one = sets.select(F.col("h1").alias("a"), "line").repartition("a").select("a", shingles(F.col("line")).alias("s_a"))
-    both = pairs.join(sets.select(F.col("h1").alias("b"), "line"), "b").repartition("a").select("a", "b", shingles(F.col("line")).alias("s_b")).join(one, "a")
+    line = lambda side: texts.select(F.col("h1").alias(side), F.col("line").alias(f"line_{side}"))
+    both = pairs.join(line("a"), "a").join(line("b"), "b").select("a", "b", shingles(F.col("line_a")).alias("s_a"), shingles(F.col("line_b")).alias("s_b"))
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.where(common >= SIMILARITY * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
 
-def rest_links(near: DataFrame, members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def rest_links(lines: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
     """The similar pairs (a, b) that share a bucket and lie in different components of `labels` (node, component).
 
     At least one line of such a pair is outside of the component of their bucket's pivot. These lines meet all others of
@@ -105,19 +107,26 @@ def rest_links(near: DataFrame, members: DataFrame, sets: DataFrame, labels: Dat
     """
     own = labels.select(F.col("node").alias("h1"), F.col("component").alias("c"))
     head = labels.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
-    placed = members.join(own, "h1", "left").join(head, "pivot", "left").select("key", "h1", "pivot", F.coalesce("c", "h1").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
+    placed = members.join(own, "h1", "left").join(head, "pivot", "left").select("key", "h1", "m", "pivot", F.coalesce("c", "h1").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
     placed = staged(placed, "line-placed")
-    blocks = placed.groupBy("key").agg(F.count_if(F.col("c") != F.col("pc")).alias("outside")).where("outside > 0").select("key", F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks"))
-    lines = near.select("h1", F.array_compact(band_keys(2)).alias("keys")).join(sets, "h1")
-    rows = staged(placed.join(blocks, "key").join(lines, "h1"), "line-rest")
-    outside = rows.where("c <> pc").withColumn("block", F.pmod(F.xxhash64("h1"), "blocks").cast("int")).repartition("key", "block")
-    outside = outside.select("key", "block", F.col("h1").alias("a"), F.col("c").alias("ca"), shingles(F.col("line")).alias("s_a"), F.col("keys").alias("keys_a"))
-    others = rows.where("h1 <> pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition("key", "block")
-    others = others.select("key", "block", F.col("h1").alias("b"), F.col("c").alias("cb"), "pc", shingles(F.col("line")).alias("s_b"), F.col("keys").alias("keys_b"))
-    size_a, size_b, common = F.size("s_a"), F.size("s_b"), F.size(F.array_intersect("s_a", "s_b"))
-    pairs = outside.join(others, ["key", "block"]).where("ca <> cb and (cb = pc or b < a)").where(F.least(size_a, size_b) >= SIMILARITY * F.greatest(size_a, size_b))
+    blocks = placed.groupBy("key").agg(F.count_if(F.col("c") != F.col("pc")).alias("outside"), F.count(F.lit(1)).alias("members"))
+    # of two lines one is the pivot: they have been compared
+    deal = lambda n, of, out: F.ceil(F.col(n) / of).cast("int").alias(out)
+    blocks = blocks.where("outside > 0 and members > 2").select("key", deal("outside", BLOCK, "blocks"), deal("members", 16 * BLOCK, "parts"))
+    keys = lines.select("h1", F.array_compact(band_keys()).alias("keys")).join(texts, "h1")
+    rows = staged(placed.where("h1 <> pivot").join(blocks, "key").join(keys, "h1"), "line-rest")
+    outside = rows.where("c <> pc").withColumn("block", F.pmod(F.xxhash64("h1"), "blocks").cast("int"))
+    outside = outside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition("key", "block", "part")
+    outside = outside.select("key", "block", "part", F.col("h1").alias("a"), F.col("m").alias("m_a"), F.col("c").alias("ca"), shingles(F.col("line")).alias("s_a"), F.col("keys").alias("keys_a"))
+    others = rows.withColumn("part", F.pmod(F.xxhash64("h1"), "parts").cast("int"))
+    others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition("key", "block", "part")
+    others = others.select("key", "block", "part", F.col("h1").alias("b"), F.col("m").alias("m_b"), F.col("c").alias("cb"), "pc", shingles(F.col("line")).alias("s_b"), F.col("keys").alias("keys_b"))
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    pairs = outside.join(others, ["key", "block", "part"]).where("ca <> cb and (cb = pc or b < a)").where(can_reach("m_a", "m_b"))
     first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-    return pairs.where(F.when(first, common >= SIMILARITY * (size_a + size_b - common)).otherwise(F.lit(False))).select("a", "b")
+    links = staged(pairs.where(F.when(first, common >= SIMILARITY * (F.col("m_a") + F.col("m_b") - common)).otherwise(F.lit(False))).select("a", "b"), "line-links")
+    dropped(placed, rows)
+    return links
 
 
 def decisions(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,54 +135,54 @@ def decisions(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_c
     class_id is the h1 of the line of the class with the earliest place; keep is null for the other lines of the class.
     """
     lines = staged(distinct_lines(signed), "lines")
-    members = staged(buckets(lines, 2), "buckets")
-    near = lines.join(members.select("h1").distinct(), "h1")
-    needed = near.select(F.col("first_doc").alias("doc_id"), "h1", (F.col("first") - F.col("first_doc").cast("decimal(20,0)") * F.lit(ORDER_STEP).cast("decimal(11,0)")).cast("int").alias("line_no"))
-    needed = needed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "h1"))).alias("wanted"))
-    whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(needed, "doc_id")
-    picked = whole.select("wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(F.element_at("wanted", F.col("line_no")).alias("h1"), "line").where("h1 is not null")
-    sets = staged(picked.select("h1", squeezed(F.col("line")).alias("line")).dropDuplicates(["h1"]), "line-texts")
-    links = staged(similar(members.where("h1 <> pivot").select(F.col("pivot").alias("a"), F.col("h1").alias("b")).distinct(), sets), "line-links")
+    members = staged(buckets(lines), "line-buckets")
+    near = members.select("h1").distinct()
+    texts = staged(line_rows(docs, id_col, text_col).select("h1", "line").dropDuplicates(["h1"]).join(near, "h1", "left_semi"), "line-texts")
+    pairs = members.where("h1 <> pivot").where(can_reach("m", "pivot_m")).select(F.col("pivot").alias("a"), F.col("h1").alias("b")).distinct()
+    links = staged(similar(pairs, texts), "line-links")
     labels = staged(components(links), "line-labels")
-    own = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    head = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    again = buckets(near, 3).where("h1 <> pivot").select(F.col("pivot").alias("a"), F.col("h1").alias("b")).distinct()
-    apart = again.join(own, "b", "left").join(head, "a", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = staged(similar(apart, sets), "line-links")
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = staged(components(links), "line-labels")
-    rest = staged(rest_links(near, members, sets, labels), "line-links")
+    rest = rest_links(lines, members, texts, labels)
     if not rest.isEmpty():
-        labels = components(links.union(rest))
+        labels = staged(components(links.union(rest)), "line-labels")
+    dropped(members, texts, links, rest)
     nodes = labels.select(F.col("node").alias("h1"), "component")
     known = lines.join(nodes, "h1", "left").where("component is not null or n > 1").select("h1", "h2", "first", F.coalesce("component", "h1").alias("component"))
-    heads = known.groupBy("component").agg(F.min("first").alias("keep"), F.min_by("h1", "first").alias("class_id"))
-    return known.join(heads, "component").select("h1", "h2", "class_id", F.when(F.col("first") == F.col("keep"), F.col("keep")).alias("keep"))
+    known = staged(known, "line-known")
+    heads = staged(known.groupBy("component").agg(F.min("first").alias("keep"), F.min_by("h1", "first").alias("class_id"), F.count(F.lit(1)).alias("size")), "line-heads")
+    # components of over a ten-thousandth of the lines, ten thousand at most, are broadcast: no task gets a hot one whole
+    large = heads.where(F.col("size") * LARGE_SHARE > known.count())
+    seen = known.join(F.broadcast(large), "component").unionByName(known.join(F.broadcast(large.select("component")), "component", "left_anti").join(heads, "component"))
+    out = staged(seen.select("h1", "h2", "class_id", F.when(F.col("first") == F.col("keep"), F.col("keep")).alias("keep")), "line-decisions")
+    dropped(lines, labels, known, heads)
+    return out
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no (from 0), class_id, kept for every line that is not blank.
 
     Lines of one class are copies or linked near copies; one of each class is kept. Null and empty texts and blank lines
-    give no rows. Rows that repeat a doc_id are one document: their lines of equal number stay or go together. Rows
-    without doc_id take no part.
+    give no rows. Rows that repeat a doc_id are one document, whatever their texts: each of their lines is judged by itself,
+    and of copies in the same place all stay. Rows without doc_id take no part.
     """
     signed = staged(signed_rows(line_rows(docs, id_col, text_col)), "line-rows")
     rows = signed.select("doc_id", "line_no", "h1", "h2", place().alias("place"))
-    found = rows.join(staged(decisions(docs, signed, id_col, text_col), "line-decisions"), ["h1", "h2"], "left")
+    found = rows.join(decisions(docs, signed, id_col, text_col), ["h1", "h2"], "left")
     return found.select("doc_id", "line_no", F.coalesce("class_id", "h1").alias("class_id"), (F.col("class_id").isNull() | F.coalesce(F.col("place") == F.col("keep"), F.lit(False))).alias("kept"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that are not kept, other columns unchanged; texts that lose no line are untouched.
 
-    A document all of whose lines go becomes an empty text.
+    A document all of whose lines go becomes an empty text. Where rows share a doc_id, a line goes if all lines of its
+    number in them go: nothing of which no copy is kept is lost.
     """
-    gone = line_classes(docs, id_col, text_col).where("not kept").select("doc_id", "line_no").distinct()
+    gone = line_classes(docs, id_col, text_col).groupBy("doc_id", "line_no").agg(F.bool_or("kept").alias("kept")).where("not kept")
     gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
     joined = docs.join(gone, F.col(id_col).cast("bigint") == F.col("_id"), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    lines = F.split(F.col(text_col), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
+    joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
     return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
 
 

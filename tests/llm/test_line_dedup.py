@@ -11,9 +11,6 @@ SCHEMA = "doc_id bigint, text string, n int, h1 string, kept int"
 
 def brute(rows):
     """All lines against all, with the same sets."""
-    def sets(s):
-        return {s[m.start() : m.start() + 16] for m in re.finditer(r"(?:^|(?<= ))(?=.)", s)}
-
     lines = {}
     for i, text, *_ in rows:
         for n, line in enumerate((text or "").split("\n")):
@@ -21,7 +18,7 @@ def brute(rows):
             if line and i is not None:
                 lines.setdefault(line, []).append((i, n))
     names = list(lines)
-    s = [sets(x) for x in names]
+    s = [shingle_set(x) for x in names]
     parent = list(range(len(names)))
 
     def find(x):
@@ -32,7 +29,7 @@ def brute(rows):
     for i in range(len(names)):
         for j in range(i):
             c = len(s[i] & s[j])
-            if len(s[i]) > 1 and len(s[j]) > 1 and c >= 0.65 * (len(s[i]) + len(s[j]) - c):
+            if c >= 0.65 * (len(s[i]) + len(s[j]) - c):
                 parent[find(i)] = find(j)
     classes = {}
     for i, x in enumerate(names):
@@ -90,7 +87,12 @@ def test_components(spark, kind):
 
 
 def shingle_set(line):
-    return {line[k : k + 8] for k in range(max(1, len(line) - 7))}
+    """From each word, and in words of over 12 characters from each character up to the last 12."""
+    out, at = set(), 0
+    for word in line.split(" "):
+        out |= {line[at + k : at + k + 12] for k in range(max(1, len(word) - 11))}
+        at += len(word) + 1
+    return out
 
 
 def brute_banded(lines):
@@ -140,4 +142,17 @@ def test_short_unspaced_and_long_token_lines(spark):
     df = spark.createDataFrame([(i, x, 1, "", 1) for i, x in enumerate(lines)], SCHEMA)
     found = got(line_dedup.op7_line_dedup(df))
     assert found == brute_banded(lines)
-    assert [[i for i, _ in c] for c in found] == [[0], [1], [2, 3, 4], [5, 6], [7], [8, 9], [10, 11], [12], [13], [14], [15, 16]]
+    assert [[i for i, _ in c] for c in found] == [[0], [1], [2, 3, 4], [5, 6], [7], [8, 9], [10], [11], [12], [13], [14], [15], [16]]
+
+
+def test_one_id_on_two_texts(spark):
+    near = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, near + " x\nalone in b", 1, "", 1), (1, near + " y\nalone in a\nthird", 1, "", 1), (2, near + " z", 1, "", 1), (4, near + " w\nthird", 1, "", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = line_dedup.op7_line_dedup(df).collect()
+    assert len(out) == 8 and len({r.class_id for r in out if r.line_no == 0}) == 1
+    clean = sorted((r.doc_id, r.text) for r in line_dedup.without_repeated_lines(df).collect())
+    kept = [r for r in out if r.line_no == 0 and r.kept]
+    assert {r.doc_id for r in kept} == {1} and len(kept) == 1
+    # both lines 0 of document 1 stay, as one of them is kept; those of the other documents go
+    assert clean == [(1, near + " x\nalone in b"), (1, near + " y\nalone in a\nthird"), (2, ""), (4, "")]
