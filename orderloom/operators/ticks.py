@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.operators.clean import micros
-from orderloom.spec import KEY, TS, is_trade, median, signed_size
+from orderloom.spec import KEY, TS, exact_mean, is_trade, median, signed_size
 
 EPS = 1e-9
 
@@ -42,8 +42,10 @@ def tape_speed_minutes(ticks: DataFrame) -> DataFrame:
 
 
 def micro_range_burst_gap(ticks: DataFrame) -> DataFrame:
-    t = trades(ticks).withColumn("_m", F.abs(F.col("price") - F.lag("price").over(order()))).withColumn("_g", (micros() - F.lag(micros()).over(order())) / 1000)
-    return t.withColumn("micro_range", F.avg("_m").over(last(100))).withColumn("burst", F.col("size") / F.greatest(F.avg("size").over(last(500, 1)), F.lit(EPS))).withColumn("trade_gap_ms", F.avg("_g").over(last(50))).drop("_m", "_g")
+    t = trades(ticks).withColumn("_m", F.abs(F.col("price") - F.lag("price").over(order()))).withColumn("_g", micros() - F.lag(micros()).over(order()))
+    gap = F.sum("_g").over(last(50)) / (F.count("_g").over(last(50)) * 1000.0)
+    burst = F.col("size") / F.greatest(F.avg("size").over(last(500, 1)), F.lit(EPS))
+    return t.withColumn("micro_range", exact_mean(F.col("_m"), last(100))).withColumn("burst", burst).withColumn("trade_gap_ms", gap).drop("_m", "_g")
 
 
 def net_signed_volume(ticks: DataFrame, n: int = 100, large: float = 2.0) -> DataFrame:

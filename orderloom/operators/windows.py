@@ -8,7 +8,7 @@ from pyspark.sql.window import WindowSpec
 
 from orderloom.functions.scan import affine_scan, ewm, ewms
 from orderloom.operators.clean import micros
-from orderloom.spec import KEY, SESSIONS, TS, ahead, by_time, median, so_far, trailing
+from orderloom.spec import KEY, SESSIONS, TS, ahead, by_time, exact_mean, median, so_far, trailing
 
 EPS = 1e-9
 
@@ -35,7 +35,7 @@ def true_range_atr(bars: DataFrame, n: int = 14) -> DataFrame:
         prev = F.when(~F.col("session_break"), prev)
     bars = bars.withColumn("_p", prev)
     tr = F.greatest(F.col("high") - F.col("low"), F.coalesce(F.abs(F.col("high") - F.col("_p")), F.lit(0.0)), F.coalesce(F.abs(F.col("low") - F.col("_p")), F.lit(0.0)))
-    return bars.withColumn("tr", tr).drop("_p").withColumn("atr", F.avg("tr").over(trailing(n)))
+    return bars.withColumn("tr", tr).drop("_p").withColumn("atr", exact_mean(F.col("tr"), trailing(n)))
 
 
 def wilder_atr(bars: DataFrame, n: int = 14, seed: str = "mean") -> DataFrame:

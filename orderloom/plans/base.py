@@ -56,10 +56,13 @@ FLOW_BARS = "flow_bars AS (SELECT b.*, c.cvd_delta, c.cvd_velocity, c.cvd, c.cvd
 ATR = """tr AS (
   SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr
   FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_event)),
+exact_tr AS (
+  SELECT *, sum(CAST(round(tr * 1000000.0) AS BIGINT)) OVER w / (count(tr) OVER w * 1000000.0) AS mean_tr
+  FROM tr WINDOW w AS (PARTITION BY symbol ORDER BY ts_event ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
 atr AS (
-  SELECT * REPLACE (round(tr, 9) AS tr, round(open, 9) AS open, round(high, 9) AS high, round(low, 9) AS low, round(close, 9) AS close),
-         round(avg(tr) OVER (PARTITION BY symbol ORDER BY ts_event ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 9) AS atr
-  FROM tr)"""
+  SELECT * EXCLUDE (mean_tr) REPLACE (round(tr, 9) AS tr, round(open, 9) AS open, round(high, 9) AS high, round(low, 9) AS low, round(close, 9) AS close),
+         round(mean_tr, 9) AS atr
+  FROM exact_tr)"""
 LABELS = """barriers AS (
   SELECT *, close + greatest(atr, 1e-6) AS up, close - greatest(atr, 1e-6) AS dn,
          list({'t': ts_event, 'o': open, 'h': high, 'l': low}) OVER (PARTITION BY symbol ORDER BY ts_event ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS nxt

@@ -28,7 +28,8 @@ AB = lambda s, d: stage(atr_bars(s, d))
 
 BREAK = "brk AS (SELECT *, coalesce(gap > 3 * median(gap) OVER (PARTITION BY symbol), false) AS session_break FROM (SELECT *, epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER (PARTITION BY symbol ORDER BY ts_event) AS gap FROM bars))"
 feature("e1_session_break_flag", lambda s, d: W.session_break_flag(bars(s, d), 1.5), ["session_break"], (TICKS_SQL, BARS, BREAK.replace("3 * median", "1.5 * median")), "session_break FROM brk")
-feature("e2_true_range_atr", lambda s, d: atr_bars(s, d), ["tr", "atr"], A, "round(tr, 6) AS tr, round(atr, 6) AS atr FROM atr")
+# integer sums give one result in any order, so nothing is rounded here
+query("e2_true_range_atr", sql(*A, select="SELECT symbol, ts_event, tr, mean_tr AS atr FROM exact_tr"))(lambda s, d: atr_bars(s, d).select(*ID, "tr", "atr"))
 
 RECURSE = """n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) AS i FROM atr),
 r(symbol, i, y) AS (
@@ -199,10 +200,12 @@ def tick_feature(name, op, columns, ctes, select):
 
 
 tick_feature("f5_tape_speed", X.tape_speed_minutes, ["tape_speed"], (TICKS_SQL, TR), "count(*) OVER (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY epoch_us(ts_event) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS tape_speed FROM tt")
-tick_feature(
-    "f6_micro_range_burst_gap", X.micro_range_burst_gap, ["micro_range", "burst", "trade_gap_ms"], (TICKS_SQL, TR, f"x AS (SELECT *, abs(price - lag(price) OVER w) AS m, (epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER w) / 1000 AS g FROM tt {TW})"),
-    f"round(avg(m) OVER {tf(100)}, 6) AS micro_range, round(size / greatest(avg(size) OVER {tf(500, 1)}, 1e-9), 6) AS burst, round(avg(g) OVER {tf(50)}, 6) AS trade_gap_ms FROM x",
-)
+F6 = f"""x AS (SELECT *, abs(price - lag(price) OVER w) AS m, epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER w AS g FROM tt {TW})"""
+F6_SELECT = f"""SELECT seq, sum(CAST(round(m * 1000000.0) AS BIGINT)) OVER {tf(100)} / (count(m) OVER {tf(100)} * 1000000.0) AS micro_range,
+       size / greatest(avg(size) OVER {tf(500, 1)}, 1e-9) AS burst,
+       sum(g) OVER {tf(50)} / (count(g) OVER {tf(50)} * 1000.0) AS trade_gap_ms
+FROM x"""
+query("f6_micro_range_burst_gap", sql(TICKS_SQL, TR, F6, select=F6_SELECT))(lambda spark, d: X.micro_range_burst_gap(market.ticks(spark, d)).select("seq", "micro_range", "burst", "trade_gap_ms"))
 tick_feature(
     "f2_absorption_intensity", X.absorption_intensity, ["absorption"], (TICKS_SQL, TR, f"x AS (SELECT *, sum({SIGNED}) OVER {tf(50)} AS fl, abs(price - lag(price, 49) OVER w) AS mv FROM tt {TW})", "y AS (SELECT *, abs(fl) / greatest(mv, 0.01) AS raw FROM x)"),
     f"round(least(raw / greatest(quantile_cont(raw, 0.5) OVER {tf(200)}, 1e-9), 25), 6) AS absorption FROM y",

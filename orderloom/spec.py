@@ -43,6 +43,12 @@ def median(column: str | Column, p: float = 0.5) -> Column:
     return F.percentile(column, F.lit(p))
 
 
+def exact_mean(value: Column, window: WindowSpec, unit: float = 1e-6) -> Column:
+    """Mean of prices over a window from integer sums of units: the same in any order of summation."""
+    step = 1 / unit
+    return F.sum(F.round(value * step).cast("bigint")).over(window) / (F.count(value).over(window) * step)
+
+
 def is_trade(action: str = "action") -> Column:
     return F.upper(F.trim(F.col(action))).isin(*TRADE_ACTIONS)
 
