@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,75 +57,91 @@ class OpenBins:
         return at
 
 
-class WordIds:
-    """The ids of words, kept between the batches of a partition. Beyond KEPT distinct words it starts afresh.
+class PartIds:
+    """The ids of parts of words, kept between the batches of a partition in two arrays. Beyond KEPT parts it starts afresh.
 
-    The vocabulary lowers case and cuts words into letters, digits and runs of other characters before it merges. A word of letters with
-    plain marks behind it so has the ids of its letters, then those of its marks; only letters not met before go to the
-    library, many at once, told apart by the tokens that end words.
+    The vocabulary lowers case and cuts words into letters, digits and runs of other characters before it merges. A word
+    of Latin letters with plain marks behind it so has the ids of its letters, then those of its marks; other words are a
+    part as they are. Letters not met before go to the library many at once, told apart by the tokens that end words;
+    lowered ASCII letters without the steps that leave them as they are (normalising, cutting).
     """
 
-    KEPT, AT_ONCE, MARKS = 500_000, 500, ".,;:!?"
+    KEPT, AT_ONCE = 500_000, 500
+    WORD = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)(?P<marks>[.,;:!?]*)$"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {"": []}
-        self.first, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def alone(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def learn(self, letters: list[str]) -> None:
-        for i in range(0, len(letters), self.AT_ONCE):
-            some = letters[i : i + self.AT_ONCE]
-            ids = self.library.encode(" ".join(some), add_special_tokens=False).ids
-            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            one = [ids[x:y] for x, y in zip([0, *cut[:-1]], cut, strict=True)] if len(cut) == len(some) and cut[-1] == len(ids) else self.alone(some)
-            self.parts.update(zip(some, one, strict=True))
-
-    def split(self, word: str) -> tuple[str, str] | None:
-        """Letters and marks, or None for a word of another kind."""
-        stem = word.rstrip(self.MARKS)
-        return (stem.lower() if stem.isascii() else stem, word[len(stem) :]) if stem.isalpha() else None
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """first, size of each word's ids in the pool, and the pool."""
+        self.known: dict[str, int] = {"": 0}
+        self.bounds, self.pool = np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def _add(self, parts: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, m = len(self.known), int(self.bounds[len(self.known)])
+        while n + len(parts) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        while m + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.bounds[n + 1 : n + 1 + len(parts)] = m + np.cumsum(sizes)
+        self.pool[m : m + len(ids)] = ids
+        self.known.update(zip(parts, range(n, n + len(parts)), strict=True))
+
+    def _alone(self, parts: list[str]) -> None:
+        got = [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        self._add(parts, np.fromiter(map(len, got), np.int64, len(got)), np.array([i for g in got for i in g], np.uint32))
+
+    def places(self, coded: pa.Array, letters: bool) -> np.ndarray:
+        """The number of each of the distinct parts; letters: they are letters alone, the ASCII ones lowered."""
+        parts = coded.to_numpy(zero_copy_only=False).tolist()
+        new = [x for x in parts if x not in self.known]
+        if not letters:
+            self._alone(new)
+            new = []
+        ascii_only, wide = [x for x in new if x.isascii()], [x for x in new if not x.isascii()]
+        for library, some in ((lib, of[k : k + self.AT_ONCE]) for lib, of in ((self.bare, ascii_only), (self.library, wide)) for k in range(0, len(of), self.AT_ONCE)):
+            ids = np.array(library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some) and cut[-1] == len(ids):
+                self._add(some, np.diff(cut, prepend=0), ids)
+            else:
+                self._alone(some)
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+
+    def words(self, words: pa.Array) -> pa.LargeListArray:
+        """The ids of each of the distinct words."""
         if len(self.known) > self.KEPT:
             self.clear()
-        new = [w for w in words if w not in self.known]
-        if new:
-            cut = [self.split(w) for w in new]
-            self.learn(list({c[0]: None for c in cut if c and c[0] not in self.parts}))
-            marks = list({c[1]: None for c in cut if c and c[1] not in self.parts})
-            self.parts.update(zip(marks, self.alone(marks), strict=True))
-            other = iter(self.alone([w for w, c in zip(new, cut, strict=True) if c is None]))
-            got = [next(other) if c is None else self.parts[c[0]] + self.parts[c[1]] for c in cut]
-            size = np.array([len(g) for g in got], np.int64)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        return self.first[at], self.size[at], self.pool
-
-
-_WORD_IDS: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
+        found = pc.extract_regex(words, self.WORD)
+        plain = found.is_valid()
+        at = np.zeros((len(words), 2), np.int64)
+        here = plain.to_numpy(zero_copy_only=False)
+        letters = pc.struct_field(found, "letters").filter(plain)
+        letters = pc.if_else(pc.string_is_ascii(letters), pc.ascii_lower(letters), letters).dictionary_encode()
+        marks = pc.struct_field(found, "marks").filter(plain).dictionary_encode()
+        for k, (coded, kind) in enumerate(((letters, True), (marks, False))):
+            at[here, k] = self.places(coded.dictionary, kind)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else 0
+        at[~here, 0] = self.places(words.filter(pc.invert(plain)), False)
+        n = len(self.known)
+        parts = pa.LargeListArray.from_arrays(pa.array(self.bounds[: n + 1]), pa.array(self.pool[: self.bounds[n]]))
+        both = parts.take(pa.array(at.ravel()))
+        return pa.LargeListArray.from_arrays(both.offsets.take(pa.array(np.arange(0, 2 * len(words) + 1, 2))), both.values)
+
+
+_PART_IDS: dict[str, PartIds] = {}
+
+
+def part_ids(path: str) -> PartIds:
     """One for each worker and vocabulary."""
-    if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
-    return _WORD_IDS[path]
+    if path not in _PART_IDS:
+        _PART_IDS[path] = PartIds(path)
+    return _PART_IDS[path]
 
 
 def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +151,18 @@ def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndar
     """
     starts, flat = words_of(texts, lower=False)
     coded = flat.dictionary_encode()
-    first, size, pool = word_ids(path)(coded.dictionary.to_pylist())
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    n = size[codes]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    offsets = ends[starts] + np.arange(len(starts))  # one more id for each document before
-    out = np.full(offsets[-1], end_id, np.uint32)
-    row = np.repeat(np.arange(len(starts) - 1), np.diff(ends[starts]))
-    out[np.arange(ends[-1]) + row] = pool[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])] if len(codes) else np.zeros(0, np.uint32)
-    return offsets, out
+    words = part_ids(path).words(coded.dictionary)
+    end = len(words)
+    words = pa.LargeListArray.from_arrays(
+        pa.array(np.append(words.offsets.to_numpy(), len(words.values) + 1)), pa.concat_arrays([words.values, pa.array([end_id], pa.uint32())])
+    )
+    closes = starts[1:] + np.arange(len(starts) - 1)  # a document's end stands behind its words, and behind the ends before it
+    codes = np.empty(len(coded) + len(closes), np.int32)
+    inner = np.ones(len(codes), bool)
+    inner[closes] = False
+    codes[closes], codes[inner] = end, coded.indices.to_numpy(zero_copy_only=False)
+    out = words.take(pa.array(codes))
+    return out.offsets.to_numpy()[np.append(0, closes + 1)], out.values.to_numpy()
 
 
 def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int, with_ids: bool, id_col: str, text_col: str) -> DataFrame:
@@ -171,7 +191,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int, with_ids: bo
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(begin, offsets[-1]), pa.int32()), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
-        word_ids(path).clear()
+        part_ids(path).clear()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
