@@ -1,10 +1,17 @@
-"""Benchmark decontamination by seeds that no verified stretch lacks.
+"""Benchmark decontamination by spaced seeds, with verified overlaps around their hits.
 
-Words are lower-cased and trimmed of punctuation. A seed is three equal words in a row. A stretch that counts has at least 10
-equal words (an item of fewer words all of them) and at most a changed word for three equal ones, so that its longest run
-of equal words has three or more: every such stretch is seeded. Window hashes of the benchmark form a sorted index; every
-window of every document is looked up in it. Around each hit the two texts are laid along its diagonal, and, where it holds
-words enough that are equal, the stretch with the best balance of equal and changed words decides.
+Words are lower-cased and trimmed of punctuation. A stretch of a document counts when, laid word by word along a stretch of
+an item, at least three of four words are equal, and at least `least_equal` of them: 10, or for items of eight to twelve
+words four of five, or for still shorter ones all.
+
+Seeds are windows of words under fixed masks that ignore the words at their zeros. Every stretch that counts holds one:
+* four equal words in a row are a seed by themselves. Otherwise all runs of equal words have at most three;
+* with c changed words the stretch has c + 1 runs (some may be empty) and at least 3c equal words, so that all runs
+  together lack at most three words of three each. With 7 equal words or more, a run of three stands beside one that is
+  not empty (of four runs or more one is whole, and an empty one uses up all that may lack; three runs hold 3 + 3 + 1 or
+  3 + 2 + 2 words), and this makes the mask 11101 or 10111.
+Window hashes of the benchmark are a sorted index; every window of every document is looked up in it. The diagonal of each
+hit is then searched for the stretch with the most equal words among those that count.
 
 The index of a benchmark is small beside the corpus and is sent to the tasks, in parts of at most INDEX_ROWS windows: a
 larger benchmark takes one pass over the documents for each part, never more memory.
@@ -21,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orderloom.llm.common import arrow_schema, hash_words, mix, slices, tidy, words_of
+from orderloom.llm.common import arrow_schema, hash_words, mix, slices, staged, tidy, words_of
 
-MASKS = ("111",)
+MASKS = ("1111", "11101", "10111")
 #: Diagonals whose words are counted at once.
 DIAGONALS = 1 << 14
-#: Fewest equal words of a stretch, least share of equal words in it, fewest words of an item.
-LEAST_WORDS, LEAST_SHARE, LEAST_ITEM = 10, 0.75, 5
+#: Equal words for one changed word in a stretch, and the fewest words of an item.
+FOR_ONE, LEAST_ITEM = 3, 5
 INDEX_ROWS = 1 << 20
 TRIM = " \t.,;:!?\"'()[]{}|<>-_*#"
 
@@ -47,6 +54,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return before[starts], hashes[codes[keep]]
 
 
+def least_equal(n: int) -> int:
+    """The fewest equal words of a stretch with an item of n words."""
+    return n if n < 8 else min(10, -(-4 * n // 5))
+
+
 def windows(h: np.ndarray, mask: str) -> np.ndarray:
     """The hash of each window of len(mask) words under the mask."""
     n = len(h) - len(mask) + 1
@@ -92,60 +104,57 @@ class Index:
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, first word in the text, first word in the item, words, equal words) of each verified stretch."""
         starts, h = word_hashes(texts)
-        seeds = []
+        length = np.array([len(w) for w in self.words], np.int64)
+        every, begin = np.concatenate([*self.words, np.zeros(0, np.uint64)]), np.cumsum(length) - length
+        least = np.array([least_equal(n) for n in length], np.int64)
+        out: set[tuple[int, int, int, int, int, int]] = set()
         for mask, (hashes, text, at, bits) in self.masks.items():
             got = windows(h, mask)
             hit = np.flatnonzero(bits[got & np.uint64((1 << 22) - 1)])
             low, high = (np.searchsorted(hashes, got[hit], side=s) for s in ("left", "right"))
-            n = high - low
-            place = np.repeat(hit, n)
-            which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            row = np.searchsorted(starts, place, side="right") - 1
-            inside = place + len(mask) <= starts[np.minimum(row + 1, len(starts) - 1)]
-            seeds.append(np.stack([row, text[which], place - at[which]], 1)[inside])
-        if not seeds:
-            return []
-        found = np.concatenate(seeds)
-        order = np.lexsort(found.T[::-1])
-        found = found[order]
-        found = found[np.append(True, (found[1:] != found[:-1]).any(1))[: len(found)]]
-        length = np.array([len(w) for w in self.words], np.int64)
-        every, begin = np.concatenate([*self.words, np.zeros(0, np.uint64)]), np.cumsum(length) - length
-        enough = [np.zeros((0, 3), np.int64)]
-        for k in range(0, len(found), DIAGONALS):
-            part = found[k : k + DIAGONALS]
-            row, i, start = part.T
-            low, high = np.maximum(start, starts[row]), np.minimum(start + length[i], starts[row + 1])
-            n = high - low
-            ahead = np.cumsum(n) - n
-            step = np.arange(n.sum())
-            same = h[step + np.repeat(low - ahead, n)] == every[step + np.repeat(begin[i] + low - start - ahead, n)]
-            equal = np.add.reduceat(same, ahead, dtype=np.int64)
-            enough.append(part[equal >= np.minimum(LEAST_WORDS, length[i])])
-        out = []
-        for row, i, start in np.concatenate(enough).tolist():
-            w, a, b = self.words[i], int(starts[row]), int(starts[row + 1])
-            low, high = max(start, a), min(start + len(w), b)
-            same = h[low:high] == w[low - start : high - start]
-            lo, hi = stretch(same)
-            equal = int(same[lo:hi].sum())
-            if equal >= min(LEAST_WORDS, len(w)) and equal >= LEAST_SHARE * (hi - lo):
-                out.append((row, self.ids[i], low + lo - a, low + lo - start, hi - lo, equal))
-        return out
-
-
-def stretch(same: np.ndarray) -> tuple[int, int]:
-    """The part with the largest (equal words - 2 * changed words), the first such."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    lowest = np.minimum.accumulate(total)
-    hi = int(np.argmax(total - lowest))
-    return int(np.argmin(total[: hi + 1])), hi
+            row = np.searchsorted(starts, hit, side="right") - 1
+            use = (high > low) & (hit + len(mask) <= starts[np.minimum(row + 1, len(starts) - 1)])
+            hit, low, row, n = hit[use], low[use], row[use], (high - low)[use]
+            until = np.cumsum(n)
+            for k in range(0, int(until[-1]) if len(until) else 0, DIAGONALS):  # a window of many items takes many parts
+                each = np.arange(k, min(k + DIAGONALS, int(until[-1])))
+                of = np.searchsorted(until, each, side="right")
+                which = low[of] + each - (until - n)[of]
+                part = np.stack([row[of], text[which], hit[of] - at[which]], 1)
+                part = part[np.lexsort(part.T[::-1])]
+                part = part[np.append(True, (part[1:] != part[:-1]).any(1))]
+                r, i, start = part.T
+                lo, hi = np.maximum(start, starts[r]), np.minimum(start + length[i], starts[r + 1])
+                size = hi - lo
+                ahead = np.cumsum(size) - size
+                step = np.arange(size.sum())
+                same = h[step + np.repeat(lo - ahead, size)] == every[step + np.repeat(begin[i] + lo - start - ahead, size)]
+                equal = np.add.reduceat(same, ahead, dtype=np.int64)
+                for j in np.flatnonzero(equal >= least[i]).tolist():
+                    a, b, words = stretch(same[ahead[j] : ahead[j] + size[j]])
+                    if words >= least[i[j]]:
+                        out.add((int(r[j]), self.ids[i[j]], int(lo[j] + a - starts[r[j]]), int(lo[j] + a - start[j]), b - a, words))
+        return sorted(out)
+
+
+def stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """Begin, end and equal words of the stretch with the most equal words among those with at most one changed word for
+    FOR_ONE equal ones: the first such, from an equal word to an equal word."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -FOR_ONE))])
+    equal = np.concatenate([[0], np.cumsum(same)])
+    # a stretch may begin at a new minimum of the totals only, and it is longest from the first that is low enough
+    lows = np.flatnonzero(np.append(True, total[1:] < np.minimum.accumulate(total)[:-1]))
+    begin = lows[np.searchsorted(-total[lows], -total, side="left")]
+    best = int(np.argmax(equal - equal[begin]))
+    a, b = int(begin[best]), best
+    inside = np.flatnonzero(same[a:b])
+    return (a + int(inside[0]), a + int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
 
 
 def parts_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
     """Indexes of at most about INDEX_ROWS windows each, built one after the other."""
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = rows.agg(F.sum(F.size(F.split("text", r"\s+")) * len(MASKS))).first()[0] or 0
+    total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = max(1, -(-int(total) // INDEX_ROWS))
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
@@ -158,8 +167,7 @@ FOUND = "doc_id bigint, item_id bigint, doc_word int, item_word int, words int,
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, doc_word, item_word, words, equal_words of each stretch that a document shares with an item.
 
-    Null and empty texts and items have none; items of fewer than five words are too common to count; items of up to
-    ten words must be met whole. Benchmark items of equal words are all reported; repeated documents each for itself.
+    Null and empty texts and items have none; items of fewer than five words are too common to count. Benchmark items of equal words are all reported; repeated documents each for itself.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -184,18 +192,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that share no stretch with the benchmark, as they are: decided where the text is read, without a shuffle."""
-    out = docs
+    """The documents that share no stretch with the benchmark, as they are: decided where the text is read, without a shuffle.
+
+    Between the parts of a large benchmark the documents are written, so that a task holds one index.
+    """
+    out, shared = docs, None
     schema: StructType = docs.schema
     kinds = arrow_schema(schema)
     for index in parts_of(benchmark, "item_id", "text"):
+        if shared is not None:
+            out = staged(out, "clean-part")
+            shared.unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, text_col):
-                    hit = {g[0] for g in shared.value.matches(part.column(text_col))}
-                    keep = part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
+                    hit = np.zeros(part.num_rows, bool)
+                    hit[[g[0] for g in shared.value.matches(part.column(text_col))]] = True
+                    keep = part.filter(pa.array(~hit))
                     yield pa.RecordBatch.from_arrays([c.cast(k.type) for c, k in zip(keep.columns, kinds, strict=True)], names=kinds.names)
 
         out = out.mapInArrow(tidy(run), schema)

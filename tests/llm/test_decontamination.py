@@ -58,19 +58,70 @@ def test_empty_tables(spark):
     assert dc.clean(one, none_b).count() == 1
 
 
-@pytest.mark.parametrize("n", [5, 9, 10, 11, 12, 13, 16, 20, 25, 30, 45])
-def test_no_verified_stretch_lacks_a_seed(n):
+def brute_stretch(same):
+    """The most equal words of any stretch with a changed word for three equal ones at most."""
+    best = 0
+    for a in range(len(same)):
+        for b in range(a + 1, len(same) + 1):
+            equal = sum(same[a:b])
+            if 3 * (b - a - equal) <= equal:
+                best = max(best, equal)
+    return best
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 9, 10, 11, 12, 14, 16, 20, 25, 30, 45])
+def test_no_stretch_that_counts_lacks_a_seed(n):
     import numpy as np
     import pyarrow as pa
 
     rnd = random.Random(n)
-    for _ in range(150):
-        item = [f"i{k}" for k in range(n)]
-        index = dc.Index([(3, " ".join(item))])
-        changed = set(rnd.sample(range(n), rnd.randint(0, n // 4)))
+    item = [f"i{k}" for k in range(n)]
+    index = dc.Index([(3, " ".join(item))])
+    for _ in range(250):
+        changed = set(rnd.sample(range(n), rnd.randint(0, max(1, n * 3 // 8))))
         text = ["before"] * 5 + [f"c{k}" if k in changed else w for k, w in enumerate(item)] + ["after"] * 5
         same = np.array([k not in changed for k in range(n)])
-        lo, hi = dc.stretch(same)
-        equal = int(same[lo:hi].sum())
-        want = [(0, 3, 5 + lo, lo, hi - lo, equal)] if equal >= min(10, n) and equal >= 0.75 * (hi - lo) else []
-        assert index.matches(pa.array([" ".join(text)])) == want
+        most = brute_stretch(same.tolist())
+        assert dc.stretch(same)[2] == most
+        got = index.matches(pa.array([" ".join(text)]))
+        if most >= dc.least_equal(n):
+            (row, item_id, doc_word, item_word, words, equal), = got
+            assert (row, item_id, doc_word, equal) == (0, 3, 5 + item_word, most) and 4 * equal >= 3 * words
+        else:
+            assert got == []
+
+
+def test_masks_meet_every_pattern():
+    """Every pattern of up to 19 words that counts, of equal and changed words, holds a mask."""
+    masks = [[k for k, x in enumerate(m) if x == "1"] for m in dc.MASKS]
+    for n in range(5, 20):
+        for x in range(1 << (n - 2)):
+            word = (1 << (n - 1)) | (x << 1) | 1
+            equal = word.bit_count()
+            if 4 * equal < 3 * n or equal < (7 if n < 12 else 10) and equal < n:
+                continue
+            assert any(all(word >> (at + k) & 1 for k in m) for m, span in zip(masks, map(len, dc.MASKS)) for at in range(n - span + 1)), bin(word)
+
+
+def test_all_pairs_against_brute_force(spark):
+    rnd = random.Random(8)
+    vocab = [f"w{k}" for k in range(60)]
+    items = [rnd.choices(vocab, k=rnd.choice([3, 5, 7, 8, 11, 14, 22])) for _ in range(25)]
+    docs = []
+    for d in range(120):
+        w = rnd.choices(vocab, k=rnd.randint(0, 30))
+        part = [rnd.choice(vocab) if rnd.random() < 0.15 else x for x in rnd.choice(items)]
+        docs.append(w + part + rnd.choices(vocab, k=rnd.randint(0, 10)))
+    docs += [docs[0], [], ["w1"] * 300]  # repeated rows, ties
+    want = set()
+    for d, w in enumerate(docs):
+        for i, item in enumerate(items):
+            if len(item) >= dc.LEAST_ITEM:
+                for start in range(1 - len(item), len(w)):
+                    lo, hi = max(start, 0), min(start + len(item), len(w))
+                    if brute_stretch([w[k] == item[k - start] for k in range(lo, hi)]) >= dc.least_equal(len(item)):
+                        want.add((d, i))
+    frame = spark.createDataFrame([(d, " ".join(w), "") for d, w in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(w), 0) for i, w in enumerate(items)], ITEMS)
+    assert {(r.doc_id, r.item_id) for r in dc.op4_decontamination(frame, bench).collect()} == want
+    assert {r.doc_id for r in dc.clean(frame, bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
