@@ -3,19 +3,24 @@
 p(w | v) = max(c(v, w) - D, 0) / c(v) + D * T(v) / c(v) * p(w), T(v): distinct words after v, p(w): the smoothed word
 probability of the base score; p(w) alone where v is new. It sums to 1 over the words and one unknown word.
 
+The trie stores the first term and the weight D * T(v) / c(v) as quantised probabilities.
+
 1. Texts become chunks of word codes with the chunk's distinct word hashes, written once to the shared folder.
-2. Chunks send their distinct words, and their distinct pairs, with the counts of the training texts, to shards: words by
-   ranges of hashes, pairs by context; contexts that hold over a thousandth of all tokens (a thousand at most) are dealt
-   further by their words. A shard builds its trie from the counts and answers each chunk about what the chunk holds.
-3. A chunk with its answers scores its documents.
+2. Chunks send their distinct words with the counts of the training texts to shards by ranges of hashes; these answer with
+   the counts in all texts, and tell which words occur so often that what follows them is too much for one shard: over
+   `busy` times, a fourth of a shard's tokens or a millionth of all, so a million words at most.
+3. Chunks send their distinct pairs to shards by context; pairs of a busy context are dealt further by their words, to as
+   many parts as its count asks for. A shard builds its trie from the counts and answers each chunk about what it holds.
+4. A chunk with its answers scores its documents.
 What moves is at most an entry for each distinct pair of a chunk; nothing of the model passes through the driver but the
-totals and the frequent contexts.
+totals and the busy contexts.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.common import hash_words, mix, release, slices, staged, tidy, words_of
-from orderloom.llm.ngram_trie import CODES, NgramTrie
+from orderloom.llm.ngram_trie import NgramTrie, probability
 
 DISCOUNT = 0.75
-CHUNK_BYTES, SHARD_TOKENS, HOT_SHARE, HOT_PARTS = 8 << 20, 1 << 21, 1000, 64
+CHUNK_BYTES, SHARD_TOKENS, BUSY_AT_MOST = 8 << 20, 1 << 21, 1_000_000
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 
-CHUNKS = "chunk bigint, docs binary, train binary, sizes binary, tokens binary, words binary"
-ASKED = "shard int, level int, chunk bigint, a binary, b binary, c binary, d binary"
+CHUNKS = "chunk bigint, n bigint, docs binary, train binary, sizes binary, tokens binary, words binary"
+ASKED = "shard int, chunk bigint, a binary, b binary, c binary, d binary"
 ANSWERED = "level int, shard int, chunk bigint, x binary, y binary"
 
 
@@ -46,13 +51,13 @@ def unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
-def narrow(x: np.ndarray) -> np.ndarray:
+def narrow(x: np.ndarray, kind: str = "<u4") -> np.ndarray:
     """Low, middle and high bytes apart, so that they compress."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T)
 
 
-def wide(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpack(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def wide(raw: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(unpack(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def chunked(rows: DataFrame) -> DataFrame:
@@ -72,11 +77,26 @@ def chunked(rows: DataFrame) -> DataFrame:
                 docs = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)])
                 train = part.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
                 blobs = [docs.tobytes(), train.tobytes(), (n + 1).astype("<u4").tobytes(), pack(narrow(tokens)), words.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), *[pa.array([b], pa.binary()) for b in blobs]], ["chunk", "docs", "train", "sizes", "tokens", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([len(tokens)], pa.int64()), *[pa.array([b], pa.binary()) for b in blobs]], ["chunk", "n", "docs", "train", "sizes", "tokens", "words"])
 
     return rows.mapInArrow(tidy(run), CHUNKS)
 
 
+class Busy(NamedTuple):
+    """Contexts whose successors are dealt over several shards: their ascending hashes, counts and numbers of parts."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    parts: np.ndarray
+
+    def of(self, values: np.ndarray, hashes: np.ndarray, otherwise: float) -> np.ndarray:
+        """The value of each hash, `otherwise` where it is not busy."""
+        if not len(self.hashes):
+            return np.full(len(hashes), otherwise)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, values[at], otherwise)
+
+
 class Chunk:
     """Tokens of a chunk, and its distinct pairs in the order in which shards are asked about them."""
 
@@ -91,7 +111,7 @@ class Chunk:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[self.learn > 0], minlength=len(self.words)).astype(np.uint32)
 
-    def pairs(self, shards: int, hot: np.ndarray) -> None:
+    def pairs(self, shards: int, busy: Busy) -> None:
         """order, bounds: tokens by pair; and of the distinct pairs, by (shard, context, word): shard, context and word codes, the sorting `by`."""
         n = len(self.words)
         self.hashes = np.append(self.words, START)  # of contexts: the start is the last code
@@ -103,7 +123,7 @@ class Chunk:
         key = key[self.order]
         self.bounds = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         v, w = key[self.bounds] // n, key[self.bounds] % n
-        part = np.where(np.isin(self.hashes[v], hot), mix(self.words[w] + np.uint64(3)) % np.uint64(HOT_PARTS), np.uint64(0))
+        part = mix(self.words[w] + np.uint64(3)) % busy.of(busy.parts, self.hashes, 1).astype(np.uint64)[v]
         with np.errstate(over="ignore"):
             home = mix(self.hashes[v] + part * np.uint64(0x9E3779B97F4A7C15))
         shard = ((home >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -113,110 +133,121 @@ class Chunk:
         self.heads = np.flatnonzero(np.append(True, (self.shard[1:] != self.shard[:-1]) | (self.v[1:] != self.v[:-1]))) if len(v) else np.zeros(0, np.int64)
 
 
-def asked(chunks: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
-    """What each chunk asks of each shard, with its training counts. Level 1: words; level 2: contexts, words after each, fingerprints."""
+def _asked(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["shard", "chunk", "a", "b", "c", "d"])
+
+
+def _answered(out: list[tuple]) -> pa.Table:
+    kinds = (("level", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("x", pa.binary()), ("y", pa.binary()))
+    return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(kinds)})
+
+
+def asked_words(chunks: DataFrame, shards: int) -> DataFrame:
+    """The distinct words of each chunk for each shard, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 c = Chunk(r["train"], r["sizes"], r["tokens"], r["words"])
-                out: list[tuple] = []
                 counts = c.word_counts()
                 cut = np.searchsorted((c.words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+                at = [(int(s), slice(cut[s], cut[s + 1])) for s in np.flatnonzero(np.diff(cut))]
+                yield _asked([(s, r["chunk"], c.words[x].tobytes(), pack(narrow(counts[x])), b"", b"") for s, x in at])
+
+    return chunks.select("chunk", "train", "sizes", "tokens", "words").mapInArrow(tidy(run), ASKED)
+
+
+def asked_pairs(chunks: DataFrame, shards: int, busy: Busy) -> DataFrame:
+    """The contexts of each chunk for each shard, the words after each, and the training counts of these pairs."""
+    shared = chunks.sparkSession.sparkContext.broadcast(busy)  # a million contexts at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                c = Chunk(r["train"], r["sizes"], r["tokens"], r["words"])
+                c.pairs(shards, shared.value)
+                if not len(c.bounds):
+                    continue
+                out: list[tuple] = []
+                learnt = np.add.reduceat(c.learn[c.order].astype(np.int64), c.bounds)[c.by]
+                cut, top = np.searchsorted(c.shard, np.arange(shards + 1)), np.searchsorted(c.shard[c.heads], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cut)):
+                    heads = c.heads[top[s] : top[s + 1]]
+                    sizes = np.diff(np.append(heads, cut[s + 1]))
                     at = slice(cut[s], cut[s + 1])
-                    out.append((int(s), 1, r["chunk"], c.words[at].tobytes(), b"", b"", pack(narrow(counts[at]))))
-                c.pairs(shards, hot)
-                if len(c.bounds):
-                    learnt = np.add.reduceat(c.learn[c.order].astype(np.int64), c.bounds)[c.by]
-                    prints = (c.words >> np.uint64(16)).astype("<u4")[c.w]
-                    cut, top = np.searchsorted(c.shard, np.arange(shards + 1)), np.searchsorted(c.shard[c.heads], np.arange(shards + 1))
-                    for s in np.flatnonzero(np.diff(cut)):
-                        heads = c.heads[top[s] : top[s + 1]]
-                        sizes = np.diff(np.append(heads, cut[s + 1]))
-                        at = slice(cut[s], cut[s + 1])
-                        out.append((int(s), 2, r["chunk"], c.hashes[c.v[heads]].tobytes(), pack(narrow(sizes)), prints[at].tobytes(), pack(narrow(learnt[at]))))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "level", "chunk", "a", "b", "c", "d"])
+                    out.append((int(s), r["chunk"], c.hashes[c.v[heads]].tobytes(), pack(narrow(sizes)), c.words[c.w[at]].tobytes(), pack(narrow(learnt[at]))))
+                yield _asked(out)
 
     return chunks.select("chunk", "train", "sizes", "tokens", "words").mapInArrow(tidy(run), ASKED)
 
 
-def answer(hot: np.ndarray):
-    """Level 1 answers the words' counts; level 2 the pairs' codes and the contexts' numbers of successors. Levels 0 and -1 carry totals."""
+def answer_words(often: int):
+    """Level 1: the counts of a chunk's words; level 0: totals; level -2: words that occur over `often` times."""
 
     def run(table: pa.Table) -> pa.Table:
-        level, shard = table.column("level")[0].as_py(), table.column("shard")[0].as_py()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "a", "b", "c", "d")), strict=True))
-        a, d = [np.frombuffer(r[1], np.uint64) for r in rows], [wide(r[4]) for r in rows]
-        out: list[tuple] = []
-        if level == 1:
-            words, counts = np.concatenate(a), np.concatenate(d)
-            seen = counts > 0
-            known, place = np.unique(words[seen], return_inverse=True)
-            total = np.bincount(place, counts[seen], len(known)).astype(np.int64)
-            out.append((0, shard, 0, int(total.sum()).to_bytes(8, "little"), len(known).to_bytes(8, "little")))
-            for r, w in zip(rows, a, strict=True):
-                at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
-                got = np.where(known[at] == w, total[at], 0) if len(known) else np.zeros(len(w), np.int64)
-                out.append((1, shard, r[0], pack(narrow(got)), b""))
-        else:
-            sizes, prints = [wide(r[2]).astype(np.int64) for r in rows], [np.frombuffer(r[3], "<u4") for r in rows]
-            learnt = np.concatenate(d)
-            seen = learnt > 0
-            contexts = np.repeat(np.concatenate(a), np.concatenate(sizes))
-            with NgramTrie(contexts[seen], np.concatenate(prints)[seen], learnt[seen]) as trie:
-                for r, v, n, p in zip(rows, a, sizes, prints, strict=True):
-                    codes, fan = trie.query(v, n, p)
-                    out.append((2, shard, r[0], pack(codes), pack(narrow(fan))))
-                mine = hot[np.isin(hot, contexts[seen])]
-                fan = trie.query(mine, np.zeros(len(mine), np.int64), np.zeros(0, np.uint32))[1]
-                out.append((-1, shard, 0, mine.tobytes(), fan.astype(np.int64).tobytes()))
+        shard = table.column("shard")[0].as_py()
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "a", "b")), strict=True))
+        asked = [np.frombuffer(r[1], np.uint64) for r in rows]
+        words, counts = np.concatenate(asked), np.concatenate([wide(r[2]) for r in rows])
+        seen = counts > 0
+        known, place = np.unique(words[seen], return_inverse=True)
+        total = np.bincount(place, counts[seen], len(known)).astype(np.int64)
+        much = total > often
+        out = [(0, shard, 0, int(total.sum()).to_bytes(8, "little"), len(known).to_bytes(8, "little")), (-2, shard, 0, known[much].tobytes(), total[much].tobytes())]
+        for r, w in zip(rows, asked, strict=True):
+            at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
+            got = np.where(known[at] == w, total[at], 0) if len(known) else np.zeros(len(w), np.int64)
+            out.append((1, shard, r[0], pack(narrow(got, "<i8")), b""))
         release()
-        return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate((("level", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("x", pa.binary()), ("y", pa.binary())))})
+        return _answered(out)
 
     return run
 
 
-def frequent(chunks: DataFrame) -> np.ndarray:
-    """Hashes of the contexts with over a thousandth of all tokens; there are a thousand at most."""
+def answer_pairs(busy, discount: float):
+    """Level 2: the codes of a chunk's pairs and of its contexts' weights; level -1: the successors here of busy contexts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                c = Chunk(r["train"], r["sizes"], r["tokens"], r["words"])
-                counts = np.bincount(c.tokens, minlength=len(c.words))
-                at = np.flatnonzero(counts * 2 * HOT_SHARE > len(c.tokens))
-                w = np.concatenate([c.words[at], [START, np.uint64(0)]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.concatenate([counts[at], [len(c.sizes), len(c.tokens)]]))], ["w", "n"])
+    def run(table: pa.Table) -> pa.Table:
+        hashes, counts, _ = busy.value
+        shard = table.column("shard")[0].as_py()
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "a", "b", "c", "d")), strict=True))
+        asked, sizes, words = [np.frombuffer(r[1], np.uint64) for r in rows], [wide(r[2]).astype(np.int64) for r in rows], [np.frombuffer(r[3], np.uint64) for r in rows]
+        learnt = np.concatenate([wide(r[4]) for r in rows])
+        seen = learnt > 0
+        contexts = np.repeat(np.concatenate(asked), np.concatenate(sizes))
+        out: list[tuple] = []
+        with NgramTrie(contexts[seen], np.concatenate(words)[seen], learnt[seen], discount, (hashes, counts)) as trie:
+            mine = hashes[np.isin(hashes, contexts[seen])]
+            del contexts, learnt, seen
+            for r, v, n, w in zip(rows, asked, sizes, words, strict=True):
+                codes, weights = trie.query(v, n, w)
+                out.append((2, shard, r[0], pack(codes), pack(weights)))
+            out.append((-1, shard, 0, mine.tobytes(), trie.successors_of(mine).tobytes()))
+        release()
+        return _answered(out)
 
-    sums = chunks.select("train", "sizes", "tokens", "words").mapInArrow(tidy(run), "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    total = sums.where("w = 0").agg(F.sum("n")).first()[0] or 0
-    rows = sums.where((F.col("w") != 0) & (F.col("n") * HOT_SHARE > total)).select("w").collect()
-    return np.sort(np.array([r.w for r in rows], np.int64).view(np.uint64))
+    return run
 
 
 SCORED = "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def scorer(total: int, distinct: int, hot: np.ndarray, fans: np.ndarray, shards: int, discount: float):
+def scorer(total: int, distinct: int, shared, shards: int, discount: float):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        busy, spread = shared.value
         r = chunk.to_pylist()[0]
         c = Chunk(r["train"], r["sizes"], r["tokens"], r["words"])
         got = sorted(zip(*(answers.column(k).to_pylist() for k in ("level", "shard", "x", "y")), strict=True), key=lambda x: x[:2])
-        counts = np.concatenate([wide(x) for lv, _, x, _ in got if lv == 1]).astype(np.float64)
+        counts = np.concatenate([wide(x, "<i8") for lv, _, x, _ in got if lv == 1]).astype(np.float64)
         share = (counts + 0.5) / (total + 0.5 * (distinct + 1))
-        codes = np.concatenate([unpack(x, np.uint16) for lv, _, x, _ in got if lv == 2])
-        fan = np.concatenate([wide(y) for lv, _, _, y in got if lv == 2]).astype(np.float64)
-        c.pairs(shards, hot)
-        end = counts[np.searchsorted(c.words, END)]
-        of_context = np.append(counts, end)[c.v]  # as often as texts end, they begin
-        each = np.repeat(fan, np.diff(np.append(c.heads, len(c.v))))
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, c.hashes[c.v]), len(hot) - 1)
-            each = np.where(hot[at] == c.hashes[c.v], fans[at], each)
-        seen = CODES[codes]
-        safe = np.maximum(of_context, 1)
-        p = np.where(of_context > 0, np.maximum(seen - discount, 0) / safe + discount * each / safe * share[c.w], share[c.w])
+        own = probability(np.concatenate([unpack(x, np.uint16) for lv, _, x, _ in got if lv == 2]))
+        weight = probability(np.concatenate([unpack(y, np.uint16) for lv, _, _, y in got if lv == 2]))
+        c.pairs(shards, busy)
+        left = np.repeat(weight, np.diff(np.append(c.heads, len(c.v))))  # 0: the context is new
+        whole = busy.of(discount * spread / np.maximum(busy.counts, 1), c.hashes[c.v], -1.0)
+        left = np.where(whole < 0, left, whole)
+        p = np.where(left > 0, own + left * share[c.w], share[c.w])
         pair = np.empty(len(p))
         pair[c.by] = np.log10(p)
         token = np.empty(len(c.tokens))
@@ -234,22 +265,28 @@ def score_corpus(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     """doc_id, train, n_tokens, n_known, base_score, score of each document, and the number of training tokens.
 
     train: a condition on `docs` that marks the texts to learn from (null: they are learnt from). Null and empty texts are
-    one token, the end. Repeated rows count and are scored each for itself. Words are told apart by 64-bit hashes, words
-    after one context by 32 bits more.
+    one token, the end. Repeated rows count and are scored each for itself. Words are told apart by 64-bit hashes.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     shards = max(1, -(-int(size) // (6 * SHARD_TOKENS)))
     chunks = staged(chunked(rows), "lm-chunks")
-    hot = frequent(chunks)
-    told = staged(asked(chunks, shards, hot).groupBy("level", "shard").applyInArrow(answer(hot), ANSWERED), "lm-answers")
-    stats = told.where("level < 1").select("level", "x", "y")
-    sums = stats.where("level = 0").mapInArrow(_totals, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
-    fans = {r.w: r.t for r in stats.where("level = -1").mapInArrow(_fans, "w bigint, t bigint").groupBy("w").agg(F.sum("t").alias("t")).collect()}
-    spread = np.array([fans.get(int(h), 0) for h in hot.view(np.int64)], np.float64)
+    often = max(SHARD_TOKENS // 4, int(chunks.agg(F.sum("n")).first()[0] or 0) // BUSY_AT_MOST)
+    words = staged(asked_words(chunks, shards).groupBy("shard").applyInArrow(answer_words(often), ANSWERED), "lm-words")
+    sums = words.where("level = 0").select("x", "y").mapInArrow(_totals, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
     total, distinct = int(sums[0] or 0), int(sums[1] or 0)
-    run = scorer(total, distinct, hot, spread, shards, discount)
-    out = chunks.groupBy("chunk").cogroup(told.where("level > 0").groupBy("chunk")).applyInArrow(run, SCORED)
+    found = {r.w: r.t for r in words.where("level = -2").select("x", "y").mapInArrow(_numbers, "w bigint, t bigint").collect()}
+    if END.view(np.int64) in found:  # as often as texts end, they begin
+        found[int(START.view(np.int64))] = found.pop(int(END.view(np.int64)))
+    hashes = np.sort(np.array(list(found), np.int64).view(np.uint64))
+    counts = np.array([found[int(h)] for h in hashes.view(np.int64)], np.int64)
+    busy = Busy(hashes, counts, -(-counts // often))
+    shared = docs.sparkSession.sparkContext.broadcast(busy)
+    pairs = staged(asked_pairs(chunks, shards, busy).groupBy("shard").applyInArrow(answer_pairs(shared, discount), ANSWERED), "lm-pairs")
+    fans = {r.w: r.t for r in pairs.where("level = -1").select("x", "y").mapInArrow(_numbers, "w bigint, t bigint").groupBy("w").agg(F.sum("t").alias("t")).collect()}
+    spread = np.array([fans.get(int(h), 0) for h in hashes.view(np.int64)], np.float64)
+    run = scorer(total, distinct, docs.sparkSession.sparkContext.broadcast((busy, spread)), shards, discount)
+    out = chunks.groupBy("chunk").cogroup(words.union(pairs).where("level > 0").groupBy("chunk")).applyInArrow(run, SCORED)
     return out, total
 
 
@@ -259,7 +296,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["n", "v"])
 
 
-def _fans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols = [pa.array(np.frombuffer(b"".join(b.column(c).to_pylist()), np.int64)) for c in ("x", "y")]
         yield pa.RecordBatch.from_arrays(cols, ["w", "t"])
