@@ -1,13 +1,14 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 Each proposer yields spans of one kind; a validator (octet range, Luhn, mod-97, digit count) drops the false ones;
-words near a span raise its score. Kinds whose pattern alone is proof enough (email, ip, card, phone, iban) are always
-above the threshold; a bare local phone number or social-security-like number needs a context word to pass.
+words near a span raise its score. Kinds whose pattern alone is proof enough (email, ip, card, phone, iban, keys of known
+form) are always above the threshold; a bare local phone number, social-security-like number or secret needs a context word.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,6 +36,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
+#: Keys and tokens by the prefixes that their issuers publish, private keys and signed tokens; KEY_MARKS tells most texts apart.
+KEY = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|[sr]k[-_][A-Za-z0-9_-]{20,250}"
+    r"|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+)
+KEY_MARKS = ("AKIA", "ASIA", "_", "xox", "k-", "AIza", "eyJ", "-----BEGIN ")
+SECRET = re.compile(r"(?<![^\s=:\"'(\[{])(?=[^\s\"',;]{0,40}[0-9!@#$%^&*])[A-Za-z0-9][^\s\"',;=:]{5,127}")
+SECRET_WORD = re.compile(r"(?:password|passwd|pwd|passphrase|secret|api[ _-]?key|token)[\"']?(?: is)?\s{0,3}[:=]?\s{0,3}[\"']?", re.IGNORECASE)
 NOT_DIGIT = re.compile(r"[^0-9]+")
 CONTEXT = {
     "email": ("mail", "contact", "correo", "courriel"),
@@ -44,8 +53,10 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
     "national_id": ("ssn", "social", "security"),
     "local_phone": ("call", "phone", "tel", "mobile", "fax", "telefon", "tél", "teléfono"),
+    "key": ("key", "token", "secret", "credential", "credentials"),
+    "secret": ("password", "passwd", "pwd", "passphrase", "secret", "key", "token"),
 }
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.75, "iban": 0.9, "national_id": 0.4, "local_phone": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.75, "iban": 0.9, "national_id": 0.4, "local_phone": 0.4, "key": 0.9, "secret": 0.4}
 THRESHOLD, CONTEXT_BONUS, CONTEXT_CHARS = 0.5, 0.2, 40
 WORD = re.compile(r"\w+")
 
@@ -103,20 +114,52 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         yield "national_id", *m.span()
     for m in LOCAL_PHONE.finditer(text):
         yield "local_phone", *m.span()
+    if any(x in text for x in KEY_MARKS):
+        for m in KEY.finditer(text):
+            yield "key", *m.span()
+    for word in SECRET_WORD.finditer(text):
+        if m := SECRET.match(text, word.end()):
+            yield "secret", *m.span()
+
+
+class Covered:
+    """Disjoint stretches in order; tells whether a span meets one."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def add(self, start: int, end: int) -> bool:
+        """False if the span meets a stretch; otherwise it becomes one."""
+        at = bisect_left(self.starts, end)
+        if at and self.ends[at - 1] > start:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
 
 
 def find_spans(text: str | None) -> list[Span]:
-    """Spans over the threshold. Base kinds are never dropped; others must not overlap a base span."""
+    """Spans over the threshold. Base kinds are never dropped; others must not overlap a base span or one another."""
     found: list[Span] = []
     if not text:
         return found
+    covered = None
     for kind, start, end in proposals(text):
         near = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS // 2]
-        score = PRIOR[kind] + CONTEXT_BONUS * (not set(WORD.findall(near.lower())).isdisjoint(CONTEXT[kind]))
+        score = min(1.0, PRIOR[kind] + CONTEXT_BONUS * (not set(WORD.findall(near.lower())).isdisjoint(CONTEXT[kind])))
         if kind in BASE_KINDS:
-            found.append(Span(kind, start, end, min(score, 1.0)))
-        elif score >= THRESHOLD and not any(s.start < end and start < s.end for s in found):
-            found.append(Span(kind, start, end, min(score, 1.0)))
+            found.append(Span(kind, start, end, score))
+        elif score >= THRESHOLD:
+            covered = covered or Covered([(s.start, s.end) for s in found])
+            if covered.add(start, end):
+                found.append(Span(kind, start, end, score))
     return found
 
 
@@ -161,7 +204,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def op6_pii(docs: DataFrame) -> DataFrame:
-    """The digest of the spans that pii_spans finds."""
+    """The digest of the spans that pii_spans finds; n_spans counts all kinds, scores are in the order of spans."""
     spans = pii_spans(docs)
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
@@ -171,4 +214,6 @@ def op6_pii(docs: DataFrame) -> DataFrame:
         *[count(k) for k in BASE_KINDS],
         F.sha2(F.concat_ws(",", F.transform(base, text)), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform("spans", text)).alias("spans"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.concat_ws(",", F.transform("spans", lambda s: F.format_number(s["score"], 2))).alias("scores"),
     )
