@@ -2,13 +2,15 @@
 
 A batch of distinct pre-tokens is one flat array of symbol ids with row offsets. In each step every row applies all
 occurrences of its lowest-ranked pair at once; rows are done when no pair has a rank. As a merged symbol only takes part
-in pairs of higher rank than its own, this gives what merging one pair at a time gives. What is left is counted.
+in pairs of higher rank than its own, this gives what merging one pair at a time gives. What is left is counted. Long
+pre-tokens merge one by one in the same order of ranks, each rank at its own places only.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from orderloom.llm.common import slices, tidy
 #: Distinct pre-tokens whose counts a worker keeps within a partition; beyond it starts afresh (a count is then worked out again).
 CACHE = 500_000
 NONE = np.int64(1 << 40)
+#: Bytes beyond which a pre-token is merged by itself, so that a rank costs its places and not the whole token.
+LONG = 512
 
 
 def byte_symbols() -> list[str]:
@@ -87,11 +91,61 @@ class RankMerger:
             left = np.add.reduceat(stay.astype(np.int64), np.cumsum(left) - left)
         return out
 
+    def count_long(self, token: str) -> int:
+        """Symbols left of one long pre-token: the same merges, but each rank visits only the places that have it.
+
+        A merge makes pairs of higher rank than its own, so ranks come up in ascending order, each once.
+        """
+        symbols = self.first[np.frombuffer(token.encode("utf-8", "surrogatepass"), np.uint8)]
+        n = len(symbols)
+        before, after, alive = np.arange(-1, n - 1), np.arange(1, n + 1), np.ones(n, bool)
+        rank = np.append(self.rank(symbols[:-1], symbols[1:]), NONE)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[rank[at] < NONE]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            cut = np.flatnonzero(np.diff(rank[at])) + 1
+            for part in np.split(at, cut) if len(at) else []:
+                r = int(rank[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heappush(heap, r)
+                places[r].append(part)
+
+        put(np.arange(n))
+        while heap:
+            r = heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            chained = np.append(False, after[at[:-1]] == at[1:])  # a run such as aaa: every second pair from the left
+            if chained.any():
+                k = np.arange(len(at))
+                at = at[(k - np.maximum.accumulate(np.where(chained, 0, k))) % 2 == 0]
+            gone = after[at]
+            follow = after[gone]
+            symbols[at], alive[gone], rank[gone], after[at] = self.made[r], False, NONE, follow
+            inner = follow < n
+            before[follow[inner]] = at[inner]
+            touched = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+            rank[touched] = NONE
+            touched = touched[after[touched] < n]
+            rank[touched] = self.rank(symbols[touched], symbols[after[touched]])
+            put(touched)
+        return int(alive.sum())
+
     def learn(self, tokens: set[str], most: int = 1 << 22) -> None:
         """Counts for pre-tokens that are new, in parts of about `most` characters."""
         part, size = [], 0
         for t in tokens:
             if t not in self.known:
+                if len(t) > LONG:
+                    self.known[t] = self.count_long(t)
+                    continue
                 part.append(t)
                 size += len(t)
                 if size >= most:

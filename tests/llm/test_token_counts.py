@@ -22,3 +22,22 @@ def test_against_the_library(spark):
 
 def test_empty_table(spark):
     assert token_counts.op9_token_counts(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_long_pre_tokens_against_the_library():
+    import time
+
+    rnd = random.Random(2)
+    library, mine = Tokenizer.from_file(PATH), token_counts.RankMerger(PATH)
+    texts = ["a" * 5001, "".join(rnd.choices("abcde", k=3000)), "ab" * 2000 + "a", "".join(rnd.choices("etaoinshrdlu", k=20000)), "é" * 700, "=-" * 900]
+    for t in texts:
+        assert mine.count_long(t) == len(library.encode(t, add_special_tokens=False).ids)
+    began = time.process_time()
+    mine.count_long("".join(rnd.choices("etaoinshrdluabcdefgh", k=200_000)))
+    assert time.process_time() - began < 20
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "c"), (None, None)]
+    got = sorted((str(r.doc_id), r.n_tokens) for r in token_counts.op9_token_counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [("1", 2), ("1", 2), ("None", 0), ("None", 1)]
