@@ -83,6 +83,8 @@ def buckets(lines: DataFrame) -> DataFrame:
     rows = lines.select("h1", "m", "n", F.explode(band_keys()).alias("key")).where("key is not null")
     weight = F.col("n").cast("double") + F.pmod("h1", F.lit(1 << 20)) / F.lit(float(1 << 21))
     heads = rows.groupBy("key").agg(F.max_by("h1", weight).alias("pivot"), F.max_by("m", weight).alias("pivot_m"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    # written first: a join with the aggregate itself could not split a hot bucket
+    heads = staged(heads.select("key", "pivot", "pivot_m"), "line-pivots")
     return rows.join(heads, "key").select("key", "h1", "m", "pivot", "pivot_m")
 
 
@@ -112,7 +114,8 @@ def rest_links(lines: DataFrame, members: DataFrame, texts: DataFrame, labels: D
     blocks = placed.groupBy("key").agg(F.count_if(F.col("c") != F.col("pc")).alias("outside"), F.count(F.lit(1)).alias("members"))
     # of two lines one is the pivot: they have been compared
     deal = lambda n, of, out: F.ceil(F.col(n) / of).cast("int").alias(out)
-    blocks = blocks.where("outside > 0 and members > 2").select("key", deal("outside", BLOCK, "blocks"), deal("members", 16 * BLOCK, "parts"))
+    blocks = blocks.where("outside > 0 and members > 2").select("key", deal("outside", BLOCK, "blocks"), deal("members", 2 * BLOCK, "parts"))
+    blocks = staged(blocks, "line-blocks")
     keys = lines.select("h1", F.array_compact(band_keys()).alias("keys")).join(texts, "h1")
     rows = staged(placed.where("h1 <> pivot").join(blocks, "key").join(keys, "h1"), "line-rest")
     outside = rows.where("c <> pc").withColumn("block", F.pmod(F.xxhash64("h1"), "blocks").cast("int"))
@@ -125,7 +128,7 @@ def rest_links(lines: DataFrame, members: DataFrame, texts: DataFrame, labels: D
     pairs = outside.join(others, ["key", "block", "part"]).where("ca <> cb and (cb = pc or b < a)").where(can_reach("m_a", "m_b"))
     first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
     links = staged(pairs.where(F.when(first, common >= SIMILARITY * (F.col("m_a") + F.col("m_b") - common)).otherwise(F.lit(False))).select("a", "b"), "line-links")
-    dropped(placed, rows)
+    dropped(placed, rows, blocks)
     return links
 
 
