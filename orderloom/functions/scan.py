@@ -1,32 +1,46 @@
 """Linear recurrences y_t = a_t * y_(t-1) + b_t over bars as a two-level scan in DataFrame operations.
 
-Rows are cut into chunks; each chunk folds to one affine step, the steps of a symbol are folded over its few chunks, and
-each row adds what its chunk brings in to its local value. No task holds more than a chunk of rows, or one row a chunk.
+Rows are numbered by symbol and cut into chunks. One pass over a chunk gives the affine step up to each of its rows; the
+steps of a symbol's chunks, one row a chunk, are passed over in the same way, and each row adds what its chunk brings in to
+its local value. Only the numbering sorts a whole symbol in one task; the passes hold a chunk, or one row a chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.spec import KEY, TS, by_time
+from orderloom.spec import KEY, by_time
+
+
+def _passed(rows: str, each: range) -> Column:
+    """The states (m: product of a, y: value from 0 on) after each element of an array of (a, b), for all recurrences."""
+    start = F.array(F.struct(*[F.lit(v).alias(f"{k}{i}") for i in each for k, v in (("m", 1.0), ("y", 0.0))]))
+
+    def step(acc: Column, z: Column) -> Column:
+        was = F.element_at(acc, -1)
+        now = [c for i in each for c in ((was[f"m{i}"] * z[f"_a{i}"]).alias(f"m{i}"), (was[f"y{i}"] * z[f"_a{i}"] + z[f"_b{i}"]).alias(f"y{i}"))]
+        return F.concat(acc, F.array(F.struct(*now)))
+
+    return F.aggregate(rows, start, step)
 
 
 def affine_scans(df: DataFrame, steps: dict[str, tuple[Column, Column]], chunk: int = 128) -> DataFrame:
     """Adds for each name y of its (a, b), y before the first row being 0. All recurrences share the passes over the rows."""
     names = list(steps)
-    x = df.withColumns({f"_a{i}": steps[n][0] for i, n in enumerate(names)} | {f"_b{i}": steps[n][1] for i, n in enumerate(names)})
-    x = x.withColumn("_i", F.row_number().over(by_time()) - 1).withColumn("_c", F.floor(F.col("_i") / chunk))
-    w = Window.partitionBy(KEY, "_c").orderBy(TS).rowsBetween(Window.unboundedPreceding, 0)
-    start = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("y"))
-    fold = lambda s: F.aggregate(s, start, lambda acc, z: F.struct((acc["m"] * z["a"]).alias("m"), (acc["y"] * z["a"] + z["b"]).alias("y")))
     each = range(len(names))
-    x = x.withColumns({f"_fold{i}": fold(F.collect_list(F.struct(F.col(f"_a{i}").alias("a"), F.col(f"_b{i}").alias("b"))).over(w)) for i in each})
-    heads = x.groupBy(KEY, "_c").agg(*[F.max_by(f"_fold{i}", "_i").alias(f"_g{i}") for i in each])
-    before = Window.partitionBy(KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = heads.select(KEY, "_c", *[fold(F.collect_list(F.struct(F.col(f"_g{i}.m").alias("a"), F.col(f"_g{i}.y").alias("b"))).over(before))["y"].alias(f"_in{i}") for i in each])
-    out = x.join(carry, [KEY, "_c"]).withColumns({n: F.col(f"_fold{i}.m") * F.col(f"_in{i}") + F.col(f"_fold{i}.y") for i, n in enumerate(names)})
-    return out.drop("_i", "_c", *[f"_{k}{i}" for i in each for k in ("a", "b", "fold", "in")])
+    x = df.withColumns({f"_a{i}": steps[n][0].cast("double") for i, n in enumerate(names)} | {f"_b{i}": steps[n][1].cast("double") for i, n in enumerate(names)})
+    x = x.withColumn("_i", F.row_number().over(by_time()) - 1)
+    ab = [f"_{k}{i}" for i in each for k in "ab"]
+    row = F.struct("_i", *ab, F.struct(*df.columns).alias("_row"))
+    packed = x.groupBy(F.col(KEY).alias("_key"), F.floor(F.col("_i") / chunk).alias("_c")).agg(F.sort_array(F.collect_list(row)).alias("_r"))
+    packed = packed.withColumn("_s", _passed("_r", each))
+    last = F.element_at("_s", -1)
+    heads = packed.select("_key", F.struct("_c", *[c for i in each for c in (last[f"m{i}"].alias(f"_a{i}"), last[f"y{i}"].alias(f"_b{i}"))]).alias("_h"))
+    heads = heads.groupBy("_key").agg(F.sort_array(F.collect_list("_h")).alias("_h")).withColumn("_t", _passed("_h", each))
+    brought = heads.select("_key", F.explode(F.transform("_h", lambda h, k: F.struct(h["_c"].alias("_c"), F.get("_t", k).alias("_in")))).alias("_b")).select("_key", "_b._c", "_b._in")
+    rows = packed.join(brought, ["_key", "_c"]).select("_in", F.explode(F.transform("_r", lambda r, k: F.struct(r["_row"].alias("_row"), F.get("_s", k + 1).alias("_s")))).alias("_x"))
+    return rows.select("_x._row.*", *[(F.col(f"_x._s.m{i}") * F.col(f"_in.y{i}") + F.col(f"_x._s.y{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def affine_scan(df: DataFrame, a: Column, b: Column, out: str, chunk: int = 128) -> DataFrame:

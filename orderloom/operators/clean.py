@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.spec import BUY_SIDES, CANCEL_ACTIONS, KEY, SELL_SIDES, TS, TRADE_ACTIONS, by_time, median, so_far, trailing
+from orderloom.spec import KEY, TS, by_time, median, so_far, trailing
 
 
 def finite(c: str):
@@ -17,9 +17,19 @@ def keep_last(df: DataFrame, *key: str, order: str = "seq") -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def sanitize_ticks(ticks: DataFrame) -> DataFrame:
-    """Rows with time and a positive finite price; of equal (symbol, time, order) the last stays."""
-    return keep_last(ticks.where(F.col(TS).isNotNull() & finite("price") & (F.col("price") > 0)), KEY, TS, "order_id")
+def sanitize_ticks(ticks: DataFrame, ingest: str | None = None) -> DataFrame:
+    """Rows with time and a positive finite price; of equal (symbol, time, sequence) the last stays, full repeats go.
+
+    The order id stands in for a sequence that is not there; without either, only full repeats go. Last means last by
+    `ingest`, a column of the order of arrival, or else by the other columns, so that the result is one.
+    """
+    good = ticks.where(F.col(TS).isNotNull() & finite("price") & (F.col("price") > 0))
+    key = next((c for c in ("seq", "sequence", "sequence_id", "order_id") if c in ticks.columns), None)
+    if key is None:
+        return good.dropDuplicates()
+    last = [ingest] if ingest else sorted(set(ticks.columns) - {KEY, TS, key})
+    w = Window.partitionBy(KEY, TS, key).orderBy(*[F.col(c).desc_nulls_last() for c in last])
+    return good.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def sanitize_book(book: DataFrame) -> DataFrame:
@@ -28,23 +38,41 @@ def sanitize_book(book: DataFrame) -> DataFrame:
     return keep_last(good, KEY, TS)
 
 
+# The codes that the audited cleaning accepts, and those that may have no size.
+KNOWN_ACTIONS = ("T", "A", "C", "M", "F", "R", "B", "N", "X")
+KNOWN_SIDES = ("A", "B", "N", "")
+SIZELESS_ACTIONS = ("C", "R", "X")
+
+
 def first_failed_rule(price_min: float, price_max: float):
-    """The name of the first rule that a tick breaks, null for a clean one."""
+    """The name of the first rule that a tick breaks by itself, null for one that breaks none."""
     action, side = F.upper(F.trim(F.col("action"))), F.upper(F.trim(F.col("side")))
-    known = [*TRADE_ACTIONS, "A", "ADD", "M", "MODIFY", *CANCEL_ACTIONS]
+    sized = (F.col("size") > 0) | (action.isin(*SIZELESS_ACTIONS) & (F.col("size") >= 0))
     return (
-        F.when(F.col(TS).isNull() | ~finite("price") | ~finite("size"), "null_or_inf")
+        F.when(F.col(TS).isNull() | ~finite("price") | F.col("action").isNull(), "null_or_inf")
         .when(~F.col("price").between(price_min, price_max), "price_range")
-        .when(~action.isin(*known) | action.isNull(), "action")
-        .when(~side.isin(*BUY_SIDES, *SELL_SIDES) | side.isNull(), "side")
-        .when((F.col("size") <= 0) & ~(action.isin(*CANCEL_ACTIONS) & (F.col("size") == 0)), "size")
+        .when(~action.isin(*KNOWN_ACTIONS), "action")
+        .when(side.isNull() | ~side.isin(*KNOWN_SIDES), "side")
+        .when(~F.coalesce(sized & ~F.isnan("size"), F.lit(False)), "size")
     )
 
 
-def clean_ticks_audited(ticks: DataFrame, price_min: float = 0.0, price_max: float = 1e9) -> tuple[DataFrame, DataFrame]:
-    """The ticks that break no rule, and the count of each rule's removals: one pass marks, both read the mark."""
+def marked_ticks(ticks: DataFrame, price_min: float, price_max: float) -> DataFrame:
+    """Adds the first rule that a tick breaks: its own values, then the dominant symbol of what is left, then first of its key."""
     marked = ticks.withColumn("rule", first_failed_rule(price_min, price_max))
-    return marked.where("rule is null").drop("rule"), marked.where("rule is not null").groupBy("rule").agg(F.count(F.lit(1)).alias("removed"))
+    top = marked.where("rule is null").groupBy(KEY).count().orderBy(F.col("count").desc(), KEY).limit(1).select(F.col(KEY).alias("_top"))
+    marked = marked.join(F.broadcast(top), F.lit(True), "left")
+    marked = marked.withColumn("rule", F.coalesce("rule", F.when(F.col(KEY) != F.col("_top"), "symbol"))).drop("_top")
+    order = [F.col(c) for c in ("seq", "ingest") if c in ticks.columns] or [F.col("price")]
+    w = Window.partitionBy(F.col("rule").isNull(), TS, "order_id", "action").orderBy(*order)
+    return marked.withColumn("_n", F.row_number().over(w)).withColumn("rule", F.coalesce("rule", F.when(F.col("_n") > 1, "duplicate"))).drop("_n")
+
+
+def clean_ticks_audited(ticks: DataFrame, price_min: float = 0.0, price_max: float = 1e9, gap_seconds: float = 3600.0) -> tuple[DataFrame, DataFrame]:
+    """The ticks that break no rule, with a flag for gaps of the feed, and the count of each rule's removals."""
+    marked = marked_ticks(ticks, price_min, price_max)
+    kept = flag_feed_gap(marked.where("rule is null").drop("rule"), gap_seconds)
+    return kept, marked.where("rule is not null").groupBy("rule").agg(F.count(F.lit(1)).alias("removed"))
 
 
 def flag_crossed_book(book: DataFrame, drop_above_ticks: int = 100, tick_size: float = 0.01) -> DataFrame:
@@ -65,9 +93,22 @@ def micros(ts: str = TS):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def with_previous(df: DataFrame, value, out: str, *order: str) -> DataFrame:
+    """Adds the value of the symbol's row before, by time and `order`. Windows hold a day; a row a day carries over midnight."""
+    day, at = F.to_date(TS), F.struct(TS, *order)
+    x = df.withColumns({"_day": day, "_value": value})
+    w = Window.partitionBy(KEY, "_day").orderBy(TS, *order)
+    ends = x.groupBy(KEY, "_day").agg(F.max_by(F.struct("_value"), at).alias("_end"))
+    carried = ends.select(KEY, "_day", F.lag("_end").over(Window.partitionBy(KEY).orderBy("_day")).alias("_before"))
+    x = x.withColumns({"_first": F.row_number().over(w) == 1, out: F.lag("_value").over(w)})
+    x = x.join(carried, [KEY, "_day"], "left").withColumn(out, F.when(F.col("_first"), F.col("_before._value")).otherwise(F.col(out)))
+    return x.select(*df.columns, out)
+
+
 def flag_feed_gap(ticks: DataFrame, gap_seconds: float = 3600.0) -> DataFrame:
-    gap = micros() - F.lag(micros()).over(by_time("seq"))
-    return ticks.withColumn("feed_gap", F.coalesce(gap > gap_seconds * 1e6, F.lit(False)))
+    order = [c for c in ("seq",) if c in ticks.columns]
+    t = with_previous(ticks, micros(), "_us", *order)
+    return t.withColumn("feed_gap", F.coalesce(micros() - F.col("_us") > gap_seconds * 1e6, F.lit(False))).drop("_us")
 
 
 def dominant_symbol_filter(ticks: DataFrame) -> DataFrame:

@@ -55,10 +55,15 @@ def net_signed_volume(ticks: DataFrame, n: int = 100, large: float = 2.0) -> Dat
 
 
 def session_vwap_z(ticks: DataFrame, n: int = 500) -> DataFrame:
+    """Distance from the session's VWAP in deviations of its last n values; running sums, so that a row costs the same for any n."""
     run = order().rowsBetween(Window.unboundedPreceding, 0)
-    t = trades(ticks).withColumn("session_vwap", F.sum(F.col("price") * F.col("size")).over(run) / F.sum("size").over(run)).withColumn("_d", F.col("price") - F.col("session_vwap"))
-    sd = F.stddev_pop("_d").over(last(n))
-    return t.withColumn("vwap_z", F.round(F.when(sd > 1e-6, F.col("_d") / sd).otherwise(0.0), 4)).drop("_d")
+    t = trades(ticks).withColumn("session_vwap", F.sum(F.col("price") * F.col("size")).over(run) / F.sum("size").over(run))
+    t = t.withColumn("_d", F.col("price") - F.col("session_vwap"))
+    t = t.withColumns({"_s": F.sum("_d").over(run), "_q": F.sum(F.col("_d") * F.col("_d")).over(run), "_n": F.count("_d").over(run)})
+    before = lambda c: F.coalesce(F.lag(c, n).over(order()), F.lit(0))
+    t = t.withColumns({"_s": F.col("_s") - before("_s"), "_q": F.col("_q") - before("_q"), "_n": F.col("_n") - before("_n")})
+    sd = F.sqrt(F.greatest(F.col("_q") / F.col("_n") - F.pow(F.col("_s") / F.col("_n"), 2), F.lit(0.0)))
+    return t.withColumn("vwap_z", F.round(F.when(sd > 1e-6, F.col("_d") / sd).otherwise(0.0), 4)).drop("_d", "_s", "_q", "_n")
 
 
 def liquidity_sweep(ticks: DataFrame, n: int = 50, recent: int = 10) -> DataFrame:

@@ -182,19 +182,37 @@ def consecutive_runs(bars: DataFrame) -> DataFrame:
 
 
 def seasonal_calendar(bars: DataFrame) -> DataFrame:
-    date = F.to_date(TS)
-    turn = lambda x, n: (2 * 3.141592653589793 * x / n)
-    return bars.select(
-        "*", F.weekday(date).alias("weekday"), F.dayofmonth(date).alias("month_day"), F.weekofyear(date).alias("week"), F.quarter(date).alias("quarter"),
-        (F.dayofmonth(date) <= 3).alias("month_start"), (F.datediff(F.last_day(date), date) < 3).alias("month_end"),
-        F.sin(turn(F.weekday(date), 7)).alias("weekday_sin"), F.cos(turn(F.weekday(date), 7)).alias("weekday_cos"),
-        F.greatest(F.lit(0), (F.hour(TS) - 7) * 60 + F.minute(TS)).alias("minutes_since_london"),
-    )
+    """The calendar columns of a bar's time: minutes since and to the edges of the sessions (0 outside), phase (0 first and 2 last
+    half hour, 1 between, 3 outside; New York goes before London), weekday, month, quarter, year and week, weeks of clock changes.
+    """
+    date, minute = F.to_date(TS), F.hour(TS) * 60 + F.minute(TS)
+    turn = lambda x, n: 2 * 3.141592653589793 * x / n
+    dow, dom, month, woy = F.weekday(date), F.dayofmonth(date), F.month(date), F.weekofyear(date)
+    left = F.datediff(F.last_day(date), date)
+    out, phase = {}, F.lit(3)
+    for name in ("london", "ny"):
+        a, b = (60 * h for h in SESSIONS[name])
+        inside = (minute >= a) & (minute < b)
+        out[f"minutes_since_{name}_open"] = F.when(inside, minute - a).otherwise(0)
+        out[f"minutes_to_{name}_close"] = F.when(inside, b - minute).otherwise(0)
+        phase = F.when(inside, F.when(minute - a < 30, 0).when(b - minute < 30, 2).otherwise(1)).otherwise(phase)
+    flag = lambda c: c.cast("int")
+    clocks = (month == 3) & dom.between(8, 14) | (month == 11) & (dom <= 7) | month.isin(3, 10) & (dom >= 25)
+    out |= {
+        "session_phase": phase, "dow_sin": F.sin(turn(dow, 7)), "dow_cos": F.cos(turn(dow, 7)), "is_monday": flag(dow == 0), "is_friday": flag(dow == 4),
+        "dom": dom, "dom_sin": F.sin(turn(dom - 1, 31)), "dom_cos": F.cos(turn(dom - 1, 31)), "is_month_end": flag(left <= 1), "is_month_start": flag(dom <= 2),
+        "is_quarter_end": flag(month.isin(3, 6, 9, 12) & (left <= 4)), "is_year_end": flag((month == 12) & (left <= 4)),
+        "woy_sin": F.sin(turn(woy, 52)), "woy_cos": F.cos(turn(woy, 52)), "is_first_week_of_year": flag(woy == 1),
+        "is_clock_change_week": flag(clocks), "is_event_window": F.lit(0),
+    }
+    return bars.withColumns(out)
 
 
 def cyclic_time(bars: DataFrame) -> DataFrame:
     pi2 = 2 * 3.141592653589793
-    return bars.select("*", F.sin(pi2 * F.hour(TS) / 24).alias("hour_sin"), F.cos(pi2 * F.hour(TS) / 24).alias("hour_cos"), F.sin(pi2 * F.minute(TS) / 60).alias("minute_sin"), F.cos(pi2 * F.minute(TS) / 60).alias("minute_cos"))
+    out = {f"{n}_{f}": getattr(F, f)(pi2 * x / m) for n, x, m in (("hour", F.hour(TS), 24), ("minute", F.minute(TS), 60)) for f in ("sin", "cos")}
+    active = {f"{n}_active": F.hour(TS).between(SESSIONS[n][0], SESSIONS[n][1] - 1).cast("double") for n in ("london", "ny", "overlap")}
+    return bars.withColumns(out | active)
 
 
 def rolling_zscore(df: DataFrame, column: str, n: int = 100, least: int = 20, out: str | None = None) -> DataFrame:
@@ -210,10 +228,21 @@ def rolling_rank(df: DataFrame, column: str, n: int = 50, least: int = 20) -> Da
     return df.withColumn(f"{column}_rank", F.when(F.size("_w") >= least, F.size(F.filter("_w", lambda v: v <= F.col(column))) / F.size("_w"))).drop("_w")
 
 
-def diff_mean_z_bundle(df: DataFrame, columns: list[str], n: int = 20) -> DataFrame:
+def diff_mean_z_bundle(df: DataFrame, columns: list[str], n: int = 20, imbalance: str | None = None) -> DataFrame:
+    """Difference (0 first), mean and z of each column over the last n rows or those there are; with an imbalance column also
+    its state: 1 where its deviation is above the median of all its deviations so far.
+    """
+    w = trailing(n)
     for c in columns:
-        df = df.withColumn(f"{c}_diff", F.col(c) - F.lag(c).over(by_time())).withColumn(f"{c}_mean", F.avg(c).over(trailing(n)))
-        df = rolling_zscore(df, c, n, n)
+        x = F.coalesce(F.col(c), F.lit(0.0))
+        sd = F.stddev_samp(x).over(w)
+        df = df.withColumns({
+            f"{c}_diff": F.coalesce(x - F.lag(x).over(by_time()), F.lit(0.0)), f"{c}_mean": F.avg(x).over(w),
+            f"{c}_z": F.coalesce((x - F.avg(x).over(w)) / F.when(sd == 0, EPS).otherwise(sd), F.lit(0.0)),
+        })
+    if imbalance:
+        df = df.withColumn("_sd", F.round(F.coalesce(F.stddev_samp(F.coalesce(F.col(imbalance), F.lit(0.0))).over(w), F.lit(0.0)), 9))
+        df = df.withColumn("volatility_state", (F.col("_sd") > median("_sd").over(so_far())).cast("int")).drop("_sd")
     return df
 
 
@@ -231,26 +260,44 @@ def ewma_volatility(bars: DataFrame, decay: float = 0.94, n: int = 20) -> DataFr
     return df.withColumn("vol_regime", F.when(ratio < 0.8, 0).when(ratio > 1.2, 2).otherwise(1)).drop("_r", "_r2", "_sd")
 
 
-def fractional_difference(df: DataFrame, column: str, d: float = 0.4, threshold: float = 1e-3, most: int = 512) -> DataFrame:
-    """Fixed-width fractional difference. Weights below the threshold are cut, at most `most` are used."""
+def fractional_weights(d: float = 0.4, threshold: float = 1e-5, most: int = 512) -> tuple[list[float], bool]:
+    """The weights of a fractional difference down to the threshold, `most` of them at most, and whether that cut them short."""
     weights, k = [1.0], 1
-    while k < most and abs(w := -weights[-1] * (d - k + 1) / k) >= threshold:
+    while abs(w := -weights[-1] * (d - k + 1) / k) >= threshold:
+        if k == most:
+            return weights, True
         weights.append(w)
         k += 1
+    return weights, False
+
+
+def fractional_difference(df: DataFrame, column: str, d: float = 0.4, threshold: float = 1e-5, most: int = 512) -> DataFrame:
+    """Fixed-width fractional difference, null before the width is there; fd_cut tells whether `most` cut its weights short."""
+    weights, short = fractional_weights(d, threshold, most)
     arr = F.array(*[F.lit(w) for w in reversed(weights)])
     df = df.withColumn("_w", F.collect_list(column).over(trailing(len(weights))))
     value = F.aggregate(F.zip_with("_w", arr, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-    return df.withColumn(f"{column}_fd", F.when(F.size("_w") == len(weights), value)).drop("_w")
+    return df.withColumn(f"{column}_fd", F.when(F.size("_w") == len(weights), value)).withColumn("fd_cut", F.lit(short)).drop("_w")
 
 
-def daily_range_fuel(bars: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
-    """The day's range so far over the median range of the last completed days."""
+def daily_range_fuel(bars: DataFrame, n: int = 20, least: int = 3, default_range: float = 0.8, tick: float = 0.01, first_hour: int = 8) -> DataFrame:
+    """The median range of the last n completed days (a default before `least` of them), what the day has left of it, whether
+    that is a tenth at most, and the state of the day's first hour: 1 for a close above it, -1 below it, 0 else.
+    """
     bars = bars.withColumn("_d", F.to_date(TS))
-    daily = bars.groupBy(KEY, "_d").agg((F.max("high") - F.min("low")).alias("_r"))
+    daily = bars.groupBy(KEY, "_d").agg(F.greatest(F.max("high") - F.min("low"), F.lit(tick)).alias("_r"))
     w = Window.partitionBy(KEY).orderBy("_d").rowsBetween(-n, -1)
-    usual = daily.select(KEY, "_d", F.when(F.count("_r").over(w) >= least, median("_r").over(w)).alias("usual_range"))
+    usual = F.when(F.count("_r").over(w) >= least, median("_r").over(w)).otherwise(default_range)
+    daily = daily.select(KEY, "_d", F.greatest(usual, F.lit(tick)).alias("usual_range"))
     run = F.max("high").over(day_so_far()) - F.min("low").over(day_so_far())
-    return bars.join(usual, [KEY, "_d"], "left").withColumn("range_used", run / F.greatest("usual_range", F.lit(EPS))).drop("_d")
+    first = F.hour(TS) == first_hour
+    top, low = F.max(F.when(first, F.col("high"))).over(day_so_far()), F.min(F.when(first, F.col("low"))).over(day_so_far())
+    out = bars.join(daily, [KEY, "_d"], "left").withColumn("_run", run)
+    left = F.round(F.greatest(F.col("usual_range") - F.col("_run"), F.lit(0.0)), 6)
+    return out.withColumns({
+        "range_used": F.col("_run") / F.col("usual_range"), "range_left": left, "range_spent": (left <= F.col("usual_range") * 0.1).cast("int"),
+        "first_hour_state": F.when(first, 0).when(F.col("close") > top, 1).when(F.col("close") < low, -1).otherwise(0),
+    }).drop("_d", "_run")
 
 
 def local_level_trend(bars: DataFrame, obs_noise: float = 1.0, trans_noise: float = 0.1, steps: int = 64) -> DataFrame:

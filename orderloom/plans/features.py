@@ -122,19 +122,49 @@ feature(
     "e18_flow_bar_features", lambda s, d: W.flow_bar_features(W.true_range_atr(flow_bars(s, d))).withColumn("flow_streak", F.col("flow_streak").cast("bigint")), ["flow_share", "flow_streak"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, STREAK),
     "round(least(abs(cvd_delta) / greatest(volume, 1e-9), 1), 6) AS flow_share, CASE WHEN s <> 0 THEN row_number() OVER (PARTITION BY symbol, s, g ORDER BY ts_event) ELSE 0 END AS flow_streak FROM fg",
 )
-feature(
-    "e19_seasonal_calendar", lambda s, d: W.seasonal_calendar(bars(s, d)), ["weekday", "month_day", "week", "quarter", "month_start", "month_end", "weekday_sin", "minutes_since_london"], (TICKS_SQL, BARS),
-    "CAST(isodow(ts_event) - 1 AS INTEGER) AS weekday, CAST(day(ts_event) AS INTEGER) AS month_day, CAST(week(ts_event) AS INTEGER) AS week, CAST(quarter(ts_event) AS INTEGER) AS quarter, day(ts_event) <= 3 AS month_start, date_diff('day', CAST(ts_event AS DATE), last_day(ts_event)) < 3 AS month_end, round(sin(2 * pi() * (isodow(ts_event) - 1) / 7), 6) AS weekday_sin, CAST(greatest(0, (hour(ts_event) - 7) * 60 + minute(ts_event)) AS INTEGER) AS minutes_since_london FROM bars",
-)
-feature("e20_cyclic_time", lambda s, d: W.cyclic_time(bars(s, d)), ["hour_sin", "hour_cos", "minute_sin"], (TICKS_SQL, BARS), "round(sin(2 * pi() * hour(ts_event) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts_event) / 24), 6) AS hour_cos, round(sin(2 * pi() * minute(ts_event) / 60), 6) AS minute_sin FROM bars")
+CALENDAR_SQL = """c AS (
+  SELECT *, hour(ts_event) * 60 + minute(ts_event) AS mi, isodow(ts_event) - 1 AS dow, day(ts_event) AS dm, month(ts_event) AS mo,
+         week(ts_event) AS wk, date_diff('day', CAST(ts_event AS DATE), last_day(ts_event)) AS le
+  FROM bars),
+m AS (
+  SELECT symbol, ts_event, CASE WHEN mi >= 420 AND mi < 960 THEN mi - 420 ELSE 0 END AS minutes_since_london_open,
+         CASE WHEN mi >= 420 AND mi < 960 THEN 960 - mi ELSE 0 END AS minutes_to_london_close,
+         CASE WHEN mi >= 780 AND mi < 1320 THEN mi - 780 ELSE 0 END AS minutes_since_ny_open,
+         CASE WHEN mi >= 780 AND mi < 1320 THEN 1320 - mi ELSE 0 END AS minutes_to_ny_close,
+         CASE WHEN mi >= 780 AND mi < 1320 THEN CASE WHEN mi < 810 THEN 0 WHEN mi > 1290 THEN 2 ELSE 1 END
+              WHEN mi >= 420 AND mi < 960 THEN CASE WHEN mi < 450 THEN 0 WHEN mi > 930 THEN 2 ELSE 1 END ELSE 3 END AS session_phase,
+         round(sin(2 * pi() * dow / 7), 6) AS dow_sin, round(cos(2 * pi() * dow / 7), 6) AS dow_cos, CAST(dow = 0 AS INT) AS is_monday,
+         CAST(dow = 4 AS INT) AS is_friday, CAST(dm AS INT) AS dom, round(sin(2 * pi() * (dm - 1) / 31), 6) AS dom_sin,
+         round(cos(2 * pi() * (dm - 1) / 31), 6) AS dom_cos, CAST(le <= 1 AS INT) AS is_month_end, CAST(dm <= 2 AS INT) AS is_month_start,
+         CAST(mo IN (3, 6, 9, 12) AND le <= 4 AS INT) AS is_quarter_end, CAST(mo = 12 AND le <= 4 AS INT) AS is_year_end,
+         round(sin(2 * pi() * wk / 52), 6) AS woy_sin, round(cos(2 * pi() * wk / 52), 6) AS woy_cos, CAST(wk = 1 AS INT) AS is_first_week_of_year,
+         CAST(mo = 3 AND dm BETWEEN 8 AND 14 OR mo = 11 AND dm <= 7 OR mo IN (3, 10) AND dm >= 25 AS INT) AS is_clock_change_week,
+         0 AS is_event_window
+  FROM c)"""
+CALENDAR = [x.strip() for x in """minutes_since_london_open minutes_to_london_close minutes_since_ny_open minutes_to_ny_close session_phase dow_sin dow_cos
+is_monday is_friday dom dom_sin dom_cos is_month_end is_month_start is_quarter_end is_year_end woy_sin woy_cos is_first_week_of_year
+is_clock_change_week is_event_window""".split()]
+CALENDAR_SELECT = ", ".join(f"CAST({c} AS INT) AS {c}" if c == "dom" or c.startswith(("minutes", "session", "is_")) else c for c in CALENDAR)
+feature("e19_seasonal_calendar", lambda s, d: W.seasonal_calendar(bars(s, d)), CALENDAR, (TICKS_SQL, BARS, CALENDAR_SQL), f"{CALENDAR_SELECT} FROM m")
+CYCLIC = ["hour_sin", "hour_cos", "minute_sin", "minute_cos", "london_active", "ny_active", "overlap_active"]
+CYCLIC_SELECT = ", ".join(f"round({f}(2 * pi() * {n}(ts_event) / {m}), 6) AS {n}_{f}" for n, m in (("hour", 24), ("minute", 60)) for f in ("sin", "cos"))
+CYCLIC_SELECT += ", " + ", ".join(f"CAST(hour(ts_event) BETWEEN {a} AND {b} AS DOUBLE) AS {n}_active" for n, a, b in (("london", 7, 15), ("ny", 13, 21), ("overlap", 13, 15)))
+feature("e20_cyclic_time", lambda s, d: W.cyclic_time(bars(s, d)), CYCLIC, (TICKS_SQL, BARS), f"{CYCLIC_SELECT} FROM bars")
 feature("e21_rolling_zscore", lambda s, d: W.rolling_zscore(bars(s, d), "volume"), ["volume_z"], (TICKS_SQL, BARS), f"round(CASE WHEN count(*) OVER {frame(100)} >= 20 THEN (volume - avg(volume) OVER {frame(100)}) / (stddev_samp(volume) OVER {frame(100)} + 1e-9) ELSE 0 END, 6) AS volume_z FROM bars")
 feature(
     "e22_rolling_rank", lambda s, d: W.rolling_rank(bars(s, d), "volume"), ["volume_rank"], (TICKS_SQL, BARS, f"n AS (SELECT *, list(volume) OVER {frame(50)} AS x FROM bars)"),
     "CASE WHEN len(x) >= 20 THEN round(len(list_filter(x, lambda v: v <= volume)) / len(x), 6) END AS volume_rank FROM n",
 )
+E23 = f"""z AS (
+  SELECT symbol, ts_event, volume, close, stddev_samp(volume) OVER {frame(20)} AS vs, stddev_samp(close) OVER {frame(20)} AS cs, lag(volume) OVER w AS lv, lag(close) OVER w AS lc,
+         avg(volume) OVER {frame(20)} AS vm, avg(close) OVER {frame(20)} AS cm, round(coalesce(stddev_samp(ofi) OVER {frame(20)}, 0), 9) AS sd
+  FROM flow_bars {WINDOW})"""
+E23_SELECT = f"""coalesce(volume - lv, 0) AS volume_diff, round(vm, 6) AS volume_mean,
+       round(coalesce((volume - vm) / CASE WHEN vs = 0 THEN 1e-9 ELSE vs END, 0), 6) AS volume_z, round(coalesce(close - lc, 0), 6) AS close_diff,
+       CAST(sd > quantile_cont(sd, 0.5) OVER (PARTITION BY symbol ORDER BY ts_event ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS volatility_state FROM z"""
 feature(
-    "e23_diff_mean_z_bundle", lambda s, d: W.diff_mean_z_bundle(bars(s, d), ["volume", "close"]), ["volume_diff", "volume_mean", "volume_z", "close_diff"], (TICKS_SQL, BARS),
-    f"volume - lag(volume) OVER w AS volume_diff, round(avg(volume) OVER {frame(20)}, 6) AS volume_mean, round(CASE WHEN count(*) OVER {frame(20)} >= 20 THEN (volume - avg(volume) OVER {frame(20)}) / (stddev_samp(volume) OVER {frame(20)} + 1e-9) ELSE 0 END, 6) AS volume_z, round(close - lag(close) OVER w, 6) AS close_diff FROM bars {WINDOW}",
+    "e23_diff_mean_z_bundle", lambda s, d: W.diff_mean_z_bundle(flow_bars(s, d), ["volume", "close"], imbalance="ofi"),
+    ["volume_diff", "volume_mean", "volume_z", "close_diff", "volatility_state"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, E23), E23_SELECT,
 )
 feature(
     "e24_rolling_ols_slope", lambda s, d: W.rolling_ols_slope(bars(s, d), "close"), ["close_slope", "close_momentum"], (TICKS_SQL, BARS, f"n AS (SELECT *, row_number() OVER w AS i FROM bars {WINDOW})"),
@@ -151,24 +181,25 @@ query(
 )(lambda s, d: rounded(W.ewma_volatility(AB(s, d)).select(*ID, (F.col("ewma_var") * 1e6).alias("ewma_var"))))
 
 
-def fd_weights(d=0.4, threshold=1e-3):
-    w, k = [1.0], 1
-    while abs(x := -w[-1] * (d - k + 1) / k) >= threshold:
-        w.append(x)
-        k += 1
-    return w
-
-
-FD = fd_weights()
-feature(
-    "e27_fractional_difference", lambda s, d: W.fractional_difference(bars(s, d), "close"), ["close_fd"], (TICKS_SQL, BARS, f"n AS (SELECT *, list(close ORDER BY ts_event DESC) OVER {frame(len(FD))} AS x FROM bars)"),
-    f"CASE WHEN len(x) = {len(FD)} THEN round(list_sum(list_transform(list_zip(x, {FD}), lambda z: z[1] * z[2])), 6) END AS close_fd FROM n",
-)
+FD = W.fractional_weights()[0]
 feature(
-    "e28_daily_range_fuel", lambda s, d: W.daily_range_fuel(bars(s, d)), ["usual_range", "range_used"],
-    (TICKS_SQL, BARS, "dr AS (SELECT symbol, CAST(ts_event AS DATE) AS day, max(high) - min(low) AS r FROM bars GROUP BY ALL)", "du AS (SELECT symbol, day, CASE WHEN count(*) OVER x >= 5 THEN quantile_cont(r, 0.5) OVER x END AS u FROM dr WINDOW x AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"),
-    f"round(u, 6) AS usual_range, round((max(high) OVER d - min(low) OVER d) / CASE WHEN u IS NULL THEN 1e-9 ELSE greatest(u, 1e-9) END, 6) AS range_used FROM bars JOIN du USING (symbol) WHERE du.day = CAST(ts_event AS DATE) WINDOW d AS {DAY}",
+    "e27_fractional_difference", lambda s, d: W.fractional_difference(bars(s, d), "close"), ["close_fd", "fd_cut"], (TICKS_SQL, BARS, f"n AS (SELECT *, list(close ORDER BY ts_event DESC) OVER {frame(len(FD))} AS x FROM bars)"),
+    f"CASE WHEN len(x) = {len(FD)} THEN round(list_sum(list_transform(list_zip(x, {FD}), lambda z: z[1] * z[2])), 6) END AS close_fd, true AS fd_cut FROM n",
 )
+E28 = (
+    "dr AS (SELECT symbol, CAST(ts_event AS DATE) AS day, greatest(max(high) - min(low), 0.01) AS r FROM bars GROUP BY ALL)",
+    """du AS (
+  SELECT symbol, day, greatest(CASE WHEN count(*) OVER x >= 3 THEN quantile_cont(r, 0.5) OVER x ELSE 0.8 END, 0.01) AS u
+  FROM dr WINDOW x AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))""",
+    f"""dd AS (
+  SELECT b.*, u, max(high) OVER d - min(low) OVER d AS run, max(CASE WHEN hour(ts_event) = 8 THEN high END) OVER d AS top,
+         min(CASE WHEN hour(ts_event) = 8 THEN low END) OVER d AS bot
+  FROM bars b JOIN du USING (symbol) WHERE du.day = CAST(ts_event AS DATE) WINDOW d AS {DAY})""",
+)
+E28_SELECT = """round(u, 6) AS usual_range, round(run / u, 6) AS range_used, round(greatest(u - run, 0), 6) AS range_left,
+       CAST(round(greatest(u - run, 0), 6) <= u * 0.1 AS INT) AS range_spent,
+       CASE WHEN hour(ts_event) = 8 THEN 0 WHEN close > top THEN 1 WHEN close < bot THEN -1 ELSE 0 END AS first_hour_state FROM dd"""
+feature("e28_daily_range_fuel", lambda s, d: W.daily_range_fuel(bars(s, d)), ["usual_range", "range_used", "range_left", "range_spent", "first_hour_state"], (TICKS_SQL, BARS, *E28), E28_SELECT)
 query("e29_local_level_trend")(lambda s, d: rounded(W.local_level_trend(bars(s, d)).select(*ID, "level", "trend_sign")))
 feature(
     "e30_causal_window_bundle", lambda s, d: W.causal_window_bundle(bars(s, d), "volume"), ["volume_lag_mean", "volume_lag_std", "volume_lag_min", "volume_lag_max"], (TICKS_SQL, BARS),

@@ -12,16 +12,23 @@ from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, SIGNED, TICKS_SQL, b
 from orderloom.plans.base import LABELS as LABELS_SQL
 from orderloom.plans.catalog import query
 from orderloom.sources import market
+from orderloom.sources.market import DIRTY_SQL
 from orderloom.spec import rounded
 
 T, BK = market.ticks, market.book
 
 
-@query("flagship_label_counts", sql(TICKS_SQL, "ticks0 AS (SELECT * FROM ticks)", BARS, ATR, LABELS_SQL, select="SELECT symbol, label, count(*) AS n FROM labelled GROUP BY ALL"))
+CLEAN_SQL = """ticks AS (
+  SELECT * EXCLUDE n
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts_event, seq ORDER BY ingest DESC) AS n FROM dirty WHERE price > 0 AND isfinite(price))
+  WHERE n = 1)"""
+
+
+@query("flagship_label_counts", sql(DIRTY_SQL.replace("ticks AS (", "feed AS (", 1).replace("FROM ticks", "FROM feed"), CLEAN_SQL, BARS, ATR, LABELS_SQL, select="SELECT symbol, label, count(*) AS n FROM labelled GROUP BY ALL"))
 def flagship(spark, d):
     from orderloom.operators import labels as L
 
-    t = C.sanitize_ticks(T(spark, d))
+    t = C.sanitize_ticks(market.dirty_ticks(spark, d), "ingest")
     return L.triple_barrier(stage(W.true_range_atr(B.ohlcv_bars(t)))).groupBy("symbol", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -47,9 +54,17 @@ def a7(spark, d):
     return bars(spark, d).agg(F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))
 
 
-@query("b1_sanitize_ticks", sql(TICKS_SQL, select="SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts_event, order_id ORDER BY seq DESC) AS n FROM ticks WHERE price > 0) WHERE n = 1"))
+@query(
+    "b1_sanitize_ticks",
+    sql(
+        DIRTY_SQL,
+        select="""SELECT * EXCLUDE n
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts_event, seq ORDER BY ingest DESC) AS n FROM dirty WHERE price > 0 AND isfinite(price))
+WHERE n = 1""",
+    ),
+)
 def b1(spark, d):
-    return C.sanitize_ticks(T(spark, d))
+    return C.sanitize_ticks(market.dirty_ticks(spark, d), "ingest")
 
 
 @query("b2_sanitize_book", sql(BOOK_SQL, select="SELECT symbol, ts_event, seq FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts_event ORDER BY seq DESC) AS n FROM book WHERE NOT ask_px[1] < bid_px[1]) WHERE n = 1"))
@@ -57,14 +72,35 @@ def b2(spark, d):
     return C.sanitize_book(BK(spark, d)).select("symbol", "ts_event", "seq")
 
 
-@query("b3_clean_ticks_audit", sql(TICKS_SQL, select="SELECT 'price_range' AS rule, count(*) AS removed FROM ticks WHERE NOT price BETWEEN 100.05 AND 100.9"))
+B3 = (
+    DIRTY_SQL,
+    """ruled AS (
+  SELECT *, CASE WHEN ts_event IS NULL OR price IS NULL OR action IS NULL THEN 'null_or_inf'
+                 WHEN NOT price BETWEEN 100.05 AND 100.9 THEN 'price_range'
+                 WHEN action NOT IN ('T', 'A', 'C', 'M', 'F', 'R', 'B', 'N', 'X') THEN 'action'
+                 WHEN side NOT IN ('A', 'B', 'N', '') THEN 'side'
+                 WHEN NOT (size > 0 OR action IN ('C', 'R', 'X') AND size >= 0) THEN 'size' END AS own
+  FROM dirty)""",
+    "top AS (SELECT symbol FROM ruled WHERE own IS NULL GROUP BY symbol ORDER BY count(*) DESC, symbol LIMIT 1)",
+    "left1 AS (SELECT * REPLACE (coalesce(own, CASE WHEN symbol <> (SELECT symbol FROM top) THEN 'symbol' END) AS own) FROM ruled)",
+    """left2 AS (
+  SELECT *, coalesce(own, CASE WHEN row_number() OVER (PARTITION BY own IS NULL, ts_event, order_id, action ORDER BY seq, ingest) > 1 THEN 'duplicate' END) AS rule
+  FROM left1)""",
+)
+
+
+@query("b3_clean_ticks_audit", sql(*B3, select="SELECT rule, count(*) AS removed FROM left2 WHERE rule IS NOT NULL GROUP BY rule"))
 def b3(spark, d):
-    return C.clean_ticks_audited(T(spark, d), 100.05, 100.9)[1]
+    return C.clean_ticks_audited(market.dirty_ticks(spark, d), 100.05, 100.9)[1]
+
+
+B3_ROWS = """SELECT seq, ingest, coalesce(epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER (PARTITION BY symbol ORDER BY ts_event, seq) > 3600000000, false) AS feed_gap
+FROM left2 WHERE rule IS NULL"""
 
 
-@query("b3_clean_ticks", sql(TICKS_SQL, select="SELECT seq FROM ticks WHERE price BETWEEN 100.05 AND 100.9"))
+@query("b3_clean_ticks", sql(*B3, select=B3_ROWS))
 def b3_rows(spark, d):
-    return C.clean_ticks_audited(T(spark, d), 100.05, 100.9)[0].select("seq")
+    return C.clean_ticks_audited(market.dirty_ticks(spark, d), 100.05, 100.9)[0].select("seq", "ingest", "feed_gap")
 
 
 @query("b4_flag_crossed_book", sql(BOOK_SQL, select="SELECT seq, bid_px[1] - ask_px[1] > 0 AS is_crossed_book FROM book WHERE NOT bid_px[1] - ask_px[1] > 1"))

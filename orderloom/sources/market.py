@@ -32,6 +32,27 @@ TICKS_SQL = """ticks AS (
   FROM events)"""
 
 
+def dirty_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticks as a feed with faults: every tenth comes again with another size (`ingest` 1), some fields are wrong."""
+    t = ticks(spark, sf_dir)
+    again = t.where("seq % 10 = 0").withColumn("size", F.col("size") + 1).withColumn("ingest", F.lit(1))
+    return t.withColumn("ingest", F.lit(0)).unionByName(again).select(
+        "ts_event", "symbol", "seq", "order_id", F.when(F.col("seq") % 89 == 0, "Z").otherwise(F.col("action")).alias("action"),
+        F.when(F.col("seq") % 83 == 0, "Q").otherwise(F.col("side")).alias("side"), F.when(F.col("seq") % 97 != 0, F.col("price")).alias("price"),
+        F.when(F.col("seq") % 79 == 0, 0.0).otherwise(F.col("size")).alias("size"), "ingest",
+    )
+
+
+DIRTY_SQL = (
+    TICKS_SQL
+    + """, dirty AS (
+  SELECT ts_event, symbol, seq, order_id, CASE WHEN seq % 89 = 0 THEN 'Z' ELSE action END AS action,
+         CASE WHEN seq % 83 = 0 THEN 'Q' ELSE side END AS side, CASE WHEN seq % 97 <> 0 THEN price END AS price,
+         CASE WHEN seq % 79 = 0 THEN 0.0 ELSE size END AS size, ingest
+  FROM (SELECT *, 0 AS ingest FROM ticks UNION ALL SELECT * REPLACE (size + 1 AS size), 1 FROM ticks WHERE seq % 10 = 0))"""
+)
+
+
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ten-level snapshot for each event: bid_px, bid_sz, ask_px, ask_sz arrays, best first."""
     t = ticks(spark, sf_dir)

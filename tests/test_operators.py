@@ -20,13 +20,30 @@ def bars_of(spark, rows, atr=1.0):
     return spark.createDataFrame([("A", T0 + timedelta(hours=i), o, h, lo, c, v, atr) for i, (o, h, lo, c, v) in enumerate(rows)], BARS)
 
 
+TICKS = "symbol string, ts_event timestamp_ntz, seq bigint, order_id bigint, action string, side string, price double, size double"
+
+
 def test_sanitize_drops_bad_and_keeps_the_last(spark):
-    rows = [("A", T0, 1, 7, "T", "A", 10.0, 1.0), ("A", T0, 2, 7, "T", "A", 11.0, 2.0), ("A", None, 3, 7, "T", "A", 9.0, 1.0), ("A", T0, 4, 8, "T", "A", -1.0, 1.0), ("A", T0, 5, 9, "T", "A", float("nan"), 1.0)]
-    t = spark.createDataFrame(rows, "symbol string, ts_event timestamp_ntz, seq bigint, order_id bigint, action string, side string, price double, size double")
-    assert [r.seq for r in clean.sanitize_ticks(t).collect()] == [2]
-    kept, audit = clean.clean_ticks_audited(t, 0.0, 100.0)
-    assert sorted(r.seq for r in kept.collect()) == [1, 2]
-    assert {r.rule: r.removed for r in audit.collect()} == {"null_or_inf": 2, "price_range": 1}
+    rows = [("A", T0, 1, 7, "T", "A", 10.0, 1.0), ("A", T0, 2, 7, "T", "A", 11.0, 2.0), ("A", T0, 2, 7, "T", "A", 11.0, 2.0), ("A", T0, 2, 6, "T", "A", 12.0, 2.0)]
+    rows += [("A", None, 3, 7, "T", "A", 9.0, 1.0), ("A", T0, 4, 8, "T", "A", -1.0, 1.0), ("A", T0, 5, 9, "T", "A", float("nan"), 1.0)]
+    t = spark.createDataFrame(rows, TICKS)
+    # rows that differ in the sequence alone all stay
+    assert sorted((r.seq, r.order_id) for r in clean.sanitize_ticks(t).collect()) == [(1, 7), (2, 7)]
+    assert sorted(r.price for r in clean.sanitize_ticks(t.withColumn("ingest", F.col("price")), "ingest").collect()) == [10.0, 12.0]
+    assert sorted(r.order_id for r in clean.sanitize_ticks(t.drop("seq")).collect()) == [6, 7]
+    assert clean.sanitize_ticks(t.drop("seq", "order_id")).count() == 3
+
+
+def test_each_rule_of_the_audited_cleaning(spark):
+    later = T0 + timedelta(hours=2)
+    rows = [
+        ("A", T0, 1, 7, "T", "A", 10.0, 1.0), ("A", T0, 2, 7, "T", "A", 11.0, 2.0), ("A", later, 3, 7, " c", "n", 10.0, 0.0), ("A", later, 4, 8, "X", "", 10.0, 0.0),
+        ("A", None, 5, 7, "T", "A", 9.0, 1.0), ("A", T0, 6, 8, "T", "A", 1000.0, 1.0), ("A", T0, 7, 9, "Z", "A", 10.0, 1.0), ("A", T0, 8, 9, "T", "S", 10.0, 1.0),
+        ("A", T0, 9, 9, "T", "A", 10.0, 0.0), ("B", T0, 10, 9, "T", "A", 10.0, 1.0), ("A", T0, 11, 9, "T", "A", 10.0, None),
+    ]
+    kept, audit = clean.clean_ticks_audited(spark.createDataFrame(rows, TICKS), 0.0, 100.0)
+    assert sorted((r.seq, r.feed_gap) for r in kept.collect()) == [(1, False), (3, True), (4, False)]
+    assert {r.rule: r.removed for r in audit.collect()} == {"null_or_inf": 1, "price_range": 1, "action": 1, "side": 1, "size": 2, "symbol": 1, "duplicate": 1}
 
 
 @pytest.mark.parametrize("path,label", [([(0, 0.5, -0.5, 0, 1), (0, 1.2, 0, 1, 1)], 1), ([(0, 0.5, -0.5, 0, 1), (0, 0.2, -1.2, -1, 1)], -1), ([(0, 0.5, -0.5, 0, 1), (0.5, 1.2, -1.2, 0, 1)], 1), ([(0, 0.5, -0.5, 0, 1), (-0.5, 1.2, -1.2, 0, 1)], -1), ([(0, 0.5, -0.5, 0, 1), (0, 0.2, -0.2, 0, 1)], 0)])
