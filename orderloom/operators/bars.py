@@ -70,10 +70,16 @@ def cancel_volume_ratio(ticks: DataFrame, freq: str = "1 hour") -> DataFrame:
     return ticks.groupBy(KEY, bucket(freq).alias(TS)).agg((F.sum(cancel) / F.count(F.lit(1))).alias("cancel_ratio"))
 
 
-def liquidity_bridge(ticks: DataFrame, freq: str = "1 hour") -> DataFrame:
+def liquidity_bridge(ticks: DataFrame, freq: str = "1 hour", book: DataFrame | None = None) -> DataFrame:
+    """Trades, mean size, buyers' share and imbalance within -1 and 1; with book snapshots also the bar's mean spread."""
     buy = F.upper("side").isin(*BUY_SIDES).cast("double")
     b = ticks.where(is_trade()).groupBy(KEY, bucket(freq).alias(TS)).agg(F.count(F.lit(1)).alias("trades"), F.avg("size").alias("mean_size"), F.avg(buy).alias("buy_share"), (F.sum(signed_size()) / F.greatest(F.sum("size"), F.lit(1e-9))).alias("ofi"))
-    return b.withColumn("ofi", F.greatest(F.least("ofi", F.lit(1.0)), F.lit(-1.0)))
+    b = b.withColumn("ofi", F.greatest(F.least("ofi", F.lit(1.0)), F.lit(-1.0)))
+    if book is None:
+        return b
+    spread = F.get("ask_px", F.lit(0)) - F.get("bid_px", F.lit(0))
+    quotes = book.where(spread >= 0).groupBy(KEY, bucket(freq).alias(TS)).agg(F.avg(spread).alias("mean_spread"))
+    return b.join(quotes, [KEY, TS], "left")
 
 
 def flow_proxy(cvd: DataFrame, window: int = 24) -> DataFrame:

@@ -220,12 +220,28 @@ def ruin_weights(df: DataFrame, tp: float = 1.5, sl: float = 1.0) -> DataFrame:
     return df.withColumn("ruin_weight", p)
 
 
-def analytic_soft_labels(df: DataFrame) -> DataFrame:
-    """Probability by outcome, pulled to one half by low quality; weights with a mean of 1 (one scalar)."""
-    p = F.when(F.col("label") == 1, 0.85).when(F.col("label") == -1, 0.15).otherwise(0.5)
-    df = df.withColumn("soft_p", 0.5 + (p - 0.5) * F.col("quality")).withColumn("_w", F.abs(F.col("soft_p") - 0.5) + 0.1)
-    m = df.agg(F.avg("_w").alias("_m"))
-    return df.crossJoin(F.broadcast(m)).withColumn("soft_weight", F.col("_w") / F.col("_m")).drop("_w", "_m")
+# The probability of a side by what came first, (weak, strong) quality: its target, its stop, the other's target, the other's stop.
+OUTCOME_SOFT = {"target": (0.72, 0.88), "stop": (0.12, 0.09), "other_target": (0.12, 0.12), "other_stop": (0.62, 0.68)}
+
+
+def analytic_soft_labels(df: DataFrame, unit: str = "atr", scale: float = 1.5, reach: float = 0.4, boost: float = 1.3, floor: float = 0.1, most: int = 24) -> DataFrame:
+    """Probabilities of a long and a short by outcome (up, down, timeout) and quality (2 strong), for timeouts by a sigmoid of
+    the move ahead; soft_p is that of the label's side. Confidence, and weights with a mean of 1 (one scalar that is broadcast).
+    """
+    strong = F.col("quality") == 2
+    of = lambda kind: F.when(strong, OUTCOME_SOFT[kind][1]).otherwise(OUTCOME_SOFT[kind][0])
+    x = F.least(F.greatest(scale * F.coalesce(F.col("move_ahead"), F.lit(0.0)) / F.greatest(F.col(unit), F.lit(1e-10)), F.lit(-60.0)), F.lit(60.0))
+    late = 0.5 + reach * (1 / (1 + F.exp(-x)) - 0.5)
+    up, down, timeout = (F.col("outcome") == k for k in ("up", "down", "timeout"))
+    df = df.withColumn("soft_long", F.when(up, of("target")).when(down, of("other_target")).when(timeout, late).otherwise(0.5))
+    df = df.withColumn("soft_short", F.when(down, of("target")).when(up, of("other_target")).when(timeout, 1 - late).otherwise(0.5))
+    df = df.withColumn("soft_p", F.when(F.col("label") == 1, F.col("soft_long")).when(F.col("label") == -1, F.col("soft_short")).otherwise(0.5))
+    used = F.least(F.coalesce(F.col("bars_held"), F.lit(0)) / most, F.lit(1.0))
+    sure = F.when(timeout, 0.4 + 0.15 * used).otherwise(0.75) + F.when(strong, 0.1).otherwise(0.0)
+    df = df.withColumn("soft_confidence", F.least(sure, F.lit(1.0)))
+    w = F.greatest(F.col("soft_confidence") * F.abs(F.col("soft_p") - 0.5) * 2 * F.when(strong, boost).otherwise(1.0), F.lit(floor))
+    df = df.withColumn("_w", w)
+    return df.crossJoin(F.broadcast(df.agg(F.avg("_w").alias("_m")))).withColumn("soft_weight", F.col("_w") / F.col("_m")).drop("_w", "_m")
 
 
 def gap_fill_label(df: DataFrame, n: int = 6) -> DataFrame:

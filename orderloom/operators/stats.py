@@ -11,10 +11,47 @@ from orderloom.operators.windows import forward_return
 from orderloom.spec import KEY, TS, by_time, median
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Rank within the groups, ties sharing their mean rank."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
+def cumulated(df: DataFrame, value: str, *by: str, buckets: int = 64) -> DataFrame:
+    """by, value, _n (rows with the value), _before (rows of the group below it), for each distinct value.
+
+    Rows are counted by value first. Approximate percentiles of the distinct values, a few numbers a group, cut them into
+    ranges: totals of ranges add up over groups, counts within a range over its values. So no task holds a whole group, and
+    the result is exact.
+    """
+    by = by or ("_all",)
+    rows = df.withColumn("_all", F.lit(0)) if by == ("_all",) else df
+    n = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    edges = n.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000)).alias("_e"))
+    n = n.join(edges, list(by)).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+    totals = n.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
+    ranges = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_b", F.coalesce(F.sum("_t").over(ranges), F.lit(0)).alias("_p"))
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_p") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    return n.join(totals, [*by, "_b"]).withColumn("_before", before).drop("_b", "_p")
+
+
+def with_ranks(df: DataFrame, columns: dict[str, str], *by: str) -> DataFrame:
+    """Adds for each column (the key, none null) its rank within the groups under another name, ties sharing their mean rank."""
+    out = df
+    for value, name in columns.items():
+        c = cumulated(df, value, *by)
+        out = out.join(c.select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name)), [*by, value])
+    return out
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row: p0, p1, ... the interpolated percentiles of a column (nulls left out), n, from counts by value."""
+    c = cumulated(df.where(F.col(value).isNotNull()).select(value), value)
+    total = c.agg(F.sum("_n").alias("_total"))
+    c = c.crossJoin(F.broadcast(total))
+    out = [F.max("_total").alias("n")]
+    for i, p in enumerate(shares):
+        place = (F.col("_total") - 1) * p
+        at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col(value)))
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(f"p{i}"))
+    return c.agg(*out)
 
 
 def long_pairs(df: DataFrame, features: list[str], horizons: list[int], extra: list[str] | None = None) -> DataFrame:
@@ -30,7 +67,7 @@ def long_pairs(df: DataFrame, features: list[str], horizons: list[int], extra: l
 
 def rank_correlation(pairs: DataFrame, *by: str, least: int = 30) -> DataFrame:
     """Spearman and Pearson of x and y in each group; 0 where either is constant, no row below `least` pairs."""
-    r = pairs.withColumn("rx", average_rank("x", *by)).withColumn("ry", average_rank("y", *by))
+    r = with_ranks(pairs, {"x": "rx", "y": "ry"}, *by)
     flat = (F.stddev_pop("x") == 0) | (F.stddev_pop("y") == 0)
     out = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(flat, 0.0).otherwise(F.corr("rx", "ry")).alias("spearman"), F.when(flat, 0.0).otherwise(F.corr("x", "y")).alias("pearson"))
     return out.where(F.col("n") >= least)
@@ -45,6 +82,20 @@ def block_stability(pairs: DataFrame, blocks: int = 8) -> DataFrame:
     return ic.groupBy("feature", "horizon").agg(F.avg("spearman").alias("mean_ic"), F.stddev_samp("spearman").alias("std_ic"), F.avg((F.col("spearman") > 0).cast("double")).alias("positive_share"))
 
 
+def walk_forward(pairs: DataFrame, windows: int = 8, least: int = 30) -> DataFrame:
+    """Spearman on each window after the first, of equal numbers of rows in time order: mean, deviation, share of windows with
+    the mean's sign (0.5 for a mean of nothing), number of windows; no row with fewer than three.
+    """
+    w = Window.partitionBy("feature", "horizon").orderBy(TS, KEY)
+    step = F.floor(F.count(F.lit(1)).over(Window.partitionBy("feature", "horizon")) / windows)
+    b = pairs.withColumn("_s", step).withColumn("block", F.floor((F.row_number().over(w) - 1) / F.greatest(F.col("_s"), F.lit(1))).cast("int")).drop("_s")
+    ic = rank_correlation(b.where((F.col("block") > 0) & (F.col("block") < windows)), "feature", "horizon", "block", least=least)
+    m = ic.withColumn("_m", F.avg("spearman").over(Window.partitionBy("feature", "horizon")))
+    same = F.when(F.abs("_m") <= 1e-9, 0.5).otherwise((F.signum("spearman") == F.signum("_m")).cast("double"))
+    out = m.groupBy("feature", "horizon").agg(F.avg("spearman").alias("mean_ic"), F.stddev_samp("spearman").alias("std_ic"), F.avg(same).alias("same_sign"), F.count(F.lit(1)).alias("windows"))
+    return out.where("windows >= 3")
+
+
 def cost_adjusted(pairs: DataFrame, cost: float) -> DataFrame:
     return pairs.withColumn("y", F.when(F.abs("y") <= 2 * cost, 0.0).otherwise(F.col("y")))
 
@@ -62,7 +113,7 @@ def fdr_adjust(p: DataFrame, alpha: float = 0.05) -> DataFrame:
     return r.withColumn("p_adjusted", F.least(adj, F.lit(1.0))).withColumn("rejected", F.col("p_adjusted") <= alpha).drop("_n", "_r")
 
 
-def mutual_information(pairs: DataFrame, bins: int = 5, *by: str) -> DataFrame:
+def mutual_information(pairs: DataFrame, bins: int = 20, *by: str) -> DataFrame:
     """Information in nats between quantile bins of x and y in each group."""
     by = by or ("feature", "horizon")
     q = pairs
@@ -94,6 +145,31 @@ def shift_leak(df: DataFrame, features: list[str], horizon: int, shifts: tuple[i
     return ic.select(F.regexp_extract("feature", r"^(.*)@", 1).alias("feature"), F.regexp_extract("feature", r"@(-?[0-9]+)$", 1).cast("int").alias("shift"), "n", "spearman")
 
 
+# The limits of the verdict on shifted correlations.
+NOISE, STRONG, FUTURE_LEAST, LOW_RHO, HIGH_RHO = 0.03, 0.10, 0.05, 0.10, 0.7
+
+
+def shift_verdict(shifts: DataFrame, rho: DataFrame) -> DataFrame:
+    """A verdict on each feature from the sizes of its correlations at shifts 0, 1, 5 and -1 and its own lag-1 correlation."""
+    at = lambda s: F.max(F.when(F.col("shift") == s, F.abs("spearman")))
+    w = shifts.groupBy("feature").agg(at(0).alias("now"), at(1).alias("past_1"), at(5).alias("past_5"), at(-1).alias("ahead_1")).join(rho, "feature", "left")
+    now, one, five, ahead, r = F.col("now"), F.col("past_1"), F.col("past_5"), F.col("ahead_1"), F.abs(F.coalesce("autocorrelation", F.lit(0.0)))
+    strong = (
+        F.when(r < LOW_RHO, "pass_low_autocorrelation").when(one < 0.4 * now * r, "leak_past_alignment").when(one < 0.7 * now * r, "suspect_high_decay")
+        .when(five > one + 0.02, "suspect_not_monotonic").otherwise("pass")
+    )
+    verdict = (
+        F.when(now.isNull() | (now < NOISE), "noise")
+        .when((ahead > FUTURE_LEAST) & (ahead > now * 1.3 + 0.01), "leak_future")
+        .when((ahead > FUTURE_LEAST) & (ahead > now * 1.1 + 0.005) & (now > 0.04), "suspect_future")
+        .when((one > now + 0.03) & (one > 0.1), "leak_past_peak")
+        .when(now >= STRONG, strong)
+        .when((r > HIGH_RHO) & (one < 0.3 * now), "suspect")
+        .otherwise("pass")
+    )
+    return w.withColumn("verdict", verdict)
+
+
 def permutation_null(pairs: DataFrame, reps: int = 50, seed: int = 7) -> DataFrame:
     """p value of the mean of sign(x) * y under random signs drawn by a hash of (seed, repetition, row)."""
     stat = pairs.withColumn("s", F.signum("x") * F.col("y")).select("feature", KEY, TS, "s")
@@ -114,11 +190,63 @@ def bootstrap_interval(df: DataFrame, column: str, *by: str, reps: int = 200, ci
     return means.groupBy(*by).agg(median("m", (1 - ci) / 2).alias("low"), median("m", (1 + ci) / 2).alias("high"))
 
 
-def edge_statistics(trades: DataFrame, *by: str) -> DataFrame:
-    """n, win rate, mean, and the t value and yearly Sharpe ratio of daily means."""
+def student_p(t: float | None, freedom: float | None) -> float | None:
+    """Two-sided p of Student's t, by the continued fraction of the incomplete beta function."""
+    import math
+
+    if t is None or freedom is None or freedom < 1 or math.isnan(t):
+        return None
+    a, b, x = freedom / 2, 0.5, freedom / (freedom + t * t)
+    if x >= 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x > (a + 1) / (a + b + 2):
+        return 1 - front * _beta_fraction(b, a, 1 - x) / b
+    return front * _beta_fraction(a, b, x) / a
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Lentz's evaluation."""
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(abs(1 - (a + b) * x / (a + 1)), tiny) * (1 if 1 - (a + b) * x / (a + 1) > 0 else -1)
+    h = d
+    for m in range(1, 300):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return h
+
+
+def edge_statistics(trades: DataFrame, *by: str, least: int = 2, unit: float = 10_000.0) -> DataFrame:
+    """n, win rate, mean in units; from the means of days of `least` trades or more their number, t, its p, the yearly Sharpe
+    ratio, t of either half of the days, and whether both halves have one sign and reach 1.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def p_of(t, n):  # on one row a group
+        return t.combine(n, lambda a, k: student_p(a, k - 1)).astype("float64")
+
     day = trades.groupBy(*by, F.to_date(TS).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("ret") > 0).cast("bigint")).alias("w"), F.avg("ret").alias("m"), F.sum("ret").alias("s"))
+    whole = day.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("w") / F.sum("n")).alias("win_rate"), (F.sum("s") / F.sum("n") * unit).alias("mean_units"))
+    some = day.where(F.col("n") >= least)
+    w = Window.partitionBy(*by)
+    some = some.withColumn("_half", F.row_number().over(w.orderBy("day")) <= F.floor(F.count(F.lit(1)).over(w) / 2))
+    t = lambda c: F.coalesce(F.when(F.stddev_samp(c) > 0, F.avg(c) / (F.stddev_samp(c) / F.sqrt(F.count(c)))), F.lit(0.0))
+    part = lambda first: F.when(F.col("_half") == first, F.col("m"))
     sd = F.stddev_samp("m")
-    return day.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("w") / F.sum("n")).alias("win_rate"), (F.sum("s") / F.sum("n")).alias("mean_ret"), (F.avg("m") / (sd / F.sqrt(F.count(F.lit(1))))).alias("t_value"), (F.avg("m") / sd * F.sqrt(F.lit(252.0))).alias("sharpe"))
+    daily = some.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("days"), t("m").alias("t_value"), (F.avg("m") / sd * F.sqrt(F.lit(252.0))).alias("sharpe"),
+        t(part(True)).alias("t_first"), t(part(False)).alias("t_second"),
+    ).where("days >= 3")
+    out = whole.join(daily, list(by)).withColumn("p_value", p_of("t_value", F.col("days").cast("double")))
+    both = (F.abs("t_first") >= 1) & (F.abs("t_second") >= 1) & (F.floor(F.col("days") / 2) >= 3)
+    return out.withColumn("stable", (F.signum("t_first") == F.signum("t_second")) & both)
 
 
 def signal_overlap(df: DataFrame, signals: list[str]) -> DataFrame:
@@ -172,8 +300,21 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*[one(c) for c in columns]).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
-def dead_features(profile: DataFrame, low_std: float = 1e-9, null_limit: float = 0.5) -> DataFrame:
-    return profile.select("column", F.when(F.col("std") <= low_std, "constant").when(F.col("null_share") > null_limit, "null_heavy").otherwise("alive").alias("verdict"))
+def value_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, number of distinct values, share of the most frequent one: counted by (column, value)."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value").where("value is not null")
+    n = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy("column").agg(F.count(F.lit(1)).alias("values"), (F.max("_n") / F.sum("_n")).alias("top_share"))
+
+
+def dead_features(profile: DataFrame, values: DataFrame, low_std: float = 1e-3, null_limit: float = 0.5, few: int = 3, near: float = 0.95) -> DataFrame:
+    """The first of null_heavy, dead, weak, few_values, near_constant that a column is, else alive."""
+    p = profile.join(values, "column", "left")
+    verdict = (
+        F.when(F.col("null_share") > null_limit, "null_heavy").when(F.col("std") == 0, "dead").when(F.col("std") < low_std, "weak")
+        .when(F.coalesce("values", F.lit(0)) < few, "few_values").when(F.col("top_share") > near, "near_constant").otherwise("alive")
+    )
+    return p.select("column", "values", "top_share", verdict.alias("verdict"))
 
 
 def chi_square(table: DataFrame, a: str, b: str) -> DataFrame:
@@ -187,11 +328,15 @@ def chi_square(table: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def quantile_spread(df: DataFrame, column: str, target: str, buckets: int = 5) -> DataFrame:
-    """Mean target of the top less the bottom value-quantile, in basis points."""
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("_c"))
-    b = df.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_c", lambda c: c < F.col(column))))
+    """Mean target of the top less the bottom value-quantile, in basis points, and the Spearman correlation of both columns."""
+    both = df.where(F.col(column).isNotNull() & F.col(target).isNotNull())
+    cuts = percentiles(both, column, [i / buckets for i in range(1, buckets)]).select(F.array(*[f"p{i}" for i in range(buckets - 1)]).alias("_c"))
+    b = both.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_c", lambda c: c < F.col(column))))
     m = b.groupBy("_b").agg(F.avg(target).alias("m"))
-    return m.agg(((F.max_by("m", "_b") - F.min_by("m", "_b")) * 10_000).alias("spread_bp"))
+    spread = m.agg(((F.max_by("m", "_b") - F.min_by("m", "_b")) * 10_000).alias("spread_bp"))
+    xy = both.select(F.col(column).alias("x"), F.col(target).alias("y"))
+    ic = with_ranks(xy, {"x": "rx", "y": "ry"}).agg(F.corr("rx", "ry").alias("ic"))
+    return spread.crossJoin(F.broadcast(ic))
 
 
 def hit_rate(df: DataFrame, direction: str, horizon: int) -> DataFrame:
@@ -199,20 +344,34 @@ def hit_rate(df: DataFrame, direction: str, horizon: int) -> DataFrame:
     return f.agg(F.count(F.lit(1)).alias("n"), F.avg((F.signum(direction) == F.signum(f"fwd_ret_{horizon}")).cast("double")).alias("hit_rate"))
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve by rank sums."""
-    r = df.withColumn("_r", F.rank().over(Window.orderBy(score)) + (F.count(F.lit(1)).over(Window.partitionBy(score)) - 1) / 2.0)
+def auc(df: DataFrame, score: str, label: str, threshold: float | None = None) -> DataFrame:
+    """Area under the curve by rank sums; with a threshold also the accuracy of scores from it on."""
     pos, neg = F.sum((F.col(label) == 1).cast("bigint")), F.sum((F.col(label) != 1).cast("bigint"))
-    return r.agg(((F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
+    out = [((F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc")]
+    if threshold is not None:
+        out.append(F.avg(((F.col(score) >= threshold) == (F.col(label) == 1)).cast("double")).alias("accuracy"))
+    return with_ranks(df.select(score, label), {score: "_r"}).agg(*out)
 
 
 def tick_quality(ticks: DataFrame) -> DataFrame:
-    return ticks.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("price").isNull()).cast("bigint")).alias("null_price"), F.sum((F.col("price") <= 0).cast("bigint")).alias("bad_price"), median("price", 0.01).alias("p01"), median("price").alias("p50"), median("price", 0.99).alias("p99"), F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"))
-
-
-def event_gate_audit(df: DataFrame, flag: str, by: str) -> DataFrame:
-    """Event rate overall and by group."""
-    return df.groupingSets([[], [F.col(by)]], by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("double")).alias("event_rate"))
+    p = percentiles(ticks, "price", [0.01, 0.5, 0.99]).select(F.col("p0").alias("p01"), F.col("p1").alias("p50"), F.col("p2").alias("p99"))
+    counts = ticks.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("price").isNull()).cast("bigint")).alias("null_price"), F.sum((F.col("price") <= 0).cast("bigint")).alias("bad_price"), F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"))
+    return counts.crossJoin(F.broadcast(p))
+
+
+def event_gate_audit(df: DataFrame, flag: str, by: str, parts: dict[str, Column] | None = None, inputs: tuple[str, ...] = (), warm_up: Column | None = None, low: float = 0.01, high: float = 0.6) -> DataFrame:
+    """By group and overall: rows, event rate, share of rows that fail each part of the gate, share with a null input, share of
+    warm-up, and a verdict: empty, null_inputs (over a twentieth), rare, frequent or ok.
+    """
+    null = F.lit(False)
+    for c in inputs:
+        null = null | F.col(c).isNull()
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    out = [F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("double")).alias("event_rate"), share(null).alias("null_share"), share(warm_up if warm_up is not None else F.lit(False)).alias("warm_up_share")]
+    out += [share(~F.coalesce(c, F.lit(False))).alias(f"{name}_fails") for name, c in (parts or {}).items()]
+    r = df.groupingSets([[], [F.col(by)]], by).agg(*out)
+    verdict = F.when(F.col("event_rate") == 0, "empty").when(F.col("null_share") > 0.05, "null_inputs").when(F.col("event_rate") < low, "rare").when(F.col("event_rate") > high, "frequent").otherwise("ok")
+    return r.withColumn("verdict", verdict)
 
 
 def feature_drift(now: DataFrame, base: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.spec import KEY, TS, by_time, median
+from orderloom.operators.stats import percentiles
+from orderloom.spec import KEY, TS, by_time
 
 SWINGS = f"{KEY} string, bar_ts timestamp_ntz, confirmed_at timestamp_ntz, price double, is_high boolean"
 
@@ -63,6 +64,7 @@ def timeframe_alignment(bars: DataFrame, steps: tuple[int, ...] = (1, 4, 16), wi
 
 def volatility_quartile(df: DataFrame) -> DataFrame:
     """Quartile (1 to 4) of ATR over price; cut points are values, so equal ones stay together. The one row of cuts is broadcast."""
-    r = F.col("atr") / F.col("close")
-    cuts = df.agg(*[median(r, q).alias(f"_q{i}") for i, q in enumerate((0.25, 0.5, 0.75))])
-    return df.crossJoin(F.broadcast(cuts)).withColumn("quartile", F.when(r <= F.col("_q0"), 1).when(r <= F.col("_q1"), 2).when(r <= F.col("_q2"), 3).otherwise(4)).drop("_q0", "_q1", "_q2")
+    df = df.withColumn("_r", F.col("atr") / F.col("close"))
+    cuts = percentiles(df, "_r", [0.25, 0.5, 0.75])
+    quartile = F.when(F.col("_r") <= F.col("p0"), 1).when(F.col("_r") <= F.col("p1"), 2).when(F.col("_r") <= F.col("p2"), 3).otherwise(4)
+    return df.crossJoin(F.broadcast(cuts.drop("n"))).withColumn("quartile", quartile).drop("_r", "p0", "p1", "p2")

@@ -23,9 +23,12 @@ def candidate_exits(bars: DataFrame, direction: str, tp: float = 1.5, sl: float
     return b.select(KEY, TS, F.col("ts_exit"), d.cast("int").alias("side"), "exit_reason", (gross - cost).alias("pnl"))
 
 
-def one_at_a_time(candidates: DataFrame, cooldown_bars: int = 0) -> DataFrame:
-    """Of a symbol's candidate trades those taken when only one may be open: a sequential pick over event rows alone."""
+def one_at_a_time(candidates: DataFrame, cooldown_seconds: float = 0.0) -> DataFrame:
+    """Of a symbol's candidate trades those taken when only one may be open, and none until the cooldown after an exit is over:
+    a sequential pick over event rows alone.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema)
+    wait = pd.Timedelta(seconds=cooldown_seconds)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(TS, ignore_index=True)
@@ -33,12 +36,23 @@ def one_at_a_time(candidates: DataFrame, cooldown_bars: int = 0) -> DataFrame:
         for a, b in zip(pdf[TS], pdf["ts_exit"], strict=True):
             ok = free is None or a >= free
             keep.append(ok)
-            free = b if ok else free
+            free = b + wait if ok else free
         return pdf[keep]
 
     return candidates.groupBy(KEY).applyInPandas(run, schema)
 
 
+def equity_summary(trades: DataFrame, *by: str) -> DataFrame:
+    """By group: trades, result, largest drawdown, profit factor, yearly Sharpe ratio of days, share of each exit."""
+    e = equity_drawdown(trades)
+    gain, loss = F.sum(F.greatest("pnl", F.lit(0.0))), -F.sum(F.least("pnl", F.lit(0.0)))
+    share = lambda kind: F.avg((F.col("exit_reason") == kind).cast("double")).alias(f"{kind}_share")
+    whole = e.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("pnl"), F.max("drawdown").alias("max_drawdown"), (gain / F.greatest(loss, F.lit(1e-9))).alias("profit_factor"), *[share(k) for k in ("target", "stop", "timeout")])
+    days = trades.groupBy(*by, F.to_date("ts_exit").alias("_d")).agg(F.sum("pnl").alias("_p"))
+    sharpe = F.coalesce(F.when(F.stddev_samp("_p") > 0, F.avg("_p") / F.stddev_samp("_p") * F.sqrt(F.lit(252.0))), F.lit(0.0))
+    return whole.join(days.groupBy(*by).agg(sharpe.alias("sharpe")), list(by))
+
+
 def equity_drawdown(trades: DataFrame) -> DataFrame:
     """Cumulative result, its maximum so far and the drawdown, by symbol in order of exit."""
     w = Window.partitionBy(KEY).orderBy("ts_exit", TS).rowsBetween(Window.unboundedPreceding, 0)
@@ -75,7 +89,19 @@ def top_rules(rules: DataFrame, group: str, metric: str, least: int, k: int) ->
     return rules.where(F.col("n") >= least).withColumn("place", n).where(F.col("place") <= k)
 
 
-def daily_loss_guard(trades: DataFrame, max_loss: float, max_trades: int) -> DataFrame:
-    """blocked: the day's result before the trade is at or below -max_loss, or its number of trades is at the limit."""
-    w = Window.partitionBy(KEY, F.to_date(TS)).orderBy(TS).rowsBetween(Window.unboundedPreceding, -1)
-    return trades.withColumn("blocked", F.coalesce(F.sum("pnl").over(w) <= -max_loss, F.lit(False)) | (F.count("pnl").over(w) >= max_trades))
+def daily_loss_guard(trades: DataFrame, max_loss: float, max_trades: int, max_drawdown: float | None = None, start: float = 100.0) -> DataFrame:
+    """blocked and its reason, from what is known before the trade: the day's result at or below -max_loss at any of its trades,
+    the equity (`start` and all results) that share below its peak after any of the day's trades, or the day's number of
+    trades at the limit. A day once blocked stays so.
+    """
+    so_far_all = Window.partitionBy(KEY).orderBy(TS).rowsBetween(Window.unboundedPreceding, 0)
+    day = Window.partitionBy(KEY, F.to_date(TS)).orderBy(TS)
+    t = trades.withColumn("_e", start + F.sum("pnl").over(so_far_all)).withColumn("_day", F.sum("pnl").over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("_dd", 1 - F.col("_e") / F.greatest(F.max("_e").over(so_far_all), F.lit(start)))
+    w = day.rowsBetween(Window.unboundedPreceding, -1)
+    hit = lambda c: F.coalesce(c, F.lit(False))
+    reason = F.when(hit(F.min("_day").over(w) <= -max_loss), "loss")
+    if max_drawdown is not None:
+        reason = reason.when(hit(F.max("_dd").over(w) >= max_drawdown), "drawdown")
+    reason = reason.when(F.count("pnl").over(w) >= max_trades, "trades").otherwise("none")
+    return t.withColumn("block_reason", reason).withColumn("blocked", F.col("block_reason") != "none").drop("_e", "_day", "_dd")

@@ -13,7 +13,7 @@ from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, S
 from orderloom.plans.catalog import query
 from orderloom.plans.features import ID, PREV, TR, feature, tf, tick_feature
 from orderloom.plans.flow import SESSION
-from orderloom.plans.labels import AB, AL, A
+from orderloom.plans.labels import AB, AL, BARRIERS_SQL, A, barrier_labels
 from orderloom.plans.statistics import pairs, pairs_sql, ranks_sql
 from orderloom.sources import market
 from orderloom.spec import rounded
@@ -76,8 +76,28 @@ feature(
 )
 feature("j6_adaptive_horizon", lambda s, d: X.adaptive_horizon(AB(s, d)), ["horizon"], A, f"CAST(round(12 * least(greatest(atr / greatest(quantile_cont(atr, 0.5) OVER {frame(100)}, 1e-9), 0.5), 2.0)) AS INTEGER) AS horizon FROM atr")
 feature("j14_ruin_weights", lambda s, d: X.ruin_weights(flow_bars(s, d)), ["ruin_weight"], FA, "round(CASE WHEN abs(ofi * 0.2) < 1e-6 THEN 1.0 / 2.5 ELSE (1 - exp(2 * ofi * 0.2)) / (exp(-3 * ofi * 0.2) - exp(2 * ofi * 0.2)) END, 6) AS ruin_weight FROM flow_bars")
-SOFT = "sq AS (SELECT *, 0.5 + (CASE WHEN label = 1 THEN 0.85 WHEN label = -1 THEN 0.15 ELSE 0.5 END - 0.5) * 0.8 AS p FROM labelled)"
-feature("j12_soft_labels_analytic", lambda s, d: X.analytic_soft_labels(labelled(s, d).withColumn("quality", F.lit(0.8))), ["soft_p", "soft_weight"], (*AL, SOFT), "round(CAST(p AS DOUBLE), 6) AS soft_p, round(CAST(abs(p - 0.5) + 0.1 AS DOUBLE) / (SELECT avg(abs(p - 0.5) + 0.1) FROM sq), 6) AS soft_weight FROM sq")
+SOFT = (
+    f"so0 AS (SELECT *, lead(close, 6) OVER w - close AS mv, CASE WHEN bars_held <= 3 THEN 2 ELSE 1 END AS ql FROM barrier_labels {WINDOW})",
+    """so AS (
+  SELECT *, 0.5 + 0.4 * (1 / (1 + exp(-least(greatest(1.5 * coalesce(mv, 0) / greatest(atr, 1e-10), -60.0), 60.0))) - 0.5) AS late,
+         CASE ql WHEN 2 THEN 0.88 ELSE 0.72 END AS tg FROM so0)""",
+    """sp AS (
+  SELECT *, CASE outcome WHEN 'up' THEN tg WHEN 'down' THEN 0.12 WHEN 'timeout' THEN late ELSE 0.5 END AS lo,
+         CASE outcome WHEN 'down' THEN tg WHEN 'up' THEN 0.12 WHEN 'timeout' THEN 1 - late ELSE 0.5 END AS sh,
+         CASE WHEN outcome = 'timeout' THEN 0.4 + 0.15 * least(coalesce(bars_held, 0) / 24, 1) ELSE 0.75 END + CASE ql WHEN 2 THEN 0.1 ELSE 0 END AS cf FROM so)""",
+    "sq AS (SELECT *, CASE label WHEN 1 THEN lo WHEN -1 THEN sh ELSE 0.5 END AS p FROM sp)",
+    "sw AS (SELECT *, greatest(cf * abs(p - 0.5) * 2 * CASE ql WHEN 2 THEN 1.3 ELSE 1.0 END, 0.1) AS wt FROM sq)",
+)
+SOFT_SELECT = """round(CAST(p AS DOUBLE), 6) AS soft_p, round(CAST(lo AS DOUBLE), 6) AS soft_long, round(CAST(sh AS DOUBLE), 6) AS soft_short,
+       round(CAST(cf AS DOUBLE), 6) AS soft_confidence, round(CAST(wt AS DOUBLE) / (SELECT avg(CAST(wt AS DOUBLE)) FROM sw), 6) AS soft_weight FROM sw"""
+
+
+def soft_labelled(s, d):
+    ahead_6 = F.lead("close", 6).over(X.by_time()) - F.col("close")
+    return X.analytic_soft_labels(barrier_labels(s, d).withColumns({"move_ahead": ahead_6, "quality": F.when(F.col("bars_held") <= 3, 2).otherwise(1)}))
+
+
+feature("j12_soft_labels_analytic", soft_labelled, ["soft_p", "soft_long", "soft_short", "soft_confidence", "soft_weight"], (*A, *BARRIERS_SQL, *SOFT), SOFT_SELECT)
 feature("j20_gap_fill_label", lambda s, d: X.gap_fill_label(AB(s, d)), ["gap_fill"], (*A, f"g AS (SELECT *, lag(close) OVER w AS g FROM atr {WINDOW})"), f"CAST(coalesce(min(low) OVER {nxt(6)} <= g AND max(high) OVER {nxt(6)} >= g, false) AS INTEGER) AS gap_fill FROM g")
 STRICT = f"c24 AS (SELECT *, list(close) OVER {nxt(24)} AS x FROM atr), f24 AS (SELECT *, list_filter(x, lambda v: v >= close + atr OR v <= close - atr)[1] AS f FROM c24), bk AS (SELECT *, coalesce(gap > 1.5 * median(gap) OVER (PARTITION BY symbol), false) AS b FROM (SELECT symbol, ts_event, epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER (PARTITION BY symbol ORDER BY ts_event) AS gap FROM bars)), bs AS (SELECT symbol, ts_event, coalesce(sum(CAST(b AS INT)) OVER {nxt(24)}, 0) = 0 AND count(*) OVER {nxt(24)} = 24 AS clear FROM bk)"
 feature("j3_strict_execution_labels", lambda s, d: L.close_barrier_labels(stage(W.true_range_atr(W.session_break_flag(bars(s, d), 1.5).withColumnRenamed("session_break", "brk"))).withColumnRenamed("brk", "session_break")).withColumn("strict_label", F.when(W.break_free(bars(s, d), 24), F.col("close_label"))), ["strict_label"], (*A, STRICT), "CASE WHEN clear THEN CASE WHEN f >= close + atr THEN 1 WHEN f <= close - atr THEN -1 ELSE 0 END END AS strict_label FROM f24 JOIN bs USING (symbol, ts_event)")
@@ -85,7 +105,13 @@ query("l6_fold_aggregate", sql(*A, LABELS, "f AS (SELECT symbol, CAST(week(ts_ev
 query("l7_out_of_fold_assembly", sql(TICKS_SQL, BARS, select="SELECT symbol, ts_event, CASE WHEN ts_event < TIMESTAMP '2024-01-08' THEN close WHEN ts_event >= TIMESTAMP '2024-01-15' THEN open ELSE 0.5 END AS prediction FROM bars"))(lambda s, d: X.out_of_fold([bars(s, d).where("ts_event < timestamp_ntz '2024-01-08'").select(*ID, F.col("close").alias("prediction")), bars(s, d).where("ts_event >= timestamp_ntz '2024-01-15'").select(*ID, F.col("open").alias("prediction"))], bars(s, d), 0.5))
 query("l8_overfit_probability", sql(TICKS_SQL, "p AS (SELECT CAST(dayofmonth(ts_event) % 5 AS INTEGER) AS split, symbol AS model, avg(CASE WHEN seq % 2 = 0 THEN price END) AS ins, avg(CASE WHEN seq % 2 = 1 THEN price END) AS outs FROM ticks GROUP BY ALL)", "r AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY outs) / (count(*) OVER (PARTITION BY split) + 1) AS r FROM p)", "b AS (SELECT split, arg_max(r, ins) AS s FROM r GROUP BY split)", select="SELECT split, round(s, 6) AS rank_share, round(ln(s / (1 - s)), 6) AS logit, CAST(ln(s / (1 - s)) <= 0 AS INTEGER) AS overfit FROM b"))(lambda s, d: rounded(X.overfit_probability(T(s, d).groupBy((F.dayofmonth("ts_event") % 5).alias("split"), F.col("symbol").alias("model")).agg(F.avg(F.when(F.col("seq") % 2 == 0, F.col("price"))).alias("ins"), F.avg(F.when(F.col("seq") % 2 == 1, F.col("price"))).alias("outs")))))
 query("m2_ic_audit")(lambda s, d: rounded(X.ic_audit(pairs(s, d))))
-query("m4_walk_forward_ic", sql(*FA, pairs_sql(), "bl AS (SELECT *, ts_event >= TIMESTAMP '2024-01-18' AS late FROM pairs)", ranks_sql("feature, horizon, late", "bl"), select="SELECT feature, horizon, late, n, round(spearman, 6) AS spearman FROM ic"))(lambda s, d: rounded(X.M.rank_correlation(pairs(s, d).withColumn("late", F.col("ts_event") >= F.lit("2024-01-18").cast("timestamp_ntz")), "feature", "horizon", "late").drop("pearson")))
+M4 = """bl AS (
+  SELECT *, CAST(floor((row_number() OVER (PARTITION BY feature, horizon ORDER BY ts_event, symbol) - 1) / greatest(floor(count(*) OVER (PARTITION BY feature, horizon) / 8), 1)) AS INT) AS block FROM pairs),
+bt AS (SELECT * FROM bl WHERE block > 0 AND block < 8)"""
+M4_SELECT = """SELECT feature, horizon, round(avg(spearman), 6) AS mean_ic, round(stddev_samp(spearman), 6) AS std_ic,
+       round(avg(CASE WHEN abs(m) <= 1e-9 THEN 0.5 WHEN sign(spearman) = sign(m) THEN 1.0 ELSE 0.0 END), 6) AS same_sign, count(*) AS windows
+FROM (SELECT *, avg(spearman) OVER (PARTITION BY feature, horizon) AS m FROM ic) GROUP BY feature, horizon HAVING count(*) >= 3"""
+query("m4_walk_forward_ic", sql(*FA, pairs_sql(), M4, ranks_sql("feature, horizon, block", "bt"), select=M4_SELECT))(lambda s, d: rounded(X.M.walk_forward(pairs(s, d))))
 query("m12_label_diagnostics", sql(*FA, ATR, LABELS, "pairs AS (SELECT symbol, ts_event, round(ofi, 9) AS x, CAST(label AS DOUBLE) AS y, 'ofi' AS feature FROM flow_bars JOIN labelled USING (symbol, ts_event) WHERE label IS NOT NULL)", ranks_sql("feature"), select="SELECT feature, n, round(spearman, 6) AS spearman, round(pearson, 6) AS pearson FROM ic"))(lambda s, d: rounded(X.M.rank_correlation(rounded(flow_bars(s, d), 9).join(labelled(s, d).select(*ID, "label"), ID).where("label is not null").select(*ID, F.col("ofi").alias("x"), F.col("label").cast("double").alias("y"), F.lit("ofi").alias("feature")), "feature")))
 SWEEP = "g AS (SELECT a.*, round(p.prev_day_low, 9) AS lv FROM atr a JOIN prev p USING (symbol, ts_event)), sw AS (SELECT symbol, ts_event, d AS depth, r AS reclaim FROM g, (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) x(d), (VALUES (true), (false)) y(r) WHERE low < lv - d * atr AND (NOT r OR close > lv))"
 query("m19_event_study", sql(*A, PREV, SWEEP, f"f AS (SELECT symbol, ts_event, lead(close, 8) OVER w / close - 1 AS r, (max(high) OVER {nxt(8)} - close) / greatest(atr, 1e-9) AS up, (close - min(low) OVER {nxt(8)}) / greatest(atr, 1e-9) AS dn FROM atr {WINDOW})", select="SELECT depth, reclaim, count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS bounce_rate, round(avg(r), 6) AS mean_ret, round(avg(up), 6) AS mean_up, round(avg(dn), 6) AS mean_down FROM sw JOIN f USING (symbol, ts_event) WHERE r IS NOT NULL GROUP BY ALL"))(lambda s, d: rounded(X.event_study(L.sweep_events(stage(W.previous_period_levels(atr_bars(s, d))), "prev_day_low", (0.0, 0.5)), AB(s, d))))
@@ -95,8 +121,17 @@ query("m28_ic_decay_table", sql(*FA, pairs_sql(horizons=(1, 2, 4, 8)), ranks_sql
 query("m31_seasonal_accuracy", sql(*FA, ATR, LABELS, "z AS (SELECT CAST(isodow(ts_event) - 1 AS INTEGER) AS weekday, label, sign(cvd_delta) AS s FROM flow_bars JOIN labelled USING (symbol, ts_event) WHERE label <> 0)", select="SELECT weekday, count(*) AS n, round(avg(CASE WHEN label = s THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM z GROUP BY ALL"))(lambda s, d: rounded(flow_bars(s, d).join(labelled(s, d).select(*ID, "label"), ID).where("label <> 0").groupBy(F.weekday("ts_event").alias("weekday")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.signum("cvd_delta")).cast("double")).alias("accuracy"))))
 query("n2_liquidity_report", sql(BOOK_SQL, "t AS (SELECT symbol, count(*) AS n_ticks, avg(CASE WHEN action = 'T' THEN 1.0 ELSE 0.0 END) AS ts FROM ticks GROUP BY ALL)", "k AS (SELECT symbol, avg((ask_px[1] - bid_px[1]) / 0.01) AS sp, avg(len(list_filter(bid_sz, lambda x: x > 0))) AS fl FROM book GROUP BY ALL)", select="SELECT symbol, n_ticks, round(ts, 6) AS trade_share, round(sp, 6) AS spread_ticks, round(fl, 6) AS filled_levels FROM t JOIN k USING (symbol)"))(lambda s, d: rounded(X.book_shares(T(s, d), BK(s, d))))
 query("n3_health_checks", sql(TICKS_SQL, BARS, f"r AS (SELECT close, lead(close, 40) OVER w AS far FROM bars {WINDOW})", select="SELECT 'close' AS \"column\", 0.0::DOUBLE AS null_share, count(*) AS n, true AS ok FROM r UNION ALL SELECT 'far', round(avg(CASE WHEN far IS NULL THEN 1.0 ELSE 0.0 END), 6), count(*), avg(CASE WHEN far IS NULL THEN 1.0 ELSE 0.0 END) <= 0.01 FROM r"))(lambda s, d: rounded(X.health(bars(s, d).withColumn("far", F.lead("close", 40).over(L.by_time())), ["close", "far"], 0.01)))
-DUAL = f"h AS (SELECT *, list({{'h': high, 'l': low}}) OVER {nxt(24)} AS x, greatest(atr, 1e-9) AS u FROM atr), e AS (SELECT *, list_filter(x, lambda b: b.h >= close + 1.5 * u OR b.l <= close - u)[1] AS lo, list_filter(x, lambda b: b.l <= close - 1.5 * u OR b.h >= close + u)[1] AS sh FROM h)"
-query("o5_zone_strategy_backtest", sql(*A, DUAL, f"z AS (SELECT {SESSION} AS session, atr, lo IS NOT NULL AND NOT coalesce(lo.l <= close - u, false) AS lw, sh IS NOT NULL AND NOT coalesce(sh.h >= close + u, false) AS sw FROM e)", select="SELECT session, count(*) AS n, round(avg(CASE WHEN lw THEN 1.5 ELSE -1.0 END - 0.01 / greatest(atr, 1e-9)), 5) AS long_r, round(avg(CASE WHEN sw THEN 1.5 ELSE -1.0 END - 0.01 / greatest(atr, 1e-9)), 5) AS short_r FROM z WHERE atr > 0.001 GROUP BY ALL"))(lambda s, d: rounded(X.zone_strategy(L.dual_side_scan(W.session_flags(AB(s, d))).where("atr > 0.001")), 5))
+DUAL = (
+    f"h AS (SELECT *, list(close) OVER {nxt(24)} AS x, greatest(atr, 1e-9) AS u FROM atr)",
+    """e AS (
+  SELECT *, list_filter(x, lambda v: v - close >= 1.5 * u OR v - close <= -u)[1] AS lo, list_filter(x, lambda v: -(v - close) >= 1.5 * u OR -(v - close) <= -u)[1] AS sh
+  FROM h)""",
+    f"z AS (SELECT {SESSION} AS session, atr, coalesce(lo - close >= 1.5 * u, false) AS lw, coalesce(-(sh - close) >= 1.5 * u, false) AS sw FROM e)",
+)
+O5_SELECT = """SELECT session, count(*) AS n, round(avg(CASE WHEN lw THEN 1.5 ELSE -1.0 END - 0.01 / greatest(atr, 1e-9)), 5) AS long_r,
+       round(avg(CASE WHEN sw THEN 1.5 ELSE -1.0 END - 0.01 / greatest(atr, 1e-9)), 5) AS short_r
+FROM z WHERE atr > 0.001 GROUP BY ALL"""
+query("o5_zone_strategy_backtest", sql(*A, *DUAL, select=O5_SELECT))(lambda s, d: rounded(X.zone_strategy(L.dual_side_scan(W.session_flags(AB(s, d))).where("atr > 0.001")), 5))
 query("o12_side_policy_stats", sql(*FA, ATR, LABELS, PREV, PLACE, f"z AS (SELECT {BUCKET} AS structure_bucket, round(ofi, 9) >= 0 AS long_side, greatest(abs(round(ofi, 9)), 0.01) AS w, label FROM pl JOIN labelled USING (symbol, ts_event) JOIN flow_bars USING (symbol, ts_event) WHERE label IS NOT NULL)", "q AS (SELECT structure_bucket, long_side, count(*) AS n, sum(CASE WHEN label * CASE WHEN long_side THEN 1 ELSE -1 END > 0 THEN w ELSE 0 END) / sum(w) AS win FROM z GROUP BY ALL)", select="SELECT structure_bucket, long_side, n, round(win, 6) AS win, round(2 * win - 1 - 0.05, 6) AS expectation FROM q"))(lambda s, d: rounded(X.side_policy(X.structure_bucket(rounded(W.previous_period_levels(flow_bars(s, d)), 9)).join(labelled(s, d).select(*ID, "label"), ID), 0.05)))
 RULES = [("asia", 3, 0.2), ("london", 1, 0.6), ("london", 2, 0.3), ("ny", 4, 0.5), ("overlap", 5, 0.1)]
 query("o14_rule_match_batch", sql(*FA, "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in RULES) + ") v(session, rule, threshold))", f"z AS (SELECT symbol, ts_event, abs(round(ofi, 9)) AS v, {SESSION} AS session FROM flow_bars)", select="SELECT symbol, ts_event, min(rule) AS rule FROM z JOIN rules USING (session) WHERE v >= threshold GROUP BY ALL"))(lambda s, d: X.match_rules(W.session_flags(rounded(flow_bars(s, d), 9)), s.createDataFrame(RULES, "session string, rule int, threshold double")))

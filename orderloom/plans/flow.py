@@ -237,9 +237,14 @@ def d8(spark, d):
     return rounded(B.cancel_volume_ratio(T(spark, d)))
 
 
-@query("d9_liquidity_bridge", sql(TICKS_SQL, FLOW, select="SELECT symbol, ts_event, trades, round(mean_size, 6) AS mean_size, round(buy_share, 6) AS buy_share, round(ofi, 6) AS ofi FROM cvd"))
+D9 = "sp AS (SELECT symbol, date_trunc('hour', k.ts_event) AS ts_event, avg(ask_px[1] - bid_px[1]) AS mean_spread FROM book k WHERE ask_px[1] >= bid_px[1] GROUP BY ALL)"
+D9_SELECT = """SELECT symbol, ts_event, trades, round(mean_size, 6) AS mean_size, round(buy_share, 6) AS buy_share, round(ofi, 6) AS ofi, round(mean_spread, 6) AS mean_spread
+FROM cvd LEFT JOIN sp USING (symbol, ts_event)"""
+
+
+@query("d9_liquidity_bridge", sql(BOOK_SQL, FLOW, D9, select=D9_SELECT))
 def d9(spark, d):
-    return rounded(B.liquidity_bridge(T(spark, d)))
+    return rounded(B.liquidity_bridge(T(spark, d), book=BK(spark, d)))
 
 
 @query("d10_flow_proxy", sql(TICKS_SQL, FLOW, select=f"SELECT symbol, ts_event, round(greatest(least(cvd_delta / greatest(3 * quantile_cont(abs(cvd_delta), 0.5) OVER {frame(24)}, 1e-9), 1.0), -1.0), 6) AS flow_proxy FROM cvd"))

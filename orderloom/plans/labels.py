@@ -27,18 +27,36 @@ regime = lambda s, d: L.regime_rule(AB(s, d))
 
 feature("h8_regime_rule", regime, ["regime"], (*A, REGIME), "regime FROM rg")
 query("h9_regime_group_rare", sql(*A, REGIME, select="SELECT CASE WHEN regime IN ('volatile', 'trending') THEN 'other' ELSE regime END AS regime, count(*) AS n FROM rg GROUP BY ALL"))(lambda s, d: L.regime_group_rare(regime(s, d), ("volatile", "trending")).groupBy("regime").agg(F.count(F.lit(1)).alias("n")))
+H12 = (
+    f"x AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM bars {WINDOW})",
+    f"""y AS (
+  SELECT *, round(CASE WHEN count(ret) OVER {frame(50)} >= 20 THEN stddev_samp(ret) OVER {frame(50)} END, 12) AS sd, round(avg(abs(ret)) OVER {frame(50)}, 12) AS l1,
+         round(CASE WHEN count(ret) OVER {frame(50)} >= 20 THEN skewness(ret) OVER {frame(50)} END, 12) AS sk,
+         round(volume / greatest(avg(volume) OVER {frame(50)}, 1e-9), 12) AS lq
+  FROM x)""",
+    "k AS (SELECT quantile_cont(sd, 0.8) AS v, quantile_cont(l1, 0.6) AS t FROM y WHERE ts_event < TIMESTAMP '2024-01-20')",
+)
+H12_SELECT = """round(sd, 6) AS ret_std, round(l1, 6) AS ret_l1, round(sk, 6) AS ret_skew, round(lq, 6) AS liquidity_ratio,
+       CASE WHEN lq < 0.3 THEN 'low_liquidity' WHEN sd > v THEN 'volatile' WHEN l1 > t THEN 'trending' ELSE 'ranging' END AS regime FROM y, k"""
 feature(
-    "h12_distribution_regime", lambda s, d: L.distribution_regime(bars(s, d)), ["ret_std", "ret_l1", "liquidity_ratio"], (TICKS_SQL, BARS, f"x AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM bars {WINDOW})"),
-    f"round(CASE WHEN count(ret) OVER {frame(50)} >= 20 THEN stddev_samp(ret) OVER {frame(50)} END, 6) AS ret_std, round(avg(abs(ret)) OVER {frame(50)}, 6) AS ret_l1, round(volume / greatest(avg(volume) OVER {frame(50)}, 1e-9), 6) AS liquidity_ratio FROM x",
+    "h12_distribution_regime", lambda s, d: L.distribution_regime(bars(s, d), train_until="2024-01-20"), ["ret_std", "ret_l1", "ret_skew", "liquidity_ratio", "regime"],
+    (TICKS_SQL, BARS, *H12), H12_SELECT,
 )
 query(
     "h14_regime_session_label",
     sql(*A, REGIME, f"z AS (SELECT regime || '|' || {SESSION} AS l FROM rg)", "c AS (SELECT l, count(*) AS n FROM z GROUP BY l)", "k AS (SELECT CASE WHEN n >= greatest(100.0, 0.005 * (SELECT count(*) FROM z)) THEN l ELSE 'other' END AS regime_session, n FROM c)", select="SELECT regime_session, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL"),
 )(lambda s, d: L.regime_session_label(regime(s, d).withColumn("session", W.session_name()), 100).groupBy("regime_session").agg(F.count(F.lit(1)).alias("n")))
+H17 = (
+    f"x AS (SELECT *, abs(ofi) < 0.3 AND sign(round(close - open, 9)) <= 0 AND sign(round(close - open, 9)) >= 0 AS q, lead(buy_share, 4) OVER w - buy_share AS ahead FROM flow_bars {WINDOW})",
+    f"""g AS (
+  SELECT *, coalesce(lag(q) OVER w, false) AS p, row_number() OVER w - row_number() OVER (PARTITION BY symbol, q ORDER BY ts_event) AS k FROM x {WINDOW})""",
+)
+H17_SELECT = """q AS range_like, row_number() OVER (PARTITION BY symbol, q, k ORDER BY ts_event) AS range_run, CAST(q AND NOT p AS INT) AS range_start,
+       CAST(NOT q AND p AS INT) AS range_end, round(ahead, 6) AS buy_share_ahead FROM g"""
 feature(
-    "h17_range_context_runs", lambda s, d: L.range_context_runs(flow_bars(s, d), "ofi").withColumn("range_run", F.col("range_run").cast("bigint")), ["range_like", "range_run"],
-    (TICKS_SQL, BARS, FLOW, FLOW_BARS, "x AS (SELECT *, abs(ofi) < 0.3 AS q FROM flow_bars)", "g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) - row_number() OVER (PARTITION BY symbol, q ORDER BY ts_event) AS k FROM x)"),
-    "q AS range_like, row_number() OVER (PARTITION BY symbol, q, k ORDER BY ts_event) AS range_run FROM g",
+    "h17_range_context_runs",
+    lambda s, d: L.range_context_runs(flow_bars(s, d).withColumn("trend", F.signum(F.round(F.col("close") - F.col("open"), 9))), "ofi", trend="trend", walls=("buy_share",)).withColumn("range_run", F.col("range_run").cast("bigint")),
+    ["range_like", "range_run", "range_start", "range_end", "buy_share_ahead"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, *H17), H17_SELECT,
 )
 query("h1_zigzag_swings")(lambda s, d: H.zigzag_swings(AB(s, d)))
 query("h2_swing_class_score")(lambda s, d: rounded(H.swing_class_score(H.zigzag_swings(AB(s, d)))))
@@ -58,36 +76,129 @@ feature(
     "i2_structure_event_gate", lambda s, d: L.structure_event_gate(stage(W.previous_period_levels(W.true_range_atr(flow_bars(s, d)))), "prev_day_high"), ["structure_event"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, ATR, PREV),
     "CAST(hour(ts_event) BETWEEN 7 AND 21 AND abs(a.close - round(p.prev_day_high, 9)) / greatest(a.atr, 1e-9) <= 0.5 AND abs(round(f.ofi, 9)) >= 0.2 AS INTEGER) AS structure_event FROM atr a JOIN prev p USING (symbol, ts_event) JOIN flow_bars f USING (symbol, ts_event)",
 )
+I3 = (
+    """v AS (
+  SELECT *, round(close - open, 9) AS mv, abs(cvd_delta) AS ca, abs(round(close - open, 9)) AS ma,
+         sign(ofi) + sign(cvd_delta) + sign(round(close - open, 9)) + sign(round(buy_share - 0.5, 9)) AS q
+  FROM flow_bars)""",
+    f"""u AS (
+  SELECT *, CASE WHEN count(ca) OVER {frame(50)} >= 5 THEN nullif(quantile_cont(ca, 0.5) OVER {frame(50)}, 0) END AS cm,
+         CASE WHEN count(ma) OVER {frame(50)} >= 5 THEN nullif(quantile_cont(ma, 0.5) OVER {frame(50)}, 0) END AS mm FROM v)""",
+    """t AS (
+  SELECT *, round(0.38 * coalesce(CASE WHEN cm IS NOT NULL THEN least(greatest(cvd_delta / cm, -1.0), 1.0) END, 0)
+              + 0.30 * least(greatest(ofi, -1.0), 1.0) + 0.17 * least(greatest(round(buy_share - 0.5, 9), -1.0), 1.0)
+              + 0.15 * coalesce(CASE WHEN mm IS NOT NULL THEN least(greatest(mv / mm, -1.0), 1.0) END, 0), 9) AS sc
+  FROM u)""",
+)
+I3_SELECT = """CAST(CASE WHEN abs(q) >= 3 THEN sign(q) WHEN abs(sc) > 0.1 THEN sign(sc) ELSE sign(q) END AS INTEGER) AS direction, round(sc, 6) AS vote_score,
+       CASE WHEN abs(q) >= 3 THEN 'strict' WHEN abs(sc) > 0.1 THEN 'score' WHEN q <> 0 THEN 'weak' ELSE 'none' END AS vote_kind FROM t"""
+VOTES = lambda s, d: flow_bars(s, d).withColumns({"move": F.round(F.col("close") - F.col("open"), 9), "lean": F.round(F.col("buy_share") - 0.5, 9)})
 feature(
-    "i3_event_direction_vote", lambda s, d: L.event_direction_vote(flow_bars(s, d).withColumn("move", F.round(F.col("close") - F.col("open"), 9)), ["ofi", "cvd_delta", "move"]), ["direction", "vote_kind"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, "v AS (SELECT *, sign(ofi) + sign(cvd_delta) + sign(round(close - open, 9)) AS q FROM flow_bars)"),
-    "CAST(sign(q) AS INTEGER) AS direction, CASE WHEN abs(q) >= 2 THEN 'strict' WHEN q <> 0 THEN 'weak' ELSE 'none' END AS vote_kind FROM v",
+    "i3_event_direction_vote",
+    lambda s, d: L.event_direction_vote(VOTES(s, d), ["ofi", "cvd_delta", "move", "lean"], weights={"cvd_delta": 0.38, "ofi": 0.30, "lean": 0.17, "move": 0.15}, scaled=("cvd_delta", "move")),
+    ["direction", "vote_score", "vote_kind"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, *I3), I3_SELECT,
 )
+I4 = f"""z AS (
+  SELECT *, avg(cvd_delta) OVER {frame(20)} AS cm, stddev_samp(cvd_delta) OVER {frame(20)} AS cs, avg(volume) OVER {frame(20)} AS vm FROM flow_bars)"""
 feature(
-    "i4_activity_event_filter", lambda s, d: L.activity_event_filter(flow_bars(s, d)).withColumn("activity_event", F.coalesce("activity_event", F.lit(0))), ["activity_event"], (TICKS_SQL, BARS, FLOW, FLOW_BARS),
-    f"coalesce(CAST(volume > 2.0 * avg(volume) OVER {frame(20, 1)} OR abs(ofi) > 0.5 AS INTEGER), 0) AS activity_event FROM flow_bars",
+    "i4_activity_event_filter", lambda s, d: L.activity_event_filter(flow_bars(s, d), obi=0.9, walls=("n_trades",), wall=5, shifts=("cvd_delta",)), ["activity_event"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, I4),
+    """CAST(volume > 2.0 * vm OR abs(ofi) > 0.9 OR n_trades > 5 OR coalesce(abs(cvd_delta - cm) / CASE WHEN cs = 0 THEN 1e-9 ELSE cs END > 2, false) AS INTEGER) AS activity_event FROM z""",
 )
 query(
     "i6_sweep_events",
     sql(*A, PREV, "g AS (SELECT a.*, round(p.prev_day_low, 9) AS lv FROM atr a JOIN prev p USING (symbol, ts_event))", select="SELECT symbol, ts_event, d AS depth, r AS reclaim FROM g, (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) x(d), (VALUES (true), (false)) y(r) WHERE low < lv - d * atr AND (NOT r OR close > lv)"),
 )(lambda s, d: L.sweep_events(stage(W.previous_period_levels(atr_bars(s, d))), "prev_day_low", (0.0, 0.5)))
 feature("i8_setup_class", lambda s, d: L.setup_class(W.candle_shape(stage(W.true_range_atr(flow_bars(s, d)))).withColumn("cancel_ratio", F.col("buy_share") / 3)), ["setup"], (*A, FLOW), "CASE WHEN round(buy_share, 9) / 3 > 0.25 THEN 'withdrawal' WHEN abs(round(ofi, 9)) > 0.5 THEN 'imbalance' WHEN (high - low) / greatest(atr, 1e-9) < 0.5 THEN 'absorption' ELSE 'mixed' END AS setup FROM atr JOIN cvd USING (symbol, ts_event)")
-feature("i9_liquidity_score", lambda s, d: L.liquidity_score(bars(s, d)), ["liquidity_score"], (TICKS_SQL, BARS), "round(least(greatest(20 * log10(1 + volume), 0), 100), 6) AS liquidity_score FROM bars")
+I9 = "round(least(greatest(ln(1 + volume) * (1 + abs(ofi)) * (1 + buy_share) + 0.25 * n_trades + 0.1 * (high - low), 0), 100), 6) AS liquidity_score FROM flow_bars"
+feature(
+    "i9_liquidity_score", lambda s, d: L.liquidity_score(flow_bars(s, d).withColumn("gap", F.col("high") - F.col("low")), depth="n_trades", gap="gap", walls=("buy_share",), imbalance="ofi"),
+    ["liquidity_score"], (TICKS_SQL, BARS, FLOW, FLOW_BARS), I9,
+)
+
 
 # Labels
-feature("j1_triple_barrier", labelled, ["label", "label_end"], AL, "label, label_end FROM labelled")
+BARRIERS_SQL = (
+    REGIME,
+    f"""b0 AS (
+  SELECT *, {SESSION} AS session, CASE regime WHEN 'volatile' THEN 2.0 WHEN 'trending' THEN 1.5 WHEN 'ranging' THEN 1.0 ELSE 1.25 END * greatest(atr, 1e-6) AS wide,
+         CASE regime WHEN 'volatile' THEN 12 WHEN 'trending' THEN 24 WHEN 'ranging' THEN 8 ELSE 10 END AS cap,
+         list({{'t': ts_event, 'o': open, 'h': high, 'l': low, 'c': close}}) OVER {nxt(24)} AS w0
+  FROM rg)""",
+    """b1 AS (
+  SELECT *, w0[1:cap] AS w1, CASE session WHEN 'asia' THEN 8 WHEN 'london' THEN 16 WHEN 'overlap' THEN 16 WHEN 'ny' THEN 22 ELSE 21 END AS eh FROM b0)""",
+    """b2 AS (
+  SELECT *, CASE WHEN coalesce(list_position(list_transform(w1, lambda b: hour(b.t) >= eh), true), 0) > 0
+                 THEN w1[1:list_position(list_transform(w1, lambda b: hour(b.t) >= eh), true) - 1] ELSE w1 END AS w FROM b1)""",
+    "b3 AS (SELECT *, coalesce(list_position(list_transform(w, lambda b: b.h >= close + wide OR b.l <= close - wide), true), 0) AS k FROM b2)",
+    """b4 AS (
+  SELECT *, CASE WHEN k > 0 THEN w[k] END AS hit, coalesce(list_max(list_transform(w, lambda b: b.c - close)), 0) AS mx,
+         coalesce(list_min(list_transform(w, lambda b: b.c - close)), 0) AS mn FROM b3)""",
+    """barrier_labels AS (
+  SELECT symbol, ts_event, open, close, atr, regime,
+         CASE WHEN coalesce(len(w0), 0) = 0 THEN NULL
+              WHEN k = 0 THEN CASE WHEN greatest(mx, 0) > 2 * greatest(-mn, 0) AND greatest(mx, 0) >= greatest(atr, 1e-6) THEN 1
+                                   WHEN greatest(-mn, 0) > 2 * greatest(mx, 0) AND greatest(-mn, 0) >= greatest(atr, 1e-6) THEN -1 ELSE 0 END
+              WHEN hit.h >= close + wide AND hit.l <= close - wide THEN CASE WHEN abs(close + wide - hit.o) <= abs(hit.o - (close - wide)) THEN 1 ELSE -1 END
+              WHEN hit.h >= close + wide THEN 1 ELSE -1 END AS label,
+         coalesce(hit.t, w[len(w)].t) AS label_end, CASE WHEN coalesce(len(w0), 0) > 0 THEN CAST(CASE WHEN k > 0 THEN k ELSE len(w) END AS INT) END AS bars_held,
+         CASE WHEN coalesce(len(w0), 0) = 0 THEN NULL WHEN k = 0 THEN 'timeout' WHEN hit.h >= close + wide AND hit.l <= close - wide
+              THEN CASE WHEN abs(close + wide - hit.o) <= abs(hit.o - (close - wide)) THEN 'up' ELSE 'down' END
+              WHEN hit.h >= close + wide THEN 'up' ELSE 'down' END AS outcome
+  FROM b4)""",
+)
+CAPS = {"volatile": (2.0, 12), "trending": (1.5, 24), "ranging": (1.0, 8), "low_liquidity": (1.25, 10)}
+ENDS = {"asia": 8, "london": 16, "overlap": 16, "ny": 22}
+
+
+def barrier_labels(s, d):
+    """Barriers and horizons by regime, ends of sessions, timeouts decided by their excursions."""
+    return L.triple_barrier(regime(s, d).withColumn("session", W.session_name()), regimes=CAPS, session_ends=ENDS, rescue_ratio=2.0)
+
+
+feature("j1_triple_barrier", barrier_labels, ["label", "label_end", "outcome", "bars_held"], (*A, *BARRIERS_SQL), "label, label_end, outcome, bars_held FROM barrier_labels")
 CLOSES = f"c24 AS (SELECT *, list(close) OVER {nxt(24)} AS x FROM atr), f24 AS (SELECT *, list_filter(x, lambda v: v >= close + atr OR v <= close - atr)[1] AS f FROM c24)"
 feature("j2_close_barrier_labels", lambda s, d: L.close_barrier_labels(AB(s, d)), ["close_label", "close_valid"], (*A, CLOSES), "CASE WHEN f >= close + atr THEN 1 WHEN f <= close - atr THEN -1 ELSE 0 END AS close_label, f IS NOT NULL OR coalesce(len(x), 0) = 24 AS close_valid FROM f24")
+J4 = (
+    f"""h AS (
+  SELECT *, list(close) OVER {nxt(24)} AS x0, greatest(atr, 1e-9) AS u, CAST(4 + (hour(ts_event) % 3) * 8 AS INT) AS hz,
+         floor(close * 20 + 1) / 20 AS ask_wall, ceil(close * 20 - 1) / 20 AS bid_wall FROM atr)""",
+    """e AS (
+  SELECT *, x0[1:hz] AS x, CASE WHEN ask_wall - close >= 0.02 THEN least(1.5 * u, ask_wall - close) ELSE 1.5 * u END AS tl,
+         CASE WHEN -(bid_wall - close) >= 0.02 THEN least(1.5 * u, -(bid_wall - close)) ELSE 1.5 * u END AS ts FROM h)""",
+    """f AS (
+  SELECT *, list_position(list_transform(x, lambda v: v - close >= tl OR v - close <= -u), true) AS kl,
+         list_position(list_transform(x, lambda v: -(v - close) >= ts OR -(v - close) <= -u), true) AS ks FROM e)""",
+    """g AS (
+  SELECT *, CAST(coalesce(x[nullif(kl, 0)] - close >= tl, false) AS INT) AS long_win, CAST(coalesce(-(x[nullif(ks, 0)] - close) >= ts, false) AS INT) AS short_win FROM f)""",
+)
+J4_SELECT = """long_win, short_win, CAST(nullif(kl, 0) AS INT) AS long_bar, CAST(nullif(ks, 0) AS INT) AS short_bar,
+       CASE WHEN long_win = 1 AND (short_win = 0 OR kl <= ks) THEN 1 WHEN short_win = 1 THEN -1 ELSE 0 END AS first_side FROM g"""
+WALLS = lambda s, d: AB(s, d).withColumns({"hz": 4 + (F.hour("ts_event") % 3) * 8, "ask_wall": F.floor(F.col("close") * 20 + 1) / 20, "bid_wall": F.ceil(F.col("close") * 20 - 1) / 20})
 feature(
-    "j4_dual_side_scan", lambda s, d: L.dual_side_scan(AB(s, d)), ["long_win", "short_win"],
-    (*A, f"h AS (SELECT *, list({{'h': high, 'l': low}}) OVER {nxt(24)} AS x, greatest(atr, 1e-9) AS u FROM atr), e AS (SELECT *, list_filter(x, lambda b: b.h >= close + 1.5 * u OR b.l <= close - u)[1] AS lo, list_filter(x, lambda b: b.l <= close - 1.5 * u OR b.h >= close + u)[1] AS sh FROM h)"),
-    "CAST(lo IS NOT NULL AND NOT coalesce(lo.l <= close - u, false) AS INTEGER) AS long_win, CAST(sh IS NOT NULL AND NOT coalesce(sh.h >= close + u, false) AS INTEGER) AS short_win FROM e",
+    "j4_dual_side_scan", lambda s, d: L.dual_side_scan(WALLS(s, d), horizon_column="hz", walls=("bid_wall", "ask_wall")),
+    ["long_win", "short_win", "long_bar", "short_bar", "first_side"], (*A, *J4), J4_SELECT,
 )
-EXC = f"ex AS (SELECT *, (max(high) OVER {nxt(12)} - close) / greatest(atr, 1e-9) AS mfe, (close - min(low) OVER {nxt(12)}) / greatest(atr, 1e-9) AS mae FROM labelled)"
-feature("j5_excursion_labels", lambda s, d: L.excursion_labels(AB(s, d)), ["mfe", "mae", "excursion_dir"], (*AL, EXC), "round(mfe, 6) AS mfe, round(mae, 6) AS mae, CASE WHEN mfe > mae THEN 1 WHEN mfe < mae THEN -1 ELSE 0 END AS excursion_dir FROM ex")
+EXC = f"""ex0 AS (
+  SELECT *, round(greatest((max(high) OVER {nxt(12)} - close) / greatest(atr, 1e-9), 0 * max(high) OVER {nxt(12)}), 9) AS mfe0,
+         round(greatest((close - min(low) OVER {nxt(12)}) / greatest(atr, 1e-9), 0 * min(low) OVER {nxt(12)}), 9) AS mae0 FROM labelled),
+ex AS (
+  SELECT *, mfe0 AS mfe, mae0 AS mae, CASE WHEN mfe0 > 2 * mae0 AND mfe0 >= 0.25 THEN 1 WHEN mae0 > 2 * mfe0 AND mae0 >= 0.25 THEN -1 ELSE 0 END AS dir FROM ex0)"""
+J5 = (
+    "st AS (SELECT *, CASE WHEN dir <> 0 THEN greatest(mfe, mae) END AS s FROM ex)",
+    f"bq AS (SELECT *, greatest(coalesce(CASE WHEN count(s) OVER {frame(96, 1)} >= 24 THEN quantile_cont(s, 0.7) OVER {frame(96, 1)} END, 0.5), 0.4) AS b FROM st)",
+)
+J5_SELECT = "round(mfe, 6) AS mfe, round(mae, 6) AS mae, dir AS excursion_dir, CASE WHEN s IS NULL THEN 0 WHEN s >= b THEN 2 ELSE 1 END AS excursion_quality FROM bq"
+feature("j5_excursion_labels", lambda s, d: L.excursion_labels(AB(s, d)), ["mfe", "mae", "excursion_dir", "excursion_quality"], (*AL, EXC, *J5), J5_SELECT)
 feature("j7_trend_veto", lambda s, d: L.trend_veto(labelled(s, d).withColumn("trend", F.coalesce(F.round(F.col("close") - F.lag("close", 4).over(L.by_time()), 9), F.lit(0.0)))), ["vetoed_label"], AL, f"CASE WHEN sign(t) * label < 0 AND abs(t) >= 0.5 THEN 0 ELSE label END AS vetoed_label FROM (SELECT *, coalesce(round(close - lag(close, 4) OVER w, 9), 0) AS t FROM labelled {WINDOW})")
 feature("j8_forward_return", lambda s, d: W.forward_return(bars(s, d), 5), ["fwd_ret_5"], (TICKS_SQL, BARS), f"round(lead(close, 5) OVER w / close - 1, 6) AS fwd_ret_5 FROM bars {WINDOW}")
 feature("j9_log_target", lambda s, d: L.log_target(bars(s, d), 4, 0.003), ["target_valid", "log_target"], (TICKS_SQL, BARS), f"lead(close, 4) OVER w IS NOT NULL AS target_valid, round(least(greatest(ln(lead(close, 4) OVER w / close), CASE WHEN lead(close, 4) OVER w IS NULL THEN NULL ELSE -0.003 END), 0.003 + 0 * lead(close, 4) OVER w), 6) AS log_target FROM bars {WINDOW}")
-feature("j11_soft_labels_rule", lambda s, d: L.soft_labels_rule(L.excursion_labels(labelled(s, d))), ["p_up", "confidence"], (*AL, EXC), "round(0.5 + 0.5 * label * least(CASE WHEN mfe IS NULL THEN NULL ELSE abs(mfe - mae) / 4 END, CASE WHEN mfe IS NULL THEN 1 ELSE 1 END), 6) AS p_up, round(abs(0.5 * label * least(abs(mfe - mae) / 4, 1)) * 2, 6) AS confidence FROM ex")
+J11 = "sr AS (SELECT *, least(greatest(0.6 * least(abs(close - open) / greatest(atr, 1e-9), 1) + 0.4 * least(greatest(1 - coalesce(bars_held, 0) / 24, 0), 1), 0), 1) AS g FROM barrier_labels)"
+J11_P = "CASE label WHEN 1 THEN 0.55 + 0.45 * g WHEN -1 THEN 0.45 - 0.45 * g ELSE 0.5 END"
+J11_SELECT = f"round({J11_P}, 6) AS p_up, round(least(abs({J11_P} - 0.5) * 2, 1), 6) AS confidence, round(1 + least(abs({J11_P} - 0.5) * 2, 1), 6) AS soft_weight FROM sr"
+feature(
+    "j11_soft_labels_rule", lambda s, d: L.soft_labels_rule(barrier_labels(s, d).withColumn("event_score", F.least(F.abs(F.col("close") - F.col("open")) / F.greatest("atr", F.lit(1e-9)), F.lit(1.0)))),
+    ["p_up", "confidence", "soft_weight"], (*A, *BARRIERS_SQL, J11), J11_SELECT,
+)
 NEAR = [f"{f}(label, {k}) OVER w" for k in (1, 3, 5) for f in ("lag", "lead")]
 feature("j15_label_stability", lambda s, d: L.label_stability(labelled(s, d)), ["label_stability"], AL, "round((" + " + ".join(f"coalesce(CAST({x} = label AS INT), 0)" for x in NEAR) + ") / greatest(" + " + ".join(f"CAST({x} IS NOT NULL AS INT)" for x in NEAR) + f", 1), 6) AS label_stability FROM labelled {WINDOW}")
 feature(
