@@ -233,16 +233,42 @@ def range_context_runs(df: DataFrame, column: str, strength: float = 0.3, trend:
     return df.withColumns({f"{c}_ahead": F.lead(c, steps).over(by_time()) - F.col(c) for c in walls})
 
 
-def micro_event_gate(df: DataFrame, weights: dict[str, float], threshold: float, scale: float = 1.0, shift: float = 0.0) -> DataFrame:
-    """Weighted score of signals between 0 and 1, and the flag of scores over threshold * scale + shift."""
-    score = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
-    return df.withColumn("event_score", score).withColumn("event_flag", (F.col("event_score") >= threshold * scale + shift).cast("int"))
+def micro_event_gate(df: DataFrame, weights: dict[str, float], threshold: float, scale: float = 1.0, shift: float = 0.0, least_rate: float = 0.0) -> DataFrame:
+    """Weighted score of signals between 0 and 1, and the flag of scores over threshold * scale + shift.
 
+    With a least rate, the bars with the highest positive scores are promoted until the rate over the whole table is reached
+    (ties to the earlier time, then symbol). That looks at all rows, later ones too: not for features, only for sampling.
+    """
+    score = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
+    df = df.withColumn("event_score", F.round(score, 9)).withColumn("event_flag", (F.col("event_score") >= threshold * scale + shift).cast("int"))
+    if not least_rate:
+        return df
+    # the candidates that may be promoted are as many as are needed: found by a top-n, not by a sort of the table
+    need = df.agg((F.ceil(F.count(F.lit(1)) * least_rate) - F.sum("event_flag")).alias("n")).first().n or 0
+    top = df.where((F.col("event_flag") == 0) & (F.col("event_score") > 0)).orderBy(F.col("event_score").desc(), TS, KEY).limit(max(0, int(need)))
+    chosen = top.select(KEY, TS, F.lit(1).alias("promoted"))
+    return df.join(chosen, [KEY, TS], "left").withColumn("promoted", F.coalesce("promoted", F.lit(0))).withColumn("event_flag", F.greatest("event_flag", "promoted"))
+
+
+def structure_event_gate(
+    df: DataFrame, ceilings: tuple[str, ...], floors: tuple[str, ...], near: float = 0.5, flow: float = 0.3, stretch: float = 1.5, touch: float = 0.3, delta: str = "cvd_delta", vwap_z: str = "vwap_z",
+) -> DataFrame:
+    """1 in an active session near a level when imbalance, a divergence at a level, or the stretch from VWAP confirms it.
 
-def structure_event_gate(df: DataFrame, level: str, near: float = 0.5, flow: float = 0.2) -> DataFrame:
-    active = in_session("london") | in_session("ny")
-    close_by = F.abs(F.col("close") - F.col(level)) / F.greatest("atr", F.lit(EPS)) <= near
-    return df.withColumn("structure_event", (active & close_by & (F.abs("ofi") >= flow)).cast("int"))
+    divergence: 1 at a ceiling with selling flow, -1 at a floor with buying flow, ceilings first. event_score: nearness times
+    the size of what confirms.
+    """
+    active, atr = in_session("london") | in_session("ny"), F.when(F.col("atr") > 1e-12, F.col("atr"))
+    away = lambda level: F.abs(F.col("close") - F.col(level)) / atr
+    df = df.withColumn("_near", F.least(F.lit(1e300), F.lit(1e300), *[away(c) for c in (*ceilings, *floors)]))
+    at = lambda levels: F.greatest(F.lit(0), F.lit(0), *[F.coalesce((away(c) < touch).cast("int"), F.lit(0)) for c in levels]) == 1
+    df = df.withColumn("divergence", F.when(at(ceilings) & (F.col(delta) < 0), 1).when(at(floors) & (F.col(delta) > 0), -1).otherwise(0))
+    lean, z = F.abs(F.coalesce("ofi", F.lit(0.0))), F.abs(F.coalesce(vwap_z, F.lit(0.0)))
+    confirmed = (lean > flow) | (F.col("divergence") != 0) | (z > stretch)
+    size = F.least(F.least(lean, F.lit(1.0)) * 0.4 + F.abs("divergence") * 0.3 + F.least(z / 3, F.lit(1.0)) * 0.3, F.lit(1.0))
+    closeness = F.least(F.greatest(1 - F.col("_near") / near, F.lit(0.0)), F.lit(1.0))
+    df = df.withColumn("event_score", F.when(active, closeness * size).otherwise(0.0))
+    return df.withColumn("structure_event", (active & (F.col("_near") < near) & confirmed).cast("int")).drop("_near")
 
 
 def event_direction_vote(df: DataFrame, columns: list[str], need: int | None = None, weights: dict[str, float] | None = None, scaled: tuple[str, ...] = (), least: float = 0.1, window: int = 50) -> DataFrame:

@@ -126,9 +126,24 @@ def per_bar_counts(bars: DataFrame, events: DataFrame, value: str, freq: str = "
 
 
 def calibration(ticks: DataFrame, n: int = 2000) -> DataFrame:
-    """Typical size, smallest move and price deviation of each symbol from its first n trades (the first ones are the feature)."""
-    t = ticks.where(is_trade()).withColumn("_n", F.row_number().over(by_time("seq"))).where(F.col("_n") <= n).withColumn("_m", F.abs(F.col("price") - F.lag("price").over(by_time("seq"))))
-    return t.groupBy(KEY).agg(median("size").alias("typical_size"), F.min(F.when(F.col("_m") > 1e-9, F.col("_m"))).alias("smallest_move"), F.stddev_samp("price").alias("price_std"))
+    """Typical size, tick size (the most frequent move, the smaller on ties), smallest move and price deviation of each symbol
+    from its first n trades (the first ones are the feature), without prices beyond 1.5 interquartile ranges.
+
+    Each day's first n trades by themselves hold the symbol's first n, so no window sorts a symbol's whole history.
+    """
+    day = Window.partitionBy(KEY, F.to_date(TS)).orderBy(TS, "seq")
+    t = ticks.where(is_trade()).withColumn("_n", F.row_number().over(day)).where(F.col("_n") <= n)
+    sizes = t.groupBy(KEY, F.to_date(TS).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(KEY).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(KEY, "_d", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    t = t.withColumn("_d", F.to_date(TS)).join(sizes, [KEY, "_d"]).where(F.col("_b") + F.col("_n") <= n).drop("_b", "_n", "_d")
+    q = t.groupBy(KEY).agg(median("price", 0.25).alias("_q1"), median("price", 0.75).alias("_q3"))
+    reach = 1.5 * (F.col("_q3") - F.col("_q1"))
+    t = t.join(q, KEY).where(F.col("price").between(F.col("_q1") - reach, F.col("_q3") + reach))
+    t = t.withColumn("_m", F.round(F.abs(F.col("price") - F.lag("price").over(by_time("seq"))), 6))
+    moves = t.where(F.col("_m") > 0).groupBy(KEY, "_m").agg(F.count(F.lit(1)).alias("_c")).groupBy(KEY).agg(F.min(F.struct(-F.col("_c"), "_m"))["_m"].alias("tick_size"))
+    out = t.groupBy(KEY).agg(median("size").alias("typical_size"), F.min(F.when(F.col("_m") > 0, F.col("_m"))).alias("smallest_move"), F.stddev_samp("price").alias("price_std"))
+    return out.join(moves, KEY, "left")
 
 
 def firing_structure(df: DataFrame, score: str, thresholds: list[float]) -> DataFrame:

@@ -56,10 +56,13 @@ def liquidity_trap(book: DataFrame, move: float = 0.1) -> DataFrame:
 
 
 def rolling_book_window(cells: DataFrame, bars: DataFrame, lookback: int = 50) -> DataFrame:
-    """(bar, lag, cell) of the last bars' cells: a join on bar number less lag; nothing is stored twice until it is exported."""
+    """(bar, lag, cell) of the last bars' cells: a join on bar number less lag; nothing is stored twice until it is exported.
+
+    filled_share: of the window's bars those that there are yet.
+    """
     n = bars.select(KEY, TS).withColumn("i", F.row_number().over(by_time()))
     c = cells.join(n, [KEY, TS]).drop(TS)
-    want = n.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lookback - 1)))).withColumn("j", F.col("i") - F.col("lag")).select(KEY, TS, "lag", "j")
+    want = n.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lookback - 1)))).withColumn("j", F.col("i") - F.col("lag")).select(KEY, TS, "lag", "j", (F.least(F.col("i"), F.lit(lookback)) / lookback).alias("filled_share"))
     return want.join(c.withColumnRenamed("i", "j"), [KEY, "j"]).drop("j")
 
 
@@ -85,18 +88,23 @@ def cycle_phase(bars: DataFrame, n: int = 20) -> DataFrame:
     return b.select("*", *[(F.exp(x) / total).alias(f"p_{k}") for k, x in s.items()]).drop("_place", "_slope")
 
 
-def rolling_hurst(bars: DataFrame, window: int = 100, lags: tuple[int, ...] = (2, 4, 8, 16)) -> DataFrame:
-    """Slope of the log deviation of k-step differences on log k over the trailing window, from one deviation for each lag."""
+def rolling_hurst(bars: DataFrame, window: int = 100, lags: tuple[int, ...] = tuple(range(2, 20)), least: int = 40, flat: float = 1e-9) -> DataFrame:
+    """Slope of the log deviation of k-step differences on log k over the trailing window, within 0 and 1, and the dimension 2 - H.
+
+    One deviation for each lag; lags without movement are left out. 0.5 before `least` bars or with fewer than three lags.
+    """
     import math
 
-    b = bars
-    for k in lags:
-        b = b.withColumn(f"_d{k}", F.col("close") - F.lag("close", k).over(by_time()))
-    y = [F.log(F.greatest(F.stddev_pop(f"_d{k}").over(trailing(window - k)), F.lit(1e-12))) for k in lags]
-    x = [math.log(k) for k in lags]
-    mx = sum(x) / len(x)
-    slope = sum(((xi - mx) * yi for xi, yi in zip(x, y, strict=True)), F.lit(0.0)) / sum((xi - mx) ** 2 for xi in x)
-    return b.withColumn("hurst", F.when(F.count("close").over(trailing(window)) == window, slope)).drop(*[f"_d{k}" for k in lags])
+    b = bars.withColumns({f"_d{k}": F.col("close") - F.lag("close", k).over(by_time()) for k in lags})
+    b = b.withColumns({f"_s{k}": F.round(F.stddev_pop(f"_d{k}").over(trailing(window - k)), 12) for k in lags})
+    x = {k: math.log(k) for k in lags}
+    total = lambda f: sum((F.when(F.col(f"_s{k}") > flat, f(k)).otherwise(0.0) for k in lags), F.lit(0.0))
+    y = lambda k: F.log(f"_s{k}")
+    b = b.withColumns({"_n": total(lambda k: F.lit(1.0)), "_x": total(lambda k: F.lit(x[k])), "_y": total(y), "_xx": total(lambda k: F.lit(x[k] ** 2)), "_xy": total(lambda k: x[k] * y(k))})
+    slope = (F.col("_n") * F.col("_xy") - F.col("_x") * F.col("_y")) / (F.col("_n") * F.col("_xx") - F.col("_x") * F.col("_x"))
+    ready = (F.count("close").over(trailing(window)) >= least) & (F.col("_n") >= 3)
+    b = b.withColumn("hurst", F.when(ready, F.least(F.greatest(slope, F.lit(0.0)), F.lit(1.0))).otherwise(0.5))
+    return b.withColumn("dimension", 2 - F.col("hurst")).drop("_n", "_x", "_y", "_xx", "_xy", *[f"_{c}{k}" for c in "ds" for k in lags])
 
 
 def regime_mixture(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
@@ -136,14 +144,15 @@ def scenario_soft_labels(bars: DataFrame, scenarios: list[tuple[float, float, in
     return g.withColumn("entropy", ent(F.col("p_up")) + ent(F.col("p_down")) + ent(p0))
 
 
-def label_grid(bars: DataFrame, multiples: list[float], horizons: list[int]) -> DataFrame:
-    """Counts of labels under each barrier and horizon."""
-    out = None
+def label_grid(bars: DataFrame, multiples: list[float], horizons: list[int], observed: DataFrame) -> DataFrame:
+    """Counts of labels under each barrier and horizon, and the share of them that the observed labels agree with."""
+    out, seen = None, observed.select(KEY, TS, F.col("label").alias("observed"))
     for m in multiples:
         for h in horizons:
-            one = triple_barrier(bars, m, m, h).where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("multiple"), F.lit(h).alias("horizon"), "label", "n")
+            one = triple_barrier(bars, m, m, h).where("label is not null").select(KEY, TS, F.lit(m).alias("multiple"), F.lit(h).alias("horizon"), "label")
             out = one if out is None else out.unionByName(one)
-    return out
+    both = out.join(seen, [KEY, TS])
+    return both.groupBy("multiple", "horizon", "label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("observed")).cast("double")).alias("agreement"))
 
 
 def wall_break(df: DataFrame, n: int = 6) -> DataFrame:

@@ -55,7 +55,7 @@ def net_signed_volume(ticks: DataFrame, n: int = 100, large: float = 2.0) -> Dat
 
 
 def session_vwap_z(ticks: DataFrame, n: int = 500) -> DataFrame:
-    """Distance from the session's VWAP in deviations of its last n values; running sums, so that a row costs the same for any n."""
+    """Distance from the session's VWAP in deviations of its last n values, and the VWAP's move over 20 trades; running sums, so that a row costs the same for any n."""
     run = order().rowsBetween(Window.unboundedPreceding, 0)
     t = trades(ticks).withColumn("session_vwap", F.sum(F.col("price") * F.col("size")).over(run) / F.sum("size").over(run))
     t = t.withColumn("_d", F.col("price") - F.col("session_vwap"))
@@ -63,16 +63,26 @@ def session_vwap_z(ticks: DataFrame, n: int = 500) -> DataFrame:
     before = lambda c: F.coalesce(F.lag(c, n).over(order()), F.lit(0))
     t = t.withColumns({"_s": F.col("_s") - before("_s"), "_q": F.col("_q") - before("_q"), "_n": F.col("_n") - before("_n")})
     sd = F.sqrt(F.greatest(F.col("_q") / F.col("_n") - F.pow(F.col("_s") / F.col("_n"), 2), F.lit(0.0)))
-    return t.withColumn("vwap_z", F.round(F.when(sd > 1e-6, F.col("_d") / sd).otherwise(0.0), 4)).drop("_d", "_s", "_q", "_n")
-
-
-def liquidity_sweep(ticks: DataFrame, n: int = 50, recent: int = 10) -> DataFrame:
-    """-1: a new high in the recent part and back below the earlier high; 1: the same for lows."""
-    now, before = last(recent), last(n - recent, recent)
-    top, low = F.max("price").over(before), F.min("price").over(before)
-    up = (F.max("price").over(now) > top) & (F.col("price") < top)
-    down = (F.min("price").over(now) < low) & (F.col("price") > low)
-    return trades(ticks).withColumn("sweep", F.when(up, -1).when(down, 1).otherwise(0))
+    slope = F.coalesce(F.col("session_vwap") - F.lag("session_vwap", 19).over(order()), F.lit(0.0))
+    return t.withColumn("vwap_z", F.round(F.when(sd > 1e-6, F.col("_d") / sd).otherwise(0.0), 4)).withColumn("vwap_slope", slope).drop("_d", "_s", "_q", "_n")
+
+
+def liquidity_sweep(ticks: DataFrame, n: int = 300, share: float = 0.8, least: int = 50, threshold: float = 0.05) -> DataFrame:
+    """Score of a stop run over the last n prices: the newest fifth passes the extreme of the ones before and the price is back
+    inside. Five times the overshoot over the earlier range (or two deviations), 1 at most, positive above and negative below.
+
+    A row sees n prices of its symbol and day at most.
+    """
+    w = last(n)
+    t = trades(ticks).withColumns({"_w": F.collect_list("price").over(w), "_sd": F.stddev_pop("price").over(w)})
+    t = t.withColumn("_k", F.floor(F.size("_w") * share).cast("int"))
+    t = t.withColumns({"_a": F.slice("_w", 1, F.col("_k")), "_b": F.slice("_w", F.col("_k") + 1, F.size("_w") - F.col("_k"))})
+    top, low, new_top, new_low = F.array_max("_a"), F.array_min("_a"), F.array_max("_b"), F.array_min("_b")
+    reach = F.greatest(top - low, 2 * F.col("_sd"), F.lit(1e-8))
+    up, down = (new_top - top) / reach, (low - new_low) / reach
+    over, under = (F.col("price") < top) & (up > threshold), (F.col("price") > low) & (down > threshold)
+    score = F.when(over, F.least(5 * up, F.lit(1.0))).when(under, -F.least(5 * down, F.lit(1.0))).otherwise(0.0)
+    return t.withColumn("sweep", F.round(F.when(F.size("_w") >= least, score).otherwise(0.0), 4)).drop("_w", "_sd", "_k", "_a", "_b")
 
 
 def by_day(df: DataFrame, out: str, f) -> DataFrame:

@@ -44,7 +44,18 @@ ICE = "ic AS (SELECT *, round(price, 1) AS px, size AS shown, CASE WHEN action =
 ice = lambda s, d: X.iceberg_detect(T(s, d).select("symbol", "ts_event", "seq", F.round("price", 1).alias("price"), "side", "action", F.col("size").alias("displayed_size"), F.when(F.col("action") == "T", F.col("size") * 2).otherwise(0.0).alias("executed_size")), 1.5, 3600)
 query("f15_iceberg_detect", sql(TICKS_SQL, ICE, select="SELECT symbol, day, price, side, ts_event, done - shown AS hidden_volume FROM ig WHERE done >= 1.5 * shown AND r = 1 AND ls > 0"))(ice)
 query("f16_iceberg_per_bar", sql(TICKS_SQL, BARS, ICE, "ie AS (SELECT symbol, date_trunc('hour', x.ts_event) AS ts_event, count(*) AS n, sum(done - shown) AS v FROM ig x WHERE done >= 1.5 * shown AND r = 1 AND ls > 0 GROUP BY ALL)", select="SELECT symbol, ts_event, coalesce(n, 0) AS n_events, coalesce(v, 0) AS event_value FROM bars LEFT JOIN ie USING (symbol, ts_event)"))(lambda s, d: X.per_bar_counts(bars(s, d), ice(s, d), "hidden_volume"))
-query("f17_auto_calibration", sql(TICKS_SQL, "n AS (SELECT *, row_number() OVER w AS i, abs(price - lag(price) OVER w) AS m FROM ticks WHERE action = 'T' WINDOW w AS (PARTITION BY symbol ORDER BY ts_event, seq))", select="SELECT symbol, quantile_cont(size, 0.5) AS typical_size, round(min(m) FILTER (m > 1e-9 AND i > 1), 6) AS smallest_move, round(stddev_samp(price), 6) AS price_std FROM n WHERE i <= 500 GROUP BY ALL"))(lambda s, d: rounded(X.calibration(T(s, d), 500)))
+F17 = (
+    "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event, seq) AS i FROM ticks WHERE action = 'T')",
+    "fq AS (SELECT symbol, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM n WHERE i <= 2000 GROUP BY symbol)",
+    """fk AS (
+  SELECT n.*, round(abs(price - lag(price) OVER (PARTITION BY symbol ORDER BY ts_event, seq)), 6) AS m FROM n JOIN fq USING (symbol)
+  WHERE i <= 2000 AND price BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))""",
+    "fm AS (SELECT symbol, m, count(*) AS c FROM fk WHERE m > 0 GROUP BY ALL)",
+    "ft AS (SELECT symbol, m AS tick_size FROM fm QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY c DESC, m) = 1)",
+)
+F17_SELECT = """SELECT symbol, quantile_cont(size, 0.5) AS typical_size, round(min(m) FILTER (m > 0), 6) AS smallest_move, round(stddev_samp(price), 6) AS price_std,
+       any_value(tick_size) AS tick_size FROM fk LEFT JOIN ft USING (symbol) GROUP BY symbol"""
+query("f17_auto_calibration", sql(TICKS_SQL, *F17, select=F17_SELECT))(lambda s, d: rounded(X.calibration(T(s, d))))
 query("f19_firing_structure", sql(*FA, f"z AS (SELECT {SESSION} AS session, abs(round(ofi, 9)) AS v FROM flow_bars)", select="SELECT session, t AS threshold, count(*) AS n, round(avg(CASE WHEN v >= t THEN 1.0 ELSE 0.0 END), 6) AS fire_rate FROM z, (VALUES (0.2::DOUBLE), (0.5::DOUBLE)) x(t) GROUP BY ALL"))(lambda s, d: rounded(X.firing_structure(W.session_flags(rounded(flow_bars(s, d), 9)).withColumn("v", F.abs("ofi")), "v", [0.2, 0.5])))
 WALL = "m AS (SELECT *, avg((list_sum(bid_sz) + list_sum(ask_sz)) / 20) OVER (PARTITION BY symbol ORDER BY ts_event, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ms FROM book), wl AS (SELECT seq, coalesce(list_position(list_transform(bid_sz, lambda x: x >= 1.5 * ms), true), 0) - 1 AS bw, coalesce(list_position(list_transform(ask_sz, lambda x: x >= 1.5 * ms), true), 0) - 1 AS aw FROM m), ex AS (SELECT seq, greatest(CASE WHEN aw >= 0 THEN aw + 1.0 ELSE 10.0 END, 3.0) AS t, least(CASE WHEN bw >= 0 THEN bw + 2.0 ELSE 12.0 END, 30.0) AS s FROM wl)"
 query("g7_dynamic_exit_levels", sql(BOOK_SQL, WALL, select="SELECT seq, CAST(t AS DOUBLE) AS target_ticks, CAST(s AS DOUBLE) AS stop_ticks, round(CAST(t AS DOUBLE) / CAST(s AS DOUBLE), 6) AS reward_risk FROM ex"))(lambda s, d: rounded(X.dynamic_exits(wall_scan(BK(s, d), 1.5, 10)).select("seq", "target_ticks", "stop_ticks", "reward_risk")))

@@ -246,13 +246,18 @@ tick_feature(
     f"round(sum(s * k) OVER {tf(100)} / greatest(sum(size * k) OVER {tf(100)}, 1e-9), 6) AS net_signed FROM x",
 )
 tick_feature(
-    "f10_session_vwap_z", X.session_vwap_z, ["session_vwap", "vwap_z"], (TICKS_SQL, TR, f"x AS (SELECT *, sum(price * size) OVER w / sum(size) OVER w AS v FROM tt {TW})", "y AS (SELECT *, price - v AS dv FROM x)"),
-    f"round(v, 6) AS session_vwap, round(CASE WHEN stddev_pop(dv) OVER {tf(500)} > 1e-6 THEN dv / stddev_pop(dv) OVER {tf(500)} ELSE 0 END, 4) AS vwap_z FROM y",
-)
-tick_feature(
-    "f12_liquidity_sweep", X.liquidity_sweep, ["sweep"], (TICKS_SQL, TR),
-    f"CASE WHEN max(price) OVER {tf(10)} > max(price) OVER {tf(40, 10)} AND price < max(price) OVER {tf(40, 10)} THEN -1 WHEN min(price) OVER {tf(10)} < min(price) OVER {tf(40, 10)} AND price > min(price) OVER {tf(40, 10)} THEN 1 ELSE 0 END AS sweep FROM tt",
+    "f10_session_vwap_z", X.session_vwap_z, ["session_vwap", "vwap_z", "vwap_slope"], (TICKS_SQL, TR, f"x AS (SELECT *, sum(price * size) OVER w / sum(size) OVER w AS v FROM tt {TW})", "y AS (SELECT *, price - v AS dv FROM x)"),
+    f"round(v, 6) AS session_vwap, round(CASE WHEN stddev_pop(dv) OVER {tf(500)} > 1e-6 THEN dv / stddev_pop(dv) OVER {tf(500)} ELSE 0 END, 4) AS vwap_z, round(coalesce(v - lag(v, 19) OVER w, 0), 6) AS vwap_slope FROM y {TW}",
 )
+F12 = (
+    f"lw AS (SELECT *, list(price) OVER {tf(300)} AS w, stddev_pop(price) OVER {tf(300)} AS sd FROM tt)",
+    "lk AS (SELECT *, CAST(floor(len(w) * 0.8) AS INT) AS k FROM lw)",
+    "le AS (SELECT *, list_max(w[1:k]) AS a1, list_min(w[1:k]) AS a0, list_max(w[k + 1:len(w)]) AS b1, list_min(w[k + 1:len(w)]) AS b0 FROM lk)",
+    "lr AS (SELECT *, greatest(a1 - a0, 2 * sd, 1e-8) AS r FROM le)",
+)
+F12_SELECT = """round(CASE WHEN len(w) < 50 THEN 0.0 WHEN price < a1 AND (b1 - a1) / r > 0.05 THEN least(5 * (b1 - a1) / r, 1.0)
+       WHEN price > a0 AND (a0 - b0) / r > 0.05 THEN -least(5 * (a0 - b0) / r, 1.0) ELSE 0.0 END, 4) AS sweep FROM lr"""
+tick_feature("f12_liquidity_sweep", lambda t: X.liquidity_sweep(t), ["sweep"], (TICKS_SQL, TR, *F12), F12_SELECT)
 query("f7_price_impact_lambda")(lambda s, d: rounded(X.price_impact_lambda(market.ticks(s, d)).select("seq", "impact")))
 query("f8_self_exciting_intensity")(lambda s, d: rounded(X.self_exciting_intensity(market.ticks(s, d)).select("seq", "intensity")))
 query("f13_fisher_turn_signal")(lambda s, d: rounded(X.fisher_turn_signal(market.ticks(s, d)).select("seq", "fisher")))

@@ -71,10 +71,34 @@ query(
 )(lambda s, d: H.volatility_quartile(AB(s, d)).groupBy("quartile").agg(F.count(F.lit(1)).alias("n")))
 
 # Events
-feature("i1_micro_event_gate", lambda s, d: L.micro_event_gate(flow_bars(s, d), {"ofi": 0.6, "buy_share": 0.4}, 0.5, 0.9, 0.02), ["event_score", "event_flag"], (TICKS_SQL, BARS, FLOW, FLOW_BARS), "round(ofi * 0.6 + buy_share * 0.4, 6) AS event_score, CAST(ofi * 0.6 + buy_share * 0.4 >= 0.47 AS INTEGER) AS event_flag FROM flow_bars")
+I1 = """g0 AS (
+  SELECT symbol, ts_event, round(ofi * 0.6 + buy_share * 0.4, 9) AS sc FROM flow_bars),
+g1 AS (SELECT *, CAST(sc >= 0.67 AS INT) AS fl FROM g0),
+g2 AS (
+  SELECT *, CASE WHEN fl = 0 AND sc > 0 THEN row_number() OVER (PARTITION BY fl = 0 AND sc > 0 ORDER BY sc DESC, ts_event, symbol) END AS r,
+         (SELECT greatest(ceil(count(*) * 0.5) - sum(fl), 0) FROM g1) AS need FROM g1)"""
+I1_SELECT = "round(sc, 6) AS event_score, CAST(coalesce(r <= need, false) AS INT) AS promoted, greatest(fl, CAST(coalesce(r <= need, false) AS INT)) AS event_flag FROM g2"
 feature(
-    "i2_structure_event_gate", lambda s, d: L.structure_event_gate(stage(W.previous_period_levels(W.true_range_atr(flow_bars(s, d)))), "prev_day_high"), ["structure_event"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, ATR, PREV),
-    "CAST(hour(ts_event) BETWEEN 7 AND 21 AND abs(a.close - round(p.prev_day_high, 9)) / greatest(a.atr, 1e-9) <= 0.5 AND abs(round(f.ofi, 9)) >= 0.2 AS INTEGER) AS structure_event FROM atr a JOIN prev p USING (symbol, ts_event) JOIN flow_bars f USING (symbol, ts_event)",
+    "i1_micro_event_gate", lambda s, d: L.micro_event_gate(flow_bars(s, d), {"ofi": 0.6, "buy_share": 0.4}, 0.7, 0.9, 0.04, 0.5), ["event_score", "promoted", "event_flag"],
+    (TICKS_SQL, BARS, FLOW, FLOW_BARS, I1), I1_SELECT,
+)
+I2 = (
+    """lv AS (
+  SELECT a.symbol, a.ts_event, a.close, CASE WHEN a.atr > 1e-12 THEN a.atr END AS atr, round(p.prev_day_high, 9) AS dh, round(p.prev_day_low, 9) AS dl, round(p.prev_week_high, 9) AS wh,
+         round(p.prev_week_low, 9) AS wl, round(f.ofi, 9) AS ofi, f.cvd_delta, round(f.cvd_velocity, 9) / 30 AS vz
+  FROM atr a JOIN prev p USING (symbol, ts_event) JOIN flow_bars f USING (symbol, ts_event))""",
+    """le AS (
+  SELECT *, least(1e300, abs(close - dh) / atr, abs(close - wh) / atr, abs(close - dl) / atr, abs(close - wl) / atr) AS nr,
+         CASE WHEN (coalesce(abs(close - dh) / atr < 0.3, false) OR coalesce(abs(close - wh) / atr < 0.3, false)) AND cvd_delta < 0 THEN 1
+              WHEN (coalesce(abs(close - dl) / atr < 0.3, false) OR coalesce(abs(close - wl) / atr < 0.3, false)) AND cvd_delta > 0 THEN -1 ELSE 0 END AS dv FROM lv)""",
+)
+I2_SELECT = """dv AS divergence, CAST(hour(ts_event) BETWEEN 7 AND 21 AND nr < 0.5 AND (abs(ofi) > 0.3 OR dv <> 0 OR abs(vz) > 1.5) AS INT) AS structure_event,
+       round(CASE WHEN hour(ts_event) BETWEEN 7 AND 21 THEN least(greatest(1 - nr / 0.5, 0.0), 1.0)
+             * least(least(abs(ofi), 1.0) * 0.4 + abs(dv) * 0.3 + least(abs(vz) / 3, 1.0) * 0.3, 1.0) ELSE 0 END, 6) AS event_score FROM le"""
+STRUCTURE = lambda s, d: stage(W.previous_period_levels(W.true_range_atr(flow_bars(s, d)))).withColumn("vwap_z", F.col("cvd_velocity") / 30)
+feature(
+    "i2_structure_event_gate", lambda s, d: L.structure_event_gate(STRUCTURE(s, d), ("prev_day_high", "prev_week_high"), ("prev_day_low", "prev_week_low")),
+    ["divergence", "structure_event", "event_score"], (TICKS_SQL, BARS, FLOW, FLOW_BARS, ATR, PREV, *I2), I2_SELECT,
 )
 I3 = (
     """v AS (

@@ -75,11 +75,29 @@ query("f3_cancel_ratio", sql(TICKS_SQL, f"w AS (SELECT *, CASE WHEN action = 'A'
 query("f18_order_feature_rows", sql(TICKS_SQL, "o AS (SELECT *, date_trunc('hour', ts_event) AS b FROM ticks)", "n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol, b) AS n, count(*) OVER (PARTITION BY symbol, b, order_id) AS repeats, first_value(price) OVER w AS p FROM o WINDOW w AS (PARTITION BY symbol, b ORDER BY ts_event, seq))", select="SELECT seq, round(ln(1 + size), 6) AS log_size, round(price - p, 6) AS distance, round(i / n, 6) AS place, repeats FROM n WHERE n <= 3 OR floor(i * 3 / n) <> floor((i - 1) * 3 / n)"))(lambda s, d: rounded(S.order_rows(T(s, d), most=3).select("seq", "log_size", "distance", "place", "repeats")))
 query("g6_liquidity_trap")(lambda s, d: rounded(S.liquidity_trap(BK(s, d)).select("seq", "trap")))
 query("g13_flow_only_book", sql(TICKS_SQL, select=f"SELECT symbol, date_trunc('hour', t.ts_event) AS ts_event, sum(greatest({SIGNED}, 0)) AS buy, sum(greatest(-({SIGNED}), 0)) AS sell, 0.0::DOUBLE AS depth, false AS has_book FROM ticks t WHERE action = 'T' GROUP BY ALL"))(lambda s, d: S.flow_only_book(T(s, d)))
-query("g12_rolling_book_window", sql(TICKS_SQL, BARS, f"n AS (SELECT *, row_number() OVER w AS i FROM bars {WINDOW})", select="SELECT a.symbol, a.ts_event, CAST(k AS INTEGER) AS lag, b.volume FROM n a, range(5) r(k), n b WHERE b.symbol = a.symbol AND b.i = a.i - k"))(lambda s, d: S.rolling_book_window(bars(s, d).select(*ID, "volume"), bars(s, d), 5).select(*ID, "lag", "volume"))
+G12 = f"n AS (SELECT *, row_number() OVER w AS i FROM bars {WINDOW})"
+G12_SELECT = """SELECT a.symbol, a.ts_event, CAST(k AS INTEGER) AS lag, b.volume, round(least(a.i, 50) / 50, 6) AS filled_share
+FROM n a, range(50) r(k), n b WHERE b.symbol = a.symbol AND b.i = a.i - k"""
+query("g12_rolling_book_window", sql(TICKS_SQL, BARS, G12, select=G12_SELECT))(lambda s, d: rounded(S.rolling_book_window(bars(s, d).select(*ID, "volume"), bars(s, d)).select(*ID, "lag", "volume", "filled_share")))
 query("g15_book_fidelity_check", sql(BOOK_SQL, CELLS, select="SELECT count(*) AS n, count(*) FILTER (bid_log IS NULL) AS missing, 0::BIGINT AS apart FROM cells"))(lambda s, d: S.book_fidelity(X.depth_channels(BK(s, d)), BK(s, d)))
 PH = f"ph AS (SELECT *, (close - min(low) OVER {frame(20)}) / greatest(max(high) OVER {frame(20)} - min(low) OVER {frame(20)}, 1e-9) AS pl, tanh((close - avg(close) OVER {frame(20)}) / greatest(atr, 1e-9)) AS sl FROM atr), pe AS (SELECT *, exp(1 - abs(sl) - pl) AS a, exp(sl + pl) AS b, exp(pl - abs(sl)) AS c, exp(-sl + 1 - pl) AS e FROM ph)"
 feature("h4_cycle_phase_probs", lambda s, d: S.cycle_phase(AB(s, d)), ["p_accumulation", "p_markup", "p_markdown"], (*A, PH), "round(a / (a + b + c + e), 6) AS p_accumulation, round(b / (a + b + c + e), 6) AS p_markup, round(e / (a + b + c + e), 6) AS p_markdown FROM pe")
-query("h5_rolling_hurst")(lambda s, d: rounded(S.rolling_hurst(bars(s, d)).select(*ID, "hurst")))
+LAGS = range(2, 20)
+H5_D = ", ".join(f"close - lag(close, {k}) OVER w AS d{k}" for k in LAGS)
+H5_S = ", ".join(f"round(stddev_pop(d{k}) OVER {frame(100 - k)}, 12) AS s{k}" for k in LAGS)
+
+
+def h5_total(f: str) -> str:
+    return " + ".join(f"CASE WHEN s{k} > 1e-9 THEN {f.format(k=k)} ELSE 0 END" for k in LAGS)
+
+
+H5 = (
+    f"hd AS (SELECT symbol, ts_event, close, {H5_D} FROM bars {WINDOW})",
+    f"hs AS (SELECT symbol, ts_event, count(close) OVER {frame(100)} AS c, {H5_S} FROM hd)",
+    f"ht AS (SELECT symbol, ts_event, c, {h5_total('1')} AS n, {h5_total('ln({k})')} AS x, {h5_total('ln(s{k})')} AS y, {h5_total('ln({k}) * ln({k})')} AS xx, {h5_total('ln({k}) * ln(s{k})')} AS xy FROM hs)",
+    "hh AS (SELECT *, CASE WHEN c >= 40 AND n >= 3 THEN least(greatest((n * xy - x * y) / (n * xx - x * x), 0.0), 1.0) ELSE 0.5 END AS h FROM ht)",
+)
+query("h5_rolling_hurst", sql(TICKS_SQL, BARS, *H5, select="SELECT symbol, ts_event, round(h, 6) AS hurst, round(2 - h, 6) AS dimension FROM hh"))(lambda s, d: rounded(S.rolling_hurst(bars(s, d)).select(*ID, "hurst", "dimension")))
 query("h7_cycle_feature_pack")(lambda s, d: rounded(S.cycle_phase(AB(s, d)).join(S.rolling_hurst(bars(s, d)).select(*ID, "hurst"), ID).join(H.timeframe_alignment(bars(s, d)).select(*ID, "alignment"), ID).select(*ID, "p_markup", "hurst", "alignment")))
 query("h11_regime_mixture")(lambda s, d: S.regime_mixture(flow_bars(s, d), ["ofi", "volume"]).groupBy("component").agg(F.count(F.lit(1)).alias("n")))
 query("i5_adaptive_rate_gate")(lambda s, d: S.adaptive_rate_gate(flow_bars(s, d).withColumn("score", F.abs("ofi")), "score"))
@@ -96,7 +114,15 @@ def m22(spark, d):
     return M.column_profile(flow_bars(spark, d), kept).select("column")
 
 
-query("n11_label_grid_diagnostics", sql(*A, LABELS, select="SELECT 1.0::DOUBLE AS multiple, CAST(24 AS INTEGER) AS horizon, label, count(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY ALL"))(lambda s, d: S.label_grid(AB(s, d), [1.0], [24]))
+N11_CELLS = [(m, h) for m in (0.75, 1.0, 1.5) for h in (6, 24)]
+N11 = (
+    *(LABELS.replace("barriers AS", f"ba{i} AS").replace("touched AS", f"to{i} AS").replace("labelled AS", f"la{i} AS").replace("FROM touched", f"FROM to{i}").replace("FROM barriers", f"FROM ba{i}")
+      .replace("close + greatest(atr, 1e-6)", f"close + {m} * greatest(atr, 1e-6)").replace("close - greatest(atr, 1e-6)", f"close - {m} * greatest(atr, 1e-6)").replace("AND 24 FOLLOWING", f"AND {h} FOLLOWING")
+      for i, (m, h) in enumerate(N11_CELLS)),
+)
+N11_ROWS = " UNION ALL ".join(f"SELECT CAST({m} AS DOUBLE) AS multiple, {h} AS horizon, a.label AS label, o.label AS observed FROM la{i} a JOIN la3 o USING (symbol, ts_event) WHERE a.label IS NOT NULL" for i, (m, h) in enumerate(N11_CELLS))
+N11_SELECT = f"SELECT multiple, horizon, label, count(*) AS n, round(avg(CASE WHEN label = observed THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM ({N11_ROWS}) GROUP BY ALL"
+query("n11_label_grid_diagnostics", sql(*A, *N11, select=N11_SELECT))(lambda s, d: rounded(S.label_grid(AB(s, d), [0.75, 1.0, 1.5], [6, 24], S.triple_barrier(AB(s, d), 1.0, 1.0, 24))))
 query("o6_non_overlapping_predictions")(lambda s, d: rounded(S.non_overlapping(flow_bars(s, d).withColumn("signal", F.when(F.abs("ofi") > 0.5, F.col("ofi")).otherwise(0.0)))))
 query("o9_signal_replay")(lambda s, d: rounded(S.signal_replay(T(s, d).where("action = 'T'"), BK(s, d))))
 feature("p4_virtual_trade_tracker", lambda s, d: S.tracked_trades(flow_bars(s, d), "cvd_delta"), ["favourable", "adverse"], (*FA, f"x AS (SELECT *, max(high) OVER {nxt(12)} - close AS u, close - min(low) OVER {nxt(12)} AS n FROM flow_bars)"), "round(CASE WHEN cvd_delta > 0 THEN u ELSE n END, 6) AS favourable, round(CASE WHEN cvd_delta > 0 THEN n ELSE u END, 6) AS adverse FROM x WHERE cvd_delta <> 0")
