@@ -139,11 +139,19 @@ def contingency_table(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def refined_bar_vote(labels: DataFrame, floor: float = 0.35) -> DataFrame:
-    """Label of a bar from its parts' labels (-1, 0, 1): the larger side if its share reaches the floor, else neutral."""
-    n = labels.groupBy(KEY, TS).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == 1).cast("bigint")).alias("up"), F.sum((F.col("label") == -1).cast("bigint")).alias("down"))
+def refined_bar_vote(labels: DataFrame, floor: float = 0.35, quality: str | None = None, regime: str | None = None) -> DataFrame:
+    """Label of a bar from its parts' labels (-1, 0, 1): the larger side if its share reaches the floor, else neutral.
+
+    With their columns also the best quality among the parts and their most frequent regime, the lowest on ties.
+    """
+    best = [F.max(quality).alias("quality")] if quality else []
+    n = labels.groupBy(KEY, TS).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == 1).cast("bigint")).alias("up"), F.sum((F.col("label") == -1).cast("bigint")).alias("down"), *best)
     vote = F.when((F.col("up") >= F.col("down")) & (F.col("up") / F.col("n") >= floor), 1).when((F.col("down") > F.col("up")) & (F.col("down") / F.col("n") >= floor), -1).otherwise(0)
-    return n.select(KEY, TS, "n", "up", "down", vote.alias("vote"))
+    out = n.withColumn("vote", vote)
+    if regime:
+        often = labels.groupBy(KEY, TS, regime).agg(F.count(F.lit(1)).alias("_c")).groupBy(KEY, TS).agg(F.min(F.struct(-F.col("_c"), F.col(regime).alias("r")))["r"].alias("regime"))
+        out = out.join(often, [KEY, TS])
+    return out
 
 
 def intrabar_tick_slices(ticks: DataFrame, minutes: int = 60, slices: int = 12) -> DataFrame:

@@ -292,11 +292,19 @@ def overfit_probability(results: DataFrame) -> DataFrame:
     return best.withColumn("logit", F.log(F.col("rank_share") / (1 - F.col("rank_share")))).withColumn("overfit", (F.col("logit") <= 0).cast("int"))
 
 
-def ic_audit(pairs: DataFrame, blocks: int = 8) -> DataFrame:
-    """IC, block stability and information of each (feature, horizon), with a verdict."""
-    ic, st, mi = M.rank_correlation(pairs, "feature", "horizon"), M.block_stability(pairs, blocks), M.mutual_information(pairs)
-    j = ic.join(st, ["feature", "horizon"]).join(mi, ["feature", "horizon"])
-    verdict = F.when(F.abs("spearman") < 0.01, "noise").when(F.greatest(F.col("positive_share"), 1 - F.col("positive_share")) < 0.7, "unstable").otherwise("signal")
+def ic_audit(pairs: DataFrame, blocks: int = 8, cost: float = 0.0005) -> DataFrame:
+    """IC, block stability, information, IC after costs and decay over horizons of each (feature, horizon), with a verdict: the
+    first of noise, cost_bound, unstable, fast_decay that holds, else signal.
+    """
+    by = ["feature", "horizon"]
+    ic, st, mi = M.rank_correlation(pairs, *by), M.block_stability(pairs, blocks), M.mutual_information(pairs)
+    after = M.rank_correlation(M.cost_adjusted(pairs, cost), *by).select(*by, F.col("spearman").alias("after_cost"))
+    j = ic.join(st, by).join(mi, by).join(after, by).join(M.horizon_decay(ic), "feature")
+    one_sided = F.greatest(F.col("positive_share"), 1 - F.col("positive_share"))
+    verdict = (
+        F.when(F.abs("spearman") < 0.01, "noise").when(F.abs("after_cost") < 0.5 * F.abs("spearman"), "cost_bound").when(one_sided < 0.7, "unstable")
+        .when(F.col("decay") > 0.8 * F.abs("spearman"), "fast_decay").otherwise("signal")
+    )
     return j.withColumn("verdict", verdict)
 
 

@@ -78,9 +78,15 @@ def depth_slippage(fills: DataFrame, base: float = 0.5, mid: float = 1.0, extra:
     return fills.withColumn("slippage_ticks", F.when(r <= 1, base).when(r <= 3, base + (mid - base) * (r - 1) / 2).otherwise(mid + extra * (r - 3)))
 
 
-def slippage_calibration(log: DataFrame) -> DataFrame:
-    """Slope through the origin of realised on model ticks, and mean of both, by region."""
-    return log.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.avg("model").alias("model"), F.avg("realised").alias("realised"), (F.sum(F.col("model") * F.col("realised")) / F.sum(F.col("model") * F.col("model"))).alias("slope"))
+def slippage_calibration(log: DataFrame, tolerance: float = 0.15, least: int = 20, low: float = 0.1, high: float = 5.0) -> DataFrame:
+    """By region and overall (region null): rows, mean size of modelled and realised ticks, slope through the origin of realised on
+    modelled within limits, the gap of the means, and a verdict: insufficient, well_, over_ or under_calibrated.
+    """
+    m, r = F.abs("model"), F.abs("realised")
+    g = log.groupingSets([[], [F.col("region")]], "region").agg(F.count(F.lit(1)).alias("n"), F.avg(m).alias("model"), F.avg(r).alias("realised"), (F.sum(m * r) / F.sum(m * m)).alias("_s"))
+    g = g.withColumn("slope", F.least(F.greatest("_s", F.lit(low)), F.lit(high))).withColumn("gap", F.when(F.col("realised") > 1e-9, (F.col("model") - F.col("realised")) / F.col("realised"))).drop("_s")
+    verdict = F.when((F.col("n") < least) | F.col("gap").isNull(), "insufficient").when(F.abs("gap") <= tolerance, "well_calibrated").when(F.col("gap") > 0, "over_calibrated").otherwise("under_calibrated")
+    return g.withColumn("verdict", verdict)
 
 
 def top_rules(rules: DataFrame, group: str, metric: str, least: int, k: int) -> DataFrame:

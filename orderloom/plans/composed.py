@@ -115,7 +115,25 @@ feature("j3_strict_execution_labels", lambda s, d: L.close_barrier_labels(stage(
 query("l6_fold_aggregate", sql(*A, LABELS, "f AS (SELECT symbol, CAST(week(ts_event) AS INT) AS fold, avg(label) AS m FROM labelled WHERE label IS NOT NULL GROUP BY ALL)", select="SELECT count(*) AS n_folds, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, round(min(m), 6) AS min, round(max(m), 6) AS max, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_share FROM f"))(lambda s, d: rounded(X.fold_aggregate(labelled(s, d).where("label is not null").groupBy("symbol", F.weekofyear("ts_event").alias("fold")).agg(F.avg("label").alias("m")), "m")))
 query("l7_out_of_fold_assembly", sql(TICKS_SQL, BARS, select="SELECT symbol, ts_event, CASE WHEN ts_event < TIMESTAMP '2024-01-08' THEN close WHEN ts_event >= TIMESTAMP '2024-01-15' THEN open ELSE 0.5 END AS prediction FROM bars"))(lambda s, d: X.out_of_fold([bars(s, d).where("ts_event < timestamp_ntz '2024-01-08'").select(*ID, F.col("close").alias("prediction")), bars(s, d).where("ts_event >= timestamp_ntz '2024-01-15'").select(*ID, F.col("open").alias("prediction"))], bars(s, d), 0.5))
 query("l8_overfit_probability", sql(TICKS_SQL, "p AS (SELECT CAST(dayofmonth(ts_event) % 5 AS INTEGER) AS split, symbol AS model, avg(CASE WHEN seq % 2 = 0 THEN price END) AS ins, avg(CASE WHEN seq % 2 = 1 THEN price END) AS outs FROM ticks GROUP BY ALL)", "r AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY outs) / (count(*) OVER (PARTITION BY split) + 1) AS r FROM p)", "b AS (SELECT split, arg_max(r, ins) AS s FROM r GROUP BY split)", select="SELECT split, round(s, 6) AS rank_share, round(ln(s / (1 - s)), 6) AS logit, CAST(ln(s / (1 - s)) <= 0 AS INTEGER) AS overfit FROM b"))(lambda s, d: rounded(X.overfit_probability(T(s, d).groupBy((F.dayofmonth("ts_event") % 5).alias("split"), F.col("symbol").alias("model")).agg(F.avg(F.when(F.col("seq") % 2 == 0, F.col("price"))).alias("ins"), F.avg(F.when(F.col("seq") % 2 == 1, F.col("price"))).alias("outs")))))
-query("m2_ic_audit")(lambda s, d: rounded(X.ic_audit(pairs(s, d))))
+M2 = (
+    ranks_sql("feature, horizon"),
+    "bl AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY feature, horizon ORDER BY ts_event, symbol) - 1) * 8 / count(*) OVER (PARTITION BY feature, horizon)) AS INT) AS block FROM pairs)",
+    ranks_sql("feature, horizon, block", "bl").replace("rk AS", "rkb AS").replace("FROM rk ", "FROM rkb ").replace("\nic AS", "\nicb AS"),
+    "st AS (SELECT feature, horizon, avg(spearman) AS mean_ic, stddev_samp(spearman) AS std_ic, avg(CASE WHEN spearman > 0 THEN 1.0 ELSE 0.0 END) AS positive_share FROM icb GROUP BY ALL)",
+    "q AS (SELECT *, ntile(20) OVER (PARTITION BY feature, horizon ORDER BY x, ts_event, symbol) AS bx, ntile(20) OVER (PARTITION BY feature, horizon ORDER BY y, ts_event, symbol) AS bq FROM pairs)",
+    "c AS (SELECT feature, horizon, bx, bq, count(*) AS n FROM q GROUP BY ALL)",
+    "t AS (SELECT *, sum(n) OVER (PARTITION BY feature, horizon) AS t, sum(n) OVER (PARTITION BY feature, horizon, bx) AS nx, sum(n) OVER (PARTITION BY feature, horizon, bq) AS ny FROM c)",
+    "mi AS (SELECT feature, horizon, sum(n / t * ln(n * t / (nx * ny))) AS mutual_information FROM t GROUP BY ALL)",
+    "cp AS (SELECT * REPLACE (CASE WHEN abs(y) <= 0.001 THEN 0 ELSE y END AS y) FROM pairs)",
+    ranks_sql("feature, horizon", "cp").replace("rk AS", "rkc AS").replace("FROM rk ", "FROM rkc ").replace("\nic AS", "\nicc AS"),
+    "dc AS (SELECT feature, abs(arg_min(spearman, horizon)) - abs(arg_max(spearman, horizon)) AS decay FROM ic GROUP BY feature)",
+)
+M2_SELECT = """SELECT feature, horizon, ic.n AS n, round(ic.spearman, 6) AS spearman, round(ic.pearson, 6) AS pearson, round(mean_ic, 6) AS mean_ic, round(std_ic, 6) AS std_ic,
+       round(positive_share, 6) AS positive_share, round(mutual_information, 6) AS mutual_information, round(icc.spearman, 6) AS after_cost, round(decay, 6) AS decay,
+       CASE WHEN abs(ic.spearman) < 0.01 THEN 'noise' WHEN abs(icc.spearman) < 0.5 * abs(ic.spearman) THEN 'cost_bound'
+            WHEN greatest(positive_share, 1 - positive_share) < 0.7 THEN 'unstable' WHEN decay > 0.8 * abs(ic.spearman) THEN 'fast_decay' ELSE 'signal' END AS verdict
+FROM ic JOIN st USING (feature, horizon) JOIN mi USING (feature, horizon) JOIN icc USING (feature, horizon) JOIN dc USING (feature)"""
+query("m2_ic_audit", sql(*FA, pairs_sql(), *M2, select=M2_SELECT))(lambda s, d: rounded(X.ic_audit(pairs(s, d))))
 M4 = """bl AS (
   SELECT *, CAST(floor((row_number() OVER (PARTITION BY feature, horizon ORDER BY ts_event, symbol) - 1) / greatest(floor(count(*) OVER (PARTITION BY feature, horizon) / 8), 1)) AS INT) AS block FROM pairs),
 bt AS (SELECT * FROM bl WHERE block > 0 AND block < 8)"""

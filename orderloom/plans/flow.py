@@ -282,10 +282,21 @@ def d16(spark, d):
     return B.merge_partial_bars(parts)
 
 
-@query("d17_refined_bar_vote", sql(TICKS_SQL, BARS, ATR, LABELS_SQL, "v AS (SELECT symbol, date_trunc('day', x.ts_event) AS ts_event, count(*) AS n, count(*) FILTER (label = 1) AS up, count(*) FILTER (label = -1) AS down FROM labelled x WHERE label IS NOT NULL GROUP BY ALL)", select="SELECT *, CASE WHEN up >= down AND up / n >= 0.35 THEN 1 WHEN down > up AND down / n >= 0.35 THEN -1 ELSE 0 END AS vote FROM v"))
+D17 = (
+    "vx AS (SELECT symbol, date_trunc('day', x.ts_event) AS ts_event, label, CASE WHEN volume > 100 THEN 2 ELSE 1 END AS quality, CASE WHEN atr > 0.3 THEN 1 ELSE 0 END AS regime FROM labelled x WHERE label IS NOT NULL)",
+    "v AS (SELECT symbol, ts_event, count(*) AS n, count(*) FILTER (label = 1) AS up, count(*) FILTER (label = -1) AS down, max(quality) AS quality FROM vx GROUP BY ALL)",
+    "vc AS (SELECT symbol, ts_event, regime, count(*) AS c FROM vx GROUP BY ALL)",
+    "vr AS (SELECT symbol, ts_event, regime FROM vc QUALIFY row_number() OVER (PARTITION BY symbol, ts_event ORDER BY c DESC, regime) = 1)",
+)
+D17_SELECT = "SELECT *, CASE WHEN up >= down AND up / n >= 0.35 THEN 1 WHEN down > up AND down / n >= 0.35 THEN -1 ELSE 0 END AS vote FROM v JOIN vr USING (symbol, ts_event)"
+
+
+@query("d17_refined_bar_vote", sql(TICKS_SQL, BARS, ATR, LABELS_SQL, *D17, select=D17_SELECT))
 def d17(spark, d):
-    x = labelled(spark, d).where("label is not null").select("symbol", F.date_trunc("day", "ts_event").cast("timestamp_ntz").alias("ts_event"), "label")
-    return B.refined_bar_vote(x)
+    x = labelled(spark, d).where("label is not null").withColumns({
+        "ts_event": F.date_trunc("day", "ts_event").cast("timestamp_ntz"), "quality": F.when(F.col("volume") > 100, 2).otherwise(1), "regime": F.when(F.col("atr") > 0.3, 1).otherwise(0),
+    })
+    return B.refined_bar_vote(x, quality="quality", regime="regime")
 
 
 @query("d18_session_table", sql(TICKS_SQL, BARS, select="SELECT symbol, CAST(b.ts_event AS DATE) AS day, count(*) AS n_bars, round(last(close ORDER BY b.ts_event) / first(open ORDER BY b.ts_event) - 1, 6) AS ret, sum(volume) AS volume FROM bars b GROUP BY ALL HAVING count(*) >= 3"))

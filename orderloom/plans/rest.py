@@ -102,7 +102,25 @@ query("h7_cycle_feature_pack")(lambda s, d: rounded(S.cycle_phase(AB(s, d)).join
 query("h11_regime_mixture")(lambda s, d: S.regime_mixture(flow_bars(s, d), ["ofi", "volume"]).groupBy("component").agg(F.count(F.lit(1)).alias("n")))
 query("i5_adaptive_rate_gate")(lambda s, d: S.adaptive_rate_gate(flow_bars(s, d).withColumn("score", F.abs("ofi")), "score"))
 SCEN = [(1.0, 1.0, 24), (0.8, 1.0, 12), (1.2, 1.0, 24)]
-query("j13_soft_labels_scenarios")(lambda s, d: rounded(S.scenario_soft_labels(AB(s, d), SCEN)))
+def labels_sql(k: str, tp: float, sl: float, horizon: int) -> str:
+    """The label CTEs under other names, barriers and horizon; the last one is la{k}."""
+    x = LABELS
+    for was, now in (
+        ("barriers AS", f"ba{k} AS"), ("touched AS", f"to{k} AS"), ("labelled AS", f"la{k} AS"), ("FROM touched", f"FROM to{k}"), ("FROM barriers", f"FROM ba{k}"),
+        ("close + greatest(atr, 1e-6)", f"close + {tp} * greatest(atr, 1e-6)"), ("close - greatest(atr, 1e-6)", f"close - {sl} * greatest(atr, 1e-6)"), ("AND 24 FOLLOWING", f"AND {horizon} FOLLOWING"),
+    ):
+        x = x.replace(was, now)
+    return x
+
+
+J13_ROWS = " UNION ALL ".join(f"SELECT symbol, ts_event, label FROM la{i}" for i in range(len(SCEN)))
+J13 = (
+    *(labels_sql(str(i), *x) for i, x in enumerate(SCEN)),
+    f"jr AS (SELECT symbol, ts_event, avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS u, avg(CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END) AS d FROM ({J13_ROWS}) WHERE label IS NOT NULL GROUP BY ALL)",
+    "je AS (SELECT *, 1 - u - d AS z FROM jr)",
+)
+J13_SELECT = "SELECT symbol, ts_event, round(u, 6) AS p_up, round(d, 6) AS p_down, round(" + " + ".join(f"CASE WHEN {p} > 1e-9 THEN -{p} * ln({p}) ELSE 0 END" for p in "udz") + ", 6) AS entropy FROM je"
+query("j13_soft_labels_scenarios", sql(*A, *J13, select=J13_SELECT))(lambda s, d: rounded(S.scenario_soft_labels(AB(s, d), SCEN)))
 feature("j16_wall_break_label", lambda s, d: S.wall_break(AB(s, d).withColumn("wall_px", F.col("close") + F.col("atr") / 2)), ["wall_break"], A, f"CAST(coalesce(max(high) OVER {nxt(6)} > close + atr / 2, false) AS INTEGER) AS wall_break FROM atr")
 query("k6_combine_quarters", sql(TICKS_SQL, BARS, select="SELECT symbol, ts_event, close, CASE WHEN ts_event >= TIMESTAMP '2024-01-12' THEN volume END AS volume FROM bars"))(lambda s, d: S.combine_quarters([bars(s, d).where("ts_event < timestamp_ntz '2024-01-15'").select(*ID, "close"), bars(s, d).where("ts_event >= timestamp_ntz '2024-01-12'").select(*ID, "close", "volume")]).select(*ID, "close", "volume"))
 query("m17_edge_grid_scan")(lambda s, d: rounded(S.edge_grid(W.session_flags(bars(s, d)), ["session"], [1, 4]).select("name", "n", "m", "p", "p_adjusted", "rejected")))
@@ -115,11 +133,7 @@ def m22(spark, d):
 
 
 N11_CELLS = [(m, h) for m in (0.75, 1.0, 1.5) for h in (6, 24)]
-N11 = (
-    *(LABELS.replace("barriers AS", f"ba{i} AS").replace("touched AS", f"to{i} AS").replace("labelled AS", f"la{i} AS").replace("FROM touched", f"FROM to{i}").replace("FROM barriers", f"FROM ba{i}")
-      .replace("close + greatest(atr, 1e-6)", f"close + {m} * greatest(atr, 1e-6)").replace("close - greatest(atr, 1e-6)", f"close - {m} * greatest(atr, 1e-6)").replace("AND 24 FOLLOWING", f"AND {h} FOLLOWING")
-      for i, (m, h) in enumerate(N11_CELLS)),
-)
+N11 = tuple(labels_sql(str(i), m, m, h) for i, (m, h) in enumerate(N11_CELLS))
 N11_ROWS = " UNION ALL ".join(f"SELECT CAST({m} AS DOUBLE) AS multiple, {h} AS horizon, a.label AS label, o.label AS observed FROM la{i} a JOIN la3 o USING (symbol, ts_event) WHERE a.label IS NOT NULL" for i, (m, h) in enumerate(N11_CELLS))
 N11_SELECT = f"SELECT multiple, horizon, label, count(*) AS n, round(avg(CASE WHEN label = observed THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM ({N11_ROWS}) GROUP BY ALL"
 query("n11_label_grid_diagnostics", sql(*A, *N11, select=N11_SELECT))(lambda s, d: rounded(S.label_grid(AB(s, d), [0.75, 1.0, 1.5], [6, 24], S.triple_barrier(AB(s, d), 1.0, 1.0, 24))))

@@ -17,8 +17,11 @@ PARTS = 3
 
 
 def folder(spark) -> str:
-    """A folder that executors share: the session's spark.checkpoint.dir, a temporary one where it names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}").rstrip("/")
+    """A folder that executors share: the session's spark.checkpoint.dir; in local mode a temporary one where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}").rstrip("/")
 
 
 def in_parts(df):
@@ -44,7 +47,26 @@ def plain(df, *times):
 CLOSED = "WHERE ts_event + INTERVAL 1 HOUR <= (SELECT max(ts_event) - INTERVAL 10 MINUTE FROM ticks)"
 query("p1_streaming_bars", sql(TICKS_SQL, BARS, FLOW, select=f"SELECT symbol, ts_event, open, high, low, close, volume, cvd_delta FROM bars JOIN cvd USING (symbol, ts_event) {CLOSED}"))(lambda s, d: plain(streamed(s, d, jobs.streaming_bars), "ts_event"))
 query("p3_stateful_flow_features", sql(TICKS_SQL, "t AS (SELECT *, CASE WHEN side = 'A' THEN size ELSE -size END AS g FROM ticks WHERE action = 'T')", select="SELECT symbol, ts_event, seq, sum(g) OVER w AS session_cvd, round(sum(price * size) OVER w / sum(size) OVER w, 6) AS session_vwap FROM t WINDOW w AS (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq)"))(lambda s, d: rounded(plain(streamed(s, d, jobs.stateful_flow), "ts_event")))
-query("p8_late_and_duplicate_ticks", sql(TICKS_SQL, select="SELECT symbol, seq, ts_event, price FROM ticks"))(lambda s, d: plain(streamed(s, d, jobs.late_and_duplicate_ticks), "ts_event").select("symbol", "seq", "ts_event", "price"))
+P8 = (
+    "ce AS (SELECT quantile_cont(epoch_us(ts_event), 1.0 / 3) AS c FROM ticks)",
+    "wm AS (SELECT date_trunc('millisecond', max(ts_event)) - INTERVAL 10 MINUTE AS w FROM ticks, ce WHERE epoch_us(ts_event) <= c AND seq % 11 <> 0)",
+)
+
+
+def with_faults(parts):
+    """A feed with faults: a part of the first rows comes with the second batch only, and others come again with it."""
+    held, seen = parts[0].where("seq % 11 = 0"), parts[0].where("seq % 11 <> 0")
+    return [seen, parts[1].union(held).union(seen.where("seq % 7 = 0")), *parts[2:]]
+
+
+@query("p8_late_and_duplicate_ticks", sql(TICKS_SQL, *P8, select="SELECT symbol, seq, ts_event, price FROM ticks, ce, wm WHERE NOT (epoch_us(ts_event) <= c AND seq % 11 = 0 AND ts_event <= w)"))
+def p8(spark, d):
+    """Rows that came too late are gone, rows that came again are there once."""
+    parts = with_faults(in_parts(market.ticks(spark, d)))
+    out = jobs.replay(parts, jobs.late_and_duplicate_ticks, f"{folder(spark)}/orderloom-{uuid.uuid4().hex}")
+    return plain(out, "ts_event").select("symbol", "seq", "ts_event", "price")
+
+
 query(
     "p9_session_windows",
     sql(TICKS_SQL, "g AS (SELECT *, CASE WHEN ts_event > lag(ts_event) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts_event, seq))", "k AS (SELECT *, sum(b) OVER (PARTITION BY symbol ORDER BY ts_event, seq) AS k FROM g)", "x AS (SELECT symbol, k, min(ts_event) AS session_start, max(ts_event) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_ticks, sum(size) AS size FROM k GROUP BY ALL)", select="SELECT symbol, session_start, session_end, n_ticks, size FROM x WHERE session_end <= (SELECT max(ts_event) - INTERVAL 10 MINUTE FROM ticks)"),

@@ -226,7 +226,15 @@ query("o7_walk_the_book_fill", sql(BOOK_SQL, FILL, "q AS (SELECT *, list_sum(tak
 SLIP = "sl AS (SELECT seq, size / greatest(ask_sz[1], 1) AS r, size FROM book WHERE action = 'T'), sm AS (SELECT *, CASE WHEN r <= 1 THEN 0.5 WHEN r <= 3 THEN 0.5 + 0.5 * (r - 1) / 2 ELSE 1.0 + 0.25 * (r - 3) END AS m FROM sl)"
 slip = lambda s, d: O.depth_slippage(market.book(s, d).where("action = 'T'").withColumn("depth", F.get("ask_sz", F.lit(0))))
 query("o8_depth_slippage_model", sql(BOOK_SQL, SLIP, select="SELECT seq, round(m, 6) AS slippage_ticks FROM sm"))(lambda s, d: rounded(slip(s, d).select("seq", "slippage_ticks")))
-query("o10_slippage_calibration", sql(BOOK_SQL, SLIP, "c AS (SELECT CASE WHEN m <= 0.5 THEN 'flat' WHEN m <= 1 THEN 'ramp' ELSE 'deep' END AS region, m AS model, (seq % 5) / 4.0 AS realised FROM sm)", select="SELECT region, count(*) AS n, round(avg(model), 6) AS model, round(avg(realised), 6) AS realised, round(sum(model * realised) / sum(model * model), 6) AS slope FROM c GROUP BY ALL"))(lambda s, d: rounded(O.slippage_calibration(slip(s, d).select(F.when(F.col("slippage_ticks") <= 0.5, "flat").when(F.col("slippage_ticks") <= 1, "ramp").otherwise("deep").alias("region"), F.col("slippage_ticks").alias("model"), (F.col("seq") % 5 / 4.0).alias("realised")))))
+O10 = (
+    "c AS (SELECT CASE WHEN m <= 0.5 THEN 'flat' WHEN m <= 1 THEN 'ramp' ELSE 'deep' END AS region, m AS model, (seq % 5) / 4.0 AS realised FROM sm)",
+    "cg AS (SELECT region, count(*) AS n, avg(abs(model)) AS model, avg(abs(realised)) AS realised, sum(abs(model) * abs(realised)) / sum(model * model) AS sl FROM c GROUP BY GROUPING SETS ((), (region)))",
+    "ch AS (SELECT *, least(greatest(sl, 0.1), 5.0) AS slope, CASE WHEN realised > 1e-9 THEN (model - realised) / realised END AS gap FROM cg)",
+)
+O10_SELECT = """SELECT region, n, round(model, 6) AS model, round(realised, 6) AS realised, round(slope, 6) AS slope, round(gap, 6) AS gap,
+       CASE WHEN n < 20 OR gap IS NULL THEN 'insufficient' WHEN abs(gap) <= 0.15 THEN 'well_calibrated' WHEN gap > 0 THEN 'over_calibrated' ELSE 'under_calibrated' END AS verdict FROM ch"""
+SLIP_LOG = lambda s, d: slip(s, d).select(F.when(F.col("slippage_ticks") <= 0.5, "flat").when(F.col("slippage_ticks") <= 1, "ramp").otherwise("deep").alias("region"), F.col("slippage_ticks").alias("model"), (F.col("seq") % 5 / 4.0).alias("realised"))
+query("o10_slippage_calibration", sql(BOOK_SQL, SLIP, *O10, select=O10_SELECT))(lambda s, d: rounded(O.slippage_calibration(SLIP_LOG(s, d))))
 query("o13_alpha_filter_top_k", sql(*AE, "r AS (SELECT symbol, CAST(hour(ts_event) AS INTEGER) AS rule, count(*) AS n, round(avg(pnl), 9) AS mean_pnl FROM trades GROUP BY ALL)", "p AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY mean_pnl DESC, rule) AS INTEGER) AS place FROM r WHERE n >= 5)", select="SELECT symbol, rule, n, round(mean_pnl, 6) AS mean_pnl, place FROM p WHERE place <= 3"))(lambda s, d: rounded(O.top_rules(exits(s, d).groupBy("symbol", F.hour("ts_event").alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pnl"), 9).alias("mean_pnl")), "symbol", "mean_pnl", 5, 3)))
 P5 = (
     """pe AS (
