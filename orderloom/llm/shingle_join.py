@@ -5,7 +5,8 @@
    arrays of each range's hashes by node, so a shuffle row holds thousands of them.
 2. Each bucket counts in how many sets its hashes occur and keeps those in two or more. A set with fewer shared hashes
    than a link needs is done. For the others, hashes in global order (rarest first) give the prefix of which linked sets
-   must share a hash; sets that share one are joined to candidate groups. All links lie inside a group.
+   must share a hash. The sets that hold a hash in their prefix are a candidate group; groups of the same first set are one,
+   so that the many hashes of one passage give one group. All links lie inside a group; groups do not merge into chains.
 3. Groups are dealt into blocks of bounded size. A block's sets go into a trie in global order; each set walks it from the
    root, so the overlap with a common beginning is counted once, and leaves a subtree when what remains of both can no
    longer reach the overlap that its set sizes ask for, or when all sets below are in the walker's component already.
@@ -29,7 +30,6 @@ from orderloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
 BUCKET_HASHES, BLOCK_SETS, SHARD_SETS = 1 << 21, 256, 2048
-LOW48 = np.uint64((1 << 48) - 1)
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ FOUND = "kind int, doc_id bigint, sig bigint, n bigint, token bigint, df int"
 
 
 def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """Rows of packed arrays. kind 0: doc_id, sig, n; kind 1: sig and count of hashes of each set, and the hashes' low 48 bits."""
+    """Rows of packed arrays. kind 0: doc_id, sig, n; kind 1: sig and count of hashes of each set, and the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,12 +95,11 @@ def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
                 bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 row, h, bucket = row[order], h[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                for b in np.flatnonzero(np.diff(edges)):
-                    r = row[edges[b] : edges[b + 1]]
+                there, edges = np.unique(bucket, return_index=True)
+                for b, lo, hi in zip(there.tolist(), edges, np.append(edges[1:], len(bucket)), strict=True):
+                    r = row[lo:hi]
                     new = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                    low = (h[edges[b] : edges[b + 1]] & LOW48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows.append((int(b), 1, sig[r[new]].tobytes(), np.diff(np.append(new, len(r))).astype(np.uint32).tobytes(), low.tobytes()))
+                    rows.append((b, 1, sig[r[new]].tobytes(), np.diff(np.append(new, len(r))).astype(np.uint32).tobytes(), h[lo:hi].astype("<u8").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "kind", "a", "b", "c"])
 
     return docs.mapInArrow(tidy(run), PASS)
@@ -108,15 +107,11 @@ def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
 
 def shared(table: pa.Table) -> pa.Table:
     """One bucket: its documents (kind 0) and the (sig, token, df) of hashes that two sets or more hold (kind 1)."""
-    bucket = table.column("bucket")[0].as_py()
     join = lambda rows, i, t: np.frombuffer(b"".join(r[i] for r in rows), t)
     rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b", "c")), strict=True))
     docs, sets = [r[1:] for r in rows if r[0] == 0], [r[1:] for r in rows if r[0] == 1]
     ids, sig, n = (join(docs, i, np.int64) for i in range(3))
-    raw = join(sets, 2, np.uint8).reshape(-1, 6)
-    low = np.zeros((len(raw), 8), np.uint8)
-    low[:, :6] = raw
-    low = low.view("<u8").ravel()
+    low = join(sets, 2, "<u8")
     owner = np.repeat(join(sets, 0, np.int64), join(sets, 1, np.uint32))
     ranked = np.sort(low)
     twice = ranked[1:][ranked[1:] == ranked[:-1]]
@@ -131,12 +126,11 @@ def shared(table: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
         df = np.repeat(np.diff(np.append(first, len(low))), np.diff(np.append(first, len(low))))
         low, owner, df = low[df > 1], owner[df > 1], df[df > 1]
-        with np.errstate(over="ignore"):
-            token = (low | (np.uint64(bucket & 0xFFFF) << np.uint64(48))).view(np.int64)
+        token = low.view(np.int64)
     else:
         owner = token = df = np.zeros(0, np.int64)
     k, m = len(ids), len(owner)
-    del rows, docs, sets, raw, ranked, twice
+    del rows, docs, sets, ranked, twice
     release()
     zero = lambda x: np.zeros(x, np.int64)
     return pa.table({
@@ -293,9 +287,8 @@ def across(members: DataFrame, walkers: DataFrame, blocks: DataFrame) -> DataFra
 
 def links_of(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
     """a, b: links between sets (sig, n, tokens), enough to join what is linked. prefixes: sig, token."""
-    heads = prefixes.groupBy("token").agg(F.min("sig").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    near = prefixes.join(heads, "token").where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b")).distinct()
-    groups = components(near).select(F.col("node").alias("sig"), "component")
+    heads = prefixes.groupBy("token").agg(F.min("sig").alias("component"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    groups = staged(prefixes.join(heads, "token").select("sig", "component").distinct(), "jaccard-groups")
     blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
     members = sets.join(groups, "sig").join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     members = staged(members.select("component", "block", "sig", "n", "tokens", "blocks"), "jaccard-members")
