@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.operators.clean import with_previous
 from orderloom.spec import BUY_SIDES, CANCEL_ACTIONS, KEY, SELL_SIDES, TS, bucket, by_time, is_trade, median, signed_size, so_far, trailing
 
 
@@ -38,19 +39,24 @@ def session_cvd(ticks: DataFrame, freq: str = "1 hour") -> DataFrame:
     return flow.withColumn("session_cvd", F.sum("cvd_delta").over(day))
 
 
-def buy_sell_volume(ticks: DataFrame, freq: str = "1 hour", trades_only: bool = True) -> DataFrame:
-    """Volume by aggressor. With no known side in the bucket, the tick rule (sign of close - open) gives it to one side."""
+def buy_sell_volume(ticks: DataFrame, freq: str = "1 hour", trades_only: bool = True, net: str | None = None, imbalance: str | None = None) -> DataFrame:
+    """Volume by aggressor. Where no tick of the table has a known side, the sign of the net flow column gives it; where that says
+    nothing either, the sign of the book's imbalance; else the tick rule, by which a price not below the one before is a buy.
+
+    Which of the four holds is decided once, from one row of counts.
+    """
     t = ticks.where(is_trade()) if trades_only else ticks
-    side, order = F.upper("side"), F.struct(TS, "seq")
-    b = t.groupBy(KEY, bucket(freq).alias(TS)).agg(
-        F.sum(F.when(side.isin(*BUY_SIDES), F.col("size")).otherwise(0.0)).alias("buy"), F.sum(F.when(side.isin(*SELL_SIDES), F.col("size")).otherwise(0.0)).alias("sell"),
-        F.sum("size").alias("volume"), (F.max_by("price", order) - F.min_by("price", order)).alias("move"), F.count(F.when(side.isin(*BUY_SIDES, *SELL_SIDES), 1)).alias("known"),
-    )
-    return b.select(
-        KEY, TS, "volume",
-        F.when(F.col("known") > 0, F.col("buy")).when(F.col("move") > 0, F.col("volume")).otherwise(0.0).alias("buy_volume"),
-        F.when(F.col("known") > 0, F.col("sell")).when(F.col("move") < 0, F.col("volume")).otherwise(0.0).alias("sell_volume"),
-    )
+    side = F.upper(F.trim("side"))
+    known = F.when(side.isin(*BUY_SIDES), 1).when(side.isin(*SELL_SIDES), -1).otherwise(0)
+    signs = [known, *[F.coalesce(F.signum(c).cast("int"), F.lit(0)) for c in (net, imbalance) if c]]
+    counts = t.agg(*[F.sum(F.abs(s)).alias(f"s{i}") for i, s in enumerate(signs)]).first()
+    chosen = next((s for i, s in enumerate(signs) if counts[i]), None)
+    if chosen is None:
+        t = with_previous(t, F.col("price"), "_before", *[c for c in ("seq",) if c in t.columns])
+        chosen = F.when(F.col("price") < F.col("_before"), -1).otherwise(1)
+    buy, sell = F.sum(F.when(chosen > 0, F.col("size")).otherwise(0.0)), F.sum(F.when(chosen < 0, F.col("size")).otherwise(0.0))
+    b = t.groupBy(KEY, bucket(freq).alias(TS)).agg(F.sum("size").alias("volume"), buy.alias("buy_volume"), sell.alias("sell_volume"))
+    return b.withColumn("buy_ratio", F.col("buy_volume") / F.greatest(F.col("buy_volume") + F.col("sell_volume"), F.lit(1.0)))
 
 
 def bar_vwap(ticks: DataFrame, freq: str = "1 hour", trades_only: bool = True) -> DataFrame:

@@ -99,9 +99,9 @@ def with_previous(df: DataFrame, value, out: str, *order: str) -> DataFrame:
     x = df.withColumns({"_day": day, "_value": value})
     w = Window.partitionBy(KEY, "_day").orderBy(TS, *order)
     ends = x.groupBy(KEY, "_day").agg(F.max_by(F.struct("_value"), at).alias("_end"))
-    carried = ends.select(KEY, "_day", F.lag("_end").over(Window.partitionBy(KEY).orderBy("_day")).alias("_before"))
+    carried = ends.select(KEY, "_day", F.lag("_end").over(Window.partitionBy(KEY).orderBy("_day")).alias("_carried"))
     x = x.withColumns({"_first": F.row_number().over(w) == 1, out: F.lag("_value").over(w)})
-    x = x.join(carried, [KEY, "_day"], "left").withColumn(out, F.when(F.col("_first"), F.col("_before._value")).otherwise(F.col(out)))
+    x = x.join(carried, [KEY, "_day"], "left").withColumn(out, F.when(F.col("_first"), F.col("_carried._value")).otherwise(F.col(out)))
     return x.select(*df.columns, out)
 
 

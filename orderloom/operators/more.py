@@ -360,7 +360,21 @@ def book_shares(ticks: DataFrame, book: DataFrame) -> DataFrame:
     return t.join(b, KEY)
 
 
-def health(df: DataFrame, columns: list[str], limit: float) -> DataFrame:
-    """column, null share and whether it is within the limit, with the number of rows."""
-    each = [F.struct(F.lit(c).alias("column"), F.avg(F.col(c).isNull().cast("double")).alias("null_share"), F.count(F.lit(1)).alias("n")) for c in columns]
-    return df.agg(F.array(*each).alias("a")).select(F.explode("a").alias("a")).select("a.*", (F.col("a.null_share") <= limit).alias("ok"))
+def health(df: DataFrame, required: list[str], forbidden: tuple[str, ...] = (), warn: float = 0.01, fail: float = 0.05, break_column: str = "session_break", lookback: int = 50, embargo: int = 24, ahead_bars: int = 24, least: int = 100) -> DataFrame:
+    """check, value, status (ok, warn, fail): the null share of each required column (absent: all), the number of forbidden columns
+    (targets that leak) that are there, and the samples whose window back and bars ahead hold no break.
+    """
+    n, i = F.count(F.lit(1)).over(Window.partitionBy(KEY)), F.row_number().over(by_time())
+    near = F.sum(F.coalesce(F.col(break_column).cast("int"), F.lit(0))).over(by_time().rowsBetween(-lookback, ahead_bars)) if break_column in df.columns else F.lit(0)
+    inside = (i > lookback) & (i <= n - embargo)
+    rows = df.withColumn("_sample", (inside & (near == 0)).cast("bigint"))
+    share = lambda c: F.avg(F.col(c).isNull().cast("double")) if c in df.columns else F.lit(1.0)
+    checks = [F.struct(F.lit(f"nulls:{c}").alias("check"), share(c).alias("value")) for c in required]
+    checks.append(F.struct(F.lit("forbidden").alias("check"), F.lit(float(len(set(forbidden) & set(df.columns)))).alias("value")))
+    checks.append(F.struct(F.lit("samples").alias("check"), F.sum("_sample").cast("double").alias("value")))
+    out = rows.agg(F.array(*checks).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+    v = F.col("value")
+    nulls = F.when(v > fail, "fail").when(v > warn, "warn").otherwise("ok")
+    few = F.when(v < least, "fail").when(v < 10 * least, "warn").otherwise("ok")
+    status = F.when(F.col("check") == "forbidden", F.when(v > 0, "fail").otherwise("ok")).when(F.col("check") == "samples", few).otherwise(nulls)
+    return out.withColumn("status", status)

@@ -11,7 +11,7 @@ from orderloom.operators.book import wall_scan
 from orderloom.operators.rolls import apply_offsets_to_book, combine_raw_files
 from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, SIGNED, TICKS_SQL, WINDOW, atr_bars, bars, flow_bars, frame, labelled, nxt, sql, stage
 from orderloom.plans.catalog import query
-from orderloom.plans.features import ID, PREV, TR, feature, tf, tick_feature
+from orderloom.plans.features import BREAK, ID, PREV, TR, feature, tf, tick_feature
 from orderloom.plans.flow import SESSION
 from orderloom.plans.labels import AB, AL, BARRIERS_SQL, A, barrier_labels
 from orderloom.plans.statistics import pairs, pairs_sql, ranks_sql
@@ -149,7 +149,20 @@ query("m25_feature_transfer")(lambda s, d: rounded(X.best_partner(flow_bars(s, d
 query("m28_ic_decay_table", sql(*FA, pairs_sql(horizons=(1, 2, 4, 8)), ranks_sql("feature, horizon"), select="SELECT feature, horizon, n, round(spearman, 6) AS spearman, round(pearson, 6) AS pearson FROM ic"))(lambda s, d: rounded(X.M.rank_correlation(X.M.long_pairs(rounded(flow_bars(s, d), 9), ["ofi", "volume"], [1, 2, 4, 8]), "feature", "horizon")))
 query("m31_seasonal_accuracy", sql(*FA, ATR, LABELS, "z AS (SELECT CAST(isodow(ts_event) - 1 AS INTEGER) AS weekday, label, sign(cvd_delta) AS s FROM flow_bars JOIN labelled USING (symbol, ts_event) WHERE label <> 0)", select="SELECT weekday, count(*) AS n, round(avg(CASE WHEN label = s THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM z GROUP BY ALL"))(lambda s, d: rounded(flow_bars(s, d).join(labelled(s, d).select(*ID, "label"), ID).where("label <> 0").groupBy(F.weekday("ts_event").alias("weekday")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.signum("cvd_delta")).cast("double")).alias("accuracy"))))
 query("n2_liquidity_report", sql(BOOK_SQL, "t AS (SELECT symbol, count(*) AS n_ticks, avg(CASE WHEN action = 'T' THEN 1.0 ELSE 0.0 END) AS ts FROM ticks GROUP BY ALL)", "k AS (SELECT symbol, avg((ask_px[1] - bid_px[1]) / 0.01) AS sp, avg(len(list_filter(bid_sz, lambda x: x > 0))) AS fl FROM book GROUP BY ALL)", select="SELECT symbol, n_ticks, round(ts, 6) AS trade_share, round(sp, 6) AS spread_ticks, round(fl, 6) AS filled_levels FROM t JOIN k USING (symbol)"))(lambda s, d: rounded(X.book_shares(T(s, d), BK(s, d))))
-query("n3_health_checks", sql(TICKS_SQL, BARS, f"r AS (SELECT close, lead(close, 40) OVER w AS far FROM bars {WINDOW})", select="SELECT 'close' AS \"column\", 0.0::DOUBLE AS null_share, count(*) AS n, true AS ok FROM r UNION ALL SELECT 'far', round(avg(CASE WHEN far IS NULL THEN 1.0 ELSE 0.0 END), 6), count(*), avg(CASE WHEN far IS NULL THEN 1.0 ELSE 0.0 END) <= 0.01 FROM r"))(lambda s, d: rounded(X.health(bars(s, d).withColumn("far", F.lead("close", 40).over(L.by_time())), ["close", "far"], 0.01)))
+N3 = f"""hr AS (
+  SELECT symbol, b.ts_event, b.close, lead(b.close, 8) OVER w AS far, session_break, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol) AS n,
+         sum(CAST(session_break AS INT)) OVER (PARTITION BY symbol ORDER BY b.ts_event ROWS BETWEEN 50 PRECEDING AND 24 FOLLOWING) AS br
+  FROM brk b WINDOW w AS (PARTITION BY symbol ORDER BY b.ts_event)),
+hc AS (
+  SELECT 'nulls:close' AS "check", avg(CASE WHEN close IS NULL THEN 1.0 ELSE 0.0 END) AS value FROM hr
+  UNION ALL SELECT 'nulls:far', avg(CASE WHEN far IS NULL THEN 1.0 ELSE 0.0 END) FROM hr UNION ALL SELECT 'nulls:absent', 1.0
+  UNION ALL SELECT 'forbidden', 1.0 UNION ALL SELECT 'samples', CAST(count(*) FILTER (i > 50 AND i <= n - 24 AND br = 0) AS DOUBLE) FROM hr)"""
+N3_SELECT = """SELECT "check", round(CAST(value AS DOUBLE), 6) AS value,
+       CASE WHEN "check" = 'forbidden' THEN CASE WHEN value > 0 THEN 'fail' ELSE 'ok' END WHEN "check" = 'samples' THEN CASE WHEN value < 100 THEN 'fail' WHEN value < 1000 THEN 'warn' ELSE 'ok' END
+            WHEN value > 0.05 THEN 'fail' WHEN value > 0.01 THEN 'warn' ELSE 'ok' END AS status FROM hc"""
+query("n3_health_checks", sql(TICKS_SQL, BARS, BREAK.replace("3 * median", "5 * median"), N3, select=N3_SELECT))(
+    lambda s, d: rounded(X.health(W.session_break_flag(bars(s, d), 5).withColumn("far", F.lead("close", 8).over(L.by_time())), ["close", "far", "absent"], ("far", "label")))
+)
 DUAL = (
     f"h AS (SELECT *, list(close) OVER {nxt(24)} AS x, greatest(atr, 1e-9) AS u FROM atr)",
     """e AS (

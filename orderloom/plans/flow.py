@@ -217,9 +217,31 @@ def d4(spark, d):
     return B.session_cvd(T(spark, d))
 
 
-@query("d5_buy_sell_volume", sql(TICKS_SQL, select="SELECT symbol, date_trunc('hour', t.ts_event) AS ts_event, sum(size) AS volume, sum(CASE WHEN side = 'A' THEN size ELSE 0 END) AS buy_volume, sum(CASE WHEN side = 'B' THEN size ELSE 0 END) AS sell_volume FROM ticks t WHERE action = 'T' GROUP BY ALL"))
+def d5_sql(source: str, buy: str, sell: str) -> str:
+    return f"""SELECT symbol, date_trunc('hour', t.ts_event) AS ts_event, sum(size) AS volume, sum(CASE WHEN {buy} THEN size ELSE 0 END) AS buy_volume,
+       sum(CASE WHEN {sell} THEN size ELSE 0 END) AS sell_volume,
+       round(sum(CASE WHEN {buy} THEN size ELSE 0 END) / greatest(sum(CASE WHEN {buy} OR {sell} THEN size ELSE 0 END), 1.0), 6) AS buy_ratio
+FROM {source} t WHERE action = 'T' GROUP BY ALL"""
+
+
+@query("d5_buy_sell_volume", sql(TICKS_SQL, select=d5_sql("ticks", "side = 'A'", "side = 'B'")))
 def d5(spark, d):
-    return B.buy_sell_volume(T(spark, d))
+    return rounded(B.buy_sell_volume(T(spark, d)))
+
+
+@query("d5_volume_by_imbalance", sql(BOOK_SQL, select=d5_sql("book", "bid_sz[1] > ask_sz[1]", "bid_sz[1] < ask_sz[1]")))
+def d5_imbalance(spark, d):
+    """A feed without sides: the book's imbalance decides."""
+    t = BK(spark, d).withColumns({"side": F.lit("N"), "net": F.lit(0.0), "obi": F.get("bid_sz", F.lit(0)) - F.get("ask_sz", F.lit(0))})
+    return rounded(B.buy_sell_volume(t, net="net", imbalance="obi"))
+
+
+D5_RULE = "pt AS (SELECT *, coalesce(price < lag(price) OVER (PARTITION BY symbol ORDER BY ts_event, seq), false) AS down FROM ticks WHERE action = 'T')"
+
+
+@query("d5_volume_by_tick_rule", sql(TICKS_SQL, D5_RULE, select=d5_sql("pt", "NOT down", "down")))
+def d5_rule(spark, d):
+    return rounded(B.buy_sell_volume(T(spark, d).withColumn("side", F.lit("N"))))
 
 
 @query("d6_bar_vwap", sql(TICKS_SQL, select="SELECT symbol, date_trunc('hour', t.ts_event) AS ts_event, round(sum(price * size) / greatest(sum(size), 1e-9), 6) AS micro_price FROM ticks t WHERE action = 'T' GROUP BY ALL"))
