@@ -23,11 +23,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group that links reach. Rows without doc_id are outside of groups."""
+    """One document, that of the smallest doc_id, of each group that links reach. Rows without doc_id are outside of groups.
+
+    Equal rows of one doc_id are one; rows of one doc_id with different texts all stay if one of them does, so nothing is lost.
+    """
     found = shingle_join.jaccard_components(docs)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     whole = docs.join(stay, "doc_id", "left_semi")
-    once = whole.dropDuplicates(["doc_id"]) if whole.groupBy("doc_id").count().where("count > 1").limit(1).count() else whole
+    once = whole.dropDuplicates(["doc_id", "text"]) if whole.groupBy("doc_id").count().where("count > 1").limit(1).count() else whole
     return once.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
