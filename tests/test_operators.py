@@ -148,3 +148,48 @@ def test_bars_do_not_depend_on_partitioning(spark, sf_dir):
     t = market.ticks(spark, sf_dir)
     one = sorted(map(tuple, B.ohlcv_bars(t.coalesce(1)).collect()))
     assert one == sorted(map(tuple, B.ohlcv_bars(t.repartition(13, "seq")).collect()))
+
+
+@pytest.mark.parametrize("t,freedom", [(2.0, 10), (0.5, 3), (3.5, 100), (0.0, 5), (1.3, 1)])
+def test_students_p(t, freedom):
+    import math
+
+    density = lambda x: math.exp(math.lgamma((freedom + 1) / 2) - math.lgamma(freedom / 2)) / math.sqrt(freedom * math.pi) * (1 + x * x / freedom) ** (-(freedom + 1) / 2)
+    n = 4000  # Simpson's rule from 0 to t
+    inner = sum((1 if k in (0, n) else 4 if k % 2 else 2) * density(t * k / n) for k in range(n + 1)) * t / n / 3
+    assert stats.student_p(t, freedom) == pytest.approx(1 - 2 * inner, abs=1e-9)
+
+
+def test_ranks_and_percentiles_are_exact(spark):
+    values = [(i * 7919) % 101 / 4 for i in range(500)] + [3.0] * 40
+    df = spark.createDataFrame([("g", v) for v in values] + [("h", 1.0)], "g string, v double")
+    got = {r.v: r.r for r in stats.with_ranks(df, {"v": "r"}, "g").where("g = 'g'").collect()}
+    ordered = sorted(values)
+    for v, r in got.items():
+        at = [i + 1 for i, x in enumerate(ordered) if x == v]
+        assert r == sum(at) / len(at)
+    p = stats.percentiles(df.where("g = 'g'"), "v", [0.0, 0.25, 0.5, 0.99, 1.0]).first()
+    import numpy as np
+
+    assert p.n == len(values)
+    assert [p.p0, p.p1, p.p2, p.p3, p.p4] == pytest.approx(np.percentile(values, [0, 25, 50, 99, 100]).tolist())
+
+
+def test_one_trade_at_a_time_with_cooldown(spark):
+    rows = [("A", T0 + timedelta(hours=a), T0 + timedelta(hours=b)) for a, b in ((0, 2), (1, 3), (2, 4), (3, 5), (5, 6))]
+    t = spark.createDataFrame(rows, "symbol string, ts_event timestamp_ntz, ts_exit timestamp_ntz")
+    hours = lambda df: sorted(r.ts_event.hour - T0.hour for r in df.collect())
+    assert hours(trades.one_at_a_time(t)) == [0, 2, 5]
+    assert hours(trades.one_at_a_time(t, 3600.0)) == [0, 3]
+    assert hours(trades.one_at_a_time(t, 3 * 3600.0)) == [0, 5]
+
+
+def test_barriers_by_regime_session_and_rescue(spark):
+    flat = (0.0, 0.1, -0.1, 0.0, 1.0)
+    b = bars_of(spark, [flat, (0.0, 0.9, 0.0, 0.8, 1.0), flat, flat]).withColumn("regime", F.lit("calm")).withColumn("session", F.lit("early"))
+    first = lambda **k: labels.triple_barrier(b, horizon=3, **k).orderBy("ts_event").first()
+    assert (first().label, first().outcome, first().bars_held) == (0, "timeout", 3)
+    assert (first(regimes={"calm": (0.5, 2)}).label, first(regimes={"calm": (0.5, 2)}).outcome) == (1, "up")
+    assert first(session_ends={"early": 11}).bars_held == 1
+    assert first(session_ends={"early": 10}).bars_held == 0
+    assert first(rescue_ratio=2.0, rescue_move=0.5).label == 1 and first(rescue_ratio=2.0, rescue_move=1.0).label == 0
