@@ -78,9 +78,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         at = end
 
 
-def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
+def words_of(texts: pa.Array, lower: bool = True, word_byte: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, pa.Array]:
     """Words `[^\x20\x09-\x0D]+` of each text (A-Z lowered): row offsets and the flat words. A null text has no words.
 
+    word_byte: which bytes words are made of, if others than these; all or none of the bytes above 127.
+
     Done on bytes: white space is left out of the buffer and the words' offsets into what stays are set, so no word is
     copied by itself. (Arrow's own ASCII splitter also cuts at the bytes 0x85 and 0xA0, which end letters such as a-grave.)
     """
@@ -91,7 +93,7 @@ def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
-    inside = WORD_BYTE[data]
+    inside = word_byte[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edge = ends[:-1][ends[:-1] < len(data)]
