@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.llm import (
+    alignment,
+    bag_search,
     decontamination,
     line_dedup,
     lm_scoring,
     maxscore,
     packing,
     pii,
+    quality,
     shingle_join,
     token_counts,
     toxicity,
@@ -33,8 +36,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": lambda spark, d: warc.op8_warc(table(spark, d, "pages")),
         "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents")),
         "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op11_bag_search": lambda spark, d: bag_search.op11_bag_search(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op12_alignment": lambda spark, d: alignment.op12_alignment(table(spark, d, "documents")),
+        "op13_quality": lambda spark, d: quality.op13_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": maxscore.OP2_SQL, "op8_warc": warc.OP8_SQL}
+    return {"op2_top_k": maxscore.OP2_SQL, "op8_warc": warc.OP8_SQL, "op11_bag_search": bag_search.OP11_SQL}
