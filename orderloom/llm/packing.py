@@ -63,11 +63,12 @@ class PartIds:
     The vocabulary lowers case and cuts words into letters, digits and runs of other characters before it merges. A word
     of Latin letters with plain marks behind it so has the ids of its letters, then those of its marks; other words are a
     part as they are. Letters not met before go to the library many at once, told apart by the tokens that end words;
-    lowered ASCII letters without the steps that leave them as they are (normalising, cutting).
+    lowered ASCII letters without the steps that leave them as they are (normalising, cutting). U+0130 is no such letter: its
+    lower case ends in a combining mark, which goes with the marks behind it.
     """
 
     KEPT, AT_ONCE = 500_000, 500
-    WORD = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)(?P<marks>[.,;:!?]*)$"
+    WORD = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)(?P<marks>[.,;:!?]*)$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from orderloom.llm import packing
@@ -76,3 +77,19 @@ def test_bounded_space_and_bitset():
         used[at] = offset + n
         assert bins.open <= 5 and bins.bits == sum(1 << f for f in range(101) if bins.free[f])
     assert len(used) <= 1.12 * sum(used.values()) / 100
+
+
+def test_ids_of_odd_letters_against_the_library():
+    rnd = random.Random(9)
+    library = Tokenizer.from_file(PATH)
+    low, high = [chr(c) for c in range(1, 0x250)], [chr(c) for c in range(0x250, 0x3000, 7)]
+    some = ["EKONOM\u0130.", "GELD\u0130!", "\u0130", "i\u0307.", "\u0130stanbul,", *(c + m for c in low for m in (".", "a.", "!?"))]
+    some += ["".join(rnd.choices(low, k=rnd.randint(1, 9))) + rnd.choice([".", "!", "", " "]) + "".join(rnd.choices(low + high, k=5)) for _ in range(8000)]
+    parts = packing.PartIds(PATH)
+    for i in range(0, len(some), 500):
+        block = some[i : i + 500]
+        coded = packing.words_of(pa.array(block, pa.large_string()), lower=False)
+        ids = parts.words(coded[1]).to_pylist()
+        for n, text in enumerate(block):
+            got = [x for own in ids[coded[0][n] : coded[0][n + 1]] for x in own]
+            assert got == library.encode(text, add_special_tokens=False).ids, text
