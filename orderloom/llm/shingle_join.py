@@ -5,9 +5,10 @@
    arrays of each range's hashes by node, so a shuffle row holds thousands of them.
 2. Each bucket counts in how many sets its hashes occur and keeps those in two or more. A set with fewer shared hashes
    than a link needs is done. For the others, hashes in global order (rarest first) give the prefix of which linked sets
-   must share a hash. The sets that hold a hash in their prefix are a candidate group; groups of the same first set are one,
-   so that the many hashes of one passage give one group. All links lie inside a group; groups do not merge into chains.
-3. Groups are dealt into blocks of bounded size. A block's sets go into a trie in global order; each set walks it from the
+   must share a hash. The sets of two neighbouring bands of size that hold a hash in their prefix are a candidate group, so
+   a long text that quotes many short ones meets none of them; groups of the same first set and band are one, so that the many
+   hashes of one passage give one group. All links lie inside a group; groups do not merge into chains.
+3. Groups are dealt into blocks of bounded numbers of sets and hashes. A block's sets go into a trie in global order; each set walks it from the
    root, so the overlap with a common beginning is counted once, and leaves a subtree when what remains of both can no
    longer reach the overlap that its set sizes ask for, or when all sets below are in the walker's component already.
 4. A group of more than one block is finished exactly by walks across blocks: one set of each component against every
@@ -17,19 +18,26 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.common import hash_words, mix, release, slices, staged, tidy, words_of
 from orderloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
-BUCKET_HASHES, BLOCK_SETS, SHARD_SETS = 1 << 21, 256, 2048
+BUCKET_HASHES = 1 << 21
+#: Bounds of a block of a group (sets and their hashes), and the hashes that one task of blocks holds on average.
+BLOCK_SETS, BLOCK_HASHES, SHARD_HASHES = 256, 1 << 19, 1 << 20
+#: Hashes of a set in one row.
+ROW_HASHES = 2048
+#: Ratio of the sizes at a band's ends: a little more than 100 / PERCENT, so that linked sets are in one band or in two neighbours.
+BAND = 1.34
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -224,25 +232,29 @@ class Trie:
             stack += [(kid, common) for kid in node.kids.values()]
 
 
-def _lists(table: pa.Table, column: str = "tokens") -> list[list[int]]:
-    return table.column(column).to_pylist()
+def whole_sets(table: pa.Table, *keys: str) -> Iterator[tuple[tuple, list[int]]]:
+    """The rows of each set put together: its key columns, and its hashes in ascending order."""
+    parts: dict[tuple, list] = {}
+    for *key, tokens in zip(*(table.column(c).to_pylist() for c in keys), table.column("tokens"), strict=True):
+        parts.setdefault(tuple(key), []).append(tokens.values.to_numpy(zero_copy_only=False))
+    for key, tokens in parts.items():
+        yield key, np.sort(np.concatenate(tokens)).tolist()
 
 
 def self_links(table: pa.Table) -> pa.Table:
     """Links inside each (component, block) of the table; enough of them to join what is linked."""
     out: list[tuple[int, int]] = []
-    cols = [table.column(c).to_pylist() for c in ("component", "block", "sig", "n")] + [_lists(table)]
     groups: dict[tuple, list] = {}
-    for c, b, *rest in zip(*cols, strict=True):
-        groups.setdefault((c, b), []).append(rest)
+    for (component, block, sig, n), tokens in whole_sets(table, "component", "block", "sig", "n"):
+        groups.setdefault((component, block), []).append((n, sig, tokens))
     for members in groups.values():
-        members.sort(key=lambda m: (m[1], m[0]))
+        members.sort(key=lambda m: m[:2])
         trie = Trie()
-        for _, n, tokens in members:
+        for n, _, tokens in members:
             x = trie.add(n)
             trie.walk(x, tokens)
             trie.insert(x, tokens)
-        out += [(members[a][0], members[b][0]) for a, b in trie.links]
+        out += [(members[a][1], members[b][1]) for a, b in trie.links]
     return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
 
 
@@ -251,17 +263,15 @@ def cross_links(block: pa.Table, walkers: pa.Table) -> pa.Table:
     out: list[tuple[int, int]] = []
     if block.num_rows and walkers.num_rows:
         trie, sigs, seen = Trie(), [], {}
-        rows = [list(zip(*(t.column(c).to_pylist() for c in ("sig", "n", "label")), _lists(t), strict=True)) for t in (block, walkers)]
-        added = []
-        for sig, n, label, tokens in rows[0] + rows[1]:
-            x = trie.add(n, seen.get(label))
-            seen.setdefault(label, x)
-            sigs.append(sig)
-            added.append((x, tokens))
-        for x, tokens in added[: len(rows[0])]:
-            trie.insert(x, tokens)
-        for x, tokens in added[len(rows[0]) :]:
-            trie.walk(x, tokens)
+        for rows, step in ((block, trie.insert), (walkers, trie.walk)):
+            added = []
+            for (sig, n, label), tokens in whole_sets(rows, "sig", "n", "label"):
+                x = trie.add(n, seen.get(label))
+                seen.setdefault(label, x)
+                sigs.append(sig)
+                added.append((x, tokens))
+            for x, tokens in added:
+                step(x, tokens)
         out = [(sigs[a], sigs[b]) for a, b in trie.links]
     return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
 
@@ -269,30 +279,42 @@ def cross_links(block: pa.Table, walkers: pa.Table) -> pa.Table:
 EDGE = "a bigint, b bigint"
 
 
+SET = ["component", "block", "sig", "n", "c", "tokens"]
+
+
+def portions(size: Column | str = "tokens") -> Column:
+    """How many blocks or parts a group of rows needs: by its sets (a set's first row has c = 0) and by its hashes."""
+    sets, hashes = F.sum(F.when(F.col("c") == 0, 1).otherwise(0)), F.sum(F.size(size) if isinstance(size, str) else size)
+    return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(hashes / BLOCK_HASHES)).cast("int")
+
+
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).select(F.col("node").alias("sig"), F.col("component").alias("label_"))
-    return members.join(found, "sig", "left").select("component", "block", "sig", "n", "tokens", F.coalesce("label_", "sig").alias("label"))
+    return members.join(found, "sig", "left").select(*SET, F.coalesce("label_", "sig").alias("label"))
 
 
 def across(members: DataFrame, walkers: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each walker against every block of its group, in parts of at most about BLOCK_SETS walkers."""
-    parts = walkers.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts"))
+    """Each walker against every block of its group, in parts as large as blocks."""
+    parts = walkers.groupBy("component").agg(portions().alias("parts"))
     dealt = walkers.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("sig", F.lit("walk")), F.col("parts")).cast("int"))
-    each = dealt.join(blocks, "component").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = dealt.drop("block").join(blocks, "component").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = members.join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cols = ["component", "block", "part", "sig", "n", "tokens", "label"]
-    key = ["component", "block", "part"]
+    cols, key = [*SET, "part", "label"], ["component", "block", "part"]
     return held.select(*cols).groupBy(*key).cogroup(each.select(*[F.col(c).alias(c) for c in cols]).groupBy(*key)).applyInArrow(cross_links, EDGE)
 
 
 def links_of(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """a, b: links between sets (sig, n, tokens), enough to join what is linked. prefixes: sig, token."""
-    heads = prefixes.groupBy("token").agg(F.min("sig").alias("component"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    groups = staged(prefixes.join(heads, "token").select("sig", "component").distinct(), "jaccard-groups")
-    blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
-    members = sets.join(groups, "sig").join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    members = staged(members.select("component", "block", "sig", "n", "tokens", "blocks"), "jaccard-members")
-    shards = max(1, -(-members.count() // SHARD_SETS))
+    """a, b: links between sets, enough to join what is linked. sets: sig, n, c, tokens, a row for each ROW_HASHES of a set's hashes;
+    prefixes: sig, n, size (hashes in all rows), token."""
+    band = F.floor(F.log("n") / F.lit(math.log(BAND))).cast("int")
+    near = prefixes.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    heads = near.groupBy("token", "band").agg(F.min("sig").alias("head"), F.count(F.lit(1)).alias("m"), F.max(F.col("own") == F.col("band")).alias("home"))
+    heads = heads.where("m > 1 and home").select("token", "band", F.xxhash64("head", "band").alias("component"))
+    groups = staged(near.join(heads, ["token", "band"]).select("sig", "size", "component").distinct(), "jaccard-groups")
+    blocks = groups.withColumn("c", F.lit(0)).groupBy("component").agg(portions(F.col("size")).alias("blocks"))
+    dealt = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    members = staged(sets.join(dealt, "sig").select(*SET, "blocks"), "jaccard-members")
+    shards = max(1, -(-(members.agg(F.sum(F.size("tokens"))).first()[0] or 0) // SHARD_HASHES))
     own = members.groupBy(F.pmod(F.xxhash64("component", "block"), F.lit(shards)).alias("shard")).applyInArrow(self_links, EDGE)
     links = staged(own, "jaccard-links")
     large = members.where("blocks > 1")
@@ -304,10 +326,10 @@ def links_of(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
     walkers = now.join(heads.select("component", "sig"), ["component", "sig"], "left_semi")
     links = staged(links.union(across(now, walkers, blocks)), "jaccard-links")
     then = staged(labelled(large, links), "jaccard-labels")
-    sizes = then.groupBy("component", "label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = then.where("c = 0").groupBy("component", "label").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("component").agg(F.max_by("label", F.col("size").cast("double") + F.pmod("label", F.lit(1 << 20)) / F.lit(float(1 << 21))).alias("main"))
     rest = then.join(main, "component").where("label <> main").join(heads.select("component", "sig"), ["component", "sig"], "left_anti")
-    rest = staged(rest.select("component", "block", "sig", "n", "tokens", "label"), "jaccard-rest")
+    rest = staged(rest.select(*SET, "label"), "jaccard-rest")
     if rest.isEmpty():
         return links
     return staged(links.union(across(then, rest, blocks)), "jaccard-links")
@@ -329,9 +351,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = found.where("kind = 1").groupBy("sig").agg(F.collect_list(F.struct("df", "token")).alias("t")).join(nodes.select("sig", "n"), "sig")
     need = F.ceil(F.col("n") * PERCENT / 100)
     held = held.where(F.size("t") >= need).select("sig", "n", F.sort_array("t").alias("t"), (F.size("t") - need + 1).cast("int").alias("p"))
-    held = staged(held.select("sig", "n", F.transform("t", lambda x: x["token"]).alias("t"), "p"), "jaccard-held")
-    prefixes = held.select("sig", F.explode(F.slice("t", 1, F.col("p"))).alias("token"))
-    links = links_of(held.select("sig", "n", F.sort_array("t").alias("tokens")), prefixes)
+    t, p = F.transform("t", lambda x: x["token"]), F.col("p")
+    rows = F.transform(F.sequence(F.lit(0), ((F.size("t") - 1) / ROW_HASHES).cast("int")), lambda i: F.slice(t, i * ROW_HASHES + 1, F.lit(ROW_HASHES)))
+    held = staged(held.select("sig", "n", F.size("t").alias("size"), p, F.posexplode(rows).alias("c", "tokens")), "jaccard-held")
+    first = F.col("p") - F.col("c") * ROW_HASHES  # of this row's hashes so many belong to the prefix
+    prefixes = held.where(first > 0).select("sig", "n", "size", F.explode(F.slice("tokens", F.lit(1), first)).alias("token"))
+    links = links_of(held.select("sig", "n", "c", "tokens"), prefixes)
     reach = components(links).select(F.col("node").alias("sig"), "component")
     known = nodes.join(reach, "sig", "left").select("sig", "first_id", F.coalesce("component", "sig").alias("component"))
     least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))

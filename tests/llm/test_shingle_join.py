@@ -48,9 +48,11 @@ def corpus(n, seed, edits):
     return rows
 
 
-@pytest.mark.parametrize("block,bucket,edits", [(256, 1 << 22, 5), (8, 300, 4), (5, 2000, 9)])
-def test_against_all_pairs(spark, monkeypatch, block, bucket, edits):
+@pytest.mark.parametrize("block,bucket,edits,hashes,row", [(256, 1 << 22, 5, 1 << 19, 2048), (8, 300, 4, 1 << 19, 7), (5, 2000, 9, 1 << 19, 40), (256, 1 << 22, 5, 900, 30)])
+def test_against_all_pairs(spark, monkeypatch, block, bucket, edits, hashes, row):
     monkeypatch.setattr(sj, "BLOCK_SETS", block)
+    monkeypatch.setattr(sj, "BLOCK_HASHES", hashes)
+    monkeypatch.setattr(sj, "ROW_HASHES", row)
     monkeypatch.setattr(sj, "BUCKET_HASHES", bucket)
     rows = corpus(260, block, edits)
     rows += [(2000, "", 0, "", 1), (2001, None, 0, "", 1), (2002, " \n ", 0, "", 1), (2003, "One two", 0, "", 1), (2004, "one  TWO", 0, "", 1), (2005, "one", 0, "", 1), (2006, "x " * 30000, 0, "", 1), rows[0], rows[0]]
@@ -65,6 +67,38 @@ def test_text_of_many_distinct_words(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(2, 2, 2), (3, 2, 2), (7, 199996, 7), (9, 199997, 7)]
 
 
+def test_one_text_that_quotes_thousands(spark):
+    """It is near none of those it quotes, so it must not be carried into their groups."""
+    rnd = random.Random(3)
+    vocab = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(3000)]
+    short = [" ".join(rnd.choices(vocab, k=30)) for _ in range(3000)]
+    near = [s + " tail" for s in short[:50]]
+    rows = [(i, t, 0, "", 1) for i, t in enumerate([*short, *near, " ".join(short), " ".join(short) + " end"])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.component_id for r in sj.op3_jaccard(df).collect()}
+    assert got == {i: i for i in range(3000)} | {3000 + i: i for i in range(50)} | {3050: 3050, 3051: 3050}
+    sets, hashes = links_input(sj, df)
+    assert sets <= 102 and hashes < 200_000  # the two long texts once each, and the pairs of short ones
+
+
+def links_input(module, df):
+    """Sets and hashes that reach the groups' members for these documents."""
+    seen, real = {}, module.staged
+
+    def counted(frame, name):
+        out = real(frame, name)
+        if name == "jaccard-members":
+            seen["n"] = (out.select("sig").distinct().count(), out.selectExpr("sum(size(tokens))").first()[0])
+        return out
+
+    module.staged = counted
+    try:
+        module.op3_jaccard(df).count()
+    finally:
+        module.staged = real
+    return seen["n"]
+
+
 def test_empty_table(spark):
     assert sj.op3_jaccard(spark.createDataFrame([], SCHEMA)).collect() == []
 
