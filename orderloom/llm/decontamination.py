@@ -13,6 +13,11 @@ Seeds are windows of words under fixed masks that ignore the words at their zero
 Window hashes of the benchmark are a sorted index; every window of every document is looked up in it. The diagonal of each
 hit is then searched for the stretch with the most equal words among those that count.
 
+A phrase that many items share would send a document that holds it to all of them. But the seeds of a stretch of ten equal
+words or more together reach over at least EXTENT words (the tests go through all such patterns; a longer stretch holds a shorter one
+that counts, as one of its halves does). So an item whose frequent seeds all lie within fewer words goes without them: each of its
+stretches has a rare seed too. And a diagonal whose hits reach over fewer words is not looked at.
+
 The index of a benchmark is small beside the corpus and is sent to the tasks, in parts of at most INDEX_ROWS windows: a
 larger benchmark takes one pass over the documents for each part, never more memory.
 """
@@ -31,8 +36,12 @@ from pyspark.sql.types import StructType
 from orderloom.llm.common import arrow_schema, hash_words, mix, slices, staged, tidy, words_of
 
 MASKS = ("1111", "11101", "10111")
-#: Diagonals whose words are counted at once.
-DIAGONALS = 1 << 14
+#: Hits that are gathered at once, and words that are compared at once.
+HITS, COMPARED = 1 << 20, 1 << 20
+#: Places in items beyond which a seed is frequent.
+FREQUENT = 64
+#: Words over which the seeds of a stretch with ten equal words reach at least.
+EXTENT = 6
 #: Equal words for one changed word in a stretch, and the fewest words of an item.
 FOR_ONE, LEAST_ITEM = 3, 5
 INDEX_ROWS = 1 << 20
@@ -88,54 +97,102 @@ class Index:
                     self.ids.append(item)
                     self.words.append(h[a:b].copy())
                 self.same.append((first[key], item))
-        parts: dict[str, list] = {}
-        for i, w in enumerate(self.words):
-            for mask in MASKS:
-                got = windows(w, mask)
-                parts.setdefault(mask, []).append((got, np.full(len(got), i), np.arange(len(got))))
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.every, self.begin = np.concatenate([*self.words, np.zeros(0, np.uint64)]), np.cumsum(self.length) - self.length
+        self.least = np.array([least_equal(n) for n in self.length], np.int64)
+        self.extent = np.where(self.least == 10, EXTENT, 0)
+        seeds = {}
+        for mask in MASKS if self.words else ():
+            rows = [windows(w, mask) for w in self.words]
+            size = np.array([len(r) for r in rows])
+            text = np.repeat(np.arange(len(rows)), size)
+            seeds[mask] = np.concatenate(rows), text, np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+        frequent, first, last = {}, np.full(len(self.words), 1 << 40), np.full(len(self.words), -1)
+        for mask, (hashes, text, at) in seeds.items():
+            _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
+            frequent[mask] = often = count[back] > FREQUENT
+            np.minimum.at(first, text[often], at[often])
+            np.maximum.at(last, text[often], at[often] + len(mask))
+        spared = last - first < self.extent
         self.masks = {}
-        for mask, rows in parts.items():
-            hashes, text, at = (np.concatenate([r[k] for r in rows]) for k in range(3))
+        for mask, (hashes, text, at) in seeds.items():
+            stay = ~(frequent[mask] & spared[text])
+            hashes, text, at = hashes[stay], text[stay], at[stay]
             order = np.argsort(hashes, kind="stable")
             bits = np.zeros(1 << 22, bool)
             bits[hashes & np.uint64((1 << 22) - 1)] = True
             self.masks[mask] = hashes[order], text[order], at[order], bits
 
-    def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
-        """(row, item, first word in the text, first word in the item, words, equal words) of each verified stretch."""
-        starts, h = word_hashes(texts)
-        length = np.array([len(w) for w in self.words], np.int64)
-        every, begin = np.concatenate([*self.words, np.zeros(0, np.uint64)]), np.cumsum(length) - length
-        least = np.array([least_equal(n) for n in length], np.int64)
-        out: set[tuple[int, int, int, int, int, int]] = set()
-        for mask, (hashes, text, at, bits) in self.masks.items():
+    def hits(self, starts: np.ndarray, h: np.ndarray) -> dict[str, tuple[np.ndarray, ...]]:
+        """By mask: row, place in h, first place in the index and number of places of each window that the index holds, by row."""
+        out = {}
+        for mask, (hashes, _, _, bits) in self.masks.items():
             got = windows(h, mask)
             hit = np.flatnonzero(bits[got & np.uint64((1 << 22) - 1)])
             low, high = (np.searchsorted(hashes, got[hit], side=s) for s in ("left", "right"))
             row = np.searchsorted(starts, hit, side="right") - 1
             use = (high > low) & (hit + len(mask) <= starts[np.minimum(row + 1, len(starts) - 1)])
-            hit, low, row, n = hit[use], low[use], row[use], (high - low)[use]
-            until = np.cumsum(n)
-            for k in range(0, int(until[-1]) if len(until) else 0, DIAGONALS):  # a window of many items takes many parts
-                each = np.arange(k, min(k + DIAGONALS, int(until[-1])))
+            out[mask] = row[use], hit[use], low[use], (high - low)[use]
+        return out
+
+    def diagonals(self, hits: dict[str, tuple[np.ndarray, ...]], lo: int, hi: int) -> np.ndarray:
+        """row, text, start (the place in h of the text's first word), and the words over which the hits reach, for rows from lo to hi.
+
+        Hits are gathered HITS at a time and at once reduced to one row a diagonal.
+        """
+        best = np.zeros((0, 5), np.int64)
+        for mask, (row, hit, low, n) in hits.items():
+            _, text, at, _ = self.masks[mask]
+            a, b = np.searchsorted(row, (lo, hi))
+            until = np.cumsum(n[a:b])
+            for k in range(0, int(until[-1]) if len(until) else 0, HITS):
+                each = np.arange(k, min(k + HITS, int(until[-1])))
                 of = np.searchsorted(until, each, side="right")
-                which = low[of] + each - (until - n)[of]
-                part = np.stack([row[of], text[which], hit[of] - at[which]], 1)
-                part = part[np.lexsort(part.T[::-1])]
-                part = part[np.append(True, (part[1:] != part[:-1]).any(1))]
-                r, i, start = part.T
-                lo, hi = np.maximum(start, starts[r]), np.minimum(start + length[i], starts[r + 1])
-                size = hi - lo
-                ahead = np.cumsum(size) - size
-                step = np.arange(size.sum())
-                same = h[step + np.repeat(lo - ahead, size)] == every[step + np.repeat(begin[i] + lo - start - ahead, size)]
-                equal = np.add.reduceat(same, ahead, dtype=np.int64)
-                for j in np.flatnonzero(equal >= least[i]).tolist():
-                    a, b, words = stretch(same[ahead[j] : ahead[j] + size[j]])
-                    if words >= least[i[j]]:
-                        out.add((int(r[j]), self.ids[i[j]], int(lo[j] + a - starts[r[j]]), int(lo[j] + a - start[j]), b - a, words))
+                which = low[a:b][of] + each - (until - n[a:b])[of]
+                place = hit[a:b][of]
+                best = reduced(np.concatenate([best, np.stack([row[a:b][of], text[which], place - at[which], at[which], at[which] + len(mask)], 1)]))
+        return best[best[:, 4] - best[:, 3] >= self.extent[best[:, 1]]]
+
+    def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
+        """(row, item, first word in the text, first word in the item, words, equal words) of each verified stretch."""
+        if not self.words:
+            return []
+        starts, h = word_hashes(texts)
+        hits = self.hits(starts, h)
+        total = np.cumsum(sum(np.bincount(row, n, len(starts) - 1) for row, _, _, n in hits.values()))
+        out: list[tuple[int, int, int, int, int, int]] = []
+        at = 0
+        while at < len(total) and (total[at - 1] if at else 0) < total[-1]:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HITS, side="right")))
+            r, i, start = self.diagonals(hits, at, end).T[:3]
+            lo, hi = np.maximum(start, starts[r]), np.minimum(start + self.length[i], starts[r + 1])
+            words = np.cumsum(hi - lo)
+            k = 0
+            while k < len(r):
+                m = max(k + 1, int(np.searchsorted(words, (words[k - 1] if k else 0) + COMPARED, side="right")))
+                out += self.verified(h, starts, r[k:m], i[k:m], start[k:m], lo[k:m], (hi - lo)[k:m])
+                k = m
+            at = end
         return sorted(out)
 
+    def verified(self, h: np.ndarray, starts: np.ndarray, r: np.ndarray, i: np.ndarray, start: np.ndarray, lo: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """The best stretch of each diagonal, where it counts."""
+        ahead = np.cumsum(size) - size
+        step = np.arange(size.sum())
+        same = h[step + np.repeat(lo - ahead, size)] == self.every[step + np.repeat(self.begin[i] + lo - start - ahead, size)]
+        equal = np.add.reduceat(same, ahead, dtype=np.int64)
+        for j in np.flatnonzero(equal >= self.least[i]).tolist():
+            a, b, words = stretch(same[ahead[j] : ahead[j] + size[j]])
+            if words >= self.least[i[j]]:
+                yield int(r[j]), self.ids[i[j]], int(lo[j] + a - starts[r[j]]), int(lo[j] + a - start[j]), b - a, words
+
+
+def reduced(rows: np.ndarray) -> np.ndarray:
+    """One row for each (row, text, start): the first and last word that its hits cover."""
+    rows = rows[np.lexsort(rows.T[2::-1])]
+    new = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(1)))[: len(rows)]
+    return np.column_stack([rows[new, :3], np.minimum.reduceat(rows[:, 3], new), np.maximum.reduceat(rows[:, 4], new)]) if len(rows) else rows
+
 
 def stretch(same: np.ndarray) -> tuple[int, int, int]:
     """Begin, end and equal words of the stretch with the most equal words among those with at most one changed word for

@@ -125,3 +125,67 @@ def test_all_pairs_against_brute_force(spark):
     bench = spark.createDataFrame([(i, " ".join(w), 0) for i, w in enumerate(items)], ITEMS)
     assert {(r.doc_id, r.item_id) for r in dc.op4_decontamination(frame, bench).collect()} == want
     assert {r.doc_id for r in dc.clean(frame, bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
+
+
+def test_seeds_of_ten_equal_words_reach_over_the_extent():
+    """Over all patterns of ten equal words or more that count: the words from the first seed to the end of the last one."""
+    masks = [[k for k, x in enumerate(reversed(m)) if x == "1"] for m in dc.MASKS]
+    spans = [len(m) for m in dc.MASKS]
+    states, least = {(0, 0, 0, 0, None, None)}, 99  # the last five words, words, equal, changed, words since the first seed began and the last one ended
+    for n in range(1, 26):
+        after = set()
+        for bits, long, equal, changed, first, last in states:
+            for bit in (0, 1) if n > 1 else (1,):
+                e, c = equal + bit, changed + 1 - bit
+                if e > 19 or c > 6:
+                    continue
+                b, m = (bits << 1 | bit) & 31, min(5, long + 1)
+                f, q = (None, None) if first is None else (first + 1, last + 1)
+                for own, span in zip(masks, spans, strict=True):
+                    if m >= span and all(b >> k & 1 for k in own):
+                        f, q = max(f or 0, span), 0
+                if f is None or f - q < 12:
+                    after.add((b, m, e, c, f, q))
+        states = after
+        least = min([least, *(0 if f is None else f - q for b, _, e, c, f, q in states if e >= 10 and 3 * c <= e and b & 1)])
+    assert least == dc.EXTENT
+
+
+@pytest.mark.parametrize("frequent,hits", [(2, 1 << 20), (2, 50), (64, 7)])
+def test_common_phrases_against_brute_force(monkeypatch, frequent, hits):
+    import pyarrow as pa
+
+    monkeypatch.setattr(dc, "FREQUENT", frequent)
+    monkeypatch.setattr(dc, "HITS", hits)
+    monkeypatch.setattr(dc, "COMPARED", hits)
+    rnd = random.Random(frequent + hits)
+    vocab = [f"w{k}" for k in range(80)]
+    opening, end = "which of the following is", "none of these"
+    items = [[*opening.split(), *rnd.choices(vocab, k=rnd.choice([2, 8, 14])), *(end.split() if rnd.random() < 0.5 else [])] for _ in range(40)]
+    index = dc.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    texts = []
+    for _ in range(150):
+        part = [rnd.choice(vocab) if rnd.random() < 0.2 else x for x in rnd.choice(items)]
+        texts.append(rnd.choices(vocab, k=rnd.randint(0, 9)) + rnd.choice([[], opening.split()]) + part)
+    want = set()
+    for d, w in enumerate(texts):
+        for i, item in enumerate(items):
+            for start in range(1 - len(item), len(w)):
+                lo, hi = max(start, 0), min(start + len(item), len(w))
+                if brute_stretch([w[k] == item[k - start] for k in range(lo, hi)]) >= dc.least_equal(len(item)):
+                    want.add((d, i))
+    assert {m[:2] for m in index.matches(pa.array([" ".join(w) for w in texts]))} == want
+
+
+def test_a_common_opening_costs_nothing():
+    import time
+
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    vocab = [f"w{k}" for k in range(30_000)]
+    index = dc.Index([(i, "what is the name of " + " ".join(rnd.choices(vocab, k=20))) for i in range(20_000)])
+    texts = pa.array([" ".join(rnd.choices(vocab, k=100)) + " what is the name of " + " ".join(rnd.choices(vocab, k=100)) for _ in range(50)])
+    began = time.process_time()
+    assert index.matches(texts) == []
+    assert time.process_time() - began < 0.2
