@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from orderloom.functions.scan import affine_scan, ewm, ewms
+from orderloom.functions.scan import Recurrence, affine_scan, ewm, numbered, scan
 from orderloom.operators.clean import micros
 from orderloom.spec import KEY, SESSIONS, TS, ahead, by_time, exact_mean, median, so_far, trailing
 
@@ -66,8 +66,12 @@ def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def macd_histogram(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewms(bars, {"_f": ("close", 2 / (fast + 1)), "_s": ("close", 2 / (slow + 1))}).withColumn("macd", F.col("_f") - F.col("_s"))
-    return ewm(df, "macd", 2 / (signal + 1), "_g").withColumn("macd_hist", F.col("macd") - F.col("_g")).drop("_f", "_s", "_g")
+    """Difference of two exponential means, less its own exponential mean: one recurrence of three numbers."""
+    f, s, g = (2 / (n + 1) for n in (fast, slow, signal))
+    close = F.col("close")
+    means = Recurrence(["_f", "_s", "_g"], [[1 - f, 0, 0], [0, 1 - s, 0], [g * (1 - f), -g * (1 - s), 1 - g]], [f * close, s * close, g * (f - s) * close], [close, close, 0.0])
+    df = scan(bars, [means]).withColumn("macd", F.col("_f") - F.col("_s"))
+    return df.withColumn("macd_hist", F.col("macd") - F.col("_g")).drop("_f", "_s", "_g")
 
 
 def multi_horizon_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 4, 12)) -> DataFrame:
@@ -300,18 +304,55 @@ def daily_range_fuel(bars: DataFrame, n: int = 20, least: int = 3, default_range
     }).drop("_d", "_run")
 
 
-def local_level_trend(bars: DataFrame, obs_noise: float = 1.0, trans_noise: float = 0.1, steps: int = 64) -> DataFrame:
-    """Local-level filter of the close. Its gains do not depend on the data, so it is a linear recurrence with known factors."""
-    gains, p = [], obs_noise
-    for _ in range(steps):
+def level_gains(obs_noise: float, trans_noise: float) -> list[float]:
+    """Gains of the local-level filter until they stay the same; the first row is taken as it is, its variance being 1."""
+    p = obs_noise / (1 + obs_noise)  # what is left of a variance of 1 after the first row
+    gains: list[float] = []
+    while len(gains) < 2 or abs(gains[-1] - gains[-2]) > 1e-15:
         p += trans_noise
         gains.append(p / (p + obs_noise))
         p *= 1 - gains[-1]
-    arr = F.array(*[F.lit(g) for g in gains])
-    df = bars.withColumn("_n", F.row_number().over(by_time()))
-    df = df.withColumn("_k", F.when(F.col("_n") == 1, 1.0).otherwise(F.element_at(arr, F.least(F.col("_n") - 1, F.lit(steps)).cast("int"))))
-    df = affine_scan(df, 1 - F.col("_k"), F.col("_k") * F.col("close"), "level")
-    return df.withColumn("trend_sign", F.signum(F.col("level") - F.lag("level").over(by_time()))).drop("_n", "_k")
+    return gains
+
+
+def trend_gains(process_var: float, obs_var: float) -> list[tuple[float, float]]:
+    """Gains of level and slope of the local linear trend until they stay the same, from unit variances."""
+    import numpy as np
+
+    move, p = np.array([[1.0, 1.0], [0.0, 1.0]]), np.eye(2)
+    gains: list[tuple[float, float]] = []
+    while len(gains) < 2 or max(abs(x - y) for x, y in zip(gains[-1], gains[-2], strict=True)) > 1e-15:
+        p = move @ p @ move.T + np.eye(2) * process_var
+        k = p[:, 0] / (p[0, 0] + obs_var)
+        p = p - np.outer(k, p[0])
+        gains.append((float(k[0]), float(k[1])))
+    return gains
+
+
+def local_level_trend(
+    bars: DataFrame, obs_noise: float = 1e-3, trans_noise: float = 1e-5, process_var: float = 1e-4, obs_var: float = 1e-2, slope_threshold: float = 0.05
+) -> DataFrame:
+    """Kalman filters of the close. level and trend_sign: the local level and the sign of its step. trend_level and trend_slope:
+    level and slope of the local linear trend; trend_strength: the slope's size by the largest so far; trend: 1 or -1 where that
+    share passes the threshold, else 0.
+
+    Gains do not depend on the data: they are worked out beforehand by row number, so each filter is a linear recurrence with
+    known factors. A missing close takes the last one.
+    """
+    close = F.coalesce("close", F.last("close", ignorenulls=True).over(so_far()), F.lit(0.0))
+    one, two = level_gains(obs_noise, trans_noise), trend_gains(process_var, obs_var)
+    at = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), F.least(n, F.lit(len(values))).cast("int"))
+    df = numbered(bars.withColumn("_z", close), "_n")
+    df = df.withColumn("_k", F.when(F.col("_n") == 1, 1.0).otherwise(at(one, F.greatest(F.col("_n") - 1, F.lit(1)))))
+    df = df.withColumn("_k0", at([k for k, _ in two], F.col("_n"))).withColumn("_k1", at([k for _, k in two], F.col("_n")))
+    k, k0, k1, z = (F.col(c) for c in ("_k", "_k0", "_k1", "_z"))
+    level = Recurrence(["level"], [[1 - k]], [k * z], [0.0])
+    trend = Recurrence(["trend_level", "trend_slope"], [[1 - k0, 1 - k0], [-k1, 1 - k1]], [k0 * z, k1 * z], [z, 0.0])
+    df = scan(df, [level, trend]).drop("_n", "_z", "_k", "_k0", "_k1")
+    share = F.col("trend_slope") / F.greatest(F.max(F.abs("trend_slope")).over(so_far()), F.lit(1e-10))
+    df = df.withColumn("trend_sign", F.coalesce(F.signum(F.col("level") - F.lag("level").over(by_time())), F.lit(0.0))).withColumn("_share", share)
+    side = F.when(F.col("_share") > slope_threshold, 1).when(F.col("_share") < -slope_threshold, -1).otherwise(0)
+    return df.withColumn("trend", side).withColumn("trend_strength", F.abs("_share")).drop("_share")
 
 
 def causal_window_bundle(df: DataFrame, column: str, n: int = 10) -> DataFrame:

@@ -200,7 +200,21 @@ E28_SELECT = """round(u, 6) AS usual_range, round(run / u, 6) AS range_used, rou
        CAST(round(greatest(u - run, 0), 6) <= u * 0.1 AS INT) AS range_spent,
        CASE WHEN hour(ts_event) = 8 THEN 0 WHEN close > top THEN 1 WHEN close < bot THEN -1 ELSE 0 END AS first_hour_state FROM dd"""
 feature("e28_daily_range_fuel", lambda s, d: W.daily_range_fuel(bars(s, d)), ["usual_range", "range_used", "range_left", "range_spent", "first_hour_state"], (TICKS_SQL, BARS, *E28), E28_SELECT)
-query("e29_local_level_trend")(lambda s, d: rounded(W.local_level_trend(bars(s, d)).select(*ID, "level", "trend_sign")))
+# both filters row by row, with their variances beside them
+E29 = """n AS (SELECT symbol, ts_event, close AS z, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) AS i FROM bars),
+r(symbol, i, y, v, l, s, p, q, w) AS (
+  SELECT symbol, i, z, 0.001 / 1.001, z, CAST(0 AS DOUBLE), 2.0001 - 2.0001 * 2.0001 / 2.0101, 1 - 2.0001 / 2.0101, 1.0001 - 1 / 2.0101 FROM n WHERE i = 1
+  UNION ALL
+  SELECT symbol, i, y + (v + 1e-5) / (v + 1.01e-3) * (z - y), (v + 1e-5) * 1e-3 / (v + 1.01e-3),
+         l + s + k * (z - l - s), s + m * (z - l - s), (1 - k) * pp, (1 - k) * qq, ww - m * qq
+  FROM (SELECT *, pp / (pp + 1e-2) AS k, qq / (pp + 1e-2) AS m
+        FROM (SELECT n.symbol, n.i, n.z, y, v, l, s, p + 2 * q + w + 1e-4 AS pp, q + w AS qq, w + 1e-4 AS ww FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1))),
+x AS (SELECT n.symbol, ts_event, y, l, s, sign(round(y - lag(y) OVER o, 9)) AS g, s / greatest(max(abs(s)) OVER (PARTITION BY n.symbol ORDER BY ts_event ROWS UNBOUNDED PRECEDING), 1e-10) AS t
+      FROM n JOIN r ON n.symbol = r.symbol AND n.i = r.i WINDOW o AS (PARTITION BY n.symbol ORDER BY ts_event))"""
+query(
+    "e29_local_level_trend",
+    recursive(TICKS_SQL, BARS, E29, select="SELECT symbol, ts_event, round(y, 6) AS level, CAST(coalesce(g, 0) AS DOUBLE) AS trend_sign, round(l, 6) AS trend_level, round(s, 6) AS trend_slope, round(abs(t), 6) AS trend_strength, CASE WHEN round(t, 9) > 0.05 THEN 1 WHEN round(t, 9) < -0.05 THEN -1 ELSE 0 END AS trend FROM x"),
+)(lambda s, d: rounded(W.local_level_trend(bars(s, d)).select(*ID, "level", "trend_sign", "trend_level", "trend_slope", "trend_strength", "trend")))
 feature(
     "e30_causal_window_bundle", lambda s, d: W.causal_window_bundle(bars(s, d), "volume"), ["volume_lag_mean", "volume_lag_std", "volume_lag_min", "volume_lag_max"], (TICKS_SQL, BARS),
     f"round(avg(volume) OVER {frame(10, 1)}, 6) AS volume_lag_mean, round(stddev_samp(volume) OVER {frame(10, 1)}, 6) AS volume_lag_std, min(volume) OVER {frame(10, 1)} AS volume_lag_min, max(volume) OVER {frame(10, 1)} AS volume_lag_max FROM bars",

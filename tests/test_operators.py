@@ -193,3 +193,48 @@ def test_barriers_by_regime_session_and_rescue(spark):
     assert first(session_ends={"early": 11}).bars_held == 1
     assert first(session_ends={"early": 10}).bars_held == 0
     assert first(rescue_ratio=2.0, rescue_move=0.5).label == 1 and first(rescue_ratio=2.0, rescue_move=1.0).label == 0
+
+
+def test_scans_equal_plain_loops_over_any_chunks(spark):
+    import numpy as np
+    from orderloom.functions.scan import Recurrence, numbered, scan
+
+    rnd = np.random.default_rng(4)
+    start = datetime(2024, 1, 1)
+    rows = [(s, start + timedelta(minutes=int(m)), float(rnd.normal()), float(rnd.uniform(0.2, 1.1))) for s, n in (("A", 300), ("B", 1), ("C", 40)) for m in np.sort(rnd.choice(5000, n, replace=False))]
+    df = spark.createDataFrame(rows, "symbol string, ts_event timestamp_ntz, x double, a double").repartition(3)
+    both = [Recurrence(["y"], [[F.col("a")]], [F.col("x")], [2.0]), Recurrence(["u", "v"], [[0.5, F.col("a")], [-0.25, 0.75]], [F.col("x"), 0.0], [F.col("x"), 1.0])]
+    want = {}
+    for s in "ABC":
+        y, z = 2.0, None
+        for i, (_, t, x, a) in enumerate(r for r in rows if r[0] == s):
+            z = np.array([x, 1.0]) if z is None else z
+            y, z = a * y + x, np.array([[0.5, a], [-0.25, 0.75]]) @ z + np.array([x, 0.0])
+            want[s, t] = (i + 1, y, *z)
+    for seconds in (60, 1800, 10**7):
+        got = {(r.symbol, r.ts_event): (r.n, r.y, r.u, r.v) for r in scan(numbered(df, "n", seconds), both, seconds).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9) for k in want)
+
+
+def test_trend_filters_equal_the_plain_recursion(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    close = 100 + np.cumsum(rnd.normal(0, 0.5, 400))
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([("A", start + timedelta(hours=i), float(c)) for i, c in enumerate(close)], "symbol string, ts_event timestamp_ntz, close double")
+    got = W.local_level_trend(df).orderBy("ts_event").collect()
+    y, v = close[0], 1.0
+    state, cov, top = np.array([close[0], 0.0]), np.eye(2), 0.0
+    move, see = np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([1.0, 0.0])
+    for i, (z, r) in enumerate(zip(close, got, strict=True)):
+        v = v + (1e-5 if i else 0.0)
+        k = v / (v + 1e-3)
+        y, v = y + k * (z - y), (1 - k) * v
+        state, cov = move @ state, move @ cov @ move.T + np.eye(2) * 1e-4
+        gain = cov @ see / (see @ cov @ see + 1e-2)
+        state = state + gain * (z - see @ state)
+        cov = (np.eye(2) - np.outer(gain, see)) @ cov
+        top = max(top, abs(state[1]))
+        assert np.allclose([r.level, r.trend_level, r.trend_slope, r.trend_strength], [y, *state, abs(state[1]) / max(top, 1e-10)], atol=1e-9)
+        assert r.trend == (0 if abs(state[1]) <= 0.05 * max(top, 1e-10) else int(np.sign(state[1])))
