@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.functions.stage import staged
 from orderloom.operators.windows import forward_return
 from orderloom.spec import KEY, TS, by_time, median
 
@@ -31,13 +32,70 @@ def cumulated(df: DataFrame, value: str, *by: str, buckets: int = 64) -> DataFra
     return n.join(totals, [*by, "_b"]).withColumn("_before", before).drop("_b", "_p")
 
 
-def with_ranks(df: DataFrame, columns: dict[str, str], *by: str) -> DataFrame:
-    """Adds for each column (the key, none null) its rank within the groups under another name, ties sharing their mean rank."""
-    out = df
-    for value, name in columns.items():
-        c = cumulated(df, value, *by)
-        out = out.join(c.select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name)), [*by, value])
-    return out
+def in_ranges(df: DataFrame, columns: list[str], *by: str, buckets: int = 64) -> DataFrame:
+    """Adds _b0, _b1, ...: for each column the range of its value within the group.
+
+    Approximate percentiles of each group, one small row, are the edges. Ranges between two edges are even numbers; a value
+    equal to an edge has the odd one of its own, so a value that many rows share is alone in its range.
+    """
+    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    edges = df.groupBy(*by).agg(*[F.array_distinct(F.percentile_approx(c, cuts, F.lit(1000))).alias(f"_e{i}") for i, c in enumerate(columns)])
+    # a row for each group of the result, some kilobytes each: groups are features, horizons and the like
+    out = df.join(F.broadcast(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))
+    place = lambda e, v: 2 * F.size(F.filter(e, lambda x: x < F.col(v))) + F.array_contains(e, F.col(v)).cast("int")
+    return out.withColumns({f"_b{i}": place(f"_e{i}", c) for i, c in enumerate(columns)}).drop(*[f"_e{i}" for i in range(len(columns))])
+
+
+def with_ranks(df: DataFrame, columns: dict[str, str], *by: str, buckets: int = 64) -> DataFrame:
+    """Adds for each column (the key, none null) its rank within the groups under another name, ties sharing their mean rank.
+
+    Rows are ordered within ranges only; rows below a range are counts. The rows of a value that is an edge need no order, so
+    they are dealt over tasks however many they are.
+    """
+    values = list(columns)
+    rows = in_ranges(df, values, *by, buckets=buckets)
+    each = range(len(values))
+    counts = rows.groupBy(*by, *[f"_b{i}" for i in each]).agg(F.count(F.lit(1)).alias("_n"))  # some thousands of rows a group at most
+    out = rows
+    for i, value in enumerate(values):
+        key = [*by, f"_b{i}"]
+        total = counts.groupBy(*key).agg(F.sum("_n").alias(f"_t{i}"))
+        below = Window.partitionBy(*by).orderBy(f"_b{i}").rowsBetween(Window.unboundedPreceding, -1)
+        total = total.withColumn(f"_p{i}", F.coalesce(F.sum(f"_t{i}").over(below), F.lit(0)))
+        out = out.join(F.broadcast(total), key)
+        alone = F.col(f"_b{i}") % 2 == 1
+        part = [*key, F.when(alone, F.pmod(F.xxhash64(*df.columns), F.lit(buckets))).otherwise(F.lit(0))]
+        inside = F.rank().over(Window.partitionBy(*part).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*part, value)) - 1) / 2
+        rank = F.col(f"_p{i}") + F.when(alone, (F.col(f"_t{i}") + 1) / 2).otherwise(inside)
+        out = out.withColumn(columns[value], rank.cast("double")).drop(f"_t{i}", f"_p{i}")
+    return out.select(*df.columns, *columns.values())
+
+
+def with_places(df: DataFrame, value: str, ties: list[str], out: str, *by: str, buckets: int = 64) -> DataFrame:
+    """Adds the number of each row in its group by (value, ties), from 1, and _size, the rows of the group. ties[0] is a time.
+
+    As with_ranks; the rows of a value that is an edge are cut further by weeks of the time.
+    """
+    week = F.floor(F.unix_micros(F.col(ties[0]).cast("timestamp")) / F.lit(7 * 86_400_000_000))
+    rows = in_ranges(df, [value], *by, buckets=buckets).withColumn("_w", F.when(F.col("_b0") % 2 == 1, week).otherwise(F.lit(0)))
+    counts = rows.groupBy(*by, "_b0", "_w").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_b0", "_w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "_b0", "_w", before.alias("_p"), F.sum("_n").over(whole).alias("_size"))
+    rows = rows.join(counts, [*by, "_b0", "_w"])
+    inside = F.row_number().over(Window.partitionBy(*by, "_b0", "_w").orderBy(value, *ties))
+    return rows.withColumn(out, F.col("_p") + inside).select(*df.columns, out, "_size")
+
+
+def in_time_order(df: DataFrame, out: str, *by: str) -> DataFrame:
+    """Adds the number of each row in its group by (time, symbol), from 1, and _size: weeks are counted, rows numbered within theirs."""
+    x = df.withColumn("_w", F.floor(F.unix_micros(F.col(TS).cast("timestamp")) / F.lit(7 * 86_400_000_000)))
+    counts = x.groupBy(*by, "_w").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "_w", before.alias("_p"), F.sum("_n").over(whole).alias("_size"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_w").orderBy(TS, KEY))
+    return x.join(counts, [*by, "_w"]).withColumn(out, F.col("_p") + inside).drop("_w", "_p")
 
 
 def percentiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
@@ -62,7 +120,8 @@ def long_pairs(df: DataFrame, features: list[str], horizons: list[int], extra: l
     x = df.select(KEY, TS, *extra, *[F.col(f).cast("double").alias(f) for f in features], *[f"fwd_ret_{h}" for h in horizons])
     x = x.unpivot([KEY, TS, *extra, *[f"fwd_ret_{h}" for h in horizons]], features, "feature", "x")
     y = x.unpivot([KEY, TS, *extra, "feature", "x"], [f"fwd_ret_{h}" for h in horizons], "horizon", "y")
-    return y.where("x is not null and y is not null").withColumn("horizon", F.regexp_extract("horizon", r"([0-9]+)$", 1).cast("int"))
+    y = y.where("x is not null and y is not null").withColumn("horizon", F.regexp_extract("horizon", r"([0-9]+)$", 1).cast("int"))
+    return staged(y, "pairs")  # edges, counts and ranks each read them
 
 
 def rank_correlation(pairs: DataFrame, *by: str, least: int = 30) -> DataFrame:
@@ -75,9 +134,8 @@ def rank_correlation(pairs: DataFrame, *by: str, least: int = 30) -> DataFrame:
 
 def block_stability(pairs: DataFrame, blocks: int = 8) -> DataFrame:
     """Spearman on consecutive blocks of each (feature, horizon): mean, deviation and share of one sign."""
-    w = Window.partitionBy("feature", "horizon").orderBy(TS, KEY)
-    n = F.count(F.lit(1)).over(Window.partitionBy("feature", "horizon"))
-    b = pairs.withColumn("block", F.floor((F.row_number().over(w) - 1) * blocks / n).cast("int"))
+    b = in_time_order(pairs, "_i", "feature", "horizon")
+    b = staged(b.withColumn("block", F.floor((F.col("_i") - 1) * blocks / F.col("_size")).cast("int")).drop("_i", "_size"), "blocks")
     ic = rank_correlation(b, "feature", "horizon", "block")
     return ic.groupBy("feature", "horizon").agg(F.avg("spearman").alias("mean_ic"), F.stddev_samp("spearman").alias("std_ic"), F.avg((F.col("spearman") > 0).cast("double")).alias("positive_share"))
 
@@ -86,9 +144,9 @@ def walk_forward(pairs: DataFrame, windows: int = 8, least: int = 30) -> DataFra
     """Spearman on each window after the first, of equal numbers of rows in time order: mean, deviation, share of windows with
     the mean's sign (0.5 for a mean of nothing), number of windows; no row with fewer than three.
     """
-    w = Window.partitionBy("feature", "horizon").orderBy(TS, KEY)
-    step = F.floor(F.count(F.lit(1)).over(Window.partitionBy("feature", "horizon")) / windows)
-    b = pairs.withColumn("_s", step).withColumn("block", F.floor((F.row_number().over(w) - 1) / F.greatest(F.col("_s"), F.lit(1))).cast("int")).drop("_s")
+    b = in_time_order(pairs, "_i", "feature", "horizon")
+    step = F.greatest(F.floor(F.col("_size") / windows), F.lit(1))
+    b = staged(b.withColumn("block", F.floor((F.col("_i") - 1) / step).cast("int")).drop("_i", "_size"), "windows")
     ic = rank_correlation(b.where((F.col("block") > 0) & (F.col("block") < windows)), "feature", "horizon", "block", least=least)
     m = ic.withColumn("_m", F.avg("spearman").over(Window.partitionBy("feature", "horizon")))
     same = F.when(F.abs("_m") <= 1e-9, 0.5).otherwise((F.signum("spearman") == F.signum("_m")).cast("double"))
@@ -118,7 +176,10 @@ def mutual_information(pairs: DataFrame, bins: int = 20, *by: str) -> DataFrame:
     by = by or ("feature", "horizon")
     q = pairs
     for c in ("x", "y"):
-        q = q.withColumn(f"b{c}", F.ntile(bins).over(Window.partitionBy(*by).orderBy(c, TS, KEY)))
+        q = with_places(q, c, [TS, KEY], "_i", *by)
+        large, short = F.col("_size") % bins, F.floor(F.col("_size") / bins)  # the first bins are one row larger
+        at = F.when(F.col("_i") <= large * (short + 1), F.ceil(F.col("_i") / (short + 1))).otherwise(large + F.ceil((F.col("_i") - large * (short + 1)) / F.greatest(short, F.lit(1))))
+        q = q.withColumn(f"b{c}", at).drop("_i", "_size")
     n = q.groupBy(*by, "bx", "by").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*by)
     total, nx, ny = F.sum("n").over(w), F.sum("n").over(Window.partitionBy(*by, "bx")), F.sum("n").over(Window.partitionBy(*by, "by"))
@@ -141,7 +202,7 @@ def shift_leak(df: DataFrame, features: list[str], horizon: int, shifts: tuple[i
             moved.append((f"{f}@{s}", value.cast("double")))
     wide = df.select(KEY, TS, F.col(f"fwd_ret_{horizon}").alias("y"), *[v.alias(n) for n, v in moved])
     long = wide.unpivot([KEY, TS, "y"], [n for n, _ in moved], "feature", "x").where("x is not null and y is not null")
-    ic = rank_correlation(long, "feature")
+    ic = rank_correlation(staged(long, "shifted"), "feature")
     return ic.select(F.regexp_extract("feature", r"^(.*)@", 1).alias("feature"), F.regexp_extract("feature", r"@(-?[0-9]+)$", 1).cast("int").alias("shift"), "n", "spearman")
 
 

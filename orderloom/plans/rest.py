@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from orderloom.functions.stage import folder
 from orderloom.operators import joins as J
 from orderloom.operators import more as X
 from orderloom.operators import stats as M
@@ -18,7 +19,6 @@ from orderloom.plans.catalog import query
 from orderloom.plans.composed import CELLS
 from orderloom.plans.features import ID, feature, tf
 from orderloom.plans.labels import AB, A
-from orderloom.plans.state import folder
 from orderloom.sources import market
 from orderloom.spec import rounded
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from orderloom.functions.stage import folder
 from orderloom.plans.base import BARS, FLOW, TICKS_SQL, sql
 from orderloom.plans.catalog import query
 from orderloom.sources import market
@@ -16,14 +16,6 @@ from orderloom.streaming import jobs
 PARTS = 3
 
 
-def folder(spark) -> str:
-    """A folder that executors share: the session's spark.checkpoint.dir; in local mode a temporary one where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (named or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}").rstrip("/")
-
-
 def in_parts(df):
     """The rows in a few parts of ascending time."""
     cuts = df.agg(F.percentile(F.unix_micros(F.col("ts_event").cast("timestamp")), F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])).alias("c")).first().c
