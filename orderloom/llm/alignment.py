@@ -89,7 +89,7 @@ def align(a: list[int], b: list[int], bytes_a: list[int], bytes_b: list[int], wi
 
 
 class Aligner:
-    """Both tokenizers, and the aligned words of a partition."""
+    """Both tokenizers, and the aligned words of a partition: a word is a number into arrays."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -107,26 +107,70 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.width = len(pieces)
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.known: dict[str, tuple[int, int, list[int], str] | None] = {}
+        self.size_a, self.size_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
+        # what a token is written as, with what follows it within a group and at its end
+        self.inner = [np.array([f"{i}," for i in range(n)], object) for n in (len(self.bytes_a), self.width)]
+        self.outer = [np.array([f"{i}{c}" for i in range(n)], object) for n, c in ((len(self.bytes_a), "|"), (self.width, ";"))]
+        self.digits = [np.array([len(x) for x in own], np.int64) for own in self.inner]
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.written: list[str] = []
+        self.n_a, self.n_b, self.n_links, self.begin, self.pool = (np.zeros(0, np.int64) for _ in range(5))
 
     def learn(self, words: list[str]) -> None:
         part, size = [], 0
         for w in words:
+            if "▁" in w:  # never given back as it is
+                self._add([w], [""], np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
+                continue
             part.append(w)
             size += len(w)
             if size >= AT_ONCE:
                 self._learn(part)
                 part, size = [], 0
-        self._learn(part)
+        if part:
+            self._learn(part)
+
+    def _add(self, words: list[str], written: list[str], n_a: np.ndarray, n_b: np.ndarray, n_links: np.ndarray, links: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.written), len(self.written) + len(words)), strict=True))
+        self.written += written
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(n_links) - n_links])
+        self.n_a, self.n_b, self.n_links, self.pool = (np.concatenate(x) for x in ((self.n_a, n_a), (self.n_b, n_b), (self.n_links, n_links), (self.pool, links)))
 
     def _learn(self, words: list[str]) -> None:
-        if not words:
+        """Words without U+2581, encoded as one text that is cut between them. Where a word isn't given back, each by itself."""
+        text = " ".join(words)
+        whole = f" {text}".encode()
+        a = np.array(self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(text, num_threads=1), np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        bounds = np.cumsum([len(w.encode()) + 1 for w in words])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        if not (b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == whole and np.isin(bounds, common).all()):
+            for w in words:
+                self._alone(w)
             return
-        for w, e, b in zip(words, self.a.encode_batch([f" {w}" for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True):
-            a, whole = e.ids, f" {w}".encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            self.known[w] = (len(a), len(b), *align(a, b, self.size_a, self.size_b, self.width)) if same else None
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        last_a, last_b = ends_a == common[group_a], ends_b == common[group_b]
+        pieces, sizes = np.empty(len(a) + len(b), object), np.empty(len(a) + len(b), np.int64)
+        at_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
+        at_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+        for at, ids, last, k in ((at_a, a, last_a, 0), (at_b, b, last_b, 1)):
+            pieces[at], sizes[at] = np.where(last, self.outer[k][ids], self.inner[k][ids]), self.digits[k][ids]
+        n = len(words)
+        n_a, n_b, n_links = (np.bincount(np.searchsorted(bounds, ends), minlength=n) for ends in (ends_a, ends_b, common))
+        line, stops = "".join(pieces.tolist()), np.cumsum(sizes)[np.cumsum(n_a + n_b) - 1].tolist()
+        written = [line[s : e - 1] for s, e in zip([0, *stops[:-1]], stops, strict=True)]
+        self._add(words, written, n_a, n_b, n_links, a[last_a] * self.width + b[last_b])
+
+    def _alone(self, word: str) -> None:
+        a, b, whole = self.a.encode(f" {word}", add_special_tokens=False).ids, self.b.encode(word), f" {word}".encode()
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+        links, written = align(a, b, self.size_a, self.size_b, self.width) if same else ([], "")
+        one = lambda x: np.array([x if same else 0], np.int64)
+        self._add([word], [written], one(len(a)), one(len(b)), one(len(links)), np.array(links, np.int64))
 
     def measure(self, texts: pa.Array) -> list[tuple[int, int, str, bytes]]:
         """Of each text: tokens of A and B, SHA-256 of the groups, links as packed 64-bit pairs. Without tokens: 0, 0, '', b''."""
@@ -134,27 +178,20 @@ class Aligner:
         coded = flat.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) > KEPT:
-            self.known.clear()
+            self.clear()
         self.learn([w for w in words if w not in self.known])
-        found = [self.known[w] for w in words]
-        good = np.array([f is not None for f in found], bool)
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(flat) else np.zeros(0, np.int64)
-        n_a, n_b = (np.array([f[i] if f else 0 for f in found], np.int64) for i in (0, 1))
-        links = [f[2] if f else [] for f in found]
-        n_links = np.array([len(x) for x in links], np.int64)
-        pool = np.fromiter((x for own in links for x in own), np.int64, int(n_links.sum()))
-        begin = np.cumsum(n_links) - n_links
-        written = [f[3] if f else "" for f in found]
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        codes = number[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
         out = []
         for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             own = codes[s:e]
-            if s == e or not good[own].all():
+            n = self.n_links[own]
+            if s == e or not n.all():  # no words, or one that isn't given back
                 out.append((0, 0, "", b""))
                 continue
-            n = n_links[own]
-            place = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            groups = hashlib.sha256(";".join(map(written.__getitem__, own.tolist())).encode()).hexdigest()
-            out.append((int(n_a[own].sum()), int(n_b[own].sum()), groups, pool[place].astype("<i8").tobytes()))
+            place = np.repeat(self.begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            groups = hashlib.sha256(";".join(map(self.written.__getitem__, own.tolist())).encode()).hexdigest()
+            out.append((int(self.n_a[own].sum()), int(self.n_b[own].sum()), groups, self.pool[place].astype("<i8").tobytes()))
         return out
 
 
@@ -181,7 +218,7 @@ def aligned_texts(texts: DataFrame, vocab_a: str, vocab_b: str) -> DataFrame:
                     [part.column("key"), part.column("copies"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(groups), pa.array(links, pa.binary())],
                     ["key", "copies", "n_a", "n_b", "groups_sha256", "links"],
                 )
-        both.known.clear()
+        both.clear()
 
     return texts.mapInArrow(tidy(run), "key binary, copies bigint, n_a bigint, n_b bigint, groups_sha256 string, links binary")
 
