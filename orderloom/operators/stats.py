@@ -469,14 +469,5 @@ def parameter_grid_rates(df: DataFrame, score: str, scales: list[float], shifts:
     return g.groupingSets([[F.col("scale"), F.col("shift")], [F.col("scale"), F.col("shift"), F.col("session")]], "scale", "shift", "session").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("event_rate"))
 
 
-def vector_anomaly(vectors: DataFrame, sigma: float = 3.0) -> DataFrame:
-    """Distance from the mean in standard deviations of each component (diagonal Mahalanobis), and the flag of those over mean + sigma deviations."""
-    long = vectors.select("vec_id", F.posexplode("embedding").alias("j", "v"))
-    s = long.groupBy("j").agg(F.avg("v").alias("m"), F.greatest(F.var_pop("v"), F.lit(1e-12)).alias("s2"))
-    d = long.join(F.broadcast(s), "j").groupBy("vec_id").agg(F.sqrt(F.sum((F.col("v") - F.col("m")) * (F.col("v") - F.col("m")) / F.col("s2"))).alias("distance"))
-    lim = d.agg((F.avg("distance") + sigma * F.stddev_pop("distance")).alias("_l"))
-    return d.crossJoin(F.broadcast(lim)).select("vec_id", "distance", (F.col("distance") > F.col("_l")).alias("anomaly"))
-
-
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

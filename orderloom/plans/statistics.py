@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orderloom.operators import book as K
 from orderloom.operators import labels as L
 from orderloom.operators import stats as M
+from orderloom.operators import vectors as V
 from orderloom.operators import trades as O
 from orderloom.operators import windows as W
 from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, FLOW_BARS, TICKS_SQL, WINDOW, bars, flow_bars, nxt, sql, stage
@@ -149,7 +150,28 @@ SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER
 FROM r"""
 LABELLED_TEXTS = lambda s, d: s.read.parquet(f"{d}/labels.parquet").join(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars"), "doc_id")
 query("m32_calibration_auc", M32_SQL)(lambda s, d: rounded(M.auc(LABELLED_TEXTS(s, d), "n_chars", "toxic", 1000)))
-query("m30_vector_anomaly", "WITH l AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j FROM embeddings), s AS (SELECT j, avg(v) AS m, greatest(var_pop(v), 1e-12) AS s2 FROM l GROUP BY j), d AS (SELECT vec_id, sqrt(sum((v - m) * (v - m) / s2)) AS distance FROM l JOIN s USING (j) GROUP BY ALL) SELECT vec_id, round(distance, 5) AS distance, distance > (SELECT avg(distance) + 3 * stddev_pop(distance) FROM d) AS anomaly FROM d")(lambda s, d: rounded(M.vector_anomaly(s.read.parquet(f"{d}/embeddings.parquet")), 5))
+# the covariance is inverted in place, one pivot a step
+M30 = """
+e AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+l AS (SELECT i, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM e),
+mean AS (SELECT j, avg(v) AS m FROM l GROUP BY j),
+c AS (SELECT i, j, v - m AS v FROM l JOIN mean USING (j)),
+cell AS (SELECT a.j AS p, b.j AS q, sum(a.v * b.v) / ((SELECT count(*) FROM e) - 1) + CASE WHEN a.j = b.j THEN 1e-6 ELSE 0 END AS s FROM c a JOIN c b USING (i) GROUP BY a.j, b.j),
+line AS (SELECT p, list(s ORDER BY q) AS w FROM cell GROUP BY p),
+r(k, m) AS (
+  SELECT 1, (SELECT list(w ORDER BY p) FROM line)
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, len(m) + 1), lambda p: list_transform(range(1, len(m) + 1), lambda q:
+    CASE WHEN p = k AND q = k THEN 1 / m[k][k] WHEN p = k THEN m[k][q] / m[k][k] WHEN q = k THEN -m[p][k] / m[k][k] ELSE m[p][q] - m[p][k] * m[k][q] / m[k][k] END))
+  FROM r WHERE k <= len(m)),
+inverse AS (SELECT p, q, m[p][q] AS s FROM (SELECT m FROM r ORDER BY k DESC LIMIT 1), range(1, 65) a(p), range(1, 65) b(q)),
+far AS (SELECT a.i, sqrt(sum(a.v * s * b.v)) AS distance FROM c a JOIN inverse ON inverse.p = a.j JOIN c b ON b.i = a.i AND b.j = inverse.q GROUP BY a.i),
+near AS (SELECT a.i, list_sort(list(list_distance(a.x, b.x)))[5] AS knn FROM e a JOIN e b ON a.i <> b.i GROUP BY a.i)"""
+M30_SELECT = """
+SELECT vec_id, round(distance, 5) AS distance, distance > (SELECT avg(distance) + 3 * stddev_pop(distance) FROM far) AS anomaly,
+       round(knn, 5) AS knn_distance, knn > (SELECT quantile_cont(knn, 0.99) FROM near) AS knn_anomaly
+FROM e JOIN far USING (i) JOIN near USING (i)"""
+query("m30_vector_anomaly", f"WITH RECURSIVE {M30}{M30_SELECT}")(lambda s, d: rounded(V.vector_anomaly(s.read.parquet(f"{d}/embeddings.parquet")), 5))
 
 
 @query("m29_cluster_embeddings")
