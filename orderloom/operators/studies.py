@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,22 +114,6 @@ def regime_mixture(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
     return GaussianMixture(k=k, seed=7, maxIter=10).fit(v).transform(v).withColumnRenamed("prediction", "component").drop("features", "probability")
 
 
-def adaptive_rate_gate(df: DataFrame, score: str, rate: float = 0.1, least: int = 20) -> DataFrame:
-    """Rows above the quantile of the symbol's own earlier scores that would keep the rate. Exact, on bars: a sorted list of the past."""
-    schema = f"{KEY} string, {TS} timestamp_ntz, kept int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TS, ignore_index=True)
-        past: list[float] = []
-        kept = []
-        for v in pdf["s"]:
-            kept.append(int(len(past) >= least and v > past[int((1 - rate) * (len(past) - 1))]))
-            bisect.insort(past, v)
-        return pdf.assign(kept=kept)[[KEY, TS, "kept"]]
-
-    return df.select(KEY, TS, F.round(score, 9).alias("s")).groupBy(KEY).applyInPandas(run, schema)
-
-
 def scenario_soft_labels(bars: DataFrame, scenarios: list[tuple[float, float, int]]) -> DataFrame:
     """Share of up and down outcomes of each bar over scenarios (target, stop, horizon), and their entropy."""
     out = None

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from orderloom.functions.stage import folder
+from orderloom.operators import gates as G
 from orderloom.operators import joins as J
 from orderloom.operators import more as X
 from orderloom.operators import stats as M
@@ -100,7 +101,28 @@ H5 = (
 query("h5_rolling_hurst", sql(TICKS_SQL, BARS, *H5, select="SELECT symbol, ts_event, round(h, 6) AS hurst, round(2 - h, 6) AS dimension FROM hh"))(lambda s, d: rounded(S.rolling_hurst(bars(s, d)).select(*ID, "hurst", "dimension")))
 query("h7_cycle_feature_pack")(lambda s, d: rounded(S.cycle_phase(AB(s, d)).join(S.rolling_hurst(bars(s, d)).select(*ID, "hurst"), ID).join(H.timeframe_alignment(bars(s, d)).select(*ID, "alignment"), ID).select(*ID, "p_markup", "hurst", "alignment")))
 query("h11_regime_mixture")(lambda s, d: S.regime_mixture(flow_bars(s, d), ["ofi", "volume"]).groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-query("i5_adaptive_rate_gate")(lambda s, d: S.adaptive_rate_gate(flow_bars(s, d).withColumn("score", F.abs("ofi")), "score"))
+I5_Z = "coalesce(abs((cvd_delta - avg(cvd_delta) OVER {f}) / CASE WHEN stddev_samp(cvd_delta) OVER {f} = 0 THEN 1e-9 ELSE stddev_samp(cvd_delta) OVER {f} END), 0)".format(f=frame(20))
+I5 = (
+    f"g0 AS (SELECT *, round(volume / greatest(avg(volume) OVER {frame(20)}, 1e-9), 9) AS v, round(abs(ofi), 9) AS o, round({I5_Z}, 9) AS z FROM flow_bars)",
+    "g1 AS (SELECT *, CAST(v > 1.2 AS INT) + CAST(o > 0.3 AS INT) + CAST(z > 0.75 AS INT) AS triggers, volume > 1.5 OR abs(ofi) > 0.2 AS base FROM g0)",
+    "g2 AS (SELECT *, round(0.3 * greatest(v / 1.2 - 1, 0) + 0.3 * greatest(o / 0.3 - 1, 0) + 0.2 * greatest(z / 0.75 - 1, 0) + 0.5 * greatest(triggers - 1, 0), 9) AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) - 1 AS i FROM g1)",
+    """g3 AS (SELECT symbol, ts_event, i, score, count(*) OVER w AS m, list_sort(list(score) OVER w) AS past FROM g2 WHERE base
+  WINDOW w AS (PARTITION BY symbol ORDER BY ts_event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+    "g4 AS (SELECT *, least(0.25, m / greatest(i, 1)) / greatest(m / greatest(i, 1), 1e-9) AS keep FROM g3)",
+    "g5 AS (SELECT *, CASE WHEN m >= 20 THEN CASE WHEN keep >= 0.999 THEN 0 ELSE 1 - keep END * (m - 1) END AS pos FROM g4)",
+    "g6 AS (SELECT symbol, ts_event, greatest(coalesce(past[floor(pos)::INT + 1] + (past[ceil(pos)::INT + 1] - past[floor(pos)::INT + 1]) * (pos - floor(pos)), 0), 0) AS threshold FROM g5)",
+    "g7 AS (SELECT g2.*, threshold, coalesce(score >= round(threshold, 9), false) AS k, base AND triggers >= 2 AS two FROM g2 LEFT JOIN g6 USING (symbol, ts_event))",
+)
+I5_SELECT = """SELECT symbol, ts_event, round(score, 6) AS score, triggers, round(threshold, 6) AS threshold,
+  CAST(CASE WHEN bool_or(k) OVER s THEN k WHEN bool_or(two) OVER s THEN two ELSE base END AS INT) AS kept FROM g7 WINDOW s AS (PARTITION BY symbol)"""
+
+
+@query("i5_adaptive_rate_gate", sql(*FA, *I5, select=I5_SELECT))
+def i5(spark, d):
+    gated = G.training_gate(flow_bars(spark, d), (F.col("volume") > 1.5) | (F.abs("ofi") > 0.2), shifts=["cvd_delta"])
+    return rounded(gated.select(*ID, "score", "triggers", "threshold", "kept"))
+
+
 SCEN = [(1.0, 1.0, 24), (0.8, 1.0, 12), (1.2, 1.0, 24)]
 def labels_sql(k: str, tp: float, sl: float, horizon: int) -> str:
     """The label CTEs under other names, barriers and horizon; the last one is la{k}."""
