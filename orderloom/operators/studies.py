@@ -194,15 +194,6 @@ def range_state_filter(bars: DataFrame, confirmations: int = 2, window: int = 5)
     return b.withColumn("passes", ((F.col("boundary") != 0) & (F.sum("_v").over(trailing(window)) >= confirmations)).cast("int")).drop("_v")
 
 
-def tracked_trades(bars: DataFrame, signal: str, horizon: int = 12) -> DataFrame:
-    """Each signal with its best and worst excursion until it would time out."""
-    d = F.signum(signal)
-    up, down = F.max("high").over(ahead(horizon)) - F.col("close"), F.col("close") - F.min("low").over(ahead(horizon))
-    return bars.withColumn("favourable", F.when(d > 0, up).otherwise(down)).withColumn("adverse", F.when(d > 0, down).otherwise(up)).where(F.coalesce(d, F.lit(0.0)) != 0)
-
-
-
-
 def thirteen_channels(cells: DataFrame) -> DataFrame:
     """Adds to a level's channels three wall tiers, the thin-level flag, the distance to the nearest thin level of the side and the five-snapshot gradient."""
     w = Window.partitionBy(KEY, "seq")

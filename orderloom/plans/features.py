@@ -272,8 +272,27 @@ F12 = (
 F12_SELECT = """round(CASE WHEN len(w) < 50 THEN 0.0 WHEN price < a1 AND (b1 - a1) / r > 0.05 THEN least(5 * (b1 - a1) / r, 1.0)
        WHEN price > a0 AND (a0 - b0) / r > 0.05 THEN -least(5 * (a0 - b0) / r, 1.0) ELSE 0.0 END, 4) AS sweep FROM lr"""
 tick_feature("f12_liquidity_sweep", lambda t: X.liquidity_sweep(t), ["sweep"], (TICKS_SQL, TR, *F12), F12_SELECT)
-query("f7_price_impact_lambda")(lambda s, d: rounded(X.price_impact_lambda(market.ticks(s, d)).select("seq", "impact")))
-query("f8_self_exciting_intensity")(lambda s, d: rounded(X.self_exciting_intensity(market.ticks(s, d)).select("seq", "intensity")))
+# all figures of a trade that the stream keeps, with the recurrences of impact and intensity by day
+FEED = f"""{TICKS_SQL}, {TR},
+fx AS (SELECT *, CAST(ts_event AS DATE) AS d, {SIGNED} AS s, abs(price - lag(price) OVER w) AS m, epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER w AS g, row_number() OVER w AS i,
+  CASE WHEN size > 2 * avg(size) OVER {tf(100)} THEN 2.0 ELSE 1.0 END AS k, sum(price * size) OVER w / sum(size) OVER w AS v FROM tt {TW}),
+fy AS (SELECT *, price - v AS dv, m / greatest(size, 1e-9) AS q FROM fx),
+fz AS (SELECT *, coalesce(quantile_cont(CASE WHEN q > 0 THEN q END, 0.5) OVER {tf(30)}, 0) AS qm, stddev_pop(dv) OVER {tf(500)} AS sd,
+  count(*) OVER (PARTITION BY symbol, d ORDER BY epoch_us(ts_event) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS tape_speed,
+  sum(CAST(round(m * 1000000.0) AS BIGINT)) OVER {tf(100)} / (count(m) OVER {tf(100)} * 1000000.0) AS micro_range, size / greatest(avg(size) OVER {tf(500, 1)}, 1e-9) AS burst,
+  sum(g) OVER {tf(50)} / (count(g) OVER {tf(50)} * 1000.0) AS trade_gap_ms, sum(s * k) OVER {tf(100)} / greatest(sum(size * k) OVER {tf(100)}, 1e-9) AS net_signed,
+  coalesce(v - lag(v, 19) OVER w, 0) AS vwap_slope FROM fy {TW}),
+fr(symbol, d, i, impact, intensity) AS (
+  SELECT symbol, d, i, CASE WHEN qm > 0 THEN 0.18 ELSE 0.05 END * qm, CAST(0.175 AS DOUBLE) FROM fz WHERE i = 1
+  UNION ALL
+  SELECT z.symbol, z.d, z.i, r.impact + CASE WHEN qm > 0 THEN 0.18 ELSE 0.05 END * (qm - r.impact), r.intensity * exp(-0.05 * g / 60000000.0) + 0.175
+  FROM fr r JOIN fz z ON z.symbol = r.symbol AND z.d = r.d AND z.i = r.i + 1)"""
+FEED_SELECT = """
+SELECT fz.symbol, ts_event, seq, tape_speed, round(micro_range, 5) AS micro_range, round(burst, 5) AS burst, round(trade_gap_ms, 5) AS trade_gap_ms, round(impact, 5) AS impact,
+  round(intensity, 5) AS intensity, round(net_signed, 5) AS net_signed, round(v, 5) AS session_vwap, round(CASE WHEN sd > 1e-6 THEN dv / sd ELSE 0 END, 5) AS vwap_z, round(vwap_slope, 5) AS vwap_slope
+FROM fz JOIN fr USING (symbol, d, i)"""
+query("f7_price_impact_lambda", f"WITH RECURSIVE {FEED} SELECT seq, round(impact, 6) AS impact FROM fz JOIN fr USING (symbol, d, i)")(lambda s, d: rounded(X.price_impact_lambda(market.ticks(s, d)).select("seq", "impact")))
+query("f8_self_exciting_intensity", f"WITH RECURSIVE {FEED} SELECT seq, round(intensity, 6) AS intensity FROM fz JOIN fr USING (symbol, d, i)")(lambda s, d: rounded(X.self_exciting_intensity(market.ticks(s, d)).select("seq", "intensity")))
 query("f13_fisher_turn_signal")(lambda s, d: rounded(X.fisher_turn_signal(market.ticks(s, d)).select("seq", "fisher")))
 
 # Book

@@ -161,7 +161,6 @@ N11_SELECT = f"SELECT multiple, horizon, label, count(*) AS n, round(avg(CASE WH
 query("n11_label_grid_diagnostics", sql(*A, *N11, select=N11_SELECT))(lambda s, d: rounded(S.label_grid(AB(s, d), [0.75, 1.0, 1.5], [6, 24], S.triple_barrier(AB(s, d), 1.0, 1.0, 24))))
 query("o6_non_overlapping_predictions")(lambda s, d: rounded(S.non_overlapping(flow_bars(s, d).withColumn("signal", F.when(F.abs("ofi") > 0.5, F.col("ofi")).otherwise(0.0)))))
 query("o9_signal_replay")(lambda s, d: rounded(S.signal_replay(T(s, d).where("action = 'T'"), BK(s, d))))
-feature("p4_virtual_trade_tracker", lambda s, d: S.tracked_trades(flow_bars(s, d), "cvd_delta"), ["favourable", "adverse"], (*FA, f"x AS (SELECT *, max(high) OVER {nxt(12)} - close AS u, close - min(low) OVER {nxt(12)} AS n FROM flow_bars)"), "round(CASE WHEN cvd_delta > 0 THEN u ELSE n END, 6) AS favourable, round(CASE WHEN cvd_delta > 0 THEN n ELSE u END, 6) AS adverse FROM x WHERE cvd_delta <> 0")
 query("p6_range_state_filter")(lambda s, d: S.range_state_filter(flow_bars(s, d)).select(*ID, "boundary", "passes"))
 query(
     "g11_thirteen_channel_book",

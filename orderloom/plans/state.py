@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from orderloom.functions.stage import folder
-from orderloom.plans.base import BARS, FLOW, TICKS_SQL, sql
+from orderloom.plans.base import BARS, BOOK_SQL, FLOW, TICKS_SQL, sql
 from orderloom.plans.catalog import query
 from orderloom.sources import market
 from orderloom.spec import rounded
-from orderloom.streaming import jobs
+from orderloom.plans.features import FEED, FEED_SELECT
+from orderloom.streaming import jobs, stateful
 
 PARTS = 3
 
@@ -24,8 +25,8 @@ def in_parts(df):
     return [df.where(F.lit(True) if a is None else at > a).where(F.lit(True) if b is None else at <= b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def streamed(spark, d, job):
-    return jobs.replay(in_parts(market.ticks(spark, d)), job, f"{folder(spark)}/orderloom-{uuid.uuid4().hex}")
+def streamed(spark, d, job, rocksdb=False):
+    return jobs.replay(in_parts(market.ticks(spark, d)), job, f"{folder(spark)}/orderloom-{uuid.uuid4().hex}", rocksdb)
 
 
 def plain(df, *times):
@@ -38,7 +39,49 @@ def plain(df, *times):
 # A bar comes out once the watermark (latest time less ten minutes) has passed its end; the last micro-batch sees all of it.
 CLOSED = "WHERE ts_event + INTERVAL 1 HOUR <= (SELECT max(ts_event) - INTERVAL 10 MINUTE FROM ticks)"
 query("p1_streaming_bars", sql(TICKS_SQL, BARS, FLOW, select=f"SELECT symbol, ts_event, open, high, low, close, volume, cvd_delta FROM bars JOIN cvd USING (symbol, ts_event) {CLOSED}"))(lambda s, d: plain(streamed(s, d, jobs.streaming_bars), "ts_event"))
-query("p3_stateful_flow_features", sql(TICKS_SQL, "t AS (SELECT *, CASE WHEN side = 'A' THEN size ELSE -size END AS g FROM ticks WHERE action = 'T')", select="SELECT symbol, ts_event, seq, sum(g) OVER w AS session_cvd, round(sum(price * size) OVER w / sum(size) OVER w, 6) AS session_vwap FROM t WINDOW w AS (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq)"))(lambda s, d: rounded(plain(streamed(s, d, jobs.stateful_flow), "ts_event")))
+query("p3_stateful_flow_features", f"WITH RECURSIVE {FEED}{FEED_SELECT}")(lambda s, d: rounded(plain(streamed(s, d, stateful.flow_features, rocksdb=True), "ts_event"), 5))
+
+
+LARGE = 90
+
+
+def large_trades():
+    """1 for large purchases, -1 for large sales, 0 for other rows."""
+    return F.when((F.col("action") == "T") & (F.col("size") >= LARGE), F.when(F.col("side") == "A", 1).when(F.col("side") == "B", -1)).otherwise(0)
+
+
+P4 = (
+    "lv AS (SELECT *, 1.5 * (list_sum(bid_sz) + list_sum(ask_sz)) / 20 AS w FROM book)",
+    """wa AS (SELECT *, greatest(CASE WHEN a > 0 THEN a ELSE 10.0 END, 3.0) * 0.01 AS up, least(CASE WHEN b > 0 THEN b + 1.0 ELSE 12.0 END, 30.0) * 0.01 AS down
+  FROM (SELECT *, coalesce(list_position(list_transform(ask_sz, lambda x: x >= w), true), 0) AS a, coalesce(list_position(list_transform(bid_sz, lambda x: x >= w), true), 0) AS b FROM lv))""",
+    f"""sg AS (SELECT symbol, ts_event AS opened, seq, price AS entry, CASE WHEN side = 'A' THEN 1 ELSE -1 END AS dir, up, down,
+  row_number() OVER (PARTITION BY symbol ORDER BY ts_event, seq) AS trade_no FROM wa WHERE action = 'T' AND size >= {LARGE} AND side IN ('A', 'B'))""",
+    "sl AS (SELECT *, entry + dir * up AS target, entry - dir * down AS stop, opened + INTERVAL 6 HOUR AS over FROM sg)",
+    """hi AS (SELECT s.symbol, s.trade_no, arg_min({'t': b.ts_event, 'q': b.seq, 'w': dir * b.price >= dir * target}, (b.ts_event, b.seq)) AS h
+  FROM sl s JOIN book b ON b.symbol = s.symbol AND b.ts_event > opened AND b.ts_event <= over AND (dir * b.price >= dir * target OR dir * b.price <= dir * stop) GROUP BY ALL)""",
+    "ends AS (SELECT symbol, max(ts_event) AS last FROM book GROUP BY ALL)",
+    """cl AS (SELECT s.*, h, coalesce(h.t, over) AS closed, CASE WHEN h IS NULL THEN 'timeout' WHEN h.w THEN 'target' ELSE 'stop' END AS reason
+  FROM sl s LEFT JOIN hi USING (symbol, trade_no) JOIN ends USING (symbol)
+  WHERE h IS NOT NULL OR last > over OR over <= (SELECT max(ts_event) - INTERVAL 10 MINUTE FROM book))""",
+    """ex AS (SELECT c.symbol, c.trade_no, max(b.price) AS hi, min(b.price) AS lo, arg_max(b.price, (b.ts_event, b.seq)) AS last_px
+  FROM cl c JOIN book b ON b.symbol = c.symbol AND (b.ts_event > opened AND (h IS NULL AND b.ts_event <= over OR h IS NOT NULL AND (b.ts_event, b.seq) <= (h.t, h.q))) GROUP BY ALL)""",
+    """tr AS (SELECT c.*, greatest(coalesce(hi, entry), entry) AS hi, least(coalesce(lo, entry), entry) AS lo,
+  CASE reason WHEN 'target' THEN target WHEN 'stop' THEN stop ELSE coalesce(last_px, entry) END AS out_px FROM cl c LEFT JOIN ex USING (symbol, trade_no))""",
+    "fi AS (SELECT *, dir * (out_px - entry) AS pnl FROM tr)",
+)
+P4_SELECT = """SELECT symbol, trade_no, opened, closed, CAST(dir AS INT) AS direction, round(entry, 6) AS entry, round(out_px, 6) AS exit, reason,
+  round(CASE WHEN dir > 0 THEN hi - entry ELSE entry - lo END, 6) AS favourable, round(CASE WHEN dir > 0 THEN entry - lo ELSE hi - entry END, 6) AS adverse,
+  round(pnl, 6) AS pnl, count(*) OVER w AS closed_trades, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) OVER w, 6) AS win_rate
+FROM fi WINDOW w AS (PARTITION BY symbol ORDER BY closed, reason = 'timeout', trade_no)"""
+
+
+@query("p4_virtual_trade_tracker", sql(BOOK_SQL, *P4, select=P4_SELECT))
+def p4(spark, d):
+    job = lambda b: stateful.tracked_trades(b, large_trades())
+    out = jobs.replay(in_parts(market.book(spark, d)), job, f"{folder(spark)}/orderloom-{uuid.uuid4().hex}", rocksdb=True)
+    return rounded(plain(out, "opened", "closed"))
+
+
 P8 = (
     "ce AS (SELECT quantile_cont(epoch_us(ts_event), 1.0 / 3) AS c FROM ticks)",
     "wm AS (SELECT date_trunc('millisecond', max(ts_event)) - INTERVAL 10 MINUTE AS w FROM ticks, ce WHERE epoch_us(ts_event) <= c AND seq % 11 <> 0)",

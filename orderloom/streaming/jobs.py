@@ -88,17 +88,34 @@ def stateful_flow(ticks: DataFrame) -> DataFrame:
     return t.groupBy(KEY).applyInPandasWithState(run, FLOW, "day string, cvd double, pv double, v double", "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(batches: list[DataFrame], job, work: str) -> DataFrame:
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def replay(batches: list[DataFrame], job, work: str, rocksdb: bool = False) -> DataFrame:
     """Runs job over batches that arrive one after the other, and gives its output as a table.
 
     Each batch is appended to the source folder and taken by a run with the same checkpoint, so state and watermark go
-    through stops and restarts as they would in production. work: a folder that executors share.
+    through stops and restarts as they would in production. work: a folder that executors share. rocksdb: keep state in that
+    store, which the jobs of `stateful` need.
     """
     spark, name = batches[0].sparkSession, uuid.uuid4().hex
     source, out = f"{work}/{name}-in", f"{work}/{name}-out"
+    before = spark.conf.get(STORE, None)
+    if rocksdb:
+        spark.conf.set(STORE, ROCKSDB)
+    try:
+        _runs(batches, job, source, out, f"{work}/{name}-checkpoint")
+    finally:
+        if rocksdb:
+            spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+    return spark.read.parquet(out)
+
+
+def _runs(batches: list[DataFrame], job, source: str, out: str, checkpoint: str) -> None:
+    spark = batches[0].sparkSession
     for batch in batches:
         batch.write.mode("append").parquet(source)
         stream = job(spark.readStream.schema(batches[0].schema).parquet(source))
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{work}/{name}-checkpoint").outputMode("append").trigger(availableNow=True).start()
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
-    return spark.read.parquet(out)
