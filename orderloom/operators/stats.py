@@ -231,26 +231,6 @@ def shift_verdict(shifts: DataFrame, rho: DataFrame) -> DataFrame:
     return w.withColumn("verdict", verdict)
 
 
-def permutation_null(pairs: DataFrame, reps: int = 50, seed: int = 7) -> DataFrame:
-    """p value of the mean of sign(x) * y under random signs drawn by a hash of (seed, repetition, row)."""
-    stat = pairs.withColumn("s", F.signum("x") * F.col("y")).select("feature", KEY, TS, "s")
-    drawn = stat.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    sign = F.when(F.col("rep") == 0, 1).otherwise(F.when(F.xxhash64(F.lit(seed), "rep", KEY, TS) % 2 == 0, 1).otherwise(-1))
-    means = drawn.groupBy("feature", "rep").agg(F.avg(F.col("s") * sign).alias("m"))
-    real = means.where("rep = 0").select("feature", F.col("m").alias("observed"))
-    return means.where("rep > 0").join(real, "feature").groupBy("feature").agg(F.first("observed").alias("observed"), ((F.sum((F.abs("m") >= F.abs("observed")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
-
-
-def bootstrap_interval(df: DataFrame, column: str, *by: str, reps: int = 200, ci: float = 0.9, seed: int = 7) -> DataFrame:
-    """Interval of the mean from repetitions in which a hash gives each row a Poisson(1) weight."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "rep", KEY, TS), F.lit(1_000_000)) + 0.5) / 1_000_000
-    limits = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406]  # Poisson(1) distribution
-    k = sum((F.when(u > x, 1).otherwise(0) for x in limits), F.lit(0))
-    r = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_k", k)
-    means = r.groupBy(*by, "rep").agg((F.sum(F.col(column) * F.col("_k")) / F.sum("_k")).alias("m"))
-    return means.groupBy(*by).agg(median("m", (1 - ci) / 2).alias("low"), median("m", (1 + ci) / 2).alias("high"))
-
-
 def student_p(t: float | None, freedom: float | None) -> float | None:
     """Two-sided p of Student's t, by the continued fraction of the incomplete beta function."""
     import math

@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.operators import stats as M
 from orderloom.operators.labels import triple_barrier
 from orderloom.operators.trades import one_at_a_time
 from orderloom.operators.windows import EPS, forward_return
@@ -153,19 +152,6 @@ def combine_quarters(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def edge_grid(df: DataFrame, cells: list[str], horizons: list[int], least: int = 20) -> DataFrame:
-    """Statistics of each (cell, horizon), its normal p value and the false-discovery-adjusted one."""
-    for h in horizons:
-        df = forward_return(df, h)
-    x = df.select(*cells, F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_ret_{h}").alias("r")) for h in horizons])).alias("e")).select(*cells, "e.*").where("r is not null")
-    g = x.groupBy(*cells, "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s")).where(F.col("n") >= least)
-    z = F.abs(F.col("m") / (F.col("s") / F.sqrt("n")))
-    t = 1 / (1 + 0.2316419 * z)
-    tail = F.exp(-z * z / 2) / 2.5066282746 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    g = g.withColumn("p", F.least(2 * tail, F.lit(1.0))).withColumn("name", F.concat_ws("|", *[F.col(c).cast("string") for c in [*cells, "horizon"]]))
-    return M.fdr_adjust(g)
-
-
 def non_overlapping(df: DataFrame, horizon: int = 4) -> DataFrame:
     """Signals held for a fixed number of bars, entered at the next bar, one at a time."""
     c = df.withColumn("ts_entry", F.lead(TS).over(by_time())).withColumn("ts_exit", F.lead(TS, horizon + 1).over(by_time())).withColumn("pnl", F.signum("signal") * (F.lead("close", horizon + 1).over(by_time()) - F.lead("open").over(by_time())))

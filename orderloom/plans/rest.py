@@ -10,6 +10,7 @@ from orderloom.functions.stage import folder
 from orderloom.operators import gates as G
 from orderloom.operators import joins as J
 from orderloom.operators import more as X
+from orderloom.operators import resample as R
 from orderloom.operators import stats as M
 from orderloom.operators import structure as H
 from orderloom.operators import studies as S
@@ -21,7 +22,7 @@ from orderloom.plans.composed import CELLS
 from orderloom.plans.features import ID, feature, tf
 from orderloom.plans.labels import AB, A
 from orderloom.sources import market
-from orderloom.spec import rounded
+from orderloom.spec import rounded, trailing
 
 T, BK = market.ticks, market.book
 FA = (TICKS_SQL, BARS, FLOW, FLOW_BARS)
@@ -145,7 +146,42 @@ J13_SELECT = "SELECT symbol, ts_event, round(u, 6) AS p_up, round(d, 6) AS p_dow
 query("j13_soft_labels_scenarios", sql(*A, *J13, select=J13_SELECT))(lambda s, d: rounded(S.scenario_soft_labels(AB(s, d), SCEN)))
 feature("j16_wall_break_label", lambda s, d: S.wall_break(AB(s, d).withColumn("wall_px", F.col("close") + F.col("atr") / 2)), ["wall_break"], A, f"CAST(coalesce(max(high) OVER {nxt(6)} > close + atr / 2, false) AS INTEGER) AS wall_break FROM atr")
 query("k6_combine_quarters", sql(TICKS_SQL, BARS, select="SELECT symbol, ts_event, close, CASE WHEN ts_event >= TIMESTAMP '2024-01-12' THEN volume END AS volume FROM bars"))(lambda s, d: S.combine_quarters([bars(s, d).where("ts_event < timestamp_ntz '2024-01-15'").select(*ID, "close"), bars(s, d).where("ts_event >= timestamp_ntz '2024-01-12'").select(*ID, "close", "volume")]).select(*ID, "close", "volume"))
-query("m17_edge_grid_scan")(lambda s, d: rounded(S.edge_grid(W.session_flags(bars(s, d)), ["session"], [1, 4]).select("name", "n", "m", "p", "p_adjusted", "rejected")))
+HORIZONS = [1, 4]
+
+
+def grid(spark, d):
+    """Bars of three sessions that break a range or close near its middle, with and against the flow, and on large volume."""
+    b = rounded(flow_bars(spark, d), 9)
+    w = trailing(12, back=1)
+    b = b.withColumn("zone", F.when(F.hour("ts_event") < 8, "asia").when(F.hour("ts_event") < 16, "london").otherwise("ny"))
+    b = b.withColumns({"_h": F.max("high").over(w), "_l": F.min("low").over(w), "_v": F.avg("volume").over(w)})
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    events = {"break_high": yes(F.col("close") > F.col("_h")), "break_low": yes(F.col("close") < F.col("_l")), "inside": yes((F.col("close") <= F.col("_h")) & (F.col("close") >= F.col("_l")))}
+    filters = {"any_long": (F.lit(True), 1), "flow_long": (F.col("ofi") > 0, 1), "flow_short": (F.col("ofi") < 0, -1), "volume_long": (yes(F.col("volume") > F.col("_v")), 1)}
+    return R.grid_trades(b, "zone", events, filters, HORIZONS)
+
+
+M17 = (
+    f"""b AS (SELECT symbol, ts_event, round(close, 9) AS close, round(ofi, 9) AS ofi, volume, CASE WHEN hour(ts_event) < 8 THEN 'asia' WHEN hour(ts_event) < 16 THEN 'london' ELSE 'ny' END AS zone,
+  max(round(high, 9)) OVER {frame(12, 1)} AS h, min(round(low, 9)) OVER {frame(12, 1)} AS l, avg(volume) OVER {frame(12, 1)} AS v, epoch_us(ts_event) AS u, lead(epoch_us(ts_event), 4) OVER w AS e,
+  lead(round(close, 9), 1) OVER w / round(close, 9) - 1 AS r1, lead(round(close, 9), 4) OVER w / round(close, 9) - 1 AS r4 FROM flow_bars {WINDOW})""",
+    "c AS (SELECT quantile_cont(u, 0.6) AS c0, quantile_cont(u, 0.8) AS c1 FROM b)",
+    """s AS (SELECT *, CASE WHEN u < c0 THEN 'train' WHEN u < c1 THEN 'validation' ELSE 'holdout' END AS split FROM b, c
+  WHERE NOT coalesce(u < c0 AND e >= c0, false) AND NOT coalesce(u < c1 AND e >= c1, false) AND (e IS NOT NULL OR NOT (u < c0) AND NOT (u < c1)))""",
+    "ev AS (SELECT *, CASE WHEN close > h THEN 'break_high' WHEN close < l THEN 'break_low' WHEN h IS NOT NULL THEN 'inside' END AS event FROM s)",
+    """fi AS (SELECT *, unnest(list_filter([{'f': 'any_long', 'k': true, 's': 1}, {'f': 'flow_long', 'k': ofi > 0, 's': 1}, {'f': 'flow_short', 'k': ofi < 0, 's': -1}, {'f': 'volume_long', 'k': coalesce(volume > v, false), 's': 1}], lambda x: x.k)) AS x
+  FROM ev WHERE event IS NOT NULL)""",
+    "ho AS (SELECT *, unnest([{'h': 1, 'r': r1}, {'h': 4, 'r': r4}]) AS y FROM fi)",
+    "tr AS (SELECT zone, event, x.f AS filter, CAST(y.h AS INT) AS horizon, split, CAST(ts_event AS DATE) AS d, y.r * x.s AS ret FROM ho WHERE y.r IS NOT NULL)",
+    "dy AS (SELECT zone, event, filter, horizon, split, d, count(*) AS n, avg(ret) AS m, sum(ret) AS t FROM tr GROUP BY ALL)",
+    "wh AS (SELECT zone, event, filter, horizon, split, CAST(sum(n) AS BIGINT) AS n, sum(t) / sum(n) * 10000 AS mean_units FROM dy GROUP BY ALL)",
+    "dd AS (SELECT zone, event, filter, horizon, split, count(*) AS days, coalesce(avg(m) / (nullif(stddev_samp(m), 0) / sqrt(count(*))), 0) AS t FROM dy WHERE n >= 2 GROUP BY ALL HAVING count(*) >= 3)",
+)
+query(
+    "m17_edge_grid_cells",
+    sql(*FA, *M17, select="SELECT zone, event, filter, horizon, split, n, round(mean_units, 4) AS mean_units, days, round(t, 4) AS t_value FROM wh JOIN dd USING (zone, event, filter, horizon, split)"),
+)(lambda s, d: rounded(M.edge_statistics(grid(s, d), *R.CELL, "split").select(*R.CELL, "split", "n", "mean_units", "days", "t_value"), 4))
+query("m17_edge_grid_scan")(lambda s, d: rounded(R.edge_grid(grid(s, d)).select(*R.CELL, "n", "t_value", "p_value", "p_adjusted", "p_permutation", "p_family", "t_validation", "t_holdout", "stage")))
 
 
 @query("m22_redundancy_filter_mrmr")

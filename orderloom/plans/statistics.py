@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderloom.operators import book as K
 from orderloom.operators import labels as L
+from orderloom.operators import resample as R
 from orderloom.operators import stats as M
 from orderloom.operators import vectors as V
 from orderloom.operators import trades as O
@@ -78,8 +79,19 @@ M11_SELECT = """SELECT feature, round(now, 6) AS now, round(past_1, 6) AS past_1
 query("m11_shift_leak_test", sql(*A, *M11, ranks_sql("feature, shift", "sp"), M11_VERDICT, select=M11_SELECT))(
     lambda s, d: rounded(M.shift_verdict(M.shift_leak(FB(s, d), ["ofi", "volume"], 4), M.lag_autocorrelation(FB(s, d), ["ofi", "volume"])))
 )
-query("m14_permutation_null")(lambda s, d: rounded(M.permutation_null(pairs(s, d).where("horizon = 4"))))
-query("m15_bootstrap_ci")(lambda s, d: rounded(M.bootstrap_interval(FB(s, d), "ofi", "symbol", reps=50)))
+query("m14_permutation_null")(lambda s, d: rounded(R.permutation_null(pairs(s, d).where("horizon = 4"))))
+
+
+@query("m15_bootstrap_ci")
+def m15(spark, d):
+    """Intervals of the mean and the Sharpe ratio by symbol, and of the area under the curve of |ofi| for the next bar's rise."""
+    f = W.forward_return(FB(spark, d), 1).where("fwd_ret_1 is not null")
+    mean, sharpe = (r.select("symbol", F.lit(n).alias("statistic"), "low", "high") for n, r in (("mean", R.bootstrap_mean(f, "fwd_ret_1", "symbol")), ("sharpe", R.bootstrap_sharpe(f, "fwd_ret_1", "symbol"))))
+    rise = f.select(F.col("ofi"), (F.col("fwd_ret_1") > 0).cast("int").alias("rise"))
+    area = R.bootstrap_auc(rise, "ofi", "rise").select(F.lit(None).cast("string").alias("symbol"), F.lit("auc").alias("statistic"), "low", "high")
+    return rounded(mean.union(sharpe).union(area))
+
+
 TR = f"tr2 AS (SELECT symbol, ts_event, lead(round(close, 9), 4) OVER w / round(close, 9) - 1 AS ret FROM flow_bars {WINDOW})"
 M16 = (
     TR,
