@@ -9,16 +9,27 @@ from orderloom.operators.clean import micros
 from orderloom.spec import KEY, TS, ahead, bucket, by_time
 
 
-def asof_backward_join(left: DataFrame, right: DataFrame, columns: list[str], tolerance_seconds: float | None = None) -> DataFrame:
-    """Each left row with the columns of the latest right row of its symbol at or before it; null beyond the tolerance.
+def asof_backward_join(left: DataFrame, right: DataFrame, columns: list[str], tolerance_seconds: float | None = None, order: list[str] | None = None) -> DataFrame:
+    """Each left row with the columns of the latest right row of its symbol at or before it; null beyond the tolerance. Right rows of
+    one time go by `order`, columns of theirs.
 
-    One shuffle of the union by symbol and a running last: no row pairs are made.
+    One shuffle of the union by (symbol, day) and a running last within the day; the last right row of the days before comes
+    from a table of one row a day. No row pairs are made, and no task holds a symbol.
     """
+    order = order or []
     rest = [c for c in left.columns if c not in (KEY, TS)]
-    a = left.select(KEY, TS, F.lit(1).alias("_side"), F.struct(*rest).alias("_l"), F.lit(None).cast(right.select(F.struct(TS, *columns).alias("r")).schema["r"].dataType).alias("_r"))
-    b = right.select(KEY, TS, F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.struct(TS, *columns).alias("_r"))
-    w = Window.partitionBy(KEY).orderBy(TS, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    day, got = F.to_date(TS), F.struct(TS, *columns)
+    a = left.select(KEY, TS, day.alias("_day"), F.lit(1).alias("_side"), F.struct(*rest).alias("_l"), F.lit(None).cast(right.select(got.alias("r")).schema["r"].dataType).alias("_r"))
+    ties = [F.lit(None).cast(right.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)]
+    a = a.select("*", *ties)
+    b = right.select(KEY, TS, day.alias("_day"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), got.alias("_r"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    w = Window.partitionBy(KEY, "_day").orderBy(TS, "_side", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
     m = a.unionByName(b).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    ends = right.groupBy(KEY, day.alias("_day")).agg(F.max_by(got, F.struct(TS, *order)).alias("_end"))
+    days = left.select(KEY, day.alias("_day")).distinct().join(ends, [KEY, "_day"], "full_outer")
+    before = Window.partitionBy(KEY).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(KEY, "_day", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    m = m.join(carried, [KEY, "_day"], "left").withColumn("_m", F.coalesce("_m", "_carried"))
     old = micros() - micros(f"_m.{TS}") > F.lit((tolerance_seconds or 0) * 1e6)
     ok = ~old if tolerance_seconds is not None else F.lit(True)
     return m.select(KEY, TS, "_l.*", *[F.when(ok, F.col(f"_m.{c}")).alias(f"right_{c}") for c in [TS, *columns]])

@@ -336,15 +336,6 @@ def zone_strategy(df: DataFrame, spread: float = 0.01) -> DataFrame:
     return df.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.avg(r("long_win")).alias("long_r"), F.avg(r("short_win")).alias("short_r"))
 
 
-def match_rules(bars: DataFrame, rules: DataFrame) -> DataFrame:
-    """The first rule (by number) of each bar among those of its zone whose threshold the bar's score reaches.
-
-    The rule table joins by zone; the first match is an aggregate.
-    """
-    j = bars.join(rules, "session").where(F.abs("ofi") >= F.col("threshold"))
-    return j.groupBy(KEY, TS).agg(F.min("rule").alias("rule"))
-
-
 def side_policy(df: DataFrame, cost: float) -> DataFrame:
     """Win share weighted by confidence, cost and expectation by bucket and side."""
     w = F.greatest(F.abs("ofi"), F.lit(0.01))

@@ -159,18 +159,6 @@ def non_overlapping(df: DataFrame, horizon: int = 4) -> DataFrame:
     return one_at_a_time(c)
 
 
-def signal_replay(signals: DataFrame, book: DataFrame, mean_ms: float = 200.0) -> DataFrame:
-    """Mid price at the decision and at arrival, after a latency drawn by a hash; slippage in price. Two as-of joins."""
-    from orderloom.operators.joins import asof_backward_join
-
-    mid = book.select(KEY, TS, ((F.get("bid_px", F.lit(0)) + F.get("ask_px", F.lit(0))) / 2).alias("mid"))
-    at = asof_backward_join(signals.select(KEY, TS, "seq", "side"), mid, ["mid"]).withColumnRenamed("right_mid", "mid_decision").drop(f"right_{TS}")
-    wait = (mean_ms * 1000 * -F.log((F.pmod(F.xxhash64("seq", F.lit("latency")), F.lit(1_000_000)) + 1) / 1_000_001)).cast("bigint")
-    late = at.withColumn("_us", F.unix_micros(F.col(TS).cast("timestamp")) + wait).withColumn(TS, F.timestamp_micros("_us").cast("timestamp_ntz")).drop("_us")
-    arrived = asof_backward_join(late, mid, ["mid"]).withColumnRenamed("right_mid", "mid_arrival")
-    return arrived.withColumn("slippage", F.when(F.upper("side") == "A", 1.0).otherwise(-1.0) * (F.col("mid_arrival") - F.col("mid_decision"))).select(KEY, "seq", "mid_decision", "mid_arrival", "slippage")
-
-
 def range_state_filter(bars: DataFrame, confirmations: int = 2, window: int = 5) -> DataFrame:
     """A signal at a range boundary passes once enough of the last bars voted for a reversal there."""
     w = trailing(20, back=1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orderloom.operators import labels as L
 from orderloom.operators import more as X
+from orderloom.operators import replay as P
 from orderloom.operators import windows as W
 from orderloom.operators.book import wall_scan
 from orderloom.operators.rolls import apply_offsets_to_book, combine_raw_files
@@ -175,5 +176,30 @@ O5_SELECT = """SELECT session, count(*) AS n, round(avg(CASE WHEN lw THEN 1.5 EL
 FROM z WHERE atr > 0.001 GROUP BY ALL"""
 query("o5_zone_strategy_backtest", sql(*A, *DUAL, select=O5_SELECT))(lambda s, d: rounded(X.zone_strategy(L.dual_side_scan(W.session_flags(AB(s, d))).where("atr > 0.001")), 5))
 query("o12_side_policy_stats", sql(*FA, ATR, LABELS, PREV, PLACE, f"z AS (SELECT {BUCKET} AS structure_bucket, round(ofi, 9) >= 0 AS long_side, greatest(abs(round(ofi, 9)), 0.01) AS w, label FROM pl JOIN labelled USING (symbol, ts_event) JOIN flow_bars USING (symbol, ts_event) WHERE label IS NOT NULL)", "q AS (SELECT structure_bucket, long_side, count(*) AS n, sum(CASE WHEN label * CASE WHEN long_side THEN 1 ELSE -1 END > 0 THEN w ELSE 0 END) / sum(w) AS win FROM z GROUP BY ALL)", select="SELECT structure_bucket, long_side, n, round(win, 6) AS win, round(2 * win - 1 - 0.05, 6) AS expectation FROM q"))(lambda s, d: rounded(X.side_policy(X.structure_bucket(rounded(W.previous_period_levels(flow_bars(s, d)), 9)).join(labelled(s, d).select(*ID, "label"), ID), 0.05)))
-RULES = [("asia", 3, 0.2), ("london", 1, 0.6), ("london", 2, 0.3), ("ny", 4, 0.5), ("overlap", 5, 0.1)]
-query("o14_rule_match_batch", sql(*FA, "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in RULES) + ") v(session, rule, threshold))", f"z AS (SELECT symbol, ts_event, abs(round(ofi, 9)) AS v, {SESSION} AS session FROM flow_bars)", select="SELECT symbol, ts_event, min(rule) AS rule FROM z JOIN rules USING (session) WHERE v >= threshold GROUP BY ALL"))(lambda s, d: X.match_rules(W.session_flags(rounded(flow_bars(s, d), 9)), s.createDataFrame(RULES, "session string, rule int, threshold double")))
+# name, priority, zone, level, event, direction, filters (column, above, threshold)
+RULES = [
+    ("asia_break", 3, "asia", "day_high", "above", 1, [("ofi", True, 0.0)]), ("asia_fade", 3, "asia", "day_high", "above", -1, []), ("asia_low", 1, "asia", "day_low", "inside", 1, [("ofi", True, -0.2), ("share", True, 0.3)]),
+    ("london_any", 9, "london", "day_low", "inside", 1, []), ("london_flow", 2, "london", "day_high", "inside", -1, [("ofi", False, -0.1)]), ("london_low", 1, "london", "day_low", "below", -1, [("share", False, 0.5)]),
+    ("ny_missing", 1, "ny", "day_low", "inside", 1, [("absent", True, 0.0)]), ("ny_high", 4, "ny", "day_high", "inside", 1, [("ofi", True, 0.3), ("share", True, 0.5)]), ("ny_low", 5, "ny", "day_low", "inside", -1, []),
+]
+RULES_SQL = ", ".join(f"('{r}', {p}, '{z}', '{lv}', '{e}', {x}, [" + ", ".join(f"{{'name': '{n}', 'above': {str(a).lower()}, 'threshold': CAST({t} AS DOUBLE)}}" for n, a, t in f) + "])" for r, p, z, lv, e, x, f in RULES if f)
+PLAIN_SQL = ", ".join(f"('{r}', {p}, '{z}', '{lv}', '{e}', {x})" for r, p, z, lv, e, x, f in RULES if not f)
+O14 = (
+    f"rules AS (SELECT * FROM (VALUES {RULES_SQL}) v(rule, priority, zone, level, event, direction, filters) UNION ALL SELECT *, [] FROM (VALUES {PLAIN_SQL}) v(rule, priority, zone, level, event, direction))",
+    f"""z AS (SELECT symbol, ts_event, {SESSION} AS zone, round(ofi, 9) AS ofi, round(buy_share, 9) AS share, close, prev_day_high AS h, prev_day_low AS l FROM flow_bars JOIN (SELECT symbol, ts_event, prev_day_high, prev_day_low FROM prev) USING (symbol, ts_event))""",
+    """e AS (SELECT *, unnest([{'level': 'day_high', 'event': CASE WHEN close > h THEN 'above' ELSE 'inside' END}, {'level': 'day_low', 'event': CASE WHEN close < l THEN 'below' ELSE 'inside' END}]) AS x FROM z)""",
+    """m AS (SELECT symbol, ts_event, ofi, arg_min({'rule': rule, 'direction': direction}, (priority, rule)) AS b FROM e JOIN rules r ON r.zone = e.zone AND r.level = e.x.level AND r.event = e.x.event
+  WHERE len(list_filter(filters, lambda f: NOT coalesce(CASE WHEN f.above THEN CASE f.name WHEN 'ofi' THEN ofi WHEN 'share' THEN share END > f.threshold ELSE CASE f.name WHEN 'ofi' THEN ofi WHEN 'share' THEN share END <= f.threshold END, false))) = 0 GROUP BY ALL)""",
+    "c AS (SELECT symbol, ts_event, b.rule AS rule, b.direction AS direction, CASE WHEN b.direction > 0 THEN (1 + ofi) / 2 ELSE (1 - ofi) / 2 END AS confidence FROM m)",
+)
+
+
+def ruled(s, d):
+    b = rounded(W.previous_period_levels(W.session_flags(flow_bars(s, d))), 9).withColumn("share", F.col("buy_share"))
+    event = lambda level, name, hit: F.struct(F.lit(level).alias("level"), F.when(hit, name).otherwise("inside").alias("event"))
+    b = b.withColumn("events", F.array(event("day_high", "above", F.col("close") > F.col("prev_day_high")), event("day_low", "below", F.col("close") < F.col("prev_day_low"))))
+    b = b.withColumns({"p_long": (1 + F.col("ofi")) / 2, "p_short": (1 - F.col("ofi")) / 2})
+    return P.match_rules(b, s.createDataFrame(RULES, P.RULE), ["ofi", "share"], "session")
+
+
+query("o14_rule_match_batch", sql(*FA, PREV, *O14, select="SELECT symbol, ts_event, rule, direction, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.55 THEN direction ELSE 0 END AS decision FROM c"))(lambda s, d: rounded(ruled(s, d)))

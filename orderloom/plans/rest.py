@@ -10,6 +10,7 @@ from orderloom.functions.stage import folder
 from orderloom.operators import gates as G
 from orderloom.operators import joins as J
 from orderloom.operators import more as X
+from orderloom.operators import replay as P
 from orderloom.operators import resample as R
 from orderloom.operators import stats as M
 from orderloom.operators import structure as H
@@ -196,7 +197,33 @@ N11_ROWS = " UNION ALL ".join(f"SELECT CAST({m} AS DOUBLE) AS multiple, {h} AS h
 N11_SELECT = f"SELECT multiple, horizon, label, count(*) AS n, round(avg(CASE WHEN label = observed THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM ({N11_ROWS}) GROUP BY ALL"
 query("n11_label_grid_diagnostics", sql(*A, *N11, select=N11_SELECT))(lambda s, d: rounded(S.label_grid(AB(s, d), [0.75, 1.0, 1.5], [6, 24], S.triple_barrier(AB(s, d), 1.0, 1.0, 24))))
 query("o6_non_overlapping_predictions")(lambda s, d: rounded(S.non_overlapping(flow_bars(s, d).withColumn("signal", F.when(F.abs("ofi") > 0.5, F.col("ofi")).otherwise(0.0)))))
-query("o9_signal_replay")(lambda s, d: rounded(S.signal_replay(T(s, d).where("action = 'T'"), BK(s, d))))
+# both engines draw the latency from the same arithmetic on seq
+O9_DRAW = ["({c} * 7919 + 104729) % 1000003", "({c} * 15485863 + 32452843) % 999983"]
+O9 = (
+    f"si AS (SELECT symbol, ts_event, seq, side = 'A' AS is_buy, size, greatest(5000 + 2000 * abs(sqrt(-2 * ln(({O9_DRAW[0].format(c='seq')} + 0.5) / 1000003)) * cos(2 * pi() * ({O9_DRAW[1].format(c='seq')} + 0.5) / 999983)), 0.1) AS lat FROM ticks WHERE action = 'T' AND size >= 60)",
+    "sn AS (SELECT symbol, ts_event, bid_px, bid_sz, ask_px, ask_sz FROM book QUALIFY row_number() OVER (PARTITION BY symbol, ts_event ORDER BY seq DESC) = 1)",
+    "de AS (SELECT s.*, s.ts_event + to_microseconds(CAST(floor(lat) AS BIGINT)) AS came, n.bid_px AS dbp, n.bid_sz AS dbs, n.ask_px AS dap, n.ask_sz AS das FROM si s ASOF JOIN sn n ON s.symbol = n.symbol AND s.ts_event >= n.ts_event)",
+    "ar AS (SELECT d.*, n.bid_px AS bp, n.ask_px AS ap, CASE WHEN is_buy THEN n.ask_px ELSE n.bid_px END AS px, CASE WHEN is_buy THEN n.ask_sz ELSE n.bid_sz END AS sz FROM de d ASOF JOIN sn n ON d.symbol = n.symbol AND d.came >= n.ts_event)",
+    "ta AS (SELECT *, list_transform(range(1, 11), lambda i: greatest(least(sz[i], size - coalesce(list_sum(sz[1:i - 1]), 0)), 0)) AS take FROM ar)",
+    "fi AS (SELECT *, list_sum(take) AS filled, list_filter(range(1, 11), lambda i: take[i] > 0) AS used, size / greatest(sz[1], 1) AS r FROM ta)",
+    """lg AS (SELECT symbol, seq, is_buy, ts_event AS ts_decision, came AS ts_arrival, round(lat, 1) AS latency_us, size, (dbp[1] + dap[1]) / 2 AS mid_decision, (bp[1] + ap[1]) / 2 AS mid_arrival,
+  CASE WHEN filled > 0 THEN list_sum(list_transform(list_zip(px, take), lambda z: z[1] * z[2])) / filled END AS fill_vwap, filled, size - filled AS residual, CAST(len(used) AS INT) AS levels_used,
+  px[used[len(used)]] AS worst_px, CASE WHEN r <= 1 THEN 0.5 WHEN r <= 3 THEN 0.5 + 0.5 * (r - 1) / 2 ELSE 1.0 + 0.25 * (r - 3) END AS model_ticks, px[1] AS best, CASE WHEN is_buy THEN das[1] ELSE dbs[1] END AS depth_decision FROM fi)""",
+    "lo AS (SELECT * EXCLUDE (best), CASE WHEN is_buy THEN 1 ELSE -1 END * (fill_vwap - best) / 0.01 AS realised_ticks FROM lg)",
+)
+O9_SUMMARY = """SELECT count(*) AS n_executed, CAST(count(*) FILTER (filled > 0) AS BIGINT) AS n_filled, CAST(count(*) FILTER (residual > 0) AS BIGINT) AS n_with_residual, round(avg(latency_us), 4) AS mean_latency_us,
+  round(avg(model_ticks), 4) AS mean_model_ticks, round(avg(realised_ticks), 4) AS mean_realised_ticks, round(avg(levels_used), 4) AS mean_levels, max(levels_used) AS max_levels, sum(size) AS intended_size,
+  sum(filled) AS filled_size, sum(residual) AS residual_size, round(quantile_cont(latency_us, 0.95), 4) AS p95_latency_us FROM lo"""
+
+
+def replayed(spark, d):
+    u = [(F.expr(x.format(c="seq")) + 0.5) / n for x, n in zip(O9_DRAW, (1000003, 999983), strict=True)]
+    signals = T(spark, d).where("action = 'T' and size >= 60").withColumn("is_buy", F.col("side") == "A")
+    return P.signal_replay(signals, BK(spark, d), P.latency_us(*u))
+
+
+query("o9_signal_replay", sql(BOOK_SQL, *O9, select="SELECT * REPLACE (round(mid_decision, 6) AS mid_decision, round(mid_arrival, 6) AS mid_arrival, round(fill_vwap, 6) AS fill_vwap, round(worst_px, 6) AS worst_px, round(model_ticks, 6) AS model_ticks, round(realised_ticks, 4) AS realised_ticks) FROM lo"))(lambda s, d: rounded(replayed(s, d)).withColumn("realised_ticks", F.round("realised_ticks", 4)))
+query("o9_replay_summary", sql(BOOK_SQL, *O9, select=O9_SUMMARY))(lambda s, d: rounded(P.replay_summary(replayed(s, d)), 4))
 query("p6_range_state_filter")(lambda s, d: S.range_state_filter(flow_bars(s, d)).select(*ID, "boundary", "passes"))
 query(
     "g11_thirteen_channel_book",
