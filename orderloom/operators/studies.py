@@ -159,15 +159,6 @@ def non_overlapping(df: DataFrame, horizon: int = 4) -> DataFrame:
     return one_at_a_time(c)
 
 
-def range_state_filter(bars: DataFrame, confirmations: int = 2, window: int = 5) -> DataFrame:
-    """A signal at a range boundary passes once enough of the last bars voted for a reversal there."""
-    w = trailing(20, back=1)
-    hi, lo = F.max("high").over(w), F.min("low").over(w)
-    side = F.when(F.col("close") >= hi - 0.2 * (hi - lo), -1).when(F.col("close") <= lo + 0.2 * (hi - lo), 1).otherwise(0)
-    b = bars.withColumn("boundary", side).withColumn("_v", ((F.col("boundary") != 0) & (F.signum("cvd_delta") == F.col("boundary"))).cast("int"))
-    return b.withColumn("passes", ((F.col("boundary") != 0) & (F.sum("_v").over(trailing(window)) >= confirmations)).cast("int")).drop("_v")
-
-
 def thirteen_channels(cells: DataFrame) -> DataFrame:
     """Adds to a level's channels three wall tiers, the thin-level flag, the distance to the nearest thin level of the side and the five-snapshot gradient."""
     w = Window.partitionBy(KEY, "seq")

@@ -10,6 +10,7 @@ from orderloom.functions.stage import folder
 from orderloom.operators import gates as G
 from orderloom.operators import joins as J
 from orderloom.operators import more as X
+from orderloom.operators import ranges as N
 from orderloom.operators import replay as P
 from orderloom.operators import resample as R
 from orderloom.operators import stats as M
@@ -224,7 +225,34 @@ def replayed(spark, d):
 
 query("o9_signal_replay", sql(BOOK_SQL, *O9, select="SELECT * REPLACE (round(mid_decision, 6) AS mid_decision, round(mid_arrival, 6) AS mid_arrival, round(fill_vwap, 6) AS fill_vwap, round(worst_px, 6) AS worst_px, round(model_ticks, 6) AS model_ticks, round(realised_ticks, 4) AS realised_ticks) FROM lo"))(lambda s, d: rounded(replayed(s, d)).withColumn("realised_ticks", F.round("realised_ticks", 4)))
 query("o9_replay_summary", sql(BOOK_SQL, *O9, select=O9_SUMMARY))(lambda s, d: rounded(P.replay_summary(replayed(s, d)), 4))
-query("p6_range_state_filter")(lambda s, d: S.range_state_filter(flow_bars(s, d)).select(*ID, "boundary", "passes"))
+def range_input(s, d):
+    b = rounded(AB(s, d).join(flow_bars(s, d).select(*ID, "ofi", "cvd_delta"), ID), 9)
+    w = trailing(20)
+    return b.withColumns({"intensity": F.round(F.col("volume") / F.avg("volume").over(w), 9), "_m": F.round(F.avg("atr").over(w), 9)})
+
+
+def ranged(s, d):
+    return N.range_state_filter(range_input(s, d), F.when(F.abs("ofi") > 0.2, F.signum("ofi")), 0.5 + F.abs("ofi") / 2, F.when(F.col("atr") > 1.2 * F.col("_m"), "Trending").when(F.col("atr") < F.col("_m"), "Ranging"))
+
+
+VOTES = ["flow_flipped", "imbalance_flipped", "intensity_spike", "reversal_score", "reversal_side", "near_bottom", "near_top", "in_middle", "broke_out", "smooth_atr", "range_place"]
+mean = lambda x: f"list_sum({x}) / len({x})"
+P6 = (
+    f"""q AS (SELECT a.*, round(ofi, 9) AS ofi, round(cvd_delta, 9) AS cvd_delta, round(volume / avg(volume) OVER {frame(20)}, 9) AS intensity, abs(close - lag(close) OVER w) AS d, count(*) OVER {frame(42)} AS n
+  FROM atr a JOIN (SELECT symbol, ts_event, ofi, cvd_delta FROM flow_bars) USING (symbol, ts_event) {WINDOW})""",
+    f"ri AS (SELECT *, list(cvd_delta) OVER {frame(16)} AS f, list(ofi) OVER {frame(10)} AS o, list(intensity) OVER {frame(20)} AS h FROM q)",
+    f"""me AS (SELECT *, {mean('f[1:4]')} AS f0, {mean('f[greatest(len(f) - 3, 1):]')} AS f1, greatest(list_max(list_transform(f, lambda x: abs(x))), 1e-10) AS fm, {mean('o[1:2]')} AS o0, {mean('o[greatest(len(o) - 2, 1):]')} AS o1,
+  {mean('h[1:greatest(len(h) - 3, 1)]')} AS h0, {mean('h[greatest(len(h) - 2, 1):]')} AS h1 FROM ri)""",
+    """vo AS (SELECT *, len(f) >= 8 AND abs(f1 - f0) / fm > 0.3 AND sign(f0) <> sign(f1) AS flow_flipped, len(f) >= 8 AND len(o) >= 5 AND abs(o1) > 0.15 AND sign(o0) <> sign(o1) AND abs(o1 - o0) > 0.15 AS imbalance_flipped,
+  len(f) >= 8 AND len(h) >= 10 AND h1 > h0 * 1.4 AND h1 > h0 + 0.05 AS intensity_spike, CASE WHEN len(f) >= 8 THEN sign(sign(f1) + CASE WHEN len(o) >= 5 THEN sign(o1) ELSE 0 END) ELSE 0 END AS side FROM me)""",
+    f"aa AS (SELECT *, CASE WHEN atr > 0.0001 THEN atr WHEN n >= 3 THEN greatest(quantile_cont(d, 0.8) OVER {frame(14)}, 0.0002) ELSE 0.0005 END AS a FROM vo)",
+    f"bo AS (SELECT *, quantile_cont(a, 0.5) OVER {frame(14)} AS s, CASE WHEN n >= 5 THEN max(close) OVER {frame(42)} ELSE 0 END AS hi, CASE WHEN n >= 5 THEN min(close) OVER {frame(42)} ELSE 0 END AS lo FROM aa)",
+)
+P6_SELECT = """SELECT symbol, ts_event, flow_flipped, imbalance_flipped, intensity_spike, CAST(CAST(flow_flipped AS INT) + CAST(imbalance_flipped AS INT) + CAST(intensity_spike AS INT) AS DOUBLE) AS reversal_score,
+  CAST(side AS INT) AS reversal_side, close <= lo + 1.5 * s AS near_bottom, close >= hi - 1.5 * s AS near_top, abs(close - (hi + lo) / 2) <= 0.5 * s AS in_middle, close > hi + 2.5 * s OR close < lo - 2.5 * s AS broke_out,
+  round(s, 6) AS smooth_atr, round(least(greatest((close - lo) / greatest(hi - lo, 2 * s, 1e-10), 0), 1), 3) AS range_place FROM bo"""
+query("p6_range_votes", sql(*A, FLOW, FLOW_BARS, *P6, select=P6_SELECT))(lambda s, d: rounded(N.range_boundaries(N.reversal_votes(range_input(s, d), "cvd_delta", "ofi", "intensity"), "atr").select(*ID, *VOTES)))
+query("p6_range_state_filter")(lambda s, d: rounded(ranged(s, d).select(*ID, "reversal_score", "action", "direction", "reason", "market", "confirmations")))
 query(
     "g11_thirteen_channel_book",
     sql(BOOK_SQL, CELLS, "z AS (SELECT *, round(exp(bid_log) - 1, 6) AS s, greatest(round(quantile_cont(exp(bid_log) - 1, 0.5) OVER (PARTITION BY symbol, seq), 6), 1.0) AS m FROM cells)", "y AS (SELECT *, CASE WHEN s < 5 THEN level END AS t FROM z)", "x AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY symbol, seq ORDER BY level) AS b, first_value(t IGNORE NULLS) OVER (PARTITION BY symbol, seq ORDER BY level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f, lag(bid_log, 5) OVER (PARTITION BY symbol, level ORDER BY ts_event, seq) AS g FROM y)", select="SELECT seq, level, CASE WHEN s >= 10 * m THEN 3 WHEN s >= 5 * m THEN 2 WHEN s >= 3 * m THEN 1 ELSE 0 END AS wall_tier, CAST(s < 5 AS INTEGER) AS thin, least(level - b, f - level) AS gap_distance, round((bid_log - g) / 5, 6) AS gradient FROM x"),
