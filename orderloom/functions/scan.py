@@ -190,9 +190,26 @@ def ewm(df: DataFrame, column: str, alpha: float, out: str) -> DataFrame:
     return ewms(df, {out: (column, alpha)})
 
 
-def numbered(df: DataFrame, out: str, seconds: int = CHUNK) -> DataFrame:
-    """Adds the number of each row of its symbol in time, from 1: counts of chunks are added up, rows are numbered within theirs."""
+def numbered(df: DataFrame, out: str, seconds: int = CHUNK, by: tuple[str, ...] = (KEY,), order: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the number of each row of its group in time (and `order`), from 1: counts of chunks are added up, rows are numbered within theirs."""
     x = df.withColumn("_c", chunk_of(seconds))
-    counts = x.groupBy(KEY, "_c").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(KEY, "_c", F.coalesce(F.sum("_n").over(Window.partitionBy(KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_p"))
-    return x.join(before, [KEY, "_c"]).withColumn(out, F.col("_p") + F.row_number().over(Window.partitionBy(KEY, "_c").orderBy(TS))).drop("_c", "_p")
+    counts = x.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*by, "_c", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_p"))
+    return x.join(before, [*by, "_c"]).withColumn(out, F.col("_p") + F.row_number().over(Window.partitionBy(*by, "_c").orderBy(TS, *order))).drop("_c", "_p")
+
+
+#: Rows of a block of `in_blocks`.
+BLOCK_ROWS = 8192
+
+
+def in_blocks(df: DataFrame, back: int, by: tuple[str, ...] = (KEY,), order: tuple[str, ...] = ("seq",), rows: int | None = None) -> tuple[DataFrame, object, Column]:
+    """(rows, window, own): windows that look at most `back` rows back, without a task that holds a group.
+
+    A group's rows are numbered and cut into blocks; the last `back` rows of a block also stand before the next one. The
+    window orders a block; figures over it count where `own` holds, which leaves each row once. Adds _block and _i.
+    """
+    rows = max(rows or BLOCK_ROWS, back)
+    x = numbered(df, "_i", 86400, by, order)
+    at, block = (F.col("_i") - 1) % rows, F.floor((F.col("_i") - 1) / rows)
+    x = x.withColumn("_own", block).withColumn("_block", F.explode(F.when(at >= rows - back, F.array(block, block + 1)).otherwise(F.array(block))))
+    return x, Window.partitionBy(*by, "_block").orderBy("_i"), F.col("_own") == F.col("_block")

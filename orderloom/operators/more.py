@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.functions.scan import in_blocks
 from orderloom.operators import stats as M
 from orderloom.operators.windows import EPS, forward_return
 from orderloom.spec import CANCEL_ACTIONS, KEY, TS, ahead, bucket, by_time, is_trade, median, signed_size, trailing
@@ -169,10 +170,12 @@ def depth_channels(book: DataFrame) -> DataFrame:
 
 def causal_normalise(cells: DataFrame, value: str, n: int = 222, least: int = 50, clip: float = 6.0) -> DataFrame:
     """z of a cell from the previous n snapshots of its level alone, zeros ignored; as it is until `least` of them."""
-    w = Window.partitionBy(KEY, "level").orderBy(TS, "seq").rowsBetween(-n, -1)
+    c, by_level, own = in_blocks(cells, n, (KEY, "level"))
+    w = by_level.rowsBetween(-n, -1)
     x = F.when(F.col(value) != 0, F.col(value))
     z = (F.col(value) - F.avg(x).over(w)) / (F.stddev_pop(x).over(w) + 1e-6)
-    return cells.withColumn(f"{value}_norm", F.when(F.col(value) == 0, 0.0).when(F.count(x).over(w) < least, F.col(value)).otherwise(F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))))
+    out = F.when(F.col(value) == 0, 0.0).when(F.count(x).over(w) < least, F.col(value)).otherwise(F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)))
+    return c.withColumn(f"{value}_norm", out).where(own).select(*cells.columns, f"{value}_norm")
 
 
 def soft_regime(df: DataFrame) -> DataFrame:

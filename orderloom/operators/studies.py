@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.functions.scan import in_blocks
 from orderloom.operators.labels import triple_barrier
 from orderloom.operators.trades import one_at_a_time
 from orderloom.operators.windows import EPS, forward_return
@@ -53,13 +54,14 @@ def liquidity_trap(book: DataFrame, move: float = 0.1) -> DataFrame:
 
 
 def rolling_book_window(cells: DataFrame, bars: DataFrame, lookback: int = 50) -> DataFrame:
-    """(bar, lag, cell) of the last bars' cells: a join on bar number less lag; nothing is stored twice until it is exported.
+    """(bar, lag, columns of cells) of the last bars that have cells: a join on bar number less lag; nothing is stored twice until it is exported.
 
-    filled_share: of the window's bars those that there are yet.
+    filled_share: of the window's `lookback` bars those with cells.
     """
-    n = bars.select(KEY, TS).withColumn("i", F.row_number().over(by_time()))
-    c = cells.join(n, [KEY, TS]).drop(TS)
-    want = n.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lookback - 1)))).withColumn("j", F.col("i") - F.col("lag")).select(KEY, TS, "lag", "j", (F.least(F.col("i"), F.lit(lookback)) / lookback).alias("filled_share"))
+    marked = bars.select(KEY, TS).join(cells.select(KEY, TS, F.lit(1).alias("_there")), [KEY, TS], "left")
+    n = marked.withColumn("i", F.row_number().over(by_time())).withColumn("_share", F.sum(F.coalesce("_there", F.lit(0))).over(trailing(lookback)) / lookback)
+    c = cells.join(n.select(KEY, TS, "i"), [KEY, TS]).drop(TS)
+    want = n.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lookback - 1)))).withColumn("j", F.col("i") - F.col("lag")).select(KEY, TS, "lag", "j", F.col("_share").alias("filled_share"))
     return want.join(c.withColumnRenamed("i", "j"), [KEY, "j"]).drop("j")
 
 
@@ -68,11 +70,16 @@ def flow_only_book(ticks: DataFrame, freq: str = "1 hour") -> DataFrame:
     return ticks.where(is_trade()).groupBy(KEY, bucket(freq).alias(TS)).agg(F.sum(F.greatest(signed_size(), F.lit(0.0))).alias("buy"), F.sum(F.greatest(-signed_size(), F.lit(0.0))).alias("sell")).select(KEY, TS, "buy", "sell", F.lit(0.0).alias("depth"), F.lit(False).alias("has_book"))
 
 
-def book_fidelity(stored: DataFrame, source: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Cells, missing cells and the largest difference between stored log depths and the source book."""
-    j = source.select("seq", F.posexplode("bid_sz").alias("level", "size")).join(stored.select("seq", "level", "bid_log"), ["seq", "level"], "left")
-    diff = F.abs(F.expm1("bid_log") - F.col("size"))
-    return j.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bid_log").isNull().cast("bigint")).alias("missing"), F.sum((diff > tolerance * 1e3).cast("bigint")).alias("apart"))
+def book_fidelity(stored: DataFrame, snapshots: DataFrame, tolerances: tuple[float, ...] = (1e-3, 1e-6)) -> DataFrame:
+    """Cells of the source snapshots, those that the stored table (symbol, time, level, depth_log) lacks, stored cells without a source, the
+    largest difference of sizes, and for each tolerance, a share of the size (1 at least), the cells that are further apart.
+    """
+    source = snapshots.select(KEY, TS, F.posexplode(F.concat(F.reverse("bid_sz"), "ask_sz")).alias("level", "size"))
+    j = source.join(stored.select(KEY, TS, "level", "depth_log"), [KEY, TS, "level"], "full_outer")
+    diff = F.abs(F.expm1(F.col("depth_log").cast("double")) - F.col("size"))
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    apart = [n(diff > t * F.greatest("size", F.lit(1.0))).alias(f"apart_{i}") for i, t in enumerate(tolerances)]
+    return j.agg(F.count("size").alias("n"), n(F.col("depth_log").isNull()).alias("missing"), n(F.col("size").isNull()).alias("unknown"), F.max(diff).alias("largest"), *apart)
 
 
 def cycle_phase(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -169,5 +176,6 @@ def thirteen_channels(cells: DataFrame) -> DataFrame:
     before = F.last(F.when(F.col("thin") == 1, F.col("level")), ignorenulls=True).over(w.orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(F.when(F.col("thin") == 1, F.col("level")), ignorenulls=True).over(w.orderBy("level").rowsBetween(0, Window.unboundedFollowing))
     c = c.withColumn("gap_distance", F.least(F.col("level") - before, after - F.col("level")))
-    lag = F.lag("bid_log", 5).over(Window.partitionBy(KEY, "level").orderBy(TS, "seq"))
-    return c.withColumn("gradient", (F.col("bid_log") - lag) / 5).drop("_s", "_m")
+    c, by_level, own = in_blocks(c, 5, (KEY, "level"))
+    c = c.withColumn("gradient", (F.col("bid_log") - F.lag("bid_log", 5).over(by_level)) / 5)
+    return c.where(own).drop("_s", "_m", "_own", "_block", "_i")

@@ -12,7 +12,7 @@ from orderloom.operators.book import wall_scan
 from orderloom.operators.rolls import apply_offsets_to_book, combine_raw_files
 from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, SIGNED, TICKS_SQL, WINDOW, atr_bars, bars, flow_bars, frame, labelled, nxt, sql, stage
 from orderloom.plans.catalog import query
-from orderloom.plans.features import BREAK, ID, PREV, TR, feature, tf, tick_feature
+from orderloom.plans.features import BREAK, ID, MEAN_SIZE, PREV, TR, WALLS, feature, tf, tick_feature
 from orderloom.plans.flow import SESSION
 from orderloom.plans.labels import AB, AL, BARRIERS_SQL, A, barrier_labels
 from orderloom.plans.statistics import pairs, pairs_sql, ranks_sql
@@ -58,8 +58,8 @@ F17_SELECT = """SELECT symbol, quantile_cont(size, 0.5) AS typical_size, round(m
        any_value(tick_size) AS tick_size FROM fk LEFT JOIN ft USING (symbol) GROUP BY symbol"""
 query("f17_auto_calibration", sql(TICKS_SQL, *F17, select=F17_SELECT))(lambda s, d: rounded(X.calibration(T(s, d))))
 query("f19_firing_structure", sql(*FA, f"z AS (SELECT {SESSION} AS session, abs(round(ofi, 9)) AS v FROM flow_bars)", select="SELECT session, t AS threshold, count(*) AS n, round(avg(CASE WHEN v >= t THEN 1.0 ELSE 0.0 END), 6) AS fire_rate FROM z, (VALUES (0.2::DOUBLE), (0.5::DOUBLE)) x(t) GROUP BY ALL"))(lambda s, d: rounded(X.firing_structure(W.session_flags(rounded(flow_bars(s, d), 9)).withColumn("v", F.abs("ofi")), "v", [0.2, 0.5])))
-WALL = "m AS (SELECT *, avg((list_sum(bid_sz) + list_sum(ask_sz)) / 20) OVER (PARTITION BY symbol ORDER BY ts_event, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ms FROM book), wl AS (SELECT seq, coalesce(list_position(list_transform(bid_sz, lambda x: x >= 1.5 * ms), true), 0) - 1 AS bw, coalesce(list_position(list_transform(ask_sz, lambda x: x >= 1.5 * ms), true), 0) - 1 AS aw FROM m), ex AS (SELECT seq, greatest(CASE WHEN aw >= 0 THEN aw + 1.0 ELSE 10.0 END, 3.0) AS t, least(CASE WHEN bw >= 0 THEN bw + 2.0 ELSE 12.0 END, 30.0) AS s FROM wl)"
-query("g7_dynamic_exit_levels", sql(BOOK_SQL, WALL, select="SELECT seq, CAST(t AS DOUBLE) AS target_ticks, CAST(s AS DOUBLE) AS stop_ticks, round(CAST(t AS DOUBLE) / CAST(s AS DOUBLE), 6) AS reward_risk FROM ex"))(lambda s, d: rounded(X.dynamic_exits(wall_scan(BK(s, d), 1.5, 10)).select("seq", "target_ticks", "stop_ticks", "reward_risk")))
+EXITS = "ex AS (SELECT seq, greatest(CASE WHEN aw > 0 THEN aw ELSE 10.0 END, 3.0) AS t, least(CASE WHEN bw > 0 THEN bw + 1.0 ELSE 12.0 END, 30.0) AS s FROM walls)"
+query("g7_dynamic_exit_levels", sql(BOOK_SQL, MEAN_SIZE, WALLS, EXITS, select="SELECT seq, CAST(t AS DOUBLE) AS target_ticks, CAST(s AS DOUBLE) AS stop_ticks, round(CAST(t AS DOUBLE) / CAST(s AS DOUBLE), 6) AS reward_risk FROM ex"))(lambda s, d: rounded(X.dynamic_exits(wall_scan(BK(s, d), 1.5)).select("seq", "target_ticks", "stop_ticks", "reward_risk")))
 CELLS = "mm AS (SELECT *, list_sort(bid_sz)[5] AS mb, list_sort(ask_sz)[5] AS ma FROM book), cells AS (SELECT symbol, ts_event, seq, CAST(i - 1 AS INTEGER) AS level, ln(1 + bid_sz[i]) AS bid_log, ln(1 + ask_sz[i]) AS ask_log, CAST(bid_sz[i] >= 3 * greatest(mb, 1) OR ask_sz[i] >= 3 * greatest(ma, 1) AS INTEGER) AS wall FROM mm, range(1, 11) r(i))"
 query("g10_depth_channels", sql(BOOK_SQL, CELLS, select="SELECT seq, level, round(bid_log, 6) AS bid_log, round(ask_log, 6) AS ask_log, wall FROM cells"))(lambda s, d: rounded(X.depth_channels(BK(s, d)).select("seq", "level", "bid_log", "ask_log", "wall")))
 CW = "(PARTITION BY symbol, level ORDER BY ts_event, seq ROWS BETWEEN 222 PRECEDING AND 1 PRECEDING)"

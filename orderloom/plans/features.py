@@ -298,8 +298,60 @@ query("f13_fisher_turn_signal")(lambda s, d: rounded(X.fisher_turn_signal(market
 # Book
 query("g1_book_imbalance", sql(BOOK_SQL, "s AS (SELECT *, list_sum(list_transform(list_zip(bid_sz, range(10)), lambda z: z[1] / (z[2] + 1))) AS wb, list_sum(list_transform(list_zip(ask_sz, range(10)), lambda z: z[1] / (z[2] + 1))) AS wa FROM book)", select="SELECT seq, round((wb - wa) / greatest(wb + wa, 1e-9), 6) AS imbalance, round(ask_px[1] - bid_px[1], 6) AS spread, list_sum(bid_sz) + list_sum(ask_sz) AS depth FROM s"))(lambda s, d: rounded(K.book_imbalance(market.book(s, d)).select("seq", "imbalance", "spread", "depth")))
 query("g2_top5_imbalance_microprice", sql(BOOK_SQL, "s AS (SELECT *, list_sum(bid_sz[1:5]) AS b5, list_sum(ask_sz[1:5]) AS a5 FROM book)", select="SELECT seq, round((b5 - a5) / greatest(b5 + a5, 1e-9), 6) AS imbalance5, round(CASE WHEN bid_sz[1] + ask_sz[1] > 0 THEN (bid_px[1] * ask_sz[1] + ask_px[1] * bid_sz[1]) / (bid_sz[1] + ask_sz[1]) ELSE (bid_px[1] + ask_px[1]) / 2 END, 6) AS microprice FROM s"))(lambda s, d: rounded(K.top5_imbalance_microprice(market.book(s, d)).select("seq", "imbalance5", "microprice")))
-query("g3_wall_scan", sql(BOOK_SQL, "m AS (SELECT *, avg((list_sum(bid_sz) + list_sum(ask_sz)) / 20) OVER (PARTITION BY symbol ORDER BY ts_event, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean_sz FROM book)", select="SELECT seq, round(mean_sz, 6) AS mean_size, CAST(coalesce(list_position(list_transform(bid_sz, lambda x: x >= 1.5 * mean_sz), true), 0) - 1 AS BIGINT) AS bid_wall, CAST(coalesce(list_position(list_transform(ask_sz, lambda x: x >= 1.5 * mean_sz), true), 0) - 1 AS BIGINT) AS ask_wall FROM m"))(lambda s, d: rounded(K.wall_scan(market.book(s, d), 1.5, 10).select("seq", "mean_size", "bid_wall", "ask_wall")))
+MEAN_SIZE = """mp AS (SELECT *, flatten(list(list_filter(list_concat(bid_sz, ask_sz), lambda v: v > 0)) OVER (PARTITION BY symbol ORDER BY ts_event, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS every FROM book),
+mz AS (SELECT * EXCLUDE (every), list_avg(every[greatest(len(every) - 199, 1):]) AS mean_size FROM mp)"""
+WALLS = """wp AS (SELECT *, (bid_px[1] + ask_px[1]) / 2 AS mid, coalesce(list_position(list_transform(bid_sz, lambda x: x >= 1.5 * mean_size), true), 0) AS bw, coalesce(list_position(list_transform(ask_sz, lambda x: x >= 1.5 * mean_size), true), 0) AS aw FROM mz),
+walls AS (SELECT *, CASE WHEN bw > 0 THEN bid_px[bw] END AS bid_wall_px, CASE WHEN aw > 0 THEN ask_px[aw] END AS ask_wall_px, CASE WHEN bw > 0 THEN bid_sz[bw] ELSE 0 END AS bid_wall_size, CASE WHEN aw > 0 THEN ask_sz[aw] ELSE 0 END AS ask_wall_size FROM wp)"""
+WALL_COLUMNS = ["mean_size", "bid_wall", "ask_wall", "bid_wall_px", "ask_wall_px", "bid_wall_strength", "ask_wall_strength", "bid_wall_distance", "ask_wall_distance", "wall_ticks"]
+G3_SELECT = """SELECT seq, round(mean_size, 6) AS mean_size, CAST(bw - 1 AS BIGINT) AS bid_wall, CAST(aw - 1 AS BIGINT) AS ask_wall, round(bid_wall_px, 6) AS bid_wall_px, round(ask_wall_px, 6) AS ask_wall_px,
+  round(bid_wall_size / mean_size, 6) AS bid_wall_strength, round(ask_wall_size / mean_size, 6) AS ask_wall_strength, round(mid - bid_wall_px, 6) AS bid_wall_distance, round(ask_wall_px - mid, 6) AS ask_wall_distance,
+  round(coalesce(least(CASE WHEN mid - bid_wall_px > 0 THEN mid - bid_wall_px END, CASE WHEN ask_wall_px - mid > 0 THEN ask_wall_px - mid END), 0) / 0.01, 6) AS wall_ticks FROM walls"""
+query("g3_wall_scan", sql(BOOK_SQL, MEAN_SIZE, WALLS, select=G3_SELECT))(lambda s, d: rounded(K.wall_scan(market.book(s, d), 1.5).select("seq", *WALL_COLUMNS)))
 query("g5_withdrawal_detector", sql(BOOK_SQL, "x AS (SELECT *, list_sum(bid_sz[1:3]) + list_sum(ask_sz[1:3]) AS d3 FROM book)", "y AS (SELECT *, CASE WHEN action <> 'T' AND lag(d3) OVER v > d3 THEN lag(d3) OVER v - d3 ELSE 0 END AS dr, CASE WHEN action = 'T' THEN size ELSE 0 END AS tv FROM x WINDOW v AS (PARTITION BY symbol ORDER BY ts_event, seq))", select="SELECT seq, round(sum(dr) OVER f / greatest(sum(tv) OVER f, 1), 6) AS withdrawal FROM y WINDOW f AS (PARTITION BY symbol ORDER BY ts_event, seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"))(lambda s, d: rounded(K.withdrawal_detector(market.book(s, d)).select("seq", "withdrawal")))
-query("g4_gap_and_density", sql(BOOK_SQL, select="SELECT seq, CAST(len(list_filter(range(1, 10), lambda i: bid_sz[i] < 5 OR bid_sz[i + 1] < 5)) AS BIGINT) AS bid_gaps, round(list_sum(bid_sz) / greatest((bid_px[1] - bid_px[10]) / 0.01, 1), 6) AS bid_density FROM book"))(lambda s, d: rounded(K.gap_and_density(market.book(s, d)).select("seq", "bid_gaps", "bid_density")))
-query("g8_bar_book_snapshot", sql(BOOK_SQL, "i AS (SELECT symbol, date_trunc('hour', ts_event) AS b, seq, (list_sum(bid_sz) - list_sum(ask_sz)) / greatest(list_sum(bid_sz) + list_sum(ask_sz), 1e-9) AS im, bid_sz FROM book)", "k AS (SELECT *, row_number() OVER (PARTITION BY symbol, b ORDER BY abs(round(im, 9)) DESC, seq) AS n FROM i)", select="SELECT symbol, b AS ts_event, round(avg(im), 6) AS imbalance, round(avg(bid_sz[1]), 6) AS bid_size FROM k WHERE n <= 3 GROUP BY ALL"))(lambda s, d: rounded(K.bar_book_snapshot(market.book(s, d))))
-query("g9_trade_footprint", sql(TICKS_SQL, BARS, "f AS (SELECT t.symbol, b.ts_event, least(CAST(floor(abs(t.price - b.open) / 0.1) AS INT), 9) AS level, side, size FROM ticks t JOIN bars b ON t.symbol = b.symbol AND date_trunc('hour', t.ts_event) = b.ts_event WHERE action = 'T')", select="SELECT symbol, ts_event, level, sum(CASE WHEN side = 'A' THEN size ELSE 0 END) AS buy, sum(CASE WHEN side = 'B' THEN size ELSE 0 END) AS sell FROM f GROUP BY ALL"))(lambda s, d: K.trade_footprint(market.ticks(s, d), B.ohlcv_bars(market.ticks(s, d))))
+GAPS = """lb AS (SELECT *, list_filter(list_zip(bid_px, bid_sz), lambda x: x[2] > 0) AS b, list_filter(list_zip(ask_px, ask_sz), lambda x: x[2] > 0) AS a FROM mz),
+gp AS (SELECT *, list_filter(list_transform(range(1, len(b)), lambda i: {'s': round(abs(b[i][1] - b[i + 1][1]) / 0.01, 9), 'c': greatest(1 - least(b[i][2], b[i + 1][2]) / mean_size, 0), 'v': greatest(1 - (b[i][2] + b[i + 1][2]) / 2 / mean_size, 0), 'p': b[i + 1][1]}),
+    lambda g: g.s >= 2 OR g.s >= 1 AND g.c >= 0.65 AND g.s + 0.8 * g.c + 0.6 * g.v >= 2)[1] AS bg,
+  list_filter(list_transform(range(1, len(a)), lambda i: {'s': round(abs(a[i][1] - a[i + 1][1]) / 0.01, 9), 'c': greatest(1 - least(a[i][2], a[i + 1][2]) / mean_size, 0), 'v': greatest(1 - (a[i][2] + a[i + 1][2]) / 2 / mean_size, 0), 'p': a[i + 1][1]}),
+    lambda g: g.s >= 2 OR g.s >= 1 AND g.c >= 0.65 AND g.s + 0.8 * g.c + 0.6 * g.v >= 2)[1] AS ag,
+  greatest(round(abs(b[least(len(b), 5)][1] - b[1][1]) / 0.01 + abs(a[least(len(a), 5)][1] - a[1][1]) / 0.01, 9), 1) AS span, list_sum(list_transform(b[1:5], lambda x: x[2])) AS b5, list_sum(list_transform(a[1:5], lambda x: x[2])) AS a5 FROM lb),
+gs AS (SELECT *, coalesce(bg.s + 0.8 * bg.c + 0.6 * bg.v, 0) AS bs, coalesce(ag.s + 0.8 * ag.c + 0.6 * ag.v, 0) AS az FROM gp)"""
+GAP_COLUMNS = ["bid_gap_px", "ask_gap_px", "bid_gap_size", "ask_gap_size", "gap_size", "bid_density", "ask_density", "liquidity_density"]
+G4_SELECT = """SELECT seq, round(bg.p, 6) AS bid_gap_px, round(ag.p, 6) AS ask_gap_px, round(bs, 6) AS bid_gap_size, round(az, 6) AS ask_gap_size, round(greatest(bs, az), 6) AS gap_size,
+  round(b5 / span, 6) AS bid_density, round(a5 / span, 6) AS ask_density, round((b5 + a5) / span, 6) AS liquidity_density FROM gs"""
+query("g4_gap_and_density", sql(BOOK_SQL, MEAN_SIZE, GAPS, select=G4_SELECT))(lambda s, d: rounded(K.gap_and_density(market.book(s, d)).select("seq", *GAP_COLUMNS)))
+BLEND = """sm AS (SELECT symbol, date_trunc('hour', ts_event) AS b, ts_event, seq, bid_sz, ask_sz, bid_px[1] AS bp, ask_px[1] AS ap, round(abs((list_sum(bid_sz) - list_sum(ask_sz)) / (list_sum(bid_sz) + list_sum(ask_sz) + 1e-9)), 9) AS m FROM book),
+tp AS (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY symbol, b ORDER BY m DESC, ts_event, seq) <= 3),
+tw AS (SELECT *, CASE WHEN sum(m) OVER p > 1e-12 THEN m / sum(m) OVER p ELSE 1.0 / count(*) OVER p END AS w FROM tp WINDOW p AS (PARTITION BY symbol, b)),
+bl AS (SELECT symbol, b AS ts_event, CAST(i - 1 AS INT) AS level, sum(w * bid_sz[i]) AS bz, sum(w * ask_sz[i]) AS az, sum(w * bp) AS bid0, sum(w * ap) AS ask0 FROM tw, range(1, 11) r(i) GROUP BY ALL)"""
+FOOT = """qu AS (SELECT symbol, ts_event, any_value(bid0) AS bid0, any_value(ask0) AS ask0 FROM bl GROUP BY ALL),
+fo AS (SELECT t.symbol, q.ts_event, size, CASE WHEN side = 'A' THEN true WHEN side = 'B' THEN false ELSE price >= (bid0 + ask0) / 2 END AS buy,
+  CAST(least(round_even(round(abs(price - CASE side WHEN 'A' THEN ask0 WHEN 'B' THEN bid0 ELSE (bid0 + ask0) / 2 END) / CASE WHEN ask0 > bid0 THEN round(ask0 - bid0, 9) ELSE 0.01 END, 6), 0), 9) AS INT) AS level
+  FROM ticks t JOIN qu q ON q.symbol = t.symbol AND q.ts_event = date_trunc('hour', t.ts_event) WHERE action = 'T' AND size > 0 AND price > 0),
+fp AS (SELECT symbol, ts_event, level, sum(CASE WHEN buy THEN size ELSE 0 END) AS buy, sum(CASE WHEN buy THEN 0 ELSE size END) AS sell FROM fo GROUP BY ALL)"""
+TENSOR = """td AS (SELECT symbol, ts_event, 9 - level AS level, bz AS d, bz AS bid, 0 AS ask FROM bl UNION ALL SELECT symbol, ts_event, 10 + level, az, 0, az FROM bl),
+tv AS (SELECT symbol, ts_event, 9 - level AS level, 0 AS buy, sell FROM fp UNION ALL SELECT symbol, ts_event, 10 + level, buy, 0 FROM fp),
+tc AS (SELECT td.*, coalesce(buy, 0) AS buy, coalesce(sell, 0) AS sell, lag(d) OVER (PARTITION BY td.symbol, td.level ORDER BY td.ts_event) AS p, quantile_cont(CASE WHEN d > 0 THEN d END, 0.5) OVER (PARTITION BY td.symbol, td.ts_event) AS md
+  FROM td LEFT JOIN tv ON tv.symbol = td.symbol AND tv.ts_event = td.ts_event AND tv.level = td.level),
+cells9 AS (SELECT symbol, ts_event, CAST(level AS INT) AS level, ln(1 + d) AS depth_log, (buy - sell) / greatest(buy + sell, 1e-9) AS trade_imbalance, ln(1 + buy + sell) AS trade_log, ln(1 + bid) AS bid_log, ln(1 + ask) AS ask_log,
+  ln(1 + buy) AS buy_log, ln(1 + sell) AS sell_log, CASE WHEN d > 3 * round(md, 9) THEN 1.0 ELSE 0.0 END AS wall, CASE WHEN p IS NULL THEN 0 ELSE least(greatest((d - p) / greatest(p, 1), -10), 10) END AS depth_change, d FROM tc)"""
+
+
+def snapshots(s, d):
+    return K.bar_book_snapshot(market.book(s, d))
+
+
+def tensor(s, d):
+    b = snapshots(s, d)
+    return K.nine_channel_book(b, K.trade_footprint(market.ticks(s, d), b))
+
+
+def flat(df, *columns):
+    """A row for each place of some arrays of one length."""
+    rest = [c for c in df.columns if c not in columns]
+    x = df.select(*rest, F.posexplode(F.arrays_zip(*columns)).alias("level", "z"))
+    return x.select(*rest, "level", *[F.col(f"z.{c}").alias(c) for c in columns])
+
+
+query("g8_bar_book_snapshot", sql(BOOK_SQL, BLEND, select="SELECT symbol, ts_event, level, round(bz, 6) AS bid_sz, round(az, 6) AS ask_sz, round(bid0, 6) AS bid0, round(ask0, 6) AS ask0, round((sum(bz) OVER b - sum(az) OVER b) / greatest(sum(bz) OVER b + sum(az) OVER b, 1e-9), 6) AS imbalance FROM bl WINDOW b AS (PARTITION BY symbol, ts_event)"))(lambda s, d: rounded(flat(snapshots(s, d), "bid_sz", "ask_sz")))
+query("g9_trade_footprint", sql(BOOK_SQL, BLEND, FOOT, select="SELECT q.symbol, q.ts_event, CAST(i AS INT) AS level, coalesce(buy, 0) AS buy, coalesce(sell, 0) AS sell FROM (SELECT DISTINCT symbol, ts_event FROM fp) q CROSS JOIN range(10) r(i) LEFT JOIN fp ON fp.symbol = q.symbol AND fp.ts_event = q.ts_event AND fp.level = i"))(lambda s, d: flat(K.trade_footprint(market.ticks(s, d), snapshots(s, d)), "buy", "sell"))
+query("g10_nine_channel_book", sql(BOOK_SQL, BLEND, FOOT, TENSOR, select="SELECT symbol, ts_event, level, " + ", ".join(f"round({c}, 6) AS {c}" for c in K.CHANNELS) + " FROM cells9"))(lambda s, d: rounded(K.tensor_cells(tensor(s, d))))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from orderloom.functions.stage import folder
+from orderloom.operators import book as K
 from orderloom.operators import gates as G
 from orderloom.operators import joins as J
 from orderloom.operators import more as X
@@ -16,12 +17,12 @@ from orderloom.operators import resample as R
 from orderloom.operators import stats as M
 from orderloom.operators import structure as H
 from orderloom.operators import studies as S
-from orderloom.operators import ticks as K
+from orderloom.operators import ticks as TK
 from orderloom.operators import windows as W
 from orderloom.plans.base import BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, SIGNED, TICKS_SQL, WINDOW, bars, flow_bars, frame, nxt, sql
 from orderloom.plans.catalog import query
 from orderloom.plans.composed import CELLS
-from orderloom.plans.features import ID, feature, tf
+from orderloom.plans.features import BLEND, FOOT, ID, TENSOR, feature, snapshots, tensor, tf
 from orderloom.plans.labels import AB, A
 from orderloom.sources import market
 from orderloom.spec import rounded, trailing
@@ -69,8 +70,8 @@ def c5(spark, d):
 @query("f1_tick_feature_job")
 def f1(spark, d):
     t = T(spark, d)
-    out = K.absorption_intensity(t).select("seq", "absorption")
-    for f, c in ((K.tape_speed_minutes, "tape_speed"), (K.net_signed_volume, "net_signed"), (K.session_vwap_z, "vwap_z"), (K.self_exciting_intensity, "intensity")):
+    out = TK.absorption_intensity(t).select("seq", "absorption")
+    for f, c in ((TK.tape_speed_minutes, "tape_speed"), (TK.net_signed_volume, "net_signed"), (TK.session_vwap_z, "vwap_z"), (TK.self_exciting_intensity, "intensity")):
         out = out.join(f(t).select("seq", c), "seq")
     return rounded(out)
 
@@ -79,11 +80,39 @@ query("f3_cancel_ratio", sql(TICKS_SQL, f"w AS (SELECT *, CASE WHEN action = 'A'
 query("f18_order_feature_rows", sql(TICKS_SQL, "o AS (SELECT *, date_trunc('hour', ts_event) AS b FROM ticks)", "n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol, b) AS n, count(*) OVER (PARTITION BY symbol, b, order_id) AS repeats, first_value(price) OVER w AS p FROM o WINDOW w AS (PARTITION BY symbol, b ORDER BY ts_event, seq))", select="SELECT seq, round(ln(1 + size), 6) AS log_size, round(price - p, 6) AS distance, round(i / n, 6) AS place, repeats FROM n WHERE n <= 3 OR floor(i * 3 / n) <> floor((i - 1) * 3 / n)"))(lambda s, d: rounded(S.order_rows(T(s, d), most=3).select("seq", "log_size", "distance", "place", "repeats")))
 query("g6_liquidity_trap")(lambda s, d: rounded(S.liquidity_trap(BK(s, d)).select("seq", "trap")))
 query("g13_flow_only_book", sql(TICKS_SQL, select=f"SELECT symbol, date_trunc('hour', t.ts_event) AS ts_event, sum(greatest({SIGNED}, 0)) AS buy, sum(greatest(-({SIGNED}), 0)) AS sell, 0.0::DOUBLE AS depth, false AS has_book FROM ticks t WHERE action = 'T' GROUP BY ALL"))(lambda s, d: S.flow_only_book(T(s, d)))
-G12 = f"n AS (SELECT *, row_number() OVER w AS i FROM bars {WINDOW})"
-G12_SELECT = """SELECT a.symbol, a.ts_event, CAST(k AS INTEGER) AS lag, b.volume, round(least(a.i, 50) / 50, 6) AS filled_share
-FROM n a, range(50) r(k), n b WHERE b.symbol = a.symbol AND b.i = a.i - k"""
-query("g12_rolling_book_window", sql(TICKS_SQL, BARS, G12, select=G12_SELECT))(lambda s, d: rounded(S.rolling_book_window(bars(s, d).select(*ID, "volume"), bars(s, d)).select(*ID, "lag", "volume", "filled_share")))
-query("g15_book_fidelity_check", sql(BOOK_SQL, CELLS, select="SELECT count(*) AS n, count(*) FILTER (bid_log IS NULL) AS missing, 0::BIGINT AS apart FROM cells"))(lambda s, d: S.book_fidelity(X.depth_channels(BK(s, d)), BK(s, d)))
+G12 = (
+    f"bn AS (SELECT symbol, ts_event, row_number() OVER w AS i FROM bars {WINDOW})",
+    "tb AS (SELECT symbol, ts_event, sum(depth_log) AS depth, sum(trade_imbalance) AS flow, sum(wall) AS walls FROM cells9 GROUP BY ALL)",
+    "bt AS (SELECT bn.*, depth, flow, walls, sum(CASE WHEN depth IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY bn.symbol ORDER BY bn.ts_event ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS held FROM bn LEFT JOIN tb USING (symbol, ts_event))",
+)
+G12_SELECT = """SELECT a.symbol, a.ts_event, CAST(k AS INTEGER) AS lag, round(b.depth, 5) AS depth, round(b.flow, 5) AS flow, b.walls, round(a.held / 50, 6) AS filled_share
+FROM bt a, range(50) r(k), bt b WHERE b.symbol = a.symbol AND b.i = a.i - k AND b.depth IS NOT NULL"""
+
+
+@query("g12_rolling_book_window", sql(BOOK_SQL, BARS, BLEND, FOOT, TENSOR, *G12, select=G12_SELECT))
+def g12(spark, d):
+    """The book arrays of the last 50 bars of each bar; what a row of the window holds is reported as sums over the levels."""
+    w = S.rolling_book_window(tensor(spark, d), bars(spark, d))
+    over = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return rounded(w.select(*ID, "lag", over("depth_log").alias("depth"), over("trade_imbalance").alias("flow"), over("wall").alias("walls"), "filled_share").withColumns({c: F.round(c, 5) for c in ("depth", "flow")}))
+
+
+@query(
+    "g15_book_fidelity_check",
+    sql(
+        BOOK_SQL, BLEND, FOOT, TENSOR, "st AS (SELECT *, exp(CAST(CAST(depth_log AS FLOAT) AS DOUBLE)) - 1 AS back, level = 7 AND hour(ts_event) = 3 AS lost, CASE WHEN level = 4 AND hour(ts_event) = 5 THEN 1 ELSE 0 END AS off FROM cells9)",
+        select="SELECT count(*) AS n, CAST(count(*) FILTER (lost) AS BIGINT) AS missing, 0::BIGINT AS unknown, CAST(count(*) FILTER (NOT lost AND abs(back + off * (1 + back) - d) > 1e-3 * greatest(d, 1)) AS BIGINT) AS apart_0, CAST(count(*) FILTER (NOT lost AND abs(back + off * (1 + back) - d) > 1e-6 * greatest(d, 1)) AS BIGINT) AS apart_1 FROM st",
+    ),
+)
+def g15(spark, d):
+    """A stored tensor of single precision with planted faults, a level lost in some bars and one of twice the size in others, against the book."""
+    cells = K.tensor_cells(tensor(spark, d)).where(~((F.col("level") == 7) & (F.hour("ts_event") == 3)))
+    twice = F.when((F.col("level") == 4) & (F.hour("ts_event") == 5), F.log(F.lit(2.0))).otherwise(0.0)
+    path = new(spark)
+    cells.select(*ID, "level", (F.col("depth_log").cast("float").cast("double") + twice).alias("depth_log")).write.parquet(path)
+    return S.book_fidelity(spark.read.parquet(path), snapshots(spark, d)).drop("largest")
+
+
 PH = f"ph AS (SELECT *, (close - min(low) OVER {frame(20)}) / greatest(max(high) OVER {frame(20)} - min(low) OVER {frame(20)}, 1e-9) AS pl, tanh((close - avg(close) OVER {frame(20)}) / greatest(atr, 1e-9)) AS sl FROM atr), pe AS (SELECT *, exp(1 - abs(sl) - pl) AS a, exp(sl + pl) AS b, exp(pl - abs(sl)) AS c, exp(-sl + 1 - pl) AS e FROM ph)"
 feature("h4_cycle_phase_probs", lambda s, d: S.cycle_phase(AB(s, d)), ["p_accumulation", "p_markup", "p_markdown"], (*A, PH), "round(a / (a + b + c + e), 6) AS p_accumulation, round(b / (a + b + c + e), 6) AS p_markup, round(e / (a + b + c + e), 6) AS p_markdown FROM pe")
 LAGS = range(2, 20)
