@@ -158,19 +158,3 @@ def refined_bar_vote(labels: DataFrame, floor: float = 0.35, quality: str | None
         often = labels.groupBy(KEY, TS, regime).agg(F.count(F.lit(1)).alias("_c")).groupBy(KEY, TS).agg(F.min(F.struct(-F.col("_c"), F.col(regime).alias("r")))["r"].alias("regime"))
         out = out.join(often, [KEY, TS])
     return out
-
-
-def intrabar_tick_slices(ticks: DataFrame, minutes: int = 60, slices: int = 12) -> DataFrame:
-    """Figures of a bar from its slices: largest and last share of ticks, agreement of flow signs, early against late flow, spread of sizes. Slices without ticks count as 0."""
-    base = ticks.where(is_trade()).withColumn("b", bucket(f"{minutes} minutes"))
-    part = F.floor((F.minute(TS) * 60 + F.second(TS)) * slices / (minutes * 60)).cast("int") if minutes == 60 else F.floor((F.unix_micros(F.col(TS).cast("timestamp")) - F.unix_micros(F.col("b").cast("timestamp"))) * slices / (minutes * 60_000_000)).cast("int")
-    s = base.groupBy(KEY, "b", part.alias("slice")).agg(F.sum(signed_size()).alias("flow"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    total = F.sum("flow")
-    return s.groupBy(KEY, F.col("b").alias(TS)).agg(
-        (F.max("n") / F.sum("n")).alias("peak_share"),
-        (F.sum(F.signum("flow")) / slices).alias("sign_agreement"),
-        (F.sum(F.when(F.col("slice") < slices // 2, F.col("flow")).otherwise(-F.col("flow")))).alias("early_minus_late"),
-        F.max(F.abs("flow")).alias("max_flow"),
-        (F.sqrt(F.greatest(F.sum(F.col("size") * F.col("size")) / slices - F.pow(F.sum("size") / slices, 2), F.lit(0.0))) / (F.sum("size") / slices)).alias("size_cv"),
-        F.signum(total).alias("pressure"),
-    )

@@ -58,15 +58,6 @@ def drop_forward_columns(df: DataFrame) -> DataFrame:
 # Features
 
 
-def intrabar_book_slices(book: DataFrame, slices: int = 12) -> DataFrame:
-    """An hour's book by slices: spread and depth, signed imbalance of the largest size, its slope over the slices."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    b = book.withColumn("b", bucket("1 hour")).withColumn("slice", F.floor((F.minute(TS) * 60 + F.second(TS)) * slices / 3600).cast("int"))
-    b = b.withColumn("bd", total("bid_sz")).withColumn("ad", total("ask_sz"))
-    s = b.groupBy(KEY, "b", "slice").agg(F.avg(F.get("ask_px", F.lit(0)) - F.get("bid_px", F.lit(0))).alias("spread"), F.avg(F.col("bd") + F.col("ad")).alias("depth"), F.avg((F.col("bd") - F.col("ad")) / F.greatest(F.col("bd") + F.col("ad"), F.lit(EPS))).alias("imb"))
-    return s.groupBy(KEY, F.col("b").alias(TS)).agg(F.max("spread").alias("spread_max"), F.avg("spread").alias("spread_mean"), F.max("depth").alias("depth_max"), F.max(F.abs("imb")).alias("imb_peak"), F.regr_slope("imb", F.col("slice").cast("double")).alias("imb_slope"), F.stddev_pop("depth").alias("depth_std"))
-
-
 def derived_block(bars: DataFrame, n: int = 14) -> DataFrame:
     """Normalised columns of a bar for sequence models."""
     w = trailing(n)
@@ -217,27 +208,11 @@ def bar_quality(df: DataFrame, n: int = 100) -> DataFrame:
 # Labels
 
 
-def excursion_diagnostics(df: DataFrame, horizon: int = 12, half: float = 0.5) -> DataFrame:
-    """Bars until the favourable move reaches half an ATR, whether one ATR against comes first, and the expectation after costs."""
-    w = F.collect_list(F.struct("high", "low")).over(ahead(horizon))
-    df = df.withColumn("_w", w)
-    at = lambda f: F.array_position(F.transform("_w", lambda b: f(b).cast("int")), 1)
-    up, down = at(lambda b: b["high"] >= F.col("close") + half * F.col("atr")), at(lambda b: b["low"] <= F.col("close") - F.col("atr"))
-    return df.withColumn("bars_to_half", F.when(up > 0, up)).withColumn("stop_first", ((down > 0) & ((up == 0) | (down <= up))).cast("int")).drop("_w")
-
-
 def adaptive_horizon(df: DataFrame, base: int = 12, least: float = 0.5, most: float = 2.0, n: int = 100) -> DataFrame:
     ratio = F.col("atr") / F.greatest(median("atr").over(trailing(n)), F.lit(EPS))
     return df.withColumn("horizon", F.round(base * F.least(F.greatest(ratio, F.lit(least)), F.lit(most))).cast("int"))
 
 
-def ruin_weights(df: DataFrame, tp: float = 1.5, sl: float = 1.0) -> DataFrame:
-    """Chance of the target before the stop for a driftless walk, with a pull from the flow, as a weight."""
-    drift = F.col("ofi") * 0.2
-    p = F.when(F.abs(drift) < 1e-6, sl / (tp + sl)).otherwise((1 - F.exp(2 * drift * sl)) / (F.exp(-2 * drift * tp) - F.exp(2 * drift * sl)))
-    return df.withColumn("ruin_weight", p)
-
-
 # The probability of a side by what came first, (weak, strong) quality: its target, its stop, the other's target, the other's stop.
 OUTCOME_SOFT = {"target": (0.72, 0.88), "stop": (0.12, 0.09), "other_target": (0.12, 0.12), "other_stop": (0.62, 0.68)}
 

@@ -143,11 +143,6 @@ def label_grid(bars: DataFrame, multiples: list[float], horizons: list[int], obs
     return both.groupBy("multiple", "horizon", "label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("observed")).cast("double")).alias("agreement"))
 
 
-def wall_break(df: DataFrame, n: int = 6) -> DataFrame:
-    """Whether the next bars pass the price of the largest ask level. df: bars with wall_px."""
-    return df.withColumn("wall_break", F.coalesce(F.max("high").over(ahead(n)) > F.col("wall_px"), F.lit(False)).cast("int"))
-
-
 def combine_quarters(parts: list[DataFrame]) -> DataFrame:
     """Quarterly tables one after the other, absent columns null, each cut where the next begins."""
     out = None

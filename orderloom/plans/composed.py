@@ -26,7 +26,6 @@ query("a5_depth_feature_join", sql(TICKS_SQL, BARS, FLOW, select="SELECT symbol,
 query("a8_schema_registry_validate", "SELECT 'absent' AS \"column\", 'missing' AS problem UNION ALL SELECT 'volume', 'type'")(lambda s, d: X.schema_check(bars(s, d), {"close": "double", "absent": "double", "volume": "int"}))
 query("a9_feature_select_mode", sql(TICKS_SQL, BARS, select="SELECT symbol, ts_event, close, volume FROM bars"))(lambda s, d: X.select_features(bars(s, d), ID, "keep_top", ["close", "volume"], []))
 query("a10_leakage_column_filter", sql(TICKS_SQL, BARS, select="SELECT * FROM bars"))(lambda s, d: X.drop_forward_columns(W.forward_return(bars(s, d), 3)))
-query("d14_intrabar_book_slices", sql(BOOK_SQL, "q AS (SELECT symbol, date_trunc('hour', ts_event) AS b, CAST(floor((minute(ts_event) * 60 + second(ts_event)) * 12 / 3600) AS INT) AS slice, avg(ask_px[1] - bid_px[1]) AS spread, avg(list_sum(bid_sz) + list_sum(ask_sz)) AS depth, avg((list_sum(bid_sz) - list_sum(ask_sz)) / greatest(list_sum(bid_sz) + list_sum(ask_sz), 1e-9)) AS imb FROM book GROUP BY ALL)", select="SELECT symbol, b AS ts_event, round(max(spread), 6) AS spread_max, round(avg(spread), 6) AS spread_mean, round(max(depth), 6) AS depth_max, round(max(abs(imb)), 6) AS imb_peak, round(regr_slope(imb, slice), 6) AS imb_slope, round(stddev_pop(depth), 6) AS depth_std FROM q GROUP BY ALL"))(lambda s, d: rounded(X.intrabar_book_slices(BK(s, d))))
 feature(
     "e33_derived_bar_block", lambda s, d: X.derived_block(bars(s, d)).withColumn("close_z", F.round("close_z", 3)), ["log_ret", "close_place", "rel_volume", "rel_range", "close_z"], (TICKS_SQL, BARS),
     f"round(ln(close / lag(close) OVER w), 6) AS log_ret, round((close - low) / greatest(high - low, 1e-9), 6) AS close_place, round(volume / greatest(avg(volume) OVER {frame(14)}, 1e-9), 6) AS rel_volume, round((high - low) / greatest(avg(high - low) OVER {frame(14)}, 1e-9), 6) AS rel_range, round((close - avg(close) OVER {frame(14)}) / (stddev_samp(close) OVER {frame(14)} + 1e-9), 3) AS close_z FROM bars {WINDOW}",
@@ -81,13 +80,7 @@ PLACE = "pl AS (SELECT *, round(least(greatest((close - prev_day_low) / greatest
 feature("h15_structure_bucket", lambda s, d: X.structure_bucket(rounded(W.previous_period_levels(bars(s, d)), 9)), ["structure_bucket"], (TICKS_SQL, BARS, PREV, PLACE), f"{BUCKET} AS structure_bucket FROM pl")
 feature("i7_train_pool_flag", lambda s, d: X.train_pool_flag(labelled(s, d)), ["in_pool"], AL, "coalesce(label, 0) <> 0 AND atr >= (SELECT quantile_cont(atr, 0.5) FROM labelled) / 2 AS in_pool FROM labelled")
 feature("i10_bar_quality_score", lambda s, d: X.bar_quality(flow_bars(s, d)), ["bar_quality"], FA, f"round(0.30 * abs(ofi) + 0.35 * CASE WHEN quantile_cont(volume, 0.5) OVER {frame(100, 1)} IS NULL THEN least(volume / 1e-9, 1) ELSE least(volume / greatest(quantile_cont(volume, 0.5) OVER {frame(100, 1)} * 2, 1e-9), 1) END + 0.35 * abs(buy_share - 0.5) * 2, 6) AS bar_quality FROM flow_bars")
-feature(
-    "j10_excursion_diagnostics", lambda s, d: X.excursion_diagnostics(AB(s, d)).withColumn("bars_to_half", F.col("bars_to_half").cast("bigint")), ["bars_to_half", "stop_first"],
-    (*A, f"x AS (SELECT *, list({{'h': high, 'l': low}}) OVER {nxt(12)} AS x FROM atr)", "y AS (SELECT *, list_position(list_transform(x, lambda b: b.h >= close + 0.5 * atr), true) AS u, list_position(list_transform(x, lambda b: b.l <= close - atr), true) AS n FROM x)"),
-    "CAST(nullif(u, 0) AS BIGINT) AS bars_to_half, CAST(coalesce(n, 0) > 0 AND (coalesce(u, 0) = 0 OR n <= u) AS INTEGER) AS stop_first FROM y",
-)
 feature("j6_adaptive_horizon", lambda s, d: X.adaptive_horizon(AB(s, d)), ["horizon"], A, f"CAST(round(12 * least(greatest(atr / greatest(quantile_cont(atr, 0.5) OVER {frame(100)}, 1e-9), 0.5), 2.0)) AS INTEGER) AS horizon FROM atr")
-feature("j14_ruin_weights", lambda s, d: X.ruin_weights(flow_bars(s, d)), ["ruin_weight"], FA, "round(CASE WHEN abs(ofi * 0.2) < 1e-6 THEN 1.0 / 2.5 ELSE (1 - exp(2 * ofi * 0.2)) / (exp(-3 * ofi * 0.2) - exp(2 * ofi * 0.2)) END, 6) AS ruin_weight FROM flow_bars")
 SOFT = (
     f"so0 AS (SELECT *, lead(close, 6) OVER w - close AS mv, CASE WHEN bars_held <= 3 THEN 2 ELSE 1 END AS ql FROM barrier_labels {WINDOW})",
     """so AS (

@@ -284,11 +284,6 @@ def d12(spark, d):
     return B.book_coverage(bars(spark, d), BK(spark, d))
 
 
-@query("d13_intrabar_tick_slices", sql(TICKS_SQL, f"s AS (SELECT symbol, date_trunc('hour', ts_event) AS b, CAST(floor((minute(ts_event) * 60 + second(ts_event)) * 12 / 3600) AS INT) AS slice, sum({SIGNED}) AS flow, sum(size) AS size, count(*) AS n FROM ticks WHERE action = 'T' GROUP BY ALL)", select="SELECT symbol, b AS ts_event, round(max(n) / sum(n), 6) AS peak_share, round(sum(sign(flow)) / 12, 6) AS sign_agreement, sum(CASE WHEN slice < 6 THEN flow ELSE -flow END) AS early_minus_late, max(abs(flow)) AS max_flow, round(sqrt(greatest(sum(size * size) / 12 - pow(sum(size) / 12, 2), 0)) / (sum(size) / 12), 6) AS size_cv, CAST(sign(sum(flow)) AS DOUBLE) AS pressure FROM s GROUP BY ALL"))
-def d13(spark, d):
-    return rounded(B.intrabar_tick_slices(T(spark, d)))
-
-
 @query("d15_downsample_bars", sql(TICKS_SQL, BARS, "i AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY symbol ORDER BY ts_event) - 1) / 4) AS BIGINT) AS idx FROM bars)", select="SELECT symbol, idx, min(i.ts_event) AS ts_event, first(open ORDER BY i.ts_event) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY i.ts_event) AS close, sum(volume) AS volume FROM i GROUP BY symbol, idx"))
 def d15(spark, d):
     return B.downsample_bars(bars(spark, d), 4)

@@ -25,7 +25,6 @@ REGIME = f"""rg AS (SELECT *, CASE WHEN volume < 0.3 * quantile_cont(volume, 0.5
   WHEN abs(close - lag(close, 10) OVER (PARTITION BY symbol ORDER BY ts_event)) / greatest(10 * atr, 1e-9) > 0.6 THEN 'trending' ELSE 'ranging' END AS regime FROM atr)"""
 regime = lambda s, d: L.regime_rule(AB(s, d))
 
-feature("h8_regime_rule", regime, ["regime"], (*A, REGIME), "regime FROM rg")
 query("h9_regime_group_rare", sql(*A, REGIME, select="SELECT CASE WHEN regime IN ('volatile', 'trending') THEN 'other' ELSE regime END AS regime, count(*) AS n FROM rg GROUP BY ALL"))(lambda s, d: L.regime_group_rare(regime(s, d), ("volatile", "trending")).groupBy("regime").agg(F.count(F.lit(1)).alias("n")))
 H12 = (
     f"x AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM bars {WINDOW})",

@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 
 from orderloom.functions.stage import folder
 from orderloom.operators import book as K
+from orderloom.operators import diagnostics as Q
 from orderloom.operators import gates as G
 from orderloom.operators import joins as J
 from orderloom.operators import more as X
 from orderloom.operators import ranges as N
 from orderloom.operators import replay as P
 from orderloom.operators import resample as R
+from orderloom.operators import slices as I
 from orderloom.operators import stats as M
 from orderloom.operators import structure as H
 from orderloom.operators import studies as S
 from orderloom.operators import ticks as TK
 from orderloom.operators import windows as W
-from orderloom.plans.base import BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, SIGNED, TICKS_SQL, WINDOW, bars, flow_bars, frame, nxt, sql
+from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, SIGNED, TICKS_SQL, WINDOW, bars, flow_bars, frame, labelled, nxt, sql
 from orderloom.plans.catalog import query
 from orderloom.plans.composed import CELLS
-from orderloom.plans.features import BLEND, FOOT, ID, TENSOR, feature, snapshots, tensor, tf
+from orderloom.plans.features import BLEND, FEED, FOOT, ID, MEAN_SIZE, TENSOR, WALLS, feature, snapshots, tensor, tf
 from orderloom.plans.labels import AB, A
 from orderloom.sources import market
-from orderloom.spec import rounded, trailing
+from orderloom.spec import bucket, rounded, signed_size, trailing
 
 T, BK = market.ticks, market.book
 FA = (TICKS_SQL, BARS, FLOW, FLOW_BARS)
@@ -175,8 +177,116 @@ J13 = (
 )
 J13_SELECT = "SELECT symbol, ts_event, round(u, 6) AS p_up, round(d, 6) AS p_down, round(" + " + ".join(f"CASE WHEN {p} > 1e-9 THEN -{p} * ln({p}) ELSE 0 END" for p in "udz") + ", 6) AS entropy FROM je"
 query("j13_soft_labels_scenarios", sql(*A, *J13, select=J13_SELECT))(lambda s, d: rounded(S.scenario_soft_labels(AB(s, d), SCEN)))
-feature("j16_wall_break_label", lambda s, d: S.wall_break(AB(s, d).withColumn("wall_px", F.col("close") + F.col("atr") / 2)), ["wall_break"], A, f"CAST(coalesce(max(high) OVER {nxt(6)} > close + atr / 2, false) AS INTEGER) AS wall_break FROM atr")
+WITH_FEED = (FEED, BARS, FLOW, FLOW_BARS, ATR)
+H8_W = "(PARTITION BY symbol ORDER BY ts_event ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
+H8 = (
+    "it AS (SELECT symbol, date_trunc('hour', ts_event) AS ts_event, arg_max(intensity, (fz.ts_event, seq)) AS intensity FROM fz JOIN fr USING (symbol, d, i) GROUP BY ALL)",
+    "hb AS (SELECT a.*, round(ofi, 9) AS ofi, round(cvd_delta, 9) AS cvd_delta, round(intensity, 9) AS intensity FROM atr a JOIN (SELECT symbol, ts_event, ofi, cvd_delta FROM flow_bars) USING (symbol, ts_event) JOIN it USING (symbol, ts_event))",
+    f"""hr AS (SELECT *, round(coalesce(CASE WHEN count(*) OVER w >= 20 THEN atr / nullif(quantile_cont(atr, 0.5) OVER w, 0) END, 1), 9) AS r, round(coalesce(CASE WHEN count(*) OVER w >= 20 THEN (intensity - avg(intensity) OVER w) / (stddev_samp(intensity) OVER w + 1e-9) END, 0), 9) AS z,
+  round(coalesce(CASE WHEN count(*) OVER w >= 20 THEN quantile_cont(abs(cvd_delta), 0.5) OVER w END, 0), 9) AS m, coalesce(count(*) OVER w >= 20 AND n_trades < 0.5 * quantile_cont(n_trades, 0.5) OVER w, false) AS q FROM hb WINDOW w AS {H8_W})""",
+    "rg8 AS (SELECT *, CASE WHEN q THEN 'low_liquidity' WHEN r > 1.5 AND z > 1.5 THEN 'volatile' WHEN r > 0.8 AND (round(abs(cvd_delta), 9) > m + 1e-12 OR abs(ofi) > 0.55) THEN 'trending' ELSE 'ranging' END AS regime FROM hr)",
+)
+
+
+def regimes(s, d):
+    b = rounded(AB(s, d).join(flow_bars(s, d).select(*ID, "ofi", "cvd_delta"), ID), 9)
+    t = TK.self_exciting_intensity(T(s, d)).withColumn("_b", bucket("1 hour")).groupBy("symbol", F.col("_b").alias("_t")).agg(F.max_by("intensity", F.struct("ts_event", "seq")).alias("intensity")).withColumnRenamed("_t", "ts_event")
+    return Q.regime_labels(rounded(b.join(t, ID), 9), intensity="intensity", flow="cvd_delta", activity="n_trades", trend="ofi")
+
+
+def with_recursive(*ctes, select):
+    return "WITH RECURSIVE " + ", ".join(ctes) + " " + select
+
+
+query("h8_regime_rule", with_recursive(*WITH_FEED, *H8, select="SELECT symbol, ts_event, regime FROM rg8"))(lambda s, d: regimes(s, d).select(*ID, "regime"))
+J10 = (
+    LABELS, "je AS (SELECT g.*, label, volume > 1.2 * avg(volume) OVER (PARTITION BY g.symbol ORDER BY g.ts_event ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS is_event FROM rg8 g LEFT JOIN (SELECT symbol, ts_event, label FROM labelled) USING (symbol, ts_event))",
+    f"jw AS (SELECT *, list_transform(coalesce(list(close) OVER {nxt(24)}, []), lambda x: round(x - close, 9)) AS w FROM je)",
+    "jf AS (SELECT *, len(w) > 0 AND atr > 1e-12 AS there, coalesce(label, 0) AS side, list_position(list_transform(w, lambda x: x >= atr), true) AS u, list_position(list_transform(w, lambda x: x <= -atr), true) AS n, list_position(list_transform(w, lambda x: abs(x) >= 0.5 * atr), true) AS t FROM jw)",
+    "jg AS (SELECT *, CASE WHEN there THEN greatest(list_max(w), 0) ELSE 0 END AS mfe, CASE WHEN there THEN greatest(-list_min(w), 0) ELSE 0 END AS mae, CASE WHEN there THEN coalesce(t, 0) ELSE 0 END AS touch, CAST(there AND coalesce(n, 0) > 0 AND (coalesce(u, 0) = 0 OR n < u) AS INT) AS sf FROM jf)",
+    "jh AS (SELECT *, CASE WHEN there THEN mfe / atr ELSE 0 END AS f, CASE WHEN there THEN mae / atr ELSE 0 END AS a, 0.05 + CASE WHEN atr > 1e-12 THEN 0.0001 / greatest(atr, 1e-12) ELSE 0 END AS cost FROM jg)",
+    "ji AS (SELECT *, round(CASE WHEN side > 0 THEN f WHEN side < 0 THEN a ELSE greatest(f, a) END - cost, 9) AS x FROM jh)",
+)
+J10_SELECT = """SELECT symbol, ts_event, round(mfe, 6) AS mfe, round(mae, 6) AS mae, round(f, 6) AS mfe_atr, round(a, 6) AS mae_atr, CAST(touch AS INT) AS bars_to_touch, sf AS stop_first, round(x, 6) AS expectancy,
+  CASE WHEN side <> 0 THEN 'directional' WHEN NOT is_event THEN 'non_event' WHEN NOT atr > 1e-12 THEN 'data_quality' WHEN round(f, 9) < 0.5 AND round(a, 9) < 0.5 THEN 'no_edge' WHEN sf = 1 THEN 'stop_first' WHEN round(f, 9) >= 0.5 AND x < 0 THEN 'low_expectancy'
+       WHEN round(f, 9) > 2 AND touch > 16 THEN 'late_move' ELSE 'ambiguous' END AS neutral_type, CAST(side <> 0 AND x > 0 AND sf = 0 AS INT) AS tradable,
+  CASE regime WHEN 'trending' THEN 'trend' WHEN 'volatile' THEN 'volatile' WHEN 'low_liquidity' THEN 'liquidity_vacuum' ELSE 'chop' END AS market_state FROM ji"""
+
+
+@query("j10_excursion_diagnostics", with_recursive(*WITH_FEED, *H8, *J10, select=J10_SELECT))
+def j10(spark, d):
+    b = regimes(spark, d).join(labelled(spark, d).select(*ID, "label"), ID, "left").withColumn("is_event", F.col("volume") > 1.2 * F.avg("volume").over(trailing(20)))
+    return rounded(Q.excursion_diagnostics(b).select(*ID, "mfe", "mae", "mfe_atr", "mae_atr", "bars_to_touch", "stop_first", "expectancy", "neutral_type", "tradable", "market_state"))
+
+
+J14 = (
+    MEAN_SIZE, WALLS, BARS, ATR, LABELS, "bs AS (SELECT symbol, date_trunc('hour', ts_event) AS ts_event, greatest(arg_max(bid_wall_size / mean_size, (walls.ts_event, seq)), arg_max(ask_wall_size / mean_size, (walls.ts_event, seq))) AS wall FROM walls GROUP BY ALL)",
+    f"rh AS (SELECT l.*, wall, round(12 * least(greatest(atr / greatest(quantile_cont(atr, 0.5) OVER {frame(100)}, 1e-9), 0.5), 2.0)) AS hz, CASE WHEN coalesce(label, 0) = 0 THEN 0 WHEN volume > round(avg(volume) OVER {frame(20)}, 9) THEN 2 ELSE 1 END AS ql FROM labelled l LEFT JOIN bs USING (symbol, ts_event))",
+    """rw AS (SELECT *, least(greatest(CASE WHEN coalesce(label, 0) = 0 THEN 0.5 ELSE 0.4 END * least(greatest(pow(1 / greatest(greatest(hz, 1) / greatest((SELECT quantile_cont(greatest(hz, 1), 0.5) FROM rh), 1), 0.1), 0.5), 0.4), 1.6)
+  * (0.4 + 0.8 / (1 + exp(-3 * coalesce(wall, 0) / 3))) * CASE ql WHEN 2 THEN 1.4 WHEN 1 THEN 1.0 ELSE 0.6 END, 0.1), 3.5) AS w FROM rh)""",
+)
+
+
+@query("j14_ruin_weights", sql(BOOK_SQL, *J14, select="SELECT symbol, ts_event, round(least(greatest(w / (SELECT avg(w) FROM rw), 0.1), 3.5), 6) AS ruin_weight FROM rw"))
+def j14(spark, d):
+    walls = K.wall_scan(BK(spark, d), 1.5).withColumn("_b", bucket("1 hour")).groupBy("symbol", F.col("_b").alias("_t")).agg(F.max_by(F.struct("bid_wall_strength", "ask_wall_strength"), F.struct("ts_event", "seq")).alias("_w"))
+    walls = walls.select("symbol", F.col("_t").alias("ts_event"), "_w.*")
+    quality = F.when(F.coalesce("label", F.lit(0)) == 0, 0).when(F.col("volume") > F.round(F.avg("volume").over(trailing(20)), 9), 2).otherwise(1)
+    b = X.adaptive_horizon(labelled(spark, d)).withColumn("quality", quality).join(walls, ID, "left")
+    return rounded(Q.ruin_weights(b).select(*ID, "ruin_weight"))
+
+
+J16 = (
+    "ls AS (SELECT symbol, date_trunc('hour', ts_event) AS ts_event, arg_max(list_concat(list_reverse(list_transform(range(1, 11), lambda i: {'p': bid_px[i], 'z': bid_sz[i], 's': -1})), list_transform(range(1, 11), lambda i: {'p': ask_px[i], 'z': ask_sz[i], 's': 1})), (book.ts_event, seq)) AS x FROM book GROUP BY ALL)",
+    "lm AS (SELECT *, list_filter(x, lambda v: v.z > 1.8 * list_median(list_filter(list_transform(x, lambda y: y.z), lambda z: z > 0))) AS f FROM ls)",
+    "lw AS (SELECT symbol, ts_event, list_filter(f, lambda v: v.z = list_max(list_transform(f, lambda y: y.z)))[1] AS w FROM lm)",
+    f"wb AS (SELECT b.symbol, b.ts_event, w, max(high) OVER {nxt(3).replace('symbol', 'b.symbol').replace('ts_event', 'b.ts_event')} AS h, min(low) OVER {nxt(3).replace('symbol', 'b.symbol').replace('ts_event', 'b.ts_event')} AS l FROM bars b LEFT JOIN lw ON lw.symbol = b.symbol AND lw.ts_event = b.ts_event)",
+)
+query("j16_wall_break_label", sql(BOOK_SQL, BARS, *J16, select="SELECT symbol, ts_event, round(w.p, 6) AS wall_px, w.s AS wall_side, CASE WHEN w IS NULL OR h IS NULL THEN NULL WHEN w.s > 0 AND h > w.p THEN 1 WHEN w.s < 0 AND l < w.p THEN -1 ELSE 0 END AS wall_break FROM wb"))(lambda s, d: rounded(Q.wall_break(bars(s, d), BK(s, d), n=3, multiple=1.8).select(*ID, "wall_px", "wall_side", "wall_break")))
 query("k6_combine_quarters", sql(TICKS_SQL, BARS, select="SELECT symbol, ts_event, close, CASE WHEN ts_event >= TIMESTAMP '2024-01-12' THEN volume END AS volume FROM bars"))(lambda s, d: S.combine_quarters([bars(s, d).where("ts_event < timestamp_ntz '2024-01-15'").select(*ID, "close"), bars(s, d).where("ts_event >= timestamp_ntz '2024-01-12'").select(*ID, "close", "volume")]).select(*ID, "close", "volume"))
+SLICE = "least(CAST(floor((epoch_us(ts_event) - epoch_us(date_trunc('hour', ts_event))) * 12 / 3600000000) AS INT), 11)"
+SPINE = "SELECT symbol, b, CAST(i AS INT) AS s FROM (SELECT DISTINCT symbol, b FROM {x}), range(12) r(i)"
+D13 = (
+    f"ca AS (SELECT seq, coalesce(avg(w) OVER {tf(500)}, 0) AS cancel FROM (SELECT *, CASE WHEN action = 'A' THEN 0.0 WHEN action = 'C' AND size > 2 * avg(size) OVER {tf(100)} THEN 1.0 WHEN action = 'C' THEN 0.3 END AS w FROM ticks))",
+    "tt AS (SELECT * FROM ticks WHERE action = 'T')",
+    f"ab AS (SELECT seq, least(r / greatest(quantile_cont(r, 0.5) OVER {tf(200)}, 1e-9), 25) AS absorption FROM (SELECT *, abs(sum({SIGNED}) OVER {tf(50)}) / greatest(abs(price - lag(price, 49) OVER (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq)), 0.01) AS r FROM tt))",
+    "wi AS (SELECT seq, sum(dr) OVER f / greatest(sum(tv) OVER f, 1) AS spoof FROM (SELECT *, CASE WHEN action <> 'T' AND lag(d3) OVER v > d3 THEN lag(d3) OVER v - d3 ELSE 0 END AS dr, CASE WHEN action = 'T' THEN size ELSE 0 END AS tv FROM (SELECT *, list_sum(bid_sz[1:3]) + list_sum(ask_sz[1:3]) AS d3 FROM book) WINDOW v AS (PARTITION BY symbol ORDER BY ts_event, seq)) WINDOW f AS (PARTITION BY symbol ORDER BY ts_event, seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))",
+    f"tk AS (SELECT t.*, {SIGNED} AS g, cancel, coalesce(absorption, 0) AS absorption, spoof, date_trunc('hour', ts_event) AS b, {SLICE} AS s FROM ticks t JOIN ca USING (seq) LEFT JOIN ab USING (seq) JOIN wi USING (seq))",
+    "sl AS (SELECT symbol, b, s, max(spoof) AS sp, max(cancel) AS ca, avg(absorption) AS ab, max(abs(sign(g))) AS im, sum(g) - first(g ORDER BY ts_event, seq) AS fl, avg(size) AS sz FROM tk GROUP BY ALL)",
+    f"de AS (SELECT x.*, coalesce(sp, 0) AS sp, coalesce(ca, 0) AS ca, coalesce(ab, 0) AS ab, coalesce(im, 0) AS im, coalesce(fl, 0) AS fl, coalesce(sz, 0) AS sz FROM ({SPINE.format(x='sl')}) x LEFT JOIN sl USING (symbol, b, s))",
+    """ba AS (SELECT symbol, b, max(sp) AS sp, avg(sp) AS msp, max(ca) AS ca, stddev_pop(ab) AS sab, avg(ab) AS mab, max(ab) AS ab, round(avg(ab) FILTER (s < 4), 9) AS t0, round(avg(ab) FILTER (s >= 4 AND s < 8), 9) AS t1, round(avg(ab) FILTER (s >= 8), 9) AS t2,
+  max(abs(fl)) AS fl, count(*) FILTER (fl > 0) AS up, count(*) FILTER (fl < 0) AS dn, sum(fl) FILTER (s < 4) AS e, sum(fl) FILTER (s >= 8) AS l, max(im) AS im, stddev_pop(sz) AS ssz, avg(sz) AS msz FROM de GROUP BY ALL)""",
+)
+D13_SELECT = """SELECT symbol, b AS ts_event, round(sp, 6) AS spoof_peak, CAST(msp > 1e-9 AND sp >= 2 * msp AS INT) AS spoof_burst, round(ca, 6) AS cancel_burst, round(CASE WHEN abs(mab) < 1e-12 THEN 0 ELSE sab / (abs(mab) + 1e-12) END, 6) AS absorption_spread,
+  round(ab, 6) AS absorption_peak, CASE WHEN abs(t1 - t0) <= 1e-6 + 1e-5 * abs(t0) AND abs(t2 - t0) <= 1e-6 + 1e-5 * abs(t0) THEN 0 WHEN t0 >= t1 AND t0 >= t2 THEN -1 WHEN t1 >= t2 THEN 0 ELSE 1 END AS pressure_phase,
+  round(fl / 300, 6) AS flow_velocity, round(CASE WHEN up + dn = 0 THEN 0 WHEN up >= dn THEN up / (up + dn) ELSE dn / (up + dn) END, 6) AS flow_agreement, round((e - l) / (abs(e) + abs(l) + 1e-9), 6) AS flow_early_late, CAST(im AS DOUBLE) AS imbalance_peak,
+  round(CASE WHEN abs(msz) < 1e-12 THEN 0 ELSE ssz / (abs(msz) + 1e-12) END, 6) AS size_spread FROM ba"""
+
+
+@query("d13_intrabar_tick_slices", sql(BOOK_SQL, *D13, select=D13_SELECT))
+def d13(spark, d):
+    t = T(spark, d)
+    x = t.join(S.cancel_ratio(t).select("seq", F.col("cancel_ratio").alias("cancel")), "seq").join(TK.absorption_intensity(t).select("seq", "absorption"), "seq", "left").join(K.withdrawal_detector(BK(spark, d)).select("seq", F.col("withdrawal").alias("spoof")), "seq")
+    x = x.select(*ID, "seq", "size", signed_size().alias("signed"), "spoof", "cancel", F.coalesce("absorption", F.lit(0.0)).alias("absorption"))
+    return rounded(I.intrabar_tick_slices(x))
+
+
+D14 = (
+    f"sn AS (SELECT symbol, ts_event, seq, date_trunc('hour', ts_event) AS b, {SLICE} AS s, list_sum(bid_sz) AS bd, list_sum(ask_sz) AS ad, bid_px[1] AS bp, ask_px[1] AS ap, bid_sz[1] AS b1, ask_sz[1] AS a1 FROM book)",
+    "si AS (SELECT *, row_number() OVER (PARTITION BY symbol, b, s ORDER BY ts_event, seq) AS i, (ap + bp) / 2 AS mid, CASE WHEN b1 + a1 > 0 THEN (ap * b1 + bp * a1) / (b1 + a1) ELSE (ap + bp) / 2 END AS micro FROM sn)",
+    """sl AS (SELECT symbol, b, s, max(greatest(ap - bp, 0)) AS spread, avg(CASE WHEN bd + ad > 0 THEN (bd - ad) / (bd + ad) ELSE 0 END) AS imb, max(bd) AS bid, max(ad) AS ask, max(abs(micro - mid)) AS micro, max(CASE WHEN bd > 0 THEN b1 / bd ELSE 0 END) AS bs,
+  max(CASE WHEN ad > 0 THEN a1 / ad ELSE 0 END) AS as_, CASE WHEN count(*) > 1 THEN regr_slope(bd, i) ELSE 0 END AS bsl, CASE WHEN count(*) > 1 THEN regr_slope(ad, i) ELSE 0 END AS asl, arg_max(bd, i) - arg_min(bd, i) - (arg_max(ad, i) - arg_min(ad, i)) AS acc, 1 AS there FROM si GROUP BY ALL)""",
+    f"de AS (SELECT x.*, coalesce(spread, 0) AS spread, round(coalesce(imb, 0), 9) AS imb, coalesce(bid, 0) AS bid, coalesce(ask, 0) AS ask, coalesce(bid, 0) + coalesce(ask, 0) AS dep, coalesce(micro, 0) AS micro, coalesce(bs, 0) AS bs, coalesce(as_, 0) AS as_, coalesce(bsl, 0) AS bsl, coalesce(asl, 0) AS asl, coalesce(acc, 0) AS acc, coalesce(there, 0) AS there FROM ({SPINE.format(x='sl')}) x LEFT JOIN sl USING (symbol, b, s))",
+    """ba AS (SELECT symbol, b, max(spread) AS sx, avg(spread) AS sm, stddev_pop(spread) AS ss, max(bid) AS bx, max(ask) AS ax, max(dep) AS dx, avg(dep) AS dm, arg_max(imb, (abs(imb), -s)) AS ip, count(*) FILTER (imb > 0) AS up, count(*) FILTER (imb < 0) AS dn,
+  CASE WHEN count(*) FILTER (dep > 0) > 1 THEN regr_slope(imb, s) FILTER (dep > 0) ELSE 0 END AS it, max(dep) FILTER (s = 11) - max(dep) FILTER (s = 0) AS dc, max(micro) AS mx, max(bs) AS bs, max(as_) AS as_, sum(bsl) / sum(there) AS bsl, sum(asl) / sum(there) AS asl, sum(acc) / sum(there) AS acc FROM de GROUP BY ALL)""",
+)
+D14_SELECT = """SELECT symbol, b AS ts_event, round(sx, 6) AS spread_max, round(sm, 6) AS spread_mean, round(ss, 6) AS spread_std, bx AS bid_depth_max, ax AS ask_depth_max, dx AS depth_max, round(ip, 6) AS imbalance_peak,
+  round(CASE WHEN up + dn = 0 THEN 0 WHEN up >= dn THEN up / (up + dn) ELSE dn / (up + dn) END, 6) AS imbalance_agreement, round(up / 12, 6) AS imbalance_bid_share, round(it, 6) AS imbalance_trend, round(CASE WHEN dm > 1e-9 THEN dc / dm ELSE 0 END, 6) AS depth_change,
+  round(mx, 6) AS microprice_distance, round(bs, 6) AS bid_first_share, round(as_, 6) AS ask_first_share, CAST(dm > 1e-9 AND dx >= 1.5 * dm AS INT) AS depth_shock, round(greatest(CASE WHEN dm > 1e-9 THEN dx / dm ELSE 0 END - 1, 0), 6) AS depth_shock_size,
+  round(bsl, 6) AS bid_slope, round(asl, 6) AS ask_slope, round(acc, 6) AS depth_accel FROM ba"""
+query("d14_intrabar_book_slices", sql(BOOK_SQL, *D14, select=D14_SELECT))(lambda s, d: rounded(I.intrabar_book_slices(BK(s, d))))
+
+
 HORIZONS = [1, 4]
 
 
