@@ -222,7 +222,7 @@ def j10(spark, d):
 J14 = (
     MEAN_SIZE, WALLS, BARS, ATR, LABELS, "bs AS (SELECT symbol, date_trunc('hour', ts_event) AS ts_event, greatest(arg_max(bid_wall_size / mean_size, (walls.ts_event, seq)), arg_max(ask_wall_size / mean_size, (walls.ts_event, seq))) AS wall FROM walls GROUP BY ALL)",
     f"rh AS (SELECT l.*, wall, round(12 * least(greatest(atr / greatest(quantile_cont(atr, 0.5) OVER {frame(100)}, 1e-9), 0.5), 2.0)) AS hz, CASE WHEN coalesce(label, 0) = 0 THEN 0 WHEN volume > round(avg(volume) OVER {frame(20)}, 9) THEN 2 ELSE 1 END AS ql FROM labelled l LEFT JOIN bs USING (symbol, ts_event))",
-    """rw AS (SELECT *, least(greatest(CASE WHEN coalesce(label, 0) = 0 THEN 0.5 ELSE 0.4 END * least(greatest(pow(1 / greatest(greatest(hz, 1) / greatest((SELECT quantile_cont(greatest(hz, 1), 0.5) FROM rh), 1), 0.1), 0.5), 0.4), 1.6)
+    """rw AS (SELECT *, least(greatest(CASE WHEN coalesce(label, 0) = 0 THEN 0.5 ELSE greatest(atr, 1e-12) / (greatest(1.5 * atr, 1e-12) + greatest(atr, 1e-12)) END * least(greatest(pow(1 / greatest(greatest(hz, 1) / greatest((SELECT quantile_cont(greatest(hz, 1), 0.5) FROM rh), 1), 0.1), 0.5), 0.4), 1.6)
   * (0.4 + 0.8 / (1 + exp(-3 * coalesce(wall, 0) / 3))) * CASE ql WHEN 2 THEN 1.4 WHEN 1 THEN 1.0 ELSE 0.6 END, 0.1), 3.5) AS w FROM rh)""",
 )
 
