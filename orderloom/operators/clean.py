@@ -146,7 +146,9 @@ def repair_ohlc(bars: DataFrame, low: float, high: float, window: int = 20, z_li
 def clip_feature_outliers(df: DataFrame, bounds: dict[str, tuple[float, float]], density: str | None = None, train: str = "true") -> DataFrame:
     """Columns within fixed bounds; the density column below its 99th percentile on the training rows."""
     if density:
-        limit = df.where(train).agg(median(density, 0.99).alias("_limit"))
+        from orderloom.operators.stats import percentiles
+
+        limit = percentiles(df.where(train), density, [0.99]).select(F.col("p0").alias("_limit"))
         df = df.crossJoin(F.broadcast(limit)).withColumn(density, F.least(F.col(density), F.col("_limit"))).drop("_limit")
     for c, (lo, hi) in bounds.items():
         df = df.withColumn(c, F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.operators.stats import percentile_row
 from orderloom.operators.windows import EPS, in_session, runs
 from orderloom.spec import KEY, TS, ahead, by_time, median, trailing
 
@@ -216,7 +217,7 @@ def distribution_regime(bars: DataFrame, window: int = 50, train_until: str | No
     })
     r = r.withColumns({c: F.round(c, 12) for c in ("ret_std", "ret_l1", "ret_skew", "liquidity_ratio")})
     learn = r.where(F.col(TS) < F.lit(train_until).cast("timestamp_ntz")) if train_until else r
-    limits = learn.agg(median("ret_std", volatile).alias("_v"), median("ret_l1", trending).alias("_t"))
+    limits = percentile_row(learn, {"ret_std": [volatile], "ret_l1": [trending]}).select(F.col("ret_std_p0").alias("_v"), F.col("ret_l1_p0").alias("_t"))
     regime = F.when(F.col("liquidity_ratio") < thin, "low_liquidity").when(F.col("ret_std") > F.col("_v"), "volatile").when(F.col("ret_l1") > F.col("_t"), "trending").otherwise("ranging")
     return r.crossJoin(F.broadcast(limits)).withColumn("regime", regime).drop("_v", "_t")
 

@@ -98,18 +98,33 @@ def in_time_order(df: DataFrame, out: str, *by: str) -> DataFrame:
     return x.join(counts, [*by, "_w"]).withColumn(out, F.col("_p") + inside).drop("_w", "_p")
 
 
-def percentiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """One row: p0, p1, ... the interpolated percentiles of a column (nulls left out), n, from counts by value."""
-    c = cumulated(df.where(F.col(value).isNotNull()).select(value), value)
-    total = c.agg(F.sum("_n").alias("_total"))
-    c = c.crossJoin(F.broadcast(total))
-    out = [F.max("_total").alias("n")]
+def percentiles_of(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """column, n, p0, p1, ...: the interpolated percentiles of each column (nulls and NaN left out), from counts by value; no row for a column of nulls."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value").where("value is not null and not isnan(value)")
+    c = cumulated(long, "value", "column")
+    total = c.groupBy("column").agg(F.sum("_n").alias("_all"))
+    c = c.join(F.broadcast(total), "column")  # a row a column
+    out = [F.max("_all").alias("n")]
     for i, p in enumerate(shares):
-        place = (F.col("_total") - 1) * p
-        at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col(value)))
+        place = (F.col("_all") - 1) * p
+        at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("value")))
         low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
         out.append((low + (high - low) * part).alias(f"p{i}"))
-    return c.agg(*out)
+    return c.groupBy("column").agg(*out)
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row: p0, p1, ... the interpolated percentiles of a column (nulls left out), n, from counts by value."""
+    return percentile_row(df, {value: shares}).select(F.col(f"{value}_n").alias("n"), *[F.col(f"{value}_p{i}").alias(f"p{i}") for i in range(len(shares))])
+
+
+def percentile_row(df: DataFrame, wanted: dict[str, list[float]]) -> DataFrame:
+    """One row: of each column its percentiles as <column>_p0, ... and <column>_n (0 without values)."""
+    shares = sorted({p for own in wanted.values() for p in own})
+    rows = percentiles_of(df, list(wanted), shares)
+    pick = lambda c, x: F.max(F.when(F.col("column") == c, F.col(x)))
+    out = [pick(c, f"p{shares.index(p)}").alias(f"{c}_p{i}") for c, own in wanted.items() for i, p in enumerate(own)]
+    return rows.agg(*out, *[F.coalesce(pick(c, "n"), F.lit(0)).alias(f"{c}_n") for c in wanted])
 
 
 def long_pairs(df: DataFrame, features: list[str], horizons: list[int], extra: list[str] | None = None) -> DataFrame:
@@ -322,23 +337,49 @@ def correlation_clusters(df: DataFrame, columns: list[str], threshold: float = 0
     return list(groups.values())
 
 
-def redundancy_filter(df: DataFrame, columns: list[str], threshold: float = 0.9) -> list[str]:
-    """Columns kept in the order given, each unless it correlates over the threshold with a kept one."""
-    r = {frozenset((x.a, x.b)): abs(x.r or 0.0) for x in correlation_matrix(df, columns).collect()}
+def spearman_sizes(df: DataFrame, columns: list[str]) -> dict[frozenset, float]:
+    """|Spearman| of each two columns over the rows without nulls: ranks by ranges, one aggregate, its few cells here."""
+    rows = staged(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna(), "spearman")
+    ranked = with_ranks(rows, {c: f"_r_{c}" for c in columns}).select(*[F.col(f"_r_{c}").alias(c) for c in columns])
+    return {frozenset((x.a, x.b)): abs(x.r) if x.r is not None and x.r == x.r else 0.0 for x in correlation_matrix(ranked, columns).collect()}
+
+
+def redundancy_filter(df: DataFrame, columns: list[str], target: str | None = None, threshold: float = 0.85, protected: tuple[str, ...] = ()) -> list[str]:
+    """Columns kept: protected ones first, then by |Spearman| with the target, each unless it correlates over the threshold with a kept one.
+
+    Protected columns always stay. Without a target the order given counts.
+    """
+    r = spearman_sizes(df, [*columns, *([target] if target else [])])
+    order = sorted(columns, key=lambda c: (c not in protected, -r[frozenset((c, target))] if target else 0.0))
     kept: list[str] = []
-    for c in columns:
-        if all(r[frozenset((c, k))] < threshold for k in kept):
+    for c in order:
+        if c in protected or all(r[frozenset((c, k))] <= threshold for k in kept):
             kept.append(c)
     return kept
 
 
+def mrmr(df: DataFrame, columns: list[str], target: str, n: int = 20, protected: tuple[str, ...] = ()) -> list[str]:
+    """Columns in the order of choice: protected ones, then always the one with the largest relevance less mean redundancy with those chosen.
+
+    Both are |Spearman|; the first choice is by relevance alone, ties go to the column given first.
+    """
+    r = spearman_sizes(df, [*columns, target])
+    chosen = [c for c in columns if c in protected][:n]
+    while len(chosen) < min(n, len(columns)):
+        gain = {c: r[frozenset((c, target))] - (sum(r[frozenset((c, k))] for k in chosen) / len(chosen) if chosen else 0.0) for c in columns if c not in chosen}
+        chosen.append(max(gain, key=gain.get))
+    return chosen
+
+
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Null share, distinct values, min, max, mean, deviation and percentiles of each column, in one aggregate."""
+    """Null share, min, max, mean, deviation of each column in one aggregate, and exact percentiles from counts by value."""
     def one(c: str) -> Column:
         x = F.col(c).cast("double")
-        return F.struct(F.lit(c).alias("column"), F.avg(x.isNull().cast("double")).alias("null_share"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), median(x, 0.01).alias("p01"), median(x).alias("p50"), median(x, 0.99).alias("p99"))
+        return F.struct(F.lit(c).alias("column"), F.avg(x.isNull().cast("double")).alias("null_share"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
 
-    return df.agg(F.array(*[one(c) for c in columns]).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    plain = df.agg(F.array(*[one(c) for c in columns]).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    ranks = percentiles_of(df, columns, [0.01, 0.5, 0.99]).select("column", F.col("p0").alias("p01"), F.col("p1").alias("p50"), F.col("p2").alias("p99"))
+    return plain.join(F.broadcast(ranks), "column", "left")  # a row a column
 
 
 def value_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -424,7 +465,9 @@ def feature_drift(now: DataFrame, base: DataFrame, columns: list[str]) -> DataFr
 
 
 def coverage_stats(df: DataFrame, column: str, low: float) -> DataFrame:
-    return df.agg(F.avg(column).alias("mean"), median(column).alias("median"), median(column, 0.25).alias("q25"), median(column, 0.75).alias("q75"), F.avg((F.col(column) < low).cast("double")).alias("low_share"))
+    plain = df.agg(F.avg(column).alias("mean"), F.avg((F.col(column) < low).cast("double")).alias("low_share"))
+    ranks = percentiles(df, column, [0.5, 0.25, 0.75]).select(F.col("p0").alias("median"), F.col("p1").alias("q25"), F.col("p2").alias("q75"))
+    return plain.crossJoin(F.broadcast(ranks))  # one row each
 
 
 def gates(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -434,8 +477,10 @@ def gates(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: list[str], train: str = "true", clip: float = 10.0) -> DataFrame:
     """(x - median) / interquartile range of the training rows; where that is 0, by the range; else 0. Clipped."""
-    fit = df.where(train).agg(*[e for c in columns for e in (median(c).alias(f"_m_{c}"), (median(c, 0.75) - median(c, 0.25)).alias(f"_q_{c}"), (F.max(c) - F.min(c)).alias(f"_r_{c}"))])
-    out = df.crossJoin(F.broadcast(fit))
+    learn = df.where(train)
+    fit = percentile_row(learn, {c: [0.5, 0.25, 0.75] for c in columns}).select(*[x for c in columns for x in (F.col(f"{c}_p0").alias(f"_m_{c}"), (F.col(f"{c}_p2") - F.col(f"{c}_p1")).alias(f"_q_{c}"))])
+    span = learn.agg(*[(F.max(c) - F.min(c)).alias(f"_r_{c}") for c in columns])
+    out = df.crossJoin(F.broadcast(fit)).crossJoin(F.broadcast(span))  # one row each
     for c in columns:
         z = F.when(F.col(f"_q_{c}") > 1e-12, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_q_{c}")).when(F.col(f"_r_{c}") > 1e-12, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_r_{c}")).otherwise(0.0)
         out = out.withColumn(f"{c}_scaled", F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)))

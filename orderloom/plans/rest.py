@@ -327,8 +327,11 @@ query("m17_edge_grid_scan")(lambda s, d: rounded(R.edge_grid(grid(s, d)).select(
 
 @query("m22_redundancy_filter_mrmr")
 def m22(spark, d):
-    kept = M.redundancy_filter(flow_bars(spark, d), ["ofi", "cvd_delta", "buy_share", "volume", "n_trades"], 0.8)
-    return M.column_profile(flow_bars(spark, d), kept).select("column")
+    """Columns that the filter keeps and the best four by relevance less redundancy, with the place of each."""
+    b = rounded(W.forward_return(flow_bars(spark, d), 4), 9)
+    names = ["ofi", "cvd_delta", "buy_share", "volume", "n_trades", "close"]
+    rows = [(how, c, i) for how, own in (("filter", M.redundancy_filter(b, names, "fwd_ret_4", 0.8, ("volume",))), ("mrmr", M.mrmr(b, names, "fwd_ret_4", 4))) for i, c in enumerate(own)]
+    return spark.createDataFrame(rows, "method string, column string, place int")
 
 
 N11_CELLS = [(m, h) for m in (0.75, 1.0, 1.5) for h in (6, 24)]

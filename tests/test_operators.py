@@ -238,3 +238,41 @@ def test_trend_filters_equal_the_plain_recursion(spark):
         top = max(top, abs(state[1]))
         assert np.allclose([r.level, r.trend_level, r.trend_slope, r.trend_strength], [y, *state, abs(state[1]) / max(top, 1e-10)], atol=1e-9)
         assert r.trend == (0 if abs(state[1]) <= 0.05 * max(top, 1e-10) else int(np.sign(state[1])))
+
+
+def test_spearman_filter_and_mrmr_equal_pandas(spark):
+    import numpy as np
+    import pandas as pd
+
+    rnd = np.random.default_rng(8)
+    y = rnd.normal(size=300)
+    p = pd.DataFrame({"a": y + rnd.normal(size=300), "c": rnd.normal(size=300), "e": np.round(rnd.normal(size=300)), "y": y})
+    p["b"] = np.exp(p["a"]) + rnd.normal(0, 0.01, 300)
+    p["d"] = y**3 + rnd.normal(0, 2, 300)
+    cols = ["a", "b", "c", "d", "e"]
+    size = p[[*cols, "y"]].corr(method="spearman").abs()
+    order = sorted(cols, key=lambda c: (c != "c", -size.loc[c, "y"]))
+    kept, gone = [], set()
+    for c in order:
+        if c in gone and c != "c":
+            continue
+        kept.append(c)
+        gone |= {o for o in cols if o != c and size.loc[c, o] > 0.85}
+    df = spark.createDataFrame(p)
+    assert stats.redundancy_filter(df, cols, "y", 0.85, ("c",)) == kept and "c" in kept
+    chosen = [max(cols, key=lambda c: size.loc[c, "y"])]
+    while len(chosen) < 4:
+        chosen.append(max((c for c in cols if c not in chosen), key=lambda c: size.loc[c, "y"] - size.loc[c, chosen].mean()))
+    assert stats.mrmr(df, cols, "y", 4) == chosen
+
+
+def test_percentiles_of_columns_equal_numpy(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(9)
+    x, z = rnd.normal(size=500), np.where(rnd.random(500) < 0.4, 0.0, rnd.normal(size=500))
+    df = spark.createDataFrame([(float(a), None if i % 50 == 3 else float(b)) for i, (a, b) in enumerate(zip(x, z, strict=True))], "x double, z double").repartition(5)
+    some = z[[i for i in range(500) if i % 50 != 3]]
+    (r,) = stats.percentile_row(df, {"x": [0.1, 0.99], "z": [0.5, 0.73]}).collect()
+    assert np.allclose([r.x_p0, r.x_p1, r.z_p0, r.z_p1], [*np.quantile(x, [0.1, 0.99]), *np.quantile(some, [0.5, 0.73])]) and (r.x_n, r.z_n) == (500, 490)
+    assert stats.percentile_row(df.where("false"), {"x": [0.5]}).first().x_n == 0
