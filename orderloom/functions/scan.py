@@ -123,8 +123,10 @@ def _brought(sizes: list[int]):
     return run
 
 
-def scan(df: DataFrame, recurrences: list[Recurrence], seconds: int = CHUNK) -> DataFrame:
-    """Adds the columns of all recurrences; they share the passes over the rows. Where an entry is null, y is null from there on."""
+def scan(df: DataFrame, recurrences: list[Recurrence], seconds: int = CHUNK, order: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the columns of all recurrences; they share the passes over the rows. Rows of one time go by `order`. Where an entry is null, y
+    is null from there on.
+    """
     x, systems, n_a, n_b, starts = df.withColumn("_c", chunk_of(seconds)), [], 0, 0, {}
     added: dict[str, Column] = {}
     for r in recurrences:
@@ -142,7 +144,7 @@ def scan(df: DataFrame, recurrences: list[Recurrence], seconds: int = CHUNK) ->
         for e in r.start:
             starts[f"_s{len(starts)}"] = e.cast("double") if isinstance(e, Column) else F.lit(float(e))
         systems.append((r.size, a_names, b_names))
-    x = x.withColumns(added | starts).repartition(KEY, "_c").sortWithinPartitions(KEY, "_c", TS)
+    x = x.withColumns(added | starts).repartition(KEY, "_c").sortWithinPartitions(KEY, "_c", TS, *order)
     sizes = [d for d, _, _ in systems]
     n_maps = sum(d * d + d for d in sizes)
     plain = [f for f in x.schema.fields if f.name not in added]
@@ -150,12 +152,12 @@ def scan(df: DataFrame, recurrences: list[Recurrence], seconds: int = CHUNK) ->
     for k in range(n_maps):
         schema = schema.add(f"_m{k}", DoubleType())
     local = x.mapInArrow(_local(systems, set(added), False), schema).drop(*starts)
-    slim = x.select(KEY, "_c", *added)
+    slim = x.select(KEY, "_c", TS, *order, *added)
     head_schema = StructType([f for f in slim.schema.fields if f.name not in added])
     for k in range(n_maps):
         head_schema = head_schema.add(f"_m{k}", DoubleType())
     heads = slim.mapInArrow(_local(systems, set(added), True), head_schema)
-    begun = x.groupBy(KEY, "_c").agg(*[F.min_by(c, TS).alias(c) for c in starts])
+    begun = x.groupBy(KEY, "_c").agg(*[F.min_by(c, F.struct(TS, *order)).alias(c) for c in starts])
     in_schema = StructType([f for f in heads.schema.fields if f.name == KEY]).add("_c", LongType())
     for k in range(sum(sizes)):
         in_schema = in_schema.add(f"_y{k}", DoubleType())

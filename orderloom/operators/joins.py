@@ -75,11 +75,16 @@ def embedding_attach(bars: DataFrame, vectors: DataFrame, key: str) -> DataFrame
 
 
 def null_sample_join(events: DataFrame, pool: DataFrame, session: str, reps: int, seed: int = 7) -> DataFrame:
-    """For each event and repetition a bar of the same session, drawn by a hash of (seed, repetition, event)."""
-    ranked = pool.withColumn("_n", F.row_number().over(Window.partitionBy(session).orderBy(KEY, TS)) - 1)
+    """For each event and repetition a bar of the same session, drawn by a hash of (seed, repetition, event).
+
+    The pool's bars are numbered by session in order of time from counts of weeks, so no task holds a session.
+    """
+    from orderloom.operators.stats import in_time_order
+
+    ranked = in_time_order(pool.select(session, KEY, TS), "_n", session)
     size = pool.groupBy(session).agg(F.count(F.lit(1)).alias("_size"))
     drawn = events.join(size, session).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    drawn = drawn.withColumn("_n", F.pmod(F.xxhash64(F.lit(seed), "rep", KEY, TS), F.col("_size")).cast("int"))
+    drawn = drawn.withColumn("_n", F.pmod(F.xxhash64(F.lit(seed), "rep", KEY, TS), F.col("_size")) + 1)
     other = ranked.select(session, "_n", F.col(KEY).alias("null_symbol"), F.col(TS).alias("null_ts"))
     return drawn.join(other, [session, "_n"]).drop("_n", "_size")
 

@@ -83,13 +83,6 @@ def refill_slice_ratio(ticks: DataFrame, window: int = 200) -> DataFrame:
     return t.withColumn("refill_ratio", F.col("_n") / F.greatest(F.max("_n").over(tick_day().rowsBetween(-(window - 1), 0)), F.lit(1.0))).drop("_n")
 
 
-def momentum_divergence(ticks: DataFrame, n: int = 100) -> DataFrame:
-    """Net flow over n trades, and whether price and flow moved to different sides."""
-    f = tick_day().rowsBetween(-(n - 1), 0)
-    t = ticks.where(is_trade()).withColumn("flow_momentum", F.sum(signed_size()).over(f)).withColumn("_p", F.col("price") - F.first("price").over(f))
-    return t.withColumn("divergence", (F.signum("_p") * F.signum("flow_momentum") < 0).cast("int")).drop("_p")
-
-
 def information_anomaly(ticks: DataFrame, n: int = 50, k: float = 1.5) -> DataFrame:
     """Trailing variance of the standardised price above its own trailing mean and deviations."""
     f = tick_day().rowsBetween(-(n - 1), 0)
@@ -138,12 +131,6 @@ def calibration(ticks: DataFrame, n: int = 2000) -> DataFrame:
     return out.join(moves, KEY, "left")
 
 
-def firing_structure(df: DataFrame, score: str, thresholds: list[float]) -> DataFrame:
-    """Share of rows over each threshold, by session."""
-    t = F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("threshold")
-    return df.select("session", score, t).groupBy("session", "threshold").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(score) >= F.col("threshold")).cast("double")).alias("fire_rate"))
-
-
 def dynamic_exits(df: DataFrame, tick: float = 0.01, least_target: float = 3.0, most_stop: float = 30.0) -> DataFrame:
     """Target and stop distances in ticks from the walls on both sides, and their ratio."""
     target = F.greatest(F.when(F.col("ask_wall") >= 0, F.col("ask_wall") + 1.0).otherwise(10.0), F.lit(least_target))
@@ -286,11 +273,41 @@ def ic_audit(pairs: DataFrame, blocks: int = 8, cost: float = 0.0005) -> DataFra
     return j.withColumn("verdict", verdict)
 
 
-def event_study(events: DataFrame, bars: DataFrame, horizon: int = 8) -> DataFrame:
-    """By depth and reclaim: number, bounce rate, mean return and excursions after the events."""
-    f = forward_return(bars, horizon).withColumn("up", (F.max("high").over(ahead(horizon)) - F.col("close")) / F.greatest("atr", F.lit(EPS))).withColumn("down", (F.col("close") - F.min("low").over(ahead(horizon))) / F.greatest("atr", F.lit(EPS)))
-    j = events.join(f.select(KEY, TS, F.col(f"fwd_ret_{horizon}").alias("r"), "up", "down"), [KEY, TS]).where("r is not null")
-    return j.groupBy("depth", "reclaim").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("r") > 0).cast("double")).alias("bounce_rate"), F.avg("r").alias("mean_ret"), F.avg("up").alias("mean_up"), F.avg("down").alias("mean_down"))
+def event_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (4, 8), target: float = 1.0, stop: float = 1.0) -> DataFrame:
+    """symbol, time, horizon, r, up, down, target_first of each bar and horizon with that many bars ahead: return, excursions in ATR, and whether a high
+    reaches the target before a low does the stop (a bar with both counts as the stop), both in ATR.
+    """
+    unit = F.greatest("atr", F.lit(EPS))
+    cells = []
+    for h in horizons:
+        w = ahead(h)
+        first = lambda c, hit: F.array_position(F.transform(F.collect_list(c).over(w), hit), F.lit(True))  # noqa: E731, B023
+        won, lost = first("high", lambda x: x >= F.col("close") + target * F.col("atr")), first("low", lambda x: x <= F.col("close") - stop * F.col("atr"))
+        r = F.lead("close", h).over(by_time()) / F.col("close") - 1
+        bars = bars.withColumn(f"_o{h}", F.struct(F.lit(h).alias("horizon"), r.alias("r"), ((F.max("high").over(w) - F.col("close")) / unit).alias("up"), ((F.col("close") - F.min("low").over(w)) / unit).alias("down"), ((won > 0) & ((lost == 0) | (won < lost))).cast("int").alias("target_first")))
+        cells.append(F.col(f"_o{h}"))
+    return bars.select(KEY, TS, F.explode(F.array(*cells)).alias("_o")).select(KEY, TS, "_o.*").where("r is not null")
+
+
+def event_study(events: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """By level, depth, reclaim and horizon: number, bounce rate, mean return and excursions, and target-first rate after the events."""
+    j = events.join(outcomes, [KEY, TS])
+    return j.groupBy("level", "depth", "reclaim", "horizon").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("r") > 0).cast("double")).alias("bounce_rate"), F.avg("r").alias("mean_ret"), F.avg("up").alias("mean_up"), F.avg("down").alias("mean_down"), F.avg(F.col("target_first").cast("double")).alias("target_first_rate")
+    )
+
+
+def event_study_null(events: DataFrame, pool: DataFrame, outcomes: DataFrame, session: str = "session", reps: int = 20, seed: int = 7) -> DataFrame:
+    """The study beside its matched null: each event against `reps` bars of its session drawn by a hash. Adds null_n, null_bounce_rate, null_ret, null_target_first_rate
+    and excess, the difference of the mean returns.
+    """
+    from orderloom.operators.joins import null_sample_join
+
+    marked = events.join(pool.select(KEY, TS, session), [KEY, TS])
+    drawn = null_sample_join(marked, pool, session, reps, seed).select("level", "depth", "reclaim", F.col("null_symbol").alias(KEY), F.col("null_ts").alias(TS))
+    by = ["level", "depth", "reclaim", "horizon"]
+    null = event_study(drawn, outcomes).select(*by, F.col("n").alias("null_n"), F.col("bounce_rate").alias("null_bounce_rate"), F.col("mean_ret").alias("null_ret"), F.col("target_first_rate").alias("null_target_first_rate"))
+    return event_study(events, outcomes).join(null, by, "left").withColumn("excess", F.col("mean_ret") - F.col("null_ret"))
 
 
 def zone_edges(bars: DataFrame, horizon: int, spread: float) -> DataFrame:

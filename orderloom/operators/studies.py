@@ -35,24 +35,6 @@ def order_rows(ticks: DataFrame, freq: str = "1 hour", most: int = 200) -> DataF
     return t.where(keep).select(KEY, F.col("b").alias(TS), "seq", F.log1p("size").alias("log_size"), (F.col("price") - F.col("first_px")).alias("distance"), (F.col("i") / F.col("n")).alias("place"), "repeats")
 
 
-def liquidity_trap(book: DataFrame, move: float = 0.1) -> DataFrame:
-    """At each move of the price past a threshold from its reference, the previous imbalance against the move; the reference is state."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    b = book.select(KEY, TS, "seq", "price", ((total("bid_sz") - total("ask_sz")) / F.greatest(total("bid_sz") + total("ask_sz"), F.lit(EPS))).alias("imb")).withColumn("_day", F.to_date(TS))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([TS, "seq"], ignore_index=True)
-        ref, before, out = None, 0.0, []
-        for price, imb in zip(pdf["price"], pdf["imb"], strict=True):
-            ref = price if ref is None else ref
-            hit = abs(price - ref) >= move
-            out.append(-before * (1 if price > ref else -1) if hit else 0.0)
-            ref, before = (price if hit else ref), imb
-        return pdf.assign(trap=out).drop(columns=["_day", "price", "imb"])
-
-    return b.groupBy(KEY, "_day").applyInPandas(run, f"{KEY} string, {TS} timestamp_ntz, seq bigint, trap double")
-
-
 def rolling_book_window(cells: DataFrame, bars: DataFrame, lookback: int = 50) -> DataFrame:
     """(bar, lag, columns of cells) of the last bars that have cells: a join on bar number less lag; nothing is stored twice until it is exported.
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.functions.scan import Recurrence, scan
 from orderloom.operators.clean import micros
 from orderloom.spec import KEY, TS, exact_mean, is_trade, median, signed_size
 
@@ -85,59 +86,20 @@ def liquidity_sweep(ticks: DataFrame, n: int = 300, share: float = 0.8, least: i
     return t.withColumn("sweep", F.round(F.when(F.size("_w") >= least, score).otherwise(0.0), 4)).drop("_w", "_sd", "_k", "_a", "_b")
 
 
-def by_day(df: DataFrame, out: str, f) -> DataFrame:
-    """A sequential figure over each symbol's day (a bounded group): f gets the day's rows in order and gives an array."""
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema) + f", `{out}` double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([TS, "seq"], ignore_index=True)
-        pdf[out] = f(pdf)
-        return pdf.drop(columns="_day")
-
-    return df.withColumn("_day", F.to_date(TS)).groupBy(KEY, "_day").applyInPandas(run, schema)
-
-
 def price_impact_lambda(ticks: DataFrame, n: int = 30, rise: float = 0.18, decay: float = 0.05) -> DataFrame:
     """Trailing median of positive |price change| / size, smoothed; the smoothing slows while there is no impact."""
     t = trades(ticks).withColumn("_x", F.abs(F.col("price") - F.lag("price").over(order())) / F.greatest("size", F.lit(EPS)))
     t = t.withColumn("_m", F.coalesce(median(F.when(F.col("_x") > 0, F.col("_x"))).over(last(n)), F.lit(0.0))).drop("_x")
 
-    def smooth(pdf: pd.DataFrame) -> np.ndarray:
-        y, out = 0.0, np.empty(len(pdf))
-        for i, x in enumerate(pdf["_m"].to_numpy()):
-            y += (rise if x > 0 else decay) * (x - y)
-            out[i] = y
-        return out
-
-    return by_day(t, "impact", smooth).drop("_m")
+    first = F.row_number().over(order()) == 1
+    share = F.when(F.col("_m") > 0, rise).otherwise(decay)
+    smoothed = Recurrence(["impact"], [[F.when(F.col("_z"), 0.0).otherwise(1 - share)]], [share * F.col("_m")], [0.0])
+    return scan(t.withColumn("_z", first), [smoothed], 86400, ("seq",)).drop("_m", "_z")
 
 
 def self_exciting_intensity(ticks: DataFrame, beta: float = 0.05, jump: float = 0.175) -> DataFrame:
     """A sum that decays with the time between trades and jumps at each."""
 
-    def run(pdf: pd.DataFrame) -> np.ndarray:
-        t = pdf[TS].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        y, out = 0.0, np.empty(len(pdf))
-        for i in range(len(t)):
-            y = y * np.exp(-beta * max(t[i] - t[i - 1], 0.0) / 60) + jump if i else jump
-            out[i] = y
-        return out
-
-    return by_day(trades(ticks), "intensity", run)
-
-
-def fisher_turn_signal(ticks: DataFrame, n: int = 10) -> DataFrame:
-    """Fisher transform of the smoothed place of the price in its trailing range; the clamp inside makes it sequential."""
-    hi, lo = F.max("price").over(last(n)), F.min("price").over(last(n))
-    t = trades(ticks).withColumn("_x", F.when(hi > lo, 2 * ((F.col("price") - lo) / (hi - lo)) - 1).otherwise(0.0))
-
-    def run(pdf: pd.DataFrame) -> np.ndarray:
-        v = f = 0.0
-        out = np.empty(len(pdf))
-        for i, x in enumerate(pdf["_x"].to_numpy()):
-            v = min(max(0.33 * x + 0.67 * v, -0.999), 0.999)
-            f = 0.5 * np.log((1 + v) / (1 - v)) + 0.5 * f
-            out[i] = f
-        return out
-
-    return by_day(t, "fisher", run).drop("_x")
+    t = trades(ticks).withColumn("_g", F.lag(micros()).over(order()))
+    left = F.when(F.col("_g").isNull(), 0.0).otherwise(F.exp(-beta * F.greatest(micros() - F.col("_g"), F.lit(0)) / 60e6))
+    return scan(t, [Recurrence(["intensity"], [[left]], [F.lit(jump)], [0.0])], 86400, ("seq",)).drop("_g")

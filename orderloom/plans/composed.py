@@ -38,7 +38,6 @@ query(
     "f4_refill_slice_ratio",
     sql(TICKS_SQL, "n AS (SELECT *, greatest(sum(CASE action WHEN 'A' THEN size WHEN 'C' THEN -size ELSE 0 END) OVER (PARTITION BY symbol, CAST(ts_event AS DATE), round(price, 1), side ORDER BY ts_event, seq), 0) AS n FROM ticks)", select=f"SELECT seq, round(n / greatest(max(n) OVER {tf(200)}, 1), 6) AS refill_ratio FROM n"),
 )(lambda s, d: rounded(X.refill_slice_ratio(T(s, d)).select("seq", "refill_ratio")))
-tick_feature("f11_flow_momentum_divergence", X.momentum_divergence, ["flow_momentum", "divergence"], (TICKS_SQL, TR), f"sum({SIGNED}) OVER {tf(100)} AS flow_momentum, CAST(sign(price - first_value(price) OVER {tf(100)}) * sign(sum({SIGNED}) OVER {tf(100)}) < 0 AS INTEGER) AS divergence FROM tt")
 query("f14_information_anomaly")(lambda s, d: X.information_anomaly(T(s, d)).select("seq", "anomaly"))
 ICE = "ic AS (SELECT *, round(price, 1) AS px, size AS shown, CASE WHEN action = 'T' THEN size * 2 ELSE 0 END AS done, CAST(ts_event AS DATE) AS day FROM ticks), iw AS (SELECT *, last_value(CASE WHEN done > 0 THEN epoch_us(ts_event) END IGNORE NULLS) OVER (PARTITION BY symbol, day, px, side ORDER BY ts_event, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f, lag(shown) OVER (PARTITION BY symbol, day, px, side ORDER BY ts_event, seq) AS p FROM ic), ig AS (SELECT symbol, day, px AS price, side, sum(done) AS done, max(shown) AS shown, max(CASE WHEN shown > p AND epoch_us(ts_event) - f <= 3600000000 THEN 1 ELSE 0 END) AS r, last(shown ORDER BY iw.ts_event, seq) AS ls, max(iw.ts_event) AS ts_event FROM iw GROUP BY ALL)"
 ice = lambda s, d: X.iceberg_detect(T(s, d).select("symbol", "ts_event", "seq", F.round("price", 1).alias("price"), "side", "action", F.col("size").alias("displayed_size"), F.when(F.col("action") == "T", F.col("size") * 2).otherwise(0.0).alias("executed_size")), 1.5, 3600)
@@ -56,7 +55,6 @@ F17 = (
 F17_SELECT = """SELECT symbol, quantile_cont(size, 0.5) AS typical_size, round(min(m) FILTER (m > 0), 6) AS smallest_move, round(stddev_samp(price), 6) AS price_std,
        any_value(tick_size) AS tick_size FROM fk LEFT JOIN ft USING (symbol) GROUP BY symbol"""
 query("f17_auto_calibration", sql(TICKS_SQL, *F17, select=F17_SELECT))(lambda s, d: rounded(X.calibration(T(s, d))))
-query("f19_firing_structure", sql(*FA, f"z AS (SELECT {SESSION} AS session, abs(round(ofi, 9)) AS v FROM flow_bars)", select="SELECT session, t AS threshold, count(*) AS n, round(avg(CASE WHEN v >= t THEN 1.0 ELSE 0.0 END), 6) AS fire_rate FROM z, (VALUES (0.2::DOUBLE), (0.5::DOUBLE)) x(t) GROUP BY ALL"))(lambda s, d: rounded(X.firing_structure(W.session_flags(rounded(flow_bars(s, d), 9)).withColumn("v", F.abs("ofi")), "v", [0.2, 0.5])))
 EXITS = "ex AS (SELECT seq, greatest(CASE WHEN aw > 0 THEN aw ELSE 10.0 END, 3.0) AS t, least(CASE WHEN bw > 0 THEN bw + 1.0 ELSE 12.0 END, 30.0) AS s FROM walls)"
 query("g7_dynamic_exit_levels", sql(BOOK_SQL, MEAN_SIZE, WALLS, EXITS, select="SELECT seq, CAST(t AS DOUBLE) AS target_ticks, CAST(s AS DOUBLE) AS stop_ticks, round(CAST(t AS DOUBLE) / CAST(s AS DOUBLE), 6) AS reward_risk FROM ex"))(lambda s, d: rounded(X.dynamic_exits(wall_scan(BK(s, d), 1.5)).select("seq", "target_ticks", "stop_ticks", "reward_risk")))
 CELLS = "mm AS (SELECT *, list_sort(bid_sz)[5] AS mb, list_sort(ask_sz)[5] AS ma FROM book), cells AS (SELECT symbol, ts_event, seq, CAST(i - 1 AS INTEGER) AS level, ln(1 + bid_sz[i]) AS bid_log, ln(1 + ask_sz[i]) AS ask_log, CAST(bid_sz[i] >= 3 * greatest(mb, 1) OR ask_sz[i] >= 3 * greatest(ma, 1) AS INTEGER) AS wall FROM mm, range(1, 11) r(i))"
@@ -136,8 +134,24 @@ M4_SELECT = """SELECT feature, horizon, round(avg(spearman), 6) AS mean_ic, roun
 FROM (SELECT *, avg(spearman) OVER (PARTITION BY feature, horizon) AS m FROM ic) GROUP BY feature, horizon HAVING count(*) >= 3"""
 query("m4_walk_forward_ic", sql(*FA, pairs_sql(), M4, ranks_sql("feature, horizon, block", "bt"), select=M4_SELECT))(lambda s, d: rounded(X.M.walk_forward(pairs(s, d))))
 query("m12_label_diagnostics", sql(*FA, ATR, LABELS, "pairs AS (SELECT symbol, ts_event, round(ofi, 9) AS x, CAST(label AS DOUBLE) AS y, 'ofi' AS feature FROM flow_bars JOIN labelled USING (symbol, ts_event) WHERE label IS NOT NULL)", ranks_sql("feature"), select="SELECT feature, n, round(spearman, 6) AS spearman, round(pearson, 6) AS pearson FROM ic"))(lambda s, d: rounded(X.M.rank_correlation(rounded(flow_bars(s, d), 9).join(labelled(s, d).select(*ID, "label"), ID).where("label is not null").select(*ID, F.col("ofi").alias("x"), F.col("label").cast("double").alias("y"), F.lit("ofi").alias("feature")), "feature")))
-SWEEP = "g AS (SELECT a.*, round(p.prev_day_low, 9) AS lv FROM atr a JOIN prev p USING (symbol, ts_event)), sw AS (SELECT symbol, ts_event, d AS depth, r AS reclaim FROM g, (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) x(d), (VALUES (true), (false)) y(r) WHERE low < lv - d * atr AND (NOT r OR close > lv))"
-query("m19_event_study", sql(*A, PREV, SWEEP, f"f AS (SELECT symbol, ts_event, lead(close, 8) OVER w / close - 1 AS r, (max(high) OVER {nxt(8)} - close) / greatest(atr, 1e-9) AS up, (close - min(low) OVER {nxt(8)}) / greatest(atr, 1e-9) AS dn FROM atr {WINDOW})", select="SELECT depth, reclaim, count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS bounce_rate, round(avg(r), 6) AS mean_ret, round(avg(up), 6) AS mean_up, round(avg(dn), 6) AS mean_down FROM sw JOIN f USING (symbol, ts_event) WHERE r IS NOT NULL GROUP BY ALL"))(lambda s, d: rounded(X.event_study(L.sweep_events(stage(W.previous_period_levels(atr_bars(s, d))), "prev_day_low", (0.0, 0.5)), AB(s, d))))
+SWEEP = """g AS (SELECT a.*, round(p.prev_day_low, 9) AS prev_day_low, round(p.prev_week_low, 9) AS prev_week_low FROM atr a JOIN prev p USING (symbol, ts_event)),
+gl AS (SELECT *, 'prev_day_low' AS level, prev_day_low AS lv FROM g UNION ALL SELECT *, 'prev_week_low', prev_week_low FROM g),
+sw AS (SELECT symbol, ts_event, level, d AS depth, r AS reclaim FROM gl, (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) x(d), (VALUES (true), (false)) y(r) WHERE low < lv - d * atr AND (NOT r OR close > lv))"""
+OUTCOME = """SELECT symbol, ts_event, {h} AS horizon, lead(close, {h}) OVER w / close - 1 AS r, (max(high) OVER {n} - close) / greatest(atr, 1e-9) AS up, (close - min(low) OVER {n}) / greatest(atr, 1e-9) AS dn,
+  coalesce(list_position(list_transform(list(high) OVER {n}, lambda x: x >= close + atr), true), 0) AS won, coalesce(list_position(list_transform(list(low) OVER {n}, lambda x: x <= close - atr), true), 0) AS lost FROM atr WINDOW w AS (PARTITION BY symbol ORDER BY ts_event)"""
+OUTCOMES = "oc AS (" + " UNION ALL ".join(OUTCOME.format(h=h, n=nxt(h)) for h in (4, 8)) + ")"
+M19_SELECT = """SELECT level, depth, reclaim, horizon, count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS bounce_rate, round(avg(r), 6) AS mean_ret, round(avg(up), 6) AS mean_up, round(avg(dn), 6) AS mean_down,
+  round(avg(CASE WHEN won > 0 AND (lost = 0 OR won < lost) THEN 1.0 ELSE 0.0 END), 6) AS target_first_rate FROM sw JOIN oc USING (symbol, ts_event) WHERE r IS NOT NULL GROUP BY ALL"""
+
+
+def swept(s, d):
+    b = stage(W.previous_period_levels(atr_bars(s, d)))
+    day, week = (L.sweep_events(b, c, (0.0, 0.5)).withColumn("level", F.lit(c)).select(*ID, "level", "depth", "reclaim") for c in ("prev_day_low", "prev_week_low"))
+    return day.union(week)
+
+
+query("m19_event_study", sql(*A, PREV, SWEEP, OUTCOMES, select=M19_SELECT))(lambda s, d: rounded(X.event_study(swept(s, d), X.event_outcomes(AB(s, d)))))
+query("m19_event_study_null")(lambda s, d: rounded(X.event_study_null(swept(s, d), W.session_flags(bars(s, d)), X.event_outcomes(AB(s, d)))))
 query("m20_zone_edges", sql(TICKS_SQL, BARS, f"z AS (SELECT {SESSION} AS session, lead(close, 4) OVER w / close - 1 AS r FROM bars {WINDOW})", select="SELECT session, count(*) AS n, round(avg(r - 0.0001), 6) AS long_net, round(avg(-r - 0.0001), 6) AS short_net FROM z WHERE r IS NOT NULL GROUP BY ALL"))(lambda s, d: rounded(X.zone_edges(W.session_flags(bars(s, d)), 4, 0.0001)))
 query("m25_feature_transfer")(lambda s, d: rounded(X.best_partner(flow_bars(s, d), flow_bars(s, d), ["ofi", "volume"], ["buy_share", "n_trades", "cvd_delta"])))
 query("m28_ic_decay_table", sql(*FA, pairs_sql(horizons=(1, 2, 4, 8)), ranks_sql("feature, horizon"), select="SELECT feature, horizon, n, round(spearman, 6) AS spearman, round(pearson, 6) AS pearson FROM ic"))(lambda s, d: rounded(X.M.rank_correlation(X.M.long_pairs(rounded(flow_bars(s, d), 9), ["ofi", "volume"], [1, 2, 4, 8]), "feature", "horizon")))

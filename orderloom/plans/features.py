@@ -293,7 +293,6 @@ SELECT fz.symbol, ts_event, seq, tape_speed, round(micro_range, 5) AS micro_rang
 FROM fz JOIN fr USING (symbol, d, i)"""
 query("f7_price_impact_lambda", f"WITH RECURSIVE {FEED} SELECT seq, round(impact, 6) AS impact FROM fz JOIN fr USING (symbol, d, i)")(lambda s, d: rounded(X.price_impact_lambda(market.ticks(s, d)).select("seq", "impact")))
 query("f8_self_exciting_intensity", f"WITH RECURSIVE {FEED} SELECT seq, round(intensity, 6) AS intensity FROM fz JOIN fr USING (symbol, d, i)")(lambda s, d: rounded(X.self_exciting_intensity(market.ticks(s, d)).select("seq", "intensity")))
-query("f13_fisher_turn_signal")(lambda s, d: rounded(X.fisher_turn_signal(market.ticks(s, d)).select("seq", "fisher")))
 
 # Book
 query("g1_book_imbalance", sql(BOOK_SQL, "s AS (SELECT *, list_sum(list_transform(list_zip(bid_sz, range(10)), lambda z: z[1] / (z[2] + 1))) AS wb, list_sum(list_transform(list_zip(ask_sz, range(10)), lambda z: z[1] / (z[2] + 1))) AS wa FROM book)", select="SELECT seq, round((wb - wa) / greatest(wb + wa, 1e-9), 6) AS imbalance, round(ask_px[1] - bid_px[1], 6) AS spread, list_sum(bid_sz) + list_sum(ask_sz) AS depth FROM s"))(lambda s, d: rounded(K.book_imbalance(market.book(s, d)).select("seq", "imbalance", "spread", "depth")))

@@ -20,10 +20,12 @@ from orderloom.operators import stats as M
 from orderloom.operators import structure as H
 from orderloom.operators import studies as S
 from orderloom.operators import ticks as TK
+from orderloom.operators import turns as U
 from orderloom.operators import windows as W
 from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, SIGNED, TICKS_SQL, WINDOW, bars, flow_bars, frame, labelled, nxt, sql
 from orderloom.plans.catalog import query
 from orderloom.plans.composed import CELLS
+from orderloom.plans.flow import SESSION
 from orderloom.plans.features import BLEND, FEED, FOOT, ID, MEAN_SIZE, TENSOR, WALLS, feature, snapshots, tensor, tf
 from orderloom.plans.labels import AB, A
 from orderloom.sources import market
@@ -80,7 +82,60 @@ def f1(spark, d):
 
 query("f3_cancel_ratio", sql(TICKS_SQL, f"w AS (SELECT *, CASE WHEN action = 'A' THEN 0.0 WHEN action = 'C' AND size > 2 * avg(size) OVER {tf(100)} THEN 1.0 WHEN action = 'C' THEN 0.3 END AS w FROM ticks)", select=f"SELECT seq, round(CAST(coalesce(avg(w) OVER {tf(500)}, 0) AS DOUBLE), 6) AS cancel_ratio FROM w"))(lambda s, d: rounded(S.cancel_ratio(T(s, d)).select("seq", "cancel_ratio")))
 query("f18_order_feature_rows", sql(TICKS_SQL, "o AS (SELECT *, date_trunc('hour', ts_event) AS b FROM ticks)", "n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol, b) AS n, count(*) OVER (PARTITION BY symbol, b, order_id) AS repeats, first_value(price) OVER w AS p FROM o WINDOW w AS (PARTITION BY symbol, b ORDER BY ts_event, seq))", select="SELECT seq, round(ln(1 + size), 6) AS log_size, round(price - p, 6) AS distance, round(i / n, 6) AS place, repeats FROM n WHERE n <= 3 OR floor(i * 3 / n) <> floor((i - 1) * 3 / n)"))(lambda s, d: rounded(S.order_rows(T(s, d), most=3).select("seq", "log_size", "distance", "place", "repeats")))
-query("g6_liquidity_trap")(lambda s, d: rounded(S.liquidity_trap(BK(s, d)).select("seq", "trap")))
+def with_recursive(*ctes, select):
+    return "WITH RECURSIVE " + ", ".join(ctes) + " " + select
+
+
+F8E = (
+    "te AS (SELECT *, CAST(ts_event AS DATE) AS d, row_number() OVER w AS i, epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER w AS g, CASE WHEN action = 'T' THEN 0.175 WHEN action IN ('A', 'C') THEN 0.5 ELSE 0 END AS j FROM ticks WINDOW w AS (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq))",
+    "re(symbol, d, i, y) AS (SELECT symbol, d, i, CAST(0 AS DOUBLE) FROM te WHERE i = 1 UNION ALL SELECT t.symbol, t.d, t.i, r.y * exp(-0.001 * g / 1000000.0) + j FROM re r JOIN te t ON t.symbol = r.symbol AND t.d = r.d AND t.i = r.i + 1)",
+    "ve AS (SELECT te.*, CASE WHEN i > 1 THEN y + 0.1 END AS v FROM te JOIN re USING (symbol, d, i))",
+)
+query("f8_event_intensity", with_recursive(TICKS_SQL, *F8E, select=f"SELECT seq, round(CASE WHEN v IS NULL THEN 0.1 WHEN count(v) OVER {tf(100)} >= 10 THEN v / avg(v) OVER {tf(100)} ELSE v END, 5) AS event_intensity FROM ve"))(lambda s, d: rounded(U.event_intensity(T(s, d), beta=0.001).select("seq", "event_intensity"), 5))
+HALF = "(PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq ROWS BETWEEN {a} PRECEDING AND {b})"
+F11 = (
+    "tt AS (SELECT * FROM ticks WHERE action = 'T')", f"fc AS (SELECT *, sum({SIGNED}) OVER (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq) AS c FROM tt)",
+    f"""fm AS (SELECT *, lag(c, 9) OVER w AS p, count(*) OVER {tf(20)} AS n, sign(round(avg(price) OVER {HALF.format(a=9, b='CURRENT ROW')} - avg(price) OVER {HALF.format(a=19, b='10 PRECEDING')}, 9)) AS ps, sign(round(avg(c) OVER {HALF.format(a=9, b='CURRENT ROW')} - avg(c) OVER {HALF.format(a=19, b='10 PRECEDING')}, 9)) AS cs,
+  max(price) OVER {tf(10)} - min(price) OVER {tf(10)} AS r, first_value(price) OVER {tf(10)} AS f, max(price) OVER {tf(20)} AS h, min(price) OVER {tf(20)} AS l, first_value(price) OVER {tf(20)} AS f2 FROM fc WINDOW w AS (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq))""",
+)
+F11_SELECT = """SELECT seq, round(coalesce((c - p) / greatest(abs(c), abs(p), 1), 0), 4) AS flow_momentum, CASE WHEN n < 20 OR ps = 0 THEN 0.0 WHEN ps = cs THEN 1.0 ELSE -1.0 END::DOUBLE AS divergence,
+  CASE WHEN n >= 5 AND r > 0 THEN round(least(abs(price - f) / r, 1), 4) ELSE 0 END AS trend_strength, CASE WHEN n >= 5 AND h > l THEN round(CASE WHEN price > f2 THEN h - price ELSE price - l END / (h - l), 4) ELSE 0 END AS correction_depth FROM fm"""
+query("f11_flow_momentum_divergence", sql(TICKS_SQL, *F11, select=F11_SELECT))(lambda s, d: U.momentum_divergence(T(s, d), 10, 20, 5).select("seq", "flow_momentum", "divergence", "trend_strength", "correction_depth"))
+F13 = (
+    f"tf1 AS (SELECT *, CAST(ts_event AS DATE) AS d, {SIGNED} AS g, row_number() OVER w AS i, max(price) OVER {tf(4)} AS h, min(price) OVER {tf(4)} AS l FROM ticks WHERE action = 'T' WINDOW w AS (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq))",
+    "tf2 AS (SELECT *, 2 * (price - l) / CASE WHEN h > l THEN h - l ELSE 0.0001 END - 1 AS x FROM tf1)",
+    """rf(symbol, d, i, v, f, e, t) AS (
+  SELECT symbol, d, i, v, 0.5 * ln((1 + v) / (1 - v)), 0.5 * ln((1 + v) / (1 - v)), 0 FROM (SELECT symbol, d, i, least(greatest(0.5 * x, -0.999), 0.999) AS v FROM tf2 WHERE i = 4)
+  UNION ALL
+  SELECT symbol, d, i, v, n, m, CASE WHEN n > m AND NOT f > e AND f < -0.3 AND (g >= 0 OR n - f >= 0.3) THEN 1 WHEN f > e AND NOT n > m AND f > 0.3 AND (g <= 0 OR f - n >= 0.3) THEN -1 ELSE 0 END
+  FROM (SELECT *, 0.2 * n + 0.8 * e AS m FROM (SELECT *, 0.5 * ln((1 + v) / (1 - v)) + 0.5 * f AS n FROM (SELECT z.symbol, z.d, z.i, z.g, least(greatest(0.5 * x + 0.5 * r.v, -0.999), 0.999) AS v, f, e FROM rf r JOIN tf2 z ON z.symbol = r.symbol AND z.d = r.d AND z.i = r.i + 1))))""",
+)
+query("f13_fisher_turn_signal", with_recursive(TICKS_SQL, *F13, select="SELECT seq, round(f, 6) AS fisher, round(e, 6) AS trigger, coalesce(t, 0) AS turn FROM tf2 LEFT JOIN rf USING (symbol, d, i)"))(lambda s, d: rounded(U.fisher_turns(T(s, d), lookback=4).select("seq", "fisher", "trigger", "turn")))
+F19 = (
+    f"ns AS (SELECT symbol, ts_event, seq, {SESSION} AS session, CAST(hour(ts_event) AS INT) AS hour, date_trunc('hour', ts_event) AS b, round(abs(sum({SIGNED}) OVER {tf(5)} / greatest(sum(size) OVER {tf(5)}, 1e-9)), 9) AS s FROM ticks WHERE action = 'T')",
+    "nf AS (SELECT *, s >= t AS f FROM ns, (VALUES (0.5::DOUBLE), (0.9::DOUBLE)) v(t))",
+    "ng AS (SELECT *, (epoch_us(ts_event) - last_value(CASE WHEN f THEN epoch_us(ts_event) END IGNORE NULLS) OVER (PARTITION BY symbol, CAST(ts_event AS DATE), t ORDER BY ts_event, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / 1000000.0 AS g FROM nf)",
+    "nb AS (SELECT t, symbol, b, session, hour, count(*) AS n, count(*) FILTER (f) AS k, count(g) FILTER (f AND g <= 7200) AS gn, sum(g) FILTER (f AND g <= 7200) AS gs, sum(g * g) FILTER (f AND g <= 7200) AS gq FROM ng GROUP BY ALL)",
+)
+F19_SELECT = "SELECT t AS threshold, session, hour, CAST(sum(n) AS BIGINT) AS n, round(sum(k) / sum(n), 6) AS fire_rate, round(CASE WHEN sum(gn) > 1 THEN greatest(sum(gq) / sum(gn) / ((sum(gs) / sum(gn)) * (sum(gs) / sum(gn))) - 1, 0) END, 6) AS gap_cv2, round(avg(CASE WHEN k > 0 THEN 1.0 ELSE 0.0 END), 6) AS bar_share FROM nb GROUP BY GROUPING SETS ((t), (t, session), (t, hour))"
+
+
+@query("f19_firing_structure", sql(TICKS_SQL, *F19, select=F19_SELECT))
+def f19(spark, d):
+    w = TK.last(5)
+    t = TK.trades(T(spark, d))
+    t = W.session_flags(t.withColumn("v", F.round(F.sum(signed_size()).over(w) / F.greatest(F.sum("size").over(w), F.lit(1e-9)), 9)))
+    return rounded(U.firing_structure(t, "v", [0.5, 0.9], longest_gap=7200.0))
+
+
+G6 = (
+    "gi AS (SELECT symbol, CAST(ts_event AS DATE) AS d, seq, ts_event, price, (list_sum(bid_sz) - list_sum(ask_sz)) / greatest(list_sum(bid_sz) + list_sum(ask_sz), 1e-9) AS im, row_number() OVER (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq) AS i FROM book)",
+    "gl AS (SELECT *, lag(im) OVER (PARTITION BY symbol, d ORDER BY i) AS b FROM gi)",
+    "rt(symbol, d, i, ref, x) AS (SELECT symbol, d, i, price, CAST(NULL AS DOUBLE) FROM gl WHERE i = 1 UNION ALL SELECT g.symbol, g.d, g.i, CASE WHEN round(abs(price - ref), 9) >= 0.1 THEN price ELSE ref END, CASE WHEN round(abs(price - ref), 9) >= 0.1 THEN CASE WHEN price > ref THEN -b ELSE b END END FROM rt r JOIN gl g ON g.symbol = r.symbol AND g.d = r.d AND g.i = r.i + 1)",
+    "gh AS (SELECT symbol, d, i, avg(x) OVER (PARTITION BY symbol, d ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS m FROM rt WHERE x IS NOT NULL)",
+    "gj AS (SELECT gl.*, x, m FROM gl JOIN rt USING (symbol, d, i) LEFT JOIN gh USING (symbol, d, i))",
+)
+query("g6_liquidity_trap", with_recursive(BOOK_SQL, *G6, select="SELECT seq, round(x, 6) AS trap, round(coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY symbol, d ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 6) AS trap_mean FROM gj"))(lambda s, d: rounded(U.liquidity_trap(BK(s, d)).select("seq", "trap", "trap_mean")))
 query("g13_flow_only_book", sql(TICKS_SQL, select=f"SELECT symbol, date_trunc('hour', t.ts_event) AS ts_event, sum(greatest({SIGNED}, 0)) AS buy, sum(greatest(-({SIGNED}), 0)) AS sell, 0.0::DOUBLE AS depth, false AS has_book FROM ticks t WHERE action = 'T' GROUP BY ALL"))(lambda s, d: S.flow_only_book(T(s, d)))
 G12 = (
     f"bn AS (SELECT symbol, ts_event, row_number() OVER w AS i FROM bars {WINDOW})",
@@ -194,10 +249,6 @@ def regimes(s, d):
     return Q.regime_labels(rounded(b.join(t, ID), 9), intensity="intensity", flow="cvd_delta", activity="n_trades", trend="ofi")
 
 
-def with_recursive(*ctes, select):
-    return "WITH RECURSIVE " + ", ".join(ctes) + " " + select
-
-
 query("h8_regime_rule", with_recursive(*WITH_FEED, *H8, select="SELECT symbol, ts_event, regime FROM rg8"))(lambda s, d: regimes(s, d).select(*ID, "regime"))
 J10 = (
     LABELS, "je AS (SELECT g.*, label, volume > 1.2 * avg(volume) OVER (PARTITION BY g.symbol ORDER BY g.ts_event ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS is_event FROM rg8 g LEFT JOIN (SELECT symbol, ts_event, label FROM labelled) USING (symbol, ts_event))",

@@ -276,3 +276,22 @@ def test_percentiles_of_columns_equal_numpy(spark):
     (r,) = stats.percentile_row(df, {"x": [0.1, 0.99], "z": [0.5, 0.73]}).collect()
     assert np.allclose([r.x_p0, r.x_p1, r.z_p0, r.z_p1], [*np.quantile(x, [0.1, 0.99]), *np.quantile(some, [0.5, 0.73])]) and (r.x_n, r.z_n) == (500, 490)
     assert stats.percentile_row(df.where("false"), {"x": [0.5]}).first().x_n == 0
+
+
+def test_event_study_against_its_matched_null(spark):
+    import numpy as np
+    from orderloom.operators import more as X
+
+    rnd = np.random.default_rng(2)
+    rows, close = [], 100.0
+    for i in range(600):
+        close *= 1 + rnd.normal(0, 0.001) + (0.003 if i % 10 == 1 else 0.0)
+        rows.append(("A", T0 + timedelta(hours=i), close, close * 1.001, close * 0.999, close, 1.0, 0.1))
+    b = spark.createDataFrame(rows, BARS).withColumn("session", F.lit("x"))
+    events = b.where("hour(ts_event) >= 0").withColumn("i", F.expr("timestampdiff(HOUR, timestamp_ntz '2024-01-02 09:00:00', ts_event)")).where("i % 10 = 0").select("symbol", "ts_event", F.lit("l").alias("level"), F.lit(0.0).alias("depth"), F.lit(True).alias("reclaim"))
+    outcomes = X.event_outcomes(b, (1,))
+    (r,) = X.event_study_null(events, b, outcomes, reps=5).collect()
+    o = {x.ts_event: x for x in outcomes.collect()}
+    own = [o[x.ts_event] for x in events.collect() if x.ts_event in o]
+    assert r.n == len(own) and r.mean_ret == pytest.approx(np.mean([x.r for x in own])) and r.target_first_rate == pytest.approx(np.mean([x.target_first for x in own]))
+    assert 250 <= r.null_n <= 300 and r.excess > 0.0015 and r.bounce_rate > r.null_bounce_rate
