@@ -150,3 +150,14 @@ def firing_structure(rows: DataFrame, score: str, thresholds: list[float], sessi
     return bar.groupingSets(sets, "threshold", "session", "hour").agg(
         F.sum("_n").alias("n"), (F.sum("_k") / F.sum("_n")).alias("fire_rate"), F.when(n > 1, F.greatest(q / n / ((s / n) * (s / n)) - 1, F.lit(0.0))).alias("gap_cv2"), F.avg((F.col("_k") > 0).cast("double")).alias("bar_share")
     )
+
+
+def tick_feature_job(ticks: DataFrame, momentum: int = 100, swing: int = 200, least: int = 20) -> DataFrame:
+    """All features of trades on one frame: each operator adds its columns, so their windows share one partitioning by symbol and day."""
+    from orderloom.operators import ticks as X
+
+    steps = (X.absorption_intensity, X.tape_speed_minutes, X.micro_range_burst_gap, X.net_signed_volume, X.session_vwap_z, X.liquidity_sweep, lambda t: momentum_divergence(t, momentum, swing, least), X.price_impact_lambda, X.self_exciting_intensity)
+    out = ticks
+    for step in steps:
+        out = step(out)
+    return out

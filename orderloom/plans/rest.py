@@ -26,7 +26,7 @@ from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, S
 from orderloom.plans.catalog import query
 from orderloom.plans.composed import CELLS
 from orderloom.plans.flow import SESSION
-from orderloom.plans.features import BLEND, FEED, FOOT, ID, MEAN_SIZE, TENSOR, WALLS, feature, snapshots, tensor, tf
+from orderloom.plans.features import BLEND, F12, F12_SELECT, FEED, FEED_SELECT, FOOT, ID, MEAN_SIZE, TENSOR, WALLS, feature, snapshots, tensor, tf
 from orderloom.plans.labels import AB, A
 from orderloom.sources import market
 from orderloom.spec import bucket, rounded, signed_size, trailing
@@ -71,15 +71,6 @@ def c5(spark, d):
     return bars(spark, d).select(*ID)
 
 
-@query("f1_tick_feature_job")
-def f1(spark, d):
-    t = T(spark, d)
-    out = TK.absorption_intensity(t).select("seq", "absorption")
-    for f, c in ((TK.tape_speed_minutes, "tape_speed"), (TK.net_signed_volume, "net_signed"), (TK.session_vwap_z, "vwap_z"), (TK.self_exciting_intensity, "intensity")):
-        out = out.join(f(t).select("seq", c), "seq")
-    return rounded(out)
-
-
 query("f3_cancel_ratio", sql(TICKS_SQL, f"w AS (SELECT *, CASE WHEN action = 'A' THEN 0.0 WHEN action = 'C' AND size > 2 * avg(size) OVER {tf(100)} THEN 1.0 WHEN action = 'C' THEN 0.3 END AS w FROM ticks)", select=f"SELECT seq, round(CAST(coalesce(avg(w) OVER {tf(500)}, 0) AS DOUBLE), 6) AS cancel_ratio FROM w"))(lambda s, d: rounded(S.cancel_ratio(T(s, d)).select("seq", "cancel_ratio")))
 query("f18_order_feature_rows", sql(TICKS_SQL, "o AS (SELECT *, date_trunc('hour', ts_event) AS b FROM ticks)", "n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol, b) AS n, count(*) OVER (PARTITION BY symbol, b, order_id) AS repeats, first_value(price) OVER w AS p FROM o WINDOW w AS (PARTITION BY symbol, b ORDER BY ts_event, seq))", select="SELECT seq, round(ln(1 + size), 6) AS log_size, round(price - p, 6) AS distance, round(i / n, 6) AS place, repeats FROM n WHERE n <= 3 OR floor(i * 3 / n) <> floor((i - 1) * 3 / n)"))(lambda s, d: rounded(S.order_rows(T(s, d), most=3).select("seq", "log_size", "distance", "place", "repeats")))
 def with_recursive(*ctes, select):
@@ -101,6 +92,21 @@ F11 = (
 F11_SELECT = """SELECT seq, round(coalesce((c - p) / greatest(abs(c), abs(p), 1), 0), 4) AS flow_momentum, CASE WHEN n < 20 OR ps = 0 THEN 0.0 WHEN ps = cs THEN 1.0 ELSE -1.0 END::DOUBLE AS divergence,
   CASE WHEN n >= 5 AND r > 0 THEN round(least(abs(price - f) / r, 1), 4) ELSE 0 END AS trend_strength, CASE WHEN n >= 5 AND h > l THEN round(CASE WHEN price > f2 THEN h - price ELSE price - l END / (h - l), 4) ELSE 0 END AS correction_depth FROM fm"""
 query("f11_flow_momentum_divergence", sql(TICKS_SQL, *F11, select=F11_SELECT))(lambda s, d: U.momentum_divergence(T(s, d), 10, 20, 5).select("seq", "flow_momentum", "divergence", "trend_strength", "correction_depth"))
+F1_COLUMNS = ["tape_speed", "micro_range", "burst", "trade_gap_ms", "impact", "intensity", "net_signed", "session_vwap", "vwap_z", "vwap_slope", "absorption", "flow_momentum", "divergence", "trend_strength", "correction_depth", "sweep"]
+
+
+@query(
+    "f1_tick_feature_job",
+    with_recursive(
+        FEED, *F11[1:], f"aa AS (SELECT seq, abs(sum({SIGNED}) OVER {tf(50)}) / greatest(abs(price - lag(price, 49) OVER (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq)), 0.01) AS r, symbol, ts_event FROM tt)",
+        f"ab AS (SELECT seq, round(least(r / greatest(quantile_cont(r, 0.5) OVER {tf(200)}, 1e-9), 25), 5) AS absorption FROM aa)", *F12,
+        select=f"SELECT x.* EXCLUDE (symbol, ts_event), absorption, flow_momentum, divergence, trend_strength, correction_depth, sweep FROM ({FEED_SELECT.replace('dv / sd ELSE 0 END, 5)', 'dv / sd ELSE 0 END, 4)')}) x JOIN ab USING (seq) JOIN ({F11_SELECT}) m USING (seq) JOIN (SELECT seq, {F12_SELECT}) w USING (seq)",
+    ),
+)
+def f1(spark, d):
+    return rounded(U.tick_feature_job(T(spark, d), 10, 20, 5).select("seq", *F1_COLUMNS), 5)
+
+
 F13 = (
     f"tf1 AS (SELECT *, CAST(ts_event AS DATE) AS d, {SIGNED} AS g, row_number() OVER w AS i, max(price) OVER {tf(4)} AS h, min(price) OVER {tf(4)} AS l FROM ticks WHERE action = 'T' WINDOW w AS (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq))",
     "tf2 AS (SELECT *, 2 * (price - l) / CASE WHEN h > l THEN h - l ELSE 0.0001 END - 1 AS x FROM tf1)",
@@ -316,8 +322,8 @@ D13_SELECT = """SELECT symbol, b AS ts_event, round(sp, 6) AS spoof_peak, CAST(m
 
 @query("d13_intrabar_tick_slices", sql(BOOK_SQL, *D13, select=D13_SELECT))
 def d13(spark, d):
-    t = T(spark, d)
-    x = t.join(S.cancel_ratio(t).select("seq", F.col("cancel_ratio").alias("cancel")), "seq").join(TK.absorption_intensity(t).select("seq", "absorption"), "seq", "left").join(K.withdrawal_detector(BK(spark, d)).select("seq", F.col("withdrawal").alias("spoof")), "seq")
+    x = K.withdrawal_detector(S.cancel_ratio(BK(spark, d))).withColumnsRenamed({"cancel_ratio": "cancel", "withdrawal": "spoof"})
+    x = x.join(TK.absorption_intensity(T(spark, d)).select("seq", "absorption"), "seq", "left")
     x = x.select(*ID, "seq", "size", signed_size().alias("signed"), "spoof", "cancel", F.coalesce("absorption", F.lit(0.0)).alias("absorption"))
     return rounded(I.intrabar_tick_slices(x))
 
