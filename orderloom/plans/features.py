@@ -288,8 +288,8 @@ fr(symbol, d, i, impact, intensity) AS (
   SELECT z.symbol, z.d, z.i, r.impact + CASE WHEN qm > 0 THEN 0.18 ELSE 0.05 END * (qm - r.impact), r.intensity * exp(-0.05 * g / 60000000.0) + 0.175
   FROM fr r JOIN fz z ON z.symbol = r.symbol AND z.d = r.d AND z.i = r.i + 1)"""
 FEED_SELECT = """
-SELECT fz.symbol, ts_event, seq, tape_speed, round(micro_range, 5) AS micro_range, round(burst, 5) AS burst, round(trade_gap_ms, 5) AS trade_gap_ms, round(impact, 5) AS impact,
-  round(intensity, 5) AS intensity, round(net_signed, 5) AS net_signed, round(v, 5) AS session_vwap, round(CASE WHEN sd > 1e-6 THEN dv / sd ELSE 0 END, 5) AS vwap_z, round(vwap_slope, 5) AS vwap_slope
+SELECT fz.symbol, ts_event, seq, tape_speed, round(micro_range, 7) AS micro_range, round(least(burst, 1e6), 7) AS burst, round(trade_gap_ms, 7) AS trade_gap_ms, round(impact, 7) AS impact,
+  round(intensity, 7) AS intensity, round(net_signed, 7) AS net_signed, round(v, 7) AS session_vwap, round(CASE WHEN sd > 1e-6 THEN dv / sd ELSE 0 END, 7) AS vwap_z, round(vwap_slope, 7) AS vwap_slope
 FROM fz JOIN fr USING (symbol, d, i)"""
 query("f7_price_impact_lambda", f"WITH RECURSIVE {FEED} SELECT seq, round(impact, 6) AS impact FROM fz JOIN fr USING (symbol, d, i)")(lambda s, d: rounded(X.price_impact_lambda(market.ticks(s, d)).select("seq", "impact")))
 query("f8_self_exciting_intensity", f"WITH RECURSIVE {FEED} SELECT seq, round(intensity, 6) AS intensity FROM fz JOIN fr USING (symbol, d, i)")(lambda s, d: rounded(X.self_exciting_intensity(market.ticks(s, d)).select("seq", "intensity")))

@@ -99,12 +99,12 @@ F1_COLUMNS = ["tape_speed", "micro_range", "burst", "trade_gap_ms", "impact", "i
     "f1_tick_feature_job",
     with_recursive(
         FEED, *F11[1:], f"aa AS (SELECT seq, abs(sum({SIGNED}) OVER {tf(50)}) / greatest(abs(price - lag(price, 49) OVER (PARTITION BY symbol, CAST(ts_event AS DATE) ORDER BY ts_event, seq)), 0.01) AS r, symbol, ts_event FROM tt)",
-        f"ab AS (SELECT seq, round(least(r / greatest(quantile_cont(r, 0.5) OVER {tf(200)}, 1e-9), 25), 5) AS absorption FROM aa)", *F12,
-        select=f"SELECT x.* EXCLUDE (symbol, ts_event), absorption, flow_momentum, divergence, trend_strength, correction_depth, sweep FROM ({FEED_SELECT.replace('dv / sd ELSE 0 END, 5)', 'dv / sd ELSE 0 END, 4)')}) x JOIN ab USING (seq) JOIN ({F11_SELECT}) m USING (seq) JOIN (SELECT seq, {F12_SELECT}) w USING (seq)",
+        f"ab AS (SELECT seq, round(least(r / greatest(quantile_cont(r, 0.5) OVER {tf(200)}, 1e-9), 25), 7) AS absorption FROM aa)", *F12,
+        select=f"SELECT x.* EXCLUDE (symbol, ts_event), absorption, flow_momentum, divergence, trend_strength, correction_depth, sweep FROM ({FEED_SELECT.replace('dv / sd ELSE 0 END, 7)', 'dv / sd ELSE 0 END, 4)')}) x JOIN ab USING (seq) JOIN ({F11_SELECT}) m USING (seq) JOIN (SELECT seq, {F12_SELECT}) w USING (seq)",
     ),
 )
 def f1(spark, d):
-    return rounded(U.tick_feature_job(T(spark, d), 10, 20, 5).select("seq", *F1_COLUMNS), 5)
+    return rounded(U.tick_feature_job(T(spark, d), 10, 20, 5).withColumn("burst", F.least("burst", F.lit(1e6))).select("seq", *F1_COLUMNS), 7)
 
 
 F13 = (
@@ -422,7 +422,7 @@ def replayed(spark, d):
     return P.signal_replay(signals, BK(spark, d), P.latency_us(*u))
 
 
-query("o9_signal_replay", sql(BOOK_SQL, *O9, select="SELECT * REPLACE (round(mid_decision, 6) AS mid_decision, round(mid_arrival, 6) AS mid_arrival, round(fill_vwap, 6) AS fill_vwap, round(worst_px, 6) AS worst_px, round(model_ticks, 6) AS model_ticks, round(realised_ticks, 4) AS realised_ticks) FROM lo"))(lambda s, d: rounded(replayed(s, d)).withColumn("realised_ticks", F.round("realised_ticks", 4)))
+query("o9_signal_replay", sql(BOOK_SQL, *O9, select="SELECT * REPLACE (round(mid_decision, 6) AS mid_decision, round(mid_arrival, 6) AS mid_arrival, round(fill_vwap, 6) AS fill_vwap, round(worst_px, 6) AS worst_px, round(model_ticks, 6) AS model_ticks, round(realised_ticks, 9) AS realised_ticks) FROM lo"))(lambda s, d: rounded(replayed(s, d), 9).withColumns({c: F.round(c, 6) for c in ("mid_decision", "mid_arrival", "fill_vwap", "worst_px", "model_ticks")}))
 query("o9_replay_summary", sql(BOOK_SQL, *O9, select=O9_SUMMARY))(lambda s, d: rounded(P.replay_summary(replayed(s, d)), 4))
 def range_input(s, d):
     b = rounded(AB(s, d).join(flow_bars(s, d).select(*ID, "ofi", "cvd_delta"), ID), 9)

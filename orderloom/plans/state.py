@@ -39,7 +39,7 @@ def plain(df, *times):
 # A bar comes out once the watermark (latest time less ten minutes) has passed its end; the last micro-batch sees all of it.
 CLOSED = "WHERE ts_event + INTERVAL 1 HOUR <= (SELECT max(ts_event) - INTERVAL 10 MINUTE FROM ticks)"
 query("p1_streaming_bars", sql(TICKS_SQL, BARS, FLOW, select=f"SELECT symbol, ts_event, open, high, low, close, volume, cvd_delta FROM bars JOIN cvd USING (symbol, ts_event) {CLOSED}"))(lambda s, d: plain(streamed(s, d, jobs.streaming_bars), "ts_event"))
-query("p3_stateful_flow_features", f"WITH RECURSIVE {FEED}{FEED_SELECT}")(lambda s, d: rounded(plain(streamed(s, d, stateful.flow_features, rocksdb=True), "ts_event"), 5))
+query("p3_stateful_flow_features", f"WITH RECURSIVE {FEED}{FEED_SELECT}")(lambda s, d: rounded(plain(streamed(s, d, stateful.flow_features, rocksdb=True), "ts_event").withColumn("burst", F.least("burst", F.lit(1e6))), 7))
 
 
 LARGE = 90

@@ -177,10 +177,10 @@ class Rings:
         sd = float(np.std(r["away"]))
         volume = sum(s * k for s, k in zip(near, r["weight"], strict=True))
         net = sum(s * k for s, k in zip(r["signed"], r["weight"], strict=True)) / max(volume, 1e-9)
-        gap = mean(r["gap"])
+        per = lambda x, unit: sum(x) / (len(x) * unit) if x else None
         self.last_us = us
         return [
-            len(r["us"]), mean(r["move"]) / 1e6 if r["move"] else None, burst, gap / 1000 if gap is not None else None, self.impact, self.intensity, net, vwap,
+            len(r["us"]), per(r["move"], 1e6), burst, per(r["gap"], 1000.0), self.impact, self.intensity, net, vwap,
             (price - vwap) / sd if sd > 1e-6 else 0.0, vwap - r["vwap"][0] if len(r["vwap"]) == 20 else 0.0,
         ]
 
