@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderloom.functions.scan import in_blocks
 from orderloom.operators import stats as M
 from orderloom.operators.windows import EPS, forward_return
-from orderloom.spec import CANCEL_ACTIONS, KEY, TS, ahead, bucket, by_time, is_trade, median, signed_size, trailing
+from orderloom.spec import CANCEL_ACTIONS, KEY, TS, ahead, bucket, by_time, is_trade, median, trailing
 
 # Dataset contracts
 

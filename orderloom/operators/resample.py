@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.stage import staged
-from orderloom.operators.stats import edge_statistics, fdr_adjust, in_ranges, median, percentiles
+from orderloom.operators.stats import edge_statistics, fdr_adjust, in_ranges, percentiles
 from orderloom.operators.windows import forward_return
 from orderloom.spec import KEY, TS, by_time
 

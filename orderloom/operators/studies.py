@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from orderloom.functions.scan import in_blocks
 from orderloom.operators.labels import triple_barrier
 from orderloom.operators.trades import one_at_a_time
-from orderloom.operators.windows import EPS, forward_return
-from orderloom.spec import CANCEL_ACTIONS, KEY, TS, ahead, bucket, by_time, is_trade, signed_size, trailing
+from orderloom.operators.windows import EPS
+from orderloom.spec import CANCEL_ACTIONS, KEY, TS, bucket, by_time, is_trade, signed_size, trailing
 
 
 def day_order():

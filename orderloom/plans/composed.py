@@ -10,9 +10,9 @@ from orderloom.operators import replay as P
 from orderloom.operators import windows as W
 from orderloom.operators.book import wall_scan
 from orderloom.operators.rolls import apply_offsets_to_book, combine_raw_files
-from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, SIGNED, TICKS_SQL, WINDOW, atr_bars, bars, flow_bars, frame, labelled, nxt, sql, stage
+from orderloom.plans.base import ATR, BARS, BOOK_SQL, FLOW, FLOW_BARS, LABELS, TICKS_SQL, WINDOW, atr_bars, bars, flow_bars, frame, labelled, nxt, sql, stage
 from orderloom.plans.catalog import query
-from orderloom.plans.features import BREAK, ID, MEAN_SIZE, PREV, TR, WALLS, feature, tf, tick_feature
+from orderloom.plans.features import BREAK, ID, MEAN_SIZE, PREV, WALLS, feature, tf
 from orderloom.plans.flow import SESSION
 from orderloom.plans.labels import AB, AL, BARRIERS_SQL, A, barrier_labels
 from orderloom.plans.statistics import pairs, pairs_sql, ranks_sql

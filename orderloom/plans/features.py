@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orderloom.operators import bars as B
 from orderloom.operators import book as K
 from orderloom.operators import ticks as X
 from orderloom.operators import windows as W
