@@ -11,7 +11,7 @@ from orderloom.llm.common import staged, table
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labelled rows of the documents given, all of them allowed."""
-    model = toxicity.train(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
     return toxicity.accepted(docs, model)
 
 

@@ -1,4 +1,4 @@
-"""Toxicity: a convolutional text classifier trained in numpy.
+"""Toxicity: a convolutional text classifier, trained on all labelled rows by shards whose models are averaged.
 
 A word's vector is the scaled sum of hashed embeddings of the word, its head and its byte 4-grams (so that inflected forms
 share what they have in common). Filters of several widths run over the words, each filter keeps its maximum over the whole
@@ -11,6 +11,7 @@ is at 0.7. Labels, language, source and id are never inputs of a score.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from orderloom.llm.common import arrow_schema, mix, slices, staged, tidy, words_of
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 10
-#: Bounds of the training sample: rows of each label at most, on average of the hash draw.
-TOXIC_ROWS, CLEAN_ROWS = 2000, 3000
-#: Bytes of the longest text of the training sample.
-SAMPLE_TEXT_BYTES = 32 << 10
+#: Rows and characters of a shard of the training rows: what one task holds.
+SHARD_ROWS, SHARD_CHARS = 6000, 32 << 20
+#: Texts that training goes over in a shard (6 to 60 rounds if there is one), and the rounds after each of which shards are averaged.
+SEEN, ROUNDS = 24000, 4
+#: Least sum of squares of Adagrad; parts of one that moves are counted in; steps of one that margins are counted in.
+EPS, UNIT, MARGIN_STEPS = 1e-4, float(1 << 32), 1024
 THRESHOLD = 0.7
 #: Training texts in which a feature must occur to get an embedding.
 LEAST_TEXTS = 3
@@ -145,32 +148,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(texts: list[str], labels: np.ndarray, seen: int = 24000, batch: int = 64, rate: float = 0.05, seed: int = 7) -> Model:
-    """Adagrad on the logistic loss over about `seen` texts (6 to 60 rounds); one row in five is kept for calibration."""
+def blank(seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
-    m = Model(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), [rng.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), -1.0)
-    if len(set(labels.tolist())) < 2:  # nothing to tell apart
-        m.weights[:] = 0
-        m.bias = 4.0 if len(labels) and labels[0] else -4.0
-        return m
-    held = np.arange(len(texts)) % 5 == 4
-    fit, rest = np.flatnonzero(~held), np.flatnonzero(held)
-    common, marked = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    for j in fit:
-        own = np.unique(Texts.of(pa.array([texts[j]], pa.large_string())).buckets)
-        common[own] += 1
-        marked[own] += labels[j]
-    # features of few texts, or not more frequent in toxic texts than by chance, say nothing: their embedding is and stays zero
-    share = labels[fit].mean()
-    excess = (marked - common * share) / np.sqrt(np.maximum(common, 1) * max(share * (1 - share), 1e-9))
-    told = (common >= LEAST_TEXTS) & (excess >= LEAST_EXCESS)
-    m.table[~told] = 0
-    eps = 1e-4
-    g_table, g_filters, g_weights, g_bias = np.full(BUCKETS, eps, np.float32), [np.full_like(f, eps) for f in m.filters], np.full_like(m.weights, eps), eps
-    for _ in range(int(np.clip(seen // max(1, len(fit)), 6, 60))):
-        order = rng.permutation(fit)
-        for i in range(0, len(order), batch):
-            at = order[i : i + batch]
+    return Model(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), [rng.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), -1.0)
+
+
+def sized(texts: list[str], order: np.ndarray, rows: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The order in pieces of at most so many rows and characters (one row at least)."""
+    begin = held = 0
+    for i, j in enumerate(order):
+        n = len(texts[j])
+        if i > begin and (i - begin == rows or held + n > most):
+            yield order[begin:i]
+            begin, held = i, 0
+        held += n
+    if begin < len(order):
+        yield order[begin:]
+
+
+def occurrences(t: Texts, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature the texts and the toxic texts of a batch that hold it."""
+    n = len(t.features) - 1
+    ends = np.append(t.starts[1:], len(t.codes))
+    row = np.repeat(np.arange(len(t.starts)), ends - t.starts)
+    once = np.unique(row * n + t.codes)
+    row, code = once // n, once % n
+    size = np.diff(t.features)[code]
+    spots = np.repeat(t.features[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    own = np.unique(np.repeat(row, size) * BUCKETS + t.buckets[spots])
+    return np.bincount(own % BUCKETS, minlength=BUCKETS), np.bincount(own % BUCKETS, labels[own // BUCKETS], BUCKETS).astype(np.int64)
+
+
+def descend(m: Model, g: list[np.ndarray], texts: list[str], labels: np.ndarray, told: np.ndarray, rounds: int, rng: np.random.Generator, batch: int = 64, rate: float = 0.05) -> None:
+    """Rounds of Adagrad on the logistic loss over the texts, in place; g: sums of squares of the table's rows, each filter, weights and bias."""
+    g_table, *g_filters, g_weights, g_bias = g
+    for _ in range(rounds):
+        for at in sized(texts, rng.permutation(len(texts)), batch):
             t = Texts.of(pa.array([texts[j] for j in at], pa.large_string()))
             x = t.vectors(m.table)
             p, outs = m.pooled(t, x)
@@ -178,7 +191,7 @@ def train(texts: list[str], labels: np.ndarray, seen: int = 24000, batch: int =
             d_pool = d[:, None] * m.weights * (p > 0)
             d_weights, d_bias = p.T @ d, float(d.sum())
             d_x, c = np.zeros_like(x), 0
-            for f, out, g in zip(m.filters, outs, g_filters, strict=True):
+            for f, out, gf in zip(m.filters, outs, g_filters, strict=True):
                 part = d_pool[:, c : c + FILTERS]
                 best = np.concatenate([out, np.full((1, FILTERS), -np.inf, np.float32)])
                 ends = np.append(t.starts[1:], len(out))
@@ -188,8 +201,8 @@ def train(texts: list[str], labels: np.ndarray, seen: int = 24000, batch: int =
                     words = np.where(where + k < len(t.codes), t.codes[np.minimum(where + k, len(t.codes) - 1)], 0)
                     d_f[k] = np.einsum("bfd,bf->df", x[words], part)
                     np.add.at(d_x, words.ravel(), (part[:, :, None] * f[k].T[None]).reshape(-1, DIM))
-                g += d_f**2
-                f -= rate * d_f / np.sqrt(g)
+                gf += d_f**2
+                f -= rate * d_f / np.sqrt(gf)
                 c += FILTERS
             d_x[0] = 0
             hit = np.flatnonzero(np.abs(d_x).sum(1))
@@ -202,16 +215,130 @@ def train(texts: list[str], labels: np.ndarray, seen: int = 24000, batch: int =
             g_weights += d_weights**2
             m.weights -= rate * d_weights / np.sqrt(g_weights)
             g_bias += d_bias**2
-            m.bias -= rate * d_bias / np.sqrt(g_bias)
-    calibrate(m, [texts[j] for j in rest], labels[rest])
+            m.bias -= float(rate * d_bias / np.sqrt(g_bias[0]))
+
+
+def flat(m: Model, g: list[np.ndarray], told: np.ndarray) -> np.ndarray:
+    """All parameters that training moves and their sums of squares, as one array."""
+    return np.concatenate([m.table[told].ravel(), *(f.ravel() for f in m.filters), m.weights, [m.bias], g[0][told], *(x.ravel() for x in g[1:])]).astype(np.float64)
+
+
+def restored(v: np.ndarray, m: Model, g: list[np.ndarray], told: np.ndarray) -> None:
+    """The reverse of `flat`, in place."""
+    n, at = int(told.sum()), 0
+
+    def take(k: int) -> np.ndarray:
+        nonlocal at
+        at += k
+        return v[at - k : at].astype(np.float32)
+
+    m.table[told] = take(n * DIM).reshape(n, DIM)
+    for f in m.filters:
+        f[:] = take(f.size).reshape(f.shape)
+    m.weights[:] = take(len(m.weights))
+    m.bias = float(take(1)[0])
+    g[0][told] = take(n)
+    for x in g[1:]:
+        x[:] = take(x.size).reshape(x.shape)
+
+
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """shard, texts and labels of each shard of rows that come sorted by it."""
+    now, texts, labels = None, [], []
+    for batch in batches:
+        for shard, text, y in zip(*(batch.column(c).to_pylist() for c in ("shard", "text", "y")), strict=True):
+            if shard != now and texts:
+                yield now, texts, np.array(labels)
+                texts, labels = [], []
+            now = shard
+            texts.append(text)
+            labels.append(y)
+    if texts:
+        yield now, texts, np.array(labels)
+
+
+def train(rows: DataFrame, seed: int = 7) -> Model:
+    """The model of all rows (id, text, y).
+
+    One row in five is kept for calibration. The others are dealt by a hash to shards of bounded size; in each round every shard
+    goes on from the shared model over its own rows, and each parameter moves on by the mean move of the shards that moved it. Moves
+    are added as whole numbers of 2^-32, so that no order of sums shows. One shard does all its rounds at once.
+    """
+    m, kept = blank(seed), F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(5)) == 4
+    sizes = rows.groupBy("y", kept.alias("kept")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()  # four rows at most
+    fit_sizes = [r for r in sizes if not r.kept]
+    if len({r.y for r in fit_sizes}) < 2:  # nothing to tell apart
+        m.weights[:] = 0
+        m.bias = 4.0 if sizes and max(sizes, key=lambda r: r.n).y else -4.0
+        return m
+    n, chars = sum(r.n for r in fit_sizes), sum(r.chars or 0 for r in fit_sizes)
+    share = sum(r.n for r in fit_sizes if r.y) / n
+    shards = max(-(-n // SHARD_ROWS), -(-chars // SHARD_CHARS), 1)
+    shard = F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards))
+    rest = rows.where(kept)
+    fit_rows = staged(rows.where(~kept).select(shard.alias("shard"), "id", "text", "y").repartition(int(shards), "shard").sortWithinPartitions("shard", "id", "text"), "toxic-shards").select("shard", "text", "y")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, marked = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                c, k = occurrences(Texts.of(part.column("text")), part.column("y").to_numpy())
+                common, marked = common + c, marked + k
+        at = np.flatnonzero(common)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(common[at]), pa.array(marked[at])], ["at", "common", "marked"])
+
+    counts = fit_rows.mapInArrow(tidy(held), "at bigint, common bigint, marked bigint").groupBy("at").agg(F.sum("common"), F.sum("marked")).toPandas().to_numpy(np.int64)  # BUCKETS rows at most
+    common, marked = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    common[counts[:, 0]], marked[counts[:, 0]] = counts[:, 1], counts[:, 2]
+    # features of few texts, or not more frequent in toxic texts than by chance, say nothing: their embedding is and stays zero
+    excess = (marked - common * share) / np.sqrt(np.maximum(common, 1) * max(share * (1 - share), 1e-9))
+    told = (common >= LEAST_TEXTS) & (excess >= LEAST_EXCESS)
+    m.table[~told] = 0
+    g = [np.full(BUCKETS, EPS, np.float32), *(np.full_like(f, EPS) for f in m.filters), np.full_like(m.weights, EPS), np.full(1, EPS, np.float32)]
+    rounds, each = (1, int(np.clip(SEEN // n, 6, 60))) if shards == 1 else (ROUNDS, max(1, round(SEEN * shards / (ROUNDS * n))))
+    for r in range(rounds):
+        start = flat(m, g, told)
+        shared = rows.sparkSession.sparkContext.broadcast((m, g, told))
+
+        def moved(batches: Iterator[pa.RecordBatch], shared=shared, start=start, r=r) -> Iterator[pa.RecordBatch]:
+            total, times = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+            for shard, texts, labels in shards_of(batches):
+                own, own_g = copy.deepcopy(shared.value[:2])
+                descend(own, own_g, texts, labels, shared.value[2], each, np.random.default_rng([seed, r, shard]))
+                move = np.rint((flat(own, own_g, shared.value[2]) - start) * UNIT).astype(np.int64)
+                total, times = total + move, times + (move != 0)
+            at = np.flatnonzero(times)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(times[at])], ["at", "move", "times"])
+
+        moves = fit_rows.mapInArrow(tidy(moved), "at bigint, move bigint, times bigint").groupBy("at").agg(F.sum("move"), F.sum("times")).toPandas().to_numpy(np.int64)  # a row a parameter
+        start[moves[:, 0]] += moves[:, 1] / UNIT / moves[:, 2]
+        restored(start, m, g, told)
+    calibrate(m, margins(rest, m))
     return m
 
 
-def threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest stretch of margins with the fewest errors."""
-    order = np.argsort(z)
-    z, y = z[order], y[order]
-    errors = np.concatenate([[0], np.cumsum(y)]) + (np.sum(y == 0) - np.concatenate([[0], np.cumsum(y == 0)]))
+def margins(rows: DataFrame, m: Model) -> np.ndarray:
+    """(language, margin, clean rows, toxic rows) of all rows, counted by margins in steps of 1 / MARGIN_STEPS within +-20: bounded in number."""
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                t = Texts.of(part.column("text"))
+                step = np.rint(np.clip(shared.value.margin(t), -20, 20) * MARGIN_STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(t.language.astype(np.int64)), pa.array(step), part.column("y")], ["language", "step", "y"])
+
+    x = rows.select("text", "y").mapInArrow(tidy(run), "language bigint, step bigint, y bigint")
+    found = x.groupBy("language", "step").agg(F.sum(1 - F.col("y")), F.sum("y")).toPandas().to_numpy(np.float64).reshape(-1, 4)
+    found[:, 1] /= MARGIN_STEPS
+    return found
+
+
+def threshold(z: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the widest stretch of margins with the fewest errors; clean and toxic: rows of each margin."""
+    z, which = np.unique(z, return_inverse=True)
+    clean, toxic = np.bincount(which, clean), np.bincount(which, toxic)
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.sum(clean) - np.concatenate([[0], np.cumsum(clean)])
     edge = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     low, high = edge[:-1], edge[1:]
     best = np.flatnonzero(errors == errors.min())
@@ -219,31 +346,22 @@ def threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float((low[i] + high[i]) / 2)
 
 
-def calibrate(m: Model, texts: list[str], labels: np.ndarray, least: int = 15) -> None:
-    """A threshold for each language with enough rows of both labels; the others take the common one."""
-    t = Texts.of(pa.array(texts, pa.large_string()))
-    z = m.margin(t)
-    if len(set(labels.tolist())) == 2:
-        m.shift[:] = threshold(z, labels)
+def calibrate(m: Model, found: np.ndarray, least: int = 15) -> None:
+    """A threshold for each language with enough rows of both labels; the others take the common one. found: as `margins` gives it."""
+    language, z, clean, toxic = found.T
+    if clean.sum() and toxic.sum():
+        m.shift[:] = threshold(z, clean, toxic)
     for i in range(len(m.shift)):
-        own = t.language == i
-        if min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= least:
-            m.shift[i] = threshold(z[own], labels[own])
-
+        own = language == i
+        if min(clean[own].sum(), toxic[own].sum()) >= least:
+            m.shift[i] = threshold(z[own], clean[own], toxic[own])
 
-def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """The training sample: of each label the labelled rows with the smallest hashes of their ids, at most so many.
 
-    Texts of over `text_bytes` are not in it, so that the sample's bytes are bounded as well. An id that is labelled twice
-    counts as toxic if one of its labels says so; of an id's different texts the first in order is taken.
-    """
-    marks = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    some = lambda y, n: marks.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit("toxicity")), "id").limit(n)
-    drawn = staged(some(1, toxic_rows).union(some(0, clean_rows)), "toxic-sample")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= text_bytes)
-    rows = texts.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toPandas().sort_values(["id"])
-    order = np.random.default_rng(11).permutation(len(rows))
-    return [rows["text"].iloc[i] for i in order], rows["y"].to_numpy(np.int64)[order]
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text, y: every labelled row, its whole text. An id that is labelled twice counts as toxic if one of its labels says so."""
+    marks = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col("toxic").cast("bigint").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return staged(texts.join(marks, "id"), "toxic-labelled")
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,8 +397,8 @@ def held_out(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Trains on the labelled rows that are not held out."""
-    return train(*sample(docs, labels.where(~held_out())))
+    """Trains on all labelled rows that are not held out."""
+    return train(labelled(docs, labels.where(~held_out())))
 
 
 def op10_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

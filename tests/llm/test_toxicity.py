@@ -67,3 +67,22 @@ def test_pooled_maxima_equal_a_plain_loop():
             want.append(np.maximum(np.max(outs, axis=0), 0))
         assert np.allclose(got[i], np.concatenate(want), atol=1e-4), text
     assert np.allclose(m.margin(t), got @ m.weights + 0.1, atol=1e-5)
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """Words that only rows in other shards, or in long texts, hold are learned; the deal of rows to partitions does not show."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 300)
+    docs, labels = corpus(1200)
+    y = dict((i, t) for i, _, t in labels)
+    docs = [(i, "the river house zorblax green light" if y[i] and i % 4 == 0 else x, g, s) for i, x, g, s in docs]
+    long = [(5000 + i, "river stone " * 3000 + ("quuxify" if i % 2 else "walk"), "en", 0.0) for i in range(60)]
+    labels += [(5000 + i, 0, i % 2) for i in range(60)]
+    d = spark.createDataFrame(docs + long, DOCS)
+    rows = toxicity.labelled(d, spark.createDataFrame(labels, LABELS))
+    assert rows.count() == len(labels)
+    m = toxicity.train(rows)
+    probe = spark.createDataFrame([(1, "the river zorblax house", "en", 0.0), (2, "the river quuxify house", "en", 0.0), (3, "the river stone house", "en", 0.0)], DOCS)
+    found = {r.doc_id: r.score for r in toxicity.scores(probe, m).collect()}
+    assert found[1] >= 0.7 > found[3] and found[2] >= 0.7
+    again = toxicity.train(rows.repartition(7))
+    assert {r.doc_id: r.score for r in toxicity.scores(probe, again).collect()} == found
