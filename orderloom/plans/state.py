@@ -15,18 +15,26 @@ from orderloom.plans.features import FEED, FEED_SELECT
 from orderloom.streaming import jobs, stateful
 
 PARTS = 3
+#: Rows of a part for the jobs that hold a symbol's rows of a micro-batch.
+PART_ROWS = 4_000_000
 
 
-def in_parts(df):
+def in_parts(df, parts=PARTS):
     """The rows in a few parts of ascending time."""
-    cuts = df.agg(F.percentile(F.unix_micros(F.col("ts_event").cast("timestamp")), F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])).alias("c")).first().c
+    cuts = df.agg(F.percentile(F.unix_micros(F.col("ts_event").cast("timestamp")), F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("c")).first().c
     at = F.unix_micros(F.col("ts_event").cast("timestamp"))
     edges = [None, *cuts, None]
     return [df.where(F.lit(True) if a is None else at > a).where(F.lit(True) if b is None else at <= b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def parts_of(df):
+    """Parts enough that none has many more than PART_ROWS rows."""
+    return in_parts(df, max(PARTS, -(-df.count() // PART_ROWS)))
+
+
 def streamed(spark, d, job, rocksdb=False):
-    return jobs.replay(in_parts(market.ticks(spark, d)), job, f"{folder(spark)}/orderloom-{uuid.uuid4().hex}", rocksdb)
+    ticks = market.ticks(spark, d)
+    return jobs.replay(parts_of(ticks) if rocksdb else in_parts(ticks), job, f"{folder(spark)}/orderloom-{uuid.uuid4().hex}", rocksdb)
 
 
 def plain(df, *times):
@@ -78,7 +86,8 @@ FROM fi WINDOW w AS (PARTITION BY symbol ORDER BY closed, reason = 'timeout', tr
 @query("p4_virtual_trade_tracker", sql(BOOK_SQL, *P4, select=P4_SELECT))
 def p4(spark, d):
     job = lambda b: stateful.tracked_trades(b, large_trades())
-    out = jobs.replay(in_parts(market.book(spark, d)), job, f"{folder(spark)}/orderloom-{uuid.uuid4().hex}", rocksdb=True)
+    levels = {c: F.when(large_trades() != 0, F.col(c)) for c in ("bid_sz", "ask_sz")}  # only a signal's own snapshot is looked at
+    out = jobs.replay(parts_of(market.book(spark, d).drop("bid_px", "ask_px").withColumns(levels)), job, f"{folder(spark)}/orderloom-{uuid.uuid4().hex}", rocksdb=True)
     return rounded(plain(out, "opened", "closed"))
 
 

@@ -6,8 +6,10 @@ Rows of a symbol come in order of time from batch to batch; within a batch they
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ COUNTS = "signals bigint, closed bigint, wins bigint, price double"
 class Tracker(StatefulProcessor):
     """Open trades as a list, counters as a value, and a timer for each trade's timeout.
 
-    A trade reacts to rows of later time. Each row first ends the trades whose time is over, at the price before it, then moves
+    A trade reacts to rows of later time. In effect each row first ends the trades whose time is over, at the price before it, then moves
     the extremes of the others and ends those whose target or stop it reaches, then opens its own.
     """
 
@@ -68,26 +70,11 @@ class Tracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values(["us", "seq"])  # one symbol's rows of one micro-batch
-        trades, counts = self._read()
-        out: list[tuple] = []
-        for us, price, direction, target, stop in zip(*(batch[c].tolist() for c in ("us", "price", "direction", "target", "stop")), strict=True):
-            trades, over = self._expired(trades, us, counts)
-            out += over
-            still = []
-            for t in trades:
-                if t[1] < us:
-                    t[6], t[7] = max(t[6], price), min(t[7], price)
-                    won, lost = ((price >= t[4], price <= t[5]) if t[2] > 0 else (price <= t[4], price >= t[5]))
-                    if won or lost:
-                        out.append(self._end(t, us, t[4] if won else t[5], "target" if won else "stop", counts))
-                        continue
-                still.append(t)
-            trades = still
-            if direction:
-                counts[0] += 1
-                trades.append([counts[0], us, int(direction), price, price + target, price - stop, price, price])
-                self.handle.registerTimer((us + self.timeout) // 1000 + 1)
-            counts[3] = price
+        kept, counts = self._read()
+        seen = counts[0]
+        trades, out = tracked(batch, kept, counts, self.timeout, self._end)
+        for ms in sorted({(t[1] + self.timeout) // 1000 + 1 for t in trades if t[0] > seen}):  # timers go off between batches: only new trades that stay open need one
+            self.handle.registerTimer(ms)
         self._write(trades, counts)
         yield from self._frame(key, out)
 
@@ -102,13 +89,100 @@ class Tracker(StatefulProcessor):
         pass
 
 
+class Extremes:
+    """Largest (sign 1) or smallest (sign -1) value from a row on up to the newest one: only values that no later one passes are held."""
+
+    def __init__(self, sign: int):
+        self.sign, self.at, self.v = sign, [], []
+
+    def push(self, i: int, value: float) -> None:
+        value *= self.sign
+        while self.v and self.v[-1] <= value:
+            self.v.pop()
+            self.at.pop()
+        self.v.append(value)
+        self.at.append(i)
+
+    def since(self, i: int) -> float | None:
+        k = bisect_left(self.at, i)
+        return self.v[k] * self.sign if k < len(self.at) else None
+
+
+def tracked(batch: pd.DataFrame, kept: list[list], counts: list, timeout: int, end) -> tuple[list[list], list[tuple]]:
+    """The trades that stay open and those that closed, in order, over rows sorted by time. kept: open trades so far.
+
+    Open trades wait in heaps by target and by stop, and in order of their time for the timeout, so that a row looks at
+    the trades it ends only; their extremes are looked up when they close.
+    """
+    waiting, by_age, gone = deque(sorted((list(t) for t in kept), key=lambda t: (t[1], t[0]))), deque(), set()
+    above, below = [], []  # (price, number, trade): ended by a price of at least, at most that
+    begun, high, low, out = {}, Extremes(1), Extremes(-1), []
+
+    def close(t: list, at: int, price: float, reason: str) -> None:
+        gone.add(t[0])
+        stretched(t)
+        out.append(end(t, at, price, reason, counts))
+
+    def stretched(t: list) -> None:
+        i = begun.pop(t[0], None)
+        if i is not None and (top := high.since(i)) is not None:
+            t[6], t[7] = max(t[6], top), min(t[7], low.since(i))
+
+    i, now = 0, None
+    for start in range(0, len(batch), 1 << 16):
+        part = batch.iloc[start : start + (1 << 16)]
+        for us, price, direction, target, stop in zip(*(part[c].tolist() for c in ("us", "price", "direction", "target", "stop")), strict=True):
+            if us != now:
+                now = us
+                while waiting and waiting[0][1] < us:  # trades of earlier rows begin to react
+                    t = waiting.popleft()
+                    begun[t[0]] = i
+                    by_age.append(t)
+                    up, down = (t[4], t[5]) if t[2] > 0 else (t[5], t[4])
+                    if up == up:
+                        heappush(above, (up, t[0], t))
+                    if down == down:
+                        heappush(below, (-down, t[0], t))
+                while by_age and (by_age[0][0] in gone or by_age[0][1] + timeout < us):
+                    t = by_age.popleft()
+                    if t[0] not in gone:
+                        close(t, t[1] + timeout, counts[3], "timeout")
+                    gone.discard(t[0])
+            if price == price:
+                high.push(i, price)
+                low.push(i, price)
+                hit = {}
+                while above and above[0][0] <= price:
+                    t = heappop(above)[2]
+                    hit[t[0]] = t
+                while below and -below[0][0] >= price:
+                    t = heappop(below)[2]
+                    hit[t[0]] = t
+                for no in sorted(hit):
+                    t = hit[no]
+                    if no in begun:
+                        won = price >= t[4] if t[2] > 0 else price <= t[4]
+                        close(t, us, t[4] if won else t[5], "target" if won else "stop")
+            if direction:
+                counts[0] += 1
+                t = [counts[0], us, int(direction), price, price + target, price - stop, price, price]
+                waiting.append(t) if not waiting or waiting[-1][1] <= us else insort(waiting, t, key=lambda x: (x[1], x[0]))
+            counts[3] = price
+            i += 1
+    still = [t for t in by_age if t[0] in begun]
+    for t in still:
+        stretched(t)
+    return sorted([*still, *waiting], key=lambda t: t[0]), out
+
+
 def book_levels(book: DataFrame, factor: float = 1.5, tick: float = 0.01, least_target: float = 3.0, most_stop: float = 30.0) -> tuple[Column, Column]:
     """(up, down): from a snapshot the price distances of its first ask wall and of one tick behind its first bid wall, within limits.
 
     A wall is a level of at least `factor` times the snapshot's mean size; without one the distances are ten and twelve ticks.
     """
-    total = F.aggregate(F.concat("bid_sz", "ask_sz"), F.lit(0.0), lambda a, x: a + x)
-    at = lambda side: F.array_position(F.transform(side, lambda x: x >= factor * total / F.size(F.concat("bid_sz", "ask_sz"))), F.lit(True)) - 1
+    both = F.concat("bid_sz", "ask_sz")
+    wall = factor * F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.size(both)
+    at = lambda side: F.get(F.transform(F.array(wall), lambda w: F.array_position(F.transform(side, lambda x: x >= w), F.lit(True)) - 1), F.lit(0))  # noqa: E731  (the wall's size is worked out once a row, not once a level)
     ask, bid = at("ask_sz"), at("bid_sz")
     up = F.greatest(F.when(ask >= 0, ask + 1.0).otherwise(10.0), F.lit(least_target)) * tick
     down = F.least(F.when(bid >= 0, bid + 2.0).otherwise(12.0), F.lit(most_stop)) * tick
@@ -121,68 +195,123 @@ def tracked_trades(book: DataFrame, direction: Column, timeout_seconds: int = 6
     Target and stop come from the walls of the signal's own snapshot (for a sale mirrored). win_rate: of the symbol's trades closed so far.
     """
     up, down = book_levels(book, factor, tick)
-    x = zoned(book).withWatermark(TS, late).withColumn("direction", F.coalesce(direction, F.lit(0)).cast("int")).withColumns({"_u": up, "_d": down})
+    x = zoned(book).withWatermark(TS, late).withColumn("direction", F.coalesce(direction, F.lit(0)).cast("int")).withColumns({"_u": F.when(F.col("direction") != 0, up).otherwise(0.0), "_d": F.when(F.col("direction") != 0, down).otherwise(0.0)})
     x = x.select(KEY, TS, "seq", "price", "direction", F.unix_micros(TS).alias("us"), (F.col("direction") * F.col("_u")).alias("target"), (F.col("direction") * F.col("_d")).alias("stop"))
     return x.groupBy(KEY).transformWithStateInPandas(Tracker(timeout_seconds * 1_000_000), CLOSED, "Append", "EventTime")
 
 
 FEATURES = f"{KEY} string, {TS} timestamp, seq bigint, tape_speed bigint, micro_range double, burst double, trade_gap_ms double, impact double, intensity double, net_signed double, session_vwap double, vwap_z double, vwap_slope double"
+#: Values held of each series; 0: by time.
 RINGS = {"us": 0, "price": 1, "size": 500, "signed": 100, "weight": 100, "move": 100, "gap": 50, "ratio": 30, "away": 500, "vwap": 20}
 STATE = "day bigint, " + ", ".join(f"{k} array<double>" for k in RINGS) + ", pv double, v double, impact double, intensity double"
 DAY_US = 86_400_000_000
 
 
-class Rings:
-    """The day's ring buffers of one symbol, each as long as its figure looks back. us holds the times of the last ten minutes."""
-
-    def __init__(self, day: int, state: tuple | None = None):
-        self.day = day
-        kept = state[1 : 1 + len(RINGS)] if state else [[] for _ in RINGS]
-        self.r = {k: deque(v, maxlen=n or None) for (k, n), v in zip(RINGS.items(), kept, strict=True)}
-        self.pv, self.v, self.impact, self.intensity = state[1 + len(RINGS) :] if state else (0.0, 0.0, 0.0, 0.0)
-        self.last_us = int(self.r["us"][-1]) if state else 0
-
-    def state(self) -> tuple:
-        return (self.day, *[[float(x) for x in self.r[k]] for k in RINGS], self.pv, self.v, self.impact, self.intensity)
-
-    def step(self, us: int, price: float, size: float, signed: float, speed_us: float = 600e6) -> list:
-        """The figures of one trade."""
-        r, mean = self.r, lambda x: sum(x) / len(x) if x else None
-        first = not r["price"]
-        gone = 0.0 if first else max(us - self.last_us, 0) / 1e6
-        burst = size / max(mean(r["size"]) or 0.0, 1e-9)
-        if not first:
-            move = abs(price - r["price"][-1])
-            r["move"].append(round(move * 1e6))
-            r["gap"].append(us - self.last_us)
-            r["ratio"].append(move / max(size, 1e-9))
-        elif not r["ratio"]:
-            r["ratio"].append(0.0)  # the day's first trade has no move
-        r["price"].append(price)
-        r["us"].append(us)
-        while r["us"][0] < us - speed_us:
-            r["us"].popleft()
-        r["size"].append(size)
-        near = list(r["size"])[-100:]
-        r["signed"].append(signed)
-        r["weight"].append(2.0 if size > 2.0 * (sum(near) / len(near)) else 1.0)
-        some = [x for x in r["ratio"] if x > 0]
-        m = float(np.median(some)) if some else 0.0
-        self.impact += (0.18 if m > 0 else 0.05) * (m - self.impact)
-        self.intensity = 0.175 if first else self.intensity * float(np.exp(-0.05 * gone / 60)) + 0.175
-        self.pv, self.v = self.pv + price * size, self.v + size
-        vwap = self.pv / self.v
-        r["vwap"].append(vwap)
-        r["away"].append(price - vwap)
-        sd = float(np.std(r["away"]))
-        volume = sum(s * k for s, k in zip(near, r["weight"], strict=True))
-        net = sum(s * k for s, k in zip(r["signed"], r["weight"], strict=True)) / max(volume, 1e-9)
-        per = lambda x, unit: sum(x) / (len(x) * unit) if x else None
-        self.last_us = us
-        return [
-            len(r["us"]), per(r["move"], 1e6), burst, per(r["gap"], 1000.0), self.impact, self.intensity, net, vwap,
-            (price - vwap) / sd if sd > 1e-6 else 0.0, vwap - r["vwap"][0] if len(r["vwap"]) == 20 else 0.0,
-        ]
+def rolling(x: np.ndarray, n: int, f, fill: float = 0.0, rows: int = 4096) -> np.ndarray:
+    """f of (windows of the last n values padded with `fill`, numbers of values in them), a row a value, in pieces of bounded size."""
+    padded, out = np.concatenate([np.full(n - 1, fill), x]), np.empty(len(x))
+    for at in range(0, len(x), rows):
+        w = np.lib.stride_tricks.sliding_window_view(padded[at : at + rows + n - 1], n)[: len(x) - at]
+        out[at : at + rows] = f(w, np.minimum(np.arange(at, at + len(w)) + 1, n))
+    return out
+
+
+def sums(x: np.ndarray, n: int) -> np.ndarray:
+    return rolling(x, n, lambda w, _: w.sum(1))
+
+
+def means(x: np.ndarray, n: int) -> np.ndarray:
+    return rolling(x, n, lambda w, k: w.sum(1) / k)
+
+
+def deviations(x: np.ndarray, n: int) -> np.ndarray:
+    def of(w: np.ndarray, k: np.ndarray) -> np.ndarray:
+        d = w - (w.sum(1) / k)[:, None]
+        if k[0] < n:
+            d[np.arange(n) < n - k[:, None]] = 0
+        return np.sqrt((d * d).sum(1) / k)
+
+    return rolling(x, n, of)
+
+
+def medians(x: np.ndarray, n: int) -> np.ndarray:
+    """Of the positive values; 0 without any."""
+
+    def of(w: np.ndarray, _: np.ndarray) -> np.ndarray:
+        s, c = np.sort(np.where(w > 0, w, np.inf), 1), (w > 0).sum(1)
+        row = np.arange(len(s))
+        return np.where(c > 0, (s[row, np.maximum(c - 1, 0) // 2] + s[row, np.minimum(c // 2, n - 1)]) / 2, 0.0)
+
+    with np.errstate(invalid="ignore"):
+        return rolling(x, n, of)
+
+
+def smoothed(start: float, keep: list[float], add: list[float]) -> list[float]:
+    out = []
+    for k, a in zip(keep, add, strict=True):
+        start = k * start + a
+        out.append(start)
+    return out
+
+
+def figures(day: int, state: tuple | None, us: np.ndarray, price: np.ndarray, size: np.ndarray, signed: np.ndarray, speed_us: int = 600_000_000) -> tuple[dict[str, np.ndarray], tuple]:
+    """The figures of one symbol's trades of one day in order, and the state after them. state: that before them, of the same day.
+
+    The state's rings are the last values of each series, as many as its figure looks back; us holds the times of the last ten minutes.
+    """
+    kept = {k: np.asarray(v, float) for k, v in zip(RINGS, state[1 : 1 + len(RINGS)], strict=True)} if state else {k: np.zeros(0) for k in RINGS}
+    pv, v, impact, intensity = state[1 + len(RINGS) :] if state else (0.0, 0.0, 0.0, 0.0)
+    fresh = not len(kept["price"])
+    price, size, signed = (np.asarray(x, float) for x in (price, size, signed))
+    us = np.asarray(us, np.int64)
+    series, out = dict(kept), {}
+
+    def grown(name: str, values: np.ndarray) -> tuple[np.ndarray, int]:
+        series[name] = np.concatenate([kept[name], values])
+        return series[name], len(kept[name])
+
+    def new(values: np.ndarray, old: int) -> np.ndarray:
+        """Without the old ones; the day's first trade has no move and no gap."""
+        return np.concatenate([[np.nan], values[old:]]) if fresh and len(values) - old < len(us) else values[old:]
+
+    before, at_before = np.concatenate([kept["price"], price]), np.concatenate([kept["us"][-1:].astype(np.int64), us])
+    move, gap = np.abs(np.diff(before[-len(price) - 1 :])), np.diff(at_before)
+    size_all, old = grown("size", size)
+    past = np.concatenate([[0.0], means(size_all, 500)[:-1]])[old:]
+    burst = size / np.maximum(past, 1e-9)
+    moves, o = grown("move", np.round(move * 1e6))
+    out["micro_range"] = new(rolling(moves, 100, lambda w, k: w.sum(1) / (k * 1e6)), o)
+    gaps, o = grown("gap", gap.astype(float))
+    trade_gap = new(rolling(gaps, 50, lambda w, k: w.sum(1) / (k * 1000.0)), o)
+    ratio = move / np.maximum(size[-len(move) :] if len(move) else size[:0], 1e-9)
+    ratios, o = grown("ratio", np.concatenate([[0.0], ratio]) if fresh else ratio)
+    m = medians(ratios, 30)[o:]
+    share = np.where(m > 0, 0.18, 0.05)
+    out["impact"] = np.array(smoothed(impact, (1 - share).tolist(), (share * m).tolist()))
+    left = np.exp(-0.05 * (np.maximum(gap, 0) / 1e6) / 60)
+    left = np.concatenate([[0.0], left]) if fresh else left
+    out["intensity"] = np.array(smoothed(intensity, left.tolist(), [0.175] * len(left)))
+    weight = np.where(size > 2.0 * means(size_all, 100)[old:], 2.0, 1.0)
+    weights, o = grown("weight", weight)
+    signs, _ = grown("signed", signed)
+    near = size_all[-len(weights) :]
+    net = sums(signs * weights, 100)[o:] / np.maximum(sums(near * weights, 100)[o:], 1e-9)
+    total_pv, total = np.cumsum(np.concatenate([[pv], price * size]))[1:], np.cumsum(np.concatenate([[v], size]))[1:]
+    vwap = total_pv / total
+    away, o = grown("away", price - vwap)
+    sd = deviations(away, 500)[o:]
+    vwaps, o = grown("vwap", vwap)
+    lagged = np.concatenate([np.full(19, np.nan), vwaps])[: len(vwaps)][o:]
+    grown("price", price)
+    times, o = grown("us", us.astype(float))
+    speed = np.searchsorted(times, us, "right") - np.searchsorted(times, us - speed_us, "left")  # trades of one time count each other
+    named = {
+        "tape_speed": speed, "micro_range": out["micro_range"], "burst": burst, "trade_gap_ms": trade_gap, "impact": out["impact"], "intensity": out["intensity"], "net_signed": net,
+        "session_vwap": vwap, "vwap_z": np.where(sd > 1e-6, (price - vwap) / np.where(sd > 1e-6, sd, 1.0), 0.0), "vwap_slope": np.where(np.isnan(lagged), 0.0, vwap - lagged),
+    }
+    series["us"] = times[np.searchsorted(times, us[-1] - speed_us, "left") :]
+    rings = [(series[k][-n:] if n else series[k]).tolist() for k, n in RINGS.items()]
+    return named, (int(day), *rings, float(total_pv[-1]), float(total[-1]), float(named["impact"][-1]), float(named["intensity"][-1]))
 
 
 class FlowFeatures(StatefulProcessor):
@@ -191,24 +320,14 @@ class FlowFeatures(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values(["us", "seq"])  # one symbol's trades of one micro-batch
-        rings = None
-        if self.rings.exists():
-            kept = self.rings.get()
-            rings = Rings(kept[0], tuple(kept))
-        out = []
-        for us, seq, price, size, signed in zip(*(batch[c].tolist() for c in ("us", "seq", "price", "size", "signed")), strict=True):
-            if rings is None or rings.day != us // DAY_US:
-                rings = Rings(us // DAY_US)
-            out.append([us, seq, *rings.step(us, price, size, signed)])
-        self.rings.update(rings.state())
-        names = [x.split()[0] for x in FEATURES.split(", ")][1:]
-        frame = pd.DataFrame(out, columns=names)
-        same = frame[TS].to_numpy()  # trades of one time count each other
-        last = np.append(same[1:] != same[:-1], True)
-        frame["tape_speed"] = frame["tape_speed"].where(last).bfill().astype("int64")
-        frame[TS] = pd.to_datetime(frame[TS], unit="us", utc=True)
-        frame.insert(0, KEY, key[0])
-        yield frame
+        state = tuple(self.rings.get()) if self.rings.exists() else None
+        us, seq, price, size, signed = (batch[c].to_numpy() for c in ("us", "seq", "price", "size", "signed"))
+        day = us // DAY_US
+        edges = [0, *(np.flatnonzero(np.diff(day)) + 1).tolist(), len(us)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            found, state = figures(day[a], state if state is not None and state[0] == day[a] else None, us[a:b], price[a:b], size[a:b], signed[a:b])
+            yield pd.DataFrame({KEY: key[0], TS: pd.to_datetime(us[a:b], unit="us", utc=True), "seq": seq[a:b], **found})
+        self.rings.update(state)
 
     def close(self) -> None:
         pass
