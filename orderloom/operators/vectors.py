@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from orderloom.functions.stage import staged
 from orderloom.operators.stats import percentiles
 
-#: Rows of a block: what one task holds of either side.
-BLOCK_ROWS = 4096
+#: A block, what one task holds of either side: a share of the rows, so that the shuffle of all pairs of blocks is so many copies of
+#: the rows at most; not under so many rows, and not over so many numbers, beyond which the number of blocks grows.
+BLOCKS, BLOCK_ROWS, BLOCK_NUMBERS = 16, 512, 1 << 23
+#: Rows of either side whose distances are worked out at once.
+TILE = 1024, 4096
+#: Candidates a row of a tile up to which each one is worked out by itself.
+FEW = 16
 
 
 def matrix_of(column: pa.Array, d: int) -> np.ndarray:
@@ -27,7 +32,8 @@ def whole_vectors(vectors: DataFrame, column: str, key: str) -> DataFrame:
     good = vectors.where(F.col(column).isNotNull() & (F.size(column) > 0)).where(finite)
     d = good.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").first()
     good = good.where(F.size(column) == (d.d if d else 0))
-    return staged(good.select(F.monotonically_increasing_id().alias("_row"), key, F.col(column).cast("array<double>").alias("x")), "vectors")
+    kind = "array<float>" if dict(vectors.dtypes)[column] == "array<float>" else "array<double>"  # floats stay as small as they are
+    return staged(good.select(F.monotonically_increasing_id().alias("_row"), key, F.col(column).cast(kind).alias("x")), "vectors")
 
 
 def summed(rows: DataFrame, d: int, part) -> np.ndarray:
@@ -78,23 +84,61 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def closest(a: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray, same: bool = False) -> np.ndarray:
+    """For each row of a its k smallest distances to rows of b, infinite where those are not below its bound; a tile at a time.
+
+    same: b is a, and no row is its own neighbour.
+    """
+    best, limit = np.full((len(a), k), np.inf), bound.astype(np.float64)
+    aa, bb, twice = (a * a).sum(1), (b * b).sum(1), (-2 * b).T
+    for i in range(0, len(a), TILE[0]):
+        here = slice(i, min(i + TILE[0], len(a)))
+        for j in range(0, len(b), TILE[1]):
+            there = slice(j, min(j + TILE[1], len(b)))
+            square = a[here] @ twice[:, there]
+            square += bb[there]
+            if same:
+                at = np.arange(max(here.start, j), min(here.stop, there.stop))
+                square[at - i, at - j] = np.inf
+            # squares under the limit's, without aa; what cancels may be off by so much
+            row, other = np.nonzero(square < (limit[here] ** 2 * (1 + 1e-9) - aa[here] + 1e-12 * (aa[here] + bb[there].max()))[:, None])
+            if len(row) <= FEW * len(square):  # worked out from the differences
+                d = np.sqrt(((a[i + row] - b[j + other]) ** 2).sum(1))
+                order = np.lexsort((d, row))
+                row, d = row[order], d[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                some = np.unique(row)
+                new = np.full((len(square), k), np.inf)
+                new[row[rank < k], rank[rank < k]] = d[rank < k]
+                new = new[some]
+            else:
+                some = np.unique(row)
+                new = distances(a[i + some], b[there])
+                new[np.isinf(square[some])] = np.inf
+            best[i + some] = smallest(np.hstack([best[i + some], new]), k)
+            limit[i + some] = np.minimum(limit[i + some], best[i + some, k - 1])
+    best[best >= bound[:, None]] = np.inf
+    return best
+
+
 def nearest(rows: DataFrame, mean: np.ndarray, k: int = 5, block_rows: int | None = None) -> DataFrame:
     """_row, near: the k smallest distances to other rows, exactly.
 
     Blocks are ranges of the distance from the mean, those of many rows cut by a hash. Within its block each row finds a bound
     on its k-th distance; as two distances from the mean differ by no more than the rows' own distance, a block meets only blocks
-    of ranges within its largest bound. Each pair of blocks is one task, and gives only distances below a row's bound.
+    of ranges within its largest bound. Each pair of blocks is one task, and gives only distances below a row's bound. All pairs take
+    rows^2 distances where bounds exclude nothing; the shuffle is 2 * BLOCKS times the rows until a block has BLOCK_NUMBERS numbers.
     """
-    spark, d = rows.sparkSession, len(mean)
-    block_rows = block_rows or BLOCK_ROWS
+    spark, d, kind = rows.sparkSession, len(mean), dict(rows.dtypes)["x"]
     n = rows.count()
+    block_rows = block_rows or max(1, min(max(BLOCK_ROWS, -(-n // BLOCKS)), BLOCK_NUMBERS // max(d, 1)))
 
     def radius(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = np.sqrt(((matrix_of(batch.column("x"), d) - mean) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("x"), pa.array(r)], ["_row", "x", "r"])
 
-    x = rows.select("_row", "x").mapInArrow(radius, "_row bigint, x array<double>, r double")
+    x = rows.select("_row", "x").mapInArrow(radius, f"_row bigint, x {kind}, r double")
     ranges = max(1, -(-n // block_rows))
     edges = [] if ranges == 1 else sorted(set(x.agg(F.percentile_approx("r", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]))  # a number a block
     shared = F.broadcast(spark.createDataFrame([(edges,)], "e array<double>"))
@@ -102,17 +146,15 @@ def nearest(rows: DataFrame, mean: np.ndarray, k: int = 5, block_rows: int | Non
     x = x.crossJoin(shared).withColumn("range", place(F.col("r"), True)).drop("e")
     parts = staged(x.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts")), "vector-ranges")
     x = x.join(F.broadcast(parts), "range").withColumn("part", F.pmod(F.xxhash64("_row"), F.col("parts")).cast("int"))  # a row a range
-    x = staged(x.select("_row", "x", "r", "range", "part"), "vector-blocks")
+    x = x.select("_row", "x", "r", "range", "part")
 
     def own(table: pa.Table) -> pa.Table:
         m = matrix_of(table.column("x").combine_chunks(), d)
-        both = distances(m, m)
-        np.fill_diagonal(both, np.inf)
-        near = smallest(both[:, :], k)[:, : max(0, min(k, len(m) - 1))]
-        bound = near[:, k - 1] if near.shape[1] >= k else np.full(len(m), np.inf)
-        return pa.table({"_row": table.column("_row"), "range": table.column("range"), "part": table.column("part"), "r": table.column("r"), "near": pa.array(list(near), pa.list_(pa.float64())), "bound": pa.array(bound)})
+        best = closest(m, m, k, np.full(len(m), np.inf), same=True)
+        near = best[:, : max(0, min(k, len(m) - 1))]
+        return pa.table({"_row": table.column("_row"), "x": table.column("x"), "range": table.column("range"), "part": table.column("part"), "r": table.column("r"), "near": pa.array(list(near), pa.list_(pa.float64())), "bound": pa.array(best[:, k - 1])})
 
-    first = staged(x.groupBy("range", "part").applyInArrow(own, "_row bigint, range int, part int, r double, near array<double>, bound double"), "vector-near")
+    first = staged(x.groupBy("range", "part").applyInArrow(own, f"_row bigint, x {kind}, range int, part int, r double, near array<double>, bound double"), "vector-near")
     blocks = first.groupBy("range", "part").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.max("bound").alias("bound")).crossJoin(shared)
     slack = F.col("bound") * 1.000001 + 1e-12
     reach = F.explode(F.sequence(place(F.col("low") - slack, True), place(F.col("high") + slack, False))).alias("other_range")
@@ -122,20 +164,18 @@ def nearest(rows: DataFrame, mean: np.ndarray, k: int = 5, block_rows: int | Non
     if meets.isEmpty():
         return first.select("_row", "near")
     key = ["range", "part", "other_range", "other_part"]
-    asking = x.join(first.select("_row", "bound"), "_row").join(meets, ["range", "part"]).select(*key, "_row", "x", "bound")
-    asked = x.select(F.col("range").alias("other_range"), F.col("part").alias("other_part"), F.col("x").alias("y")).join(meets, ["other_range", "other_part"]).select(*key, "y")
+    pairs = F.broadcast(meets)  # a row a pair of blocks
+    asking = first.join(pairs, ["range", "part"]).select(*key, "_row", "x", "bound")
+    asked = first.select(F.col("range").alias("other_range"), F.col("part").alias("other_part"), F.col("x").alias("y")).join(pairs, ["other_range", "other_part"]).select(*key, "y")
 
     def across(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, near = [], []
         if left.num_rows and right.num_rows:
             a, b = matrix_of(left.column("x").combine_chunks(), d), matrix_of(right.column("y").combine_chunks(), d)
-            best = smallest(distances(a, b), k)
-            bound = left.column("bound").to_numpy()
-            for i, row in zip(left.column("_row").to_pylist(), range(len(a)), strict=True):
-                some = best[row][best[row] < bound[row]]
-                if len(some):
-                    ids.append(i)
-                    near.append(some)
+            best = closest(a, b, k, left.column("bound").to_numpy())
+            some = np.flatnonzero(np.isfinite(best).any(1))
+            ids = left.column("_row").to_numpy()[some]
+            near = [row[np.isfinite(row)] for row in best[some]]
         return pa.table({"_row": pa.array(ids, pa.int64()), "near": pa.array(near, pa.list_(pa.float64()))})
 
     more = asking.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(across, "_row bigint, near array<double>")

@@ -34,6 +34,38 @@ def test_against_all_pairs(spark, monkeypatch, block, n):
     assert [r.knn_distance for r in got][: n // 3] == [0.0] * (n // 3)
 
 
+def test_the_shuffle_of_all_pairs_grows_with_the_rows(spark, monkeypatch):
+    """Blocks are a share of the rows: four times the rows meet in as many pairs of blocks, and each row goes into as many of them."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(V, "BLOCKS", 4)
+    monkeypatch.setattr(V, "TILE", (7, 9))
+    met, staged = [], V.staged
+    monkeypatch.setattr(V, "staged", lambda df, name: met.append(out := staged(df, name)) or out if name == "vector-meets" else staged(df, name))
+    for n in (80, 320):
+        x = np.random.default_rng(n).normal(0, 1, (n, 20))
+        rows = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, distance string")
+        got = V.vector_anomaly(rows).orderBy("vec_id").collect()
+        assert np.allclose([r.knn_distance for r in got], brute(x.astype(np.float32).astype(float))[2], atol=1e-9)
+    few, many = (df.count() for df in met)
+    assert 0 < many <= 2 * few
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_closest_rows_tile_by_tile(monkeypatch, few):
+    monkeypatch.setattr(V, "TILE", (5, 7))
+    monkeypatch.setattr(V, "FEW", few)
+    rnd = np.random.default_rng(few)
+    a, b = rnd.normal(0, 1, (23, 4)), rnd.normal(0, 1, (31, 4))
+    b[:9] = a[3]
+    every = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    bound = np.maximum(np.sort(every, 1)[:, 2] - 1e-9, 0)
+    want = np.where((near := np.sort(every, 1)[:, :5]) < bound[:, None], near, np.inf)
+    assert np.allclose(V.closest(a, b, 5, bound), want, atol=1e-12)
+    own = np.sqrt(((b[:, None] - b[None]) ** 2).sum(-1))
+    np.fill_diagonal(own, np.inf)
+    assert np.allclose(V.closest(b, b, 5, np.full(len(b), np.inf), same=True), np.sort(own, 1)[:, :5], atol=1e-12)
+
+
 def test_small_tables(spark):
     assert V.vector_anomaly(spark.createDataFrame([], SCHEMA)).collect() == []
     (one,) = V.vector_anomaly(spark.createDataFrame([(1, [1.0, 2.0], "")], SCHEMA)).collect()
