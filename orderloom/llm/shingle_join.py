@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import hash_words, mix, release, slices, staged, tidy, words_of
+from orderloom.llm.common import hash_words, mix, release, settings, slices, staged, tidy, words_of
 from orderloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
 BUCKET_HASHES = 1 << 21
 #: Bounds of a block of a group (sets and their hashes), and the hashes that one task of blocks holds on average.
 BLOCK_SETS, BLOCK_HASHES, SHARD_HASHES = 256, 1 << 19, 1 << 20
+#: Bytes of text that a batch holds on its way to Python, and that are hashed at once.
+BATCH, PIECE = "4m", 1 << 20
 #: Hashes of a set in one row.
 ROW_HASHES = 2048
 #: Ratio of the sizes at a band's ends: a little more than 100 / PERCENT, so that linked sets are in one band or in two neighbours.
@@ -66,6 +68,13 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
     return np.searchsorted(row, np.arange(len(n) + 1)), got
 
 
+def sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """`shingle_sets` of a batch, a piece of its texts at a time."""
+    parts = [shingle_sets(piece.column("text")) for piece in slices(batch, "text", PIECE)]
+    sizes = np.concatenate([np.diff(starts) for starts, _ in parts])
+    return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([hashes for _, hashes in parts])
+
+
 def signatures(starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """A 64-bit signature of each set, as int64. Empty sets have that of nothing."""
     with np.errstate(over="ignore"):
@@ -83,7 +92,7 @@ def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                starts, hashes = shingle_sets(part.column("text"))
+                starts, hashes = sets_of(part)
                 sig, n = signatures(starts, hashes), np.diff(starts)
                 ids = part.column("doc_id")
                 rows: list[tuple] = []
@@ -108,7 +117,10 @@ def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
                     r = row[lo:hi]
                     new = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
                     rows.append((b, 1, sig[r[new]].tobytes(), np.diff(np.append(new, len(r))).astype(np.uint32).tobytes(), h[lo:hi].astype("<u8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "kind", "a", "b", "c"])
+                del hashes, held, row, h, bucket, order
+                packed = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "kind", "a", "b", "c"])
+                del rows
+                yield packed
 
     return docs.mapInArrow(tidy(run), PASS)
 
@@ -345,7 +357,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n_buckets = max(1, -(-int(size) // (6 * BUCKET_HASHES)))
-    found = staged(bucketed(rows, n_buckets).groupBy("bucket").applyInArrow(shared, FOUND), "jaccard-shared")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch=BATCH):
+        found = staged(bucketed(rows, n_buckets).groupBy("bucket").applyInArrow(shared, FOUND), "jaccard-shared")
     texts = found.where("kind = 0").select("doc_id", "sig", "n")
     nodes = staged(texts.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "jaccard-nodes")
     held = found.where("kind = 1").groupBy("sig").agg(F.collect_list(F.struct("df", "token")).alias("t")).join(nodes.select("sig", "n"), "sig")

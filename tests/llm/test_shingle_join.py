@@ -126,3 +126,17 @@ def test_trie_links_equal_all_pairs():
                         label[i] = label[j] = min(label[i], label[j])
         first = {}
         assert [first.setdefault(trie.find(i), i) for i in range(60)] == label
+
+
+def test_a_batch_is_hashed_a_piece_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i * j % 37}" for j in range(i % 60)) for i in range(120)] + [None, "", "x " * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    starts, hashes = sj.shingle_sets(batch.column("text"))
+    seen, whole = [], sj.shingle_sets
+    monkeypatch.setattr(sj, "PIECE", 2000)
+    monkeypatch.setattr(sj, "shingle_sets", lambda t: seen.append(sum(len(x or "") for x in t.to_pylist())) or whole(t))
+    got = sj.sets_of(batch)
+    assert got[0].tolist() == starts.tolist() and got[1].tolist() == hashes.tolist()
+    assert len(seen) > 5 and sorted(seen)[-2] <= 2000  # but for a text that is longer by itself
