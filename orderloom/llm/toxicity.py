@@ -361,7 +361,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """id, text, y: every labelled row, its whole text. An id that is labelled twice counts as toxic if one of its labels says so."""
     marks = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col("toxic").cast("bigint").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return staged(texts.join(marks, "id"), "toxic-labelled")
+    # a shuffle at any size: a broadcast of the labels would stop at some size and grow until then
+    return staged(texts.join(marks.hint("merge"), "id"), "toxic-labelled")
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,3 +86,13 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch):
     assert found[1] >= 0.7 > found[3] and found[2] >= 0.7
     again = toxicity.train(rows.repartition(7))
     assert {r.doc_id: r.score for r in toxicity.scores(probe, again).collect()} == found
+
+
+def test_texts_and_labels_meet_by_a_shuffle_at_any_size(spark, monkeypatch):
+    seen, real = [], toxicity.staged
+    monkeypatch.setattr(toxicity, "staged", lambda df, name: seen.append(df) or real(df, name))
+    docs = spark.createDataFrame([(i, f"text {i}", "en", 0.0) for i in range(6)] + [(None, "none", "en", 0.0)], DOCS)
+    marks = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (2, 0, 1), (9, 0, 1), (None, 0, 1)], LABELS)
+    found = toxicity.labelled(docs, marks)
+    assert sorted(map(tuple, found.collect())) == [(1, "text 1", 1), (2, "text 2", 1)]
+    assert "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
