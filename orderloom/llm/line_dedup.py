@@ -8,7 +8,7 @@
 3. In each band's bucket every line is compared with the bucket's pivot, its most frequent line; a bucket of any size
    costs one comparison a line. What is then still outside of its bucket's pivot's component is compared with all lines of
    the bucket from other components, in blocks, each pair once: no pair that banding proposes and that could join two
-   components goes unseen. Comparisons are exact, on whole shingle sets.
+   components goes unseen. Comparisons are exact, on whole shingle sets; bits of the shingles rule out most unlike pairs first.
 4. Components by distributed union-find; of each the earliest line (by doc_id, then line number) stays.
 """
 
@@ -48,7 +48,8 @@ def shingles(line: Column) -> Column:
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, line_no, line (squeezed), h1, h2 of each line that is not blank; rows without id are left out."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    rows = rows.where("doc_id is not null").withColumn("line", squeezed(F.col("line"))).where("line <> ''")
+    # blank by the text itself: a filter on the squeezed line would squeeze each line twice
+    rows = rows.where("doc_id is not null").where(F.col("line").rlike(r"\S")).withColumn("line", squeezed(F.col("line")))
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit("second")))
 
 
@@ -58,9 +59,9 @@ def place() -> Column:
 
 
 def signed_rows(rows: DataFrame) -> DataFrame:
-    """h1, h2, doc_id, line_no, m (shingles) and the signature s0 to s3 (null where the line has fewer)."""
-    found = rows.select("h1", "h2", "doc_id", "line_no", F.sort_array(shingles(F.col("line"))).alias("s"))
-    return found.select("h1", "h2", "doc_id", "line_no", F.size("s").alias("m"), *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(SIGNATURE)])
+    """h1, h2, doc_id, line_no, line, m (shingles) and the signature s0 to s3 (null where the line has fewer)."""
+    found = rows.select("h1", "h2", "doc_id", "line_no", "line", F.sort_array(shingles(F.col("line"))).alias("s"))
+    return found.select("h1", "h2", "doc_id", "line_no", "line", F.size("s").alias("m"), *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(SIGNATURE)])
 
 
 def distinct_lines(signed: DataFrame) -> DataFrame:
@@ -93,19 +94,61 @@ def can_reach(m: str, other: str) -> Column:
     return F.least(m, other) >= SIMILARITY * F.greatest(m, other)
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity. Lines are shuffled and shingled after it: sets are larger."""
-    line = lambda side: texts.select(F.col("h1").alias(side), F.col("line").alias(f"line_{side}"))
-    both = pairs.join(line("a"), "a").join(line("b"), "b").select("a", "b", shingles(F.col("line_a")).alias("s_a"), shingles(F.col("line_b")).alias("s_b"))
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return both.where(common >= SIMILARITY * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
+def shingle_sets(signed: DataFrame, lines: DataFrame, members: DataFrame) -> DataFrame:
+    """h1, s (sorted) of each line in a bucket. Its text comes from its earliest place, so copies are not one task's rows."""
+    near = lines.join(members.select("h1").distinct(), "h1", "left_semi").select("h1", F.col("first").alias("place"))
+    found = signed.select("h1", place().alias("place"), "line").join(near.hint("shuffle_hash"), ["h1", "place"])
+    found = found.groupBy("h1", "place").agg(F.first("line").alias("line"))  # rows may repeat a doc_id
+    return found.select("h1", F.sort_array(shingles(F.col("line"))).alias("s"))
 
 
-def rest_links(lines: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """The similar pairs (a, b) that share a bucket and lie in different components of `labels` (node, component).
+def reaches(common: Column, sizes: Column) -> Column:
+    """So many common shingles of sets with so many in all are as similar as asked: common >= SIMILARITY * (sizes - common)."""
+    return common * (1 + SIMILARITY) >= SIMILARITY * sizes - 1e-9
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the similarity."""
+    of = lambda side: sets.select(F.col("h1").alias(side), F.col("s").alias(f"s_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(reaches(F.size(F.array_intersect("s_a", "s_b")), F.size("s_a") + F.size("s_b"))).select("a", "b")
+
+
+#: Words of 64 bits that a line's shingles are marked in.
+WORDS = 4
+
+
+def bits(k: int) -> Column:
+    """Word k of the marks of the set `s`: a bit by each shingle's hash."""
+    place = lambda x: F.call_function("shiftright", x, F.lit(2)).bitwiseAND(F.lit(63)).cast("int")
+    mark = lambda x: F.when(x.bitwiseAND(F.lit(3)) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), place(x))).otherwise(F.lit(0).cast("bigint"))
+    return F.aggregate("s", F.lit(0).cast("bigint"), lambda w, x: w.bitwiseOR(mark(x)))
+
+
+def most_common(m: str, other_m: str, own: str, other: str) -> Column:
+    """As many shingles as two sets can have in common at most: a bit of one that the other lacks is a shingle it lacks."""
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in range(1, WORDS)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(F.col(f"{y}0")))))
+    return F.least(F.col(m) - lacks(own, other), F.col(other_m) - lacks(other, own))
+
+
+def passed_over(u: bool) -> Column:
+    """The smaller signature values that the band of `key` leaves out, two at most: the first, or else the second of them."""
+    s = [F.get("s", F.lit(i)) for i in range(SIGNATURE)]
+    out = None
+    for i, j in combinations(range(SIGNATURE), 2):
+        left = [s[k] for k in range(j) if k != i]
+        if len(left) > (0 if u else 1):
+            hit, value = F.col("key") == F.xxhash64(s[i], s[j]), left[0 if u else 1]
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out
+
+
+def rest_links(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The components (a, b) of similar pairs that share a bucket and lie in different ones of `labels` (node, component); a line without one is its own.
 
     At least one line of such a pair is outside of the component of their bucket's pivot. These lines meet all others of
-    the bucket, in blocks of about BLOCK lines. A pair is compared where it is made, and only in the first of its buckets.
+    the bucket, in blocks of about BLOCK lines. A pair is compared where it is made, and only in the bucket of the two smallest
+    values that its signatures share.
     """
     own = labels.select(F.col("node").alias("h1"), F.col("component").alias("c"))
     head = labels.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
@@ -116,38 +159,48 @@ def rest_links(lines: DataFrame, members: DataFrame, texts: DataFrame, labels: D
     deal = lambda n, of, out: F.ceil(F.col(n) / of).cast("int").alias(out)
     blocks = blocks.where("outside > 0 and members > 2").select("key", deal("outside", BLOCK, "blocks"), deal("members", 2 * BLOCK, "parts"))
     blocks = staged(blocks, "line-blocks")
-    keys = lines.select("h1", F.array_compact(band_keys()).alias("keys")).join(texts, "h1")
-    rows = staged(placed.where("h1 <> pivot").join(blocks, "key").join(keys, "h1"), "line-rest")
+    rows = placed.where("h1 <> pivot").join(blocks, "key").join(sets, "h1")
+    rows = staged(rows.select("*", passed_over(True).alias("u"), passed_over(False).alias("v"), *[bits(k).alias(f"w{k}") for k in range(WORDS)]), "line-rest")
+
+    def side(x: DataFrame, n: str) -> DataFrame:
+        x = x.repartition("key", "block", "part")
+        return x.select("key", "block", "part", F.col("h1").alias(n), F.col("c").alias(f"c{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("m", "s", "u", "v")], *[F.col(f"w{k}").alias(f"w_{n}{k}") for k in range(WORDS)], *(["pc"] if n == "b" else []))
+
     outside = rows.where("c <> pc").withColumn("block", F.pmod(F.xxhash64("h1"), "blocks").cast("int"))
-    outside = outside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition("key", "block", "part")
-    outside = outside.select("key", "block", "part", F.col("h1").alias("a"), F.col("m").alias("m_a"), F.col("c").alias("ca"), shingles(F.col("line")).alias("s_a"), F.col("keys").alias("keys_a"))
+    outside = side(outside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "a")
     others = rows.withColumn("part", F.pmod(F.xxhash64("h1"), "parts").cast("int"))
-    others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition("key", "block", "part")
-    others = others.select("key", "block", "part", F.col("h1").alias("b"), F.col("m").alias("m_b"), F.col("c").alias("cb"), "pc", shingles(F.col("line")).alias("s_b"), F.col("keys").alias("keys_b"))
-    common = F.size(F.array_intersect("s_a", "s_b"))
+    others = side(others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "b")
     pairs = outside.join(others, ["key", "block", "part"]).where("ca <> cb and (cb = pc or b < a)").where(can_reach("m_a", "m_b"))
-    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-    links = staged(pairs.where(F.when(first, common >= SIMILARITY * (F.col("m_a") + F.col("m_b") - common)).otherwise(F.lit(False))).select("a", "b"), "line-links")
+    sizes = F.col("m_a") + F.col("m_b")
+    can = ~F.coalesce(F.expr("u_a = u_b or u_a = v_b or v_a = u_b or v_a = v_b"), F.lit(False)) & reaches(most_common("m_a", "m_b", "w_a", "w_b"), sizes)
+    pairs = pairs.where(F.when(can, reaches(F.size(F.array_intersect("s_a", "s_b")), sizes)).otherwise(F.lit(False)))
+    links = staged(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "line-links")
     dropped(placed, rows, blocks)
     return links
 
 
-def decisions(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component where links (a, b) hold components of `labels` together, or lines that had none."""
+    over = staged(components(links), "line-over")
+    moved = labels.join(over.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(over.join(labels, "node", "left_anti"))
+
+
+def decisions(signed: DataFrame) -> DataFrame:
     """h1, h2, class_id, keep: for each line that has copies or near copies, the place of the one line that stays.
 
     class_id is the h1 of the line of the class with the earliest place; keep is null for the other lines of the class.
     """
     lines = staged(distinct_lines(signed), "lines")
     members = staged(buckets(lines), "line-buckets")
-    near = members.select("h1").distinct()
-    texts = staged(line_rows(docs, id_col, text_col).select("h1", "line").dropDuplicates(["h1"]).join(near, "h1", "left_semi"), "line-texts")
+    sets = staged(shingle_sets(signed, lines, members), "line-sets")
     pairs = members.where("h1 <> pivot").where(can_reach("m", "pivot_m")).select(F.col("pivot").alias("a"), F.col("h1").alias("b")).distinct()
-    links = staged(similar(pairs, texts), "line-links")
+    links = staged(similar(pairs, sets), "line-links")
     labels = staged(components(links), "line-labels")
-    rest = rest_links(lines, members, texts, labels)
+    rest = rest_links(members, sets, labels)
     if not rest.isEmpty():
-        labels = staged(components(links.union(rest)), "line-labels")
-    dropped(members, texts, links, rest)
+        labels = staged(joined(labels, rest), "line-labels")
+    dropped(members, sets, links, rest)
     nodes = labels.select(F.col("node").alias("h1"), "component")
     known = lines.join(nodes, "h1", "left").where("component is not null or n > 1").select("h1", "h2", "first", F.coalesce("component", "h1").alias("component"))
     known = staged(known, "line-known")
@@ -169,7 +222,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     signed = staged(signed_rows(line_rows(docs, id_col, text_col)), "line-rows")
     rows = signed.select("doc_id", "line_no", "h1", "h2", place().alias("place"))
-    found = rows.join(decisions(docs, signed, id_col, text_col), ["h1", "h2"], "left")
+    found = rows.join(decisions(signed), ["h1", "h2"], "left")
     return found.select("doc_id", "line_no", F.coalesce("class_id", "h1").alias("class_id"), (F.col("class_id").isNull() | F.coalesce(F.col("place") == F.col("keep"), F.lit(False))).alias("kept"))
 
 

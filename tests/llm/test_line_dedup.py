@@ -156,3 +156,30 @@ def test_one_id_on_two_texts(spark):
     # both lines 0 of document 1 are in the earliest place and stay; those of the other documents go
     assert {r.doc_id for r in kept} == {1} and len(kept) == 2
     assert clean == [(1, near + " x\nalone in b"), (1, near + " y\nalone in a\nthird"), (2, ""), (4, "")]
+
+
+def test_texts_are_split_and_squeezed_once(spark, monkeypatch):
+    calls, real = [], line_dedup.line_rows
+    monkeypatch.setattr(line_dedup, "line_rows", lambda *a: calls.append(1) or real(*a))
+    near = " ".join(f"word{i}" for i in range(30))
+    df = spark.createDataFrame([(i, f"{near} {i}\n \t\x0b\nalone {i * 7919} row", 1, "", 1) for i in range(6)], SCHEMA)
+    assert len({r.class_id for r in line_dedup.op7_line_dedup(df).collect() if r.line_no == 0}) == 1
+    assert len(calls) == 1
+    plan = real(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
+def test_bits_never_rule_out_a_similar_pair(spark):
+    rnd = random.Random(8)
+    rows = []
+    for _ in range(400):
+        pool = [rnd.getrandbits(64) - (1 << 63) for _ in range(rnd.choice([1, 3, 12, 50, 400]))]
+        part = rnd.random()
+        rows.append(tuple(sorted(x for x in pool if rnd.random() < part) or pool[:1] for _ in range(2)))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    for n in "ab":
+        df = df.withColumn("s", df[n]).select(*df.columns, *[line_dedup.bits(k).alias(f"w_{n}{k}") for k in range(line_dedup.WORDS)]).selectExpr("*", f"size({n}) AS m_{n}")
+    found = df.select("a", "b", line_dedup.most_common("m_a", "m_b", "w_a", "w_b").alias("most")).collect()
+    assert all(r.most >= len(set(r.a) & set(r.b)) for r in found)
+    apart = [r for r in found if 10 < len(r.a) < 60 and 10 < len(r.b) < 60 and not set(r.a) & set(r.b)]
+    assert all(2 * r.most < len(r.a) + len(r.b) for r in apart)
