@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.scan import Recurrence, scan
+from orderloom.functions.stage import staged
 from orderloom.operators.clean import micros
-from orderloom.spec import KEY, TS, exact_mean, is_trade, median, signed_size
+from orderloom.spec import KEY, TS, exact_mean, is_trade, signed_size
 
 EPS = 1e-9
 
@@ -25,17 +26,25 @@ def trades(ticks: DataFrame) -> DataFrame:
     return ticks.where(is_trade())
 
 
+def with_median(df: DataFrame, value, window, out: str) -> DataFrame:
+    """Adds the median of the window's values that are not null: a sort of them, as a percentile counts them anew in a map for each row."""
+    x = df.withColumn("_o", F.sort_array(F.collect_list(value).over(window)))
+    at = lambda k: F.get("_o", F.floor(k).cast("int")) * 0.5
+    return x.withColumn(out, at((F.size("_o") - 1) / 2) + at(F.size("_o") / 2)).drop("_o")
+
+
 def absorption_intensity(ticks: DataFrame, n: int = 50, floor: float = 0.01, window: int = 200, cap: float = 25.0) -> DataFrame:
     """Net flow of the last n trades over the price move they made, against its own trailing median."""
     t = trades(ticks).withColumn("_f", F.sum(signed_size()).over(last(n))).withColumn("_m", F.abs(F.col("price") - F.lag("price", n - 1).over(order())))
     t = t.withColumn("_r", F.abs("_f") / F.greatest("_m", F.lit(floor)))
-    return t.withColumn("absorption", F.least(F.col("_r") / F.greatest(median("_r").over(last(window)), F.lit(EPS)), F.lit(cap))).drop("_f", "_m", "_r")
+    t = with_median(t, F.col("_r"), last(window), "_md")
+    return t.withColumn("absorption", F.least(F.col("_r") / F.greatest("_md", F.lit(EPS)), F.lit(cap))).drop("_f", "_m", "_r", "_md")
 
 
 def tape_speed(ticks: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """Trades in the last seconds: a range frame over time."""
-    w = Window.partitionBy(KEY, F.to_date(TS)).orderBy("_us").rangeBetween(-int(seconds * 1e6), 0)
-    return trades(ticks).withColumn("_us", micros()).withColumn("tape_speed", F.count(F.lit(1)).over(w)).drop("_us")
+    """Trades in the last seconds: of the day's trades so far those that are older do not count, so that a row costs the same however dense they are."""
+    until = lambda us: F.count(F.lit(1)).over(Window.partitionBy(KEY, F.to_date(TS)).orderBy("_us").rangeBetween(Window.unboundedPreceding, us))
+    return trades(ticks).withColumn("_us", micros()).withColumn("tape_speed", until(0) - until(-int(seconds * 1e6) - 1)).drop("_us")
 
 
 def tape_speed_minutes(ticks: DataFrame) -> DataFrame:
@@ -78,28 +87,46 @@ def liquidity_sweep(ticks: DataFrame, n: int = 300, share: float = 0.8, least: i
     t = trades(ticks).withColumns({"_w": F.collect_list("price").over(w), "_sd": F.stddev_pop("price").over(w)})
     t = t.withColumn("_k", F.floor(F.size("_w") * share).cast("int"))
     t = t.withColumns({"_a": F.slice("_w", 1, F.col("_k")), "_b": F.slice("_w", F.col("_k") + 1, F.size("_w") - F.col("_k"))})
-    top, low, new_top, new_low = F.array_max("_a"), F.array_min("_a"), F.array_max("_b"), F.array_min("_b")
-    reach = F.greatest(top - low, 2 * F.col("_sd"), F.lit(1e-8))
-    up, down = (new_top - top) / reach, (low - new_low) / reach
+    # columns, not expressions: each is used several times and would be worked out as often
+    t = t.withColumns({"_t": F.array_max("_a"), "_l": F.array_min("_a"), "_nt": F.array_max("_b"), "_nl": F.array_min("_b"), "_z": F.size("_w")})
+    t = t.drop("_w", "_k", "_a", "_b").withColumn("_h", F.greatest(F.col("_t") - F.col("_l"), 2 * F.col("_sd"), F.lit(1e-8)))
+    t = t.withColumns({"_up": (F.col("_nt") - F.col("_t")) / F.col("_h"), "_dn": (F.col("_l") - F.col("_nl")) / F.col("_h")})
+    top, low, up, down = F.col("_t"), F.col("_l"), F.col("_up"), F.col("_dn")
     over, under = (F.col("price") < top) & (up > threshold), (F.col("price") > low) & (down > threshold)
     score = F.when(over, F.least(5 * up, F.lit(1.0))).when(under, -F.least(5 * down, F.lit(1.0))).otherwise(0.0)
-    return t.withColumn("sweep", F.round(F.when(F.size("_w") >= least, score).otherwise(0.0), 4)).drop("_w", "_sd", "_k", "_a", "_b")
+    return t.withColumn("sweep", F.round(F.when(F.col("_z") >= least, score).otherwise(0.0), 4)).drop("_sd", "_t", "_l", "_nt", "_nl", "_z", "_h", "_up", "_dn")
 
 
-def price_impact_lambda(ticks: DataFrame, n: int = 30, rise: float = 0.18, decay: float = 0.05) -> DataFrame:
-    """Trailing median of positive |price change| / size, smoothed; the smoothing slows while there is no impact."""
+def impact_steps(ticks: DataFrame, n: int = 30, rise: float = 0.18, decay: float = 0.05) -> tuple[DataFrame, Recurrence]:
+    """The trades with _m and _z, and the recurrence of `impact` over them."""
     t = trades(ticks).withColumn("_x", F.abs(F.col("price") - F.lag("price").over(order())) / F.greatest("size", F.lit(EPS)))
-    t = t.withColumn("_m", F.coalesce(median(F.when(F.col("_x") > 0, F.col("_x"))).over(last(n)), F.lit(0.0))).drop("_x")
-
-    first = F.row_number().over(order()) == 1
+    t = with_median(t, F.when(F.col("_x") > 0, F.col("_x")), last(n), "_m").withColumn("_m", F.coalesce("_m", F.lit(0.0))).drop("_x")
     share = F.when(F.col("_m") > 0, rise).otherwise(decay)
     smoothed = Recurrence(["impact"], [[F.when(F.col("_z"), 0.0).otherwise(1 - share)]], [share * F.col("_m")], [0.0])
-    return scan(t.withColumn("_z", first), [smoothed], 86400, ("seq",)).drop("_m", "_z")
+    return t.withColumn("_z", F.row_number().over(order()) == 1), smoothed
+
+
+def intensity_steps(ticks: DataFrame, beta: float = 0.05, jump: float = 0.175) -> tuple[DataFrame, Recurrence]:
+    """The trades with _g, and the recurrence of `intensity` over them."""
+    t = trades(ticks).withColumn("_g", F.lag(micros()).over(order()))
+    left = F.when(F.col("_g").isNull(), 0.0).otherwise(F.exp(-beta * F.greatest(micros() - F.col("_g"), F.lit(0)) / 60e6))
+    return t, Recurrence(["intensity"], [[left]], [F.lit(jump)], [0.0])
+
+
+def price_impact_lambda(ticks: DataFrame, n: int = 30, rise: float = 0.18, decay: float = 0.05) -> DataFrame:
+    """Trailing median of positive |price change| / size, smoothed; the smoothing slows while there is no impact."""
+    t, smoothed = impact_steps(ticks, n, rise, decay)
+    return scan(t, [smoothed], 86400, ("seq",)).drop("_m", "_z")
 
 
 def self_exciting_intensity(ticks: DataFrame, beta: float = 0.05, jump: float = 0.175) -> DataFrame:
     """A sum that decays with the time between trades and jumps at each."""
+    t, decaying = intensity_steps(ticks, beta, jump)
+    return scan(t, [decaying], 86400, ("seq",)).drop("_g")
 
-    t = trades(ticks).withColumn("_g", F.lag(micros()).over(order()))
-    left = F.when(F.col("_g").isNull(), 0.0).otherwise(F.exp(-beta * F.greatest(micros() - F.col("_g"), F.lit(0)) / 60e6))
-    return scan(t, [Recurrence(["intensity"], [[left]], [F.lit(jump)], [0.0])], 86400, ("seq",)).drop("_g")
+
+def impact_and_intensity(ticks: DataFrame) -> DataFrame:
+    """Both in one scan, over a written table: its passes over the rows do not work out the windows before it again."""
+    t, smoothed = impact_steps(ticks)
+    t, decaying = intensity_steps(t)
+    return scan(staged(t, "trades"), [smoothed, decaying], 86400, ("seq",)).drop("_m", "_z", "_g")

@@ -153,10 +153,13 @@ def firing_structure(rows: DataFrame, score: str, thresholds: list[float], sessi
 
 
 def tick_feature_job(ticks: DataFrame, momentum: int = 100, swing: int = 200, least: int = 20) -> DataFrame:
-    """All features of trades on one frame: each operator adds its columns, so their windows share one partitioning by symbol and day."""
+    """All features of trades on one frame: each operator adds its columns, so their windows share one partitioning by symbol and day.
+
+    The recurrences come first: the windows stand behind their scan, not before each of its passes.
+    """
     from orderloom.operators import ticks as X
 
-    steps = (X.absorption_intensity, X.tape_speed_minutes, X.micro_range_burst_gap, X.net_signed_volume, X.session_vwap_z, X.liquidity_sweep, lambda t: momentum_divergence(t, momentum, swing, least), X.price_impact_lambda, X.self_exciting_intensity)
+    steps = (X.impact_and_intensity, X.absorption_intensity, X.tape_speed_minutes, X.micro_range_burst_gap, X.net_signed_volume, X.session_vwap_z, X.liquidity_sweep, lambda t: momentum_divergence(t, momentum, swing, least))
     out = ticks
     for step in steps:
         out = step(out)

@@ -30,3 +30,27 @@ def test_causal_normalise_equals_a_plain_loop_without_wide_windows(spark, monkey
                 assert got[i, level] == v
             else:
                 assert abs(got[i, level] - min(max((v - w.mean()) / (w.std() + 1e-6), -6), 6)) < 1e-9
+
+
+def test_tick_job_costs_the_same_a_row_however_dense(spark):
+    from orderloom.operators import ticks, turns
+
+    rnd = random.Random(3)
+    start = dt.datetime(2024, 1, 1, 23, 50)
+    at = sorted(start + dt.timedelta(seconds=rnd.randrange(2400)) for _ in range(300))
+    rows = [("S", t, i, "T", rnd.choice("AB"), 100 + rnd.randrange(50) / 100, float(rnd.randrange(1, 9))) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "symbol string, ts_event timestamp_ntz, seq bigint, action string, side string, price double, size double")
+    speed = ticks.tape_speed(df, 60)
+    assert "-60000000" not in speed._jdf.queryExecution().optimizedPlan().toString()  # no frame that is counted anew for each row
+    got = {r.seq: r.tape_speed for r in speed.collect()}
+    assert got == {i: sum(u.date() == t.date() and t - dt.timedelta(seconds=60) <= u <= t for u in at) for i, t in enumerate(at)}
+    plan = turns.tick_feature_job(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # one scan for both recurrences
+    absorbed = {r.seq: r.absorption for r in ticks.absorption_intensity(df, 5, window=20).collect()}
+    ratio = []
+    for i, r in enumerate(rows):
+        day = [k for k in range(i + 1) if at[k].date() == at[i].date()]
+        flow = sum(rows[k][6] * (1 if rows[k][4] == "A" else -1) for k in day[-5:])
+        ratio.append(abs(flow) / max(abs(r[5] - rows[day[-5]][5]), 0.01) if len(day) >= 5 else abs(flow) / 0.01)
+        m = float(np.median([ratio[k] for k in day[-20:]]))
+        assert abs(absorbed[i] - min(ratio[i] / max(m, 1e-9), 25.0)) < 1e-9
