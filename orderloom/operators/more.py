@@ -141,12 +141,12 @@ def dynamic_exits(df: DataFrame, tick: float = 0.01, least_target: float = 3.0,
     return df.withColumn("target_ticks", target).withColumn("stop_ticks", stop).withColumn("reward_risk", F.col("target_ticks") / F.col("stop_ticks"))
 
 
-def depth_channels(book: DataFrame) -> DataFrame:
-    """Long rows (symbol, time, level, side sizes as logs, wall flag): the channels of a level."""
+def depth_channels(book: DataFrame, *kept: str) -> DataFrame:
+    """Long rows (symbol, time, level, side sizes as logs, wall flag): the channels of a level. kept: columns of the snapshot to keep."""
     med = lambda a: F.get(F.sort_array(a), F.lit(4))
     z = F.arrays_zip(F.col("bid_sz").alias("b"), F.col("ask_sz").alias("a"))
-    x = book.withColumn("_mb", med("bid_sz")).withColumn("_ma", med("ask_sz")).select(KEY, TS, "seq", "_mb", "_ma", F.posexplode(z).alias("level", "z"))
-    return x.select(KEY, TS, "seq", "level", F.log1p("z.b").alias("bid_log"), F.log1p("z.a").alias("ask_log"), ((F.col("z.b") >= 3 * F.greatest("_mb", F.lit(1.0))) | (F.col("z.a") >= 3 * F.greatest("_ma", F.lit(1.0)))).cast("int").alias("wall"))
+    x = book.withColumn("_mb", med("bid_sz")).withColumn("_ma", med("ask_sz")).select(KEY, TS, "seq", *kept, "_mb", "_ma", F.posexplode(z).alias("level", "z"))
+    return x.select(KEY, TS, "seq", *kept, "level", F.log1p("z.b").alias("bid_log"), F.log1p("z.a").alias("ask_log"), ((F.col("z.b") >= 3 * F.greatest("_mb", F.lit(1.0))) | (F.col("z.a") >= 3 * F.greatest("_ma", F.lit(1.0)))).cast("int").alias("wall"))
 
 
 def causal_normalise(cells: DataFrame, value: str, n: int = 222, least: int = 50, clip: float = 6.0) -> DataFrame:

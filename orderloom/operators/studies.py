@@ -143,16 +143,22 @@ def non_overlapping(df: DataFrame, horizon: int = 4) -> DataFrame:
     return one_at_a_time(c)
 
 
-def thirteen_channels(cells: DataFrame) -> DataFrame:
-    """Adds to a level's channels three wall tiers, the thin-level flag, the distance to the nearest thin level of the side and the five-snapshot gradient."""
-    w = Window.partitionBy(KEY, "seq")
-    size, med = F.expm1("bid_log"), F.percentile(F.expm1("bid_log"), F.lit(0.5)).over(w)
-    c = cells.withColumn("_s", F.round(size, 6)).withColumn("_m", F.greatest(F.round(med, 6), F.lit(1.0)))
+def thirteen_channels(book: DataFrame) -> DataFrame:
+    """Adds to a level's channels three wall tiers, the thin-level flag, the distance to the nearest thin level of the side and the five-snapshot gradient.
+
+    Snapshots stay whole, a row each, until all that needs a shuffle or a window is done; a level that the snapshot five before lacks has no gradient.
+    """
+    from orderloom.operators.more import depth_channels
+
+    x, w, own = in_blocks(book.where(F.size(F.arrays_zip("bid_sz", "ask_sz")) > 0).select(KEY, TS, "seq", "bid_sz", "ask_sz"), 5)
+    x = x.withColumn("_p", F.lag("bid_sz", 5).over(w)).where(own)
+    size = lambda v: F.expm1(F.log1p(v))  # noqa: E731  (as told by the channel)
+    x = x.withColumn("_z", F.sort_array(F.filter(F.transform("bid_sz", size), lambda v: v.isNotNull())))
+    at = lambda k: F.get("_z", F.floor(k).cast("int")) * 0.5
+    x = x.withColumn("_m", F.greatest(F.round(at((F.size("_z") - 1) / 2) + at(F.size("_z") / 2), 6), F.lit(1.0)))
+    x = x.withColumn("_t", F.filter(F.transform("bid_sz", lambda v, i: F.when(F.round(size(v), 6) < 5, i)), lambda i: i.isNotNull()))
+    c = depth_channels(x, "_m", "_t", "_p").withColumn("_s", F.round(F.expm1("bid_log"), 6))
     tier = F.when(F.col("_s") >= 10 * F.col("_m"), 3).when(F.col("_s") >= 5 * F.col("_m"), 2).when(F.col("_s") >= 3 * F.col("_m"), 1).otherwise(0)
     c = c.withColumn("wall_tier", tier).withColumn("thin", (F.col("_s") < 5).cast("int"))
-    before = F.last(F.when(F.col("thin") == 1, F.col("level")), ignorenulls=True).over(w.orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("thin") == 1, F.col("level")), ignorenulls=True).over(w.orderBy("level").rowsBetween(0, Window.unboundedFollowing))
-    c = c.withColumn("gap_distance", F.least(F.col("level") - before, after - F.col("level")))
-    c, by_level, own = in_blocks(c, 5, (KEY, "level"))
-    c = c.withColumn("gradient", (F.col("bid_log") - F.lag("bid_log", 5).over(by_level)) / 5)
-    return c.where(own).drop("_s", "_m", "_own", "_block", "_i")
+    c = c.withColumn("gap_distance", F.array_min(F.transform("_t", lambda i: F.abs(F.col("level") - i))))
+    return c.withColumn("gradient", (F.col("bid_log") - F.log1p(F.get("_p", F.col("level")))) / 5).drop("_s", "_m", "_t", "_p")

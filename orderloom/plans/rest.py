@@ -455,4 +455,4 @@ query("p6_range_state_filter")(lambda s, d: rounded(ranged(s, d).select(*ID, "re
 query(
     "g11_thirteen_channel_book",
     sql(BOOK_SQL, CELLS, "z AS (SELECT *, round(exp(bid_log) - 1, 6) AS s, greatest(round(quantile_cont(exp(bid_log) - 1, 0.5) OVER (PARTITION BY symbol, seq), 6), 1.0) AS m FROM cells)", "y AS (SELECT *, CASE WHEN s < 5 THEN level END AS t FROM z)", "x AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY symbol, seq ORDER BY level) AS b, first_value(t IGNORE NULLS) OVER (PARTITION BY symbol, seq ORDER BY level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f, lag(bid_log, 5) OVER (PARTITION BY symbol, level ORDER BY ts_event, seq) AS g FROM y)", select="SELECT seq, level, CASE WHEN s >= 10 * m THEN 3 WHEN s >= 5 * m THEN 2 WHEN s >= 3 * m THEN 1 ELSE 0 END AS wall_tier, CAST(s < 5 AS INTEGER) AS thin, least(level - b, f - level) AS gap_distance, round((bid_log - g) / 5, 6) AS gradient FROM x"),
-)(lambda s, d: rounded(S.thirteen_channels(X.depth_channels(BK(s, d))).select("seq", "level", "wall_tier", "thin", "gap_distance", "gradient")))
+)(lambda s, d: rounded(S.thirteen_channels(BK(s, d)).select("seq", "level", "wall_tier", "thin", "gap_distance", "gradient")))

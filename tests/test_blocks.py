@@ -54,3 +54,26 @@ def test_tick_job_costs_the_same_a_row_however_dense(spark):
         ratio.append(abs(flow) / max(abs(r[5] - rows[day[-5]][5]), 0.01) if len(day) >= 5 else abs(flow) / 0.01)
         m = float(np.median([ratio[k] for k in day[-20:]]))
         assert abs(absorbed[i] - min(ratio[i] / max(m, 1e-9), 25.0)) < 1e-9
+
+
+def test_thirteen_channels_keep_snapshots_whole(spark, monkeypatch):
+    from orderloom.operators import studies
+
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 16)
+    rnd = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    rows = [("S", start + dt.timedelta(minutes=40 * i), i, [float(rnd.choice([0, 2, 4, 5, 9, 60])) for _ in range(10)], [1.0] * 10) for i in range(90)]
+    rows += [("S", start + dt.timedelta(minutes=5), 1000, None, None), ("S", start + dt.timedelta(minutes=5), 1001, [], [])]
+    df = spark.createDataFrame(rows, "symbol string, ts_event timestamp_ntz, seq bigint, bid_sz array<double>, ask_sz array<double>")
+    out = studies.thirteen_channels(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode") < plan.index("Window ")  # levels are made after the last window: no shuffle holds a row a level
+    got = {(r.seq, r.level): r for r in out.collect()}
+    assert len(got) == 900
+    for (i, k), r in got.items():
+        z = rows[i][3]
+        m = max(float(np.median(z)), 1.0)
+        thin = [j for j, v in enumerate(z) if v < 5]
+        assert r.wall_tier == sum(z[k] >= f * m for f in (3, 5, 10)) and r.thin == (z[k] < 5)
+        assert r.gap_distance == (min(abs(j - k) for j in thin) if thin else None)
+        assert (r.gradient is None) if i < 5 else abs(r.gradient - (np.log1p(z[k]) - np.log1p(rows[i - 5][3][k])) / 5) < 1e-12
