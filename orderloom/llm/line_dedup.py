@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,8 @@ SHINGLE, SIMILARITY, SIGNATURE = 12, 0.65, 4
 ORDER_STEP = 1 << 31
 #: Lines of a bucket that one task compares with the whole bucket, about; a component over one of so many parts of the lines is large.
 BLOCK, LARGE_SHARE = 512, 10_000
+#: Passes over the texts in which the sets are made; each has this part of the texts in shuffle files.
+PASSES = 4
 
 
 def squeezed(line: Column) -> Column:
@@ -94,12 +97,22 @@ def can_reach(m: str, other: str) -> Column:
     return F.least(m, other) >= SIMILARITY * F.greatest(m, other)
 
 
-def shingle_sets(signed: DataFrame, lines: DataFrame, members: DataFrame) -> DataFrame:
-    """h1, s (sorted) of each line in a bucket. Its text comes from its earliest place, so copies are not one task's rows."""
-    near = lines.join(members.select("h1").distinct(), "h1", "left_semi").select("h1", F.col("first").alias("place"))
-    found = signed.select("h1", place().alias("place"), "line").join(near.hint("shuffle_hash"), ["h1", "place"])
-    found = found.groupBy("h1", "place").agg(F.first("line").alias("line"))  # rows may repeat a doc_id
-    return found.select("h1", F.sort_array(shingles(F.col("line"))).alias("s"))
+def shingle_sets(signed: DataFrame, lines: DataFrame, members: DataFrame) -> list[DataFrame]:
+    """h1, s (sorted) of each line in a bucket, in PASSES written tables. Its text comes from its earliest place, so copies are not one task's rows.
+
+    Only one pass' share of the texts is in shuffle files at a time; these go before the next pass begins.
+    """
+    step = F.lit(ORDER_STEP).cast("decimal(11,0)")
+    near = lines.join(members.select("h1").distinct(), "h1", "left_semi").withColumn("line_no", F.pmod("first", step).cast("int"))
+    near = staged(near.select("h1", F.call_function("div", F.col("first") - F.col("line_no"), step).alias("doc_id"), "line_no"), "line-near")
+    sets = []
+    for k in range(PASSES):
+        share = F.pmod("h1", F.lit(PASSES)) == k
+        found = signed.select("h1", "doc_id", "line_no", "line").where(share).join(near.where(share).hint("shuffle_hash"), ["h1", "doc_id", "line_no"])
+        found = found.groupBy("h1", "doc_id", "line_no").agg(F.first("line").alias("line"))  # rows may repeat a doc_id
+        sets.append(staged(found.select("h1", F.sort_array(shingles(F.col("line"))).alias("s")), "line-sets"))
+    dropped(near)
+    return sets
 
 
 def reaches(common: Column, sizes: Column) -> Column:
@@ -193,14 +206,15 @@ def decisions(signed: DataFrame) -> DataFrame:
     """
     lines = staged(distinct_lines(signed), "lines")
     members = staged(buckets(lines), "line-buckets")
-    sets = staged(shingle_sets(signed, lines, members), "line-sets")
+    parts = shingle_sets(signed, lines, members)
+    sets = reduce(DataFrame.unionByName, parts)
     pairs = members.where("h1 <> pivot").where(can_reach("m", "pivot_m")).select(F.col("pivot").alias("a"), F.col("h1").alias("b")).distinct()
     links = staged(similar(pairs, sets), "line-links")
     labels = staged(components(links), "line-labels")
     rest = rest_links(members, sets, labels)
     if not rest.isEmpty():
         labels = staged(joined(labels, rest), "line-labels")
-    dropped(members, sets, links, rest)
+    dropped(members, links, rest, *parts)
     nodes = labels.select(F.col("node").alias("h1"), "component")
     known = lines.join(nodes, "h1", "left").where("component is not null or n > 1").select("h1", "h2", "first", F.coalesce("component", "h1").alias("component"))
     known = staged(known, "line-known")
@@ -221,9 +235,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and of copies in the same place all stay. Rows without doc_id take no part.
     """
     signed = staged(signed_rows(line_rows(docs, id_col, text_col)), "line-rows")
-    rows = signed.select("doc_id", "line_no", "h1", "h2", place().alias("place"))
-    found = rows.join(decisions(signed), ["h1", "h2"], "left")
-    return found.select("doc_id", "line_no", F.coalesce("class_id", "h1").alias("class_id"), (F.col("class_id").isNull() | F.coalesce(F.col("place") == F.col("keep"), F.lit(False))).alias("kept"))
+    found = signed.select("doc_id", "line_no", "h1", "h2").join(decisions(signed), ["h1", "h2"], "left")
+    return found.select("doc_id", "line_no", F.coalesce("class_id", "h1").alias("class_id"), (F.col("class_id").isNull() | F.coalesce(place() == F.col("keep"), F.lit(False))).alias("kept"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

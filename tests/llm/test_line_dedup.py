@@ -183,3 +183,24 @@ def test_bits_never_rule_out_a_similar_pair(spark):
     assert all(r.most >= len(set(r.a) & set(r.b)) for r in found)
     apart = [r for r in found if 10 < len(r.a) < 60 and 10 < len(r.b) < 60 and not set(r.a) & set(r.b)]
     assert all(2 * r.most < len(r.a) + len(r.b) for r in apart)
+
+
+def test_texts_are_not_in_shuffle_files_all_at_once(spark):
+    """The largest stage writes far less than the texts, and each line has its class from the passes, whatever the sign of its doc_id."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9))
+    lines = [[word() for _ in range(200)] for _ in range(300)]
+    lines += [[*x[:-1], word()] for x in lines[:60]]
+    rows = [(i - 30, " ".join(x), 1, "", 1) for i, x in enumerate(lines)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    tracker = spark.sparkContext._jsc.sc().dagScheduler().nextStageId
+    before = tracker()
+    found = got(line_dedup.op7_line_dedup(spark.createDataFrame(rows, SCHEMA)))
+    assert found == sorted([sorted([(i - 30, 0), (i + 270, 0)]) for i in range(60)] + [[(i - 30, 0)] for i in range(60, 300)])
+    written = []
+    for stage in range(before, tracker()):
+        try:
+            written.append(store.lastStageAttempt(stage).shuffleWriteBytes())
+        except Exception:  # noqa: BLE001 - skipped stages have no attempt
+            continue
+    assert 0 < max(written) < 0.5 * sum(len(r[1]) for r in rows)
