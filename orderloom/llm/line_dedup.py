@@ -27,8 +27,8 @@ SHINGLE, SIMILARITY, SIGNATURE = 12, 0.65, 4
 ORDER_STEP = 1 << 31
 #: Lines of a bucket that one task compares with the whole bucket, about; a component over one of so many parts of the lines is large.
 BLOCK, LARGE_SHARE = 512, 10_000
-#: Passes over the texts in which the sets are made; each has this part of the texts in shuffle files.
-PASSES = 4
+#: Cells of 512 bits in a table that sieves texts (about 25 MB), and passes over the texts in which the sets are made, at most.
+CELLS, PASSES = 1 << 18, 4
 
 
 def squeezed(line: Column) -> Column:
@@ -40,7 +40,7 @@ def squeezed(line: Column) -> Column:
 
 
 #: Steps over a word, or over one character of a word longer than a shingle; group 1 is the shingle.
-STEP = f"(?s)(?=(.{{1,{SHINGLE}}}))(?:[^ ]{{1,{SHINGLE}}}+(?: |$)|[^ ])"
+STEP = f"(?s)(?=(.{{1,{SHINGLE}}}))(?:[^ ]{{1,{SHINGLE}}}+(?: |\\z)|[^ ])"
 
 
 def shingles(line: Column) -> Column:
@@ -97,18 +97,38 @@ def can_reach(m: str, other: str) -> Column:
     return F.least(m, other) >= SIMILARITY * F.greatest(m, other)
 
 
+def sieved(rows: DataFrame, near: DataFrame, count: int) -> DataFrame:
+    """The rows whose place (h1, doc_id, line_no) may be one of the `count` of `near`: one bit of a broadcast table stands for each.
+
+    A table has a cell of eight words for each 32 places, CELLS at most; it lets all of `near` pass and about a sixteenth of the others.
+    """
+    r = F.xxhash64("h1", "doc_id", "line_no")
+    word = F.shiftrightunsigned(r, 61)
+    mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(r, 55).bitwiseAND(F.lit(63)).cast("int"))
+    cell = F.pmod(r, F.lit(min(CELLS, count // 32 + 1))).alias("cell")
+    cells = near.select(cell, word.alias("word"), mark.alias("mark")).groupBy("cell").agg(*[F.bit_or(F.when(F.col("word") == k, F.col("mark"))).alias(f"b{k}") for k in range(8)])
+    found = rows.select("*", cell).join(F.broadcast(cells), "cell")
+    own = F.coalesce(*[F.when(word == k, F.col(f"b{k}")) for k in range(8)], F.lit(0))
+    return found.where(own.bitwiseAND(mark) != 0).select(*rows.columns)
+
+
 def shingle_sets(signed: DataFrame, lines: DataFrame, members: DataFrame) -> list[DataFrame]:
-    """h1, s (sorted) of each line in a bucket, in PASSES written tables. Its text comes from its earliest place, so copies are not one task's rows.
+    """h1, s (sorted) of each line in a bucket, in written tables. Its text comes from its earliest place, so copies are not one task's rows.
 
-    Only one pass' share of the texts is in shuffle files at a time; these go before the next pass begins.
+    Texts of other lines are sieved out before the shuffle. A table serves 64 * CELLS lines; more take up to PASSES
+    passes, of which each has only its share of the texts in shuffle files, however many pass the sieve.
     """
     step = F.lit(ORDER_STEP).cast("decimal(11,0)")
     near = lines.join(members.select("h1").distinct(), "h1", "left_semi").withColumn("line_no", F.pmod("first", step).cast("int"))
     near = staged(near.select("h1", F.call_function("div", F.col("first") - F.col("line_no"), step).alias("doc_id"), "line_no"), "line-near")
+    count = near.count()
+    passes = max(1, min(PASSES, -(-count // (64 * CELLS))))
     sets = []
-    for k in range(PASSES):
-        share = F.pmod("h1", F.lit(PASSES)) == k
-        found = signed.select("h1", "doc_id", "line_no", "line").where(share).join(near.where(share).hint("shuffle_hash"), ["h1", "doc_id", "line_no"])
+    for k in range(passes):
+        share = F.pmod("h1", F.lit(passes)) == k
+        own = near.where(share)
+        found = sieved(signed.select("h1", "doc_id", "line_no", "line").where(share), own, count // passes)
+        found = found.join(own.hint("shuffle_hash"), ["h1", "doc_id", "line_no"])
         found = found.groupBy("h1", "doc_id", "line_no").agg(F.first("line").alias("line"))  # rows may repeat a doc_id
         sets.append(staged(found.select("h1", F.sort_array(shingles(F.col("line"))).alias("s")), "line-sets"))
     dropped(near)
