@@ -185,8 +185,10 @@ def test_bits_never_rule_out_a_similar_pair(spark):
     assert all(2 * r.most < len(r.a) + len(r.b) for r in apart)
 
 
-def test_texts_are_not_in_shuffle_files_all_at_once(spark):
+@pytest.mark.parametrize("cells", [line_dedup.CELLS, 1])
+def test_texts_are_not_in_shuffle_files_all_at_once(spark, monkeypatch, cells):
     """The largest stage writes far less than the texts, and each line has its class from the passes, whatever the sign of its doc_id."""
+    monkeypatch.setattr(line_dedup, "CELLS", cells)  # with one cell of 512 bits: passes
     rnd = random.Random(12)
     word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9))
     lines = [[word() for _ in range(200)] for _ in range(300)]
