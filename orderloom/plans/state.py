@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,19 +18,54 @@ from orderloom.streaming import jobs, stateful
 PARTS = 3
 #: Rows of a part for the jobs that hold a symbol's rows of a micro-batch.
 PART_ROWS = 4_000_000
-
-
-def in_parts(df, parts=PARTS):
+#: Bits of a time that one pass over the times looks at.
+BITS = 12
+
+
+def time_cuts(df, parts, within=0):
+    """The times, in microseconds, that cut the rows into equal parts: interpolated percentiles as F.percentile gives them.
+
+    No task holds the times: they are counted by their leading bits, a few thousand counts a cut, then by the next bits among those
+    that share a cut's leading ones, down to single microseconds. within: a cut may be the end of a range of at most so many rows.
+    """
+    x = df.select(F.unix_micros(F.col("ts_event").cast("timestamp")).alias("us"))
+    low, high, n = x.agg(F.min("us"), F.max("us"), F.count("us")).first()
+    if not n:
+        return [0.0] * (parts - 1)
+    since = F.col("us") - F.lit(low)
+    places = [(n - 1) * (i / parts) for i in range(1, parts)]
+    wanted = {k: (0, k) for p in places for k in (math.floor(p), math.ceil(p))}  # place: leading bits of its time, rank among the times that share them
+    found, shift = {}, -(-(high - low).bit_length() // BITS) * BITS
+    while wanted and shift:
+        shift -= BITS
+        some = x.where(F.shiftright(since, shift + BITS).isin([p for p, _ in wanted.values()]))
+        ranges = {}
+        for lead, rows in sorted(map(tuple, some.groupBy(F.shiftright(since, shift)).count().collect())):
+            ranges.setdefault(lead >> BITS, []).append((lead, rows))
+        for k, (lead, rank) in list(wanted.items()):
+            for deeper, rows in ranges[lead]:
+                if rank < rows:
+                    break
+                rank -= rows
+            wanted[k] = deeper, rank
+            if rows <= within:
+                found[k] = low + ((deeper + 1) << shift) - 1
+                del wanted[k]
+    found |= {k: low + lead for k, (lead, _) in wanted.items()}
+    at = [(p, float(found[math.floor(p)]), float(found[math.ceil(p)])) for p in places]
+    return [a if a == b else (math.ceil(p) - p) * a + (p - math.floor(p)) * b for p, a, b in at]
+
+
+def in_parts(df, parts=PARTS, within=0):
     """The rows in a few parts of ascending time."""
-    cuts = df.agg(F.percentile(F.unix_micros(F.col("ts_event").cast("timestamp")), F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("c")).first().c
     at = F.unix_micros(F.col("ts_event").cast("timestamp"))
-    edges = [None, *cuts, None]
+    edges = [None, *time_cuts(df, parts, within), None]
     return [df.where(F.lit(True) if a is None else at > a).where(F.lit(True) if b is None else at <= b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def parts_of(df):
     """Parts enough that none has many more than PART_ROWS rows."""
-    return in_parts(df, max(PARTS, -(-df.count() // PART_ROWS)))
+    return in_parts(df, max(PARTS, -(-df.count() // PART_ROWS)), PART_ROWS // 16)
 
 
 def streamed(spark, d, job, rocksdb=False):

@@ -90,6 +90,9 @@ def stateful_flow(ticks: DataFrame) -> DataFrame:
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SHUFFLE = "spark.sql.shuffle.partitions"
+#: Parts of the state at most in a replay: each is a store of its own in an executor's memory, and a Python worker in each micro-batch, with rows or without.
+STATE_PARTS = 16
 
 
 def replay(batches: list[DataFrame], job, work: str, rocksdb: bool = False) -> DataFrame:
@@ -97,18 +100,19 @@ def replay(batches: list[DataFrame], job, work: str, rocksdb: bool = False) -> D
 
     Each batch is appended to the source folder and taken by a run with the same checkpoint, so state and watermark go
     through stops and restarts as they would in production. work: a folder that executors share. rocksdb: keep state in that
-    store, which the jobs of `stateful` need.
+    store, which the jobs of `stateful` need, in STATE_PARTS parts at most, as symbols are few.
     """
     spark, name = batches[0].sparkSession, uuid.uuid4().hex
     source, out = f"{work}/{name}-in", f"{work}/{name}-out"
-    before = spark.conf.get(STORE, None)
-    if rocksdb:
-        spark.conf.set(STORE, ROCKSDB)
+    set_here = {STORE: ROCKSDB, SHUFFLE: str(min(STATE_PARTS, int(spark.conf.get(SHUFFLE))))} if rocksdb else {}
+    before = {k: spark.conf.get(k, None) for k in set_here}
+    for k, v in set_here.items():
+        spark.conf.set(k, v)
     try:
         _runs(batches, job, source, out, f"{work}/{name}-checkpoint")
     finally:
-        if rocksdb:
-            spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.parquet(out)
 
 
